@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelwork.llm.decontaminate import benchmark_leaks
 from reelwork.llm.mixing import mix_sources
 from reelwork.llm.neardup import near_duplicates
 from reelwork.llm.quality import base_failed, quality_signals, repetitive
@@ -16,13 +17,9 @@ from reelwork.llm.sharding import shard_documents
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; a null text has too few words."""
-    found = quality_signals(docs, COLUMNS + ["text"] * ("text" not in COLUMNS))
+    found = quality_signals(docs, COLUMNS)
     return found.where(~base_failed() & ~repetitive()).select(*COLUMNS)
 
 
@@ -33,7 +30,34 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", quality_rules), ("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    leaks = benchmark_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each copy of a document that the mix takes; a copy in service at the end counts.
+
+    A document that gives w words of its size s to the mix stands ceil(w / s) times.
+    """
+    taken = mix_sources(docs).where("taken > 0").groupBy("doc_id", "source").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("copies"))
+    mine = docs.select(*COLUMNS).dropDuplicates(["doc_id", "source"]).join(taken.withColumnsRenamed({"doc_id": "_d", "source": "_s"}), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
+    return mine.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and place of each row: doc_id, size, text_crc32, shard, slot, virtual_slot."""
+    return shard_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("shard", shard),
+]
 ORACLE_SQL = None
 
 

@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum(cap).over(before), F.lit(0))) / F.sum("weight").over(rest)
     leveled = per_source.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int"))).withColumn("level", level)
-    water = F.min(F.when(F.col("level") * F.col("weight") <= cap, F.col("level"))).over(every)
+    water = F.max(F.when(F.col("level") * F.col("weight") <= cap, F.col("level"))).over(every)
     return leveled.select("source", "source_size", "weight", F.least(cap.cast("double"), F.coalesce(water, F.lit(0.0)) * F.col("weight")).alias("target"))
 
 

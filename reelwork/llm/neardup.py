@@ -51,6 +51,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
 
+def _as_long(sets: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return sets[0].view(np.int64), sets[1]
+
+
 def signatures(data: np.ndarray, offsets: np.ndarray, _texts) -> list:
     values, counts = shingle_sets(data, offsets)
     full = np.flatnonzero(counts)
@@ -88,6 +92,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("m") + F.col("n") - F.col("common"))).select("a", "b")
 
 
+def bucket_members(entries: DataFrame) -> DataFrame:
+    """(band, id, lead) for the rows (id, band) whose bucket has more than one id; lead is its least."""
+    leaders = entries.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("band", "lead")
+    return keep(entries.join(leaders, "band").distinct())
+
+
+def link_classes(shared: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, likely: Column) -> DataFrame:
+    """(node, component) from bucket_members(), sketches (id, sketch) and sets (id, shingles).
+
+    likely is a condition on the columns sketch_a and sketch_b of a candidate pair.
+    """
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    stars = shared.where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    stars = keep(stars.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"))
+    joined = components(keep(confirmed(stars, sets, percent)))
+
+    # members of one bucket that the stars left apart
+    label = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    apart = label.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    rows = keep(label.join(apart, "band").join(sketches, "id"))
+    left, right = (rows.select("band", F.col("id").alias(c), F.col("component").alias(f"part_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    crossing = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & likely).select("a", "b").distinct()
+    bridges = confirmed(keep(crossing.join(stars, ["a", "b"], "left_anti")), sets, percent)
+    return components(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(bridges))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -101,32 +131,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x")).select("key1", "key2", F.col("x.doc_id").alias("id"), "x.bands", "x.sketch")
     classes = keep(classes)
-    entries = classes.select("id", F.explode("bands").alias("band"))
-    leaders = entries.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("band", "lead")
-    shared = keep(entries.join(leaders, "band"))
-    sketches = classes.select("id", "sketch")
+    shared = bucket_members(classes.select("id", F.explode("bands").alias("band")))
     wanted = shared.select("id").distinct()
-    sets = keep(map_text(rows.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), lambda d, o, _t: [lists(*(x.view(np.int64) for x in shingle_sets(d, o)), pa.int64())], "shingles array<long>", ["doc_id"]).select(F.col("doc_id").alias("id"), "shingles").dropDuplicates(["id"]))
-
-    side = lambda c: sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    sets = keep(map_text(rows.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), lambda d, o, _t: [lists(*_as_long(shingle_sets(d, o)), pa.int64())], "shingles array<long>", ["doc_id"]).select(F.col("doc_id").alias("id"), "shingles").dropDuplicates(["id"]))
     likely = estimate(F.col("sketch_a"), F.col("sketch_b")) >= ESTIMATE
-    stars = shared.where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    stars = keep(stars.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"))
-    links = keep(confirmed(stars, sets, percent))
-    joined = components(links)
-
-    # members of one bucket that the stars left apart
-    label = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    apart = label.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    open_rows = keep(label.join(apart, "band").join(sketches, "id"))
-    l, r = (open_rows.select("band", F.col("id").alias(c), F.col("component").alias(f"part_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-    crossing = l.join(r, "band").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & likely).select("a", "b").distinct()
-    crossing = crossing.join(stars, ["a", "b"], "left_anti")
-    bridges = confirmed(keep(crossing), sets, percent)
-    of_class = components(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(bridges))
+    of_class = link_classes(shared, classes.select("id", "sketch"), sets, percent, likely)
 
     named = classes.select("key1", "key2", "id").join(of_class.withColumnRenamed("node", "id"), "id", "left").select("key1", "key2", F.coalesce("component", "id").alias("component"))
-    # the row's own keys find its class; a salted key would not help, as AQE splits a skewed side
     out = signed.select("doc_id", "n_shingles", "key1", "key2").join(named, ["key1", "key2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

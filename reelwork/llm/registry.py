@@ -7,12 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reelwork.llm.chat import op4_chat_reply_trees
+from reelwork.llm.decontaminate import op7_template_decontamination
+from reelwork.llm.language import op6_language_id
+from reelwork.llm.lines import op8_fuzzy_line_dedup
 from reelwork.llm.mixing import op1_mix_sources
 from reelwork.llm.neardup import op10_minhash_near_dedup
 from reelwork.llm.quality import op9_quality_rules
 from reelwork.llm.sharding import op5_virtual_slot_shards
+from reelwork.llm.tokens import op3_prefix_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op4_chat_reply_trees, op5_virtual_slot_shards, op9_quality_rules, op10_minhash_near_dedup)
+    f.__name__: f
+    for f in (op1_mix_sources, op3_prefix_token_counts, op4_chat_reply_trees, op5_virtual_slot_shards, op6_language_id, op7_template_decontamination, op8_fuzzy_line_dedup, op9_quality_rules, op10_minhash_near_dedup)
+}
+
+_CONTROLS = ("<|turn|>", "<|body|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+
+
+def _escaped(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for mark in _CONTROLS:
+        out = f"replace({out}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+    return out
+
+
+ORACLE: dict[str, str] = {
+    "op4_chat_reply_trees": f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum(length('<|turn|>' || {_escaped('role')} || '<|body|>' || {_escaped('text')} || '<|end|>'))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
 }
-ORACLE: dict[str, str] = {}

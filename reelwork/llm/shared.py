@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from reelwork.llm import kernel
+from reelwork.session import arrow_map
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,5 +68,25 @@ def map_text(docs: DataFrame, work, signals: str, carry: list[str], text: str =
                 out = work(data, offsets, lambda p=part: [x or "" for x in p.column("_text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(f"_c{i}").cast(kinds[i].type) for i in range(len(carry))] + [x if isinstance(x, pa.Array) else pa.array(x) for x in out], schema=kinds)
 
-    out = held.mapInArrow(run, schema)
+    out = arrow_map(held, run, schema)
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *made.names)
+
+
+def bit_filter(df: DataFrame, column: str, bits: int = 24) -> np.ndarray:
+    """A bitmap with the bit of each leading bits of the 64-bit hashes in column.
+
+    It has 2**bits bits (2 MB) whatever the number of hashes, so it may go to every task; at
+    most 2**bits / 64 rows reach the driver. A full map lets everything through.
+    """
+    place = F.shiftrightunsigned(column, 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    got = df.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def in_filter(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    shift = np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)
+    place = (hashes >> shift).astype(np.int64)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
