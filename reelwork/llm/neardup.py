@@ -5,7 +5,7 @@ odd sketch (the MinHash samples folded into a bitmap of parities) estimates the
 of a candidate pair from the population count of an XOR; what passes is confirmed on the
 full sets. Equal sets are one class from the start, so copies never meet as pairs.
 
-In a bucket the least member first meets each of the others, which is linear in the bucket.
+In a bucket one leading member first meets each of the others, which is linear in the bucket.
 What these links leave in different components, but together in some bucket, is then
 compared pair by pair, so no link that would join two components is lost to the shortcut.
 """
@@ -93,9 +93,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def bucket_members(entries: DataFrame) -> DataFrame:
-    """(band, id, lead) for the rows (id, band) whose bucket has more than one id; lead is its least."""
-    leaders = entries.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("band", "lead")
-    return keep(entries.join(leaders, "band").distinct())
+    """(band, id, lead) for the rows (id, band) whose bucket has more than one id.
+
+    lead is the member that shares most buckets with others: in a group of edited copies
+    that is the text they come from, which is like each of them, as they need not be.
+    """
+    crowds = entries.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
+    members = keep(entries.join(crowds, "band").distinct())
+    ties = members.groupBy("id").agg(F.sum("n").alias("ties"))
+    weighed = members.join(ties, "id")
+    leads = weighed.groupBy("band").agg(F.max(F.struct("ties", (-F.col("id")).alias("minus"))).alias("x")).select("band", (-F.col("x.minus")).alias("lead"))
+    return keep(members.select("band", "id").join(leads, "band"))
 
 
 def link_classes(shared: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, likely: Column) -> DataFrame:
@@ -104,7 +112,7 @@ def link_classes(shared: DataFrame, sketches: DataFrame, sets: DataFrame, percen
     likely is a condition on the columns sketch_a and sketch_b of a candidate pair.
     """
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    stars = shared.where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    stars = shared.where("lead <> id").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
     stars = keep(stars.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"))
     joined = components(keep(confirmed(stars, sets, percent)))
 

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelwork.llm.kernel import LOWER, U64, inside, mix, per_doc, prefix_hash, rolled, span_hash, words_of  # noqa: F401
+from reelwork.llm.kernel import U64, inside, mix, per_doc, prefix_hash, rolled, span_hash, words_of
 from reelwork.llm.shared import documents, map_text
 
 MIN_WORDS = 50
@@ -76,7 +76,7 @@ def longest_common(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def repeats(hashes: np.ndarray, doc: np.ndarray, n_docs: int, least: int = MIN_REPEAT) -> tuple[np.ndarray, np.ndarray]:
     """Words covered by repeated strings of at least so many words, and the longest of them, by document."""
     covered, longest = np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64)
-    salted = mix(hashes + mix(doc.astype(U64)))
+    salted = mix(hashes + mix(doc.astype(U64) + U64(1 << 63)))
     at = inside(doc, least)
     with_repeat = np.unique(doc[at[repeated(rolled(salted, least)[at])]])
     if not len(with_repeat):
@@ -97,7 +97,7 @@ def signals_of(data: np.ndarray, offsets: np.ndarray, texts) -> list[np.ndarray]
     words = words_of(data, offsets)
     n_docs = len(offsets) - 1
     hashes = span_hash(prefix_hash(data), words.starts, words.ends)
-    salted = mix(hashes + mix(words.doc.astype(U64)))
+    salted = mix(hashes + mix(words.doc.astype(U64) + U64(1 << 63)))
     at = inside(words.doc, 3)
     twice = at[repeated(rolled(salted, 3)[at])]
     edge = np.zeros(len(words.starts) + 1, np.int64)

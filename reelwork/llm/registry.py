@@ -14,11 +14,12 @@ from reelwork.llm.mixing import op1_mix_sources
 from reelwork.llm.neardup import op10_minhash_near_dedup
 from reelwork.llm.quality import op9_quality_rules
 from reelwork.llm.sharding import op5_virtual_slot_shards
+from reelwork.llm.substrings import op2_suffix_array_dedup
 from reelwork.llm.tokens import op3_prefix_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op3_prefix_token_counts, op4_chat_reply_trees, op5_virtual_slot_shards, op6_language_id, op7_template_decontamination, op8_fuzzy_line_dedup, op9_quality_rules, op10_minhash_near_dedup)
+    for f in (op1_mix_sources, op2_suffix_array_dedup, op3_prefix_token_counts, op4_chat_reply_trees, op5_virtual_slot_shards, op6_language_id, op7_template_decontamination, op8_fuzzy_line_dedup, op9_quality_rules, op10_minhash_near_dedup)
 }
 
 _CONTROLS = ("<|turn|>", "<|body|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
