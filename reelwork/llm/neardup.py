@@ -26,6 +26,7 @@ PERCENT = 75
 #: A pair of similarity 0.75 misses all bands with probability 1.3e-6.
 BANDS, ROWS = 50, 5
 SKETCH_BITS = 512
+PARITY_BITS = 1024
 #: Candidates estimated below this are not confirmed: 7 standard errors under the threshold.
 ESTIMATE = 0.55
 
@@ -51,8 +52,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
 
-def _as_long(sets: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return sets[0].view(np.int64), sets[1]
+def _sets(data: np.ndarray, offsets: np.ndarray, _texts) -> list:
+    values, counts = shingle_sets(data, offsets)
+    return [lists(values.view(np.int64), counts, pa.int64()), parities(values, counts)]
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, _texts) -> list:
@@ -92,6 +94,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("m") + F.col("n") - F.col("common"))).select("a", "b")
 
 
+def parities(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """Odd sketches of whole sets: their XOR never has more bits than the sets have different members."""
+    bits = (values % U64(PARITY_BITS)).astype(np.int64) + np.repeat(np.arange(len(counts)), counts) * PARITY_BITS
+    odd = (np.bincount(bits, minlength=len(counts) * PARITY_BITS) & 1).astype(np.uint8)
+    return lists(np.packbits(odd).view(np.int64), np.full(len(counts), PARITY_BITS // 64), pa.int64())
+
+
+def may_link(percent: int) -> Column:
+    """Whether the sizes and whole-set sketches of a pair leave room for the similarity; it never drops a link."""
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
+
+
 def bucket_members(entries: DataFrame) -> DataFrame:
     """(band, id, lead) for the rows (id, band) whose bucket has more than one id.
 
@@ -107,7 +122,7 @@ def bucket_members(entries: DataFrame) -> DataFrame:
 
 
 def link_classes(shared: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, likely: Column) -> DataFrame:
-    """(node, component) from bucket_members(), sketches (id, sketch) and sets (id, shingles).
+    """(node, component) from bucket_members(), sketches (id, sketch) and sets (id, shingles, parity).
 
     likely is a condition on the columns sketch_a and sketch_b of a candidate pair.
     """
@@ -119,9 +134,9 @@ def link_classes(shared: DataFrame, sketches: DataFrame, sets: DataFrame, percen
     # members of one bucket that the stars left apart
     label = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     apart = label.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    rows = keep(label.join(apart, "band").join(sketches, "id"))
-    left, right = (rows.select("band", F.col("id").alias(c), F.col("component").alias(f"part_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-    crossing = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & likely).select("a", "b").distinct()
+    rows = keep(label.join(apart, "band").join(sketches, "id").join(sets.select("id", "parity", F.size("shingles").alias("size")), "id"))
+    left, right = (rows.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "sketch", "parity", "size")]).withColumnRenamed(f"id_{x}", x) for x in "ab")
+    crossing = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & may_link(percent) & likely).select("a", "b").distinct()
     bridges = confirmed(keep(crossing.join(stars, ["a", "b"], "left_anti")), sets, percent)
     return components(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(bridges))
 
@@ -141,7 +156,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     classes = keep(classes)
     shared = bucket_members(classes.select("id", F.explode("bands").alias("band")))
     wanted = shared.select("id").distinct()
-    sets = keep(map_text(rows.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), lambda d, o, _t: [lists(*_as_long(shingle_sets(d, o)), pa.int64())], "shingles array<long>", ["doc_id"]).select(F.col("doc_id").alias("id"), "shingles").dropDuplicates(["id"]))
+    sets = keep(map_text(rows.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), _sets, "shingles array<long>, parity array<long>", ["doc_id"]).select(F.col("doc_id").alias("id"), "shingles", "parity").dropDuplicates(["id"]))
     likely = estimate(F.col("sketch_a"), F.col("sketch_b")) >= ESTIMATE
     of_class = link_classes(shared, classes.select("id", "sketch"), sets, percent, likely)
 
