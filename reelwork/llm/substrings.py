@@ -33,7 +33,7 @@ from reelwork.session import arrow_map, find_package
 LENGTH = 50
 GRAM = 24
 SPREAD = LENGTH - GRAM + 1
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Documents, and anchors of each, that the splitters are taken from at most.
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_ANCHORS = 32
@@ -129,6 +129,18 @@ def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
 
+def _fine(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The leading 40 bits of each hash's place within its bucket, as 5 bytes; two that agree by chance only cost work."""
+    place = hashes * U64(buckets)
+    return place.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+
+
+def _coarse(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _pack(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
@@ -137,14 +149,14 @@ def send(buckets: int):
     def run(key, table):
         hashes, several = sent_hashes(Chunk(table))
         cuts = _cuts(hashes, buckets)
-        rows = [(b, key[0].as_py(), *_pack(hashes[i:j], np.packbits(several[i:j]))) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+        rows = [(b, key[0].as_py(), *_pack(_fine(hashes[i:j], buckets), np.packbits(several[i:j]))) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
         return _table(rows, _SENT)
 
     return run
 
 
 def hear(_key, table):
-    rows = [(r["chunk"], r["bucket"], np.frombuffer(r["hashes"], U64), np.frombuffer(r["several"], np.uint8)) for r in table.to_pylist()]
+    rows = [(r["chunk"], r["bucket"], _coarse(r["hashes"]), np.frombuffer(r["several"], np.uint8)) for r in table.to_pylist()]
     every = np.sort(np.concatenate([r[2] for r in rows]))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     out = []
@@ -199,8 +211,8 @@ def contexts(buckets: int, splitters: np.ndarray):
                 continue
             size = last[own] - first[own] + LENGTH
             at = np.arange(size.sum()) + np.repeat(first[own] - (np.cumsum(size) - size), size)
-            numbers = (first[own] - chunk.offsets[row[own]], place[own] - first[own], last[own] - first[own] + 1)
-            out.append((k, key[0].as_py(), *_pack(doc[own], row[own].astype(np.int32), *(x.astype(np.int32) for x in numbers), chunk.data[at]), gone.tobytes() if k == 0 else b""))
+            start, ahead, n = first[own] - chunk.offsets[row[own]], place[own] - first[own], last[own] - first[own] + 1
+            out.append((k, key[0].as_py(), *_pack(doc[own], row[own].astype(np.int32), start.astype(np.int32), ahead.astype(np.uint8), n.astype(np.uint8), chunk.data[at]), gone.tobytes() if k == 0 else b""))
         return _table(out, _CONTEXTS)
 
     return run
@@ -233,14 +245,16 @@ def removed_windows(doc: np.ndarray, ahead: np.ndarray, n: np.ndarray, body: np.
     doc, ahead, n, anchor, suffix = doc[order], ahead[order], n[order], anchor[order], suffix[order]
     differ = suffix[1:, :LENGTH] != suffix[:-1, :LENGTH]
     common = np.where(differ.any(1), differ.argmax(1), LENGTH)
-    c = prefix_hash(body)
     gone = np.zeros((len(doc), SPREAD), bool)
+    before = np.zeros(len(doc), U64)  # a hash of the bytes between the window's start and the anchor
     for back in range(SPREAD):
+        if back:
+            before += (body[np.maximum(anchor - back, 0)].astype(U64) + U64(1)) * powers(SPREAD)[0][back]
         own = np.flatnonzero((ahead >= back) & (n - 1 - ahead >= -back))
         if len(own) < 2:
             continue
         interval = np.concatenate([[0], np.cumsum(common < LENGTH - back)])[own].astype(U64)
-        key = mix(mix(interval + U64(1 << 63)) + span_hash(c, anchor[own] - back, anchor[own]))
+        key = mix(mix(interval + U64(1 << 63)) + mix(before[own]))
         by = np.lexsort((doc[own], key))
         new = np.ones(len(by), bool)
         new[1:] = key[by][1:] != key[by][:-1]
@@ -254,7 +268,7 @@ def removed_windows(doc: np.ndarray, ahead: np.ndarray, n: np.ndarray, body: np.
 def compare(_key, table):
     rows = table.to_pylist()
     doc = np.concatenate([np.frombuffer(r["doc"], np.int64) for r in rows])
-    row, start, ahead, n = (np.concatenate([np.frombuffer(r[k], np.int32) for r in rows]).astype(np.int64) for k in ("row", "start", "ahead", "n"))
+    row, start, ahead, n = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]).astype(np.int64) for k, kind in (("row", np.int32), ("start", np.int32), ("ahead", np.uint8), ("n", np.uint8)))
     body = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in rows])
     counts = [len(r["doc"]) // 8 for r in rows]
     chunk = np.repeat(np.arange(len(rows)), counts)
@@ -333,7 +347,7 @@ def remove_substrings(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFr
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n, total = known.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     chunks = max(1, -(-(total or 0) // chunk_bytes))
-    splitters = sampled_splitters(known, SAMPLE_DOCUMENTS / max(1, n) * 0.9, chunks)
+    splitters = sampled_splitters(known, SAMPLE_DOCUMENTS / max(1, n) * 0.9, 2 * chunks)
     dealt = known.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
     by_chunk = dealt.groupBy("chunk")
     sent = by_chunk.applyInArrow(send(chunks), _SENT)
