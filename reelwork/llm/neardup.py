@@ -121,29 +121,26 @@ def bucket_members(entries: DataFrame) -> DataFrame:
     return keep(members.select("band", "id").join(leads, "band"))
 
 
-def link_classes(shared: DataFrame, sketches: DataFrame, profiles, percent: int, likely: Column) -> DataFrame:
-    """(node, component) from bucket_members() and sketches (id, sketch).
+def link_classes(shared: DataFrame, described: DataFrame, shingles_of, percent: int, likely: Column) -> DataFrame:
+    """(node, component) from bucket_members() and described (id, sketch, size, parity).
 
-    profiles(ids, full) gives (id, size, parity, shingles) for the rows (id) of ids; only
-    those of full, which are among ids, need their shingles. likely is a condition on the
-    columns sketch_a and sketch_b of a candidate pair.
+    shingles_of(ids) gives (id, shingles) for the rows (id) of ids. likely is a condition on
+    the columns sketch_a and sketch_b of a candidate pair.
     """
-    side = lambda c: sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    side = lambda c: described.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    ends = lambda pairs: keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     stars = shared.where("lead <> id").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
     stars = keep(stars.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"))
-    known = keep(profiles(keep(shared.select("id").distinct()), keep(ends(stars))))
-    joined = components(keep(confirmed(stars, known, percent)))
+    joined = components(keep(confirmed(stars, shingles_of(ends(stars)), percent)))
 
     # members of one bucket that the stars left apart
     label = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     apart = label.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    rows = keep(label.join(apart, "band").join(sketches, "id").join(known.select("id", "parity", "size"), "id"))
+    rows = keep(label.join(apart, "band").join(described, "id"))
     left, right = (rows.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "sketch", "parity", "size")]).withColumnRenamed(f"id_{x}", x) for x in "ab")
     crossing = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & may_link(percent) & likely).select("a", "b").distinct()
     crossing = keep(crossing.join(stars, ["a", "b"], "left_anti"))
-    ids = keep(ends(crossing))
-    bridges = confirmed(crossing, profiles(ids, ids), percent)
+    bridges = confirmed(crossing, shingles_of(ends(crossing)), percent)
     return components(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(bridges))
 
 
@@ -163,7 +160,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     shared = bucket_members(classes.select("id", F.explode("bands").alias("band")))
     sets = keep(map_text(rows.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), _sets, "shingles array<long>, parity array<long>", ["doc_id"]).select(F.col("doc_id").alias("id"), F.size("shingles").alias("size"), "parity", "shingles").dropDuplicates(["id"]))
     likely = estimate(F.col("sketch_a"), F.col("sketch_b")) >= ESTIMATE
-    of_class = link_classes(shared, classes.select("id", "sketch"), lambda ids, _full: sets.join(ids, "id", "left_semi"), percent, likely)
+    described = classes.select("id", "sketch").join(sets.select("id", "size", "parity"), "id")
+    of_class = link_classes(shared, described, lambda ids: sets.select("id", "shingles").join(ids, "id", "left_semi"), percent, likely)
 
     named = classes.select("key1", "key2", "id").join(of_class.withColumnRenamed("node", "id"), "id", "left").select("key1", "key2", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "key1", "key2").join(named, ["key1", "key2"], "left")
