@@ -1,10 +1,8 @@
-"""Queries for the driver's tables and their SQL."""
+"""All queries on the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from reelwork.plans import candidates, compare, files, frames, locks, reviews, segments, shots, tracks, usage  # noqa: F401  they register their queries
+from reelwork.plans.base import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
