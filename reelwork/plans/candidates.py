@@ -1,0 +1 @@
+"""Ranked candidates and policy (view e)."""
