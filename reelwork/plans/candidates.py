@@ -1 +1,308 @@
 """Ranked candidates and policy (view e)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reelwork.operators import candidates as K
+from reelwork.plans.base import query
+
+_E = "e_candidate"
+_CODES = """
+, coded AS (SELECT *, list_filter([CASE WHEN NOT lineage_ok THEN 'source_lineage_invalid' END, CASE WHEN NOT single_shot THEN 'shot_boundary_crossing' END, CASE WHEN confidence < 0.5 THEN 'evidence_confidence_below_minimum' END,
+    CASE WHEN semantic_status = 'ambiguous' THEN 'target_ambiguity_above_maximum' END, CASE WHEN NOT confidence_ok THEN 'track_confidence_below_minimum' END, CASE WHEN NOT coverage_ok THEN 'track_coverage_below_minimum' END,
+    CASE WHEN (role = 'hard_core' OR atomic) AND min_visible < 1.0 THEN CASE WHEN atomic THEN 'atomic_region_clipped' ELSE 'hard_core_not_fully_retained' END END,
+    CASE WHEN role = 'soft_extent' AND min_visible + 1e-6 < 0.95::DOUBLE THEN 'soft_extent_below_minimum' END, CASE WHEN max_speed > 900 THEN 'crop_speed_above_maximum' END], lambda x: x IS NOT NULL) AS codes FROM e_candidate)
+, judged AS (SELECT *, len(codes) = 0 AS passed FROM coded)"""
+_WON = _CODES + """
+, g AS (SELECT chapter, min(CASE WHEN strategy <> 'fit_with_background' AND passed THEN rank END) AS crop, min(CASE WHEN strategy = 'fit_with_background' THEN rank END) AS fit, min(rank) AS first FROM judged GROUP BY chapter)
+, won AS (SELECT chapter, 'c' || coalesce(crop, fit, first) AS winner, coalesce(crop, fit, first) AS winner_rank, CASE WHEN crop IS NOT NULL THEN 'accepted_crop' WHEN fit IS NOT NULL THEN 'deferred_fit' ELSE 'policy_blocked_preview_fit' END AS outcome FROM g)
+, tried AS (SELECT judged.*, outcome, winner_rank FROM judged JOIN won USING (chapter) WHERE outcome <> 'accepted_crop' OR rank <= winner_rank)
+, routed AS (SELECT *, CASE WHEN passed THEN 'accept' WHEN list_contains(codes, 'shot_boundary_crossing') THEN 'split_at_shot_boundary' WHEN list_contains(codes, 'crop_speed_above_maximum') THEN 'try_simpler_motion'
+    WHEN rank < max(rank) OVER (PARTITION BY chapter) THEN 'try_next_candidate' WHEN list_has_any(codes, ['semantic_match_below_minimum', 'target_ambiguity_above_maximum', 'identity_switch_detected', 'source_lineage_invalid']) THEN 'review_required' ELSE 'fit_with_background' END AS action FROM tried)"""
+_TEXT = "array_to_string(codes, ',') AS codes"
+_SELECTED = "SELECT chapter, 'c' || (1 + chapter % 3) AS selected FROM e_candidate GROUP BY chapter"
+
+
+def _joined(df, *columns):
+    return df.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in columns})
+
+
+def _selected(c):
+    return c.select("chapter").distinct().withColumn("selected", F.concat(F.lit("c"), (1 + F.col("chapter") % 3).cast("string")))
+
+
+@query("f18_failure_codes", _E, sql=_CODES + f" SELECT chapter, candidate_id, {_TEXT} FROM judged")
+def _f18(c):
+    return _joined(K.with_codes(c).select("chapter", "candidate_id", "codes"), "codes")
+
+
+@query("f19_choose_recovery", _E, sql=_CODES + """
+SELECT chapter, candidate_id, CASE WHEN list_contains(codes, 'shot_boundary_crossing') THEN 'split_at_shot_boundary' WHEN list_contains(codes, 'crop_speed_above_maximum') THEN 'try_simpler_motion'
+    WHEN chapter % 2 = 0 AND list_has_any(codes, ['semantic_match_below_minimum', 'target_ambiguity_above_maximum', 'track_confidence_below_minimum', 'track_coverage_below_minimum']) THEN 'try_alternate_seed' WHEN rank < 3 THEN 'try_next_candidate'
+    WHEN list_has_any(codes, ['target_ambiguity_above_maximum', 'source_lineage_invalid']) THEN 'review_required' ELSE 'fit_with_background' END AS action FROM judged""")
+def _f19(c):
+    return K.with_codes(c).select("chapter", "candidate_id", K.recovery(F.col("codes"), F.col("rank") < 3, F.col("chapter") % 2 == 0).alias("action"))
+
+
+_ERROR = "CASE frame_id % 6 WHEN 0 THEN 'Error: ambiguous target' WHEN 1 THEN 'TARGET_MISMATCH' WHEN 2 THEN 'low confidence' WHEN 3 THEN 'fewer_than_two samples' WHEN 4 THEN 'Shot crosses boundary' ELSE 'other' END"
+
+
+@query("f20_codes_from_error", _E, sql="SELECT chapter, candidate_id, CASE frame_id % 6 WHEN 0 THEN 'target_ambiguity_above_maximum' WHEN 1 THEN 'semantic_match_below_minimum' WHEN 2 THEN 'track_confidence_below_minimum' WHEN 3 THEN 'track_coverage_below_minimum' WHEN 4 THEN 'shot_boundary_crossing' ELSE 'no_feasible_presentation' END AS code FROM e_candidate")
+def _f20(c):
+    return c.select("chapter", "candidate_id", K.codes_from_error(F.expr(_ERROR)).alias("code"))
+
+
+@query("f21_region_kind", _E, sql="SELECT chapter, candidate_id, CASE frame_id % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'ui_region' WHEN 2 THEN 'text_region' ELSE 'object' END AS kind, trim(regexp_replace(lower('Clip ' || candidate_id || '-' || role || '!'), '[^a-z0-9]+', '_', 'g'), '_') AS token FROM e_candidate")
+def _f21(c):
+    from reelwork.functions.text import safe_token
+
+    kind = F.expr("CASE frame_id % 4 WHEN 0 THEN 'face' WHEN 1 THEN 'screen' WHEN 2 THEN 'text' ELSE 'tool' END")
+    return c.select("chapter", "candidate_id", K.region_kind(kind).alias("kind"), safe_token(F.concat(F.lit("Clip "), "candidate_id", F.lit("-"), "role", F.lit("!"))).alias("token"))
+
+
+@query("p14_execution_role", _E, sql="SELECT chapter, candidate_id, r AS execution_role, CASE r WHEN 'hard_core' THEN 1.0 WHEN 'overlay_keepout' THEN 0.0 ELSE coalesce(g, 0.72) END::DOUBLE AS floor FROM (SELECT *, CASE WHEN role = 'overlay_keepout' THEN 'overlay_keepout' WHEN role = 'hard_core' OR atomic THEN 'hard_core' ELSE 'soft_extent' END AS r, CASE WHEN frame_id % 2 = 0 THEN 0.8 END AS g FROM e_candidate)")
+def _p14(c):
+    given = F.when(F.col("role") == "overlay_keepout", "avoid_overlay").otherwise(F.col("role"))
+    out = c.withColumn("execution_role", K.execution_role(given, F.col("role") == "hard_core", F.col("atomic")))
+    return out.select("chapter", "candidate_id", "execution_role", K.visibility_floor(F.col("execution_role"), F.when(F.col("frame_id") % 2 == 0, 0.8)).alias("floor"))
+
+
+@query("t4_rank_preflights", _E, sql=_CODES + " SELECT chapter, candidate_id, passed, row_number() OVER (PARTITION BY chapter ORDER BY NOT passed, rank, candidate_id) AS place FROM judged")
+def _t4(c):
+    return K.rank_preflights(c).select("chapter", "candidate_id", "passed", "place")
+
+
+@query("t5_first_accepted", _E, sql=_WON + " SELECT chapter, winner, winner_rank, outcome FROM won")
+def _t5(c):
+    return K.first_accepted(c)
+
+
+@query("t5_attempts", _E, sql=_WON + " SELECT chapter, candidate_id, outcome FROM tried")
+def _t5a(c):
+    return K.attempts(c).select("chapter", "candidate_id", "outcome")
+
+
+@query("t6_selected_first", _E, sql=f", s AS ({_SELECTED}) SELECT chapter, candidate_id, row_number() OVER (PARTITION BY chapter ORDER BY candidate_id <> selected, rank, candidate_id) AS new_rank FROM e_candidate JOIN s USING (chapter)")
+def _t6(c):
+    return K.selected_first(c.join(_selected(c), "chapter"), F.col("candidate_id") == F.col("selected")).select("chapter", "candidate_id", "new_rank")
+
+
+@query("t7_topk_contract", _E, sql=f"""
+, s AS ({_SELECTED}), g AS (SELECT chapter, count(*) AS n, count(DISTINCT frame_id) AS frames, list(candidate_id) AS ids FROM e_candidate GROUP BY chapter), j AS (SELECT * FROM g JOIN s USING (chapter))
+SELECT chapter, 'count' AS rule FROM j WHERE n < 2 OR n > 4 UNION ALL SELECT chapter, 'same_evidence' FROM j WHERE frames < n UNION ALL SELECT chapter, 'selected_missing' FROM j WHERE NOT list_contains(ids, selected) UNION ALL SELECT chapter, 'selected_not_first' FROM j WHERE selected <> 'c1'""")
+def _t7(c):
+    return K.topk_violations(c, _selected(c))
+
+
+@query("t8_alternatives", _E, sql=f", s AS ({_SELECTED}) SELECT chapter, candidate_id FROM e_candidate JOIN s USING (chapter) WHERE candidate_id <> selected")
+def _t8(c):
+    return K.alternatives(c, _selected(c)).select("chapter", "candidate_id")
+
+
+@query("p11_candidate_options", _E, sql="SELECT chapter, candidate_id, option FROM (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY rank, candidate_id) AS option FROM e_candidate) WHERE option <= 3 AND (chapter % 5 <> 0 OR option = 1)")
+def _p11(c):
+    return K.candidate_options(c, 3, F.col("chapter") % 5 == 0).select("chapter", "candidate_id", "option")
+
+
+@query("p12_resolve_intent", _E, sql="""
+, x AS (SELECT chapter, candidate_id, CASE WHEN frame_id % 3 = 0 THEN ['core:' || frame_id, 'soft:' || source_id] WHEN frame_id % 3 = 1 THEN ['soft:' || source_id] ELSE [] END AS r, CASE WHEN frame_id % 2 = 0 THEN 'own ' || frame_id END AS t FROM e_candidate)
+SELECT chapter, candidate_id, array_to_string(CASE WHEN len(r) > 0 THEN r ELSE ['brief:' || chapter] END, ',') AS regions, coalesce(CASE WHEN len(r) = 2 THEN r[1] END, t, 'brief ' || chapter) AS target FROM x""")
+def _p12(c):
+    none = F.array().cast("array<string>")
+    text = lambda p, col: F.concat(F.lit(p), F.col(col).cast("string"))
+    r = F.when(F.col("frame_id") % 3 == 0, F.array(text("core:", "frame_id"), text("soft:", "source_id"))).when(F.col("frame_id") % 3 == 1, F.array(text("soft:", "source_id"))).otherwise(none)
+    own = c.select("chapter", "candidate_id", r.alias("regions"), F.when(F.col("frame_id") % 2 == 0, text("own ", "frame_id")).alias("target"))
+    brief = c.select("chapter").distinct().select("chapter", F.array(text("brief:", "chapter")).alias("regions"), text("brief ", "chapter").alias("target"))
+    return _joined(K.resolve_intent(own, brief), "regions")
+
+
+def _planned(c):
+    return c.select("chapter", "candidate_id", F.when(F.col("frame_id") % 3 == 0, "original").otherwise("tracked").alias("strategy"), F.when(F.col("frame_id") % 2 == 0, "subtle").otherwise("none").alias("zoom"), F.when(F.col("frame_id") % 4 == 0, F.lit("center")).alias("focus"))
+
+
+@query("p15_canonicalize_plan", _E, sql="SELECT chapter, candidate_id, CASE WHEN frame_id % 3 <> 0 AND frame_id % 2 = 0 THEN 'subtle' ELSE 'none' END AS zoom, CASE WHEN frame_id % 3 <> 0 AND frame_id % 4 = 0 THEN 'center' END AS focus FROM e_candidate")
+def _p15(c):
+    return K.canonical_plan(_planned(c))[0].select("chapter", "candidate_id", "zoom", "focus")
+
+
+@query("p15_plan_changes", _E, sql="""
+SELECT concat(chapter, '.', candidate_id, '.zoom') AS path, 'subtle' AS before, 'none' AS after, 'original_has_no_zoom' AS rule FROM e_candidate WHERE frame_id % 3 = 0 AND frame_id % 2 = 0
+UNION ALL SELECT concat(chapter, '.', candidate_id, '.focus'), 'center', NULL, 'original_has_no_focus' FROM e_candidate WHERE frame_id % 3 = 0 AND frame_id % 4 = 0""")
+def _p15c(c):
+    return K.canonical_plan(_planned(c))[1]
+
+
+@query("p16_canonicalize_open_edit", _E, sql="SELECT chapter, candidate_id, round(min_visible, 6) AS before, 1.0::DOUBLE AS after FROM e_candidate WHERE (role = 'hard_core' OR atomic) AND min_visible <> 1.0")
+def _p16(c):
+    return K.canonical_regions(c)[1]
+
+
+@query("p18_target_description", _E, sql="SELECT chapter, candidate_id, CASE WHEN frame_id % 3 = 0 THEN 'target ' || frame_id WHEN frame_id % 3 = 1 THEN role || '; ' || semantic_status ELSE role END AS target FROM e_candidate")
+def _p18(c):
+    target = F.when(F.col("frame_id") % 3 == 0, F.concat(F.lit("target "), F.col("frame_id").cast("string")))
+    return c.select("chapter", "candidate_id", K.target_text(F.col("role"), F.when(F.col("frame_id") % 3 == 1, F.col("semantic_status")), target).alias("target"))
+
+
+@query("p21_semantic_review_reasons", _E, sql="""
+, g AS (SELECT chapter, count(*) FILTER (WHERE role = 'hard_core') AS cores, bool_or(atomic) AS atomic, bool_or(role = 'overlay_keepout') AS keepout, bool_or(strategy = 'fit_with_background') AS fit, bool_or(role = 'soft_extent' AND min_visible < 0.95::DOUBLE) AS soft FROM e_candidate GROUP BY chapter)
+SELECT chapter, concat_ws(',', CASE WHEN cores > 1 THEN 'multiple_hard_core_regions' END, CASE WHEN atomic THEN 'atomic_text_or_ui_region' END, CASE WHEN keepout THEN 'overlay_keepout_requires_layout_gate' END, CASE WHEN fit THEN 'fallback_applied' END, CASE WHEN soft THEN 'soft_extent_visibility_below_floor' END) AS reasons FROM g""")
+def _p21(c):
+    return _joined(K.review_reasons(c), "reasons")
+
+
+@query("p1_compact_cards", _E, sql="""
+, c AS (SELECT chapter, string_agg(concat(rank, ':', candidate_id, ':', frame_id, ':', role), ',' ORDER BY rank) AS cards FROM e_candidate GROUP BY chapter), r AS (SELECT chapter, source_id, string_agg(DISTINCT role, '|' ORDER BY role) AS roles FROM e_candidate GROUP BY ALL)
+SELECT chapter, cards, relations FROM c JOIN (SELECT chapter, string_agg(concat(source_id, '=', roles), ',' ORDER BY source_id) AS relations FROM r GROUP BY chapter) USING (chapter)""")
+def _p1(c):
+    out = K.compact_candidates(c)
+    cards = F.transform("cards", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["candidate_id"], x["frame_id"].cast("string"), x["role"]))
+    relations = F.transform("relations", lambda x: F.concat(x["source_id"].cast("string"), F.lit("="), F.array_join(x["roles"], "|")))
+    return out.select("chapter", F.array_join(cards, ",").alias("cards"), F.array_join(relations, ",").alias("relations"))
+
+
+@query("p2_compact_cards_v3", _E, sql="SELECT chapter, string_agg(concat(rank, ':', candidate_id, ':', frame_id), ',' ORDER BY rank) AS cards FROM e_candidate GROUP BY chapter")
+def _p2(c):
+    cards = F.transform("cards", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["candidate_id"], x["frame_id"].cast("string")))
+    return K.compact_candidates(c, False).select("chapter", F.array_join(cards, ",").alias("cards"))
+
+
+@query("a17_reframe_summary", _E, sql=_WON + " SELECT (SELECT count(*) FROM won) AS chapters, (SELECT count(*) FROM won WHERE winner_rank > 1) AS switched, (SELECT count(*) FROM won WHERE outcome = 'policy_blocked_preview_fit') AS blocked, (SELECT count(*) FROM routed) AS attempts, (SELECT count(*) FROM routed WHERE action = 'review_required') AS review_required")
+def _a17(c):
+    return K.reframe_summary(c)
+
+
+@query("a17_code_histogram", _E, sql=_WON + " SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM tried) GROUP BY code")
+def _a17h(c):
+    return K.code_histogram(c)
+
+
+@query("c10_auto_route", _E, sql=_WON + f" SELECT chapter, candidate_id, {_TEXT}, action, outcome FROM routed")
+def _c10(c):
+    return _joined(K.auto_route(c).select("chapter", "candidate_id", "codes", "action", "outcome"), "codes")
+
+
+@query("a20_quality_risks", _E, sql=_CODES + ", x AS (SELECT chapter, unnest(codes) AS code FROM judged) SELECT j.chapter, coalesce((SELECT string_agg(DISTINCT code, ',' ORDER BY code) FROM x WHERE x.chapter = j.chapter), '') AS risks FROM (SELECT DISTINCT chapter FROM judged) j")
+def _a20(c):
+    return _joined(K.quality_risks(c), "risks")
+
+
+@query("u2_same_ordered_ids", _E, sql="""
+, a AS (SELECT DISTINCT chapter FROM e_candidate), p AS (SELECT chapter, row_number() OVER (ORDER BY chapter) AS position FROM a), q AS (SELECT chapter, row_number() OVER (ORDER BY CASE WHEN chapter % 1000 = 1 THEN chapter + 1.5 ELSE chapter END) AS position FROM a)
+SELECT position, p.chapter AS left_id, q.chapter AS right_id FROM p FULL JOIN q USING (position) WHERE p.chapter IS DISTINCT FROM q.chapter""")
+def _u2(c):
+    from pyspark.sql import Window as W
+
+    ids = c.select("chapter").distinct()
+    place = lambda order: ids.select("chapter", F.row_number().over(W.orderBy(order)).alias("position"))
+    return K.ordered_mismatches(place(F.col("chapter")), place(F.when(F.col("chapter") % 1000 == 1, F.col("chapter") + 1.5).otherwise(F.col("chapter"))), "chapter")
+
+
+@query("u3_union_ids", _E, sql="SELECT chapter, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT chapter, frame_id AS id FROM e_candidate UNION SELECT chapter, source_id FROM e_candidate) GROUP BY chapter")
+def _u3(c):
+    return _joined(K.union_ids(c), "ids")
+
+
+@query("u4_classified", _E, sql="""
+, i AS (SELECT DISTINCT chapter, frame_id FROM e_candidate WHERE confidence >= 0.5), s AS (SELECT DISTINCT chapter, frame_id FROM e_candidate WHERE rank <= 2)
+SELECT chapter, coalesce((SELECT string_agg(frame_id, ',' ORDER BY frame_id) FROM (SELECT frame_id FROM i WHERE i.chapter = c.chapter EXCEPT SELECT frame_id FROM s WHERE s.chapter = c.chapter)), '') AS unclassified,
+    coalesce((SELECT string_agg(frame_id, ',' ORDER BY frame_id) FROM (SELECT frame_id FROM s WHERE s.chapter = c.chapter EXCEPT SELECT frame_id FROM i WHERE i.chapter = c.chapter)), '') AS extra FROM (SELECT DISTINCT chapter FROM e_candidate) c""")
+def _u4(c):
+    return _joined(K.classified(c), "unclassified", "extra")
+
+
+@query("j19_selected_assets", _E, sql="SELECT source_id, chapter AS first_chapter, rank AS first_rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY chapter, rank) AS rn FROM e_candidate) WHERE rn = 1")
+def _j19(c):
+    return K.selected_assets(c)
+
+
+@query("j20_selected_evidence", _E, sql="""
+, used AS (SELECT DISTINCT source_id, frame_id FROM e_candidate WHERE rank = 1), cards AS (SELECT DISTINCT source_id, frame_id FROM e_candidate)
+SELECT source_id, string_agg(frame_id, ',' ORDER BY frame_id) AS frames FROM cards SEMI JOIN used USING (source_id, frame_id) GROUP BY source_id""")
+def _j20(c):
+    return _joined(K.selected_evidence(c, c.select("source_id", "frame_id")), "frames")
+
+
+@query("j15_missing_ids", _E, sql="SELECT chapter, frame_id FROM e_candidate ANTI JOIN (SELECT DISTINCT frame_id FROM e_candidate WHERE rank = 1) USING (frame_id)")
+def _j15(c):
+    return K.missing_ids(c.select("chapter", "frame_id"), c.where("rank = 1").select("frame_id").distinct(), "frame_id")
+
+
+@query("f33_preflight_from_geometry", _E, sql="""
+SELECT chapter, candidate_id, CASE WHEN strategy = 'fit_with_background' THEN 'fit' WHEN role = 'overlay_keepout' THEN 'center_crop' ELSE 'tracked_crop' END AS presentation, CASE role WHEN 'hard_core' THEN 1.0 WHEN 'overlay_keepout' THEN 0.0 ELSE 0.95 END::DOUBLE AS required_visible,
+    sha256(concat('{"frame_id":', frame_id, ',"role":"', role, '","source_id":', source_id, ',"strategy":"', strategy, '"}')) AS geometry_fingerprint FROM e_candidate""")
+def _f33(c):
+    return K.preflight_rows(c)
+
+
+@query("f34_audit_bounded_clip", _E, sql=_CODES + """
+, a AS (SELECT *, passed AND role = 'soft_extent' AND min_visible < 1.0 AS applied FROM judged)
+SELECT chapter, candidate_id, passed AS approved, applied, array_to_string(codes, ',') AS codes, sha256(concat('{"applied":', applied, ',"approved":', passed, ',"candidate_id":"', candidate_id, '","codes":[', array_to_string(list_transform(codes, lambda x: '"' || x || '"'), ','), '],"policy":"bounded_v1","rank":', rank, '}')) AS audit_sha256 FROM a""")
+def _f34(c):
+    return _joined(K.audit_bounded_clip(c, "bounded_v1"), "codes")
+
+
+@query("c9_apply_overrides", _E, sql="SELECT chapter, candidate_id, CASE WHEN chapter % 4 = 0 THEN 'b' || chapter % 3 ELSE strategy END AS strategy FROM e_candidate")
+def _c9(c):
+    ids = c.select("chapter").distinct().where("chapter % 4 = 0")
+    overrides = ids.select("chapter", F.lit(1).alias("position"), F.lit("a").alias("strategy")).unionByName(ids.select("chapter", F.lit(2).alias("position"), F.concat(F.lit("b"), (F.col("chapter") % 3).cast("string")).alias("strategy")))
+    return K.apply_overrides(c, overrides).select("chapter", "candidate_id", "strategy")
+
+
+@query("c16_trim_worklist", _E, sql="""
+, g AS (SELECT chapter, max(CASE WHEN rank = 1 THEN frame_id END) AS h, max(CASE WHEN rank = 2 THEN frame_id END) AS v FROM e_candidate GROUP BY chapter)
+SELECT chapter, 'both' AS aspect, h AS frame_id FROM g WHERE v IS NULL OR h = v UNION ALL SELECT chapter, 'horizontal', h FROM g WHERE h <> v UNION ALL SELECT chapter, 'vertical', v FROM g WHERE h <> v""")
+def _c16(c):
+    return K.trim_worklist(c)
+
+
+@query("c8_project_plan", _E, sql=f"""
+, s AS ({_SELECTED}), r AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY candidate_id <> selected, rank, candidate_id) AS new_rank FROM e_candidate JOIN s USING (chapter))
+SELECT chapter, string_agg(concat(new_rank, ':', candidate_id, ':', CASE role WHEN 'overlay_keepout' THEN 'overlay_keepout' WHEN 'hard_core' THEN 'hard_core' ELSE CASE WHEN atomic THEN 'hard_core' ELSE 'soft_extent' END END), ',' ORDER BY new_rank) AS ranked FROM r WHERE new_rank <= 8 GROUP BY chapter""")
+def _c8(c):
+    ranked = K.selected_first(c.join(_selected(c), "chapter"), F.col("candidate_id") == F.col("selected")).where("new_rank <= 8")
+    role = K.execution_role(F.when(F.col("role") == "overlay_keepout", "avoid_overlay").otherwise(F.col("role")), F.col("role") == "hard_core", F.col("atomic"))
+    rows = F.array_sort(F.collect_list(F.struct("new_rank", "candidate_id", role.alias("role"))))
+    return ranked.groupBy("chapter").agg(F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["new_rank"].cast("string"), x["candidate_id"], x["role"])), ",").alias("ranked"))
+
+
+@query("v13_plan_evidence", _E, sql="""
+, catalog AS (SELECT DISTINCT frame_id, source_id FROM e_candidate WHERE frame_id % 10 <> 0)
+SELECT chapter, candidate_id, 'unknown_frame' AS rule FROM e_candidate e WHERE NOT EXISTS (SELECT 1 FROM catalog c WHERE c.frame_id = e.frame_id)
+UNION ALL SELECT chapter, candidate_id, 'frame_of_other_asset' FROM e_candidate e WHERE frame_id % 7 = 0 AND EXISTS (SELECT 1 FROM catalog c WHERE c.frame_id = e.frame_id) AND NOT EXISTS (SELECT 1 FROM catalog c WHERE c.frame_id = e.frame_id AND c.source_id = e.source_id + 1)""")
+def _v13(c):
+    catalog = c.where("frame_id % 10 <> 0").select("frame_id", "source_id").distinct()
+    refs = c.select("chapter", "candidate_id", "frame_id", (F.col("source_id") + F.when(F.col("frame_id") % 7 == 0, 1).otherwise(0)).alias("source_id"))
+    unknown = refs.join(catalog.select("frame_id").distinct(), "frame_id", "left_anti").select("chapter", "candidate_id", F.lit("unknown_frame").alias("rule"))
+    other = refs.join(catalog.select("frame_id").distinct(), "frame_id", "left_semi").join(catalog, ["frame_id", "source_id"], "left_anti").select("chapter", "candidate_id", F.lit("frame_of_other_asset").alias("rule"))
+    return unknown.unionByName(other)
+
+
+@query("v16_region_rules", _E, sql="""
+, g AS (SELECT chapter, count(*) FILTER (WHERE role = 'hard_core') AS cores, count(*) FILTER (WHERE role = 'hard_core' AND min_visible < 1.0) AS low FROM e_candidate GROUP BY chapter)
+SELECT chapter, 'no_required_region' AS rule FROM g WHERE cores = 0 UNION ALL SELECT chapter, 'required_not_full' FROM g WHERE low > 0""")
+def _v16(c):
+    return K.region_violations(c)
+
+
+@query("v17_preflight_regions", _E, sql="SELECT chapter, candidate_id, 'full_visibility_required' AS rule FROM e_candidate WHERE (role = 'hard_core' OR atomic) AND min_visible <> 1.0 UNION ALL SELECT chapter, candidate_id, 'keepout_visibility_must_be_zero' FROM e_candidate WHERE role = 'overlay_keepout' AND min_visible <> 0.0")
+def _v17(c):
+    return K.preflight_violations(c)
+
+
+@query("v20_policy_patch", _E, sql="""
+, p AS (SELECT DISTINCT chapter + CASE WHEN chapter % 50 = 0 THEN 100000000 ELSE 0 END AS chapter, CASE WHEN chapter % 3 = 0 THEN 'preserve_start' END AS edge, chapter % 2 = 0 AS clip, chapter % 5 <> 0 AS bound FROM e_candidate)
+SELECT chapter, 'unknown_chapter' AS rule FROM p WHERE chapter >= 100000000 UNION ALL SELECT chapter, 'edge_needs_clip' FROM p WHERE edge IS NOT NULL AND NOT clip UNION ALL SELECT chapter, 'clip_needs_binding' FROM p WHERE clip AND NOT bound""")
+def _v20(c):
+    ids = c.select("chapter").distinct()
+    p = ids.select((F.col("chapter") + F.when(F.col("chapter") % 50 == 0, 100_000_000).otherwise(0)).alias("chapter"), F.when(F.col("chapter") % 3 == 0, "preserve_start").alias("edge_priority"), (F.col("chapter") % 2 == 0).alias("controlled_clip"), (F.col("chapter") % 5 != 0).alias("human_bound"))
+    return K.policy_violations(p, ids)
+
+
+@query("v24_replan", _E, sql="""
+, s AS (SELECT chapter, candidate_id, rank + CASE WHEN frame_id % 100 = 0 THEN 1 ELSE 0 END AS rank FROM e_candidate), c AS (SELECT chapter, candidate_id, rank FROM e_candidate)
+SELECT *, 'stored' AS side FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM c) UNION ALL SELECT *, 'computed' FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM s)""")
+def _v24(c):
+    computed = c.select("chapter", "candidate_id", F.col("rank").cast("long").alias("rank"))
+    stored = c.select("chapter", "candidate_id", (F.col("rank") + F.when(F.col("frame_id") % 100 == 0, 1).otherwise(0)).cast("long").alias("rank"))
+    return K.replan_differences(stored, computed)
