@@ -1,0 +1,153 @@
+"""Frame catalogs and trims (view h)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reelwork.operators import frames as H
+from reelwork.plans.base import query
+
+_H = "h_frame"
+_MS = """
+, raw AS (SELECT *, frame_pts * tb_num * 1000 AS n, tb_den AS d FROM h_frame)
+, ms AS (SELECT event_id, pos, frame_pts, frame_hash, (n - n % d) // d + CASE WHEN 2 * (n % d) > d OR (2 * (n % d) = d AND ((n - n % d) // d) % 2 = 1) THEN 1 ELSE 0 END AS ms FROM raw)
+, agg AS (SELECT event_id, count(*) AS n, max(pos) AS last, min(ms) AS a, max(ms) AS b FROM ms GROUP BY event_id)"""
+
+
+def _events(h):
+    return H.with_ms(h).groupBy("event_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+
+
+@query("w2_storyboard_to_intervals", _H, sql=_MS + " SELECT event_id, pos, ms AS start_ms, coalesce(lead(ms) OVER (PARTITION BY event_id ORDER BY pos), 60000) AS end_ms FROM ms")
+def _w2(h):
+    return H.intervals(h, 60_000)
+
+
+@query("w10_last_included", _H, sql="SELECT event_id, pos, lag(frame_pts) OVER (PARTITION BY event_id ORDER BY pos) AS last_pts FROM h_frame")
+def _w10(h):
+    return H.last_included(h)
+
+
+@query("w12_contiguous_run", _H, sql="""
+, s AS (SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY pos) AS place, pos FROM h_frame WHERE NOT (event_id % 3 = 0 AND pos = 2))
+SELECT event_id, count(*) AS n, max(pos) - min(pos) + 1 = count(*) AS contiguous FROM s GROUP BY event_id""")
+def _w12(h):
+    from pyspark.sql import Window as W
+
+    s = h.where("NOT (event_id % 3 = 0 AND pos = 2)").select("event_id", "pos", F.row_number().over(W.partitionBy("event_id").orderBy("pos")).alias("place"))
+    return H.contiguous_runs(s)
+
+
+@query("j1_frame_to_clip", _H, sql=", clips AS (SELECT event_id, 'clip-' || event_id % 100 AS clip FROM h_frame GROUP BY event_id) SELECT event_id, pos, clip FROM h_frame JOIN clips USING (event_id)")
+def _j1(h):
+    clips = h.select("event_id").distinct().withColumn("clip", F.concat(F.lit("clip-"), (F.col("event_id") % 100).cast("string")))
+    return H.frame_to_clip(h, clips).select("event_id", "pos", "clip")
+
+
+@query("j18_seed_by_exact_pts", _H, sql="""
+, f AS (SELECT event_id, CASE WHEN event_id % 11 = 0 AND pos = 2 THEN 7007 ELSE frame_pts END AS pts FROM h_frame), n AS (SELECT event_id, pts, count(*) AS n FROM f GROUP BY ALL), s AS (SELECT DISTINCT event_id, 7007 + event_id % 2 AS seed_pts FROM h_frame)
+SELECT s.event_id, seed_pts, CASE WHEN n IS NULL THEN 'no_such_frame' WHEN n > 1 THEN 'duplicate_pts' END AS rule FROM s LEFT JOIN n ON s.event_id = n.event_id AND seed_pts = pts""")
+def _j18(h):
+    f = h.withColumn("frame_pts", F.when((F.col("event_id") % 11 == 0) & (F.col("pos") == 2), 7007).otherwise(F.col("frame_pts")).cast("long"))
+    return H.by_exact_pts(h.select("event_id").distinct().select("event_id", (7007 + F.col("event_id") % 2).cast("long").alias("seed_pts")), f)
+
+
+@query("j14_trim_for_segment", _H, sql="""
+, t AS (SELECT event_id, count(*) AS n, min(pos) AS pos FROM h_frame WHERE pos > 2 + event_id % 3 GROUP BY event_id), s AS (SELECT DISTINCT event_id FROM h_frame)
+SELECT event_id, CASE WHEN n IS NULL THEN 'fallback' WHEN n = 1 THEN 'apply' ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN pos END AS trim_pos FROM s LEFT JOIN t USING (event_id)""")
+def _j14(h):
+    return H.trim_for_segment(h.select("event_id").distinct(), h.where("pos > 2 + event_id % 3"))
+
+
+@query("j24_evidence_bracket", _H, sql=_MS + " SELECT event_id, greatest(100, a) AS from_ms, least(1500, b + CASE WHEN n > 1 THEN floor((b - a) / (n - 1)) ELSE 0 END)::BIGINT AS to_ms FROM agg")
+def _j24(h):
+    events = h.select("event_id").distinct().withColumns({"start_ms": F.lit(100), "end_ms": F.lit(1500)})
+    return H.evidence_bracket(events, H.with_ms(h))
+
+
+@query("p8_matching_dense_seed", _H, sql="SELECT event_id, pos, frame_pts FROM h_frame WHERE pos = 1 + event_id % 3 AND event_id % 5 <> 0 AND event_id % 4 <> 0")
+def _p8(h):
+    s = h.select("event_id").distinct().select("event_id", (1 + F.col("event_id") % 3).cast("long").alias("pos"), (F.col("event_id") % 5 != 0).alias("visible"), F.when(F.col("event_id") % 4 != 0, "matched").otherwise("ambiguous").alias("status"))
+    return H.matching_dense_seed(s, h)
+
+
+@query("p9_predicate_seed_frame", _H, sql="""
+, l AS (SELECT event_id, list(pos ORDER BY pos) AS p FROM h_frame GROUP BY event_id)
+SELECT event_id, CASE event_id % 4 WHEN 1 THEN p[1] WHEN 2 THEN p[2] WHEN 3 THEN p[len(p) // 2 + 1] END AS seed_pos FROM l""")
+def _p9(h):
+    l = h.groupBy("event_id").agg(F.array_sort(F.collect_list("pos")).alias("p"))
+    kind = F.expr("CASE event_id % 4 WHEN 0 THEN 'candidate' WHEN 1 THEN 'seed' WHEN 2 THEN 'transition' ELSE 'interval' END")
+    return l.select("event_id", H.predicate_seed(kind, F.col("p")).alias("seed_pos"))
+
+
+def _trims(h):
+    e = _events(h)
+    notes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") + 2)), lambda x: F.concat(F.lit("n"), x.cast("string")))
+    status = F.expr("CASE event_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'proposed' ELSE 'rejected' END")
+    return e.select("event_id", "n", "last", status.alias("status"), (F.col("event_id") % 2 == 0).alias("reviewed"), (F.col("event_id") % 7 != 0).alias("usable"), F.when(F.col("event_id") % 4 < 2, F.lit(1)).alias("hold_start"), F.when(F.col("event_id") % 4 != 1, F.col("last")).alias("hold_end"), F.slice(notes, 1, 8).alias("notes"))
+
+
+@query("p5_accepted_trims", _H, sql="SELECT DISTINCT event_id, event_id % 3 = 0 AND event_id % 2 = 0 OR event_id % 3 = 1 AS accepted FROM h_frame")
+def _p5(h):
+    return H.accepted_trims(_trims(h), True)
+
+
+@query("p17_normalize_hold", _H, sql="""
+, e AS (SELECT event_id, count(*) AS n, max(pos) AS last FROM h_frame GROUP BY event_id), x AS (SELECT *, event_id % 4 IN (1, 2, 3) AND event_id % 4 <> 0 AND (event_id % 4 = 1 OR event_id % 4 >= 2) AS half, list_transform(range(1, least(8, n + 2) + 1), lambda i: 'n' || i) AS notes FROM e)
+SELECT event_id, CASE WHEN NOT half THEN 1::BIGINT END AS hold_start, CASE WHEN NOT half THEN last END AS hold_end,
+    array_to_string(CASE WHEN half AND len(notes) < 8 THEN list_append(notes, 'hold_incomplete') WHEN half THEN list_concat(notes[1:7], [notes[8] || '; hold_incomplete']) ELSE notes END, ',') AS notes FROM x""")
+def _p17(h):
+    return H.normalize_hold(_trims(h)).select("event_id", "hold_start", "hold_end", F.array_join("notes", ",").alias("notes"))
+
+
+@query("p19_apply_trim_review", _H, sql="""
+, t AS (SELECT DISTINCT event_id, CASE event_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'proposed' ELSE 'rejected' END AS status, event_id % 7 <> 0 AS usable, CASE event_id % 5 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' END AS verdict FROM h_frame)
+SELECT event_id, CASE WHEN verdict IS NULL OR (verdict = 'approve' AND NOT usable) THEN status WHEN verdict = 'approve' THEN 'approved' ELSE 'rejected' END AS status, CASE WHEN verdict = 'approve' AND NOT usable THEN 'unusable_approved' END AS rule FROM t""")
+def _p19(h):
+    reviews = h.select("event_id").distinct().where("event_id % 5 < 2").select("event_id", F.when(F.col("event_id") % 5 == 0, "approve").otherwise("reject").alias("verdict"))
+    return H.apply_reviews(_trims(h), reviews)
+
+
+@query("f31_trim_decision", _H, sql=_MS + """
+, g AS (SELECT event_id, min(CASE WHEN pos = 2 THEN ms END) AS in_ms, max(ms) AS out_ms FROM ms GROUP BY event_id)
+SELECT event_id, in_ms, out_ms, greatest(0, in_ms - 750) AS handle_start, least(2000 + event_id % 500, out_ms + 1000) AS handle_end FROM g WHERE in_ms < out_ms""")
+def _f31(h):
+    return H.trim_decision(h, 2000 + F.col("event_id") % 500)
+
+
+@query("f32_video_trim_bounds", _H, sql=_MS + """
+, t AS (SELECT event_id, a AS in_ms, b AS out_ms, 200 + event_id % 100 AS lo, 1400 AS hi, a + event_id % 900 AS hold FROM agg)
+SELECT event_id, 'in_outside' AS rule FROM t WHERE in_ms < lo UNION ALL SELECT event_id, 'out_outside' FROM t WHERE out_ms > hi UNION ALL SELECT event_id, 'hold_outside' FROM t WHERE hold < in_ms OR hold >= out_ms""")
+def _f32(h):
+    g = H.with_ms(h).groupBy("event_id").agg(F.min("ms").alias("in_ms"), F.max("ms").alias("out_ms"))
+    return H.trim_bounds(g.select("event_id", "in_ms", "out_ms", (200 + F.col("event_id") % 100).alias("allowed_start"), F.lit(1400).alias("allowed_end"), (F.col("in_ms") + F.col("event_id") % 900).alias("hold_ms")))
+
+
+@query("v5_dense_catalog", _H, sql=_MS + " SELECT event_id, pos, 'outside_window' AS rule FROM ms WHERE ms >= 1500")
+def _v5(h):
+    return H.dense_catalog_violations(h, 1500)
+
+
+@query("v6_dense_selection", _H, sql="""
+, e AS (SELECT event_id, max(pos) AS last FROM h_frame GROUP BY event_id), s AS (SELECT event_id, event_id % 4 <> 0 AS visible, CASE WHEN event_id % 5 <> 0 THEN 1 END AS f, CASE WHEN event_id % 5 <> 0 THEN 1 + event_id % 3 END AS r, CASE WHEN event_id % 5 <> 0 THEN last END AS l FROM e)
+SELECT event_id, 'ids_missing' AS rule FROM s WHERE visible AND f IS NULL UNION ALL SELECT event_id, 'ids_not_expected' FROM s WHERE NOT visible AND f IS NOT NULL UNION ALL SELECT event_id, 'order' FROM s WHERE f > r OR r > l""")
+def _v6(h):
+    there = F.col("event_id") % 5 != 0
+    s = _events(h).select("event_id", (F.col("event_id") % 4 != 0).alias("visible"), F.when(there, 1).alias("first"), F.when(there, 1 + F.col("event_id") % 3).alias("recommended"), F.when(there, F.col("last")).alias("last"))
+    return H.selection_violations(s)
+
+
+@query("v7_trim_proposals", _H, sql="""
+, e AS (SELECT event_id, max(pos) AS last FROM h_frame GROUP BY event_id)
+SELECT event_id, 'in_not_before_out' AS rule FROM e WHERE 2 >= last UNION ALL SELECT event_id, 'half_hold' FROM e WHERE event_id % 4 IN (1, 2, 3) UNION ALL SELECT event_id, 'repeated_phase' FROM e WHERE event_id % 6 = 0 UNION ALL SELECT event_id, 'approved_unreviewed' FROM e WHERE event_id % 3 = 0 AND event_id % 2 <> 0""")
+def _v7(h):
+    phases = F.array(F.lit("approach"), F.when(F.col("event_id") % 6 == 0, "approach").otherwise("contact"), F.lit("release"))
+    return H.phase_violations(_trims(h).withColumns({"in_pos": F.lit(2), "out_pos": F.col("last"), "phases": phases}))
+
+
+@query("v12_predicate_selection", _H, sql="""
+, e AS (SELECT event_id, max(pos) AS last FROM h_frame GROUP BY event_id)
+SELECT event_id, 'transition_order' AS rule FROM e WHERE 1 >= 1 + event_id % 3 OR 1 + event_id % 3 >= last UNION ALL SELECT event_id, 'participant_not_observed' FROM e WHERE event_id % 9 = 0""")
+def _v12(h):
+    evidence = F.create_map(F.lit("a"), F.lit("observed"), F.lit("b"), F.when(F.col("event_id") % 9 == 0, "inferred").otherwise("observed"))
+    return H.predicate_violations(_events(h).select("event_id", F.lit(1).alias("pre"), (1 + F.col("event_id") % 3).alias("apex"), F.col("last").alias("post"), evidence.alias("evidence")))

@@ -1,0 +1,134 @@
+"""Timelines, budgets, QA (view g) and text claims (view f)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reelwork.functions.text import normalized
+from reelwork.operators import segments as G
+from reelwork.plans.base import query
+
+_TIME = """
+, t AS (SELECT *, coalesce(sum(duration_ms) OVER (PARTITION BY project_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms FROM g_segment)
+, timeline AS (SELECT *, start_ms + duration_ms AS end_ms FROM t)"""
+_REASONS = "concat_ws(',', CASE WHEN keep AND duration_ms < 4000 THEN 'short_segment' END, CASE WHEN NOT keep AND editorial_role = 'hook' THEN 'hook_dropped' END, CASE WHEN duration_ms % 1000 = 0 THEN 'round_duration' END)"
+
+
+@query("w9_timeline_cursor", "g_segment", sql=_TIME + " SELECT project_id, feature_id, start_ms, end_ms FROM timeline")
+def _w9(s):
+    return G.timeline(s).select("project_id", "feature_id", "start_ms", "end_ms")
+
+
+@query("a18_budget_check", "g_segment", sql="""
+, g AS (SELECT project_id, count(*) AS kept, sum(duration_ms)::BIGINT AS total_ms, bool_or(editorial_role = 'hook') AS has_hook, bool_or(editorial_role = 'closing') AS has_closing FROM g_segment WHERE keep GROUP BY project_id)
+SELECT *, total_ms BETWEEN 20000 AND 90000 AS in_budget, total_ms BETWEEN 20000 AND 90000 AND has_hook AND has_closing AS passed FROM g""")
+def _a18(s):
+    return G.budget_check(s, 20_000, 90_000)
+
+
+@query("c17_budget_manifest", "g_segment", sql="""
+, q AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY pos DESC) AS position FROM g_segment WHERE keep)
+SELECT project_id, feature_id, position AS pos, coalesce(sum(duration_ms) OVER (PARTITION BY project_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms FROM q""")
+def _c17(s):
+    from pyspark.sql import Window as W
+
+    sequence = s.where("keep").select("project_id", "feature_id", F.row_number().over(W.partitionBy("project_id").orderBy(F.col("pos").desc())).alias("position"))
+    return G.budget_manifest(s, sequence).select("project_id", "feature_id", "pos", "start_ms")
+
+
+@query("f24_duration_ms", "g_segment", sql="SELECT feature_id, CASE WHEN feature_id % 3 = 0 THEN duration_ms WHEN feature_id % 3 = 1 THEN duration_ms - 100 END AS duration_ms FROM g_segment")
+def _f24(s):
+    given = F.when(F.col("feature_id") % 3 == 0, F.col("duration_ms"))
+    end = F.when(F.col("feature_id") % 3 == 1, F.col("duration_ms")).otherwise(F.lit(0))
+    return s.select("feature_id", G.duration_ms(given, F.lit(100), end).alias("duration_ms"))
+
+
+@query("f25_flatten_text", "g_segment", sql="SELECT feature_id, editorial_role || CASE WHEN keep THEN ',kept' ELSE '' END AS text FROM g_segment")
+def _f25(s):
+    nested = F.array(F.array(F.concat(F.lit(" "), "editorial_role"), F.lit("  ")), F.array(F.when(F.col("keep"), " kept ").otherwise(""), F.col("editorial_role")))
+    parts = G.flatten_text(nested)
+    return s.select("feature_id", F.array_join(parts, ",").alias("text"))
+
+
+@query("f26_review_reasons", "g_segment", sql=f"SELECT feature_id, {_REASONS} AS reasons FROM g_segment")
+def _f26(s):
+    return G.review_reasons(s).select("feature_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("a16_qa_verdict", "g_segment", sql=f"""
+, o AS (SELECT *, feature_id % 97 = 0 AS critical, feature_id % 5 <> 0 AS clean, {_REASONS} <> '' AS open FROM g_segment), g AS (SELECT project_id, bool_or(critical) AS critical, bool_and(clean) AS clean, bool_or(open) AS open FROM o GROUP BY project_id)
+SELECT project_id, CASE WHEN critical THEN 'reject' WHEN clean AND NOT open THEN 'pass' ELSE 'review' END AS verdict FROM g""")
+def _a16(s):
+    return G.qa_verdict(G.review_reasons(s).withColumns({"critical": F.col("feature_id") % 97 == 0, "clean": F.col("feature_id") % 5 != 0}))
+
+
+@query("u1_same_ids", "g_segment", sql="""
+, a AS (SELECT DISTINCT feature_id FROM g_segment WHERE keep), b AS (SELECT DISTINCT feature_id FROM g_segment WHERE duration_ms > 5000)
+SELECT feature_id, 'left' AS side FROM a WHERE feature_id NOT IN (SELECT feature_id FROM b) UNION ALL SELECT feature_id, 'right' FROM b WHERE feature_id NOT IN (SELECT feature_id FROM a)""")
+def _u1(s):
+    return G.same_ids(s.where("keep"), s.where("duration_ms > 5000"), ["feature_id"])
+
+
+@query("v14_open_edit", "g_segment", sql="""
+, g AS (SELECT project_id, count(*) AS n, sum(duration_ms) AS total, arg_min(editorial_role, pos) AS first, arg_max(editorial_role, pos) AS last FROM g_segment GROUP BY project_id)
+SELECT project_id, 'shot_count' AS rule FROM g WHERE n NOT BETWEEN 10 AND 16 UNION ALL SELECT project_id, 'total_time' FROM g WHERE total NOT BETWEEN 60000 AND 90000 UNION ALL SELECT project_id, 'first_not_hook' FROM g WHERE first <> 'hook' UNION ALL SELECT project_id, 'last_not_closing' FROM g WHERE last <> 'closing'""")
+def _v14(s):
+    return G.open_edit_violations(s)
+
+
+@query("v15_narrative_plan", "g_segment", sql="""
+, p AS (SELECT * FROM g_segment WHERE feature_id % 13 <> 0), g AS (SELECT project_id, min(pos) AS a, max(pos) AS b, count(*) AS n, sum(duration_ms) AS total FROM p GROUP BY project_id)
+SELECT project_id, 'order' AS rule FROM g WHERE a <> 1 OR b <> n UNION ALL SELECT project_id, 'total_time' FROM g WHERE total NOT BETWEEN 60000 AND 90000 UNION ALL SELECT DISTINCT project_id, 'missing_feature' FROM g_segment WHERE feature_id % 13 = 0""")
+def _v15(s):
+    return G.narrative_violations(s.where("feature_id % 13 <> 0"), s)
+
+
+@query("v18_render_contract", "g_segment", sql="""
+, r AS (SELECT project_id, 1080 AS width, CASE WHEN project_id % 8 = 0 THEN 1080 ELSE 1920 END AS height, sum(duration_ms) AS total, sum(duration_ms) + CASE WHEN project_id % 6 = 0 THEN 700 ELSE 300 END AS d FROM g_segment GROUP BY project_id)
+SELECT project_id, 'aspect' AS rule FROM r WHERE width * 16 <> height * 9 UNION ALL SELECT project_id, 'duration' FROM r WHERE abs(d - total) > 500""")
+def _v18(s):
+    r = s.groupBy("project_id").agg(F.sum("duration_ms").alias("total")).select("project_id", F.lit(1080).alias("width"), F.when(F.col("project_id") % 8 == 0, 1080).otherwise(1920).alias("height"), (F.col("total") + F.when(F.col("project_id") % 6 == 0, 700).otherwise(300)).alias("duration_ms"))
+    return G.render_violations(r, s)
+
+
+_CONTRACT = _TIME + f", contract AS (SELECT project_id, feature_id, pos, start_ms, end_ms, {_REASONS} AS reasons, editorial_role <> 'action' AS text_check FROM timeline)"
+
+
+@query("c11_segment_contract", "g_segment", sql=_CONTRACT + " SELECT * FROM contract")
+def _c11(s):
+    return G.segment_contract(s).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("v19_qa_result", "g_segment", sql=_CONTRACT + """
+, r AS (SELECT project_id, pos, feature_id + CASE WHEN feature_id % 31 = 0 THEN 1 ELSE 0 END AS got, text_check OR feature_id % 7 = 0 AS checked FROM contract WHERE feature_id % 41 <> 0)
+SELECT c.project_id, c.pos, CASE WHEN got IS NULL THEN 'missing' WHEN got <> feature_id THEN 'wrong_segment' ELSE 'text_check' END AS rule FROM contract c LEFT JOIN r ON c.project_id = r.project_id AND c.pos = r.pos WHERE got IS NULL OR got <> feature_id OR checked <> text_check""")
+def _v19(s):
+    c = G.segment_contract(s)
+    r = c.where("feature_id % 41 <> 0").select("project_id", "pos", (F.col("feature_id") + F.when(F.col("feature_id") % 31 == 0, 1).otherwise(0)).alias("feature_id"), (F.col("text_check") | (F.col("feature_id") % 7 == 0)).alias("text_check"))
+    return G.qa_result_mismatches(c, r)
+
+
+@query("c12_crop_audit", "g_segment", sql=_TIME + " SELECT project_id, feature_id, start_ms, end_ms, keep AS selected, count(*) FILTER (WHERE NOT keep) OVER (PARTITION BY project_id) - CASE WHEN keep THEN 0 ELSE 1 END AS alternatives FROM timeline")
+def _c12(s):
+    return G.crop_audit(s, F.col("keep"))
+
+
+_TEXT = """
+, n AS (SELECT claim_id, pos, regexp_replace(upper(relevant_text), '[^A-Z0-9]', '', 'g') AS text FROM f_text), c AS (SELECT claim_id, text, count(*) AS votes, min(pos) AS first FROM n GROUP BY ALL)
+, r AS (SELECT *, sum(votes) OVER (PARTITION BY claim_id)::BIGINT AS total, count(*) OVER (PARTITION BY claim_id) = 1 AS unanimous, row_number() OVER (PARTITION BY claim_id ORDER BY votes DESC, first) AS rn FROM c)"""
+
+
+@query("f10_normalize_text", "f_text", sql="SELECT claim_id, pos, regexp_replace(upper(relevant_text), '[^A-Z0-9]', '', 'g') AS text FROM f_text")
+def _f10(t):
+    return t.select("claim_id", "pos", normalized(F.col("relevant_text")).alias("text"))
+
+
+@query("a15_text_consensus", "f_text", sql=_TEXT + " SELECT claim_id, text, votes, total, unanimous FROM r WHERE rn = 1")
+def _a15(t):
+    return G.text_consensus(t)
+
+
+@query("c19_text_verification", "f_text", sql=_TEXT + " SELECT claim_id, text, votes, total, unanimous, CASE WHEN text = CASE WHEN claim_id % 2 = 0 THEN 'NO' ELSE 'AF' END THEN 'verified' WHEN NOT unanimous THEN 'conflict' ELSE 'mismatch' END AS status FROM r WHERE rn = 1")
+def _c19(t):
+    claims = t.select("claim_id").distinct().select("claim_id", F.when(F.col("claim_id") % 2 == 0, "n-o").otherwise("a f").alias("claim_text"))
+    return G.text_consensus(t, claims)
