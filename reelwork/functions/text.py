@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def normalized(text: Column) -> Column:
@@ -28,7 +29,7 @@ def canonical_sha256(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def label_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of trimmed, case-folded labels; the order of the arguments matters."""
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a.strip().casefold(), b.strip().casefold()).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")

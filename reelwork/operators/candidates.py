@@ -267,3 +267,12 @@ def preflight_rows(candidates: DataFrame) -> DataFrame:
     presentation = F.when(F.col("strategy") == "fit_with_background", "fit").when(F.col("role") == "overlay_keepout", "center_crop").otherwise("tracked_crop")
     c = candidates.withColumns({"presentation": presentation, "required_visible": visibility_floor(F.col("role"), F.lit(0.95))})
     return c.withColumn("geometry_fingerprint", canonical_sha256("frame_id", "source_id", "role", "strategy")).select("chapter", "candidate_id", "presentation", "required_visible", "geometry_fingerprint")
+
+
+def clip_card_violations(events: DataFrame, entities: DataFrame) -> DataFrame:
+    """(chapter, place, rule) for the events (chapter, place, start_ms, entity_id, target_kind) of a card: times in order, entities known, and of the target's kind."""
+    e = entities.select("entity_id", "entity_kind").distinct()
+    before = F.lag("start_ms").over(W.partitionBy("chapter").orderBy("place"))
+    j = events.withColumn("_late", before > F.col("start_ms")).join(e, "entity_id", "left")
+    rules = F.array_compact(F.array(F.when(F.col("_late"), F.lit("not_ordered")), F.when(F.col("entity_kind").isNull(), F.lit("unknown_entity")), F.when(F.col("entity_kind") != F.col("target_kind"), F.lit("kind_differs"))))
+    return j.select("chapter", "place", F.explode(rules).alias("rule"))

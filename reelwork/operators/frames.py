@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from reelwork.functions.times import pts_to_ms
 
-ORDER = W.partitionBy("event_id").orderBy("pos")
+
+def _order():
+    return W.partitionBy("event_id").orderBy("pos")
 
 
 def with_ms(frames: DataFrame) -> DataFrame:
@@ -17,12 +19,12 @@ def with_ms(frames: DataFrame) -> DataFrame:
 
 def intervals(frames: DataFrame, duration_ms: int) -> DataFrame:
     """Each frame's half-open interval: to the next frame of its event, or to the end."""
-    return with_ms(frames).select("event_id", "pos", F.col("ms").alias("start_ms"), F.lead("ms", 1, duration_ms).over(ORDER).alias("end_ms"))
+    return with_ms(frames).select("event_id", "pos", F.col("ms").alias("start_ms"), F.lead("ms", 1, duration_ms).over(_order()).alias("end_ms"))
 
 
 def last_included(frames: DataFrame) -> DataFrame:
     """(event_id, pos, last_pts): the frame before each exclusive out frame."""
-    return frames.select("event_id", "pos", F.lag("frame_pts").over(ORDER).alias("last_pts"))
+    return frames.select("event_id", "pos", F.lag("frame_pts").over(_order()).alias("last_pts"))
 
 
 def frame_to_clip(frames: DataFrame, clips: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def trim_bounds(trims: DataFrame) -> DataFrame:
 
 def dense_catalog_violations(frames: DataFrame, window_end: int) -> DataFrame:
     """(event_id, pos, rule): ids in order, times inside the window, hashes of 64 hex digits."""
-    rules = F.array_compact(F.array(F.when(F.col("frame_pts") <= F.lag("frame_pts").over(ORDER), F.lit("not_ordered")), F.when(F.col("ms") >= window_end, F.lit("outside_window")), F.when(~F.col("frame_hash").rlike("^[0-9a-f]{64}$"), F.lit("hash"))))
+    rules = F.array_compact(F.array(F.when(F.col("frame_pts") <= F.lag("frame_pts").over(_order()), F.lit("not_ordered")), F.when(F.col("ms") >= window_end, F.lit("outside_window")), F.when(~F.col("frame_hash").rlike("^[0-9a-f]{64}$"), F.lit("hash"))))
     return with_ms(frames).select("event_id", "pos", rules.alias("rules")).select("event_id", "pos", F.explode("rules").alias("rule"))
 
 

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from reelwork.functions.text import normalized
 
-ORDER = W.partitionBy("project_id").orderBy("pos")
+
+def _order():
+    return W.partitionBy("project_id").orderBy("pos")
 
 
 def timeline(segments: DataFrame) -> DataFrame:
     """segments with start_ms and end_ms in their project's running order."""
-    start = F.coalesce(F.sum("duration_ms").over(ORDER.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = F.coalesce(F.sum("duration_ms").over(_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return segments.withColumn("start_ms", start).withColumn("end_ms", F.col("start_ms") + F.col("duration_ms"))
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from reelwork.functions.geometry import center_distance, iou
 from reelwork.operators.compare import box
 
-TRACK = W.partitionBy("track_id").orderBy("sample_index")
+
+def _order():
+    return W.partitionBy("track_id").orderBy("sample_index")
 
 
 def center(axis: str, prefix: str = "") -> Column:
@@ -71,10 +73,10 @@ def checkpoint_reasons(stated: DataFrame) -> DataFrame:
     """(track_id, sample_index, priority, reason) for each reason to check a sample's identity; stated has shot_boundary."""
     all_rows = W.partitionBy("track_id")
     n = F.count("*").over(all_rows)
-    place = F.row_number().over(TRACK) - 1
+    place = F.row_number().over(_order()) - 1
     s = stated.withColumns({
-        "_n": n, "_place": place, "_status": identity_status(), "_before": F.lag("state").over(TRACK), "_area": F.lag("area_ratio").over(TRACK),
-        "_moved": F.hypot(center("x") - F.lag(center("x")).over(TRACK), center("y") - F.lag(center("y")).over(TRACK)) / 1000,
+        "_n": n, "_place": place, "_status": identity_status(), "_before": F.lag("state").over(_order()), "_area": F.lag("area_ratio").over(_order()),
+        "_moved": F.hypot(center("x") - F.lag(center("x")).over(_order()), center("y") - F.lag(center("y")).over(_order())) / 1000,
     })
     later = F.col("_place") > 0
     there = (F.col("area_ratio") > 0) & (F.col("_area") > 0)
@@ -110,7 +112,7 @@ def checkpoint_plan_violations(plan: DataFrame, budget: int) -> DataFrame:
 
 def monotone_violations(samples: DataFrame) -> DataFrame:
     """(track_id, sample_index, rule): times strictly increase, and indexes run from 0 without gaps."""
-    s = samples.withColumns({"_before": F.lag("t_ms").over(TRACK), "_place": F.row_number().over(TRACK) - 1})
+    s = samples.withColumns({"_before": F.lag("t_ms").over(_order()), "_place": F.row_number().over(_order()) - 1})
     rules = F.array_compact(F.array(F.when(F.col("t_ms") <= F.col("_before"), F.lit("time_not_increasing")), F.when(F.col("sample_index") != F.col("_place"), F.lit("index_gap"))))
     return s.select("track_id", "sample_index", F.explode(rules).alias("rule"))
 
@@ -310,7 +312,7 @@ def projected_smooth(series: DataFrame, desired: str, lower: str, upper: str, ro
     clamp = lambda v: F.greatest(F.col(lower), F.least(F.col(upper), v))
     out = series.withColumn("smoothed", clamp(F.col(desired)))
     for _ in range(rounds):
-        a, b = F.lag("smoothed").over(TRACK), F.lead("smoothed").over(TRACK)
+        a, b = F.lag("smoothed").over(_order()), F.lead("smoothed").over(_order())
         mean = F.when(a.isNull() & b.isNull(), F.col(desired)).when(a.isNull(), b).when(b.isNull(), a).otherwise((a + b) / 2)
         out = out.withColumn("_mean", mean).withColumn("smoothed", clamp(0.58 * F.col(desired) + 0.42 * F.col("_mean"))).drop("_mean")
     return out
@@ -318,7 +320,7 @@ def projected_smooth(series: DataFrame, desired: str, lower: str, upper: str, ro
 
 def crop_kinematics(path: DataFrame, x: str, y: str, seconds: str) -> DataFrame:
     """(track_id, max_speed, max_acceleration, max_jerk) of a path, with steps of 1 ms at least."""
-    lag = lambda c: F.lag(c).over(TRACK)
+    lag = lambda c: F.lag(c).over(_order())
     p = path.withColumn("_dt", F.greatest(F.lit(0.001), F.col(seconds) - lag(seconds))).withColumn("_v", F.hypot((F.col(x) - lag(x)) / F.col("_dt"), (F.col(y) - lag(y)) / F.col("_dt")))
     p = p.withColumn("_a", F.abs(F.col("_v") - lag("_v")) / F.col("_dt")).withColumn("_j", F.abs(F.col("_a") - lag("_a")) / F.col("_dt"))
     most = lambda c, n: F.round(F.coalesce(F.max(c), F.lit(0.0)), 6).alias(n)

@@ -306,3 +306,12 @@ def _v24(c):
     computed = c.select("chapter", "candidate_id", F.col("rank").cast("long").alias("rank"))
     stored = c.select("chapter", "candidate_id", (F.col("rank") + F.when(F.col("frame_id") % 100 == 0, 1).otherwise(0)).cast("long").alias("rank"))
     return K.replan_differences(stored, computed)
+
+
+@query("v4_clip_cards", _E, sql="""
+, ev AS (SELECT chapter, rank AS place, frame_id AS start_ms, source_id AS entity_id, CASE WHEN frame_id % 8 = 0 THEN 'other' ELSE 'kind-' || source_id % 3 END AS target_kind, lag(frame_id) OVER (PARTITION BY chapter ORDER BY rank) AS before FROM e_candidate)
+SELECT chapter, place, 'not_ordered' AS rule FROM ev WHERE before > start_ms UNION ALL SELECT chapter, place, 'unknown_entity' FROM ev WHERE entity_id % 17 = 0 UNION ALL SELECT chapter, place, 'kind_differs' FROM ev WHERE entity_id % 17 <> 0 AND target_kind = 'other'""")
+def _v4(c):
+    kind = F.concat(F.lit("kind-"), (F.col("source_id") % 3).cast("string"))
+    events = c.select("chapter", F.col("rank").alias("place"), F.col("frame_id").alias("start_ms"), F.col("source_id").alias("entity_id"), F.when(F.col("frame_id") % 8 == 0, "other").otherwise(kind).alias("target_kind"))
+    return K.clip_card_violations(events, c.where("source_id % 17 <> 0").select(F.col("source_id").alias("entity_id"), kind.alias("entity_kind")))

@@ -1,0 +1,64 @@
+"""Files and raw JSON (views k and l)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reelwork.functions.text import contract_id
+from reelwork.plans.base import query
+from reelwork.sources import registry as S
+
+_ID = ", ids AS (SELECT *, 'sha256:' || sha256(content) AS asset_id FROM k_file)"
+_DEDUP = _ID + ", dedup AS (SELECT path, asset_id, duration_ms, min(path) OVER (PARTITION BY asset_id) AS canonical_path FROM ids)"
+
+
+@query("s1_read_artifacts", "l_json", sql="SELECT event_id, props->>'$.page' AS page, (props->>'$.k') AS k FROM l_json")
+def _s1(j):
+    return j.select("event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("s2_media_registry", "k_file", sql="SELECT path, split_part(path, '/', -1) AS name FROM k_file ORDER BY lower(split_part(path, '/', -1)), path LIMIT 50")
+def _s2(k):
+    return S.media_registry(k, first=50).select("path", "name")
+
+
+@query("s3_content_identity", "k_file", sql=_ID + " SELECT path, asset_id, substring(asset_id, 8, 16) AS short_key FROM ids")
+def _s3(k):
+    return S.content_identity(k).select("path", "asset_id", "short_key")
+
+
+@query("s4_dedupe_assets", "k_file", sql=_DEDUP + " SELECT path, asset_id, CASE WHEN path = canonical_path THEN 'accepted' ELSE 'duplicate_skipped' END AS status, canonical_path FROM dedup")
+def _s4(k):
+    return S.dedupe_assets(S.content_identity(k)).drop("duration_ms")
+
+
+@query("s4_library_totals", "k_file", sql=_DEDUP + " SELECT count(*) AS inputs, count(*) FILTER (WHERE path = canonical_path) AS unique_assets, count(*) FILTER (WHERE path <> canonical_path) AS duplicates, sum(CASE WHEN path = canonical_path THEN duration_ms ELSE 0 END)::BIGINT AS duration_ms FROM dedup")
+def _s4t(k):
+    return S.library_totals(S.dedupe_assets(S.content_identity(k)))
+
+
+_PROBE = """'{"width":' || (640 + event_id % 7 * 100) || ',"height":' || (360 + event_id % 5 * 10) || CASE event_id % 4 WHEN 0 THEN ',"rotate":"-90"' WHEN 1 THEN ',"side_rotation":180.0' ELSE '' END || ',"sar":"' || CASE event_id % 3 WHEN 0 THEN '4:3' WHEN 1 THEN '0:1' ELSE 'N/A' END || '","rate":"' || CASE event_id % 5 WHEN 0 THEN '0/0' ELSE '30000/1001' END || '","duration":' || (event_id % 1000) || '.25}'"""
+
+
+@query("s5_normalize_probe", "l_json", sql="""
+, p AS (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 270 WHEN 1 THEN 180 ELSE 0 END AS rotation, 640 + event_id % 7 * 100 AS w, 360 + event_id % 5 * 10 AS h, CASE WHEN event_id % 3 = 0 THEN 4 ELSE 1 END::BIGINT AS sn, CASE WHEN event_id % 3 = 0 THEN 3 ELSE 1 END::BIGINT AS sd FROM l_json)
+SELECT id, rotation::BIGINT AS rotation, CASE WHEN rotation = 270 THEN h ELSE w END AS display_width, CASE WHEN rotation = 270 THEN w ELSE h END AS display_height, CASE WHEN rotation = 270 THEN sd ELSE sn END AS sar_num, CASE WHEN rotation = 270 THEN sn ELSE sd END AS sar_den,
+    CASE WHEN id % 5 <> 0 THEN 30000::BIGINT END AS rate_num, CASE WHEN id % 5 <> 0 THEN 1001::BIGINT END AS rate_den, id % 1000 * 1000 + 250 AS duration_ms FROM p""")
+def _s5(j):
+    return S.normalize_probe(j.select(F.col("event_id").alias("id"), F.expr(_PROBE.replace("\\", "")).alias("probe")))
+
+
+@query("s6_catalog_fingerprint", "k_file", sql="SELECT split_part(path, '/', 1) AS library, sha256(string_agg(path || '|' || duration_ms, chr(10) ORDER BY path || '|' || duration_ms)) AS catalog_id FROM k_file GROUP BY 1")
+def _s6(k):
+    return S.catalog_fingerprint(k.withColumn("library", F.split("path", "/")[0]), ["library"])
+
+
+@query("s9_split_public_private", "k_file", sql=_ID + " SELECT asset_id, duration_ms FROM ids")
+def _s9(k):
+    return S.split_public_private(S.content_identity(k).select("path", "asset_id", "duration_ms"))[0]
+
+
+@query("f22_contract_id", "k_file", sql="SELECT path, CASE WHEN regexp_full_match(v, '[A-Za-z0-9][A-Za-z0-9_.-]{0,127}') THEN v ELSE 'asset_' || substring(sha256(v), 1, 16) END AS id FROM (SELECT path, CASE WHEN duration_ms % 2 = 0 THEN path ELSE 'id-' || duration_ms END AS v FROM k_file)")
+def _f22(k):
+    v = F.when(F.col("duration_ms") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("id-"), F.col("duration_ms").cast("string")))
+    return k.select("path", contract_id(v, "asset").alias("id"))

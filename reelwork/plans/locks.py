@@ -1,0 +1,135 @@
+"""Query locks and lineage (view j)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reelwork.operators import locks as L
+from reelwork.plans.base import query
+
+_J = "j_target"
+_HASHES = """
+, h AS (SELECT *, sha256(concat('{', CASE WHEN parent_target_id IS NOT NULL THEN concat('"parent_target_id":', parent_target_id, ',') ELSE '' END, '"target_description":', to_json(target_description), ',"target_id":', target_id, '}')) AS identity_sha256 FROM j_target)
+, hashes AS (SELECT h.*, lock_sha256 FROM h JOIN (SELECT query_id, sha256(string_agg(identity_sha256, '|' ORDER BY target_id)) AS lock_sha256 FROM h GROUP BY query_id) USING (query_id))"""
+
+
+@query("c14_ancestors", _J, sql="""
+, anc(query_id, target_id, ancestor_id, distance) AS (SELECT query_id, target_id, parent_target_id, 1::BIGINT FROM j_target WHERE parent_target_id IS NOT NULL UNION ALL SELECT a.query_id, a.target_id, j.parent_target_id, a.distance + 1 FROM anc a JOIN j_target j ON a.query_id = j.query_id AND a.ancestor_id = j.target_id WHERE j.parent_target_id IS NOT NULL)
+SELECT * FROM anc""")
+def _c14(t):
+    return L.ancestors(t)
+
+
+@query("c14_ancestor_violations", _J, sql=" SELECT query_id, target_id, 'unknown_parent' AS rule FROM j_target WHERE parent_target_id IS NOT NULL AND query_id % 10 = 0 AND parent_target_id = 1")
+def _c14v(t):
+    return L.ancestor_violations(t.where("NOT (query_id % 10 = 0 AND target_id = 1)"))
+
+
+@query("p20_select_target", _J, sql="""
+, g AS (SELECT query_id, count(DISTINCT target_id) AS n, max(target_id) AS last, CASE WHEN query_id % 3 = 0 THEN 1 WHEN query_id % 3 = 1 THEN 10000 END AS w FROM j_target GROUP BY query_id)
+SELECT query_id, CASE WHEN w <= last THEN w::BIGINT WHEN w IS NULL AND n = 1 THEN last END AS target_id, CASE WHEN w > last THEN 'unknown_target' WHEN w IS NULL AND n <> 1 THEN 'target_not_unique' END AS rule FROM g""")
+def _p20(t):
+    return L.select_target(t, F.when(F.col("query_id") % 3 == 0, F.lit(1)).when(F.col("query_id") % 3 == 1, F.lit(10000)))
+
+
+@query("f23_canonical_sha256", _J, sql=_HASHES + " SELECT query_id, target_id, identity_sha256 FROM hashes")
+def _f23(t):
+    return L.target_hashes(t).select("query_id", "target_id", "identity_sha256")
+
+
+@query("f35_fingerprints", _J, sql=_HASHES + " SELECT DISTINCT query_id, lock_sha256 FROM hashes")
+def _f35(t):
+    return L.target_hashes(t).select("query_id", "lock_sha256").distinct()
+
+
+def _hashed(t):
+    return L.target_hashes(t).join(t, ["query_id", "target_id"])
+
+
+@query("v21_plan_binding", _J, sql=_HASHES + """
+, s AS (SELECT query_id, target_id, identity_sha256, lock_sha256, CASE WHEN query_id % 6 = 0 THEN 'stale' ELSE identity_sha256 END AS i2, CASE WHEN target_id % 4 = 0 THEN NULL ELSE lock_sha256 END AS l2 FROM hashes)
+SELECT query_id, target_id, 'identity_sha256' AS field, identity_sha256 AS expected, i2 AS actual FROM s WHERE i2 IS DISTINCT FROM identity_sha256 UNION ALL SELECT query_id, target_id, 'lock_sha256', lock_sha256, l2 FROM s WHERE l2 IS DISTINCT FROM lock_sha256""")
+def _v21(t):
+    current = L.target_hashes(t)
+    saved = current.withColumns({"identity_sha256": F.when(F.col("query_id") % 6 == 0, "stale").otherwise(F.col("identity_sha256")), "lock_sha256": F.when(F.col("target_id") % 4 != 0, F.col("lock_sha256"))})
+    return L.lineage_mismatches(saved, current, ["query_id", "target_id"], ["identity_sha256", "lock_sha256"])
+
+
+@query("j23_bind_lineage", _J, sql=_HASHES + """
+, r AS (SELECT query_id, target_id + CASE WHEN query_id % 9 = 0 THEN 10000 ELSE 0 END AS target_id, CASE WHEN target_id % 5 = 0 THEN 'other' ELSE target_description END AS d FROM j_target)
+SELECT r.query_id, r.target_id, CASE WHEN h.target_description = d THEN lock_sha256 END AS lock_sha256, CASE WHEN h.target_description IS NULL THEN 'unknown_target' WHEN h.target_description <> d THEN 'text_differs' END AS rule FROM r LEFT JOIN hashes h ON r.query_id = h.query_id AND r.target_id = h.target_id""")
+def _j23(t):
+    r = t.select("query_id", (F.col("target_id") + F.when(F.col("query_id") % 9 == 0, 10000).otherwise(0)).alias("target_id"), F.when(F.col("target_id") % 5 == 0, "other").otherwise(F.col("target_description")).alias("target_description"))
+    return L.bind_lineage(r, _hashed(t))
+
+
+_CACHE = _HASHES + ", cache AS (SELECT query_id, identity_sha256 FROM hashes WHERE target_id % 2 = 0 AND query_id % 4 <> 0), hit AS (SELECT query_id, target_id FROM hashes SEMI JOIN cache USING (query_id, identity_sha256))"
+
+
+def _cache(t):
+    return L.target_hashes(t).where("target_id % 2 = 0").select("query_id", "identity_sha256", (F.col("query_id") % 4 != 0).alias("complete"))
+
+
+@query("j22_reusable_results", _J, sql=_CACHE + " SELECT query_id, target_id, 'hit' AS kind FROM hit UNION ALL SELECT query_id, target_id, 'work' FROM hashes ANTI JOIN hit USING (query_id, target_id)")
+def _j22(t):
+    hit, work = L.reusable(L.target_hashes(t), _cache(t), ["query_id", "identity_sha256"])
+    return hit.select("query_id", "target_id", F.lit("hit").alias("kind")).unionByName(work.select("query_id", "target_id", F.lit("work").alias("kind")))
+
+
+@query("c15_temporal_fingerprint", _J, sql=_HASHES + ", f AS (SELECT query_id, target_id, sha256(concat('{\"identity_sha256\":\"', identity_sha256, '\",\"target_id\":', target_id, '}')) AS request_sha256 FROM hashes) SELECT query_id, target_id, request_sha256 FROM f")
+def _c15(t):
+    from reelwork.functions.text import canonical_sha256
+
+    return L.target_hashes(t).select("query_id", "target_id", canonical_sha256("identity_sha256", "target_id").alias("request_sha256"))
+
+
+_EVENTS = "SELECT query_id AS event_id, CASE WHEN query_id % 3 = 0 THEN 'lock' END AS lock_target, CASE WHEN query_id % 4 = 0 THEN 'explicit' END AS explicit_target, count(*) AS n, min(target_id) AS first FROM j_target GROUP BY query_id"
+
+
+def _events(t):
+    g = t.groupBy(F.col("query_id").alias("event_id")).agg(F.array_sort(F.collect_list(F.col("target_id").cast("string"))).alias("accepted"))
+    return g.select("event_id", F.when(F.col("event_id") % 3 == 0, "lock").alias("lock_target"), F.when(F.col("event_id") % 4 == 0, "explicit").alias("explicit_target"), F.slice("accepted", 1, F.when(F.col("event_id") % 5 == 0, 2).otherwise(1)).alias("accepted"))
+
+
+_RESOLVED = f", e AS ({_EVENTS}), r AS (SELECT *, CASE WHEN lock_target IS NOT NULL AND explicit_target IS NOT NULL THEN 'lock_and_explicit' WHEN lock_target IS NULL AND explicit_target IS NULL AND event_id % 5 = 0 AND n > 1 THEN 'proposal_not_unique' END AS rule FROM e), resolved AS (SELECT event_id, CASE WHEN rule IS NULL THEN coalesce(lock_target, explicit_target, '0') END AS target, rule FROM r)"
+
+
+@query("j25_resolve_event_target", _J, sql=_RESOLVED + " SELECT * FROM resolved")
+def _j25(t):
+    return L.resolve_event_target(_events(t))
+
+
+@query("c18_event_geometry_worklist", _J, sql=_RESOLVED + " SELECT event_id, target, 500 + event_id % 700 AS seed_ms, 200::BIGINT AS from_ms, 1000::BIGINT AS to_ms FROM resolved WHERE rule IS NULL AND 500 + event_id % 700 < 1000")
+def _c18(t):
+    interval = t.select(F.col("query_id").alias("event_id")).distinct().select("event_id", (500 + F.col("event_id") % 700).alias("seed_ms"), F.lit(200).alias("from_ms"), F.lit(1000).alias("to_ms"))
+    return L.geometry_worklist(_events(t), interval)
+
+
+@query("j21_identity_references", _J, sql="""
+, a AS (SELECT query_id, target_id // 10 AS target_id, target_id % 10 AS distance, target_id % 2 = 0 AS positive, sha256(target_description) AS sha256 FROM j_target), p AS (SELECT *, row_number() OVER (PARTITION BY query_id, target_id ORDER BY distance, positive DESC, sha256) AS place FROM a)
+, crops AS (SELECT DISTINCT sha256(target_description) AS sha256 FROM j_target WHERE target_id % 3 <> 0)
+SELECT query_id, target_id, place, sha256, CASE WHEN sha256 NOT IN (SELECT sha256 FROM crops) THEN 'crop_missing' END AS rule FROM p WHERE place <= 4""")
+def _j21(t):
+    h = F.sha2("target_description", 256)
+    anchors = t.select("query_id", F.floor(F.col("target_id") / 10).alias("target_id"), (F.col("target_id") % 10).alias("distance"), (F.col("target_id") % 2 == 0).alias("positive"), h.alias("sha256"))
+    return L.identity_references(anchors, t.where("target_id % 3 <> 0").select(h.alias("sha256")))
+
+
+@query("u5_disjoint_roles", _J, sql="""
+, q AS (SELECT DISTINCT query_id FROM j_target)
+SELECT query_id, 'required_preferred' AS rule FROM q WHERE query_id % 3 = 0 UNION ALL SELECT query_id, 'preferred_sacrificable' FROM q WHERE query_id % 3 = query_id % 5 UNION ALL SELECT query_id, 'required_sacrificable' FROM q WHERE query_id % 5 = 0 UNION ALL SELECT query_id, 'cues_exclusions' FROM q WHERE query_id % 4 = 0""")
+def _u5(t):
+    text = lambda n: (F.col("query_id") % n).cast("string")
+    q = t.select("query_id").distinct().select("query_id", F.array(F.lit("0")).alias("required"), F.array(text(3)).alias("preferred"), F.array(text(5)).alias("sacrificable"), F.array(F.lit("Red")).alias("cues"), F.array(F.when(F.col("query_id") % 4 == 0, "RED").otherwise("blue")).alias("exclusions"))
+    return L.disjoint_violations(q)
+
+
+@query("v11_query_lock", _J, sql="""
+SELECT query_id, 'duplicate_target' AS rule FROM j_target WHERE query_id % 7 = 0 GROUP BY query_id HAVING count(*) > 0 UNION ALL SELECT query_id, 'empty_text' FROM j_target WHERE target_description = '' GROUP BY query_id UNION ALL SELECT DISTINCT query_id, 'unknown_parent' FROM j_target WHERE query_id % 11 = 0 AND parent_target_id = 0""")
+def _v11(t):
+    return L.lock_violations(t.where("NOT (query_id % 11 = 0 AND target_id = 0)").unionByName(t.where("query_id % 7 = 0 AND NOT (query_id % 11 = 0 AND target_id = 0)")))
+
+
+@query("c13_query_lock_pipeline", _J, sql="SELECT query_id, 2::BIGINT AS version, count(*) AS targets, sha256(string_agg(concat(target_id, ':', left(target_description, 40)), '|' ORDER BY target_id)) AS lock_sha256 FROM j_target GROUP BY query_id")
+def _c13(t):
+    return L.migrate_lock(t).select("query_id", "version", F.size("targets").alias("targets"), "lock_sha256")

@@ -1,0 +1,33 @@
+"""Reviews by session, moment and method (view i)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reelwork.operators import reviews as R
+from reelwork.plans.base import query
+
+_K = "session_id, moment_id, target_id"
+
+
+@query("j13_method_pairs", "i_review", sql=f"""
+, r AS (SELECT * FROM i_review WHERE reviewed), p AS (SELECT a.*, b.grounding_method AS other_method, b.x_min AS ox0, b.y_min AS oy0, b.x_max AS ox1, b.y_max AS oy1 FROM r a JOIN r b USING (session_id, moment_id, target_id) WHERE a.grounding_method <> b.grounding_method)
+, f AS (SELECT *, row_number() OVER (PARTITION BY {_K}, grounding_method, x_min ORDER BY other_method, ox0) AS rn FROM p)
+, i AS (SELECT *, greatest(0, least(x_max, ox1) - greatest(x_min, ox0)) * greatest(0, least(y_max, oy1) - greatest(y_min, oy0)) AS i FROM f WHERE rn = 1)
+, s AS (SELECT {_K}, grounding_method, x_min, other_method, round(i / ((x_max - x_min) * (y_max - y_min) + (ox1 - ox0) * (oy1 - oy0) - i), 6) AS iou, round(sqrt(((x_min + x_max) / 2 - (ox0 + ox1) / 2) ** 2 + ((y_min + y_max) / 2 - (oy0 + oy1) / 2) ** 2), 6) AS distance FROM i)
+SELECT {_K}, r.grounding_method, r.x_min, other_method, iou, distance, iou IS NOT NULL AS comparable FROM r LEFT JOIN s USING ({_K}, grounding_method, x_min)""")
+def _j13(r):
+    return R.method_pairs(r)
+
+
+@query("s10_export_reviews", "i_review", sql="""
+SELECT session_id, count(*) FILTER (WHERE reviewed) AS reviewed, coalesce(string_agg(DISTINCT CASE WHEN NOT reviewed THEN moment_id END, ',' ORDER BY CASE WHEN NOT reviewed THEN moment_id END), '') AS pending FROM i_review GROUP BY session_id""")
+def _s10(r):
+    return R.export_reviews(r).withColumn("pending", F.array_join(F.col("pending").cast("array<string>"), ","))
+
+
+@query("v22_review_rules", "i_review", sql=f"""
+, r AS (SELECT *, x_min % 2 = 0 AS revealed FROM i_review)
+SELECT session_id, moment_id, 'several_verdicts' AS rule FROM (SELECT *, count(*) OVER (PARTITION BY {_K}, grounding_method) AS n FROM r) WHERE n > 1 UNION ALL SELECT session_id, moment_id, 'revealed_before_verdict' FROM r WHERE revealed AND NOT reviewed""")
+def _v22(r):
+    return R.review_violations(r.withColumn("revealed", F.col("x_min") % 2 == 0))
