@@ -42,18 +42,16 @@ def piece_counts(path: str, pieces: list[str]) -> np.ndarray:
 
         _tokenizers[path] = (Tokenizer.from_file(path), {})
     tokenizer, known = _tokenizers[path]
-    new = list(set(pieces).difference(known))
-    once = {}
+    distinct = set(pieces)
+    new = list(distinct.difference(known))
+    here = {p: known[p] for p in distinct if p in known}
     for at in range(0, len(new), 20_000):
         some = new[at : at + 20_000]
-        once.update(zip(some, (len(e) for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-    if len(known) + len(once) > CACHE:
+        here.update(zip(some, (len(e) for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+    if len(known) + len(new) > CACHE:
         known.clear()
-    known.update((k, v) for k, v in once.items() if len(k) <= LONGEST_CACHED)
-    if len(known) < len(once):
-        return np.fromiter((once[p] if p in once else known[p] for p in pieces), np.int32, len(pieces))
-    long_ones = {k: v for k, v in once.items() if len(k) > LONGEST_CACHED}
-    return np.fromiter((known[p] if p in known else long_ones[p] for p in pieces), np.int32, len(pieces))
+    known.update((p, here[p]) for p in new if len(p) <= LONGEST_CACHED)
+    return np.fromiter(map(here.__getitem__, pieces), np.int32, len(pieces))
 
 
 def prefix_counts(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
