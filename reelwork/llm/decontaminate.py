@@ -1,6 +1,6 @@
 """Benchmark leaks by canonical templates.
 
-Numbers, names and units become typed placeholders (a run of one kind is one placeholder),
+Numbers, names and units become typed placeholders (a run of numbers is one placeholder),
 everything else is lower case without punctuation. Windows of the template that a document
 shares with a benchmark item are joined by hash; along one alignment of the two, every value
 that the item has in a placeholder must stand for one value in the document. That finds
@@ -80,7 +80,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     kind = np.select([number, unit, capital & ~opens], [1, 2, 3], 0).astype(np.int8)
     head = np.ones(n, bool)
-    head[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1]) | new_doc[1:]
+    head[1:] = (kind[1:] != 1) | (kind[:-1] != 1) | new_doc[1:]
     at = np.flatnonzero(head)
     to = np.append(at[1:], n) - 1
     value = span_hash(c, starts[at], stops[to])
@@ -89,13 +89,21 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, bits: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """Windows with enough words: document, hash, position, slot values one after another, slots of each, windows of its document."""
+    """Windows: document, hash, position, slot values one after another, slots of each, windows of its document.
+
+    Without bits, as for the benchmark, only the windows with enough words, if the document has any.
+    """
     doc, token, kind, value = templates(data, offsets)
     at = inside(doc, WINDOW)
     words = np.concatenate([[0], np.cumsum(kind == 0)])
-    at = at[words[at + WINDOW] - words[at] >= LITERALS]
+    literal = words[at + WINDOW] - words[at] >= LITERALS
+    # a window of few words says too little as a template, so it counts by its values
+    hashes = np.where(literal, rolled(token, WINDOW)[at], mix(rolled(value, WINDOW)[at]))
+    if bits is None:
+        templated = np.bincount(doc[at], literal, len(offsets) - 1) > 0
+        own = literal | ~templated[doc[at]]
+        at, hashes = at[own], hashes[own]
     total = np.bincount(doc[at], minlength=len(offsets) - 1)
-    hashes = rolled(token, WINDOW)[at]
     if bits is not None:
         hit = in_filter(bits, hashes)
         at, hashes = at[hit], hashes[hit]
@@ -124,7 +132,8 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -
     """(doc_id, item_id, matched_windows, item_windows, exact) for the items (item_id, text) that documents (doc_id, text) hold.
 
     exact: every placeholder has the item's own value. Items and documents with fewer than
-    WINDOW tokens, or without a window of LITERALS words, match nothing; so do null texts.
+    WINDOW tokens match nothing; so do null texts. An item all of whose windows have fewer
+    than LITERALS words is found where it was copied.
     Rows with a null id are left out. Repeated rows give one row for each pair of ids.
     """
     bench = keep(template_windows(items.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text")).distinct())
