@@ -55,9 +55,11 @@ def root_to_leaf(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     while 2 ** (len(steps) - 1) < total and not steps[-1].where("above is not null").isEmpty():
         last = steps[-1]
         far = last.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("above").alias("_above"), F.col("total").alias("_total"), F.col("depth").alias("_depth"))
-        joined = last.join(far, _same({"tree": "_t", "above": "_n"}) & F.col("above").isNotNull(), "left")
+        # what has reached its root stays as it is
+        joined = last.where("above is not null").join(far, _same({"tree": "_t", "above": "_n"}), "left")
         plus = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
-        steps.append(keep(joined.select("tree", "node", F.col("_above").alias("above"), plus("total"), plus("depth"))))
+        moved = joined.select("tree", "node", F.col("_above").alias("above"), plus("total"), plus("depth"))
+        steps.append(keep(moved.unionByName(last.where("above is null"))))
     parents = n.where("parent is not null").select(F.col("tree").alias("_t"), F.col("parent").alias("_n")).distinct()
     leaves = steps[-1].where("above is null").join(parents, _same({"tree": "_t", "node": "_n"}), "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.col("total").desc(), F.col("depth").desc(), "node"))
