@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelwork.llm.graph import components
-from reelwork.llm.kernel import LOWER, U64, inside, lists, mix, prefix_hash, rolled, span_hash, words_of
+from reelwork.llm.kernel import LOWER, U64, lists, mix, prefix_hash, rolled, span_hash, words_of
 from reelwork.llm.shared import documents, keep, map_text
 
 SHINGLE = 5
