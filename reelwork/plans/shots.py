@@ -137,7 +137,7 @@ def _c4(points, boundary, events):
 
 
 @query("c5_dense_plan", *_ALL, sql=_J5 + f"""
-, planned AS (SELECT *, CASE WHEN {_KIND} = 'required' THEN 4 ELSE 4 END AS fps FROM dense WHERE {_KIND} IN ('required', 'flagged'))
+, planned AS (SELECT *, 4 AS fps FROM dense WHERE {_KIND} IN ('required', 'flagged'))
 , times AS (SELECT asset_id, event_id, unnest(range(window_start, window_end, 250)) AS frame_ms FROM planned UNION SELECT asset_id, event_id, least(center_ms, window_end - 1) FROM planned)
 SELECT asset_id, event_id, frame_ms, 'DF' || lpad((row_number() OVER (PARTITION BY asset_id, event_id ORDER BY frame_ms))::VARCHAR, 6, '0') AS frame_id FROM times""")
 def _c5(points, boundary, events):
