@@ -113,6 +113,7 @@ def bucket_members(entries: DataFrame) -> DataFrame:
     lead is the member that shares most buckets with others: in a group of edited copies
     that is the text they come from, which is like each of them, as they need not be.
     """
+    entries = entries.repartition("band")  # one exchange for the count and the join
     crowds = entries.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
     members = keep(entries.join(crowds, "band").distinct())
     ties = members.groupBy("id").agg(F.sum("n").alias("ties"))
