@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelwork.functions.geometry import center_distance, iou
 from reelwork.functions.text import label_similarity
-from reelwork.session import find_package
+from reelwork.session import arrow_map, find_package
 
 HARD_REJECTIONS = ("not_visible", "target_mismatch", "insufficient_evidence")
 
@@ -74,22 +74,27 @@ def with_label_similarity(pairs: DataFrame, left: str, right: str, name: str = "
 def greedy_match(pairs: DataFrame, keys: list[str], left: str, right: str, floor: float | None = None) -> DataFrame:
     """One-to-one matches in each group of keys: the most similar pair first, ties by left, then right.
 
-    pairs has a column similarity. A group must fit in a task; the groups here are a pair of runs of one asset.
+    pairs has a column similarity. Spark deals the groups out and sorts them; a task then reads
+    its rows in order and keeps only the ids that its current group has matched.
     """
-    find_package(pairs.sparkSession)
-    schema = pairs.schema
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["similarity", left, right], ascending=[False, True, True], kind="stable")
-        lefts, rights, chosen = set(), set(), []
-        for i, a, b in zip(group.index, group[left], group[right], strict=True):
-            if a not in lefts and b not in rights:
-                lefts.add(a)
-                rights.add(b)
-                chosen.append(i)
-        return group.loc[chosen]
-
-    return (pairs if floor is None else pairs.where(F.col("similarity") >= floor)).groupBy(*keys).applyInPandas(run, schema)
+    kept = pairs if floor is None else pairs.where(F.col("similarity") >= floor)
+    ordered = kept.repartition(*keys).sortWithinPartitions(*keys, F.col("similarity").desc(), left, right)
+
+    def run(batches):
+        group, lefts, rights = None, set(), set()
+        for batch in batches:
+            chosen = []
+            rows = zip(*[batch.column(k).to_pylist() for k in keys], batch.column(left).to_pylist(), batch.column(right).to_pylist(), strict=True)
+            for i, (*own, a, b) in enumerate(rows):
+                if own != group:
+                    group, lefts, rights = own, set(), set()
+                if a not in lefts and b not in rights:
+                    lefts.add(a)
+                    rights.add(b)
+                    chosen.append(i)
+            yield batch.take(pa.array(chosen, pa.int64()))
+
+    return arrow_map(ordered, run, pairs.schema)
 
 
 def greedy_match_rounds(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
