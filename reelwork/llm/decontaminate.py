@@ -1,32 +1,50 @@
 """Benchmark leaks by canonical templates.
 
-Numbers, names and units become typed placeholders (a run of numbers is one placeholder),
-everything else is lower case without punctuation. Windows of the template that a document
-shares with a benchmark item are joined by hash; along one alignment of the two, every value
-that the item has in a placeholder must stand for one value in the document. That finds
-passages that were copied, and questions asked again with other numbers or names.
+Numbers, names and units become typed placeholders (a run of numbers or of names is one
+placeholder), everything else is lower case without punctuation. Windows of the template that
+a document shares with a benchmark item are joined by hash; along one alignment of the two,
+or a chain of near ones where words were put in or left out, every value that the item has in
+a placeholder must stand for one value in the document. That finds passages that were copied,
+and questions asked again with other numbers or names.
+
+Names are read in two ways, and an item is held if it is by either of them. By case, a name is
+a capital word, wherever it stands, that is no function word and not part of a sentence all in
+capitals. By words, it is any word that the benchmark does not use as a plain word, whatever
+its case. No word list or case can tell a name in an item without any capitals.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reelwork.llm.kernel import LOWER, U64, inside, lists, mix, pieces, prefix_hash, rolled, span_hash
+from reelwork.llm.kernel import IS_SPACE, LOWER, U64, inside, lists, mix, pieces, prefix_hash, rolled, span_hash
 from reelwork.llm.shared import bit_filter, documents, in_filter, keep
 from reelwork.session import arrow_map
 
 WINDOW = 6
 #: A window counts if at least so many of its tokens are words and not placeholders.
 LITERALS = 4
-#: A document holds an item if one alignment matches this percentage of its windows.
+#: A document holds an item if one alignment, or a chain of near ones, matches this percentage of its windows.
 PERCENT = 60
+#: Alignments are chained if their shifts differ by at most so many tokens from one to the next.
+SLACK = 3
+#: A sentence without small letters is upper case from this many words, and tells no names.
+LOUD = 3
 
 NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion").split()
 UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees meter meters metre metres kilometer kilometers centimeter centimeters").split()
+#: Words that are no names, also where they open a sentence.
+FUNCTION_WORDS = ("a an the this that these those some any each every all both no none not i you he she it we they me him her us them my your his its our their one's who whom whose which what when where why how "
+    "if then else than so as because since while until unless although though after before during and or but nor yet for of in on at by to from with without into onto over under between among about against through across along around "
+    "is are was were be been being am do does did done has have had having can could will would shall should may might must there here now also only just more most less least many much few another other such same "
+    "let find given suppose assume calculate compute determine solve show prove consider explain write choose select what's it's once twice next first last finally later today yesterday tomorrow").split()
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -35,7 +53,8 @@ _DIGIT[48:58] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:\n"]] = True
 PLACEHOLDERS = mix(np.arange(1, 4, dtype=U64) * U64(0xABCDEF0123456789))  # number, unit, name
-_KINDS = ("id long", "hash long", "at int", "slots array<long>", "n_windows int")
+_SALTS = mix(np.arange(11, 13, dtype=U64))  # names by case, names by words
+_KINDS = ("id long", "way int", "hash long", "at int", "slots array<long>", "n_windows int")
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -44,15 +63,31 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.sort(span_hash(prefix_hash(data), np.concatenate([[0], ends[:-1]]), ends))
 
 
-_NUMBER_HASHES, _UNIT_HASHES = _hashes(NUMBER_WORDS), _hashes(UNITS)
+_NUMBER_HASHES, _UNIT_HASHES, _FUNCTION_HASHES = _hashes(NUMBER_WORDS), _hashes(UNITS), _hashes(FUNCTION_WORDS)
 
 
 def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each token of the pieces' templates: its document, its hash, its kind (0: a word) and its own value's hash."""
+@dataclass
+class Tokens:
+    """Tokens of a piece: byte spans, the document of each, its value's hash, and what it looks like."""
+
+    starts: np.ndarray
+    stops: np.ndarray
+    doc: np.ndarray
+    prefix: np.ndarray
+    value: np.ndarray
+    number: np.ndarray
+    unit: np.ndarray
+    function: np.ndarray
+    capital: np.ndarray
+    loud: np.ndarray
+    apart: np.ndarray  # something other than white space, or a new document, comes before
+
+
+def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     letter = np.append(_LETTER[data], False)
     begins, ends = letter.copy(), letter.copy()
     begins[1:] &= ~letter[:-1]
@@ -64,46 +99,59 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     n = len(starts)
     doc = np.searchsorted(offsets, starts, "right") - 1
     if not n:
-        return doc, np.zeros(0, U64), np.zeros(0, np.int8), np.zeros(0, U64)
-    c = prefix_hash(LOWER[data])
+        no = np.zeros(0, bool)
+        return Tokens(starts, stops, doc, np.zeros(1, U64), np.zeros(0, U64), no, no, no, no, no, no)
+    upper = (data >= 65) & (data <= 90)
+    latin = 1 + np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97))
+    lower = LOWER[data]
+    lower[latin] += 32
+    upper[latin - 1] = True
+    c = prefix_hash(lower)
     value = span_hash(c, starts, stops)
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    breaks = np.concatenate([[0], np.cumsum(_STOP[data])])
-    number = (digits[stops] > digits[starts]) | _among(_NUMBER_HASHES, value)
-    unit = _among(_UNIT_HASHES, value)
+    count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    digits, breaks, small, marks = count(_DIGIT[data]), count(_STOP[data]), count((data >= 97) & (data <= 122)), count(~_LETTER[data] & ~IS_SPACE[data])
     new_doc = np.ones(n, bool)
     new_doc[1:] = doc[1:] != doc[:-1]
-    opens = new_doc.copy()
+    opens, apart = new_doc.copy(), new_doc.copy()
     opens[1:] |= breaks[starts[1:]] > breaks[stops[:-1]]
-    first = data[starts]
-    second = data[np.minimum(starts + 1, len(data) - 1)]
-    capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    kind = np.select([number, unit, capital & ~opens], [1, 2, 3], 0).astype(np.int8)
+    apart[1:] |= marks[starts[1:]] > marks[stops[:-1]]
+    sentence = np.cumsum(opens) - 1
+    loud = ((np.bincount(sentence, small[stops] > small[starts]) == 0) & (np.bincount(sentence) >= LOUD))[sentence]
+    number = (digits[stops] > digits[starts]) | _among(_NUMBER_HASHES, value)
+    return Tokens(starts, stops, doc, c, value, number, _among(_UNIT_HASHES, value), _among(_FUNCTION_HASHES, value), upper[starts], loud, apart)
+
+
+def templates(t: Tokens, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token of the pieces' templates: its document, its hash, its kind (0: a word) and its own value's hash."""
+    n = len(t.starts)
+    kind = np.select([t.number, t.unit, name & ~t.function], [1, 2, 3], 0).astype(np.int8)
     head = np.ones(n, bool)
-    head[1:] = (kind[1:] != 1) | (kind[:-1] != 1) | new_doc[1:]
+    same = (kind[1:] == kind[:-1]) & (t.doc[1:] == t.doc[:-1])
+    head[1:] = ~(same & ((kind[1:] == 1) | ((kind[1:] == 3) & ~t.apart[1:])))
     at = np.flatnonzero(head)
-    to = np.append(at[1:], n) - 1
-    value = span_hash(c, starts[at], stops[to])
+    to = np.append(at[1:], n)[: len(at)] - 1
+    value = span_hash(t.prefix, t.starts[at], t.stops[to])
     kind = kind[at]
-    return doc[at], np.where(kind == 0, value, PLACEHOLDERS[np.maximum(kind, 1) - 1]), kind, value
+    return t.doc[at], np.where(kind == 0, value, PLACEHOLDERS[np.maximum(kind, 1) - 1]), kind, value
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, bits: np.ndarray | None) -> tuple[np.ndarray, ...]:
+def windows(t: Tokens, way: int, plain: np.ndarray, n_docs: int, bits: np.ndarray | None) -> tuple[np.ndarray, ...]:
     """Windows: document, hash, position, slot values one after another, slots of each, windows of its document.
 
-    Without bits, as for the benchmark, only the windows with enough words, if the document has any.
+    way 0 tells names by case, way 1 by plain, the filter of the benchmark's words. Without bits,
+    as for the benchmark, only the windows with enough words, if the document has any.
     """
-    doc, token, kind, value = templates(data, offsets)
+    doc, token, kind, value = templates(t, t.capital & ~t.loud if way == 0 else ~in_filter(plain, t.value))
     at = inside(doc, WINDOW)
     words = np.concatenate([[0], np.cumsum(kind == 0)])
     literal = words[at + WINDOW] - words[at] >= LITERALS
     # a window of few words says too little as a template, so it counts by its values
-    hashes = np.where(literal, rolled(token, WINDOW)[at], mix(rolled(value, WINDOW)[at]))
+    hashes = mix(np.where(literal, rolled(token, WINDOW)[at], mix(rolled(value, WINDOW)[at])) ^ _SALTS[way])
     if bits is None:
-        templated = np.bincount(doc[at], literal, len(offsets) - 1) > 0
+        templated = np.bincount(doc[at], literal, n_docs) > 0
         own = literal | ~templated[doc[at]]
         at, hashes = at[own], hashes[own]
-    total = np.bincount(doc[at], minlength=len(offsets) - 1)
+    total = np.bincount(doc[at], minlength=n_docs)
     if bits is not None:
         hit = in_filter(bits, hashes)
         at, hashes = at[hit], hashes[hit]
@@ -113,21 +161,61 @@ def windows(data: np.ndarray, offsets: np.ndarray, bits: np.ndarray | None) -> t
     return doc[at], hashes, at - begin, value[span][slot], slot.sum(1), total[doc[at]]
 
 
-def template_windows(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    """id, hash, at, slots, n_windows for rows (id, text): all windows, or those whose hash is in the filter."""
+def plain_words(rows: DataFrame) -> DataFrame:
+    """(hash) of the words of rows (text) that stand there without a capital, or in a sentence all in capitals."""
+    schema = StructType.fromDDL("hash long")
+
+    def run(batches):
+        for batch in batches:
+            for _part, data, offsets in pieces(batch, "text"):
+                t = tokens_of(data, offsets)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(t.value[~t.capital | t.loud]).view(np.int64))], names=schema.names)
+
+    return arrow_map(rows.select("text"), run, schema)
+
+
+def template_windows(rows: DataFrame, plain: np.ndarray, bits: np.ndarray | None = None) -> DataFrame:
+    """id, way, hash, at, slots, n_windows for rows (id, text): all windows, or those whose hash is in the filter."""
     schema = StructType.fromDDL(", ".join(_KINDS))
-    shared = None if bits is None else rows.sparkSession.sparkContext.broadcast(bits)
+    shared = rows.sparkSession.sparkContext.broadcast((plain, bits))
 
     def run(batches):
+        plain, bits = shared.value
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
-                doc, hashes, at, values, n, total = windows(data, offsets, None if shared is None else shared.value)
-                ids = part.column("id").take(pa.array(doc, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(hashes.view(np.int64)), pa.array(at, pa.int32()), lists(values.view(np.int64), n, pa.int64()), pa.array(total, pa.int32())], names=schema.names)
+                tokens = tokens_of(data, offsets)
+                for way in range(len(_SALTS)):
+                    doc, hashes, at, values, n, total = windows(tokens, way, plain, len(offsets) - 1, bits)
+                    ids = part.column("id").take(pa.array(doc, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(doc), way, np.int32)), pa.array(hashes.view(np.int64)), pa.array(at, pa.int32()), lists(values.view(np.int64), n, pa.int64()), pa.array(total, pa.int32())], names=schema.names)
 
     return arrow_map(rows.select("id", "text"), run, schema)
 
 
+def alignments(pairs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, item_id, item_windows, matched_windows, bound) of the single shifts, and of the chains of near shifts, that match enough windows.
+
+    In a chain each window of the item counts once, at the shift that matches most, and only
+    where it comes after the one before it in the document too.
+    """
+    one = ["doc_id", "item_id", "way", "item_windows"]
+    enough = lambda n: 100 * n >= percent * F.col("item_windows")
+    shifts = pairs.groupBy(*one, "shift").agg(F.count_distinct("item_at").alias("matched_windows"), F.collect_set(F.struct("item_at", "bound")).alias("hits"))
+    order = W.partitionBy(*one).orderBy("shift")
+    begins = F.coalesce((F.col("shift") - F.lag("shift").over(order) > SLACK).cast("int"), F.lit(0))
+    shifts = shifts.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(order))
+    chain = W.partitionBy(*one, "chain")
+    shifts = shifts.withColumn("in_chain", F.sum("matched_windows").over(chain)).where(enough(F.col("in_chain")))
+    flat = lambda hits: F.array_distinct(F.flatten(hits))
+    single = shifts.where(enough(F.col("matched_windows"))).select(*one, "matched_windows", flat(F.col("hits.bound")).alias("bound"))
+    hits = shifts.where(F.col("in_chain") > F.col("matched_windows")).select(*one, "chain", "shift", "matched_windows", F.explode("hits").alias("hit"))
+    best = hits.groupBy(*one, "chain", F.col("hit.item_at").alias("item_at")).agg(F.max_by(F.struct("shift", "hit.bound"), F.struct("matched_windows", -F.abs("shift"), "shift")).alias("x"))
+    at = F.col("item_at") + F.col("x.shift")
+    best = best.withColumn("ordered", F.coalesce(at > F.lag(at).over(chain.orderBy("item_at")), F.lit(True))).where("ordered")
+    chained = best.groupBy(*one, "chain").agg(F.count("*").alias("matched_windows"), flat(F.collect_list("x.bound")).alias("bound"))
+    return single.unionByName(chained.where(enough(F.col("matched_windows"))).drop("chain"))
+
+
 def benchmark_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, matched_windows, item_windows, exact) for the items (item_id, text) that documents (doc_id, text) hold.
 
@@ -136,15 +224,16 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -
     than LITERALS words is found where it was copied.
     Rows with a null id are left out. Repeated rows give one row for each pair of ids.
     """
-    bench = keep(template_windows(items.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text")).distinct())
-    found = template_windows(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), bit_filter(bench, "hash"))
-    b = bench.select("hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n_windows").alias("item_windows"))
-    pairs = found.join(b, "hash").select(F.col("id").alias("doc_id"), "item_id", "item_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("bound"))
-    aligned = pairs.groupBy("doc_id", "item_id", "item_windows", "shift").agg(F.count_distinct("item_at").alias("matched_windows"), F.array_distinct(F.flatten(F.collect_set("bound"))).alias("bound"))
+    plain = bit_filter(plain_words(items), "hash")
+    bench = keep(template_windows(items.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text"), plain).distinct())
+    found = template_windows(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), plain, bit_filter(bench, "hash"))
+    b = bench.select("hash", "way", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n_windows").alias("item_windows"))
+    pairs = found.join(b, ["hash", "way"]).select(F.col("id").alias("doc_id"), "item_id", "way", "item_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("bound"))
     values = F.array_distinct(F.transform("bound", lambda x: x["item_slots"]))
     exact = F.forall("bound", lambda x: x["item_slots"] == x["slots"])
-    good = aligned.where((100 * F.col("matched_windows") >= percent * F.col("item_windows")) & (F.size("bound") == F.size(values))).withColumn("exact", exact)
-    return good.groupBy("doc_id", "item_id").agg(F.max("matched_windows").cast("long").alias("matched_windows"), F.max("item_windows").cast("long").alias("item_windows"), F.max("exact").alias("exact"))
+    good = alignments(pairs, percent).where(F.size("bound") == F.size(values)).withColumn("exact", exact)
+    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("matched_windows") / F.col("item_windows")).alias("share"), "exact", "matched_windows", "item_windows")).alias("x"))
+    return best.select("doc_id", "item_id", F.col("x.matched_windows").cast("long").alias("matched_windows"), F.col("x.item_windows").cast("long").alias("item_windows"), F.col("x.exact").alias("exact"))
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,6 +287,20 @@ def test_decontamination(spark):
     assert decontaminate.benchmark_leaks(docs.limit(0), items).count() == 0 and decontaminate.benchmark_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_reworded_items(spark):
+    tom = "Tom has 3 apples. Tom gives 2 to Ann. How many apples does Tom have left?"
+    rope = "If Anna has 3 red apples and Anna buys 12 km of rope from the old shop near the green river , how many days will that take her brother"
+    words = rope.split()
+    rows = [
+        (1, tom.replace("Tom", "Lisa")), (2, rope.replace("Anna", "Mary Ann")), (3, " ".join(words[:15] + ["very"] + words[15:])), (4, " ".join(words[:15] + words[16:])),
+        (5, "READ THIS. " + rope.upper()), (6, rope.lower().replace("anna", "lisa")), (7, rope.upper().replace("ANNA", "LISA")),
+        (9, " ".join(words[18:] + words[:9] + words[9:18])), (10, "The old shop near the green river has red apples and rope. Tom has many apples left to give."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.benchmark_leaks(docs, spark.createDataFrame([(1, tom), (2, rope)], "item_id long, text string")).collect()}
+    assert got == {(1, 1): False, (2, 2): False, (3, 2): True, (4, 2): True, (5, 2): True, (6, 2): False, (7, 2): False}
+
+
 def test_lines(spark, none):
     r = random.Random(4)
     long = [prose(20 + k, 12) for k in range(6)]
