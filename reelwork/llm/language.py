@@ -1,13 +1,15 @@
 """Language identification in two steps: the family, then the language within it.
 
 Features are the frequencies of hashed byte trigrams of the lower-cased text. A linear
-support vector machine for each family, and one for each language against the others of its
-family, are trained on a bounded sample of labelled rows; both use squared hinge loss.
+support vector machine for each family against the others, and one for each pair of languages
+within a family, are trained on a bounded sample of labelled rows; both use squared hinge loss.
+The language is that with the most votes of its family's pairs, ties going by the margins.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +64,7 @@ class Model:
     families: list[str]
     family_weights: np.ndarray  # families x (BUCKETS + 1), the last for the bias
     languages: list[list[str]]
-    language_weights: list[np.ndarray]
+    language_weights: list[np.ndarray]  # for each family, pairs() of its languages x (BUCKETS + 1)
 
 
 def svm(x: np.ndarray, y: np.ndarray, decay: float = 1e-4) -> np.ndarray:
@@ -78,6 +80,10 @@ def svm(x: np.ndarray, y: np.ndarray, decay: float = 1e-4) -> np.ndarray:
     return w
 
 
+def pairs(n: int) -> list[tuple[int, int]]:
+    return list(combinations(range(n), 2))
+
+
 def fit(texts: list[str], langs: list[str]) -> Model:
     x = np.zeros((len(texts), BUCKETS + 1), np.float32)
     for i in range(0, len(texts), 50):
@@ -95,7 +101,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     languages = [sorted({v for v in langs if family_of(v) == f}) for f in families]
     return Model(
         families, np.stack([one(every, of == f) for f in families]) if len(families) > 1 else np.zeros((1, BUCKETS + 1), np.float32),
-        languages, [np.stack([one(np.flatnonzero(of == f), names == v) for v in members]) if len(members) > 1 else np.zeros((1, BUCKETS + 1), np.float32) for f, members in zip(families, languages, strict=True)],
+        languages, [np.stack([one(np.flatnonzero((names == members[i]) | (names == members[j])), names == members[i]) for i, j in pairs(len(members))]) if len(members) > 1 else np.zeros((0, BUCKETS + 1), np.float32) for members in languages],
     )
 
 
@@ -104,6 +110,19 @@ def _scores(weights: np.ndarray, bucket: np.ndarray, ends: np.ndarray, counts: n
     return np.stack([per_doc(np.rint(w[bucket] * 65536).astype(np.int64), ends) / 65536 * 100 / np.maximum(counts, 1) + w[-1] for w in weights])
 
 
+def votes(margins: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The language of n with most votes for each document, and its least margin, from the margins of pairs(n); ties go by the sum of margins."""
+    won, total, least = np.zeros((n, margins.shape[1]), np.int64), np.zeros((n, margins.shape[1])), np.full((n, margins.shape[1]), np.inf)
+    for m, (i, j) in zip(margins, pairs(n), strict=True):
+        for k, own in ((i, m), (j, -m)):
+            total[k] += own
+            np.minimum(least[k], own, out=least[k])
+        won[i] += m >= 0
+        won[j] += m < 0
+    best = np.where(won == won.max(0), total, -np.inf).argmax(0)
+    return best, least[best, np.arange(margins.shape[1])]
+
+
 def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     data, offsets = lowered(texts)
     bucket, _doc, counts = trigrams(data, offsets)
@@ -120,10 +139,10 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if len(members) == 1:
             out[own] = members[0]
             continue
-        inner = _scores(model.language_weights[f], bucket, ends, counts)
-        best = inner.argmax(0)
-        out[own] = np.array(members, object)[best[own]]
-        score[own] = score[own] * sigmoid(inner[best[own], own])
+        mine = bucket[np.repeat(family == f, counts)]
+        best, margin = votes(_scores(model.language_weights[f], mine, np.concatenate([[0], np.cumsum(counts[own])]), counts[own]), len(members))
+        out[own] = np.array(members, object)[best]
+        score[own] = score[own] * sigmoid(margin)
     return out.tolist(), score
 
 

@@ -274,6 +274,19 @@ def test_languages(spark, none):
     assert {r.lang_pred for r in language.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
 
 
+def test_languages_of_a_family_meet_in_pairs():
+    r = random.Random(3)
+    parts = {"en": ["the", "ing", "wh"], "de": ["der", "sch", "ung"], "nl": ["het", "ij", "een"], "sv": ["och", "är", "att"]}
+    make = lambda lang: "".join(r.choice(parts[lang]) + r.choice(["", " "]) for _ in range(40))
+    langs = list(parts) * 30
+    model = language.fit([make(x) for x in langs], langs)
+    assert model.languages == [["de", "en", "nl", "sv"]] and len(model.language_weights[0]) == 6
+    assert language.predict(model, [make(x) for x in langs])[0] == langs
+    # 1 beats 0 and 2 narrowly, 0 beats 2 by far: votes count before margins; in a ring the margins decide
+    best, least = language.votes(np.array([[-0.1, 0.5], [9.0, -0.2], [0.1, 0.4]]), 3)
+    assert best.tolist() == [1, 0] and least.tolist() == [0.1, -0.2]
+
+
 def test_decontamination(spark):
     item = "If Anna has 3 red apples and Anna buys 12 km of rope from the old shop near the green river , how many days will that take her brother"
     asked_again = item.replace("Anna", "Bob").replace("3", "41").replace("12 km", "7 miles")
