@@ -23,17 +23,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.where(~base_failed() & ~repetitive()).select(*COLUMNS)
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """COLUMNS, and _row: a hash of them all, so rows without a doc_id, or of one doc_id with several texts, stay apart; equal rows share it."""
+    return docs.select(*COLUMNS, F.xxhash64(*[x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())]).alias("_row"))
+
+
+def _as_id(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_row").alias("doc_id"), "source", "text")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least doc_id; one row if it is repeated."""
-    found = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """One row of each group of near duplicates, that of the least doc_id, null last; one if it is repeated."""
+    rows = with_row(docs)
+    found = near_duplicates(_as_id(rows)).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
+    kept = rows.select("doc_id", "_row").join(found, "_row").groupBy("component_id").agg(F.min(place).alias("x")).select(F.col("x._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    leaks = benchmark_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti")
+    rows = with_row(docs)
+    leaks = benchmark_leaks(_as_id(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(leaks, "_row", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +53,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that gives w words of its size s to the mix stands ceil(w / s) times.
     """
-    taken = mix_sources(docs).where("taken > 0").groupBy("doc_id", "source").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("copies"))
-    mine = docs.select(*COLUMNS).dropDuplicates(["doc_id", "source"]).join(taken.withColumnsRenamed({"doc_id": "_d", "source": "_s"}), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
+    rows = with_row(docs)
+    taken = mix_sources(_as_id(rows)).where("taken > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("copies"))
+    mine = rows.dropDuplicates(["_row"]).join(taken, "_row")
     return mine.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
