@@ -21,8 +21,9 @@ MIN_REPEAT = 8
 #: A document goes if repeats cover more than this percentage of its words ...
 MAX_COVERED_PERCENT = 40
 #: ... or if one repeat is longer than this many words and than this percentage of the words.
+#: Two copies cover twice a repeat's length, so the share must stay well below half of the covered one to tell anything.
 MAX_LONGEST = 100
-MAX_LONGEST_PERCENT = 30
+MAX_LONGEST_PERCENT = 10
 
 SIGNALS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long"
 _BLANK = " \t\n\v\f\r"

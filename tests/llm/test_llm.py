@@ -75,6 +75,13 @@ def test_quality_signals(docs, none):
     assert quality.quality_signals(none, ["doc_id"]).count() == 0
 
 
+def test_long_passage_repeated_twice(spark):
+    words = [f"w{k}" for k in range(2500)]
+    rows = [(1, " ".join(words + words[:500])), (2, " ".join(words + words[:90])), (3, " ".join(words))]
+    got = {r.doc_id: (r.longest_repeat, r.gone) for r in quality.quality_signals(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).select("doc_id", "longest_repeat", quality.repetitive().alias("gone")).collect()}
+    assert got == {1: (500, True), 2: (90, False), 3: (0, False)}
+
+
 def test_suffix_order_of_a_period():
     keys = np.array([1, 2, 1, 2, 1, 2, 9], np.uint64)
     assert quality.longest_common(keys, np.zeros(7, np.int64)).tolist() == [4, 3, 4, 3, 2, 1, 0]
