@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from reelwork.llm.shared import keep
 
+#: Edges that one partition holds; fewer edges need fewer tasks.
+ROWS_PER_PART = 200_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): component is the least node reachable over the undirected edges.
@@ -15,15 +18,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     follows the label of that label, so long chains shorten by more than a step a round.
     Nodes are only those with an edge. Null ends and loops are dropped. The edges should be
     a forest of stars or a thinned graph: the work of a round is in proportion to the edges.
+    The frames are as many partitions as their rows ask for; a star's centre is left to Spark's
+    handling of skewed joins.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     both = keep(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = keep(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")))
+    parts = 1 + both.count() // ROWS_PER_PART
+    both = both.coalesce(parts)
+    labels = keep(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")).coalesce(parts)).coalesce(parts)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("low"))
         target = labels.select(F.col("node").alias("low"), F.col("component").alias("beyond"))
-        moved = keep(lower.join(target, "low", "left").select("node", F.col("component").alias("was"), F.least("low", F.coalesce("beyond", "low")).alias("component")))
-        labels = moved.select("node", "component")
+        moved = keep(lower.join(target, "low", "left").select("node", F.col("component").alias("was"), F.least("low", F.coalesce("beyond", "low")).alias("component")).coalesce(parts))
+        labels = moved.select("node", "component").coalesce(parts)
         if moved.where("was <> component").isEmpty():
             return labels

@@ -51,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pieces(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, column: str, size: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(slice of the batch, its text bytes, offsets of its documents); null texts are empty."""
     text = batch.column(column).cast(pa.large_string())
     if text.null_count:
@@ -60,7 +60,7 @@ def pieces(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
     data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(text):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         own = offsets[at : to + 1]
         yield batch.slice(at, to - at), data[own[0] : own[-1]], own - own[0]
         at = to
@@ -132,6 +132,29 @@ def per_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return c[offsets[1:]] - c[offsets[:-1]]
 
 
+def least_samples(x: np.ndarray, first: np.ndarray, factors: np.ndarray, shifts: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """MinHash samples (len(factors), sets) of 32-bit hashes that stand set by set, none empty, from first on.
+
+    The sets are taken in blocks that stay in the processor's cache.
+    """
+    out = np.empty((len(factors), len(first)), np.uint32)
+    ends = np.append(first[1:], len(x))
+    i = 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(ends, first[i] + block, "right")))
+        own, at = x[first[i] : ends[j - 1]], first[i:j] - first[i]
+        for k in range(len(factors)):
+            np.minimum.reduceat(own * factors[k] + shifts[k], at, out=out[k, i:j])
+        i = j
+    return out
+
+
+def bands_of(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band hashes (bands, sets) of samples (bands * rows, sets), each sample salted with its number."""
+    salted = mix(samples.astype(U64) + (np.arange(bands * rows, dtype=U64) << U64(32))[:, None])
+    return mix(salted.reshape(bands, rows, samples.shape[1]).sum(1, dtype=U64) + np.arange(bands, dtype=U64)[:, None])
+
+
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])

@@ -1,32 +1,29 @@
-"""Fuzzy duplicates of lines over the whole corpus.
+"""Fuzzy duplicate lines by MinHash over character shingles.
 
-Lines get MinHash signatures of their byte shingles. Lines that meet in a band are confirmed
-on their full shingle sets, links are merged into components, and the first line of each
-component, by doc_id and line number, stays. Equal lines share a key and never meet as pairs.
+A line is the set of its distinct shingles of SHINGLE code points, in lower case. MinHash
+bands propose pairs, the Jaccard similarity of the full sets decides, and of each component
+the first line, by doc_id and line number, stays. Equal lines share a key and never meet as
+pairs; a line of fewer code points than a shingle equals or does not.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reelwork.llm.kernel import LOWER, U64, lists, mix, pieces, powers, prefix_hash, span_hash
-from reelwork.llm.neardup import bucket_members, link_classes, parities
-from reelwork.llm.shared import bit_filter, documents, in_filter, keep
+from reelwork.llm.kernel import IS_SPACE, bands_of, least_samples, lists, mix, pieces, powers, prefix_hash, span_hash
+from reelwork.llm.links import Union, link_classes, may_link, parities, shared_bands, with_payloads
+from reelwork.llm.shared import documents, join_hot, keep
 from reelwork.session import arrow_map
 
-SHINGLE = 10
-#: Lines with fewer bytes stay as they are.
-LEAST_BYTES = 40
-PERCENT = 80
-#: A pair of similarity 0.8 misses all bands with probability 8e-4.
-BANDS, ROWS = 10, 3
-SKETCH_BITS = 128
-#: Candidates whose sketches differ in more bits are under a similarity of about 0.5.
-MOST_BITS = 24
+SHINGLE = 7
+PERCENT = 75
+#: A pair at the threshold misses all bands with probability 0.5 %, one of similarity 0.85 with 4e-5.
+BANDS, ROWS = 14, 4
 
 _seeds = np.random.default_rng(20250202)
 _FACTORS = _seeds.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -42,130 +39,147 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, doc, np.arange(len(doc)) - np.searchsorted(doc, doc)
 
 
-def _shingles(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lines' byte shingles one after another, and where each line's begin."""
-    n = ends - starts - SHINGLE + 1
-    first = np.cumsum(n) - n
-    at = np.arange(n.sum()) + np.repeat(starts - first, n)
-    return mix((c[at + SHINGLE] - c[at]) * powers(len(c))[1][at]), first
+def shingles(data: np.ndarray, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the spans' shingles one after another, and how many each has."""
+    inverse = powers(len(c))[1]
+    if (data < 128).all():
+        n = np.maximum(ends - starts - SHINGLE + 1, 0)
+        at = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
+        return mix((c[at + SHINGLE] - c[at]) * inverse[at]), n
+    points = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    lo, hi = np.searchsorted(points, starts), np.searchsorted(points, ends)
+    n = np.maximum(hi - lo - SHINGLE + 1, 0)
+    at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+    begin = points[at]
+    return mix((c[points[at + SHINGLE]] - c[begin]) * inverse[begin]), n
 
 
-def _long_lines(data: np.ndarray, offsets: np.ndarray):
-    starts, ends, doc, number = spans(data, offsets)
-    own = ends - starts >= LEAST_BYTES
-    starts, ends = starts[own], ends[own]
-    c = prefix_hash(LOWER[data])
-    return c, starts, ends, doc[own], number[own], span_hash(c, starts, ends)
+def line_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, line, key, bands) for each line of docs (doc_id, doc, text) that is not blank.
 
-
-def _samples(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """MinHash samples (BANDS * ROWS, lines) of shingle hashes; each is salted with its number."""
-    x = (hashes >> U64(32)).astype(np.uint32)
-    small = np.stack([np.minimum.reduceat(x * f + s, first) for f, s in zip(_FACTORS, _SHIFTS, strict=True)])
-    return mix(small.astype(U64) + (np.arange(BANDS * ROWS, dtype=U64) << U64(32))[:, None])
-
-
-def _scan(docs: DataFrame, schema: str, work) -> DataFrame:
-    """Rows that work(part, c, starts, ends, doc, number, key) makes of the long lines of each piece."""
-    schema = StructType.fromDDL(schema)
+    bands is null for a line of less than a shingle, and for one that an earlier line of the
+    same piece equals.
+    """
+    schema = StructType.fromDDL("doc_id long, doc long, line int, key long, bands array<long>")
 
     def run(batches):
         for batch in batches:
-            for part, data, offsets in pieces(batch, "text"):
-                lines = _long_lines(data, offsets)
-                arrays = work(part, *lines) if len(lines[1]) else None
-                if arrays is not None:
-                    yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-    return arrow_map(docs, run, schema)
-
-
-def line_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, line, key for each line of LEAST_BYTES or more."""
-    work = lambda part, _c, _s, _e, doc, number, key: [part.column("doc_id").take(pa.array(doc)), pa.array(number, pa.int32()), pa.array(key.view(np.int64))]
-    return _scan(docs.select("doc_id", "text"), "doc_id long, line int, key long", work)
-
-
-def line_bands(docs: DataFrame) -> DataFrame:
-    """(id, band) for each band of each line, id being its key; equal lines of a piece once."""
-
-    def work(_part, c, starts, ends, _doc, _number, key):
-        key, own = np.unique(key, return_index=True)
-        samples = _samples(*_shingles(c, starts[own], ends[own]))
-        bands = mix(samples.reshape(BANDS, ROWS, len(own)).sum(1, dtype=U64) + np.arange(BANDS, dtype=U64)[:, None])
-        return [pa.array(np.tile(key.view(np.int64), BANDS)), pa.array(bands.view(np.int64).ravel())]
-
-    return _scan(docs.select("text"), "id long, band long", work)
-
-
-def _wanted(docs: DataFrame, ids: DataFrame, schema: str, columns) -> DataFrame:
-    """One row for each line whose key is among ids: its id, and columns(hashes, first) of its shingles."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, "id"))
-
-    def work(_part, c, starts, ends, _doc, _number, key):
-        key, own = np.unique(key, return_index=True)
-        hit = in_filter(wanted.value, key)
-        if not hit.any():
-            return None
-        own = own[hit]
-        return [pa.array(key[hit].view(np.int64)), *columns(*_shingles(c, starts[own], ends[own]))]
-
-    return _scan(docs.select("text"), f"id long, {schema}", work).join(ids, "id", "left_semi").dropDuplicates(["id"])
-
-
-def _sets(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct 32-bit shingle hashes of each line."""
-    return [np.unique((x >> U64(32)).astype(np.uint32)) for x in np.split(hashes, first[1:])]
+            lowered = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc"), pc.utf8_lower(batch.column("text"))], names=["doc_id", "doc", "text"])
+            for part, data, offsets in pieces(lowered, "text"):
+                starts, ends, doc, number = spans(data, offsets)
+                full = np.concatenate([[0], np.cumsum(~IS_SPACE[data])])
+                own = full[ends] > full[starts]
+                starts, ends, doc, number = starts[own], ends[own], doc[own], number[own]
+                c = prefix_hash(data)
+                key = span_hash(c, starts, ends)
+                first = np.sort(np.unique(key, return_index=True)[1])
+                hashes, n = shingles(data, c, starts[first], ends[first])
+                first, n = first[n > 0], n[n > 0]
+                bands = bands_of(least_samples((hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(n) - n, _FACTORS, _SHIFTS), BANDS, ROWS)
+                has = np.zeros(len(key), np.int64)
+                has[first] = BANDS
+                listed = lists(np.ascontiguousarray(bands.T).view(np.int64).ravel(), has, pa.int64())
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("doc").take(at), pa.array(number, pa.int32()), pa.array(key.view(np.int64)), listed], names=schema.names)
+
+    return arrow_map(docs.select("doc_id", "doc", "text"), run, schema)
+
+
+def line_texts(docs: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, payload): the text of one line for each of ids (id), the keys of lines."""
+    places = lines.where("size(bands) > 0").join(ids, F.col("key") == F.col("id"), "left_semi").groupBy("key").agg(F.min(F.struct("doc", "line")).alias("x"))
+    by_doc = places.groupBy(F.col("x.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("x.line").alias("line"), "key")).alias("wanted"))
+    found = docs.select("doc", "text").join(by_doc, "doc").dropDuplicates(["doc"])
+    return found.select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w")).select(F.col("w.key").alias("id"), F.get("parts", F.col("w.line")).alias("payload"))
+
+
+def line_sets(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, also one after another, and how many each has."""
+    for _part, data, offsets in pieces(pa.RecordBatch.from_arrays([pc.utf8_lower(texts)], ["t"]), "t", 1 << 62):
+        hashes, n = shingles(data, prefix_hash(data), offsets[:-1], offsets[1:])
+        sets = [np.unique(x) for x in np.split(hashes, np.cumsum(n)[:-1])]
+        return sets, np.concatenate(sets), np.array([len(x) for x in sets])
+    return [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted distinct hashes."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
+    schema = StructType.fromDDL("a long, b long")
 
+    def run(batches):
+        for batch in batches:
+            a = batch.column("a").to_numpy()
+            heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+            of_a = line_sets(batch.column("of_a").take(pa.array(heads)))[0]
+            of_b = line_sets(batch.column("of_b"))[0]
+            which = np.searchsorted(heads, np.arange(len(a)), "right") - 1
+            own = pa.array([i for i, k in enumerate(which.tolist()) if similar(of_a[k], of_b[i], percent)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(own), batch.column("b").take(own)], names=schema.names)
 
-def line_descriptions(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, sketch, size, parity) of the lines of ids (id)."""
+    return arrow_map(with_payloads(pairs, texts), run, schema)
 
-    def columns(hashes, first):
-        bits = (_samples(hashes, first) % U64(SKETCH_BITS)).astype(np.int64) + np.arange(len(first)) * SKETCH_BITS
-        odd = (np.bincount(bits.ravel(), minlength=len(first) * SKETCH_BITS) & 1).astype(np.uint8)
-        sets = _sets(hashes, first)
-        counts = np.array([len(x) for x in sets])
-        return [lists(np.packbits(odd).view(np.int64), np.full(len(first), SKETCH_BITS // 64), pa.int64()), pa.array(counts, pa.int32()), parities(mix(np.concatenate(sets).astype(U64)), counts)]
 
-    return _wanted(docs, ids, "sketch array<long>, size int, parity array<long>", columns)
+def block_links(percent: int):
+    """For links_in_blocks(): a spanning set of the links between the components of a block."""
 
+    def links(_ids, comps, probes, builds, texts):
+        sets, values, counts = line_sets(texts)
+        parity, groups, out = parities(mix(values), counts), Union(comps), []
+        for i in probes.tolist():
+            for j in may_link(parity, counts, i, builds[comps[builds] != comps[i]], percent).tolist():
+                if groups.find(i) != groups.find(j) and similar(sets[i], sets[j], percent):
+                    groups.join(i, j)
+                    out.append((i, j))
+        return out
 
-def line_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the lines of ids (id); shingles are 32-bit hashes."""
+    return links
 
-    def columns(hashes, first):
-        sets = _sets(hashes, first)
-        return [lists(np.concatenate(sets).view(np.int32), np.array([len(x) for x in sets]), pa.int32())]
 
-    return _wanted(docs, ids, "shingles array<int>", columns)
+def named_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and doc (a hash of both) of the rows that have a doc_id."""
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("doc"))
 
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, line, first_doc_id, first_line): each line that goes, and the line that stays for it.
+    """(doc_id, doc, line, first_doc_id, first_line): each line that goes, and the line that stays for it.
 
     Lines are the parts between newlines, counted from 0, compared in lower case; a null text
-    has none. Lines are told apart by 64-bit hashes. Rows with a null doc_id are left alone.
-    Rows that repeat a document count as one, so both lose the same lines.
+    has none, and blank lines stay. Lines are told apart by 64-bit hashes. Rows with a null
+    doc_id are left alone. Rows that repeat a document count as one, so both lose the same
+    lines; of one doc_id with several texts doc, a hash of both, tells which is meant.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = bucket_members(line_bands(rows))
-    described = keep(line_descriptions(rows, keep(shared.select("id").distinct())))
-    differ = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    near = link_classes(shared, described, lambda ids: line_shingles(rows, ids), percent, differ <= MOST_BITS)
-    lines = line_keys(rows)
-    labeled = lines.select("doc_id", "line", "key").join(near.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "line", F.coalesce("component", "key").alias("label"))
-    labeled = keep(labeled)
-    place = F.struct("doc_id", "line")
-    groups = labeled.groupBy("label").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("label", "first")
-    gone = labeled.join(groups, "label").where(place > F.col("first"))
-    return gone.select("doc_id", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"))
+    rows = named_rows(docs)
+    lines = keep(line_rows(rows))
+    members = keep(shared_bands(lines.where("bands is not null").select(F.col("key").alias("id"), F.explode("bands").alias("band"))))
+    texts = keep(line_texts(rows, lines, members.select("id").distinct()))
+    near = link_classes(members, lambda pairs: pairs, lambda pairs: confirmed(pairs, texts, percent), texts, block_links(percent))
+
+    place = F.struct("doc_id", "doc", "line")
+    keys = keep(lines.groupBy("key").agg(F.min(place).alias("place"), F.max(place).alias("last"), F.count("*").alias("n")))
+    labeled = keys.join(near.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key"))
+    stays = labeled.groupBy("label").agg(F.min("place").alias("first"), F.max("last").alias("last")).where("first < last").select("label", "first")
+    gone = join_hot(lines.drop("bands"), labeled.join(stays, "label").select("key", "first", "n"), "key").where(place > F.col("first"))
+    return gone.select("doc_id", "doc", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line")).distinct()
+
+
+def cleaned_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs with removed_lines (sorted numbers) and clean_text, the text without them; a null text stays null."""
+    gone = duplicate_lines(docs, percent).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("_removed"))
+    keyed = docs.withColumn("_doc", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))))
+    out = keyed.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").withColumn("removed_lines", F.coalesce("_removed", F.array().cast("array<int>")))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda _x, i: ~F.array_contains("removed_lines", i)), "\n")
+    return out.withColumn("clean_text", F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(left)).drop("_doc", "_removed")
 
 
 def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    gone = duplicate_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"))
+    cleaned = cleaned_documents(documents(spark, sf_dir).select("doc_id", "text"))
     n = F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
-    counted = docs.select("doc_id", n.cast("long").alias("n_lines"))
-    out = counted.join(gone, "doc_id", "left").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>")))
-    return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
+    return cleaned.select("doc_id", n.cast("long").alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -3,11 +3,8 @@
 A document is the set of its distinct word shingles. MinHash bands propose candidates; an
 odd sketch (the MinHash samples folded into a bitmap of parities) estimates the similarity
 of a candidate pair from the population count of an XOR; what passes is confirmed on the
-full sets. Equal sets are one class from the start, so copies never meet as pairs.
-
-In a bucket one leading member first meets each of the others, which is linear in the bucket.
-What these links leave in different components, but together in some bucket, is then
-compared pair by pair, so no link that would join two components is lost to the shortcut.
+full sets. Equal sets are one class from the start, so copies never meet as pairs. See `links` for the
+links within a bucket.
 """
 
 from __future__ import annotations
@@ -17,16 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelwork.llm.graph import components
-from reelwork.llm.kernel import LOWER, U64, lists, mix, prefix_hash, rolled, span_hash, words_of
-from reelwork.llm.shared import documents, keep, map_text
+from reelwork.llm.kernel import LOWER, U64, bands_of, least_samples, lists, mix, prefix_hash, rolled, span_hash, words_of
+from reelwork.llm.links import PARITY_BITS, link_classes, may_link, parities, shared_bands, with_payloads
+from reelwork.llm.shared import documents, join_hot, keep, map_text
 
 SHINGLE = 5
 PERCENT = 75
 #: A pair of similarity 0.75 misses all bands with probability 1.3e-6.
 BANDS, ROWS = 50, 5
 SKETCH_BITS = 512
-PARITY_BITS = 1024
 #: Candidates estimated below this are not confirmed: 7 standard errors under the threshold.
 ESTIMATE = 0.55
 
@@ -54,7 +50,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def _sets(data: np.ndarray, offsets: np.ndarray, _texts) -> list:
     values, counts = shingle_sets(data, offsets)
-    return [lists(values.view(np.int64), counts, pa.int64()), parities(values, counts)]
+    return [lists(values.view(np.int64), counts, pa.int64()), lists(parities(values, counts).ravel(), np.full(len(counts), PARITY_BITS // 64), pa.int64())]
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, _texts) -> list:
@@ -67,11 +63,9 @@ def signatures(data: np.ndarray, offsets: np.ndarray, _texts) -> list:
     if len(full):
         for i, salt in enumerate((U64(0x51ED2701), U64(0xA4093822299F31D0))):
             keys[i, full] = np.add.reduceat(mix(values + salt), first)
-        x = (values >> U64(32)).astype(np.uint32)
-        for i in range(BANDS * ROWS):
-            small[i] = np.minimum.reduceat(x * _FACTORS[i] + _SHIFTS[i], first)
+        small = least_samples((values >> U64(32)).astype(np.uint32), first, _FACTORS, _SHIFTS)
+    bands = bands_of(small, BANDS, ROWS).T
     samples = mix(small.astype(U64) + (np.arange(BANDS * ROWS, dtype=U64) << U64(32))[:, None])
-    bands = mix(samples.reshape(BANDS, ROWS, -1).sum(1, dtype=U64) + np.arange(BANDS, dtype=U64)[:, None]).T
     bits = (samples % U64(SKETCH_BITS)).astype(np.int64) + np.arange(len(full)) * SKETCH_BITS
     odd = (np.bincount(bits.ravel(), minlength=len(full) * SKETCH_BITS) & 1).astype(np.uint8)
     sketch = np.packbits(odd).view(np.int64)
@@ -88,61 +82,22 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on the full sets."""
-    own = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}"))
-    both = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", F.size("of_a").alias("m"), F.size("of_b").alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+    """The pairs (a, b) with 100 * intersection >= percent * union on the full sets (id, payload)."""
+    m, n = F.size("of_a"), F.size("of_b")
+    near = with_payloads(pairs, sets).where(100 * F.least(m, n) >= percent * F.greatest(m, n))
+    both = near.select("a", "b", m.alias("m"), n.alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
     return both.where(100 * F.col("common") >= percent * (F.col("m") + F.col("n") - F.col("common"))).select("a", "b")
 
 
-def parities(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    """Odd sketches of whole sets: their XOR never has more bits than the sets have different members."""
-    bits = (values % U64(PARITY_BITS)).astype(np.int64) + np.repeat(np.arange(len(counts)), counts) * PARITY_BITS
-    odd = (np.bincount(bits, minlength=len(counts) * PARITY_BITS) & 1).astype(np.uint8)
-    return lists(np.packbits(odd).view(np.int64), np.full(len(counts), PARITY_BITS // 64), pa.int64())
-
-
-def may_link(percent: int) -> Column:
-    """Whether the sizes and whole-set sketches of a pair leave room for the similarity; it never drops a link."""
-    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
-    return (100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
+def block_links(percent: int):
+    """For links_in_blocks(): the pairs whose sizes and whole-set sketches leave room for a link."""
 
+    def links(_ids, comps, probes, builds, payloads):
+        rows = payloads.flatten().to_numpy().reshape(len(payloads), -1)
+        sizes, parity = rows[:, 0], rows[:, 1:]
+        return [(i, j) for i in probes.tolist() for j in may_link(parity, sizes, i, builds[comps[builds] != comps[i]], percent).tolist()]
 
-def bucket_members(entries: DataFrame) -> DataFrame:
-    """(band, id, lead) for the rows (id, band) whose bucket has more than one id.
-
-    lead is the member that shares most buckets with others: in a group of edited copies
-    that is the text they come from, which is like each of them, as they need not be.
-    """
-    entries = entries.repartition("band")  # one exchange for the count and the join
-    crowds = entries.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
-    members = keep(entries.join(crowds, "band").distinct())
-    ties = members.groupBy("id").agg(F.sum("n").alias("ties"))
-    weighed = members.join(ties, "id")
-    leads = weighed.groupBy("band").agg(F.max(F.struct("ties", (-F.col("id")).alias("minus"))).alias("x")).select("band", (-F.col("x.minus")).alias("lead"))
-    return keep(members.select("band", "id").join(leads, "band"))
-
-
-def link_classes(shared: DataFrame, described: DataFrame, shingles_of, percent: int, likely: Column) -> DataFrame:
-    """(node, component) from bucket_members() and described (id, sketch, size, parity).
-
-    shingles_of(ids) gives (id, shingles) for the rows (id) of ids. likely is a condition on
-    the columns sketch_a and sketch_b of a candidate pair.
-    """
-    side = lambda c: described.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    ends = lambda pairs: keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    stars = shared.where("lead <> id").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-    stars = keep(stars.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"))
-    joined = components(keep(confirmed(stars, shingles_of(ends(stars)), percent)))
-
-    # members of one bucket that the stars left apart
-    label = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    apart = label.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    rows = keep(label.join(apart, "band").join(described, "id"))
-    left, right = (rows.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "sketch", "parity", "size")]).withColumnRenamed(f"id_{x}", x) for x in "ab")
-    crossing = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & may_link(percent) & likely).select("a", "b").distinct()
-    crossing = keep(crossing.join(stars, ["a", "b"], "left_anti"))
-    bridges = confirmed(crossing, shingles_of(ends(crossing)), percent)
-    return components(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(bridges))
+    return links
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -153,19 +108,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     null doc_id, whose component is null and which is kept. Repeated rows give repeated rows.
     doc_id names one text: where it names several, they count as linked.
     """
-    rows = docs.select(F.col("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = keep(map_text(rows, signatures, "n_shingles long, key1 long, key2 long, bands array<long>, sketch array<long>", ["doc_id"]))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x")).select("key1", "key2", F.col("x.doc_id").alias("id"), "x.bands", "x.sketch")
-    classes = keep(classes)
-    shared = bucket_members(classes.select("id", F.explode("bands").alias("band")))
-    sets = keep(map_text(rows.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), _sets, "shingles array<long>, parity array<long>", ["doc_id"]).select(F.col("doc_id").alias("id"), F.size("shingles").alias("size"), "parity", "shingles").dropDuplicates(["id"]))
-    likely = estimate(F.col("sketch_a"), F.col("sketch_b")) >= ESTIMATE
-    described = classes.select("id", "sketch").join(sets.select("id", "size", "parity"), "id")
-    of_class = link_classes(shared, described, lambda ids: sets.select("id", "shingles").join(ids, "id", "left_semi"), percent, likely)
-
-    named = classes.select("key1", "key2", "id").join(of_class.withColumnRenamed("node", "id"), "id", "left").select("key1", "key2", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "key1", "key2").join(named, ["key1", "key2"], "left")
+    of_key = usable.groupBy(F.struct("key1", "key2").alias("key")).agg(F.min_by(F.struct("doc_id", "bands", "sketch"), "doc_id").alias("x"), F.count("*").alias("n"))
+    classes = keep(of_key.select("key", F.col("x.doc_id").alias("id"), "x.bands", "x.sketch", "n"))
+    members = keep(shared_bands(classes.select("id", F.explode("bands").alias("band"))))
+    sets = keep(map_text(rows.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), _sets, "shingles array<long>, parity array<long>", ["doc_id"]).select(F.col("doc_id").alias("id"), "parity", "shingles").dropDuplicates(["id"]))
+    full = sets.select("id", F.col("shingles").alias("payload"))
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    likely = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= ESTIMATE).select("a", "b")
+    confirm = lambda pairs: confirmed(pairs, full, percent)
+    described = sets.select("id", F.concat(F.array(F.size("shingles").cast("long")), "parity").alias("payload"))
+    of_class = link_classes(members, likely, confirm, described, block_links(percent), confirm)
+
+    named = classes.join(of_class.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component"), "n")
+    out = signed.select("doc_id", "n_shingles", F.struct("key1", "key2").alias("key"))
+    unnamed = out.where("n_shingles = 0 or doc_id is null").withColumn("component", F.lit(None).cast("long"))
+    out = join_hot(out.where("n_shingles > 0 and doc_id is not null"), named, "key").select(*unnamed.columns).unionByName(unnamed)
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -39,6 +39,20 @@ def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, parts: int = 500) -> DataFrame:
+    """rows joined with table, which has each key once and n, the number of its rows; table's n is dropped.
+
+    Keys with more than a parts-th of these rows, fewer than parts of them, are broadcast, so no
+    task gets all rows of a hot key.
+    """
+    table = keep(table)
+    most = table.agg(F.sum("n")).first()[0] or 0
+    hot = table.where(F.col("n") > most / parts).drop("n")
+    rest = table.where(F.col("n") <= most / parts).drop("n")
+    marked = rows.join(F.broadcast(hot.select(key).withColumn("_hot", F.lit(True))), key, "left")
+    return marked.where("_hot").drop("_hot").join(F.broadcast(hot), key).unionByName(marked.where("_hot is null").drop("_hot").join(rest, key))
+
+
 def word_count(text: Column) -> Column:
     """Words between ASCII white space; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -321,20 +321,71 @@ def test_decontamination_of_reworded_items(spark):
     assert got == {(1, 1): False, (2, 2): False, (3, 2): True, (4, 2): True, (5, 2): True, (6, 2): False, (7, 2): False}
 
 
+def line_shingles(line):
+    low = line.lower()
+    return frozenset(low[j : j + lines.SHINGLE] for j in range(len(low) - lines.SHINGLE + 1)) or frozenset([low])
+
+
 def test_lines(spark, none):
     r = random.Random(4)
     long = [prose(20 + k, 12) for k in range(6)]
     edited = long[0][:60] + "!" + long[0][60:]
-    rows = [(5, "\n".join([long[0], "short", long[1]])), (2, edited + "\nshort\n" + long[2]), (9, long[1].upper() + "\n\n" + long[3]), (9, long[1].upper() + "\n\n" + long[3]), (3, None), (4, ""), (None, long[0])]
+    cyrillic = "Съешь же ещё этих мягких французских булок да выпей чаю"
+    rows = [
+        (5, "\n".join([long[0], "short", long[1]])), (2, edited + "\nshort\n" + long[2] + "\nSHORT\nabc\n\n \n"), (9, long[1].upper() + "\n\n" + long[3]), (9, long[1].upper() + "\n\n" + long[3]), (3, None), (4, ""), (None, long[0]),
+        (6, cyrillic + "\n漢字漢字漢字漢字漢\nabc"), (7, cyrillic.upper() + "\nx漢字漢字漢字漢字漢\n" + cyrillic.replace("этих", "тех")), (8, "aaaaaaa\naaaaaaaaaaa"), (11, "one text of an id\nabc"), (11, "another text of it\nabc"),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(0))
-    sets = {}
+    sets, place = {}, {}
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
-            b = line.lower().encode()
-            if i is not None and len(b) >= 40:
-                sets[i, k] = frozenset(b[j : j + 10] for j in range(len(b) - 9))
-    want = components_of(sets, 80)
-    got = {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in lines.duplicate_lines(docs).collect()}
-    assert got == {k: v for k, v in want.items() if k != v} and got
+            if i is not None and line.strip():
+                sets[i, t, k] = line_shingles(line)
+    want = components_of(sets, lines.PERCENT)
+    # of one doc_id with several texts a hash decides which comes first
+    simple = {k: v for k, v in want.items() if k[0] != 11}
+    found = lines.duplicate_lines(docs).collect()
+    got = {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in found if r.doc_id != 11}
+    assert got == {(i, k): (v[0], v[2]) for (i, _t, k), v in simple.items() if (i, _t, k) != v} and (7, 0) in got and (2, 3) in got
+    assert sorted((r.first_doc_id, r.first_line) for r in found if r.doc_id == 11) == [(2, 4), (2, 4)]
     assert lines.duplicate_lines(none).count() == 0
-    assert r
+    cleaned = {(r.doc_id, r.text): r.clean_text for r in lines.cleaned_documents(docs).collect()}
+    for i, t in rows:
+        if i is None or i != 11:
+            assert cleaned[i, t] == (t if t is None or i is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in got))
+    assert lines.cleaned_documents(none).count() == 0
+
+
+def test_lines_of_a_family_and_blocks(spark, monkeypatch):
+    """Many edited copies of a few lines, more than a block holds, against all pairs."""
+    from reelwork.llm import links
+
+    monkeypatch.setattr(links, "BLOCK", 8)
+    monkeypatch.setattr(links, "HUB_PAIRS", 8)
+    r = random.Random(8)
+    base = [prose(40 + k, 14) for k in range(3)]
+    made = []
+    for k in range(150):
+        w = base[k % 3].split()
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = f"edit{r.randint(0, 999)}"
+        made.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    want = components_of({k: line_shingles(t) for k, t in enumerate(made)}, lines.PERCENT)
+    got = {r.doc_id: r.first_doc_id for r in lines.duplicate_lines(docs).collect()}
+    assert got == {k: v for k, v in want.items() if k != v} and len(set(want.values())) > 3
+    monkeypatch.undo()
+
+
+def test_shared_bands_across_batches(spark):
+    from reelwork.llm import links
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        r = random.Random(5)
+        rows = [(r.randint(0, 40), r.randint(0, 6)) for _ in range(150)]
+        got = sorted((x.band, x.id) for x in links.shared_bands(spark.createDataFrame(rows, "band long, id long")).collect())
+        many = Counter(b for b, _ in set(rows))
+        assert got == sorted(x for x in set(rows) if many[x[0]] > 1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
