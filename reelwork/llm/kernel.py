@@ -132,19 +132,23 @@ def per_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return c[offsets[1:]] - c[offsets[:-1]]
 
 
-def least_samples(x: np.ndarray, first: np.ndarray, factors: np.ndarray, shifts: np.ndarray, block: int = 1 << 15) -> np.ndarray:
-    """MinHash samples (len(factors), sets) of 32-bit hashes that stand set by set, none empty, from first on.
+def least_samples(x: np.ndarray, begin: np.ndarray, end: np.ndarray, factors: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """MinHash samples (len(factors), sets) of the 32-bit hashes x[begin:end] of each set; sets come in order, none is empty.
 
-    The sets are taken in blocks that stay in the processor's cache.
+    Multiplying by an odd factor permutes the hashes. The sets are taken in blocks that stay in
+    the processor's cache.
     """
-    out = np.empty((len(factors), len(first)), np.uint32)
-    ends = np.append(first[1:], len(x))
+    out = np.empty((len(factors), len(begin)), np.uint32)
+    made = np.empty(block, np.uint32)
     i = 0
-    while i < len(first):
-        j = max(i + 1, int(np.searchsorted(ends, first[i] + block, "right")))
-        own, at = x[first[i] : ends[j - 1]], first[i:j] - first[i]
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + block, "right")))
+        own = x[begin[i] : end[j - 1]]
+        made = made if len(made) >= len(own) else np.empty(len(own), np.uint32)
+        # between two sets may lie hashes of neither
+        at = np.stack([begin[i:j], end[i:j]], 1).ravel()[:-1] - begin[i]
         for k in range(len(factors)):
-            np.minimum.reduceat(own * factors[k] + shifts[k], at, out=out[k, i:j])
+            out[k, i:j] = np.minimum.reduceat(np.multiply(own, factors[k], out=made[: len(own)]), at)[::2]
         i = j
     return out
 

@@ -11,13 +11,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reelwork.llm.kernel import IS_SPACE, bands_of, least_samples, lists, mix, pieces, powers, prefix_hash, span_hash
-from reelwork.llm.links import Union, link_classes, may_link, parities, shared_bands, with_payloads
-from reelwork.llm.shared import documents, join_hot, keep
+from reelwork.llm.kernel import U64, bands_of, least_samples, mix, pieces
+from reelwork.llm.links import Packer, Union, link_classes, may_link, n_buckets, parities, shared_bands, with_payloads
+from reelwork.llm.shared import bit_table, documents, join_hot, keep, with_bit
 from reelwork.session import arrow_map
 
 SHINGLE = 7
@@ -27,79 +27,67 @@ BANDS, ROWS = 14, 4
 
 _seeds = np.random.default_rng(20250202)
 _FACTORS = _seeds.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
-_SHIFTS = _seeds.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+_STEPS = _seeds.integers(0, 1 << 64, 3, U64) | U64(1)
+#: Bytes of text that are worked on at a time, so that the arrays stay in the processor's cache.
+WORK_BYTES = 1 << 18
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of the piece's documents: starts, ends, document, number in it."""
-    breaks = np.flatnonzero(data == 10)
-    starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
-    ends = np.sort(np.concatenate([offsets[1:], breaks]), kind="stable")
-    doc = np.repeat(np.arange(len(offsets) - 1), 1 + np.diff(np.searchsorted(breaks, offsets)))
-    return starts, ends, doc, np.arange(len(doc)) - np.searchsorted(doc, doc)
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The code points of UTF-8 bytes, and where each begins and the last ends; None where each is a byte."""
+    if (data < 128).all():
+        return data.astype(U64), None
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(U64), np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
 
 
-def shingles(data: np.ndarray, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the spans' shingles one after another, and how many each has."""
-    inverse = powers(len(c))[1]
-    if (data < 128).all():
-        n = np.maximum(ends - starts - SHINGLE + 1, 0)
-        at = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
-        return mix((c[at + SHINGLE] - c[at]) * inverse[at]), n
-    points = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-    lo, hi = np.searchsorted(points, starts), np.searchsorted(points, ends)
-    n = np.maximum(hi - lo - SHINGLE + 1, 0)
-    at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-    begin = points[at]
-    return mix((c[points[at + SHINGLE]] - c[begin]) * inverse[begin]), n
-
-
-def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, line, key, bands) for each line of docs (doc_id, doc, text) that is not blank.
-
-    bands is null for a line of less than a shingle, and for one that an earlier line of the
-    same piece equals.
-    """
-    schema = StructType.fromDDL("doc_id long, doc long, line int, key long, bands array<long>")
+def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of the shingle that begins at each code point, and for each span its first and the end of its last one."""
+    points, places = code_points(data)
+    if places is not None:
+        starts, ends = np.searchsorted(places, starts), np.searchsorted(places, ends)
+    if len(points) < SHINGLE:
+        return np.zeros(0, U64), starts, starts
+    two = points[:-1] * _STEPS[0] + points[1:]
+    four = two[:-2] * _STEPS[1] + two[2:]
+    # the two halves share a code point
+    return mix(four[: 4 - SHINGLE] * _STEPS[2] + four[SHINGLE - 4 :]), starts, np.maximum(ends - SHINGLE + 1, starts)
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, doc, line, key, text for each line of docs (doc_id, doc, text) that is not blank."""
+    lines = docs.select("doc_id", "doc", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    short = (F.octet_length("text") < 4 * SHINGLE) & (F.length("text") < SHINGLE)
+    return lines.withColumn("key", F.xxhash64(F.when(short, F.lower("text")).otherwise(F.col("text"))))
+
+
+def line_bands(lines: DataFrame) -> DataFrame:
+    """(bucket, bands, ids): the bands of the lines (key, text) of a shingle or more, their keys being the ids."""
+    buckets = n_buckets(lines.sparkSession)
 
     def run(batches):
+        pack = Packer(buckets)
         for batch in batches:
-            lowered = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc"), pc.utf8_lower(batch.column("text"))], names=["doc_id", "doc", "text"])
-            for part, data, offsets in pieces(lowered, "text"):
-                starts, ends, doc, number = spans(data, offsets)
-                full = np.concatenate([[0], np.cumsum(~IS_SPACE[data])])
-                own = full[ends] > full[starts]
-                starts, ends, doc, number = starts[own], ends[own], doc[own], number[own]
-                c = prefix_hash(data)
-                key = span_hash(c, starts, ends)
-                first = np.sort(np.unique(key, return_index=True)[1])
-                hashes, n = shingles(data, c, starts[first], ends[first])
-                first, n = first[n > 0], n[n > 0]
-                bands = bands_of(least_samples((hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(n) - n, _FACTORS, _SHIFTS), BANDS, ROWS)
-                has = np.zeros(len(key), np.int64)
-                has[first] = BANDS
-                listed = lists(np.ascontiguousarray(bands.T).view(np.int64).ravel(), has, pa.int64())
-                at = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("doc").take(at), pa.array(number, pa.int32()), pa.array(key.view(np.int64)), listed], names=schema.names)
-
-    return arrow_map(docs.select("doc_id", "doc", "text"), run, schema)
-
-
-def line_texts(docs: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, payload): the text of one line for each of ids (id), the keys of lines."""
-    places = lines.where("size(bands) > 0").join(ids, F.col("key") == F.col("id"), "left_semi").groupBy("key").agg(F.min(F.struct("doc", "line")).alias("x"))
-    by_doc = places.groupBy(F.col("x.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("x.line").alias("line"), "key")).alias("wanted"))
-    found = docs.select("doc", "text").join(by_doc, "doc").dropDuplicates(["doc"])
-    return found.select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w")).select(F.col("w.key").alias("id"), F.get("parts", F.col("w.line")).alias("payload"))
-
-
-def line_sets(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, also one after another, and how many each has."""
-    for _part, data, offsets in pieces(pa.RecordBatch.from_arrays([pc.utf8_lower(texts)], ["t"]), "t", 1 << 62):
-        hashes, n = shingles(data, prefix_hash(data), offsets[:-1], offsets[1:])
-        sets = [np.unique(x) for x in np.split(hashes, np.cumsum(n)[:-1])]
-        return sets, np.concatenate(sets), np.array([len(x) for x in sets])
-    return [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            first = pa.array(np.sort(np.unique(batch.column("key").to_numpy(), return_index=True)[1]))
+            lowered = pa.RecordBatch.from_arrays([batch.column("key").take(first), pc.utf8_lower(batch.column("text").take(first))], names=["key", "text"])
+            for part, data, offsets in pieces(lowered, "text", WORK_BYTES):
+                hashes, begin, end = shingles(data, offsets[:-1], offsets[1:])
+                own = end > begin
+                bands = bands_of(least_samples((hashes >> U64(32)).astype(np.uint32), begin[own], end[own], _FACTORS), BANDS, ROWS)
+                yield from pack.add(bands.view(np.int64).ravel(), np.tile(part.column("key").to_numpy()[own], BANDS))
+        yield from pack.rest()
+
+    return arrow_map(lines.select("key", "text"), run, Packer.SCHEMA)
+
+
+def line_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    out: list[np.ndarray] = []
+    for _part, data, offsets in pieces(pa.RecordBatch.from_arrays([pc.utf8_lower(texts)], ["t"]), "t", WORK_BYTES):
+        hashes, begin, end = shingles(data, offsets[:-1], offsets[1:])
+        for i, j in zip(begin.tolist(), end.tolist(), strict=True):
+            own = np.sort(hashes[i:j])
+            new = np.flatnonzero(own[1:] != own[:-1])
+            out.append(own if len(new) == len(own) - 1 else own[np.append(new, len(own) - 1)])
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -118,8 +106,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             a = batch.column("a").to_numpy()
             heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
-            of_a = line_sets(batch.column("of_a").take(pa.array(heads)))[0]
-            of_b = line_sets(batch.column("of_b"))[0]
+            of_a, of_b = line_sets(batch.column("of_a").take(pa.array(heads))), line_sets(batch.column("of_b"))
             which = np.searchsorted(heads, np.arange(len(a)), "right") - 1
             own = pa.array([i for i, k in enumerate(which.tolist()) if similar(of_a[k], of_b[i], percent)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(own), batch.column("b").take(own)], names=schema.names)
@@ -130,9 +117,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def block_links(percent: int):
     """For links_in_blocks(): a spanning set of the links between the components of a block."""
 
-    def links(_ids, comps, probes, builds, texts):
-        sets, values, counts = line_sets(texts)
-        parity, groups, out = parities(mix(values), counts), Union(comps), []
+    def prepare(texts):
+        sets = line_sets(texts)
+        counts = np.array([len(x) for x in sets], np.int64)
+        return sets, counts, parities(np.concatenate(sets), counts)
+
+    def links(prepared, comps, probes, builds, at):
+        sets, counts, parity = prepared[0][at], prepared[1][at], prepared[2][at]
+        groups, out = Union(comps), []
         for i in probes.tolist():
             for j in may_link(parity, counts, i, builds[comps[builds] != comps[i]], percent).tolist():
                 if groups.find(i) != groups.find(j) and similar(sets[i], sets[j], percent):
@@ -140,12 +132,17 @@ def block_links(percent: int):
                     out.append((i, j))
         return out
 
-    return links
+    return prepare, links
+
+
+def row_hash() -> Column:
+    """A hash of doc_id and text, null without a doc_id."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
 
 
 def named_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text and doc (a hash of both) of the rows that have a doc_id."""
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("doc"))
+    """doc_id, text and doc, the row's hash, of the rows that have a doc_id."""
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("doc"))
 
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -157,29 +154,33 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines; of one doc_id with several texts doc, a hash of both, tells which is meant.
     """
     rows = named_rows(docs)
-    lines = keep(line_rows(rows))
-    members = keep(shared_bands(lines.where("bands is not null").select(F.col("key").alias("id"), F.explode("bands").alias("band"))))
-    texts = keep(line_texts(rows, lines, members.select("id").distinct()))
+    members = shared_bands(line_bands(lines_of(rows)))
+    ids = keep(members.select("id").distinct())
+    lines = keep(with_bit(lines_of(rows), bit_table(ids, "id"), "key").withColumn("text", F.when(F.col("hit"), F.col("text"))))
+    texts = keep(lines.where("text is not null").join(ids, F.col("key") == F.col("id"), "left_semi").groupBy(F.col("key").alias("id")).agg(F.first("text").alias("payload")))
     near = link_classes(members, lambda pairs: pairs, lambda pairs: confirmed(pairs, texts, percent), texts, block_links(percent))
 
     place = F.struct("doc_id", "doc", "line")
-    keys = keep(lines.groupBy("key").agg(F.min(place).alias("place"), F.max(place).alias("last"), F.count("*").alias("n")))
-    labeled = keys.join(near.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key"))
+    keys = lines.groupBy("key").agg(F.min(place).alias("place"), F.max(place).alias("last"), F.count("*").alias("n"))
+    # a line that no other equals, and that has no link, goes no further
+    labeled = keep(keys.join(near.withColumnRenamed("node", "key"), "key", "left").where("component is not null or place < last").withColumn("label", F.coalesce("component", "key")))
     stays = labeled.groupBy("label").agg(F.min("place").alias("first"), F.max("last").alias("last")).where("first < last").select("label", "first")
-    gone = join_hot(lines.drop("bands"), labeled.join(stays, "label").select("key", "first", "n"), "key").where(place > F.col("first"))
+    gone = join_hot(lines.select("doc_id", "doc", "line", "key"), labeled.join(stays, "label").select("key", "first", "n"), "key").where(place > F.col("first"))
     return gone.select("doc_id", "doc", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line")).distinct()
 
 
 def cleaned_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with removed_lines (sorted numbers) and clean_text, the text without them; a null text stays null."""
     gone = duplicate_lines(docs, percent).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("_removed"))
-    keyed = docs.withColumn("_doc", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))))
-    out = keyed.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").withColumn("removed_lines", F.coalesce("_removed", F.array().cast("array<int>")))
+    out = docs.withColumn("_doc", row_hash()).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").withColumn("removed_lines", F.coalesce("_removed", F.array().cast("array<int>")))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda _x, i: ~F.array_contains("removed_lines", i)), "\n")
     return out.withColumn("clean_text", F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(left)).drop("_doc", "_removed")
 
 
 def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = cleaned_documents(documents(spark, sf_dir).select("doc_id", "text"))
-    n = F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
-    return cleaned.select("doc_id", n.cast("long").alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    n = F.when(F.col("text").isNotNull(), F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+    counted = docs.select("doc_id", row_hash().alias("doc"), n.cast("long").alias("n_lines"))
+    gone = duplicate_lines(docs).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"))
+    out = counted.join(gone, "doc", "left").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>")))
+    return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")

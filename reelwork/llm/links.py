@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,32 +29,108 @@ HUB_PAIRS = 512
 PARITY_BITS = 1024
 
 
-def shared_bands(entries: DataFrame) -> DataFrame:
-    """(band, id) of the rows (band, id) whose band another id has too, each once; both are longs."""
+class Packer:
+    """Gathers (band, id) pairs and gives them out by range of the band, many to a row."""
+
+    SCHEMA = "bucket int, bands binary, ids binary"
+    PAIRS = 1 << 20
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.n = buckets, [], 0
+
+    def add(self, bands: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((bands, ids))
+        self.n += len(bands)
+        if self.n >= self.PAIRS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        bands, ids = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.n = [], 0
+        bucket = (((bands.view(U64) >> U64(32)) * U64(self.buckets)) >> U64(32)).astype(np.uint16 if self.buckets < 1 << 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        own = np.flatnonzero(np.diff(cuts))
+        blob = lambda x: pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((np.append(cuts[own], cuts[-1]) * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x[order]))])
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), blob(bands), blob(ids)], ["bucket", "bands", "ids"])
+
+
+def n_buckets(spark: SparkSession) -> int:
+    """Ranges of the bands, several to each partition of a shuffle, so that these come out even."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def packed_bands(rows: DataFrame) -> DataFrame:
+    """(bucket, bands, ids) for rows (id, bands array<long>): pairs of a band and its id, many to a row."""
+    buckets = n_buckets(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = Packer(buckets)
+        for batch in batches:
+            bands = batch.column("bands")
+            yield from pack.add(bands.flatten().to_numpy(), np.repeat(batch.column("id").to_numpy(), pc.fill_null(pc.list_value_length(bands), 0).to_numpy()))
+        yield from pack.rest()
+
+    return arrow_map(rows.select("id", "bands"), run, Packer.SCHEMA)
+
+
+class Gatherer:
+    """Tells from (band, id) pairs those whose band has several ids; only bands with one so far are held."""
+
+    def __init__(self) -> None:
+        self.bands, self.ids, self.let = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def take(self, bands: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        b, i = np.concatenate([self.bands, bands]), np.concatenate([self.ids, ids])
+        order = np.argsort(b)
+        b, i = b[order], i[order]
+        same = b[1:] == b[:-1]
+        multiple = np.zeros(len(b), bool)
+        multiple[1:] |= same
+        multiple[:-1] |= same
+        if len(self.let):
+            multiple |= self.let[np.minimum(np.searchsorted(self.let, b), len(self.let) - 1)] == b
+        single_b, single_i = b[~multiple], i[~multiple]
+        b, i = b[multiple], i[multiple]
+        order = np.lexsort((i, b))
+        b, i = b[order], i[order]
+        new = np.ones(len(b), bool)
+        new[1:] = (b[1:] != b[:-1]) | (i[1:] != i[:-1])
+        b, i = b[new], i[new]
+        several = np.zeros(len(b), bool)
+        same = b[1:] == b[:-1]
+        several[1:] |= same
+        several[:-1] |= same
+        if len(self.let):
+            several |= self.let[np.minimum(np.searchsorted(self.let, b), len(self.let) - 1)] == b
+        self.bands, self.ids = np.concatenate([single_b, b[~several]]), np.concatenate([single_i, i[~several]])
+        self.let = np.union1d(self.let, b[several])
+        return b[several], i[several]
+
+
+def shared_bands(packed: DataFrame) -> DataFrame:
+    """(band, id) of the pairs in packed (bucket, bands, ids) whose band another id has too, each once.
+
+    A task holds the bands of its buckets, but not the ids of a band that has many.
+    """
     schema = StructType.fromDDL("band long, id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the rows come in order, so a row is shared if a neighbour has its band; the last one waits for its neighbour
-        bands, ids, linked = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        seen, held, n = Gatherer(), [], 0
+        numbers = lambda x: np.frombuffer(x.as_py(), np.int64)
         for batch in batches:
-            b, i = (np.concatenate([held, batch.column(k).to_numpy()]) for held, k in ((bands, "band"), (ids, "id")))
-            if not len(b):
-                continue
-            new = np.ones(len(b), bool)
-            new[1:] = (b[1:] != b[:-1]) | (i[1:] != i[:-1])
-            b, i = b[new], i[new]
-            hit = np.zeros(len(b), bool)
-            same = b[1:] == b[:-1]
-            hit[1:] |= same
-            hit[:-1] |= same
-            hit[0] |= linked
-            own = np.flatnonzero(hit[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(b[own]), pa.array(i[own])], schema.names)
-            bands, ids, linked = b[-1:], i[-1:], bool(hit[-1])
-        if linked:
-            yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(ids)], schema.names)
-
-    return arrow_map(entries.select("band", "id").repartition("band").sortWithinPartitions("band", "id"), run, schema)
+            for bands, ids in zip(batch.column("bands"), batch.column("ids"), strict=True):
+                held.append((numbers(bands), numbers(ids)))
+                n += len(held[-1][0])
+                if n >= max(Packer.PAIRS, len(seen.bands)):
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, seen.take(*(np.concatenate(x) for x in zip(*held, strict=True))))), schema.names)
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, seen.take(*(np.concatenate(x) for x in zip(*held, strict=True))))), schema.names)
+
+    return keep(arrow_map(packed.repartition("bucket"), run, schema).distinct())
 
 
 def with_leads(members: DataFrame) -> DataFrame:
@@ -113,37 +190,43 @@ def _blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return spread.select(F.xxhash64("band", "cell").alias("block"), "id", "component", probe.alias("probe"), (F.col("cell") % F.col("across") == F.col("at")).alias("build"))
 
 
-def links_in_blocks(shared: DataFrame, labels: DataFrame, payloads: DataFrame, links: Callable) -> DataFrame:
-    """(a, b) that links(ids, components, probes, builds, payloads) finds in each block; it gives index pairs."""
+def links_in_blocks(shared: DataFrame, labels: DataFrame, payloads: DataFrame, prepare: Callable, links: Callable) -> DataFrame:
+    """(a, b) of the links found in each block.
+
+    prepare(payloads) is what links(prepared, components, probes, builds, at) needs of the rows
+    of many blocks; at is the slice of one block, in which links gives pairs of places.
+    """
     rows = _blocks(shared, labels).join(payloads, "id").select("block", "id", "component", "probe", "build", "payload")
     schema = StructType.fromDDL("a long, b long")
 
-    def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        ids, comps = table.column("id").to_numpy(), table.column("component").to_numpy()
-        flag = lambda k: np.flatnonzero(table.column(k).to_numpy(zero_copy_only=False))
-        pairs = links(ids, comps, flag("probe"), flag("build"), table.column("payload").combine_chunks())
-        at = np.array(pairs, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], schema.names)
+    def found(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        block, ids, comps, probe, build = (table.column(k).to_numpy() for k in ("block", "id", "component", "probe", "build"))
+        prepared = prepare(pa.concat_arrays(table.column("payload").chunks))
+        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        out = []
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)], strict=True):
+            at = slice(i, j)
+            out += [(i + x, i + y) for x, y in links(prepared, comps[at], np.flatnonzero(probe[at]), np.flatnonzero(build[at]), at)]
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            block = batch.column("block").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[not held or block[0] != held[-1].column("block")[0].as_py()], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
-            if not len(block):
+            if not batch.num_rows:
                 continue
-            ends = np.append(cuts, len(block))
-            if ends[0]:
-                held.append(batch.slice(0, ends[0]))
-            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                if held:
-                    yield found(held)
-                held = [batch.slice(i, j - i)]
+            block = batch.column("block").to_numpy()
+            last = int(np.searchsorted(block, block[-1]))  # the last block may go on in the next batch
+            if last or (held and held[-1].column("block")[0].as_py() != block[0]):
+                whole = [*held, batch.slice(0, last)]
+                yield found(pa.Table.from_batches([x for x in whole if x.num_rows]))
+                held = []
+            held.append(batch.slice(last))
         if held:
-            yield found(held)
+            yield found(pa.Table.from_batches(held))
 
-    return arrow_map(rows.repartition("block").sortWithinPartitions("block", "id"), run, schema)
+    return arrow_map(rows.repartition("block").sortWithinPartitions("block"), run, schema)
 
 
 class Union:
@@ -164,17 +247,17 @@ class Union:
         self.up[self.find(i)] = self.find(j)
 
 
-def link_classes(members: DataFrame, stars_of: Callable, confirm: Callable, payloads: DataFrame, links: Callable, recheck: Callable | None = None) -> DataFrame:
+def link_classes(members: DataFrame, stars_of: Callable, confirm: Callable, payloads: DataFrame, in_block: tuple[Callable, Callable], recheck: Callable | None = None) -> DataFrame:
     """(node, component) over the links among members (band, id) of the same band.
 
     stars_of(pairs) keeps the pairs (a, b) of a lead and a member that may be links; confirm(pairs)
-    those that are. links finds links in a block of payloads (id, payload), or pairs that
-    recheck(pairs) still confirms.
+    those that are. in_block, prepare and links of links_in_blocks(), finds links in payloads
+    (id, payload), or pairs that recheck(pairs) still confirms.
     """
-    shared = keep(with_leads(keep(members)))
+    shared = keep(with_leads(members))
     stars = shared.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     joined = components(keep(confirm(keep(stars_of(stars)))))
-    bridges = keep(links_in_blocks(shared, joined, payloads, links))
+    bridges = keep(links_in_blocks(shared, joined, payloads, *in_block))
     if recheck is not None:
         bridges = keep(recheck(bridges.distinct()))
     return components(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(bridges))

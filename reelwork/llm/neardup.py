@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelwork.llm.kernel import LOWER, U64, bands_of, least_samples, lists, mix, prefix_hash, rolled, span_hash, words_of
-from reelwork.llm.links import PARITY_BITS, link_classes, may_link, parities, shared_bands, with_payloads
+from reelwork.llm.links import PARITY_BITS, link_classes, may_link, packed_bands, parities, shared_bands, with_payloads
 from reelwork.llm.shared import documents, join_hot, keep, map_text
 
 SHINGLE = 5
@@ -28,7 +28,6 @@ ESTIMATE = 0.55
 
 _seeds = np.random.default_rng(20250101)
 _FACTORS = _seeds.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
-_SHIFTS = _seeds.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +62,7 @@ def signatures(data: np.ndarray, offsets: np.ndarray, _texts) -> list:
     if len(full):
         for i, salt in enumerate((U64(0x51ED2701), U64(0xA4093822299F31D0))):
             keys[i, full] = np.add.reduceat(mix(values + salt), first)
-        small = least_samples((values >> U64(32)).astype(np.uint32), first, _FACTORS, _SHIFTS)
+        small = least_samples((values >> U64(32)).astype(np.uint32), first, first + counts[full], _FACTORS)
     bands = bands_of(small, BANDS, ROWS).T
     samples = mix(small.astype(U64) + (np.arange(BANDS * ROWS, dtype=U64) << U64(32))[:, None])
     bits = (samples % U64(SKETCH_BITS)).astype(np.int64) + np.arange(len(full)) * SKETCH_BITS
@@ -92,12 +91,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def block_links(percent: int):
     """For links_in_blocks(): the pairs whose sizes and whole-set sketches leave room for a link."""
 
-    def links(_ids, comps, probes, builds, payloads):
+    def prepare(payloads):
         rows = payloads.flatten().to_numpy().reshape(len(payloads), -1)
-        sizes, parity = rows[:, 0], rows[:, 1:]
+        return rows[:, 0], rows[:, 1:]
+
+    def links(prepared, comps, probes, builds, at):
+        sizes, parity = (x[at] for x in prepared)
         return [(i, j) for i in probes.tolist() for j in may_link(parity, sizes, i, builds[comps[builds] != comps[i]], percent).tolist()]
 
-    return links
+    return prepare, links
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -113,7 +115,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     of_key = usable.groupBy(F.struct("key1", "key2").alias("key")).agg(F.min_by(F.struct("doc_id", "bands", "sketch"), "doc_id").alias("x"), F.count("*").alias("n"))
     classes = keep(of_key.select("key", F.col("x.doc_id").alias("id"), "x.bands", "x.sketch", "n"))
-    members = keep(shared_bands(classes.select("id", F.explode("bands").alias("band"))))
+    members = shared_bands(packed_bands(classes.select("id", "bands")))
     sets = keep(map_text(rows.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), _sets, "shingles array<long>, parity array<long>", ["doc_id"]).select(F.col("doc_id").alias("id"), "parity", "shingles").dropDuplicates(["id"]))
     full = sets.select("id", F.col("shingles").alias("payload"))
     side = lambda c: classes.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))

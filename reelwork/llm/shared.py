@@ -100,6 +100,21 @@ def bit_filter(df: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def bit_table(df: DataFrame, column: str, bits: int = 24) -> DataFrame:
+    """(word, bits): bit_filter() as a table of at most 2**bits / 64 rows, which stays on Spark's side."""
+    place = F.shiftrightunsigned(column, 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    return keep(df.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")))
+
+
+def with_bit(rows: DataFrame, table: DataFrame, column: str, bits: int = 24) -> DataFrame:
+    """rows with hit, whether the hash in column may be one of those in bit_table()."""
+    place = F.shiftrightunsigned(column, 64 - bits)
+    held = rows.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(table), "word", "left")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col("bits"), F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+    return held.withColumn("hit", hit).drop("word", "bits")
+
+
 def in_filter(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     shift = np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)
     place = (hashes >> shift).astype(np.int64)

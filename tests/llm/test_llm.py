@@ -377,15 +377,22 @@ def test_lines_of_a_family_and_blocks(spark, monkeypatch):
     monkeypatch.undo()
 
 
-def test_shared_bands_across_batches(spark):
+def test_shared_bands(spark, monkeypatch):
     from reelwork.llm import links
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-    try:
-        r = random.Random(5)
-        rows = [(r.randint(0, 40), r.randint(0, 6)) for _ in range(150)]
-        got = sorted((x.band, x.id) for x in links.shared_bands(spark.createDataFrame(rows, "band long, id long")).collect())
-        many = Counter(b for b, _ in set(rows))
-        assert got == sorted(x for x in set(rows) if many[x[0]] > 1)
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    r = random.Random(5)
+    rows = [(r.randint(-(2**63), 2**63 - 1), [b << 57 for b in r.choices(range(-60, 60), k=3)]) for _ in range(60)]
+    rows += [(r_, b) for r_, b in rows[:20]] + [(1, []), (2, None)]
+    pairs = {(b, i) for i, x in rows for b in x or []}
+    many = Counter(b for b, _ in pairs)
+    table = spark.createDataFrame(rows, "id long, bands array<long>")
+    got = sorted((x.band, x.id) for x in links.shared_bands(links.packed_bands(table)).collect())
+    assert got == sorted(x for x in pairs if many[x[0]] > 1)
+
+    # taken in small parts, with bands that become shared late
+    seen, out = links.Gatherer(), set()
+    every = sorted(pairs, key=lambda x: hash(x))
+    for k in range(0, len(every), 7):
+        b, i = seen.take(np.array([x[0] for x in every[k : k + 7]]), np.array([x[1] for x in every[k : k + 7]]))
+        out |= set(zip(b.tolist(), i.tolist()))
+    assert out == {x for x in pairs if many[x[0]] > 1}
