@@ -33,7 +33,7 @@ class Packer:
     """Gathers (band, id) pairs and gives them out by range of the band, many to a row."""
 
     SCHEMA = "bucket int, bands binary, ids binary"
-    PAIRS = 1 << 20
+    PAIRS = 1 << 18
 
     def __init__(self, buckets: int):
         self.buckets, self.held, self.n = buckets, [], 0
@@ -256,8 +256,8 @@ def link_classes(members: DataFrame, stars_of: Callable, confirm: Callable, payl
     """
     shared = keep(with_leads(members))
     stars = shared.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    joined = components(keep(confirm(keep(stars_of(stars)))))
-    bridges = keep(links_in_blocks(shared, joined, payloads, *in_block))
+    joined = components(confirm(keep(stars_of(stars))))
+    bridges = links_in_blocks(shared, joined, payloads, *in_block)
     if recheck is not None:
-        bridges = keep(recheck(bridges.distinct()))
+        bridges = recheck(keep(bridges.distinct()))
     return components(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(bridges))

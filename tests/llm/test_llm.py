@@ -136,7 +136,9 @@ def test_near_duplicates_of_a_family(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("size", [400_000, 7])
+def test_components_of_chains(spark, monkeypatch, size):
+    monkeypatch.setattr(graph, "EDGES_PER_PART", size)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (None, 5), (7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
