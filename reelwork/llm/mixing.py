@@ -1,12 +1,12 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source is a queue of its documents in a shuffled order, served again from the start up
-to MAX_REPEATS times. A copy's virtual finish time is the running words of its source over
-the source's target. Copies are sorted by that time over all sources, and the mix ends when
-the budget is used up; a copy in service at that time gives the words served so far.
+to MAX_REPEATS times, in quanta of a few words. A quantum's virtual finish time is the running
+words of its source over the source's target. Quanta are sorted by that time into ranges over
+all sources, and the mix ends where the running words of that order reach the budget.
 
-Running sums are taken in two steps, within hash slots and over the slots' totals, so a
-source that holds most of the rows is spread over all slots.
+Running sums are taken in two steps, within slots or ranges and over their totals, so a source
+that holds most of the rows is spread over all of them.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from reelwork.llm.shared import bounded, documents, keep, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
+#: Words that a source is served at a time; a source ends within so many words of its share.
+QUANTUM = 128
 #: Hash slots of a source: the rows of a source are sorted in so many pieces.
 SLOTS = 4096
 
@@ -57,27 +59,42 @@ def _running(df: DataFrame, queue: list[Column], order: list[Column], amount: st
     return out.drop(*keys, "_slot", "_in_slot", "_before")
 
 
-def mix_copies(docs: DataFrame, targets: DataFrame, budget: float | None = None, repeats: int = MAX_REPEATS) -> DataFrame:
-    """The copies that the mix takes: doc_id, source, size, copy, taken, finish_time, position.
+def quanta(docs: DataFrame, targets: DataFrame, budget: float | None = None, repeats: int = MAX_REPEATS, quantum: int = QUANTUM) -> DataFrame:
+    """The quanta of words that may be served: doc_id, source, size, copy, quantum, words, finish_time, budget.
 
-    docs has doc_id, source, size. position is the number of words in the mix before the copy.
-    budget defaults to the sum of the targets. Ties of the shuffle go by doc_id; equal rows
-    take neighbouring places, and which is first makes no difference.
+    docs has doc_id, source, size. Ties of the shuffle go by doc_id; equal rows take
+    neighbouring places, and which is first makes no difference. budget defaults to the sum of
+    the targets. What is served after the budget for sure is left out: by a virtual time V at
+    least V times the targets, less a quantum of each source, has been served, and no source
+    that is not capped runs out before.
     """
     shuffled = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))).withColumn("shuffle", F.xxhash64(F.lit(7), "doc_id"))
     queue = _running(shuffled, [F.col("source")], [F.col("shuffle"), F.col("doc_id"), F.col("size")], "size", "ahead")
     goal = targets.select(F.col("source").alias("_source"), "source_size", "target")
-    # all targets are backlogged until time 1, so the budget is used up at budget / sum of targets
-    full = goal.agg(F.sum("target").alias("full_budget"))
-    goal = goal.crossJoin(F.broadcast(full)).withColumn("cutoff", F.lit(1.0) if budget is None else F.least(F.lit(1.0), F.lit(float(budget)) / F.col("full_budget")))
-    copies = queue.join(bounded(goal), F.col("source").eqNullSafe(F.col("_source"))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    free = F.when(F.col("target") < F.col("source_size") * repeats - 1e-6, F.col("target"))
+    full = goal.agg(F.sum("target").alias("all_targets"), F.sum(free).alias("free_targets"), F.count("*").alias("n_sources"))
+    share = F.lit(1.0) if budget is None else F.least(F.lit(1.0), F.lit(float(budget)) / F.col("all_targets"))
+    full = full.select((share * F.col("all_targets")).alias("budget"), (share + F.col("n_sources") * quantum / F.col("free_targets") + 1e-6).alias("latest"))
+    goal = goal.where("target > 0").crossJoin(F.broadcast(full))
+    copies = queue.where("size > 0").join(bounded(goal), F.col("source").eqNullSafe(F.col("_source"))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     start = F.col("copy") * F.col("source_size") + F.col("ahead")
-    served = F.floor(F.col("cutoff") * F.col("target") + F.lit(1e-6)) - start
-    taken = copies.withColumn("taken", F.least("size", served).cast("long")).where("taken > 0")
-    timed = taken.withColumn("finish_time", (start + F.col("size")) / F.col("target"))
-    timed = timed.withColumn("slot", F.floor(F.least(F.lit(2.0), F.col("finish_time")) * SLOTS))
-    placed = _running(timed, [], [F.col("finish_time"), F.col("source"), F.col("doc_id"), F.col("copy")], "taken", "position")
-    return placed.select("doc_id", "source", "size", "copy", "taken", "finish_time", "position")
+    in_time = lambda words: F.coalesce(words / F.col("target") <= F.col("latest"), F.lit(True))
+    served = copies.withColumn("start", start).where(in_time(F.col("start"))).withColumn("quantum", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / quantum))))
+    words = F.least(F.lit(quantum).cast("long"), F.col("size") - F.col("quantum") * quantum)
+    timed = served.withColumn("words", words).withColumn("finish_time", (F.col("start") + F.col("quantum") * quantum + F.col("words")) / F.col("target"))
+    return timed.where(F.col("finish_time") <= F.coalesce("latest", F.lit(float("inf")))).select("doc_id", "source", "size", "copy", "quantum", "words", "finish_time", "budget")
+
+
+def mixed(served: DataFrame) -> DataFrame:
+    """quanta() in order of finish time, with position, the words before each, and taken, what the budget leaves of it.
+
+    The order is cut into ranges; ties go by source, doc_id, copy and quantum.
+    """
+    order = ["finish_time", "source", "doc_id", "copy", "quantum"]
+    ranged = keep(served.repartitionByRange(*order).withColumn("slot", F.spark_partition_id()))
+    placed = _running(ranged, [], [F.col(c) for c in order], "words", "position")
+    left = F.floor(F.col("budget") + F.lit(1e-6)) - F.col("position")
+    return placed.withColumn("taken", F.greatest(F.lit(0), F.least("words", left)).cast("long")).where("taken > 0")
 
 
 def mix_sources(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, budget: float | None = None) -> DataFrame:
@@ -89,7 +106,7 @@ def mix_sources(docs: DataFrame, text: str = "text", weights: tuple[int, ...] =
     """
     sized = keep(docs.select("doc_id", "source", word_count(F.col(f"`{text}`")).alias("size")))
     targets = keep(source_targets(sized, weights, repeats))
-    taken = mix_copies(sized, targets, budget, repeats).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("all_taken"), F.min("position").alias("first_position"))
+    taken = mixed(quanta(sized, targets, budget, repeats)).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("all_taken"), F.min("position").alias("first_position"))
     t = taken.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")], "all_taken", "first_position")
     g = targets.select(F.col("source").alias("_of"), "source_size", "target")
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))

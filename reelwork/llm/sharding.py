@@ -1,24 +1,28 @@
 """Shards by fixed virtual slots and a versioned map from slots to shards.
 
 A record hashes into one of a few thousand slots, for good. Bytes are summed per slot, and a
-map (version, slot, shard) says which shard holds a slot; rebalancing edits the map and moves
-whole slots. Equal texts share a slot, unless their bytes exceed a bound: such a group is
-dealt over the slots by doc_id, so no slot outgrows a shard.
+map (version, slot, shard) says which shard holds a slot. The map is stored; a later run reads
+its newest version and, where shards have become uneven, adds one that moves whole slots. Equal
+texts share a slot; only a group of them that is larger than a shard is dealt over the slots, by
+doc_id.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelwork.llm.shared import documents, keep
+from reelwork.llm.shared import documents, keep, shared_folder
 
 SHARDS = 24
 SLOTS = 4096
 OVERHEAD_BYTES = 8
-#: A group of equal texts is dealt out if it is larger than this share of a shard.
-GROUP_SHARE = 0.05
+#: A stored map is edited once a shard holds this many times the mean.
+UNEVEN = 1.02
 
 
 def sized_records(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -28,10 +32,10 @@ def sized_records(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_slots(records: DataFrame, n_shards: int = SHARDS, n_slots: int = SLOTS) -> DataFrame:
-    """records with their virtual slot. At most n_shards / GROUP_SHARE groups can exceed the bound."""
-    total = records.agg((F.sum("size") * F.lit(GROUP_SHARE / n_shards)).alias("bound"))
+    """records with their virtual slot. Fewer than n_shards groups of equal texts can be larger than a shard."""
+    total = records.agg((F.sum("size") / n_shards).alias("shard_bytes"))
     groups = records.groupBy("text_hash", "text_crc32").agg(F.sum("size").alias("bytes"))
-    large = groups.crossJoin(F.broadcast(total)).where("bytes > bound").select("text_hash", "text_crc32", F.lit(True).alias("large"))
+    large = groups.crossJoin(F.broadcast(total)).where("bytes > shard_bytes").select("text_hash", "text_crc32", F.lit(True).alias("large"))
     marked = records.join(F.broadcast(large), ["text_hash", "text_crc32"], "left")
     return marked.withColumn("virtual_slot", F.pmod(F.when(F.col("large"), F.xxhash64(F.lit(11), "doc_id", "text_hash")).otherwise(F.xxhash64(F.lit(13), "text_hash")), F.lit(n_slots))).drop("large")
 
@@ -41,19 +45,74 @@ def slot_loads(slotted: DataFrame) -> DataFrame:
     return slotted.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("records"))
 
 
-def first_map(loads: DataFrame, n_shards: int = SHARDS) -> DataFrame:
-    """Version 1 of the map: (version, virtual_slot, shard). Each slot in order of size goes to the shard with the fewest bytes."""
-    slots = F.sort_array(F.collect_list(F.struct(F.col("bytes"), F.col("virtual_slot"))), asc=False)
-    empty = F.struct(F.array_repeat(F.lit(0).cast("long"), n_shards).alias("load"), F.expr("cast(array() as array<int>)").alias("chosen"))
+def _dealt(slots: DataFrame, held: DataFrame, n_shards: int) -> DataFrame:
+    """(virtual_slot, shard): each of slots (virtual_slot, bytes), the largest first, goes to the shard with the fewest bytes; held (shard, bytes) is there already."""
+    listed = slots.agg(F.sort_array(F.collect_list(F.struct(F.col("bytes"), F.col("virtual_slot"))), asc=False).alias("slots"))
+    loads = held.agg(F.map_from_entries(F.collect_list(F.struct("shard", "bytes"))).alias("held"))
+    zero = F.lit(0).cast("long")
+    begin = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda k: F.coalesce(F.try_element_at("held", k), zero))
+    empty = F.struct(begin.alias("load"), F.expr("cast(array() as array<int>)").alias("chosen"))
 
     def give(state: Column, slot: Column) -> Column:
         low = F.array_position(state["load"], F.array_min(state["load"])).cast("int")
-        load = F.transform(state["load"], lambda x, i: x + F.when(i == low - 1, slot["bytes"]).otherwise(F.lit(0)))
+        load = F.transform(state["load"], lambda x, i: x + F.when(i == low - 1, slot["bytes"]).otherwise(zero))
         return F.struct(load.alias("load"), F.array_append(state["chosen"], low - 1).alias("chosen"))
 
-    made = loads.agg(slots.alias("slots")).withColumn("chosen", F.aggregate("slots", empty, give, lambda s: s["chosen"]))
+    made = listed.crossJoin(F.broadcast(loads)).withColumn("chosen", F.aggregate("slots", empty, give, lambda s: s["chosen"]))
     pairs = made.select(F.explode(F.arrays_zip("slots", "chosen")).alias("x"))
-    return pairs.select(F.lit(1).alias("version"), F.col("x.slots.virtual_slot").alias("virtual_slot"), F.col("x.chosen").alias("shard"))
+    return pairs.select(F.col("x.slots.virtual_slot").alias("virtual_slot"), F.col("x.chosen").alias("shard"))
+
+
+def first_map(loads: DataFrame, n_shards: int = SHARDS) -> DataFrame:
+    """Version 1 of the map: (version, virtual_slot, shard)."""
+    none = loads.limit(0).select(F.lit(0).alias("shard"), "bytes")
+    return _dealt(loads.select("virtual_slot", "bytes"), none, n_shards).select(F.lit(1).alias("version"), "virtual_slot", "shard")
+
+
+def rebalanced_map(current: DataFrame, loads: DataFrame, n_shards: int = SHARDS) -> DataFrame:
+    """The next version of the map: shards keep slots (in hash order) up to the mean of bytes, the others move, and slots that are new are dealt too."""
+    every = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    sized = loads.select("virtual_slot", "bytes").join(current.select("virtual_slot", "shard"), "virtual_slot", "left")
+    running = F.sum("bytes").over(W.partitionBy("shard").orderBy("bytes", F.xxhash64("virtual_slot")))
+    marked = keep(sized.withColumn("stays", F.col("shard").isNotNull() & (running <= F.sum("bytes").over(every) / n_shards)))
+    stays = marked.where("stays")
+    moved = _dealt(marked.where("not stays"), stays.groupBy("shard").agg(F.sum("bytes").alias("bytes")), n_shards)
+    version = current.agg((F.max("version") + 1).alias("version"))
+    return stays.select("virtual_slot", "shard").unionByName(moved).crossJoin(F.broadcast(version)).select("version", "virtual_slot", "shard")
+
+
+def newest_map(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The newest version of the map that is stored in folder; None if there is none."""
+    try:
+        stored = spark.read.schema("virtual_slot long, shard int, version int").parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    newest = stored.agg(F.max("version")).first()[0]
+    return stored.where(F.col("version") == newest) if newest is not None else None
+
+
+def store_map(slot_map: DataFrame, folder: str) -> None:
+    """Adds the map's version to those in folder; none is changed."""
+    slot_map.select(F.col("virtual_slot").cast("long"), F.col("shard").cast("int"), F.col("version").cast("int")).coalesce(1).write.mode("append").partitionBy("version").parquet(folder)
+
+
+def current_map(loads: DataFrame, n_shards: int, folder: str) -> DataFrame:
+    """The stored map for loads; made where there is none, and edited where a slot is new or uneven shards can be made more even."""
+    spark = loads.sparkSession
+    held = newest_map(spark, folder)
+    if held is None:
+        store_map(first_map(loads, n_shards), folder)
+    else:
+        per_shard = loads.join(held, "virtual_slot", "left").groupBy("shard").agg(F.sum("bytes").alias("bytes"))
+        state = per_shard.agg(F.max(F.col("shard").isNull()).alias("new"), F.max("bytes").alias("most"), (F.sum("bytes") / n_shards).alias("mean")).first()
+        if state["most"] is not None and (state["new"] or state["most"] > UNEVEN * state["mean"]):
+            edited = keep(rebalanced_map(held, loads, n_shards))
+            most = edited.join(loads, "virtual_slot").groupBy("shard").agg(F.sum("bytes").alias("bytes")).agg(F.max("bytes")).first()[0]
+            if state["new"] or most < state["most"]:
+                store_map(edited, folder)
+    return newest_map(spark, folder) or first_map(loads, n_shards)
 
 
 def grown_map(current: DataFrame, loads: DataFrame) -> DataFrame:
@@ -82,15 +141,17 @@ def assigned(slotted: DataFrame, slot_map: DataFrame, loads: DataFrame) -> DataF
     return slotted.withColumn("within", within).join(F.broadcast(base), "virtual_slot").withColumn("slot", F.col("base") + F.col("within")).drop("base", "within")
 
 
-def shard_documents(docs: DataFrame, text: str = "text", n_shards: int = SHARDS, n_slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, text: str = "text", n_shards: int = SHARDS, n_slots: int = SLOTS, folder: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot, virtual_slot.
 
     Shards get near equal bytes. Null texts count 8 bytes and share the slot of empty ones.
-    Repeated rows each have a place. The map has n_slots rows at most, so it is broadcast.
+    Repeated rows each have a place. The map is kept in folder, by default a new one in the
+    shared folder; it has n_slots rows at most, so it is broadcast.
     """
     slotted = keep(with_slots(keep(sized_records(docs, text)), n_shards, n_slots))
     loads = keep(slot_loads(slotted))
-    return assigned(slotted, keep(first_map(loads, n_shards)), loads).select("doc_id", "size", "text_crc32", "shard", "slot", "virtual_slot")
+    chosen = current_map(loads, n_shards, folder or f"{shared_folder(docs.sparkSession)}/slot-map-{uuid.uuid4().hex}")
+    return assigned(slotted, chosen, loads).select("doc_id", "size", "text_crc32", "shard", "slot", "virtual_slot")
 
 
 def op5_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
