@@ -35,6 +35,10 @@ LITERALS = 4
 PERCENT = 60
 #: Alignments are chained if their shifts differ by at most so many tokens from one to the next.
 SLACK = 3
+#: An item too short for a window counts wherever its tokens stand, from so many tokens; a shorter one only as a whole document.
+LEAST_TOKENS = 3
+#: The way of an item too short for a window is this and its number of tokens.
+SHORT = 10
 #: A sentence without small letters is upper case from this many words, and tells no names.
 LOUD = 3
 
@@ -161,6 +165,14 @@ def windows(t: Tokens, way: int, plain: np.ndarray, n_docs: int, bits: np.ndarra
     return doc[at], hashes, at - begin, value[span][slot], slot.sum(1), total[doc[at]]
 
 
+def whole_runs(t: Tokens, length: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of each run of so many tokens, by their values, that may be a short item."""
+    at = inside(t.doc, length)
+    if length < LEAST_TOKENS:
+        at = at[np.bincount(t.doc, minlength=n_docs)[t.doc[at]] == length]
+    return t.doc[at], mix(rolled(t.value, length)[at] + U64(SHORT + length))
+
+
 def plain_words(rows: DataFrame) -> DataFrame:
     """(hash) of the words of rows (text) that stand there without a capital, or in a sentence all in capitals."""
     schema = StructType.fromDDL("hash long")
@@ -174,18 +186,34 @@ def plain_words(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.select("text"), run, schema)
 
 
-def template_windows(rows: DataFrame, plain: np.ndarray, bits: np.ndarray | None = None) -> DataFrame:
-    """id, way, hash, at, slots, n_windows for rows (id, text): all windows, or those whose hash is in the filter."""
+def template_windows(rows: DataFrame, plain: np.ndarray, bits: np.ndarray | None = None, lengths: list[int] | None = None) -> DataFrame:
+    """id, way, hash, at, slots, n_windows for rows (id, text): all windows, or those whose hash is in the filter.
+
+    Items without a window in either way have one row of all their tokens; of documents, those
+    of lengths are looked at.
+    """
     schema = StructType.fromDDL(", ".join(_KINDS))
     shared = rows.sparkSession.sparkContext.broadcast((plain, bits))
 
+    def found(tokens: Tokens, n_docs: int, plain: np.ndarray, bits: np.ndarray | None):
+        windowed = np.zeros(n_docs, bool)
+        for way in range(len(_SALTS)):
+            made = windows(tokens, way, plain, n_docs, bits)
+            windowed[made[0]] = True
+            yield way, made
+        size = np.bincount(tokens.doc, minlength=n_docs)
+        for length in np.unique(size[~windowed & (size > 0)]).tolist() if bits is None else lengths or []:
+            doc, hashes = whole_runs(tokens, length, n_docs)
+            own = np.flatnonzero(~windowed[doc] & (size[doc] == length)) if bits is None else np.flatnonzero(in_filter(bits, hashes))
+            none = np.zeros(len(own), np.int64)
+            yield SHORT + length, (doc[own], hashes[own], none, np.zeros(0, U64), none, none + 1)
+
     def run(batches):
         plain, bits = shared.value
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
                 tokens = tokens_of(data, offsets)
-                for way in range(len(_SALTS)):
-                    doc, hashes, at, values, n, total = windows(tokens, way, plain, len(offsets) - 1, bits)
+                for way, (doc, hashes, at, values, n, total) in found(tokens, len(offsets) - 1, plain, bits):
                     ids = part.column("id").take(pa.array(doc, pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(doc), way, np.int32)), pa.array(hashes.view(np.int64)), pa.array(at, pa.int32()), lists(values.view(np.int64), n, pa.int64()), pa.array(total, pa.int32())], names=schema.names)
 
@@ -219,14 +247,16 @@ def alignments(pairs: DataFrame, percent: int) -> DataFrame:
 def benchmark_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, matched_windows, item_windows, exact) for the items (item_id, text) that documents (doc_id, text) hold.
 
-    exact: every placeholder has the item's own value. Items and documents with fewer than
-    WINDOW tokens match nothing; so do null texts. An item all of whose windows have fewer
-    than LITERALS words is found where it was copied.
+    exact: every placeholder has the item's own value. An item all of whose windows have fewer
+    than LITERALS words is found where it was copied; so is one with fewer than WINDOW tokens,
+    which of under LEAST_TOKENS only a whole document can be. Null texts and texts without a
+    token match nothing.
     Rows with a null id are left out. Repeated rows give one row for each pair of ids.
     """
     plain = bit_filter(plain_words(items), "hash")
     bench = keep(template_windows(items.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text"), plain).distinct())
-    found = template_windows(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), plain, bit_filter(bench, "hash"))
+    lengths = [r.way - SHORT for r in bench.where(F.col("way") >= SHORT).select("way").distinct().collect()]
+    found = template_windows(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), plain, bit_filter(bench, "hash"), lengths)
     b = bench.select("hash", "way", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n_windows").alias("item_windows"))
     pairs = found.join(b, ["hash", "way"]).select(F.col("id").alias("doc_id"), "item_id", "way", "item_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("bound"))
     values = F.array_distinct(F.transform("bound", lambda x: x["item_slots"]))

@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 from reelwork.llm.kernel import per_doc
 from reelwork.llm.shared import documents, keep, map_text
+from reelwork.session import arrow_map
 
-#: Labelled rows that are used at most in all, and of one language; and languages that are learned at most.
+#: Labelled rows that are used at most in all, and of one language; each language has LEAST_ROWS of them if there are so many.
 SAMPLE_TOTAL = 2000
 SAMPLE_ROWS = 400
-MAX_LANGUAGES = 200
+LEAST_ROWS = 10
 BUCKETS = 8192
 ROUNDS = 120
 UNKNOWN = "und"
@@ -84,20 +85,33 @@ def pairs(n: int) -> list[tuple[int, int]]:
     return list(combinations(range(n), 2))
 
 
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets, their frequencies in percent, and how many buckets each text has."""
+    buckets, shares, counts = [], [], []
+    for text in texts:
+        bucket, _doc, n = trigrams(*lowered([text]))
+        found = np.bincount(bucket, minlength=BUCKETS)
+        own = np.flatnonzero(found)
+        buckets.append(own.astype(np.int32))
+        shares.append((found[own] * (100 / max(1, n[0]))).astype(np.float32))
+        counts.append(len(own))
+    empty = np.zeros(0, np.int32)
+    return np.concatenate([empty, *buckets]), np.concatenate([empty.astype(np.float32), *shares]), np.array(counts, np.int64)
+
+
 def fit(texts: list[str], langs: list[str]) -> Model:
-    x = np.zeros((len(texts), BUCKETS + 1), np.float32)
-    for i in range(0, len(texts), 50):
-        data, offsets = lowered(texts[i : i + 50])
-        bucket, doc, counts = trigrams(data, offsets)
-        n = len(counts)
-        found = np.bincount(doc * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
-        x[i : i + n, :-1] = found * (100 / np.maximum(counts, 1)[:, None])
+    return fit_features(*features(texts), langs)
+
+
+def fit_features(buckets: np.ndarray, shares: np.ndarray, counts: np.ndarray, langs: list[str]) -> Model:
+    x = np.zeros((len(langs), BUCKETS + 1), np.float32)
+    x[np.repeat(np.arange(len(langs)), counts), buckets] = shares
     x[:, -1] = 1
     names = np.array(langs)
     families = sorted({family_of(v) for v in langs})
     of = np.array([family_of(v) for v in langs])
     one = lambda rows, mask: svm(x[rows], np.where(mask[rows], 1, -1).astype(np.float32))
-    every = np.arange(len(texts))
+    every = np.arange(len(langs))
     languages = [sorted({v for v in langs if family_of(v) == f}) for f in families]
     return Model(
         families, np.stack([one(every, of == f) for f in families]) if len(families) > 1 else np.zeros((1, BUCKETS + 1), np.float32),
@@ -147,16 +161,33 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def training_rows(docs: DataFrame, per_language: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL) -> DataFrame:
-    """(lang, text): rows that are not held out, of each language the first by a hash of doc_id, up to per_language, and total in all."""
-    own = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64(F.lit(5), "doc_id").alias("h"))
-    counts = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES)
-    counts = keep(counts)
-    per_language = min(per_language, total // max(1, counts.count()))
+    """(lang, h, text): rows that are not held out, of each language the first by a hash of doc_id and text, up to per_language.
+
+    With many languages each has fewer rows, total in all, but LEAST_ROWS at least. Equal rows
+    count as one; a doc_id that stands for many texts is so many rows.
+    """
+    own = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(5), "doc_id", "text").alias("h"))
+    rows = own.select("lang", "h").distinct()
+    counts = keep(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    per_language = min(per_language, max(LEAST_ROWS, total // max(1, counts.count())))
     # the rows with a hash under twice the share that is wanted hold enough of them, save by a freak of chance
     share = F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))
-    near = own.join(F.broadcast(counts), "lang").where(share * F.col("n") < 2 * per_language + 50)
-    chosen = keep(near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_language).select("doc_id"))
-    return docs.join(F.broadcast(chosen), "doc_id", "left_semi").where("lang is not null").select("lang", "text")
+    near = rows.join(F.broadcast(counts), "lang").where(share * F.col("n") < 2 * per_language + 50)
+    chosen = keep(near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h"))).where(F.col("k") <= per_language).select("lang", "h"))
+    return own.join(F.broadcast(chosen), ["lang", "h"], "left_semi")
+
+
+def training_features(rows: DataFrame) -> DataFrame:
+    """(lang, h, buckets, shares) of rows (lang, h, text), each once: a text of any length is BUCKETS numbers at most."""
+
+    def run(batches):
+        for batch in batches:
+            buckets, shares, counts = features(batch.column("text").to_pylist())
+            ends = np.cumsum(counts) * 4
+            blob = lambda x: pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(x)])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), blob(buckets), blob(shares)], names=["lang", "h", "buckets", "shares"])
+
+    return arrow_map(rows, run, "lang string, h long, buckets binary, shares binary").dropDuplicates(["lang", "h"])
 
 
 def held_out():
@@ -169,9 +200,13 @@ def identify(docs: DataFrame, per_language: int = SAMPLE_ROWS) -> DataFrame:
     The machines learn from the text and lang of rows that are not held out, at most
     per_language of each language; predictions read the whole text alone. lang_pred is
     UNKNOWN, with score 0, if the text is null or has no letter, or nothing could be learned.
+    Repeated rows each get the same answer and are learned from once. Votes that tie go by the
+    sum of the margins, and equal sums by the language's name.
     """
-    sample = training_rows(docs, per_language).toPandas().sort_values(["lang", "text"])
-    model = fit(sample["text"].tolist(), sample["lang"].tolist()) if len(sample) else None
+    sample = sorted(training_features(training_rows(docs, per_language)).collect(), key=lambda r: (r.lang, r.h))
+    joined = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in sample])
+    model = fit_features(joined("buckets", np.int32), joined("shares", np.float32), np.array([len(r.buckets) // 4 for r in sample]), [r.lang for r in sample]) if sample else None
+    sample = None
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(_data, _offsets, texts) -> list:

@@ -363,6 +363,39 @@ def test_languages_of_a_family_meet_in_pairs():
     assert best.tolist() == [1, 0] and least.tolist() == [0.1, -0.2]
 
 
+def test_votes_against_all_pairs():
+    """predict() row by row against machines asked one after another."""
+    r = random.Random(6)
+    parts = {"en": ["the", "ing"], "de": ["der", "sch"], "nl": ["het", "ij"], "fr": ["eau", "tion"], "es": ["ción", "que"], "ja": ["です", "ます"]}
+    make = lambda lang: "".join(r.choice(parts[lang] + ["a ", "e ", "o"]) for _ in range(12))
+    langs = list(parts) * 15
+    model = language.fit([make(x) for x in langs], langs)
+    texts = [make(x) for x in langs] + ["", "a", "é"]
+    got, _score = language.predict(model, texts)
+    for text, lang in zip(texts, got, strict=True):
+        bucket, _doc, counts = language.trigrams(*language.lowered([text]))
+        ask = lambda w: sum(round(float(w[b]) * 65536) for b in bucket) / 65536 * 100 / max(1, counts[0]) + w[-1]  # noqa: B023, E731
+        f = int(np.argmax([ask(w) for w in model.family_weights]))
+        members = model.languages[f]
+        won, total = Counter(), Counter()
+        for w, (i, j) in zip(model.language_weights[f], language.pairs(len(members)), strict=True):
+            m = ask(w)
+            won[i if m >= 0 else j] += 1
+            total[i] += m
+            total[j] -= m
+        assert lang == members[max(range(len(members)), key=lambda k: (won[k], total[k], -k))]
+
+
+def test_training_rows_with_one_doc_id(spark):
+    rows = [(1 if zlib.crc32(b"1") % 4 != 2 else 5, f"text number {k} of one id", "en") for k in range(3000)] + [(k, f"ein anderer text {k}", "de") for k in range(30)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"h": F.lit(1), "k": F.lit(2), "n": F.lit(3)})
+    n = Counter(r.lang for r in language.training_features(language.training_rows(docs)).collect())
+    assert n["en"] == 400 and n["de"] == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(30))
+    many = spark.createDataFrame([(k, f"text {k}", f"l{k % 300}") for k in range(6000)], "doc_id long, text string, lang string")
+    learned = Counter(r.lang for r in language.training_rows(many).select("lang").collect())
+    assert len(learned) == 300 and max(learned.values()) <= 10
+
+
 def test_decontamination(spark):
     item = "If Anna has 3 red apples and Anna buys 12 km of rope from the old shop near the green river , how many days will that take her brother"
     asked_again = item.replace("Anna", "Bob").replace("3", "41").replace("12 km", "7 miles")
@@ -395,6 +428,13 @@ def line_shingles(line):
     return frozenset(low[j : j + lines.SHINGLE] for j in range(len(low) - lines.SHINGLE + 1)) or frozenset([low])
 
 
+def test_decontamination_of_short_items(spark):
+    items = [(1, "what is two plus two"), (2, "too short"), (3, "4 8 15 16 23 42 4"), (4, "..."), (5, "")]
+    rows = [(1, "We ask: What is two, plus two? Nobody knows"), (2, "it is too short to say"), (3, "Too short!"), (4, "the numbers 4 8 15 16 23 42 4 again"), (5, "what is two plus three"), (6, "..."), (7, ""), (8, "numbers 4 8 15 16 23 42 5"), (9, "what is two plus two"), (9, "what is two plus two")]
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.benchmark_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): True, (3, 2): True, (4, 3): True, (9, 1): True}
+
+
 def test_lines(spark, none):
     r = random.Random(4)
     long = [prose(20 + k, 12) for k in range(6)]
