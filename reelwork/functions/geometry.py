@@ -43,10 +43,10 @@ def center_distance(a: list[Column], b: list[Column]) -> Column:
 
 
 def padded(box: list[Column], ratio: float) -> list[Column]:
-    """The box grown by a share of its sides, rounded half to even and clamped to the space."""
-    dx, dy = (box[2] - box[0]) * ratio, (box[3] - box[1]) * ratio
-    low = lambda v: F.greatest(F.lit(0), F.bround(v, 0).cast("long"))
-    high = lambda v: F.least(F.lit(SPACE), F.bround(v, 0).cast("long"))
+    """The box grown by a share of its sides, which is rounded half to even, and clamped to the space."""
+    dx, dy = (F.bround((box[i + 2] - box[i]) * ratio, 0).cast("long") for i in (0, 1))
+    low = lambda v: F.greatest(F.lit(0), v)
+    high = lambda v: F.least(F.lit(SPACE), v)
     return [low(box[0] - dx), low(box[1] - dy), high(box[2] + dx), high(box[3] + dy)]
 
 

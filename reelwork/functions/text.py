@@ -16,12 +16,15 @@ def normalized(text: Column) -> Column:
 
 
 def safe_token(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
+    """Letters, digits and _.:- as they are, all else a hyphen, without hyphens and dots at the ends; 'region' if nothing is left."""
+    token = F.btrim(F.regexp_replace(text, "[^A-Za-z0-9_.:-]+", "-"), F.lit("-."))
+    return F.when(token == "", "region").otherwise(token)
 
 
 def contract_id(value: Column, prefix: str) -> Column:
-    """A value that is an id already, else the prefix and 16 hex digits of its hash."""
-    return F.when(value.rlike(r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,127}$"), value).otherwise(F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(value.cast("binary"), 256), 1, 16)))
+    """The trimmed value if it is an id, else the prefix, a hyphen and 16 hex digits of its hash."""
+    trimmed = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.when(trimmed.rlike(r"^[a-zA-Z0-9][a-zA-Z0-9_.:-]*\z"), trimmed).otherwise(F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(trimmed.cast("binary"), 256), 1, 16)))
 
 
 def canonical_sha256(*columns: str) -> Column:

@@ -2,40 +2,79 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from dataclasses import asdict, dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelwork.functions.text import canonical_sha256
 
-MIN_CONFIDENCE = 0.5
-MAX_SPEED = 900.0
 SOFT_FLOOR = 0.72
-MOTION = ("crop_speed_above_maximum",)
+MOTION = ("crop_speed_above_maximum", "crop_acceleration_above_maximum", "crop_jerk_above_maximum")
 TARGETING = ("semantic_match_below_minimum", "target_ambiguity_above_maximum", "track_confidence_below_minimum", "track_coverage_below_minimum")
 REVIEW = ("semantic_match_below_minimum", "target_ambiguity_above_maximum", "identity_switch_detected", "source_lineage_invalid")
 
 
+@dataclass(frozen=True)
+class Policy:
+    """Limits of the automatic reframing. Names and defaults are fixed values: they go into the policy's hash."""
+
+    policy_id: str = "auto_bounded_clip_v1"
+    max_candidates: int = 4
+    max_alternate_seeds_per_candidate: int = 1
+    max_repairs: int = 1
+    minimum_evidence_confidence: float = 0.0
+    max_crop_speed_pixels_per_second: float = 720.0
+    max_crop_acceleration_pixels_per_second_squared: float = 1800.0
+    max_crop_jerk_pixels_per_second_cubed: float = 7200.0
+    require_semantic_checkpoints: bool = False
+    allow_safe_center_crop: bool = False
+
+    def sha256(self) -> str:
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
 def _rules(*rules: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*rules)))
 
 
-def failure_codes() -> Column:
-    """The gates that a candidate fails, in order."""
+def _region_codes(region: Column) -> Column:
+    """The codes of one region (region_id, role, atomic, assessed, min_visible, required_visible, overlap)."""
+    full = (region["role"] == "hard_core") | region["atomic"]
+    clipped = F.when(full & (region["min_visible"] < 1.0), F.when(region["atomic"], "atomic_region_clipped").otherwise("hard_core_not_fully_retained"))
+    soft = F.when((region["role"] == "soft_extent") & (region["min_visible"] + 1e-6 < region["required_visible"]), F.lit("soft_extent_below_minimum"))
+    keepout = F.when((region["role"] == "overlay_keepout") & (region["overlap"] > 0), F.lit("overlay_keepout_violated"))
+    unseen = F.array(F.when(full, F.lit("hard_core_not_fully_retained")))
+    return F.when(region["assessed"], F.array(clipped, soft, keepout)).otherwise(unseen)
+
+
+def failure_codes(policy: Policy) -> Column:
+    """The gates that a candidate fails, in order, each once.
+
+    Candidates have lineage_ok, single_shot, confidence, semantic_status, confidence_ok, coverage_ok,
+    checkpoints_ok (null: not checked), regions (an array, see _region_codes()), max_speed,
+    max_acceleration, max_jerk, geometry_fingerprint, expected_fingerprint (null: not compared), strategy.
+    """
     say = lambda when, code: F.when(when, F.lit(code))
-    full = (F.col("role") == "hard_core") | F.col("atomic")
-    clipped = F.col("min_visible") < 1.0
-    return _rules(
-        say(~F.col("lineage_ok"), "source_lineage_invalid"), say(~F.col("single_shot"), "shot_boundary_crossing"), say(F.col("confidence") < MIN_CONFIDENCE, "evidence_confidence_below_minimum"),
+    switched = ~F.coalesce("checkpoints_ok", F.lit(not policy.require_semantic_checkpoints))
+    before = F.array(
+        say(~F.col("lineage_ok"), "source_lineage_invalid"), say(~F.col("single_shot"), "shot_boundary_crossing"), say(F.col("confidence") < policy.minimum_evidence_confidence, "evidence_confidence_below_minimum"),
         say(F.col("semantic_status") == "ambiguous", "target_ambiguity_above_maximum"), say(F.col("semantic_status").isin("not_visible", "target_mismatch", "insufficient_evidence"), "semantic_match_below_minimum"),
-        say(~F.col("confidence_ok"), "track_confidence_below_minimum"), say(~F.col("coverage_ok"), "track_coverage_below_minimum"),
-        F.when(full & clipped, F.when(F.col("atomic"), "atomic_region_clipped").otherwise("hard_core_not_fully_retained")),
-        say((F.col("role") == "soft_extent") & (F.col("min_visible") + 1e-6 < 0.95), "soft_extent_below_minimum"), say(F.col("max_speed") > MAX_SPEED, "crop_speed_above_maximum"),
+        say(~F.col("confidence_ok"), "track_confidence_below_minimum"), say(~F.col("coverage_ok"), "track_coverage_below_minimum"), say(switched, "identity_switch_detected"),
     )
+    after = F.array(
+        say(F.col("max_speed") > policy.max_crop_speed_pixels_per_second, "crop_speed_above_maximum"), say(F.col("max_acceleration") > policy.max_crop_acceleration_pixels_per_second_squared, "crop_acceleration_above_maximum"),
+        say(F.col("max_jerk") > policy.max_crop_jerk_pixels_per_second_cubed, "crop_jerk_above_maximum"), say(F.col("geometry_fingerprint") != F.col("expected_fingerprint"), "geometry_fingerprint_mismatch"),
+        say((F.col("strategy") == "center_crop") & F.lit(not policy.allow_safe_center_crop), "no_feasible_presentation"),
+    )
+    return F.array_distinct(F.array_compact(F.concat(before, F.flatten(F.transform("regions", _region_codes)), after)))
 
 
-def with_codes(candidates: DataFrame) -> DataFrame:
-    return candidates.withColumn("codes", failure_codes()).withColumn("passed", F.size("codes") == 0)
+def with_codes(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    return candidates.withColumn("codes", failure_codes(policy)).withColumn("passed", F.size("codes") == 0)
 
 
 def recovery(codes: Column, remaining: Column, seed_remaining: Column | None = None) -> Column:
@@ -60,14 +99,14 @@ def visibility_floor(role: Column, given: Column) -> Column:
     return F.when(role == "hard_core", 1.0).when(role == "overlay_keepout", 0.0).otherwise(F.coalesce(given, F.lit(SOFT_FLOOR)))
 
 
-def rank_preflights(candidates: DataFrame) -> DataFrame:
+def rank_preflights(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """candidates with place: passing ones first, then by rank and id."""
-    return with_codes(candidates).withColumn("place", F.row_number().over(W.partitionBy("chapter").orderBy((~F.col("passed")).cast("int"), "rank", "candidate_id")))
+    return with_codes(candidates, policy).withColumn("place", F.row_number().over(W.partitionBy("chapter").orderBy((~F.col("passed")).cast("int"), "rank", "candidate_id")))
 
 
-def first_accepted(candidates: DataFrame) -> DataFrame:
+def first_accepted(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """(chapter, winner, winner_rank, outcome): the first crop that passes in order of rank, else the first that fits with a background, else the first option blocked."""
-    c = with_codes(candidates)
+    c = with_codes(candidates, policy)
     fit = F.col("strategy") == "fit_with_background"
     best = lambda when: F.min(F.when(when, F.struct("rank", "candidate_id")))
     g = c.groupBy("chapter").agg(best(~fit & F.col("passed")).alias("crop"), best(fit).alias("fit"), best(F.lit(True)).alias("first"))
@@ -76,27 +115,27 @@ def first_accepted(candidates: DataFrame) -> DataFrame:
     return g.select("chapter", won["candidate_id"].alias("winner"), won["rank"].alias("winner_rank"), outcome.alias("outcome"))
 
 
-def attempts(candidates: DataFrame) -> DataFrame:
+def attempts(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """The candidates tried: all up to the accepted crop, or all of them."""
-    won = first_accepted(candidates)
-    return with_codes(candidates).join(won, "chapter").where((F.col("outcome") != "accepted_crop") | (F.col("rank") <= F.col("winner_rank")))
+    won = first_accepted(candidates, policy)
+    return with_codes(candidates, policy).join(won, "chapter").where((F.col("outcome") != "accepted_crop") | (F.col("rank") <= F.col("winner_rank")))
 
 
-def auto_route(candidates: DataFrame) -> DataFrame:
+def auto_route(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Each attempt with its codes, what follows, and the chapter's outcome."""
     last = F.max("rank").over(W.partitionBy("chapter"))
-    a = attempts(candidates).withColumn("remaining", F.col("rank") < last)
+    a = attempts(candidates, policy).withColumn("remaining", F.col("rank") < last)
     return a.withColumn("action", F.when(F.col("passed"), "accept").otherwise(recovery(F.col("codes"), F.col("remaining"))))
 
 
-def code_histogram(candidates: DataFrame) -> DataFrame:
-    return attempts(candidates).select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+def code_histogram(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    return attempts(candidates, policy).select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-def reframe_summary(candidates: DataFrame) -> DataFrame:
+def reframe_summary(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """One row: chapters, attempts, chapters that switched from their first option, blocked ones, and attempts to review."""
-    won = first_accepted(candidates).agg(F.count("*").alias("chapters"), F.count_if(F.col("winner_rank") > 1).alias("switched"), F.count_if(F.col("outcome") == "policy_blocked_preview_fit").alias("blocked"))
-    tried = auto_route(candidates).agg(F.count("*").alias("attempts"), F.count_if(F.col("action") == "review_required").alias("review_required"))
+    won = first_accepted(candidates, policy).agg(F.count("*").alias("chapters"), F.count_if(F.col("winner_rank") > 1).alias("switched"), F.count_if(F.col("outcome") == "policy_blocked_preview_fit").alias("blocked"))
+    tried = auto_route(candidates, policy).agg(F.count("*").alias("attempts"), F.count_if(F.col("action") == "review_required").alias("review_required"))
     return won.crossJoin(tried)
 
 
@@ -172,17 +211,43 @@ def region_violations(regions: DataFrame) -> DataFrame:
     return g.select("chapter", F.explode(_rules(F.when(F.col("cores") == 0, F.lit("no_required_region")), F.when(F.col("low") > 0, F.lit("required_not_full")), F.when(F.col("n") > 8, F.lit("too_many_regions")))).alias("rule"))
 
 
-def audit_bounded_clip(candidates: DataFrame, policy: str) -> DataFrame:
-    """(chapter, candidate_id, approved, applied, codes, audit_sha256)."""
-    c = with_codes(candidates).withColumns({"policy": F.lit(policy), "approved": F.col("passed")})
-    c = c.withColumn("applied", F.col("approved") & (F.col("role") == "soft_extent") & (F.col("min_visible") < 1.0))
-    return c.withColumn("audit_sha256", canonical_sha256("policy", "candidate_id", "rank", "approved", "applied", "codes")).select("chapter", "candidate_id", "approved", "applied", "codes", "audit_sha256")
+def audit_bounded_clip(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """(chapter, candidate_id, approved, applied, codes, audit_sha256); a clip is applied where an approved soft extent is not whole.
+
+    Candidates have source_fingerprint and track_fingerprints too; the hash is that of the audit's canonical JSON.
+    """
+    soft = F.exists("regions", lambda r: (r["role"] == "soft_extent") & (r["min_visible"] < 1.0))
+    c = with_codes(candidates, policy).withColumns({"policy_id": F.lit(policy.policy_id), "policy_sha256": F.lit(policy.sha256()), "candidate_rank": F.col("rank"), "approved": F.col("passed"), "failure_codes": F.col("codes")})
+    c = c.withColumn("auto_bounded_clip_applied", F.col("approved") & soft)
+    body = canonical_sha256("policy_id", "policy_sha256", "candidate_id", "candidate_rank", "approved", "auto_bounded_clip_applied", "failure_codes", "geometry_fingerprint", "source_fingerprint", "track_fingerprints")
+    return c.select("chapter", "candidate_id", "approved", F.col("auto_bounded_clip_applied").alias("applied"), "codes", body.alias("audit_sha256"))
+
+
+def _by_aspect(overrides: DataFrame) -> DataFrame:
+    """An override of both aspects is one of each."""
+    aspects = F.when(F.col("aspect") == "both", F.array(F.lit("horizontal"), F.lit("vertical"))).otherwise(F.array("aspect"))
+    return overrides.withColumn("aspect", F.explode(aspects))
 
 
-def apply_overrides(candidates: DataFrame, overrides: DataFrame) -> DataFrame:
-    """candidates with the last override (chapter, position, strategy) of each chapter."""
-    last = overrides.groupBy("chapter").agg(F.max_by("strategy", "position").alias("_new"))
-    return candidates.join(last, "chapter", "left").withColumn("strategy", F.coalesce("_new", "strategy")).drop("_new")
+def override_violations(chapters: DataFrame, candidates: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(chapter, aspect, rule) for overrides (chapter, aspect, candidate_id): known chapters and candidates, one override for a chapter and aspect."""
+    o = _by_aspect(overrides)
+    known = o.join(chapters.select("chapter", F.lit(True).alias("known")).distinct(), "chapter", "left").join(candidates.select("chapter", "candidate_id", F.lit(True).alias("held")).distinct(), ["chapter", "candidate_id"], "left")
+    n = F.count("*").over(W.partitionBy("chapter", "aspect"))
+    rules = _rules(F.when(F.col("known").isNull(), F.lit("unknown_chapter")), F.when(F.col("known") & F.col("held").isNull(), F.lit("unknown_candidate")), F.when(n > 1, F.lit("duplicate_override")))
+    return known.withColumn("rules", rules).select("chapter", "aspect", F.explode("rules").alias("rule")).distinct()
+
+
+def apply_overrides(chapters: DataFrame, candidates: DataFrame, overrides: DataFrame) -> DataFrame:
+    """chapters (chapter, horizontal_candidate_id, vertical_candidate_id) with the candidate that an override selects for an aspect.
+
+    An override that override_violations() names changes nothing.
+    """
+    wrong = override_violations(chapters, candidates, overrides).select("chapter", "aspect").distinct()
+    good = _by_aspect(overrides).join(wrong, ["chapter", "aspect"], "left_anti")
+    chosen = good.groupBy("chapter").agg(*[F.max(F.when(F.col("aspect") == a, F.col("candidate_id"))).alias(f"_{a}") for a in ("horizontal", "vertical")])
+    out = chapters.join(chosen, "chapter", "left")
+    return out.withColumns({f"{a}_candidate_id": F.coalesce(f"_{a}", f"{a}_candidate_id") for a in ("horizontal", "vertical")}).drop("_horizontal", "_vertical")
 
 
 def selected_assets(candidates: DataFrame) -> DataFrame:
@@ -214,9 +279,9 @@ def replan_differences(stored: DataFrame, computed: DataFrame) -> DataFrame:
     return stored.exceptAll(computed).withColumn("side", F.lit("stored")).unionByName(computed.exceptAll(stored).withColumn("side", F.lit("computed")))
 
 
-def quality_risks(candidates: DataFrame) -> DataFrame:
+def quality_risks(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """(chapter, risks): the sorted union of the codes of a chapter's candidates."""
-    return with_codes(candidates).groupBy("chapter").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("risks"))
+    return with_codes(candidates, policy).groupBy("chapter").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("risks"))
 
 
 def ordered_mismatches(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -259,14 +324,39 @@ def target_text(label: Column, features: Column, target: Column) -> Column:
 
 
 def region_kind(entity_kind: Column) -> Column:
-    return F.when(entity_kind.isin("person", "face"), "person").when(entity_kind.isin("screen", "ui"), "ui_region").when(entity_kind == "text", "text_region").otherwise("object")
+    """What a region of such an entity is, on the renderer's side."""
+    return F.when(entity_kind == "text_region", "text_region").when(entity_kind.isin("phone_screen", "screen", "ui_element"), "ui_region").when(entity_kind == "logo", "graphic").when(entity_kind == "other", "other").otherwise("subject")
 
 
 def preflight_rows(candidates: DataFrame) -> DataFrame:
-    """Preflight rows with presentation and a fingerprint of their geometry."""
-    presentation = F.when(F.col("strategy") == "fit_with_background", "fit").when(F.col("role") == "overlay_keepout", "center_crop").otherwise("tracked_crop")
-    c = candidates.withColumns({"presentation": presentation, "required_visible": visibility_floor(F.col("role"), F.lit(0.95))})
-    return c.withColumn("geometry_fingerprint", canonical_sha256("frame_id", "source_id", "role", "strategy")).select("chapter", "candidate_id", "presentation", "required_visible", "geometry_fingerprint")
+    """The preflight of each candidate from what the renderer's geometry says: (chapter, candidate_id, presentation, regions, geometry_fingerprint, expected_fingerprint, and the gates of failure_codes()).
+
+    Candidates have source_fingerprint, filter_graph, track_fingerprint (null: none), titles_rendered,
+    intents (an array of region_id, execution_role, atomic, floor) and geometry, a struct whose fields
+    stand in order of name, with applied_strategy, coverage_passed, max_* and min_required_area, and
+    soft_extents (an array of region_id, min_area). Hard cores share the least visible share of what is required; a soft
+    extent that the geometry does not know is not assessed; a keepout is safe where no title is drawn.
+    """
+    g = F.col("geometry")
+    names = {"contract_version": F.lit("vertical-candidate-geometry-preflight-v1"), "filter_graph": F.col("filter_graph"), "geometry": g, "source_sha256": F.col("source_fingerprint"), "track_fingerprint": F.col("track_fingerprint")}
+    fingerprint = F.sha2(F.to_json(F.struct(*[v.alias(k) for k, v in sorted(names.items())]), {"ignoreNullFields": "false"}), 256)
+
+    def assessed(intent: Column) -> Column:
+        role, soft = intent["execution_role"], F.get(F.filter(g["soft_extents"], lambda x: x["region_id"] == intent["region_id"]), F.lit(0))
+        hard = role == "hard_core"
+        is_soft = role == "soft_extent"
+        return F.struct(
+            intent["region_id"].alias("region_id"), role.alias("role"), (intent["atomic"] & ~is_soft).alias("atomic"), F.when(hard, True).when(is_soft, soft.isNotNull()).otherwise(~F.col("titles_rendered")).alias("assessed"),
+            F.when(hard, F.coalesce(g["min_required_area"], F.lit(1.0))).when(is_soft, F.coalesce(soft["min_area"], F.lit(0.0))).otherwise(1.0).alias("min_visible"),
+            F.when(hard, 1.0).when(is_soft, intent["floor"]).otherwise(0.0).alias("required_visible"), F.when(~hard & ~is_soft & F.col("titles_rendered"), 1.0).otherwise(0.0).alias("overlap"),
+        )
+
+    presentation = F.when(g["applied_strategy"].isin("tracked_crop", "center_crop"), g["applied_strategy"]).when(g["applied_strategy"] == "seed_anchor_crop", "static_anchor").otherwise("fit_with_background")
+    return candidates.select(
+        "chapter", "candidate_id", "rank", presentation.alias("strategy"), F.transform("intents", assessed).alias("regions"), fingerprint.alias("geometry_fingerprint"), fingerprint.alias("expected_fingerprint"),
+        F.coalesce(g["lineage_passed"], F.lit(True)).alias("lineage_ok"), F.lit(True).alias("single_shot"), "confidence", F.lit("matched").alias("semantic_status"), F.coalesce(g["confidence_passed"], F.lit(True)).alias("confidence_ok"),
+        F.coalesce(g["coverage_passed"], F.lit(True)).alias("coverage_ok"), F.lit(None).cast("boolean").alias("checkpoints_ok"), *[F.coalesce(g[k], F.lit(0.0)).alias(k) for k in ("max_speed", "max_acceleration", "max_jerk")],
+    )
 
 
 def clip_card_violations(events: DataFrame, entities: DataFrame) -> DataFrame:

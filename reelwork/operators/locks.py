@@ -107,7 +107,7 @@ def lock_violations(targets: DataFrame) -> DataFrame:
 
 def migrate_lock(targets: DataFrame) -> DataFrame:
     """Version 1 locks as version 2: (query_id, version, targets, lock_sha256), with the targets nested in order."""
-    nested = F.array_sort(F.collect_list(F.struct("target_id", F.substring("target_description", 1, 40).alias("text"))))
+    nested = F.array_sort(F.collect_list(F.struct("target_id", F.col("target_description").alias("text"))))
     g = targets.groupBy("query_id").agg(nested.alias("targets")).withColumn("version", F.lit(2))
     return g.withColumn("lock_sha256", F.sha2(F.array_join(F.transform("targets", lambda x: F.concat_ws(":", x["target_id"].cast("string"), x["text"])), "|"), 256))
 

@@ -60,9 +60,18 @@ def same_ids(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def review_reasons(segments: DataFrame) -> DataFrame:
-    """segments with reasons for a review: kept shorts, dropped hooks, odd lengths."""
-    reasons = F.array_distinct(F.array_compact(F.array(F.when(F.col("keep") & (F.col("duration_ms") < 4000), F.lit("short_segment")), F.when(~F.col("keep") & (F.col("editorial_role") == "hook"), F.lit("hook_dropped")), F.when(F.col("duration_ms") % 1000 == 0, F.lit("round_duration")))))
-    return segments.withColumn("reasons", reasons)
+    """segments with reasons: what the producer knows and one look at the final picture cannot waive.
+
+    Columns requires_review, coverage_passed, containment_feasible, controlled_clip (each may be
+    null: not said), fallback_reason and risk_codes (an array).
+    """
+    say = lambda when, reason: F.when(when, F.lit(reason))
+    facts = F.array_compact(F.array(
+        say(F.col("requires_review"), "manifest_requires_gemini_review"), say(~F.col("coverage_passed"), "required_region_tracking_coverage_failed"), say(~F.col("containment_feasible"), "required_region_full_containment_infeasible"),
+        say(F.col("controlled_clip"), "controlled_required_region_clip"), F.when(F.col("fallback_reason") != "", F.concat(F.lit("fallback:"), "fallback_reason")),
+    ))
+    risks = F.transform(F.filter(F.transform(F.coalesce("risk_codes", F.array().cast("array<string>")), lambda r: F.btrim(r)), lambda r: r != ""), lambda r: F.concat(F.lit("risk:"), r))
+    return segments.withColumn("reasons", F.array_distinct(F.concat(facts, risks)))
 
 
 def qa_verdict(observations: DataFrame) -> DataFrame:
@@ -105,19 +114,21 @@ def flatten_text(value: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
-def text_consensus(observations: DataFrame, claims: DataFrame | None = None) -> DataFrame:
-    """(claim_id, text, votes, total, unanimous, status): the most frequent normalized text, the first seen on a tie.
+def text_consensus(observations: DataFrame, claims: DataFrame) -> DataFrame:
+    """(claim_id, text, votes, total, matches, methods_agree, status) for claims (claim_id, claim_text, selected_text) and their readings (claim_id, pos, relevant_text).
 
-    status: verified if it is the claim's text, conflict if the readings differ, else mismatch.
+    The most frequent normalized reading wins, the first seen on a tie; readings that are empty
+    once normalized have no vote, but count in total. text is the first reading that says it. status:
+    machine_verified if all readings agree and say the claim's text; needs_human_review if they
+    agree on something else, or if a second method chose another text (selected_text, null if
+    it was not asked); else uncertain.
     """
-    n = observations.withColumn("text", normalized(F.col("relevant_text")))
-    counts = n.groupBy("claim_id", "text").agg(F.count("*").alias("votes"), F.min("pos").alias("first"))
-    total = F.sum("votes").over(W.partitionBy("claim_id"))
-    kinds = F.count("*").over(W.partitionBy("claim_id"))
-    rank = F.row_number().over(W.partitionBy("claim_id").orderBy(F.col("votes").desc(), "first"))
-    best = counts.withColumns({"total": total, "unanimous": kinds == 1, "_rn": rank}).where("_rn = 1").select("claim_id", "text", "votes", "total", "unanimous")
-    if claims is None:
-        return best
-    c = claims.select("claim_id", normalized(F.col("claim_text")).alias("claim"))
-    status = F.when(F.col("claim") == F.col("text"), "verified").when(~F.col("unanimous"), "conflict").otherwise("mismatch")
-    return best.join(c, "claim_id").withColumn("status", status).drop("claim")
+    n = observations.withColumn("key", normalized(F.col("relevant_text")))
+    seen = n.groupBy("claim_id", "key").agg(F.count("*").alias("votes"), F.min(F.struct("pos", "relevant_text")).alias("first"))
+    order = F.struct((F.col("key") != "").alias("has"), "votes", (-F.col("first.pos")).alias("early"))
+    g = seen.groupBy("claim_id").agg(F.max_by(F.struct("key", "votes", "first"), F.when(F.col("key") != "", order).otherwise(F.struct(F.lit(False).alias("has"), F.lit(0).cast("long").alias("votes"), F.lit(0).cast("long").alias("early")))).alias("x"), F.sum("votes").alias("total"))
+    key, votes = F.col("x.key"), F.when(F.col("x.key") != "", F.col("x.votes")).otherwise(0)
+    both = g.join(claims, "claim_id").withColumns({"votes": votes, "matches": key == normalized(F.col("claim_text")), "methods_agree": F.col("selected_text").isNull() | (normalized(F.col("selected_text")) == key)})
+    unanimous = (key != "") & (F.col("votes") == F.col("total"))
+    status = F.when(~F.col("methods_agree") | (unanimous & ~F.col("matches")), "needs_human_review").when(unanimous, "machine_verified").otherwise("uncertain")
+    return both.select("claim_id", F.col("x.first.relevant_text").alias("text"), "votes", "total", "matches", "methods_agree", status.alias("status"))

@@ -10,7 +10,10 @@ from reelwork.functions.times import ms_to_mmss, overlaps
 
 #: Width of the time buckets that interval joins hash on.
 BUCKET_MS = 86_400_000
-FAST_MARKERS = "fast|quick|sudden|flash|instant|brief|transient"
+# The words that ask for the highest rate.
+FAST_MARKERS = ("快速", "短暫", "0.2", "0.3", "0.4", "0.5", "fast", "transient", "ui")
+#: Frames of a window at most; more are a violation.
+MOST_FRAMES = 3600
 
 
 def shots_from_scores(boundaries: DataFrame, assets: DataFrame) -> DataFrame:
@@ -76,14 +79,14 @@ def interval_intersection(points: DataFrame, shots: DataFrame) -> DataFrame:
     return held.select("asset_id", "event_id", start.alias("from_ms"), end.alias("to_ms"), "seed_ms").where("from_ms <= seed_ms AND seed_ms < to_ms")
 
 
-def dense_window(events: DataFrame, shots: DataFrame, window_ms: int = 4000, least_ms: int = 250) -> DataFrame:
+def dense_window(events: DataFrame, shots: DataFrame, window_ms: int = 4000, least_ms: int = 250, keep: tuple[str, ...] = ()) -> DataFrame:
     """A window about the keyframe, or the middle, of each event, inside the event and its shot."""
     middle = F.floor((F.col("event_start") + F.col("event_end")) / 2)
     e = events.withColumnsRenamed({"start_ms": "event_start", "end_ms": "event_end"}).withColumn("center_ms", F.coalesce("keyframe_ms", middle))
     held = point_in_interval(e, shots, "asset_id", "center_ms")
     start = F.greatest(F.col("center_ms") - window_ms // 2, "event_start", "start_ms")
     end = F.least(F.col("center_ms") + window_ms // 2, "event_end", "end_ms")
-    return held.select("asset_id", "event_id", "shot_index", "center_ms", start.alias("window_start"), end.alias("window_end")).where(F.col("window_end") - F.col("window_start") >= least_ms)
+    return held.select("asset_id", "event_id", "shot_index", "center_ms", start.alias("window_start"), end.alias("window_end"), *keep).where(F.col("window_end") - F.col("window_start") >= least_ms)
 
 
 def segment_bounds(centers: DataFrame, shots: DataFrame, duration_ms: int, least_ms: int = 1000) -> DataFrame:
@@ -96,10 +99,10 @@ def segment_bounds(centers: DataFrame, shots: DataFrame, duration_ms: int, least
 
 
 def events_needing_dense(events: DataFrame, mode: str, ids: list[int] | None = None) -> DataFrame:
-    """events (with inspection: none, required or flagged) that the mode asks for; explicit ids win."""
+    """events (with inspection: none, required or recommended) that the mode asks for; explicit ids win."""
     if ids is not None:
         return events.where(F.col("event_id").isin(ids))
-    allowed = {"none": [], "required": ["required"], "flagged": ["required", "flagged"], "all": ["none", "required", "flagged"]}[mode]
+    allowed = {"none": [], "required": ["required"], "flagged": ["required", "recommended"], "all": ["none", "required", "recommended"]}[mode]
     return events.where(F.col("inspection").isin(allowed)) if allowed else events.limit(0)
 
 
@@ -109,7 +112,9 @@ def seed_time(frame_ms: Column, start: Column, end: Column) -> Column:
 
 
 def dense_fps(inspection: Column, text: Column) -> Column:
-    return F.when((inspection == "required") & F.lower(text).rlike(FAST_MARKERS), 8).when(inspection.isin("required", "flagged"), 4).otherwise(2)
+    """Frames a second: 8 where a look is required and the text speaks of something fast, 4 where one is asked for, else 2."""
+    fast = F.greatest(*[F.contains(F.lower(text), F.lit(m)) for m in FAST_MARKERS])
+    return F.when((inspection == "required") & fast, 8).when(inspection.isin("required", "recommended"), 4).otherwise(2)
 
 
 def grid(start: Column, end: Column, step: Column | int) -> Column:
@@ -118,10 +123,24 @@ def grid(start: Column, end: Column, step: Column | int) -> Column:
     return F.when(end > start, F.sequence(start, end - 1, step.cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
-def dense_grid(windows: DataFrame, step: Column | int, most: int = 3600) -> DataFrame:
-    """(asset_id, event_id, frame_ms): the grid of each window and its center, distinct, at most so many in order."""
-    times = F.array_distinct(F.array_sort(F.concat(grid(F.col("window_start"), F.col("window_end"), step), F.array(F.least("center_ms", F.col("window_end") - 1)))))
-    return windows.select("asset_id", "event_id", F.explode(F.slice(times, 1, most)).alias("frame_ms"))
+def _dense_times(step: Column | int) -> Column:
+    """The grid of a window and the event's keyframe, if it lies in the window, each once and inside the asset."""
+    held = (F.col("window_start") <= F.col("keyframe_ms")) & (F.col("keyframe_ms") < F.col("window_end"))
+    key = F.when(held, F.array("keyframe_ms")).otherwise(F.array().cast("array<bigint>"))
+    inside = F.transform(F.concat(grid(F.col("window_start"), F.col("window_end"), step), key), lambda t: F.least(F.greatest(t, F.lit(0)), F.col("duration_ms") - 1))
+    return F.array_sort(F.array_distinct(inside))
+
+
+def dense_grid(windows: DataFrame, step: Column | int, most: int = MOST_FRAMES) -> DataFrame:
+    """(asset_id, event_id, frame_ms) for windows with keyframe_ms and duration_ms; one of more frames than most has none, see dense_grid_violations()."""
+    times = windows.select("asset_id", "event_id", _dense_times(step).alias("times"))
+    return times.where(F.size("times") <= most).select("asset_id", "event_id", F.explode("times").alias("frame_ms"))
+
+
+def dense_grid_violations(windows: DataFrame, step: Column | int, most: int = MOST_FRAMES) -> DataFrame:
+    """(asset_id, event_id, rule, frames) of the windows that ask for more frames than most."""
+    asked = windows.select("asset_id", "event_id", F.lit("over_limit").alias("rule"), F.size(_dense_times(step)).cast("long").alias("frames"))
+    return asked.where(F.col("frames") > most)
 
 
 def bucket_sample(frames: DataFrame, key: str, at: str, step_ms: int, forced: str) -> DataFrame:

@@ -8,22 +8,42 @@ from reelwork.operators import candidates as K
 from reelwork.plans.base import query
 
 _E = "e_candidate"
+_POLICY = K.Policy(minimum_evidence_confidence=0.02)
 _CODES = """
-, coded AS (SELECT *, list_filter([CASE WHEN NOT lineage_ok THEN 'source_lineage_invalid' END, CASE WHEN NOT single_shot THEN 'shot_boundary_crossing' END, CASE WHEN confidence < 0.5 THEN 'evidence_confidence_below_minimum' END,
-    CASE WHEN semantic_status = 'ambiguous' THEN 'target_ambiguity_above_maximum' END, CASE WHEN NOT confidence_ok THEN 'track_confidence_below_minimum' END, CASE WHEN NOT coverage_ok THEN 'track_coverage_below_minimum' END,
-    CASE WHEN (role = 'hard_core' OR atomic) AND min_visible < 1.0 THEN CASE WHEN atomic THEN 'atomic_region_clipped' ELSE 'hard_core_not_fully_retained' END END,
-    CASE WHEN role = 'soft_extent' AND min_visible + 1e-6 < 0.95::DOUBLE THEN 'soft_extent_below_minimum' END, CASE WHEN max_speed > 900 THEN 'crop_speed_above_maximum' END], lambda x: x IS NOT NULL) AS codes FROM e_candidate)
+, flags AS (SELECT *, (role = 'hard_core' OR atomic) AND min_visible < 1.0 AND atomic AS a1, (role = 'hard_core' OR atomic) AND min_visible < 1.0 AND NOT atomic AS h1, role = 'soft_extent' AND min_visible + 1e-6 < CASE WHEN atomic THEN 1.0 ELSE 0.95 END::DOUBLE AS s1,
+    role2 = 'hard_core' AND (NOT assessed2 OR min_visible2 < 1.0) AS h2, assessed2 AND role2 = 'soft_extent' AND min_visible2 < 0.72 AS s2, assessed2 AND role2 = 'overlay_keepout' AND overlap2 > 0 AS o2 FROM e_candidate)
+, coded AS (SELECT *, list_filter([CASE WHEN NOT lineage_ok THEN 'source_lineage_invalid' END, CASE WHEN NOT single_shot THEN 'shot_boundary_crossing' END, CASE WHEN confidence < 0.02 THEN 'evidence_confidence_below_minimum' END,
+    CASE WHEN semantic_status = 'ambiguous' THEN 'target_ambiguity_above_maximum' WHEN semantic_status = 'not_visible' THEN 'semantic_match_below_minimum' END, CASE WHEN NOT confidence_ok THEN 'track_confidence_below_minimum' END, CASE WHEN NOT coverage_ok THEN 'track_coverage_below_minimum' END,
+    CASE WHEN NOT checkpoints_ok THEN 'identity_switch_detected' END, CASE WHEN a1 THEN 'atomic_region_clipped' END, CASE WHEN h1 THEN 'hard_core_not_fully_retained' END, CASE WHEN s1 THEN 'soft_extent_below_minimum' END,
+    CASE WHEN h2 AND NOT h1 THEN 'hard_core_not_fully_retained' END, CASE WHEN s2 AND NOT s1 THEN 'soft_extent_below_minimum' END, CASE WHEN o2 THEN 'overlay_keepout_violated' END,
+    CASE WHEN max_speed > 720 THEN 'crop_speed_above_maximum' END, CASE WHEN max_acceleration > 1800 THEN 'crop_acceleration_above_maximum' END, CASE WHEN max_jerk > 7200 THEN 'crop_jerk_above_maximum' END,
+    CASE WHEN geometry_fingerprint <> expected_fingerprint THEN 'geometry_fingerprint_mismatch' END, CASE WHEN strategy = 'center_crop' THEN 'no_feasible_presentation' END], lambda x: x IS NOT NULL) AS codes FROM flags)
 , judged AS (SELECT *, len(codes) = 0 AS passed FROM coded)"""
+_RECOVER = """CASE WHEN list_contains(codes, 'shot_boundary_crossing') THEN 'split_at_shot_boundary' WHEN codes = ['overlay_keepout_violated'] THEN 'reposition_overlay'
+    WHEN list_has_any(codes, ['crop_speed_above_maximum', 'crop_acceleration_above_maximum', 'crop_jerk_above_maximum']) THEN 'try_simpler_motion'"""
+_REVIEW = "WHEN list_has_any(codes, ['semantic_match_below_minimum', 'target_ambiguity_above_maximum', 'identity_switch_detected', 'source_lineage_invalid']) THEN 'review_required' ELSE 'fit_with_background' END"
 _WON = _CODES + """
 , g AS (SELECT chapter, min(CASE WHEN strategy <> 'fit_with_background' AND passed THEN rank END) AS crop, min(CASE WHEN strategy = 'fit_with_background' THEN rank END) AS fit, min(rank) AS first FROM judged GROUP BY chapter)
 , won AS (SELECT chapter, 'c' || coalesce(crop, fit, first) AS winner, coalesce(crop, fit, first) AS winner_rank, CASE WHEN crop IS NOT NULL THEN 'accepted_crop' WHEN fit IS NOT NULL THEN 'deferred_fit' ELSE 'policy_blocked_preview_fit' END AS outcome FROM g)
 , tried AS (SELECT judged.*, outcome, winner_rank FROM judged JOIN won USING (chapter) WHERE outcome <> 'accepted_crop' OR rank <= winner_rank)
-, routed AS (SELECT *, CASE WHEN passed THEN 'accept' WHEN list_contains(codes, 'shot_boundary_crossing') THEN 'split_at_shot_boundary' WHEN list_contains(codes, 'crop_speed_above_maximum') THEN 'try_simpler_motion'
-    WHEN rank < max(rank) OVER (PARTITION BY chapter) THEN 'try_next_candidate' WHEN list_has_any(codes, ['semantic_match_below_minimum', 'target_ambiguity_above_maximum', 'identity_switch_detected', 'source_lineage_invalid']) THEN 'review_required' ELSE 'fit_with_background' END AS action FROM tried)"""
+, routed AS (SELECT *, CASE WHEN passed THEN 'accept' ELSE """ + _RECOVER + " WHEN rank < max(rank) OVER (PARTITION BY chapter) THEN 'try_next_candidate' " + _REVIEW + " END AS action FROM tried)"
 _TEXT = "array_to_string(codes, ',') AS codes"
 _SELECTED = "SELECT chapter, 'c' || (1 + chapter % 3) AS selected FROM e_candidate GROUP BY chapter"
 
 
+def _region(name, role, atomic, assessed, visible, required, overlap):
+    parts = {"region_id": F.lit(name), "role": role, "atomic": atomic, "assessed": assessed, "min_visible": visible.cast("double"), "required_visible": required.cast("double"), "overlap": overlap.cast("double")}
+    return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+
+def _full(c):
+    """The candidates with their two regions and their fingerprints."""
+    first = F.when((F.col("role") == "hard_core") | F.col("atomic"), 1.0).when(F.col("role") == "soft_extent", 0.95).otherwise(0.0)
+    second = F.when(F.col("role2") == "hard_core", 1.0).when(F.col("role2") == "soft_extent", 0.72).otherwise(0.0)
+    regions = F.array(_region("r1", F.col("role"), F.col("atomic"), F.lit(True), F.col("min_visible"), first, F.lit(0.0)), _region("r2", F.col("role2"), F.lit(False), F.col("assessed2"), F.col("min_visible2"), second, F.col("overlap2")))
+    return c.withColumns({"regions": regions, "source_fingerprint": F.concat(F.lit("s"), F.col("source_id").cast("string")), "track_fingerprints": F.array(F.concat(F.lit("t"), F.col("frame_id").cast("string")))})
+
+
 def _joined(df, *columns):
     return df.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in columns})
 
@@ -34,15 +54,13 @@ def _selected(c):
 
 @query("f18_failure_codes", _E, sql=_CODES + f" SELECT chapter, candidate_id, {_TEXT} FROM judged")
 def _f18(c):
-    return _joined(K.with_codes(c).select("chapter", "candidate_id", "codes"), "codes")
+    return _joined(K.with_codes(_full(c), _POLICY).select("chapter", "candidate_id", "codes"), "codes")
 
 
-@query("f19_choose_recovery", _E, sql=_CODES + """
-SELECT chapter, candidate_id, CASE WHEN list_contains(codes, 'shot_boundary_crossing') THEN 'split_at_shot_boundary' WHEN list_contains(codes, 'crop_speed_above_maximum') THEN 'try_simpler_motion'
-    WHEN chapter % 2 = 0 AND list_has_any(codes, ['semantic_match_below_minimum', 'target_ambiguity_above_maximum', 'track_confidence_below_minimum', 'track_coverage_below_minimum']) THEN 'try_alternate_seed' WHEN rank < 3 THEN 'try_next_candidate'
-    WHEN list_has_any(codes, ['target_ambiguity_above_maximum', 'source_lineage_invalid']) THEN 'review_required' ELSE 'fit_with_background' END AS action FROM judged""")
+@query("f19_choose_recovery", _E, sql=_CODES + " SELECT chapter, candidate_id, " + _RECOVER + """
+    WHEN chapter % 2 = 0 AND list_has_any(codes, ['semantic_match_below_minimum', 'target_ambiguity_above_maximum', 'track_confidence_below_minimum', 'track_coverage_below_minimum']) THEN 'try_alternate_seed' WHEN rank < 3 THEN 'try_next_candidate' """ + _REVIEW + " AS action FROM judged")
 def _f19(c):
-    return K.with_codes(c).select("chapter", "candidate_id", K.recovery(F.col("codes"), F.col("rank") < 3, F.col("chapter") % 2 == 0).alias("action"))
+    return K.with_codes(_full(c), _POLICY).select("chapter", "candidate_id", K.recovery(F.col("codes"), F.col("rank") < 3, F.col("chapter") % 2 == 0).alias("action"))
 
 
 _ERROR = "CASE frame_id % 6 WHEN 0 THEN 'Error: ambiguous target' WHEN 1 THEN 'TARGET_MISMATCH' WHEN 2 THEN 'low confidence' WHEN 3 THEN 'fewer_than_two samples' WHEN 4 THEN 'Shot crosses boundary' ELSE 'other' END"
@@ -53,12 +71,17 @@ def _f20(c):
     return c.select("chapter", "candidate_id", K.codes_from_error(F.expr(_ERROR)).alias("code"))
 
 
-@query("f21_region_kind", _E, sql="SELECT chapter, candidate_id, CASE frame_id % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'ui_region' WHEN 2 THEN 'text_region' ELSE 'object' END AS kind, trim(regexp_replace(lower('Clip ' || candidate_id || '-' || role || '!'), '[^a-z0-9]+', '_', 'g'), '_') AS token FROM e_candidate")
+_ENTITY = "CASE frame_id % 8 WHEN 0 THEN 'person' WHEN 1 THEN 'screen' WHEN 2 THEN 'text_region' WHEN 3 THEN 'phone_screen' WHEN 4 THEN 'ui_element' WHEN 5 THEN 'logo' WHEN 6 THEN 'other' ELSE 'product' END"
+_LABEL = "CASE frame_id % 3 WHEN 0 THEN concat('..Clip ', candidate_id, ':', role, '!') WHEN 1 THEN '?!' ELSE concat('Ad_', candidate_id, '.v2') END"
+
+
+@query("f21_region_kind", _E, sql=f"""
+, n AS (SELECT chapter, candidate_id, {_ENTITY} AS k, trim(regexp_replace({_LABEL}, '[^A-Za-z0-9_.:-]+', '-', 'g'), '-.') AS t FROM e_candidate)
+SELECT chapter, candidate_id, CASE WHEN k = 'text_region' THEN 'text_region' WHEN k IN ('phone_screen', 'screen', 'ui_element') THEN 'ui_region' WHEN k = 'logo' THEN 'graphic' WHEN k = 'other' THEN 'other' ELSE 'subject' END AS kind, CASE WHEN t = '' THEN 'region' ELSE t END AS token FROM n""")
 def _f21(c):
     from reelwork.functions.text import safe_token
 
-    kind = F.expr("CASE frame_id % 4 WHEN 0 THEN 'face' WHEN 1 THEN 'screen' WHEN 2 THEN 'text' ELSE 'tool' END")
-    return c.select("chapter", "candidate_id", K.region_kind(kind).alias("kind"), safe_token(F.concat(F.lit("Clip "), "candidate_id", F.lit("-"), "role", F.lit("!"))).alias("token"))
+    return c.select("chapter", "candidate_id", K.region_kind(F.expr(_ENTITY)).alias("kind"), safe_token(F.expr(_LABEL)).alias("token"))
 
 
 @query("p14_execution_role", _E, sql="SELECT chapter, candidate_id, r AS execution_role, CASE r WHEN 'hard_core' THEN 1.0 WHEN 'overlay_keepout' THEN 0.0 ELSE coalesce(g, 0.72) END::DOUBLE AS floor FROM (SELECT *, CASE WHEN role = 'overlay_keepout' THEN 'overlay_keepout' WHEN role = 'hard_core' OR atomic THEN 'hard_core' ELSE 'soft_extent' END AS r, CASE WHEN frame_id % 2 = 0 THEN 0.8 END AS g FROM e_candidate)")
@@ -70,17 +93,17 @@ def _p14(c):
 
 @query("t4_rank_preflights", _E, sql=_CODES + " SELECT chapter, candidate_id, passed, row_number() OVER (PARTITION BY chapter ORDER BY NOT passed, rank, candidate_id) AS place FROM judged")
 def _t4(c):
-    return K.rank_preflights(c).select("chapter", "candidate_id", "passed", "place")
+    return K.rank_preflights(_full(c), _POLICY).select("chapter", "candidate_id", "passed", "place")
 
 
 @query("t5_first_accepted", _E, sql=_WON + " SELECT chapter, winner, winner_rank, outcome FROM won")
 def _t5(c):
-    return K.first_accepted(c)
+    return K.first_accepted(_full(c), _POLICY)
 
 
 @query("t5_attempts", _E, sql=_WON + " SELECT chapter, candidate_id, outcome FROM tried")
 def _t5a(c):
-    return K.attempts(c).select("chapter", "candidate_id", "outcome")
+    return K.attempts(_full(c), _POLICY).select("chapter", "candidate_id", "outcome")
 
 
 @query("t6_selected_first", _E, sql=f", s AS ({_SELECTED}) SELECT chapter, candidate_id, row_number() OVER (PARTITION BY chapter ORDER BY candidate_id <> selected, rank, candidate_id) AS new_rank FROM e_candidate JOIN s USING (chapter)")
@@ -169,22 +192,22 @@ def _p2(c):
 
 @query("a17_reframe_summary", _E, sql=_WON + " SELECT (SELECT count(*) FROM won) AS chapters, (SELECT count(*) FROM won WHERE winner_rank > 1) AS switched, (SELECT count(*) FROM won WHERE outcome = 'policy_blocked_preview_fit') AS blocked, (SELECT count(*) FROM routed) AS attempts, (SELECT count(*) FROM routed WHERE action = 'review_required') AS review_required")
 def _a17(c):
-    return K.reframe_summary(c)
+    return K.reframe_summary(_full(c), _POLICY)
 
 
 @query("a17_code_histogram", _E, sql=_WON + " SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM tried) GROUP BY code")
 def _a17h(c):
-    return K.code_histogram(c)
+    return K.code_histogram(_full(c), _POLICY)
 
 
 @query("c10_auto_route", _E, sql=_WON + f" SELECT chapter, candidate_id, {_TEXT}, action, outcome FROM routed")
 def _c10(c):
-    return _joined(K.auto_route(c).select("chapter", "candidate_id", "codes", "action", "outcome"), "codes")
+    return _joined(K.auto_route(_full(c), _POLICY).select("chapter", "candidate_id", "codes", "action", "outcome"), "codes")
 
 
 @query("a20_quality_risks", _E, sql=_CODES + ", x AS (SELECT chapter, unnest(codes) AS code FROM judged) SELECT j.chapter, coalesce((SELECT string_agg(DISTINCT code, ',' ORDER BY code) FROM x WHERE x.chapter = j.chapter), '') AS risks FROM (SELECT DISTINCT chapter FROM judged) j")
 def _a20(c):
-    return _joined(K.quality_risks(c), "risks")
+    return _joined(K.quality_risks(_full(c), _POLICY), "risks")
 
 
 @query("u2_same_ordered_ids", _E, sql="""
@@ -228,25 +251,61 @@ def _j15(c):
     return K.missing_ids(c.select("chapter", "frame_id"), c.where("rank = 1").select("frame_id").distinct(), "frame_id")
 
 
-@query("f33_preflight_from_geometry", _E, sql="""
-SELECT chapter, candidate_id, CASE WHEN strategy = 'fit_with_background' THEN 'fit' WHEN role = 'overlay_keepout' THEN 'center_crop' ELSE 'tracked_crop' END AS presentation, CASE role WHEN 'hard_core' THEN 1.0 WHEN 'overlay_keepout' THEN 0.0 ELSE 0.95 END::DOUBLE AS required_visible,
-    sha256(concat('{"frame_id":', frame_id, ',"role":"', role, '","source_id":', source_id, ',"strategy":"', strategy, '"}')) AS geometry_fingerprint FROM e_candidate""")
-def _f33(c):
-    return K.preflight_rows(c)
+_STRATEGY = "CASE frame_id % 4 WHEN 0 THEN 'tracked_crop' WHEN 1 THEN 'seed_anchor_crop' WHEN 2 THEN 'center_crop' ELSE 'blur' END"
 
 
-@query("f34_audit_bounded_clip", _E, sql=_CODES + """
-, a AS (SELECT *, passed AND role = 'soft_extent' AND min_visible < 1.0 AS applied FROM judged)
-SELECT chapter, candidate_id, passed AS approved, applied, array_to_string(codes, ',') AS codes, sha256(concat('{"applied":', applied, ',"approved":', passed, ',"candidate_id":"', candidate_id, '","codes":[', array_to_string(list_transform(codes, lambda x: '"' || x || '"'), ','), '],"policy":"bounded_v1","rank":', rank, '}')) AS audit_sha256 FROM a""")
+@query("f33_preflight_from_geometry", _E, sql=f"""
+, x AS (SELECT *, {_STRATEGY} AS applied, source_id % 4 = 0 AS titles, frame_id % 3 = 0 AS known FROM e_candidate)
+SELECT chapter, candidate_id, CASE applied WHEN 'seed_anchor_crop' THEN 'static_anchor' WHEN 'blur' THEN 'fit_with_background' ELSE applied END AS presentation, frame_id % 6 <> 0 AS coverage_ok,
+    concat('core:true:', CASE WHEN source_id % 5 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE, ':1.0:0.0|wide:', known, ':', CASE WHEN known THEN 0.75 ELSE 0.0 END::DOUBLE, ':0.72:0.0|logo:', NOT titles, ':1.0:0.0:', CASE WHEN titles THEN 1.0 ELSE 0.0 END::DOUBLE) AS regions,
+    sha256(concat('{{"contract_version":"vertical-candidate-geometry-preflight-v1","filter_graph":"crop=', frame_id, '","geometry":{{"applied_strategy":"', applied, '","confidence_passed":null,"coverage_passed":', frame_id % 6 <> 0, ',"lineage_passed":true,"max_acceleration":null,"max_jerk":null,"max_speed":', max_speed,
+        ',"min_required_area":', CASE WHEN source_id % 5 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE, ',"soft_extents":', CASE WHEN known THEN '[{{"region_id":"wide","min_area":0.75}}]' ELSE '[]' END, '}},"source_sha256":"s', source_id, '","track_fingerprint":', CASE WHEN frame_id % 2 = 0 THEN concat('"t', frame_id, '"') ELSE 'null' END, '}}')) AS geometry_fingerprint FROM x""")
+def _f33(c):
+    soft = F.array(F.struct(F.lit("wide").alias("region_id"), F.lit(0.75).alias("min_area")))
+    none = lambda kind: F.lit(None).cast(kind)
+    geometry = {"applied_strategy": F.expr(_STRATEGY), "confidence_passed": none("boolean"), "coverage_passed": F.col("frame_id") % 6 != 0, "lineage_passed": F.lit(True), "max_acceleration": none("double"), "max_jerk": none("double"), "max_speed": F.col("max_speed"), "min_required_area": F.when(F.col("source_id") % 5 == 0, 0.5).otherwise(1.0), "soft_extents": F.when(F.col("frame_id") % 3 == 0, soft).otherwise(F.slice(soft, 1, 0))}
+    intent = lambda name, role, floor: F.struct(F.lit(name).alias("region_id"), F.lit(role).alias("execution_role"), F.lit(False).alias("atomic"), F.lit(floor).alias("floor"))
+    given = {
+        "geometry": F.struct(*[v.alias(k) for k, v in geometry.items()]), "intents": F.array(intent("core", "hard_core", 1.0), intent("wide", "soft_extent", 0.72), intent("logo", "overlay_keepout", 0.0)), "source_fingerprint": F.concat(F.lit("s"), F.col("source_id").cast("string")),
+        "filter_graph": F.concat(F.lit("crop="), F.col("frame_id").cast("string")), "track_fingerprint": F.when(F.col("frame_id") % 2 == 0, F.concat(F.lit("t"), F.col("frame_id").cast("string"))), "titles_rendered": F.col("source_id") % 4 == 0,
+    }
+    text = F.array_join(F.transform("regions", lambda r: F.concat_ws(":", *[r[k].cast("string") for k in ("region_id", "assessed", "min_visible", "required_visible", "overlap")])), "|")
+    return K.preflight_rows(c.withColumns(given)).select("chapter", "candidate_id", F.col("strategy").alias("presentation"), "coverage_ok", text.alias("regions"), "geometry_fingerprint")
+
+
+@query("f34_audit_bounded_clip", _E, sql=_CODES + f"""
+, a AS (SELECT *, passed AND ((role = 'soft_extent' AND min_visible < 1.0) OR (role2 = 'soft_extent' AND min_visible2 < 1.0)) AS applied FROM judged)
+SELECT chapter, candidate_id, passed AS approved, applied, array_to_string(codes, ',') AS codes, sha256(concat('{{"approved":', passed, ',"auto_bounded_clip_applied":', applied, ',"candidate_id":"', candidate_id, '","candidate_rank":', rank, ',"failure_codes":[', array_to_string(list_transform(codes, lambda x: '"' || x || '"'), ','),
+    '],"geometry_fingerprint":"', geometry_fingerprint, '","policy_id":"auto_bounded_clip_v1","policy_sha256":"{_POLICY.sha256()}","source_fingerprint":"s', source_id, '","track_fingerprints":["t', frame_id, '"]}}')) AS audit_sha256 FROM a""")
 def _f34(c):
-    return _joined(K.audit_bounded_clip(c, "bounded_v1"), "codes")
+    return _joined(K.audit_bounded_clip(_full(c), _POLICY), "codes")
+
+
+_OVERRIDES = """
+, o AS (SELECT chapter, 'both' AS aspect, 'c2' AS candidate_id FROM e_candidate WHERE chapter % 4 = 0 AND rank = 1 UNION ALL SELECT chapter, 'vertical', 'c3' FROM e_candidate WHERE chapter % 6 = 0 AND rank = 1 UNION ALL SELECT -chapter, 'horizontal', 'c1' FROM e_candidate WHERE chapter % 50 = 1 AND rank = 1)
+, s AS (SELECT chapter, unnest(CASE WHEN aspect = 'both' THEN ['horizontal', 'vertical'] ELSE [aspect] END) AS aspect, candidate_id FROM o)
+, bad AS (SELECT chapter, aspect, 'unknown_chapter' AS rule FROM s WHERE chapter NOT IN (SELECT chapter FROM e_candidate) UNION SELECT chapter, aspect, 'unknown_candidate' FROM s WHERE chapter IN (SELECT chapter FROM e_candidate) AND (chapter, candidate_id) NOT IN (SELECT chapter, candidate_id FROM e_candidate)
+    UNION SELECT chapter, aspect, 'duplicate_override' FROM s GROUP BY chapter, aspect HAVING count(*) > 1)"""
+
+
+def _overrides(c):
+    first = c.where("rank = 1")
+    row = lambda rows, aspect, candidate: rows.select("chapter", F.lit(aspect).alias("aspect"), F.lit(candidate).alias("candidate_id"))
+    unknown = first.where("chapter % 50 = 1").withColumn("chapter", -F.col("chapter"))
+    return row(first.where("chapter % 4 = 0"), "both", "c2").unionByName(row(first.where("chapter % 6 = 0"), "vertical", "c3")).unionByName(row(unknown, "horizontal", "c1"))
+
+
+@query("c9_override_violations", _E, sql=_OVERRIDES + " SELECT * FROM bad")
+def _c9v(c):
+    return K.override_violations(c.select("chapter").distinct(), c, _overrides(c))
 
 
-@query("c9_apply_overrides", _E, sql="SELECT chapter, candidate_id, CASE WHEN chapter % 4 = 0 THEN 'b' || chapter % 3 ELSE strategy END AS strategy FROM e_candidate")
+@query("c9_apply_overrides", _E, sql=_OVERRIDES + """
+, good AS (SELECT * FROM s ANTI JOIN bad USING (chapter, aspect)), p AS (SELECT DISTINCT chapter FROM e_candidate)
+SELECT p.chapter, coalesce((SELECT max(candidate_id) FROM good g WHERE g.chapter = p.chapter AND aspect = 'horizontal'), 'c1') AS horizontal_candidate_id, coalesce((SELECT max(candidate_id) FROM good g WHERE g.chapter = p.chapter AND aspect = 'vertical'), 'c1') AS vertical_candidate_id FROM p""")
 def _c9(c):
-    ids = c.select("chapter").distinct().where("chapter % 4 = 0")
-    overrides = ids.select("chapter", F.lit(1).alias("position"), F.lit("a").alias("strategy")).unionByName(ids.select("chapter", F.lit(2).alias("position"), F.concat(F.lit("b"), (F.col("chapter") % 3).cast("string")).alias("strategy")))
-    return K.apply_overrides(c, overrides).select("chapter", "candidate_id", "strategy")
+    chapters = c.select("chapter", F.lit("c1").alias("horizontal_candidate_id"), F.lit("c1").alias("vertical_candidate_id")).distinct()
+    return K.apply_overrides(chapters, c, _overrides(c))
 
 
 @query("c16_trim_worklist", _E, sql="""
@@ -279,8 +338,8 @@ def _v13(c):
 
 
 @query("v16_region_rules", _E, sql="""
-, g AS (SELECT chapter, count(*) FILTER (WHERE role = 'hard_core') AS cores, count(*) FILTER (WHERE role = 'hard_core' AND min_visible < 1.0) AS low FROM e_candidate GROUP BY chapter)
-SELECT chapter, 'no_required_region' AS rule FROM g WHERE cores = 0 UNION ALL SELECT chapter, 'required_not_full' FROM g WHERE low > 0""")
+, g AS (SELECT chapter, count(*) FILTER (WHERE role = 'hard_core') AS cores, count(*) FILTER (WHERE role = 'hard_core' AND min_visible < 1.0) AS low, count(*) AS n FROM e_candidate GROUP BY chapter)
+SELECT chapter, 'no_required_region' AS rule FROM g WHERE cores = 0 UNION ALL SELECT chapter, 'required_not_full' FROM g WHERE low > 0 UNION ALL SELECT chapter, 'too_many_regions' FROM g WHERE n > 8""")
 def _v16(c):
     return K.region_violations(c)
 

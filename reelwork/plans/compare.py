@@ -48,8 +48,8 @@ def _f4(boxes):
 
 
 @query("f5_pad_box", "c_box", sql="""
-SELECT asset_id, event_id, greatest(0, round_even(x_min - (x_max - x_min) * 0.1::DOUBLE, 0)::BIGINT) AS x0, greatest(0, round_even(y_min - (y_max - y_min) * 0.1::DOUBLE, 0)::BIGINT) AS y0,
-    least(1000, round_even(x_max + (x_max - x_min) * 0.1::DOUBLE, 0)::BIGINT) AS x1, least(1000, round_even(y_max + (y_max - y_min) * 0.1::DOUBLE, 0)::BIGINT) AS y1 FROM c_box""")
+, p AS (SELECT *, round_even((x_max - x_min) * 0.1::DOUBLE, 0)::BIGINT AS dx, round_even((y_max - y_min) * 0.1::DOUBLE, 0)::BIGINT AS dy FROM c_box)
+SELECT asset_id, event_id, greatest(0, x_min - dx) AS x0, greatest(0, y_min - dy) AS y0, least(1000, x_max + dx) AS x1, least(1000, y_max + dy) AS y1 FROM p""")
 def _f5(boxes):
     return boxes.select("asset_id", "event_id", *[c.alias(n) for c, n in zip(G.padded(C.box(), 0.1), ("x0", "y0", "x1", "y1"), strict=True)])
 

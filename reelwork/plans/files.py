@@ -17,9 +17,9 @@ def _s1(j):
     return j.select("event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("s2_media_registry", "k_file", sql="SELECT path, split_part(path, '/', -1) AS name FROM k_file ORDER BY lower(split_part(path, '/', -1)), path LIMIT 50")
+@query("s2_media_registry", "k_file", sql="SELECT path, split_part(path, '/', -1) AS name FROM k_file")
 def _s2(k):
-    return S.media_registry(k, first=50).select("path", "name")
+    return S.media_registry(k, suffixes=("txt",)).select("path", "name")
 
 
 @query("s3_content_identity", "k_file", sql=_ID + " SELECT path, asset_id, substring(asset_id, 8, 16) AS short_key FROM ids")
@@ -58,7 +58,8 @@ def _s9(k):
     return S.split_public_private(S.content_identity(k).select("path", "asset_id", "duration_ms"))[0]
 
 
-@query("f22_contract_id", "k_file", sql="SELECT path, CASE WHEN regexp_full_match(v, '[A-Za-z0-9][A-Za-z0-9_.-]{0,127}') THEN v ELSE 'asset_' || substring(sha256(v), 1, 16) END AS id FROM (SELECT path, CASE WHEN duration_ms % 2 = 0 THEN path ELSE 'id-' || duration_ms END AS v FROM k_file)")
+@query("f22_contract_id", "k_file", sql="SELECT path, CASE WHEN regexp_full_match(v, '[a-zA-Z0-9][a-zA-Z0-9_.:-]*') THEN v ELSE 'asset-' || substring(sha256(v), 1, 16) END AS id FROM (SELECT path, trim(CASE duration_ms % 3 WHEN 0 THEN path WHEN 1 THEN ' id-' || duration_ms || ' ' ELSE 'id:' || duration_ms END) AS v FROM k_file)")
 def _f22(k):
-    v = F.when(F.col("duration_ms") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("id-"), F.col("duration_ms").cast("string")))
+    d = F.col("duration_ms").cast("string")
+    v = F.when(F.col("duration_ms") % 3 == 0, F.col("path")).when(F.col("duration_ms") % 3 == 1, F.concat(F.lit(" id-"), d, F.lit(" "))).otherwise(F.concat(F.lit("id:"), d))
     return k.select("path", contract_id(v, "asset").alias("id"))

@@ -130,6 +130,6 @@ def _v11(t):
     return L.lock_violations(t.where("NOT (query_id % 11 = 0 AND target_id = 0)").unionByName(t.where("query_id % 7 = 0 AND NOT (query_id % 11 = 0 AND target_id = 0)")))
 
 
-@query("c13_query_lock_pipeline", _J, sql="SELECT query_id, 2::BIGINT AS version, count(*) AS targets, sha256(string_agg(concat(target_id, ':', left(target_description, 40)), '|' ORDER BY target_id)) AS lock_sha256 FROM j_target GROUP BY query_id")
+@query("c13_query_lock_pipeline", _J, sql="SELECT query_id, 2::BIGINT AS version, count(*) AS targets, sha256(string_agg(concat(target_id, ':', target_description), '|' ORDER BY target_id)) AS lock_sha256 FROM j_target GROUP BY query_id")
 def _c13(t):
     return L.migrate_lock(t).select("query_id", "version", F.size("targets").alias("targets"), "lock_sha256")

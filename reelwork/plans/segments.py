@@ -11,7 +11,17 @@ from reelwork.plans.base import query
 _TIME = """
 , t AS (SELECT *, coalesce(sum(duration_ms) OVER (PARTITION BY project_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms FROM g_segment)
 , timeline AS (SELECT *, start_ms + duration_ms AS end_ms FROM t)"""
-_REASONS = "concat_ws(',', CASE WHEN keep AND duration_ms < 4000 THEN 'short_segment' END, CASE WHEN NOT keep AND editorial_role = 'hook' THEN 'hook_dropped' END, CASE WHEN duration_ms % 1000 = 0 THEN 'round_duration' END)"
+# What a producer says of a segment, spelt alike for Spark and DuckDB.
+_SAID = {
+    "requires_review": "CASE feature_id % 7 WHEN 0 THEN true WHEN 1 THEN false END", "coverage_passed": "CASE feature_id % 5 WHEN 0 THEN false WHEN 1 THEN true END", "containment_feasible": "feature_id % 11 <> 0",
+    "controlled_clip": "feature_id % 13 = 0", "fallback_reason": "CASE feature_id % 9 WHEN 0 THEN 'seed_anchor' WHEN 1 THEN '' END", "risk": "CASE feature_id % 4 WHEN 0 THEN ' zoom ' WHEN 1 THEN '  ' ELSE 'edge' END",
+}
+_FACTS = ", facts AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _SAID.items()) + " FROM g_segment)"
+_REASONS = "concat_ws(',', CASE WHEN requires_review THEN 'manifest_requires_gemini_review' END, CASE WHEN NOT coverage_passed THEN 'required_region_tracking_coverage_failed' END, CASE WHEN NOT containment_feasible THEN 'required_region_full_containment_infeasible' END, CASE WHEN controlled_clip THEN 'controlled_required_region_clip' END, CASE WHEN fallback_reason <> '' THEN 'fallback:' || fallback_reason END, CASE WHEN trim(risk) <> '' THEN 'risk:' || trim(risk) END)"
+
+
+def _facts(s):
+    return s.withColumns({k: F.expr(v) for k, v in _SAID.items()}).withColumn("risk_codes", F.array("risk", "risk"))
 
 
 @query("w9_timeline_cursor", "g_segment", sql=_TIME + " SELECT project_id, feature_id, start_ms, end_ms FROM timeline")
@@ -50,16 +60,16 @@ def _f25(s):
     return s.select("feature_id", F.array_join(parts, ",").alias("text"))
 
 
-@query("f26_review_reasons", "g_segment", sql=f"SELECT feature_id, {_REASONS} AS reasons FROM g_segment")
+@query("f26_review_reasons", "g_segment", sql=_FACTS + f" SELECT feature_id, {_REASONS} AS reasons FROM facts")
 def _f26(s):
-    return G.review_reasons(s).select("feature_id", F.array_join("reasons", ",").alias("reasons"))
+    return G.review_reasons(_facts(s)).select("feature_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("a16_qa_verdict", "g_segment", sql=f"""
-, o AS (SELECT *, feature_id % 97 = 0 AS critical, feature_id % 5 <> 0 AS clean, {_REASONS} <> '' AS open FROM g_segment), g AS (SELECT project_id, bool_or(critical) AS critical, bool_and(clean) AS clean, bool_or(open) AS open FROM o GROUP BY project_id)
+@query("a16_qa_verdict", "g_segment", sql=_FACTS + f"""
+, o AS (SELECT *, feature_id % 97 = 0 AS critical, feature_id % 5 <> 0 AS clean, {_REASONS} <> '' AS open FROM facts), g AS (SELECT project_id, bool_or(critical) AS critical, bool_and(clean) AS clean, bool_or(open) AS open FROM o GROUP BY project_id)
 SELECT project_id, CASE WHEN critical THEN 'reject' WHEN clean AND NOT open THEN 'pass' ELSE 'review' END AS verdict FROM g""")
 def _a16(s):
-    return G.qa_verdict(G.review_reasons(s).withColumns({"critical": F.col("feature_id") % 97 == 0, "clean": F.col("feature_id") % 5 != 0}))
+    return G.qa_verdict(G.review_reasons(_facts(s)).withColumns({"critical": F.col("feature_id") % 97 == 0, "clean": F.col("feature_id") % 5 != 0}))
 
 
 @query("u1_same_ids", "g_segment", sql="""
@@ -91,19 +101,19 @@ def _v18(s):
     return G.render_violations(r, s)
 
 
-_CONTRACT = _TIME + f", contract AS (SELECT project_id, feature_id, pos, start_ms, end_ms, {_REASONS} AS reasons, editorial_role <> 'action' AS text_check FROM timeline)"
+_CONTRACT = _FACTS + _TIME.replace("g_segment", "facts") + f", contract AS (SELECT project_id, feature_id, pos, start_ms, end_ms, {_REASONS} AS reasons, editorial_role <> 'action' AS text_check FROM timeline)"
 
 
 @query("c11_segment_contract", "g_segment", sql=_CONTRACT + " SELECT * FROM contract")
 def _c11(s):
-    return G.segment_contract(s).withColumn("reasons", F.array_join("reasons", ","))
+    return G.segment_contract(_facts(s)).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("v19_qa_result", "g_segment", sql=_CONTRACT + """
 , r AS (SELECT project_id, pos, feature_id + CASE WHEN feature_id % 31 = 0 THEN 1 ELSE 0 END AS got, text_check OR feature_id % 7 = 0 AS checked FROM contract WHERE feature_id % 41 <> 0)
 SELECT c.project_id, c.pos, CASE WHEN got IS NULL THEN 'missing' WHEN got <> feature_id THEN 'wrong_segment' ELSE 'text_check' END AS rule FROM contract c LEFT JOIN r ON c.project_id = r.project_id AND c.pos = r.pos WHERE got IS NULL OR got <> feature_id OR checked <> text_check""")
 def _v19(s):
-    c = G.segment_contract(s)
+    c = G.segment_contract(_facts(s))
     r = c.where("feature_id % 41 <> 0").select("project_id", "pos", (F.col("feature_id") + F.when(F.col("feature_id") % 31 == 0, 1).otherwise(0)).alias("feature_id"), (F.col("text_check") | (F.col("feature_id") % 7 == 0)).alias("text_check"))
     return G.qa_result_mismatches(c, r)
 
@@ -113,9 +123,19 @@ def _c12(s):
     return G.crop_audit(s, F.col("keep"))
 
 
-_TEXT = """
-, n AS (SELECT claim_id, pos, regexp_replace(upper(relevant_text), '[^A-Z0-9]', '', 'g') AS text FROM f_text), c AS (SELECT claim_id, text, count(*) AS votes, min(pos) AS first FROM n GROUP BY ALL)
-, r AS (SELECT *, sum(votes) OVER (PARTITION BY claim_id)::BIGINT AS total, count(*) OVER (PARTITION BY claim_id) = 1 AS unanimous, row_number() OVER (PARTITION BY claim_id ORDER BY votes DESC, first) AS rn FROM c)"""
+_READ = "CASE WHEN (claim_id + pos) % 5 = 0 THEN ' - ' ELSE relevant_text END"
+_CLAIM = "CASE claim_id % 3 WHEN 0 THEN 'n-o' WHEN 1 THEN 'a f' ELSE 'R.F' END"
+_CHOSEN = "CASE claim_id % 7 WHEN 0 THEN 'N O' WHEN 1 THEN 'a-f' END"
+_TEXT = f"""
+, o AS (SELECT claim_id, pos, {_READ} AS said FROM f_text), n AS (SELECT *, regexp_replace(upper(said), '[^A-Z0-9]', '', 'g') AS key FROM o)
+, c AS (SELECT claim_id, key, count(*) AS votes, min(pos) AS first, arg_min(said, pos) AS text FROM n GROUP BY claim_id, key)
+, r AS (SELECT *, sum(votes) OVER (PARTITION BY claim_id)::BIGINT AS total, row_number() OVER (PARTITION BY claim_id ORDER BY key <> '' DESC, votes DESC, first) AS rn FROM c)
+, k AS (SELECT claim_id, key, text, CASE WHEN key <> '' THEN votes ELSE 0 END AS votes, total, key = regexp_replace(upper({_CLAIM}), '[^A-Z0-9]', '', 'g') AS matches, coalesce(regexp_replace(upper({_CHOSEN}), '[^A-Z0-9]', '', 'g') = key, true) AS methods_agree FROM r WHERE rn = 1)"""
+
+
+def _consensus(t):
+    claims = t.select("claim_id").distinct().select("claim_id", F.expr(_CLAIM).alias("claim_text"), F.expr(_CHOSEN).alias("selected_text"))
+    return G.text_consensus(t.withColumn("relevant_text", F.expr(_READ)), claims)
 
 
 @query("f10_normalize_text", "f_text", sql="SELECT claim_id, pos, regexp_replace(upper(relevant_text), '[^A-Z0-9]', '', 'g') AS text FROM f_text")
@@ -123,12 +143,11 @@ def _f10(t):
     return t.select("claim_id", "pos", normalized(F.col("relevant_text")).alias("text"))
 
 
-@query("a15_text_consensus", "f_text", sql=_TEXT + " SELECT claim_id, text, votes, total, unanimous FROM r WHERE rn = 1")
+@query("a15_text_consensus", "f_text", sql=_TEXT + " SELECT claim_id, text, votes, total FROM k")
 def _a15(t):
-    return G.text_consensus(t)
+    return _consensus(t).select("claim_id", "text", "votes", "total")
 
 
-@query("c19_text_verification", "f_text", sql=_TEXT + " SELECT claim_id, text, votes, total, unanimous, CASE WHEN text = CASE WHEN claim_id % 2 = 0 THEN 'NO' ELSE 'AF' END THEN 'verified' WHEN NOT unanimous THEN 'conflict' ELSE 'mismatch' END AS status FROM r WHERE rn = 1")
+@query("c19_text_verification", "f_text", sql=_TEXT + " SELECT claim_id, text, votes, total, matches, methods_agree, CASE WHEN NOT methods_agree OR (key <> '' AND votes = total AND NOT matches) THEN 'needs_human_review' WHEN key <> '' AND votes = total THEN 'machine_verified' ELSE 'uncertain' END AS status FROM k")
 def _c19(t):
-    claims = t.select("claim_id").distinct().select("claim_id", F.when(F.col("claim_id") % 2 == 0, "n-o").otherwise("a f").alias("claim_text"))
-    return G.text_consensus(t, claims)
+    return _consensus(t)

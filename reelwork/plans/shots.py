@@ -13,7 +13,7 @@ _SHOTS = """
 , starts AS (SELECT DISTINCT asset_id, t_ms FROM b_boundary WHERE t_ms > 0 AND t_ms < duration_ms UNION SELECT asset_id, 0 FROM assets)
 , shots AS (SELECT asset_id, row_number() OVER w AS shot_index, t_ms AS start_ms, coalesce(lead(t_ms) OVER w, duration_ms) AS end_ms FROM starts JOIN assets USING (asset_id) WINDOW w AS (PARTITION BY asset_id ORDER BY t_ms))"""
 _ALL = ("b_points", "b_boundary", "b_event")
-_KIND = "CASE event_id % 3 WHEN 0 THEN 'required' WHEN 1 THEN 'flagged' ELSE 'none' END"
+_KIND = "CASE event_id % 3 WHEN 0 THEN 'required' WHEN 1 THEN 'recommended' ELSE 'none' END"
 
 
 def _shots(points, boundary):
@@ -81,7 +81,7 @@ def _j6(points, boundary, events):
     return S.segment_bounds(events.select("asset_id", "event_id", F.col("start_ms").alias("center_ms")), _shots(points, boundary), 5000)
 
 
-@query("p4_events_needing_dense", "b_event", sql=f"SELECT asset_id, event_id FROM b_event WHERE {_KIND} IN ('required', 'flagged')")
+@query("p4_events_needing_dense", "b_event", sql=f"SELECT asset_id, event_id FROM b_event WHERE {_KIND} IN ('required', 'recommended')")
 def _p4(events):
     return S.events_needing_dense(_inspection(events), "flagged").select("asset_id", "event_id")
 
@@ -103,10 +103,14 @@ def _f8(points):
     return points.select("event_id", pts_to_ms(F.col("t_ms") * 7, 0, F.lit(1001).cast("long"), F.lit(30000).cast("long")).alias("ms"))
 
 
-@query("f11_dense_fps", "b_points", sql=f"SELECT event_id, CASE WHEN {_KIND} = 'required' AND regexp_matches(CASE WHEN event_id % 4 = 0 THEN 'a sudden ' ELSE 'a slow ' END || event_type, 'fast|quick|sudden|flash|instant|brief|transient') THEN 8 WHEN {_KIND} IN ('required', 'flagged') THEN 4 ELSE 2 END AS fps FROM b_points")
+_SAID = "CASE event_id % 6 WHEN 0 THEN concat('A Fast ', event_type) WHEN 1 THEN concat('快速 ', event_type) WHEN 2 THEN concat('cut of 0.3 s, ', event_type) WHEN 3 THEN concat('UI panel, ', event_type) WHEN 4 THEN concat('a sudden ', event_type) ELSE concat('a slow ', event_type) END"
+
+
+@query("f11_dense_fps", "b_points", sql=f"""
+, n AS (SELECT event_id, {_KIND} AS kind, lower({_SAID}) AS said FROM b_points)
+SELECT event_id, CASE WHEN kind = 'required' AND list_bool_or([contains(said, m) FOR m IN ['快速', '短暫', '0.2', '0.3', '0.4', '0.5', 'fast', 'transient', 'ui']]) THEN 8 WHEN kind IN ('required', 'recommended') THEN 4 ELSE 2 END AS fps FROM n""")
 def _f11(points):
-    text = F.concat(F.when(F.col("event_id") % 4 == 0, "a sudden ").otherwise("a slow "), F.col("event_type"))
-    return points.select("event_id", S.dense_fps(F.expr(_KIND), text).alias("fps"))
+    return points.select("event_id", S.dense_fps(F.expr(_KIND), F.expr(_SAID)).alias("fps"))
 
 
 @query("w13_frame_numbering", "b_points", sql="SELECT event_id, 'RF' || lpad((row_number() OVER (ORDER BY asset_id, t_ms, event_id))::VARCHAR, 6, '0') AS frame_id FROM b_points")
@@ -114,11 +118,18 @@ def _w13(points):
     return S.frame_numbers(points, "asset_id", ["t_ms", "event_id"], "RF").select("event_id", "frame_id")
 
 
-@query("w14_grid_sample", *_ALL, sql=_J5 + """
-, times AS (SELECT asset_id, event_id, unnest(range(window_start, window_end, 500)) AS frame_ms FROM dense UNION SELECT asset_id, event_id, least(center_ms, window_end - 1) FROM dense)
-SELECT asset_id, event_id, frame_ms FROM times""")
+_GRID = """
+, times AS (SELECT asset_id, event_id, unnest(range(window_start, window_end, {step})) AS frame_ms FROM {windows} JOIN b_event USING (asset_id, event_id) UNION SELECT asset_id, event_id, keyframe_ms FROM {windows} JOIN b_event USING (asset_id, event_id) WHERE window_start <= keyframe_ms AND keyframe_ms < window_end)"""
+
+
+@query("w14_grid_sample", *_ALL, sql=_J5 + _GRID.format(step=500, windows="dense") + " SELECT asset_id, event_id, frame_ms FROM times")
 def _w14(points, boundary, events):
-    return S.dense_grid(S.dense_window(events, _shots(points, boundary)), 500)
+    return S.dense_grid(S.dense_window(events, _shots(points, boundary), keep=("keyframe_ms", "duration_ms")), 500)
+
+
+@query("w14_grid_violations", *_ALL, sql=_J5 + _GRID.format(step=1, windows="dense") + " SELECT asset_id, event_id, 'over_limit' AS rule, count(*) AS frames FROM times GROUP BY ALL HAVING count(*) > 3600")
+def _w14v(points, boundary, events):
+    return S.dense_grid_violations(S.dense_window(events, _shots(points, boundary), keep=("keyframe_ms", "duration_ms")), 1)
 
 
 @query("w15_bucket_sample", "b_points", sql="""
@@ -137,15 +148,15 @@ def _c4(points, boundary, events):
 
 
 @query("c5_dense_plan", *_ALL, sql=_J5 + f"""
-, planned AS (SELECT *, 4 AS fps FROM dense WHERE {_KIND} IN ('required', 'flagged'))
-, times AS (SELECT asset_id, event_id, unnest(range(window_start, window_end, 250)) AS frame_ms FROM planned UNION SELECT asset_id, event_id, least(center_ms, window_end - 1) FROM planned)
+, planned AS (SELECT *, 4 AS fps FROM dense WHERE {_KIND} IN ('required', 'recommended'))
+""" + _GRID.format(step=250, windows="planned") + """
 SELECT asset_id, event_id, frame_ms, 'DF' || lpad((row_number() OVER (PARTITION BY asset_id, event_id ORDER BY frame_ms))::VARCHAR, 6, '0') AS frame_id FROM times""")
 def _c5(points, boundary, events):
     from pyspark.sql import Window as W
 
     flagged = S.events_needing_dense(_inspection(events), "flagged")
     fps = S.dense_fps(F.expr(_KIND), F.lit("steady"))
-    windows = S.dense_window(flagged, _shots(points, boundary))
+    windows = S.dense_window(flagged, _shots(points, boundary), keep=("keyframe_ms", "duration_ms"))
     frames = S.dense_grid(windows, F.floor(F.lit(1000) / fps))
     n = F.row_number().over(W.partitionBy("asset_id", "event_id").orderBy("frame_ms"))
     return frames.withColumn("frame_id", F.concat(F.lit("DF"), F.lpad(n.cast("string"), 6, "0")))

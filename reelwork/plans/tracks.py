@@ -324,13 +324,18 @@ def _f16(samples):
 
 
 _ZOOM = """
-, g AS (SELECT track_id, max(x_max - x_min) AS w, max(y_max - y_min) AS h FROM d_sample WHERE sample_index % 29 = 0 GROUP BY track_id), z AS (SELECT track_id, greatest(1.0::DOUBLE, least(1.35::DOUBLE, 2.0::DOUBLE, 1920 / (w / 1000 * 1920 * 1.45::DOUBLE), 1080 / (h / 1000 * 1080 * 1.45::DOUBLE))) AS a FROM g)
+, g AS (SELECT track_id, max((x_max - x_min) * (1 + track_id % 4)) AS w, max(y_max - y_min) AS h FROM d_sample GROUP BY track_id), z AS (SELECT track_id, greatest(1.0::DOUBLE, least(1.35::DOUBLE, 2.0::DOUBLE, 1920 / (w / 1000 * 1920 * 1.45::DOUBLE), 1080 / (h / 1000 * 1080 * 1.45::DOUBLE))) AS a FROM g)
 , zooms AS (SELECT track_id, round(CASE WHEN a < 1.035 THEN 1.0::DOUBLE ELSE a END, 6) AS zoom FROM z)"""
 
 
+def _wide(samples):
+    """Boxes of several sizes, so that some tracks leave room for a zoom and some do not."""
+    return samples.withColumn("x_max", F.col("x_min") + (F.col("x_max") - F.col("x_min")) * (1 + F.col("track_id") % 4))
+
+
 @query("f17_safe_zoom", "d_sample", sql=_ZOOM + " SELECT * FROM zooms")
 def _f17(samples):
-    return T.safe_zoom(samples.where("sample_index % 29 = 0"), 1920, 1080, 1.35)
+    return T.safe_zoom(_wide(samples), 1920, 1080, 1.35)
 
 
 @query("f27_mask_iou", "d_sample", sql="""
@@ -362,7 +367,7 @@ def _f28(samples):
 SELECT track_id, CASE WHEN failed_gate IS NULL THEN 'tracked_zoom' ELSE 'original' END AS route, failed_gate FROM r""")
 def _f29(samples):
     confidence = T.track_confidence(T.track_states(samples).where("sample_index < 4"))
-    return T.horizontal_routing(T.safe_zoom(samples.where("sample_index % 29 = 0"), 1920, 1080, 1.35), confidence)
+    return T.horizontal_routing(T.safe_zoom(_wide(samples), 1920, 1080, 1.35), confidence)
 
 
 @query("v9_samples", "d_sample", sql="SELECT track_id, sample_index, 'area_over_one' AS rule FROM d_sample WHERE area_ratio > 1 UNION ALL SELECT track_id, sample_index, 'negative_area' FROM d_sample WHERE area_ratio < 0")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-SUFFIXES = ("mp4", "mov", "m4v", "mkv", "webm", "txt")
+SUFFIXES = ("mp4", "mov", "m4v")
 
 
 def read_artifacts(spark: SparkSession, root: str, glob: str, schema: StructType | str) -> DataFrame:
@@ -23,7 +23,7 @@ def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def media_registry(files: DataFrame, suffixes: tuple[str, ...] = SUFFIXES, first: int | None = None) -> DataFrame:
-    """files of supported suffixes with their name, sorted by lower-case name, then path; the first so many."""
+    """files of supported suffixes with their name; with first, that many in order of lower-case name, then path."""
     name = F.element_at(F.split("path", "/"), -1)
     f = files.withColumn("name", name).where(F.lower(F.element_at(F.split("name", r"\."), -1)).isin(*suffixes))
     return f if first is None else f.orderBy(F.lower("name"), "path").limit(first)

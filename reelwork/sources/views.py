@@ -30,9 +30,12 @@ VIEWS: dict[str, str] = {
         CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 0.0 ELSE score / 1000 END AS area_ratio, event_id % 7 AS components, CAST(event_id % 100 AS DOUBLE) / 100 AS probability,
         event_id * 37 % 600 AS x_min, event_id * 53 % 600 AS y_min, event_id * 37 % 600 + 100 + event_id % 200 AS x_max, event_id * 53 % 600 + 100 + event_id % 150 AS y_max, 20 AS seed_index FROM b_points""",
     "e_candidate": f"""SELECT l_orderkey AS chapter, concat('c', rn) AS candidate_id, rn AS rank, l_discount * 10 AS confidence, l_partkey % 11 <> 0 AS lineage_ok, l_suppkey % 13 <> 0 AS single_shot,
-        CASE l_returnflag WHEN 'A' THEN 'matched' WHEN 'N' THEN 'not_revalidated' ELSE 'ambiguous' END AS semantic_status, l_partkey % 5 <> 0 AS confidence_ok, l_partkey % 6 <> 0 AS coverage_ok,
-        CASE rn % 3 WHEN 0 THEN 'hard_core' WHEN 1 THEN 'soft_extent' ELSE 'overlay_keepout' END AS role, l_partkey % 10 = 0 AS atomic, 1 - l_tax AS min_visible, CAST(l_partkey AS DOUBLE) * 3 AS max_speed,
-        CASE WHEN l_quantity < 5 THEN 'fit_with_background' ELSE 'tracked_crop' END AS strategy, l_partkey AS frame_id, l_suppkey AS source_id FROM {_LINES} WHERE rn <= 4""",
+        CASE WHEN l_partkey % 23 = 0 THEN 'not_visible' WHEN l_returnflag = 'A' THEN 'matched' WHEN l_returnflag = 'N' THEN 'not_revalidated' ELSE 'ambiguous' END AS semantic_status, l_partkey % 5 <> 0 AS confidence_ok, l_partkey % 6 <> 0 AS coverage_ok,
+        CASE rn % 3 WHEN 0 THEN 'hard_core' WHEN 1 THEN 'soft_extent' ELSE 'overlay_keepout' END AS role, l_partkey % 10 = 0 AS atomic, 1 - l_tax AS min_visible,
+        CASE l_suppkey % 3 WHEN 0 THEN 'overlay_keepout' WHEN 1 THEN 'hard_core' ELSE 'soft_extent' END AS role2, l_suppkey % 7 <> 0 AS assessed2, CASE WHEN l_suppkey % 5 = 0 THEN 0.5 ELSE 1.0 END AS min_visible2, CASE WHEN l_partkey % 4 = 0 THEN 0.2 ELSE 0.0 END AS overlap2,
+        CASE l_partkey % 17 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS checkpoints_ok, CAST(l_partkey % 400 AS DOUBLE) * 2 AS max_speed, CAST(l_suppkey % 100 AS DOUBLE) * 20 AS max_acceleration, CAST(l_partkey % 90 AS DOUBLE) * 82 AS max_jerk,
+        concat('g', l_partkey) AS geometry_fingerprint, CASE WHEN l_partkey % 19 = 0 THEN concat('h', l_partkey) ELSE concat('g', l_partkey) END AS expected_fingerprint,
+        CASE WHEN l_quantity < 5 THEN 'fit_with_background' WHEN l_quantity < 8 THEN 'center_crop' ELSE 'tracked_crop' END AS strategy, l_partkey AS frame_id, l_suppkey AS source_id FROM {_LINES}""",
     "f_text": "SELECT l_orderkey AS claim_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, concat(' ', lower(l_returnflag), '-', l_linestatus) AS relevant_text FROM lineitem",
     "g_segment": """SELECT o_custkey AS project_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos, o_orderkey AS feature_id, 3000 + CAST(floor(o_totalprice) AS BIGINT) % 7000 AS duration_ms,
         CASE o_orderpriority WHEN '1-URGENT' THEN 'hook' WHEN '5-LOW' THEN 'closing' ELSE 'action' END AS editorial_role, o_orderstatus <> 'F' AS keep FROM orders""",

@@ -1,5 +1,8 @@
 """Functions and operators on literal rows."""
 
+import dataclasses
+import hashlib
+import json
 import math
 import random
 from difflib import SequenceMatcher
@@ -12,6 +15,7 @@ from reelwork.functions.times import mmss_to_ms, ms_to_mmss, pts_to_ms
 from reelwork.operators import candidates as K
 from reelwork.operators import compare as C
 from reelwork.operators import locks as L
+from reelwork.operators import segments as Q
 from reelwork.operators import shots as S
 from reelwork.operators import tracks as T
 from reelwork.operators import usage as U
@@ -29,6 +33,9 @@ def test_boxes(spark):
     row = one(spark, G.iou(box, other).alias("iou"), G.center_distance(box, other).alias("distance"), G.iou([F.lit(0)] * 4, [F.lit(0)] * 4).alias("none"), *[c.alias(n) for c, n in zip(G.padded(box, 0.1), "abcd", strict=True)])
     assert math.isclose(row.iou, 1 / 3) and row.distance == 50 and row.none == 0
     assert (row.a, row.c) == (0, 110)
+    # the padding is rounded, half to even, and not the corner
+    small = one(spark, *[c.alias(n) for c, n in zip(G.padded([F.lit(v) for v in (1, 100, 6, 115)], 0.1), "abcd", strict=True)])
+    assert (small.a, small.b, small.c, small.d) == (1, 98, 6, 117)
     assert one(spark, G.yxyx_to_xyxy(F.array(*map(F.lit, (10, 20, 30, 40)))).alias("b")).b == [20, 10, 40, 30]
     assert one(spark, G.yxyx_to_xyxy(F.array(*map(F.lit, (30, 20, 10, 40)))).alias("b")).b is None
 
@@ -47,11 +54,58 @@ def test_times(spark):
 def test_text(spark):
     find_package(spark)
     row = one(spark, normalized(F.lit(" a-b 9ß")).alias("a"), safe_token(F.lit(" Clip #7! ")).alias("b"), contract_id(F.lit("ok-1"), "x").alias("c"), contract_id(F.lit("not ok"), "x").alias("d"))
-    assert row.a.startswith("AB9") and row.b == "clip_7" and row.c == "ok-1" and row.d.startswith("x_") and len(row.d) == 18
+    assert row.a.startswith("AB9") and row.b == "Clip-7" and row.c == "ok-1" and row.d.startswith("x-") and len(row.d) == 18
+    cases = [(" a:b ", "a:b"), ("x" * 300, "x" * 300), ("-a", None), ("", None), ("a b", None), ("a\n", "a"), (".a", None), ("9_.:-", "9_.:-")]
+    for r in spark.createDataFrame(cases, "v string, want string").select("*", contract_id(F.col("v"), "asset").alias("got")).collect():
+        assert r.got == (r.want or "asset-" + hashlib.sha256(r.v.strip().encode()).hexdigest()[:16])
+    tokens = [("A b:c", "A-b:c"), ("--..", "region"), ("", "region"), (".x-", "x"), ("é1", "1")]
+    assert [r.t for r in spark.createDataFrame(tokens, "v string, w string").select(safe_token(F.col("v")).alias("t")).collect()] == [w for _v, w in tokens]
     df = spark.createDataFrame([("tide", "diet"), ("diet", "tide"), (None, "x")], "a string, b string").select(label_similarity("a", "b").alias("s"))
     assert [r.s for r in df.collect()] == [0.25, 0.5, None]
 
 
+def test_region_kinds(spark):
+    want = {"text_region": "text_region", "phone_screen": "ui_region", "screen": "ui_region", "ui_element": "ui_region", "logo": "graphic", "other": "other", "person": "subject", "product": "subject", None: "subject"}
+    got = {r.k: r.v for r in spark.createDataFrame([(k,) for k in want], "k string").select("k", K.region_kind(F.col("k")).alias("v")).collect()}
+    assert got == want
+
+
+def test_dense_rates_and_grids(spark):
+    cases = [("required", "Fast cut", 8), ("required", "UI panel", 8), ("required", "快速移動", 8), ("required", "短暫", 8), ("required", "lasts 0.4 s", 8), ("required", "transient", 8), ("required", "sudden flash", 4), ("recommended", "fast", 4), ("none", "fast", 2)]
+    got = spark.createDataFrame(cases, "i string, t string, w int").select("w", S.dense_fps(F.col("i"), F.col("t")).alias("fps")).collect()
+    assert all(r.w == r.fps for r in got)
+    windows = spark.createDataFrame([(1, 1, 0, 1000, 333, 5000), (1, 2, 0, 1000, None, 5000), (1, 3, 0, 1000, 1000, 5000), (1, 4, 4500, 5200, 5100, 5000), (1, 5, 0, 8000, None, 9000)], "asset_id long, event_id long, window_start long, window_end long, keyframe_ms long, duration_ms long")
+    times = lambda df: {e: sorted(r.frame_ms for r in rows) for e, rows in grouped(df.collect()).items()}
+
+    def grouped(rows):
+        out = {}
+        for r in rows:
+            out.setdefault(r.event_id, []).append(r)
+        return out
+
+    assert times(S.dense_grid(windows, 500)) == {1: [0, 333, 500], 2: [0, 500], 3: [0, 500], 4: [4500, 4999], 5: list(range(0, 8000, 500))}
+    # a grid over the limit is no frames and a violation, and is not cut
+    assert 5 not in times(S.dense_grid(windows, 2)) and [(r.event_id, r.frames) for r in S.dense_grid_violations(windows, 2).collect()] == [(5, 4000)]
+
+
+def test_review_reasons_and_consensus(spark):
+    rows = [
+        (1, True, False, False, True, "seed", [" zoom", "", "zoom", "pan"], ["manifest_requires_gemini_review", "required_region_tracking_coverage_failed", "required_region_full_containment_infeasible", "controlled_required_region_clip", "fallback:seed", "risk:zoom", "risk:pan"]),
+        (2, False, True, True, False, "", None, []), (3, None, None, None, None, None, [], []),
+    ]
+    df = spark.createDataFrame(rows, "id int, requires_review boolean, coverage_passed boolean, containment_feasible boolean, controlled_clip boolean, fallback_reason string, risk_codes array<string>, want array<string>")
+    assert all(r.want == r.reasons for r in Q.review_reasons(df).collect())
+
+    readings = {1: ["A", "a.", "B"], 2: ["", " ", "C"], 3: ["X", "x"], 4: ["X", "X"], 5: ["", ""], 6: ["B", "A"], 7: ["X", "X"]}
+    said = spark.createDataFrame([(k, i, t) for k, v in readings.items() for i, t in enumerate(v)], "claim_id int, pos int, relevant_text string")
+    claims = spark.createDataFrame([(1, "A", None), (2, "c", None), (3, "X", None), (4, "Y", None), (5, "", None), (6, "B", None), (7, "X", "Z")], "claim_id int, claim_text string, selected_text string")
+    got = {r.claim_id: (r.text, r.votes, r.total, r.matches, r.status) for r in Q.text_consensus(said, claims).collect()}
+    assert got == {
+        1: ("A", 2, 3, True, "uncertain"), 2: ("C", 1, 3, True, "uncertain"), 3: ("X", 2, 2, True, "machine_verified"), 4: ("X", 2, 2, False, "needs_human_review"),
+        5: ("", 0, 2, True, "uncertain"), 6: ("B", 1, 2, True, "uncertain"), 7: ("X", 2, 2, True, "needs_human_review"),
+    }
+
+
 def test_usage(spark):
     rows = [("r/attempts/1.json", "p", 100, 10), ("r/attempts/2.json", "p", 100, 10), ("r/copy.json", "p", 100, 10), ("r/a.json", "q", 50, 0), ("r/b.json", "q", 50, 0)]
     log = spark.createDataFrame(rows, "path string, payload string, input_tokens long, cached_tokens long").withColumns({"model": F.lit("m-a"), "output_tokens": F.lit(4), "thought_tokens": F.lit(6), "has_usage": F.lit(True)})
@@ -136,6 +190,68 @@ def test_ancestors_and_cycles(spark):
     assert {(r.query_id, r.target_id, r.rule) for r in L.ancestor_violations(targets).collect()} == {(2, 0, "cycle"), (2, 1, "cycle"), (3, 0, "unknown_parent")}
 
 
+PREFLIGHT = "chapter int, candidate_id string, rank int, strategy string, lineage_ok boolean, single_shot boolean, confidence double, semantic_status string, confidence_ok boolean, coverage_ok boolean, checkpoints_ok boolean, regions array<struct<region_id:string,role:string,atomic:boolean,assessed:boolean,min_visible:double,required_visible:double,overlap:double>>, max_speed double, max_acceleration double, max_jerk double, geometry_fingerprint string, expected_fingerprint string, source_fingerprint string, track_fingerprints array<string>"
+
+
+def preflight(name, *, rank=1, core=1.0, soft=0.8, more=(), **changes):
+    regions = [("core", "hard_core", False, True, core, 1.0, 0.0), ("context", "soft_extent", False, True, soft, 0.72, 0.0), *more]
+    row = {
+        "chapter": 1, "candidate_id": name, "rank": rank, "strategy": "tracked_crop", "lineage_ok": True, "single_shot": True, "confidence": 0.8, "semantic_status": "matched", "confidence_ok": True, "coverage_ok": True, "checkpoints_ok": True, "regions": regions,
+        "max_speed": 0.0, "max_acceleration": 0.0, "max_jerk": 0.0, "geometry_fingerprint": "a" * 64, "expected_fingerprint": "a" * 64, "source_fingerprint": "b" * 64, "track_fingerprints": ["c" * 64],
+    }
+    return tuple((row | changes).values())
+
+
+def test_gates_one_by_one(spark):
+    keepout = ("logo", "overlay_keepout", False, True, 1.0, 0.0, 0.1)
+    cases = {
+        "none": ({}, []), "lineage": ({"lineage_ok": False}, ["source_lineage_invalid"]), "shot": ({"single_shot": False}, ["shot_boundary_crossing"]), "confidence": ({"confidence": -0.1}, ["evidence_confidence_below_minimum"]),
+        "ambiguous": ({"semantic_status": "ambiguous"}, ["target_ambiguity_above_maximum"]), "unseen": ({"semantic_status": "not_visible"}, ["semantic_match_below_minimum"]), "later": ({"semantic_status": "not_revalidated"}, []),
+        "track": ({"confidence_ok": False}, ["track_confidence_below_minimum"]), "coverage": ({"coverage_ok": False}, ["track_coverage_below_minimum"]), "switch": ({"checkpoints_ok": False}, ["identity_switch_detected"]), "unchecked": ({"checkpoints_ok": None}, []),
+        "core": ({"core": 0.99}, ["hard_core_not_fully_retained"]), "atomic": ({"more": [("x", "soft_extent", True, True, 0.9, 1.0, 0.0)]}, ["atomic_region_clipped", "soft_extent_below_minimum"]), "soft": ({"soft": 0.4}, ["soft_extent_below_minimum"]),
+        "keepout": ({"more": [keepout]}, ["overlay_keepout_violated"]), "unassessed": ({"more": [("x", "hard_core", False, False, 0.0, 1.0, 0.0)]}, ["hard_core_not_fully_retained"]), "unassessed_soft": ({"more": [("x", "soft_extent", False, False, 0.0, 1.0, 0.0)]}, []),
+        "speed": ({"max_speed": 720.1}, ["crop_speed_above_maximum"]), "acceleration": ({"max_acceleration": 1800.1}, ["crop_acceleration_above_maximum"]), "jerk": ({"max_jerk": 7200.1}, ["crop_jerk_above_maximum"]), "limits": ({"max_speed": 720.0, "max_acceleration": 1800.0, "max_jerk": 7200.0}, []),
+        "fingerprint": ({"expected_fingerprint": "d" * 64}, ["geometry_fingerprint_mismatch"]), "not_compared": ({"expected_fingerprint": None}, []), "center": ({"strategy": "center_crop"}, ["no_feasible_presentation"]),
+        "twice": ({"core": 0.5, "more": [("x", "hard_core", False, True, 0.5, 1.0, 0.0)]}, ["hard_core_not_fully_retained"]),
+    }
+    df = spark.createDataFrame([preflight(k, **changes) for k, (changes, _want) in cases.items()], PREFLIGHT)
+    assert {r.candidate_id: r.codes for r in K.with_codes(df).collect()} == {k: want for k, (_c, want) in cases.items()}
+    strict = {r.candidate_id: r.codes for r in K.with_codes(df, K.Policy(require_semantic_checkpoints=True, allow_safe_center_crop=True)).collect()}
+    assert strict["unchecked"] == ["identity_switch_detected"] and strict["center"] == []
+    audit = {r.candidate_id: (r.approved, r.applied, len(r.audit_sha256)) for r in K.audit_bounded_clip(df).collect()}
+    assert audit["none"] == (True, True, 64) and audit["fingerprint"] == (False, False, 64)
+
+
+def test_audit_hash_is_that_of_canonical_json(spark):
+    policy = K.Policy()
+    body = {
+        "policy_id": "auto_bounded_clip_v1", "policy_sha256": hashlib.sha256(json.dumps(dataclasses.asdict(policy), sort_keys=True, separators=(",", ":")).encode()).hexdigest(), "candidate_id": "candidate-1", "candidate_rank": 1, "approved": False,
+        "auto_bounded_clip_applied": False, "failure_codes": ["geometry_fingerprint_mismatch"], "geometry_fingerprint": "a" * 64, "source_fingerprint": "b" * 64, "track_fingerprints": ["c" * 64],
+    }
+    got = K.audit_bounded_clip(spark.createDataFrame([preflight("candidate-1", expected_fingerprint="d" * 64)], PREFLIGHT)).first()
+    assert got.audit_sha256 == hashlib.sha256(json.dumps(body, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_passing_candidates_come_first(spark):
+    df = spark.createDataFrame([preflight("candidate-1", rank=1, soft=0.4), preflight("candidate-2", rank=2, soft=0.9)], PREFLIGHT)
+    assert [r.candidate_id for r in K.rank_preflights(df).orderBy("place").collect()] == ["candidate-2", "candidate-1"]
+
+
+def test_overrides(spark):
+    chapters = spark.createDataFrame([(1, "a", "a"), (2, "a", "a"), (3, "a", "b"), (4, "a", "a")], "chapter int, horizontal_candidate_id string, vertical_candidate_id string")
+    candidates = spark.createDataFrame([(k, c) for k in (1, 2, 3, 4) for c in "abc"], "chapter int, candidate_id string")
+    patch = spark.createDataFrame([(1, "vertical", "c"), (2, "both", "b"), (3, "horizontal", "x"), (4, "both", "b"), (4, "vertical", "c"), (9, "both", "a")], "chapter int, aspect string, candidate_id string")
+    wrong = {tuple(r) for r in K.override_violations(chapters, candidates, patch).collect()}
+    assert wrong == {(3, "horizontal", "unknown_candidate"), (4, "vertical", "duplicate_override"), (9, "horizontal", "unknown_chapter"), (9, "vertical", "unknown_chapter")}
+    assert {tuple(r) for r in K.apply_overrides(chapters, candidates, patch).collect()} == {(1, "a", "c"), (2, "b", "b"), (3, "a", "b"), (4, "b", "a")}
+
+
+def test_locks_keep_their_whole_text(spark):
+    text = "a target described in far more than forty characters of text"
+    got = L.migrate_lock(spark.createDataFrame([(1, 0, text)], "query_id int, target_id int, target_description string")).first()
+    assert got.targets[0].text == text
+
+
 def test_recovery_order(spark):
     codes = lambda *c: F.array(*map(F.lit, c)) if c else F.array().cast("array<string>")
     yes, no = F.lit(True), F.lit(False)
