@@ -154,10 +154,16 @@ def bucket_sample(frames: DataFrame, key: str, at: str, step_ms: int, forced: st
 def frame_numbers(frames: DataFrame, clip: str, order: list[str], prefix: str) -> DataFrame:
     """Global ids like RF000001 in the order of clips and, in them, of the frames.
 
-    Clips are counted first and their offsets broadcast, so no window spans all frames.
+    Clips are counted and sorted into ranges first; sums run within a range, and over the totals
+    of the ranges, so no window spans all frames or all clips.
     """
-    counts = frames.groupBy(clip).count()
-    offsets = counts.select(F.col(clip).alias("_clip"), (F.sum("count").over(W.orderBy(clip).rowsBetween(W.unboundedPreceding, -1))).alias("_before"))
+    from reelwork.operators.rounds import cut_lineage
+
+    counts = cut_lineage(frames.groupBy(clip).count().repartitionByRange(clip).withColumn("_range", F.spark_partition_id()))
+    all_before = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.groupBy("_range").agg(F.sum("count").alias("count")).select("_range", all_before(W.orderBy("_range")).alias("_base"))
+    within = counts.select(F.col(clip).alias("_clip"), "_range", all_before(W.partitionBy("_range").orderBy(clip)).alias("_within"))
+    offsets = within.join(ranges, "_range").select("_clip", (F.col("_base") + F.col("_within")).alias("_before"))
     local = frames.withColumn("_n", F.row_number().over(W.partitionBy(clip).orderBy(*order)))
     n = F.coalesce("_before", F.lit(0)) + F.col("_n")
     return local.join(offsets, F.col(clip) == F.col("_clip")).withColumn("frame_id", F.concat(F.lit(prefix), F.lpad(n.cast("string"), 6, "0"))).drop("_clip", "_before", "_n")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: US dollars for a million tokens: input, cached input, output.
@@ -20,18 +19,27 @@ def is_attempt(path: Column) -> Column:
     return path.rlike(ATTEMPT)
 
 
-def _ranked(log: DataFrame) -> DataFrame:
-    marked = log.withColumn("payload_hash", F.sha2("payload", 256)).withColumn("is_attempt", is_attempt(F.col("path")))
-    return marked.withColumn("_rn", F.row_number().over(W.partitionBy("payload_hash").orderBy(F.col("is_attempt").desc(), "path")))
+def _marked(log: DataFrame) -> DataFrame:
+    return log.withColumn("payload_hash", F.sha2("payload", 256)).withColumn("is_attempt", is_attempt(F.col("path")))
+
+
+def _heads(marked: DataFrame) -> DataFrame:
+    """Of each payload, whether an attempt has it, and the first other row by path: partial sums before the shuffle, so a hot payload is no hot task."""
+    row = F.struct("path", *[c for c in marked.columns if c not in ("path", "payload_hash")])
+    return marked.groupBy("payload_hash").agg(F.max("is_attempt").alias("has_attempt"), F.min(F.when(~F.col("is_attempt"), row)).alias("head"))
 
 
 def usage_dedup(log: DataFrame) -> DataFrame:
-    """log without rows whose payload an attempt or a lesser path already has."""
-    return _ranked(log).where("is_attempt OR _rn = 1").drop("_rn")
+    """log without rows whose payload an attempt or a lesser path already has. Paths are unique."""
+    marked = _marked(log)
+    heads = _heads(marked).where("NOT has_attempt").select("payload_hash", "head.*")
+    return marked.where("is_attempt").unionByName(heads)
 
 
 def usage_duplicates(log: DataFrame) -> DataFrame:
-    return _ranked(log).where("NOT is_attempt AND _rn > 1").select("path", "payload_hash")
+    marked = _marked(log)
+    heads = _heads(marked).select("payload_hash", "has_attempt", F.col("head.path").alias("first_path"))
+    return marked.where("NOT is_attempt").join(heads, "payload_hash").where(F.col("has_attempt") | (F.col("path") != F.col("first_path"))).select("path", "payload_hash")
 
 
 def usage_cost(log: DataFrame, prices: DataFrame) -> DataFrame:
@@ -63,7 +71,9 @@ def usage_total(log: DataFrame, prices: DataFrame) -> DataFrame:
         F.when(F.count("*") > 1, "mixed").otherwise(F.max("model")).alias("model"), F.sum("requests").alias("requests"), F.sum("input_tokens").alias("input_tokens"),
         F.sum("billed_output_tokens").alias("billed_output_tokens"), F.round(F.sum(F.col("input_cost") + F.col("output_cost")), 6).alias("cost"),
     )
-    counts = _ranked(log).agg(F.count_if(F.expr("(is_attempt OR _rn = 1) AND NOT has_usage")).alias("unpriced"), F.count_if(F.expr("NOT is_attempt AND _rn > 1")).alias("duplicates"))
+    others = _marked(log).agg(F.count_if(~F.col("is_attempt")).alias("others"))
+    kept = usage_dedup(log).agg(F.count_if(~F.col("has_usage")).alias("unpriced"), F.count_if(~F.col("is_attempt")).alias("heads"))
+    counts = kept.crossJoin(others).select("unpriced", (F.col("others") - F.col("heads")).alias("duplicates"))
     return models.crossJoin(counts).withColumn("pricing_complete", F.col("unpriced") == 0)
 
 
