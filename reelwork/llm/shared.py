@@ -20,14 +20,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Where that is unset (a single machine, as in tests) a temporary folder is set.
+    Only in local mode may that be unset, as in tests; a temporary folder is set then. Spark
+    drops checkpoints that are out of use with spark.cleaner.referenceTracking.cleanCheckpoints.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-reelwork-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-reelwork-"))
     return context.getCheckpointDir()
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that an operator has written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df written to the shared folder, with its lineage cut."""
     shared_folder(df.sparkSession)

@@ -343,16 +343,19 @@ def remove_substrings(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFr
     A null text is empty. Rows with a null doc_id keep their text and are no source for
     others. Rows of one doc_id don't remove from each other.
     """
-    find_package(docs.sparkSession)
+    spark = docs.sparkSession
+    find_package(spark)
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n, total = known.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     chunks = max(1, -(-(total or 0) // chunk_bytes))
     splitters = sampled_splitters(known, SAMPLE_DOCUMENTS / max(1, n) * 0.9, 2 * chunks)
     dealt = known.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
     by_chunk = dealt.groupBy("chunk")
-    sent = by_chunk.applyInArrow(send(chunks), _SENT)
+    # one bucket to a partition of the shuffle, so that messages grow with the chunks and not with their square
+    buckets = min(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sent = by_chunk.applyInArrow(send(buckets), _SENT)
     heard = sent.groupBy("bucket").applyInArrow(hear, _HEARD)
-    around = by_chunk.cogroup(heard.groupBy("chunk")).applyInArrow(contexts(chunks, splitters), _CONTEXTS)
+    around = by_chunk.cogroup(heard.groupBy("chunk")).applyInArrow(contexts(buckets, splitters), _CONTEXTS)
     gone = around.groupBy("part").applyInArrow(compare, _GONE)
     out = by_chunk.cogroup(gone.groupBy("chunk")).applyInArrow(cut, _RESULT)
     body = F.coalesce(docs["text"], F.lit(""))
