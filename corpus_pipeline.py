@@ -13,12 +13,13 @@ from reelwork.llm.mixing import mix_sources
 from reelwork.llm.neardup import near_duplicates
 from reelwork.llm.quality import base_failed, quality_signals, repetitive
 from reelwork.llm.sharding import shard_documents
+from reelwork.llm.shared import drop_folder, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules; a null text has too few words."""
+    """Documents that pass the quality rules; a null text has too few words. Repeated rows all stay or all go."""
     found = quality_signals(docs, COLUMNS)
     return found.where(~base_failed() & ~repetitive()).select(*COLUMNS)
 
@@ -42,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark, whether they have a doc_id or not; repeated rows all stay or all go, and null texts stay."""
     rows = with_row(docs)
     leaks = benchmark_leaks(_as_id(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_row")).distinct()
     return rows.join(leaks, "_row", "left_anti").select(*COLUMNS)
@@ -51,7 +52,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each copy of a document that the mix takes; a copy in service at the end counts.
 
-    A document that gives w words of its size s to the mix stands ceil(w / s) times.
+    A document that gives w words of its size s to the mix stands ceil(w / s) times; one without
+    words is not taken. Repeated rows count as so many documents.
     """
     rows = with_row(docs)
     taken = mix_sources(_as_id(rows)).where("taken > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("copies"))
@@ -60,7 +62,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and place of each row: doc_id, size, text_crc32, shard, slot, virtual_slot."""
+    """The shard and place of each row: doc_id, size, text_crc32, shard, slot, virtual_slot. Repeated rows each have a place; null ids and texts are placed too."""
     return shard_documents(docs)
 
 
@@ -75,13 +77,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on the documents of sf_dir; each one's rows are written to the shared folder and read again."""
-    from reelwork.llm.shared import shared_folder
+    """The stages on the documents of sf_dir; each one's rows are written to the shared folder and read again.
 
+    What a stage has written is dropped once the next one has run; the last one's rows stay.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            drop_folder(spark, before)
+        before = path
     return docs
