@@ -32,9 +32,9 @@ def frame_to_clip(frames: DataFrame, clips: DataFrame) -> DataFrame:
 
 
 def by_exact_pts(seeds: DataFrame, frames: DataFrame) -> DataFrame:
-    """(event_id, seed_pts, rule): the seed's frame by its exact time stamp; none, or several, is a violation."""
-    n = frames.groupBy("event_id", F.col("frame_pts").alias("seed_pts")).agg(F.count("*").alias("n"))
-    rule = F.when(F.col("n").isNull(), "no_such_frame").when(F.col("n") > 1, "duplicate_pts")
+    """(event_id, seed_pts, rule) for seeds (event_id, seed_pts, seed_time_ms): the frame (event_id, frame_pts, ms) of the exact time stamp; none, several, or another time is a violation."""
+    n = frames.groupBy("event_id", F.col("frame_pts").alias("seed_pts")).agg(F.count("*").alias("n"), F.min("ms").alias("ms"))
+    rule = F.when(F.col("n").isNull(), "no_such_frame").when(F.col("n") > 1, "duplicate_pts").when(F.col("ms") != F.col("seed_time_ms"), "time_differs")
     return seeds.join(n, ["event_id", "seed_pts"], "left").select("event_id", "seed_pts", rule.alias("rule"))
 
 
@@ -80,10 +80,19 @@ def apply_reviews(trims: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def trim_for_segment(segments: DataFrame, trims: DataFrame) -> DataFrame:
-    """(event_id, outcome, trim_pos): no trim of the event is a fallback, one applies, several are ambiguous."""
-    g = trims.groupBy("event_id").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    outcome = F.when(F.col("n").isNull(), "fallback").when(F.col("n") == 1, "apply").otherwise("ambiguous")
-    return segments.join(g, "event_id", "left").select("event_id", outcome.alias("outcome"), F.when(F.col("n") == 1, F.col("pos")).alias("trim_pos"))
+    """(segment_id, outcome, in_ms, out_ms): the approved trim of a segment's asset and shot, and of its event if it names one.
+
+    segments: segment_id, asset_id, shot_id, shot_start, shot_end, event_id (null: any); trims:
+    asset_id, shot_id, event_id, in_ms, out_ms; one without both ends is none. No trim is a
+    fallback, several are ambiguous, and one that leaves the shot crosses it; only one inside applies.
+    """
+    t = trims.where("in_ms IS NOT NULL AND out_ms IS NOT NULL").withColumnRenamed("event_id", "_event")
+    found = segments.join(t, ["asset_id", "shot_id"]).where(F.col("event_id").isNull() | (F.col("event_id") == F.col("_event")))
+    g = found.groupBy("segment_id").agg(F.count("*").alias("n"), F.min(F.struct("in_ms", "out_ms")).alias("x"))
+    inside = (F.col("shot_start") <= F.col("x.in_ms")) & (F.col("x.in_ms") < F.col("x.out_ms")) & (F.col("x.out_ms") <= F.col("shot_end"))
+    outcome = F.when(F.col("n").isNull(), "fallback").when(F.col("n") > 1, "ambiguous").when(inside, "apply").otherwise("crosses_shot")
+    out = segments.join(g, "segment_id", "left").withColumn("outcome", outcome)
+    return out.select("segment_id", "outcome", *[F.when(F.col("outcome") == "apply", F.col(f"x.{c}")).alias(c) for c in ("in_ms", "out_ms")])
 
 
 def trim_decision(frames: DataFrame, shot_end: Column, before_ms: int = 750, after_ms: int = 1000) -> DataFrame:
@@ -99,9 +108,13 @@ def trim_bounds(trims: DataFrame) -> DataFrame:
     return trims.select("event_id", F.explode(rules).alias("rule"))
 
 
-def dense_catalog_violations(frames: DataFrame, window_end: int) -> DataFrame:
-    """(event_id, pos, rule): ids in order, times inside the window, hashes of 64 hex digits."""
-    rules = F.array_compact(F.array(F.when(F.col("frame_pts") <= F.lag("frame_pts").over(_order()), F.lit("not_ordered")), F.when(F.col("ms") >= window_end, F.lit("outside_window")), F.when(~F.col("frame_hash").rlike("^[0-9a-f]{64}$"), F.lit("hash"))))
+def dense_catalog_violations(frames: DataFrame, window_start: int, window_end: int, most: int = 3600) -> DataFrame:
+    """(event_id, pos, rule): ids unique and in order, times rising and inside the window, at most so many frames, hashes of 64 hex digits."""
+    every = W.partitionBy("event_id")
+    again = F.count("*").over(W.partitionBy("event_id", "frame_id")) > 1
+    rules = F.array_compact(F.array(
+        F.when(again, F.lit("duplicate_id")), F.when(F.col("frame_id") < F.lag("frame_id").over(_order()), F.lit("ids_not_ordered")), F.when((F.count("*").over(every) > most) & (F.row_number().over(_order()) == 1), F.lit("over_limit")),
+        F.when(F.col("ms") < window_start, F.lit("outside_window")), F.when(F.col("frame_pts") <= F.lag("frame_pts").over(_order()), F.lit("not_ordered")), F.when(F.col("ms") >= window_end, F.lit("outside_window")), F.when(~F.col("frame_hash").rlike("^[0-9a-f]{64}$"), F.lit("hash"))))
     return with_ms(frames).select("event_id", "pos", rules.alias("rules")).select("event_id", "pos", F.explode("rules").alias("rule"))
 
 

@@ -25,6 +25,28 @@ def budget_manifest(segments: DataFrame, sequence: DataFrame) -> DataFrame:
     return timeline(kept)
 
 
+def budget_violations(decisions: DataFrame, sequence: DataFrame, durations: DataFrame, least_ms: int, most_ms: int) -> DataFrame:
+    """(project_id, rule) of a budget: decisions (project_id, feature_id, action), a sequence (project_id, position, feature_id) and what was rendered, durations (project_id, feature_id, aspect, duration_ms, editorial_role).
+
+    Ids are unique in both lists, the sequence is the kept set, decisions cover what was rendered, both aspects last
+    equally long, the sequence's time is in range, and a hook and a closing are in it.
+    """
+    key = ["project_id", "feature_id"]
+    of = lambda df, rule: df.select("project_id", F.lit(rule).alias("rule")).distinct()
+    twice = lambda df, rule: of(df.groupBy(*key).count().where("count > 1"), rule)
+    kept, rendered = decisions.where("action = 'keep'"), durations.select(*key).distinct()
+    differ = kept.select(*key).distinct().join(sequence, key, "left_anti").unionByName(sequence.select(*key).distinct().join(kept, key, "left_anti"))
+    uncovered = rendered.join(decisions, key, "left_anti").unionByName(decisions.select(*key).distinct().join(rendered, key, "left_anti"))
+    uneven = durations.groupBy(*key).agg(F.count_distinct("duration_ms").alias("n")).where("n > 1")
+    one = durations.groupBy(*key).agg(F.max("duration_ms").alias("duration_ms"), F.max("editorial_role").alias("editorial_role"))
+    total = decisions.select("project_id").distinct().join(sequence.join(one, key, "left"), "project_id", "left").groupBy("project_id").agg(F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("total"), F.count_if(F.col("editorial_role") == "hook").alias("hooks"), F.count_if(F.col("editorial_role") == "closing").alias("closings"))
+    said = F.array_compact(F.array(F.when(~F.col("total").between(least_ms, most_ms), F.lit("total_time")), F.when(F.col("hooks") == 0, F.lit("no_hook")), F.when(F.col("closings") == 0, F.lit("no_closing"))))
+    out = total.select("project_id", F.explode(said).alias("rule"))
+    for part in (twice(decisions, "duplicate_decision"), twice(sequence, "duplicate_in_sequence"), of(differ, "sequence_not_kept_set"), of(uncovered, "decisions_not_covering"), of(uneven, "aspects_differ")):
+        out = out.unionByName(part)
+    return out
+
+
 def budget_check(segments: DataFrame, least_ms: int, most_ms: int) -> DataFrame:
     """(project_id, kept, total_ms, in_budget, has_hook, has_closing, passed) of the kept segments."""
     k = segments.where("keep")

@@ -23,8 +23,10 @@ def track_states(samples: DataFrame) -> DataFrame:
     """samples with state and reasons: lost, drift_suspected, low_confidence or tracked.
 
     A sample is held against the median (the upper middle) of up to five positive areas
-    before it, and the center before it; this history starts anew at the seed.
+    before it, and the center before it; this history starts anew at the seed. A column
+    shot_boundary, where there is one, marks samples that need a new seed.
     """
+    cut = F.col("shot_boundary") if "shot_boundary" in samples.columns else F.lit(False)
     s = samples.withColumn("_part", F.col("sample_index") >= F.col("seed_index")).withColumn("_positive", F.col("area_ratio") > 0)
     history = W.partitionBy("track_id", "_part").orderBy("sample_index")
     positive = s.where("_positive")
@@ -32,7 +34,7 @@ def track_states(samples: DataFrame) -> DataFrame:
     usual = F.get(recent, (F.size(recent) / 2).cast("int"))
     moved = F.hypot(center("x") - F.lag(center("x")).over(history), center("y") - F.lag(center("y")).over(history))
     positive = positive.withColumns({"_ratio": F.col("area_ratio") / usual, "_moved": moved})
-    drift = F.array_compact(F.array(F.when((F.col("_ratio") < 0.4) | (F.col("_ratio") > 2.5), F.lit("mask_area_jump")), F.when(F.col("_moved") > 220, F.lit("center_jump"))))
+    drift = F.array_compact(F.array(F.when(cut, F.lit("shot_boundary_requires_new_seed")), F.when((F.col("_ratio") < 0.4) | (F.col("_ratio") > 2.5), F.lit("mask_area_jump")), F.when(F.col("_moved") > 220, F.lit("center_jump"))))
     weak = F.array_compact(F.array(F.when(F.col("components") > 4, F.lit("mask_fragmented")), F.when(F.col("probability") < 0.6, F.lit("weak_positive"))))
     judged = positive.withColumns({"_drift": drift, "_weak": weak})
     state = F.when(F.size("_drift") > 0, "drift_suspected").when(F.size("_weak") > 0, "low_confidence").otherwise("tracked")
@@ -70,12 +72,16 @@ def state_count_mismatches(stated: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def checkpoint_reasons(stated: DataFrame) -> DataFrame:
-    """(track_id, sample_index, priority, reason) for each reason to check a sample's identity; stated has shot_boundary."""
+    """(track_id, sample_index, priority, reason) for each reason to check a sample's identity; stated has shot_boundary.
+
+    A column checked_status, where there is one, holds what a check has said, instead of identity_status().
+    """
+    status = F.coalesce("checked_status", identity_status()) if "checked_status" in stated.columns else identity_status()
     all_rows = W.partitionBy("track_id")
     n = F.count("*").over(all_rows)
     place = F.row_number().over(_order()) - 1
     s = stated.withColumns({
-        "_n": n, "_place": place, "_status": identity_status(), "_before": F.lag("state").over(_order()), "_area": F.lag("area_ratio").over(_order()),
+        "_n": n, "_place": place, "_status": status, "_before": F.lag("state").over(_order()), "_area": F.lag("area_ratio").over(_order()),
         "_moved": F.hypot(center("x") - F.lag(center("x")).over(_order()), center("y") - F.lag(center("y")).over(_order())) / 1000,
     })
     later = F.col("_place") > 0
@@ -83,7 +89,7 @@ def checkpoint_reasons(stated: DataFrame) -> DataFrame:
     item = lambda when, priority, reason: F.when(when, F.struct(F.lit(priority).alias("priority"), F.lit(reason).alias("reason")))
     reasons = F.array_compact(F.array(
         item(F.col("_place") == 0, 25, "track_start"), item(F.col("_place") == F.floor(F.col("_n") / 2), 20, "track_midpoint"), item(F.col("_place") == F.col("_n") - 1, 30, "track_end"),
-        item(later & F.col("shot_boundary"), 100, "shot_boundary"), item(later & (F.col("_status") == "revalidation_required"), 95, "semantic_revalidation_required"),
+        item(later & F.col("shot_boundary"), 100, "shot_boundary"), item(later & (F.col("_status") == "revalidation_failed"), 98, "semantic_revalidation_failed"), item(later & (F.col("_status") == "revalidation_required"), 95, "semantic_revalidation_required"),
         item(later & (F.col("state") == "drift_suspected"), 92, "drift_suspected"), item(later & (F.col("_before") == "lost") & (F.col("state") != "lost"), 90, "post_occlusion_reappearance"),
         item(later & (F.col("state") == "low_confidence"), 80, "low_confidence"), item(later & there & (F.abs(F.col("area_ratio") - F.col("_area")) / F.greatest("_area", F.lit(1e-9)) >= 0.6), 75, "geometry_area_jump"),
         item(later & there & (F.col("_moved") >= 0.18), 75, "geometry_center_jump"),
@@ -150,10 +156,22 @@ def aligned(samples: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def alignment_violations(pairs: DataFrame) -> DataFrame:
-    rule = F.when(F.col("left_t_ms").isNull() | F.col("right_t_ms").isNull(), "unmatched")
+    """(track_id, sample_index, rule): both sides have the sample, at one time and one source time stamp."""
+    rule = F.when(F.col("left_t_ms").isNull() | F.col("right_t_ms").isNull(), "unmatched").when(F.col("left_t_ms") != F.col("right_t_ms"), "time_differs").when(~F.col("left_source_pts").eqNullSafe(F.col("right_source_pts")), "pts_differs")
     return pairs.select("track_id", "sample_index", rule.alias("rule")).where("rule IS NOT NULL")
 
 
+def series_violations(samples: DataFrame) -> DataFrame:
+    """(track_id, sample_index, rule) of series (track_id, sample_index, t_ms, source_pts) that cannot be aligned: indices run from 0, times and time stamps rise, none is missing."""
+    before = lambda c: F.lag(c).over(_order())
+    place = F.row_number().over(_order()) - 1
+    rules = F.array_compact(F.array(
+        F.when(F.col("source_pts").isNull(), F.lit("no_pts")), F.when(F.col("sample_index") != place, F.lit("index_not_contiguous")),
+        F.when(before("t_ms") >= F.col("t_ms"), F.lit("times_not_rising")), F.when(before("source_pts") >= F.col("source_pts"), F.lit("pts_not_rising")),
+    ))
+    return samples.withColumn("rules", rules).select("track_id", "sample_index", F.explode("rules").alias("rule"))
+
+
 def with_agreement(pairs: DataFrame) -> DataFrame:
     """pairs with IoU and center distance, null unless both sides have a mask."""
     both = (F.col("left_area_ratio") > 0) & (F.col("right_area_ratio") > 0)
@@ -367,8 +385,12 @@ def resolve_by_fingerprint(renders: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def sample_violations(samples: DataFrame) -> DataFrame:
-    """(track_id, sample_index, rule) for samples outside the geometry's range, or whose index leaves the track."""
-    rules = F.array_compact(F.array(F.when(F.col("area_ratio") < 0, F.lit("negative_area")), F.when(F.col("area_ratio") > 1, F.lit("area_over_one")), F.when((F.col("probability") < 0) | (F.col("probability") > 1), F.lit("probability_range")), F.when((F.col("x_min") >= F.col("x_max")) | (F.col("y_min") >= F.col("y_max")), F.lit("empty_box"))))
+    """(track_id, sample_index, rule) for samples outside the geometry's range; an empty mask has no box, no mask file and is lost, any other has a mask file."""
+    empty = F.col("area_ratio") == 0
+    say = lambda when, rule: F.when(when, F.lit(rule))
+    rules = F.array_compact(F.array(
+        say(empty & F.col("x_min").isNotNull(), "geometry_of_empty_mask"), say(empty & F.col("mask_sha256").isNotNull(), "file_of_empty_mask"), say(empty & (F.col("state") != "lost"), "empty_not_lost"), say(~empty & F.col("mask_sha256").isNull(), "mask_file_missing"),
+        F.when(F.col("area_ratio") < 0, F.lit("negative_area")), F.when(F.col("area_ratio") > 1, F.lit("area_over_one")), F.when((F.col("probability") < 0) | (F.col("probability") > 1), F.lit("probability_range")), F.when((F.col("x_min") >= F.col("x_max")) | (F.col("y_min") >= F.col("y_max")), F.lit("empty_box"))))
     return samples.select("track_id", "sample_index", F.explode(rules).alias("rule"))
 
 

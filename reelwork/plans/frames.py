@@ -45,18 +45,27 @@ def _j1(h):
 
 
 @query("j18_seed_by_exact_pts", _H, sql="""
-, f AS (SELECT event_id, CASE WHEN event_id % 11 = 0 AND pos = 2 THEN 7007 ELSE frame_pts END AS pts FROM h_frame), n AS (SELECT event_id, pts, count(*) AS n FROM f GROUP BY ALL), s AS (SELECT DISTINCT event_id, 7007 + event_id % 2 AS seed_pts FROM h_frame)
-SELECT s.event_id, seed_pts, CASE WHEN n IS NULL THEN 'no_such_frame' WHEN n > 1 THEN 'duplicate_pts' END AS rule FROM s LEFT JOIN n ON s.event_id = n.event_id AND seed_pts = pts""")
+, f AS (SELECT event_id, CASE WHEN event_id % 11 = 0 AND pos = 2 THEN 7007 ELSE frame_pts END AS pts, tb_num, tb_den FROM h_frame), n AS (SELECT event_id, pts, count(*) AS n, min(round_even(pts * tb_num * 1000 / tb_den, 0)::BIGINT) AS ms FROM f GROUP BY event_id, pts)
+, s AS (SELECT DISTINCT event_id, 7007 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS seed_pts, CASE WHEN event_id % 5 = 0 THEN 230 ELSE 234 END AS at_ms FROM h_frame)
+SELECT s.event_id, seed_pts, CASE WHEN n IS NULL THEN 'no_such_frame' WHEN n > 1 THEN 'duplicate_pts' WHEN ms <> at_ms THEN 'time_differs' END AS rule FROM s LEFT JOIN n ON s.event_id = n.event_id AND seed_pts = pts""")
 def _j18(h):
     f = h.withColumn("frame_pts", F.when((F.col("event_id") % 11 == 0) & (F.col("pos") == 2), 7007).otherwise(F.col("frame_pts")).cast("long"))
-    return H.by_exact_pts(h.select("event_id").distinct().select("event_id", (7007 + F.col("event_id") % 2).cast("long").alias("seed_pts")), f)
+    seeds = h.select("event_id").distinct().select("event_id", (7007 + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)).cast("long").alias("seed_pts"), F.when(F.col("event_id") % 5 == 0, 230).otherwise(234).alias("seed_time_ms"))
+    return H.by_exact_pts(seeds, H.with_ms(f))
 
 
 @query("j14_trim_for_segment", _H, sql="""
-, t AS (SELECT event_id, count(*) AS n, min(pos) AS pos FROM h_frame WHERE pos > 2 + event_id % 3 GROUP BY event_id), s AS (SELECT DISTINCT event_id FROM h_frame)
-SELECT event_id, CASE WHEN n IS NULL THEN 'fallback' WHEN n = 1 THEN 'apply' ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN pos END AS trim_pos FROM s LEFT JOIN t USING (event_id)""")
+, s AS (SELECT DISTINCT event_id AS segment_id, event_id // 3 AS asset_id, event_id // 2 % 2 AS shot_id, 0 AS shot_start, CASE WHEN event_id % 7 = 0 THEN 250 ELSE 2000 END AS shot_end, CASE WHEN event_id % 4 <> 0 THEN event_id END AS event_id FROM h_frame)
+, t AS (SELECT event_id // 3 AS asset_id, event_id // 2 % 2 AS shot_id, event_id, pos * 100 AS in_ms, pos * 100 + 200 AS out_ms FROM h_frame WHERE pos = 2 AND event_id % 6 <> 1)
+, g AS (SELECT segment_id, count(*) AS n, min(in_ms) AS i, min(out_ms) AS o FROM s JOIN t ON s.asset_id = t.asset_id AND s.shot_id = t.shot_id AND (s.event_id IS NULL OR s.event_id = t.event_id) GROUP BY segment_id)
+, r AS (SELECT s.segment_id, i, o, CASE WHEN n IS NULL THEN 'fallback' WHEN n > 1 THEN 'ambiguous' WHEN shot_start <= i AND i < o AND o <= shot_end THEN 'apply' ELSE 'crosses_shot' END AS outcome FROM s LEFT JOIN g USING (segment_id))
+SELECT segment_id, outcome, CASE WHEN outcome = 'apply' THEN i END AS in_ms, CASE WHEN outcome = 'apply' THEN o END AS out_ms FROM r""")
 def _j14(h):
-    return H.trim_for_segment(h.select("event_id").distinct(), h.where("pos > 2 + event_id % 3"))
+    place = {"asset_id": F.floor(F.col("event_id") / 3), "shot_id": F.floor(F.col("event_id") / 2) % 2}
+    end = F.when(F.col("event_id") % 7 == 0, 250).otherwise(2000)
+    segments = h.select("event_id").distinct().withColumns(place | {"segment_id": F.col("event_id"), "shot_start": F.lit(0), "shot_end": end}).withColumn("event_id", F.when(F.col("segment_id") % 4 != 0, F.col("segment_id")))
+    trims = h.where("pos = 2 AND event_id % 6 <> 1").withColumns(place).select("asset_id", "shot_id", "event_id", (F.col("pos") * 100).alias("in_ms"), (F.col("pos") * 100 + 200).alias("out_ms"))
+    return H.trim_for_segment(segments, trims)
 
 
 @query("j24_evidence_bracket", _H, sql=_MS + " SELECT event_id, greatest(100, a) AS from_ms, least(1500, b + CASE WHEN n > 1 THEN floor((b - a) / (n - 1)) ELSE 0 END)::BIGINT AS to_ms FROM agg")
@@ -123,9 +132,14 @@ def _f32(h):
     return H.trim_bounds(g.select("event_id", "in_ms", "out_ms", (200 + F.col("event_id") % 100).alias("allowed_start"), F.lit(1400).alias("allowed_end"), (F.col("in_ms") + F.col("event_id") % 900).alias("hold_ms")))
 
 
-@query("v5_dense_catalog", _H, sql=_MS + " SELECT event_id, pos, 'outside_window' AS rule FROM ms WHERE ms >= 1500")
+_NAME = "concat('DF', CASE WHEN event_id % 13 = 0 AND pos = 3 THEN 1 WHEN event_id % 17 = 0 AND pos = 1 THEN 9 ELSE pos END)"
+
+
+@query("v5_dense_catalog", _H, sql=_MS + f"""
+, c AS (SELECT event_id, pos, ms, {_NAME} AS frame_id FROM ms), x AS (SELECT *, count(*) OVER (PARTITION BY event_id, frame_id) AS same, lag(frame_id) OVER w AS before, count(*) OVER (PARTITION BY event_id) AS n FROM c WINDOW w AS (PARTITION BY event_id ORDER BY pos))
+SELECT event_id, pos, 'outside_window' AS rule FROM x WHERE ms >= 1500 OR ms < 300 UNION ALL SELECT event_id, pos, 'duplicate_id' FROM x WHERE same > 1 UNION ALL SELECT event_id, pos, 'ids_not_ordered' FROM x WHERE frame_id < before UNION ALL SELECT event_id, pos, 'over_limit' FROM x WHERE n > 6 AND pos = 1""")
 def _v5(h):
-    return H.dense_catalog_violations(h, 1500)
+    return H.dense_catalog_violations(h.withColumn("frame_id", F.expr(_NAME)), 300, 1500, 6)
 
 
 @query("v6_dense_selection", _H, sql="""

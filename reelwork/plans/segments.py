@@ -36,6 +36,26 @@ def _a18(s):
     return G.budget_check(s, 20_000, 90_000)
 
 
+@query("a18_budget_violations", "g_segment", sql="""
+, d AS (SELECT project_id, feature_id, CASE WHEN keep THEN 'keep' ELSE 'drop' END AS action FROM g_segment WHERE feature_id % 23 <> 0 UNION ALL SELECT project_id, feature_id, 'drop' FROM g_segment WHERE feature_id % 29 = 0 AND feature_id % 23 <> 0)
+, q AS (SELECT project_id, feature_id FROM g_segment WHERE (keep AND feature_id % 19 <> 0 AND feature_id % 23 <> 0) OR (NOT keep AND feature_id % 31 = 0) UNION ALL SELECT project_id, feature_id FROM g_segment WHERE keep AND feature_id % 37 = 0)
+, r AS (SELECT project_id, feature_id, editorial_role, unnest([duration_ms, duration_ms + CASE WHEN feature_id % 41 = 0 THEN 40 ELSE 0 END]) AS duration_ms FROM g_segment), one AS (SELECT project_id, feature_id, max(duration_ms) AS ms, max(editorial_role) AS role FROM r GROUP BY ALL)
+, t AS (SELECT p.project_id, coalesce(sum(ms), 0) AS total, count(*) FILTER (WHERE role = 'hook') AS hooks, count(*) FILTER (WHERE role = 'closing') AS closings FROM (SELECT DISTINCT project_id FROM d) p LEFT JOIN (SELECT q.project_id, ms, role FROM q JOIN one USING (project_id, feature_id)) x ON p.project_id = x.project_id GROUP BY p.project_id)
+SELECT project_id, 'total_time' AS rule FROM t WHERE total NOT BETWEEN 20000 AND 90000 UNION ALL SELECT project_id, 'no_hook' FROM t WHERE hooks = 0 UNION ALL SELECT project_id, 'no_closing' FROM t WHERE closings = 0
+UNION ALL SELECT DISTINCT project_id, 'duplicate_decision' FROM (SELECT project_id FROM d GROUP BY project_id, feature_id HAVING count(*) > 1) UNION ALL SELECT DISTINCT project_id, 'duplicate_in_sequence' FROM (SELECT project_id FROM q GROUP BY project_id, feature_id HAVING count(*) > 1)
+UNION ALL SELECT DISTINCT project_id, 'sequence_not_kept_set' FROM (SELECT project_id FROM d WHERE action = 'keep' AND feature_id NOT IN (SELECT feature_id FROM q) UNION ALL SELECT project_id FROM q WHERE feature_id NOT IN (SELECT feature_id FROM d WHERE action = 'keep'))
+UNION ALL SELECT DISTINCT project_id, 'decisions_not_covering' FROM g_segment WHERE feature_id NOT IN (SELECT feature_id FROM d) UNION ALL SELECT DISTINCT project_id, 'aspects_differ' FROM (SELECT project_id FROM r GROUP BY project_id, feature_id HAVING count(DISTINCT duration_ms) > 1)""")
+def _a18v(s):
+    action = F.when(F.col("keep"), "keep").otherwise("drop").alias("action")
+    decided = s.where("feature_id % 23 <> 0")
+    decisions = decided.select("project_id", "feature_id", action).unionByName(decided.where("feature_id % 29 = 0").select("project_id", "feature_id", F.lit("drop").alias("action")))
+    listed = s.where("(keep AND feature_id % 19 <> 0 AND feature_id % 23 <> 0) OR (NOT keep AND feature_id % 31 = 0)")
+    sequence = listed.unionByName(s.where("keep AND feature_id % 37 = 0")).select("project_id", "feature_id", F.col("pos").alias("position"))
+    both = F.array(F.struct(F.lit("horizontal").alias("aspect"), F.col("duration_ms").alias("ms")), F.struct(F.lit("vertical").alias("aspect"), (F.col("duration_ms") + F.when(F.col("feature_id") % 41 == 0, 40).otherwise(0)).alias("ms")))
+    durations = s.select("project_id", "feature_id", "editorial_role", F.explode(both).alias("x")).select("project_id", "feature_id", "editorial_role", "x.aspect", F.col("x.ms").alias("duration_ms"))
+    return G.budget_violations(decisions, sequence, durations, 20_000, 90_000)
+
+
 @query("c17_budget_manifest", "g_segment", sql="""
 , q AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY pos DESC) AS position FROM g_segment WHERE keep)
 SELECT project_id, feature_id, position AS pos, coalesce(sum(duration_ms) OVER (PARTITION BY project_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms FROM q""")

@@ -23,9 +23,14 @@ _IDENTITY = "CASE WHEN sample_index = seed_index THEN 'seed' WHEN state IN ('dri
 _TOUCH = "(x_min <= 5 OR y_min <= 5 OR x_max >= 995 OR y_max >= 995)"
 
 
-@query("w3_track_state", "d_sample", sql=_STATE + " SELECT track_id, sample_index, state, reasons FROM stated")
+_CUT = "sample_index % 50 = 49"
+
+
+@query("w3_track_state", "d_sample", sql=_STATE + f"""
+SELECT track_id, sample_index, CASE WHEN state <> 'lost' AND {_CUT} THEN 'drift_suspected' ELSE state END AS state,
+    CASE WHEN state <> 'lost' AND {_CUT} THEN 'shot_boundary_requires_new_seed' || CASE WHEN reasons = 'geometry_gates_passed' THEN '' ELSE ',' || reasons END ELSE reasons END AS reasons FROM stated""")
 def _w3(samples):
-    return T.track_states(samples).select("track_id", "sample_index", "state", F.array_join("reasons", ",").alias("reasons"))
+    return T.track_states(samples.withColumn("shot_boundary", F.expr(_CUT))).select("track_id", "sample_index", "state", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("w4_identity_status", "d_sample", sql=_STATE + f" SELECT track_id, sample_index, {_IDENTITY} AS identity_status FROM stated")
@@ -34,10 +39,11 @@ def _w4(samples):
 
 
 _REASONS = _STATE + f"""
-, s AS (SELECT *, {_IDENTITY} AS status, sample_index % 50 = 49 AS shot_boundary, count(*) OVER (PARTITION BY track_id) AS n, row_number() OVER w - 1 AS place, lag(state) OVER w AS before, lag(area_ratio) OVER w AS area,
+, s AS (SELECT *, CASE WHEN sample_index % 37 = 5 THEN 'revalidation_failed' ELSE {_IDENTITY} END AS status, sample_index % 50 = 49 AS shot_boundary, count(*) OVER (PARTITION BY track_id) AS n, row_number() OVER w - 1 AS place, lag(state) OVER w AS before, lag(area_ratio) OVER w AS area,
     sqrt(((x_min + x_max) / 2 - lag((x_min + x_max) / 2) OVER w) ** 2 + ((y_min + y_max) / 2 - lag((y_min + y_max) / 2) OVER w) ** 2) / 1000 AS moved FROM stated WINDOW w AS ({_W}))
 , reasons AS (SELECT track_id, sample_index, seed_index, 25 AS priority, 'track_start' AS reason FROM s WHERE place = 0 UNION ALL SELECT track_id, sample_index, seed_index, 20, 'track_midpoint' FROM s WHERE place = n // 2
     UNION ALL SELECT track_id, sample_index, seed_index, 30, 'track_end' FROM s WHERE place = n - 1 UNION ALL SELECT track_id, sample_index, seed_index, 100, 'shot_boundary' FROM s WHERE place > 0 AND shot_boundary
+    UNION ALL SELECT track_id, sample_index, seed_index, 98, 'semantic_revalidation_failed' FROM s WHERE place > 0 AND status = 'revalidation_failed'
     UNION ALL SELECT track_id, sample_index, seed_index, 95, 'semantic_revalidation_required' FROM s WHERE place > 0 AND status = 'revalidation_required' UNION ALL SELECT track_id, sample_index, seed_index, 92, 'drift_suspected' FROM s WHERE place > 0 AND state = 'drift_suspected'
     UNION ALL SELECT track_id, sample_index, seed_index, 90, 'post_occlusion_reappearance' FROM s WHERE place > 0 AND before = 'lost' AND state <> 'lost' UNION ALL SELECT track_id, sample_index, seed_index, 80, 'low_confidence' FROM s WHERE place > 0 AND state = 'low_confidence'
     UNION ALL SELECT track_id, sample_index, seed_index, 75, 'geometry_area_jump' FROM s WHERE place > 0 AND area_ratio > 0 AND area > 0 AND abs(area_ratio - area) / greatest(area, 1e-9) >= 0.6
@@ -46,7 +52,7 @@ _REASONS = _STATE + f"""
 
 
 def _bounded(samples):
-    return T.track_states(samples).withColumn("shot_boundary", F.col("sample_index") % 50 == 49)
+    return T.track_states(samples).withColumns({"shot_boundary": F.col("sample_index") % 50 == 49, "checked_status": F.when(F.col("sample_index") % 37 == 5, "revalidation_failed")})
 
 
 @query("a19_checkpoint_reasons", "d_sample", sql=_REASONS + " SELECT track_id, sample_index, priority, reasons FROM merged")
@@ -231,9 +237,22 @@ def _pairs(samples):
     return T.aligned(stated.select(*columns), stated.where("track_id > 1").withColumn("track_id", F.col("track_id") - 1).select(*columns))
 
 
-@query("j8_align_tracks", "d_sample", sql=_STATE + _OTHER + " SELECT coalesce(a.track_id, b.track_id) AS track_id, coalesce(a.sample_index, b.sample_index) AS sample_index, 'unmatched' AS rule FROM stated a FULL JOIN other b ON a.track_id = b.track_id AND a.sample_index = b.sample_index WHERE a.t_ms IS NULL OR b.t_ms IS NULL")
+@query("j8_align_tracks", "d_sample", sql="""
+, a AS (SELECT track_id, sample_index, t_ms, t_ms * 90 AS pts FROM d_sample), b AS (SELECT track_id, sample_index, t_ms + CASE WHEN sample_index % 97 = 3 THEN 1 ELSE 0 END AS t_ms, pts + CASE WHEN sample_index % 89 = 3 THEN 1 ELSE 0 END AS pts FROM a WHERE sample_index % 101 <> 5)
+SELECT a.track_id, a.sample_index, CASE WHEN b.t_ms IS NULL THEN 'unmatched' WHEN a.t_ms <> b.t_ms THEN 'time_differs' ELSE 'pts_differs' END AS rule FROM a LEFT JOIN b USING (track_id, sample_index) WHERE b.t_ms IS NULL OR a.t_ms <> b.t_ms OR a.pts <> b.pts""")
 def _j8(samples):
-    return T.alignment_violations(_pairs(samples))
+    a = samples.select("track_id", "sample_index", "t_ms", (F.col("t_ms") * 90).alias("source_pts"))
+    late = lambda c, n: F.col(c) + F.when(F.col("sample_index") % n == 3, 1).otherwise(0)
+    return T.alignment_violations(T.aligned(a, a.where("sample_index % 101 <> 5").withColumns({"t_ms": late("t_ms", 97), "source_pts": late("source_pts", 89)})))
+
+
+@query("j8_series", "d_sample", sql="""
+, s AS (SELECT track_id, sample_index, t_ms, CASE WHEN sample_index % 71 <> 8 THEN t_ms * 90 + CASE WHEN sample_index % 53 = 7 THEN 90000000000 ELSE 0 END END AS pts FROM d_sample WHERE track_id % 9 <> 2 OR sample_index <> 4)
+, x AS (SELECT *, row_number() OVER w - 1 AS place, lag(t_ms) OVER w AS before_ms, lag(pts) OVER w AS before_pts FROM s WINDOW w AS (PARTITION BY track_id ORDER BY sample_index))
+SELECT track_id, sample_index, 'no_pts' AS rule FROM x WHERE pts IS NULL UNION ALL SELECT track_id, sample_index, 'index_not_contiguous' FROM x WHERE place <> sample_index UNION ALL SELECT track_id, sample_index, 'times_not_rising' FROM x WHERE before_ms >= t_ms UNION ALL SELECT track_id, sample_index, 'pts_not_rising' FROM x WHERE before_pts >= pts""")
+def _j8s(samples):
+    pts = F.when(F.col("sample_index") % 71 != 8, F.col("t_ms") * 90 + F.when(F.col("sample_index") % 53 == 7, 90_000_000_000).otherwise(0))
+    return T.series_violations(samples.where("track_id % 9 <> 2 OR sample_index <> 4").select("track_id", "sample_index", "t_ms", pts.alias("source_pts")))
 
 
 @query("j9_common_time_union", "d_sample", sql=_STATE + """
@@ -370,9 +389,20 @@ def _f29(samples):
     return T.horizontal_routing(T.safe_zoom(_wide(samples), 1920, 1080, 1.35), confidence)
 
 
-@query("v9_samples", "d_sample", sql="SELECT track_id, sample_index, 'area_over_one' AS rule FROM d_sample WHERE area_ratio > 1 UNION ALL SELECT track_id, sample_index, 'negative_area' FROM d_sample WHERE area_ratio < 0")
+_BOXED = "area_ratio > 0 OR sample_index % 5 = 0"
+_FILED = "(area_ratio > 0 AND sample_index % 11 <> 0) OR (area_ratio = 0 AND sample_index % 7 = 0)"
+
+
+@query("v9_samples", "d_sample", sql=f"""
+, s AS (SELECT track_id, sample_index, area_ratio, probability + CASE WHEN sample_index % 43 = 1 THEN 1 ELSE 0 END AS p, CASE WHEN {_BOXED} THEN x_min END AS x0, CASE WHEN sample_index % 31 = 2 THEN x_min ELSE x_max END AS x1, {_FILED} AS filed, CASE WHEN area_ratio > 0 OR sample_index % 13 = 0 THEN 'tracked' ELSE 'lost' END AS state FROM d_sample)
+SELECT track_id, sample_index, 'area_over_one' AS rule FROM s WHERE area_ratio > 1 UNION ALL SELECT track_id, sample_index, 'negative_area' FROM s WHERE area_ratio < 0 UNION ALL SELECT track_id, sample_index, 'probability_range' FROM s WHERE p < 0 OR p > 1 UNION ALL SELECT track_id, sample_index, 'empty_box' FROM s WHERE x0 >= x1
+UNION ALL SELECT track_id, sample_index, 'geometry_of_empty_mask' FROM s WHERE area_ratio = 0 AND x0 IS NOT NULL UNION ALL SELECT track_id, sample_index, 'file_of_empty_mask' FROM s WHERE area_ratio = 0 AND filed UNION ALL SELECT track_id, sample_index, 'empty_not_lost' FROM s WHERE area_ratio = 0 AND state <> 'lost'
+UNION ALL SELECT track_id, sample_index, 'mask_file_missing' FROM s WHERE area_ratio <> 0 AND NOT filed""")
 def _v9(samples):
-    return T.sample_violations(samples)
+    boxed = {c: F.when(F.expr(_BOXED), F.col(c)) for c in ("x_min", "y_min", "y_max")}
+    x_max = F.when(F.expr(_BOXED), F.when(F.col("sample_index") % 31 == 2, F.col("x_min")).otherwise(F.col("x_max")))
+    given = {"probability": F.col("probability") + F.when(F.col("sample_index") % 43 == 1, 1).otherwise(0), "mask_sha256": F.when(F.expr(_FILED), "file"), "state": F.when((F.col("area_ratio") > 0) | (F.col("sample_index") % 13 == 0), "tracked").otherwise("lost")}
+    return T.sample_violations(samples.withColumns(given | boxed | {"x_max": x_max}))
 
 
 @query("v10_session_manifest", "d_sample", sql="""
