@@ -268,10 +268,15 @@ def missing_ids(references: DataFrame, catalog: DataFrame, key: str) -> DataFram
 
 
 def policy_violations(patches: DataFrame, chapters: DataFrame) -> DataFrame:
-    """(chapter, rule) for patches (chapter, edge_priority, controlled_clip, human_bound): known chapters, edges only with a controlled clip, a clip only with a binding."""
+    """(chapter, rule) for patches (chapter, edge_priority, controlled_clip, binding_sha256, policy_sha256): known chapters, each patched once, an edge priority other than balanced only with a controlled clip, a clip only with a human binding, and a binding of this policy."""
     known = patches.join(chapters.select("chapter", F.lit(True).alias("known")), "chapter", "left")
-    rules = _rules(F.when(F.col("known").isNull(), F.lit("unknown_chapter")), F.when(F.col("edge_priority").isNotNull() & ~F.col("controlled_clip"), F.lit("edge_needs_clip")), F.when(F.col("controlled_clip") & ~F.col("human_bound"), F.lit("clip_needs_binding")))
-    return known.select("chapter", F.explode(rules).alias("rule"))
+    n = F.count("*").over(W.partitionBy("chapter"))
+    edge = F.coalesce("edge_priority", F.lit("balanced")) != "balanced"
+    rules = _rules(
+        F.when(F.col("known").isNull(), F.lit("unknown_chapter")), F.when(n > 1, F.lit("duplicate_chapter")), F.when(edge & ~F.col("controlled_clip"), F.lit("edge_needs_clip")),
+        F.when(F.col("controlled_clip") & F.col("binding_sha256").isNull(), F.lit("clip_needs_binding")), F.when(F.col("binding_sha256") != F.col("policy_sha256"), F.lit("binding_differs")),
+    )
+    return known.withColumn("rules", rules).select("chapter", F.explode("rules").alias("rule")).distinct()
 
 
 def replan_differences(stored: DataFrame, computed: DataFrame) -> DataFrame:

@@ -62,8 +62,24 @@ def open_edit_violations(segments: DataFrame, shots: tuple[int, int] = (10, 16),
     return g.select("project_id", F.explode(rules).alias("rule"))
 
 
+def rushes_violations(timelines: DataFrame, shots: DataFrame) -> DataFrame:
+    """(project_id, rule): timelines (project_id, aspect_ratio) are exactly one of 16:9 and one of 9:16; no select_id of shots (project_id, aspect_ratio, select_id) stands twice in one."""
+    one = lambda a: F.count_if(F.col("aspect_ratio") == a) == 1
+    g = timelines.groupBy("project_id").agg((one("16:9") & one("9:16") & (F.count("*") == 2)).alias("both"))
+    twice = shots.groupBy("project_id", "aspect_ratio", "select_id").count().where("count > 1").select("project_id", F.lit("duplicate_select").alias("rule")).distinct()
+    return g.where("NOT both").select("project_id", F.lit("aspects").alias("rule")).unionByName(twice)
+
+
+def narrative_trims(segments: DataFrame, events: DataFrame) -> DataFrame:
+    """(project_id, feature_id, rule): each chapter's trim (source_in_ms, source_out_ms) lies in its event (event_id, event_start, event_end), and its asset is the event's."""
+    e = events.withColumnRenamed("asset_id", "_asset")
+    inside = (F.col("event_start") <= F.col("source_in_ms")) & (F.col("source_in_ms") < F.col("source_out_ms")) & (F.col("source_out_ms") <= F.col("event_end"))
+    rule = F.when(F.col("_asset").isNull(), "unknown_event").when(F.col("_asset") != F.col("asset_id"), "wrong_asset").when(~inside, "outside_event")
+    return segments.join(e, "event_id", "left").select("project_id", "feature_id", rule.alias("rule")).where("rule IS NOT NULL")
+
+
 def narrative_violations(segments: DataFrame, expected: DataFrame, ms: tuple[int, int] = (60_000, 90_000)) -> DataFrame:
-    """(project_id, rule): order from 1 without gaps, every expected feature once, total time."""
+    """(project_id, rule): order from 1 without gaps, every expected feature once, total time; see narrative_trims() too."""
     g = segments.groupBy("project_id").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("n"), F.count_distinct("pos").alias("d"), F.sum("duration_ms").alias("total"))
     rules = F.array_compact(F.array(F.when((F.col("a") != 1) | (F.col("b") != F.col("n")) | (F.col("d") != F.col("n")), F.lit("order")), F.when(~F.col("total").between(*ms), F.lit("total_time"))))
     missing = expected.join(segments, ["project_id", "feature_id"], "left_anti").select("project_id", F.lit("missing_feature").alias("rule")).distinct()
@@ -118,10 +134,19 @@ def qa_result_mismatches(contract: DataFrame, result: DataFrame) -> DataFrame:
 
 
 def render_violations(renders: DataFrame, segments: DataFrame) -> DataFrame:
-    """(project_id, rule): a render (project_id, width, height, duration_ms) is 9:16 and lasts as long as its chapters, within 500 ms."""
-    total = segments.groupBy("project_id").agg(F.sum("duration_ms").alias("total"))
-    rules = F.array_compact(F.array(F.when(F.col("width") * 16 != F.col("height") * 9, F.lit("aspect")), F.when(F.abs(F.col("duration_ms") - F.col("total")) > 500, F.lit("duration"))))
-    return renders.join(total, "project_id").select("project_id", F.explode(rules).alias("rule"))
+    """(project_id, rule): what a file is (sha256, width, height, duration_ms) against what its manifest declares (declared_*), and its chapters.
+
+    The hash and the size are the declared ones, the picture is 9:16, and the time is within
+    250 ms of the declared one and within 500 ms of the chapters'; each chapter has a time.
+    """
+    total = segments.groupBy("project_id").agg(F.sum("duration_ms").alias("total"), F.count_if(F.coalesce(F.col("duration_ms"), F.lit(0)) <= 0).alias("without"))
+    say = lambda when, rule: F.when(when, F.lit(rule))
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"declared_{c}"))
+    rules = F.array_compact(F.array(
+        say(differs("sha256"), "hash"), say((F.col("width") <= 0) | (F.col("height") <= 0) | (F.col("width") * 16 != F.col("height") * 9), "aspect"), say(differs("width") | differs("height"), "size"),
+        say((F.col("duration_ms") <= 0) | (F.abs(F.col("duration_ms") - F.coalesce("declared_duration_ms", F.lit(0))) > 250), "declared_duration"), say(F.col("without").isNull(), "no_chapters"), say(F.col("without") > 0, "chapter_without_time"), say(F.abs(F.col("duration_ms") - F.col("total")) > 500, "duration"),
+    ))
+    return renders.join(total, "project_id", "left").select("project_id", F.explode(rules).alias("rule"))
 
 
 def crop_audit(segments: DataFrame, selected: Column) -> DataFrame:

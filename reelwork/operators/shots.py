@@ -169,6 +169,14 @@ def frame_numbers(frames: DataFrame, clip: str, order: list[str], prefix: str) -
     return local.join(offsets, F.col(clip) == F.col("_clip")).withColumn("frame_id", F.concat(F.lit(prefix), F.lpad(n.cast("string"), 6, "0"))).drop("_clip", "_before", "_n")
 
 
+def entity_violations(references: DataFrame, entities: DataFrame) -> DataFrame:
+    """(asset_id, event_id, entity_id, rule): references (asset_id, event_id, entity_id) to entities (asset_id, entity_id) that are unknown or stand there twice (event_id null)."""
+    known = entities.select("asset_id", "entity_id").distinct()
+    unknown = references.distinct().join(known, ["asset_id", "entity_id"], "left_anti").select("asset_id", "event_id", "entity_id", F.lit("unknown_entity").alias("rule"))
+    twice = entities.groupBy("asset_id", "entity_id").count().where("count > 1").select("asset_id", F.lit(None).cast("long").alias("event_id"), "entity_id", F.lit("duplicate_entity").alias("rule"))
+    return unknown.unionByName(twice)
+
+
 def content_map_violations(events: DataFrame) -> DataFrame:
     """(asset_id, event_id, rule) for ids that repeat, empty intervals, keyframes outside and ends after the asset."""
     n = F.count("*").over(W.partitionBy("asset_id", "event_id"))

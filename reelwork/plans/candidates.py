@@ -350,11 +350,18 @@ def _v17(c):
 
 
 @query("v20_policy_patch", _E, sql="""
-, p AS (SELECT DISTINCT chapter + CASE WHEN chapter % 50 = 0 THEN 100000000 ELSE 0 END AS chapter, CASE WHEN chapter % 3 = 0 THEN 'preserve_start' END AS edge, chapter % 2 = 0 AS clip, chapter % 5 <> 0 AS bound FROM e_candidate)
-SELECT chapter, 'unknown_chapter' AS rule FROM p WHERE chapter >= 100000000 UNION ALL SELECT chapter, 'edge_needs_clip' FROM p WHERE edge IS NOT NULL AND NOT clip UNION ALL SELECT chapter, 'clip_needs_binding' FROM p WHERE clip AND NOT bound""")
+, q AS (SELECT DISTINCT chapter + CASE WHEN chapter % 50 = 0 THEN 100000000 ELSE 0 END AS chapter, CASE chapter % 3 WHEN 0 THEN 'preserve_start' WHEN 1 THEN 'balanced' END AS edge, chapter % 2 = 0 AS clip, CASE chapter % 5 WHEN 0 THEN NULL WHEN 1 THEN 'old' ELSE 'new' END AS bound FROM e_candidate)
+, p AS (SELECT * FROM q UNION ALL SELECT * FROM q WHERE chapter % 77 = 0)
+SELECT DISTINCT chapter, 'unknown_chapter' AS rule FROM p WHERE chapter NOT IN (SELECT chapter FROM e_candidate) UNION ALL SELECT chapter, 'duplicate_chapter' FROM p GROUP BY chapter HAVING count(*) > 1 UNION ALL SELECT DISTINCT chapter, 'edge_needs_clip' FROM p WHERE edge = 'preserve_start' AND NOT clip
+UNION ALL SELECT DISTINCT chapter, 'clip_needs_binding' FROM p WHERE clip AND bound IS NULL UNION ALL SELECT DISTINCT chapter, 'binding_differs' FROM p WHERE bound <> 'new'""")
 def _v20(c):
     ids = c.select("chapter").distinct()
-    p = ids.select((F.col("chapter") + F.when(F.col("chapter") % 50 == 0, 100_000_000).otherwise(0)).alias("chapter"), F.when(F.col("chapter") % 3 == 0, "preserve_start").alias("edge_priority"), (F.col("chapter") % 2 == 0).alias("controlled_clip"), (F.col("chapter") % 5 != 0).alias("human_bound"))
+    key = lambda n: F.col("chapter") % n
+    p = ids.select(
+        (F.col("chapter") + F.when(key(50) == 0, 100_000_000).otherwise(0)).alias("chapter"), F.when(key(3) == 0, "preserve_start").when(key(3) == 1, "balanced").alias("edge_priority"), (key(2) == 0).alias("controlled_clip"),
+        F.when(key(5) == 1, "old").when(key(5) != 0, "new").alias("binding_sha256"), F.lit("new").alias("policy_sha256"),
+    )
+    p = p.unionByName(p.where("chapter % 77 = 0"))
     return K.policy_violations(p, ids)
 
 

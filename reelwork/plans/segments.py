@@ -106,6 +106,25 @@ def _v14(s):
     return G.open_edit_violations(s)
 
 
+@query("v14_rushes", "g_segment", sql="""
+, t AS (SELECT DISTINCT project_id, '16:9' AS a FROM g_segment WHERE project_id % 5 <> 0 UNION ALL SELECT DISTINCT project_id, '9:16' FROM g_segment UNION ALL SELECT DISTINCT project_id, '9:16' FROM g_segment WHERE project_id % 7 = 0)
+SELECT project_id, 'aspects' AS rule FROM t GROUP BY project_id HAVING count(*) FILTER (WHERE a = '16:9') <> 1 OR count(*) FILTER (WHERE a = '9:16') <> 1 OR count(*) <> 2 UNION ALL SELECT DISTINCT project_id, 'duplicate_select' FROM (SELECT project_id FROM g_segment GROUP BY project_id, feature_id % 40 HAVING count(*) > 1)""")
+def _v14r(s):
+    of = lambda rows, a: rows.select("project_id").distinct().withColumn("aspect_ratio", F.lit(a))
+    timelines = of(s.where("project_id % 5 <> 0"), "16:9").unionByName(of(s, "9:16")).unionByName(of(s.where("project_id % 7 = 0"), "9:16"))
+    return G.rushes_violations(timelines, s.select("project_id", F.lit("9:16").alias("aspect_ratio"), (F.col("feature_id") % 40).alias("select_id")))
+
+
+@query("v15_narrative_trims", "g_segment", sql="""
+, e AS (SELECT feature_id AS event_id, feature_id % 10 AS asset, 1000 AS a, 1000 + duration_ms AS b FROM g_segment WHERE feature_id % 17 <> 0), c AS (SELECT project_id, feature_id, feature_id AS event_id, CASE WHEN feature_id % 19 = 0 THEN 99 ELSE feature_id % 10 END AS asset, 1000 - CASE WHEN feature_id % 11 = 0 THEN 1 ELSE 0 END AS i, 1000 + CASE WHEN feature_id % 13 = 0 THEN 0 ELSE duration_ms END AS o FROM g_segment)
+SELECT * FROM (SELECT project_id, feature_id, CASE WHEN e.asset IS NULL THEN 'unknown_event' WHEN e.asset <> c.asset THEN 'wrong_asset' WHEN NOT (a <= i AND i < o AND o <= b) THEN 'outside_event' END AS rule FROM c LEFT JOIN e USING (event_id)) WHERE rule IS NOT NULL""")
+def _v15t(s):
+    events = s.where("feature_id % 17 <> 0").select(F.col("feature_id").alias("event_id"), (F.col("feature_id") % 10).alias("asset_id"), F.lit(1000).alias("event_start"), (1000 + F.col("duration_ms")).alias("event_end"))
+    held = lambda n, a, b: F.when(F.col("feature_id") % n == 0, a).otherwise(b)
+    chapters = s.select("project_id", "feature_id", F.col("feature_id").alias("event_id"), held(19, F.lit(99), F.col("feature_id") % 10).alias("asset_id"), (1000 - held(11, F.lit(1), F.lit(0))).alias("source_in_ms"), (1000 + held(13, F.lit(0), F.col("duration_ms"))).alias("source_out_ms"))
+    return G.narrative_trims(chapters, events)
+
+
 @query("v15_narrative_plan", "g_segment", sql="""
 , p AS (SELECT * FROM g_segment WHERE feature_id % 13 <> 0), g AS (SELECT project_id, min(pos) AS a, max(pos) AS b, count(*) AS n, sum(duration_ms) AS total FROM p GROUP BY project_id)
 SELECT project_id, 'order' AS rule FROM g WHERE a <> 1 OR b <> n UNION ALL SELECT project_id, 'total_time' FROM g WHERE total NOT BETWEEN 60000 AND 90000 UNION ALL SELECT DISTINCT project_id, 'missing_feature' FROM g_segment WHERE feature_id % 13 = 0""")
@@ -114,10 +133,15 @@ def _v15(s):
 
 
 @query("v18_render_contract", "g_segment", sql="""
-, r AS (SELECT project_id, 1080 AS width, CASE WHEN project_id % 8 = 0 THEN 1080 ELSE 1920 END AS height, sum(duration_ms) AS total, sum(duration_ms) + CASE WHEN project_id % 6 = 0 THEN 700 ELSE 300 END AS d FROM g_segment GROUP BY project_id)
-SELECT project_id, 'aspect' AS rule FROM r WHERE width * 16 <> height * 9 UNION ALL SELECT project_id, 'duration' FROM r WHERE abs(d - total) > 500""")
+, c AS (SELECT project_id, sum(duration_ms)::BIGINT AS total FROM g_segment GROUP BY project_id)
+, r AS (SELECT project_id, total, CASE WHEN project_id % 11 = 0 THEN 'b' ELSE 'a' END AS h, CASE WHEN project_id % 9 = 0 THEN 720 ELSE 1080 END AS w, CASE WHEN project_id % 8 = 0 THEN 1080 WHEN project_id % 9 = 0 THEN 1280 ELSE 1920 END AS height, total + CASE WHEN project_id % 6 = 0 THEN 700 ELSE 300 END AS d, total + CASE WHEN project_id % 5 = 0 THEN 0 ELSE 300 END AS dd FROM c)
+SELECT project_id, 'hash' AS rule FROM r WHERE h <> 'a' UNION ALL SELECT project_id, 'aspect' FROM r WHERE w * 16 <> height * 9 UNION ALL SELECT project_id, 'size' FROM r WHERE w <> 1080 OR height <> 1920 UNION ALL SELECT project_id, 'declared_duration' FROM r WHERE abs(d - dd) > 250 UNION ALL SELECT project_id, 'duration' FROM r WHERE abs(d - total) > 500""")
 def _v18(s):
-    r = s.groupBy("project_id").agg(F.sum("duration_ms").alias("total")).select("project_id", F.lit(1080).alias("width"), F.when(F.col("project_id") % 8 == 0, 1080).otherwise(1920).alias("height"), (F.col("total") + F.when(F.col("project_id") % 6 == 0, 700).otherwise(300)).alias("duration_ms"))
+    when = lambda n, a, b: F.when(F.col("project_id") % n == 0, a).otherwise(b)
+    r = s.groupBy("project_id").agg(F.sum("duration_ms").alias("total")).select(
+        "project_id", when(11, F.lit("b"), F.lit("a")).alias("sha256"), F.lit("a").alias("declared_sha256"), when(9, F.lit(720), F.lit(1080)).alias("width"), when(8, F.lit(1080), when(9, F.lit(1280), F.lit(1920))).alias("height"), F.lit(1080).alias("declared_width"), F.lit(1920).alias("declared_height"),
+        (F.col("total") + when(6, F.lit(700), F.lit(300))).alias("duration_ms"), (F.col("total") + when(5, F.lit(0), F.lit(300))).alias("declared_duration_ms"),
+    )
     return G.render_violations(r, s)
 
 

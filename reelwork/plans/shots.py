@@ -169,6 +169,15 @@ def _v1(events):
     return S.content_map_violations(events)
 
 
+@query("v1_entity_references", "b_event", sql="""
+, e AS (SELECT asset_id, event_id % 10 AS entity_id FROM b_event WHERE event_id % 10 < 8 GROUP BY ALL UNION ALL SELECT DISTINCT asset_id, 3 FROM b_event WHERE asset_id % 7 = 0), r AS (SELECT DISTINCT asset_id, event_id, unnest([event_id % 10, 1]) AS entity_id FROM b_event)
+SELECT asset_id, event_id, entity_id, 'unknown_entity' AS rule FROM r ANTI JOIN e USING (asset_id, entity_id) UNION ALL SELECT asset_id, NULL, entity_id, 'duplicate_entity' FROM e GROUP BY asset_id, entity_id HAVING count(*) > 1""")
+def _v1e(events):
+    entities = events.select("asset_id", (F.col("event_id") % 10).cast("long").alias("entity_id")).where("entity_id < 8").distinct().unionByName(events.where("asset_id % 7 = 0").select("asset_id", F.lit(3).cast("long").alias("entity_id")).distinct())
+    references = events.select("asset_id", "event_id", F.explode(F.array((F.col("event_id") % 10).cast("long"), F.lit(1).cast("long"))).alias("entity_id"))
+    return S.entity_violations(references, entities)
+
+
 @query("v2_temporal_map", "b_event", sql="""
 SELECT asset_id, event_id, 'overlap' AS rule FROM (SELECT *, lag(end_ms) OVER (PARTITION BY asset_id ORDER BY start_ms, event_id) AS before FROM b_event) WHERE before > start_ms
 UNION ALL SELECT asset_id, event_id, 'beyond_duration' FROM b_event WHERE end_ms > duration_ms""")
