@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: US dollars for a million tokens: input, cached input, output.
@@ -24,22 +25,23 @@ def _marked(log: DataFrame) -> DataFrame:
 
 
 def _heads(marked: DataFrame) -> DataFrame:
-    """Of each payload, whether an attempt has it, and the first other row by path: partial sums before the shuffle, so a hot payload is no hot task."""
-    row = F.struct("path", *[c for c in marked.columns if c not in ("path", "payload_hash")])
-    return marked.groupBy("payload_hash").agg(F.max("is_attempt").alias("has_attempt"), F.min(F.when(~F.col("is_attempt"), row)).alias("head"))
+    """Of each payload the first row by path that is no attempt; Spark keeps one a task before the shuffle, so a hot payload is no hot task."""
+    place = F.row_number().over(W.partitionBy("payload_hash").orderBy("path"))
+    return marked.where("NOT is_attempt").withColumn("_rn", place).where("_rn = 1").drop("_rn")
 
 
 def usage_dedup(log: DataFrame) -> DataFrame:
     """log without rows whose payload an attempt or a lesser path already has. Paths are unique."""
     marked = _marked(log)
-    heads = _heads(marked).where("NOT has_attempt").select("payload_hash", "head.*")
-    return marked.where("is_attempt").unionByName(heads)
+    attempts = marked.where("is_attempt")
+    return attempts.unionByName(_heads(marked).join(attempts.select("payload_hash").distinct(), "payload_hash", "left_anti"))
 
 
 def usage_duplicates(log: DataFrame) -> DataFrame:
     marked = _marked(log)
-    heads = _heads(marked).select("payload_hash", "has_attempt", F.col("head.path").alias("first_path"))
-    return marked.where("NOT is_attempt").join(heads, "payload_hash").where(F.col("has_attempt") | (F.col("path") != F.col("first_path"))).select("path", "payload_hash")
+    attempted = marked.where("is_attempt").select("payload_hash").distinct().withColumn("has_attempt", F.lit(True))
+    heads = _heads(marked).select("payload_hash", F.col("path").alias("first_path")).join(attempted, "payload_hash", "left")
+    return marked.where("NOT is_attempt").join(heads, "payload_hash").where(F.col("has_attempt").isNotNull() | (F.col("path") != F.col("first_path"))).select("path", "payload_hash")
 
 
 def usage_cost(log: DataFrame, prices: DataFrame) -> DataFrame:
