@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -208,10 +207,12 @@ def coverage_gate(times: DataFrame, interval_ms: float) -> DataFrame:
     """(track_id, ... passed) from rows track_id, t_ms, usable: share of unusable samples, gaps at the ends and inside.
 
     Unusable at most 0.20; two common samples; gaps within 1.35 and 2.25 intervals, and 35 ms.
+    The ends are those of columns start_ms and end_ms, where there are such, or else the first and last sample.
     """
     used = F.when(F.col("usable"), F.col("t_ms"))
+    start, end = ("start_ms", "end_ms") if "start_ms" in times.columns else ("t_ms", "t_ms")
     rows = times.where("usable").withColumn("_gap", F.col("t_ms") - F.lag("t_ms").over(W.partitionBy("track_id").orderBy("t_ms"))).groupBy("track_id").agg(F.coalesce(F.max("_gap"), F.lit(0)).alias("internal_gap_ms"))
-    g = times.groupBy("track_id").agg(F.count("*").alias("expected"), F.count(used).alias("common"), F.min("t_ms").alias("_a"), F.max("t_ms").alias("_b"), F.min(used).alias("_u"), F.max(used).alias("_v"))
+    g = times.groupBy("track_id").agg(F.count("*").alias("expected"), F.count(used).alias("common"), F.min(start).alias("_a"), F.max(end).alias("_b"), F.min(used).alias("_u"), F.max(used).alias("_v"))
     g = g.join(rows, "track_id", "left").select("track_id", "expected", "common", F.round(1 - F.col("common") / F.col("expected"), 6).alias("unavailable_ratio"), F.coalesce(F.col("_u") - F.col("_a"), F.col("_b") - F.col("_a")).alias("head_gap_ms"), F.coalesce(F.col("_b") - F.col("_v"), F.col("_b") - F.col("_a")).alias("tail_gap_ms"), F.coalesce("internal_gap_ms", F.lit(0)).alias("internal_gap_ms"))
     edge, inner = interval_ms * 1.35 + 35, interval_ms * 2.25 + 35
     ok = (F.col("common") >= 2) & (F.col("unavailable_ratio") <= 0.20) & (F.col("head_gap_ms") <= edge) & (F.col("tail_gap_ms") <= edge) & (F.col("internal_gap_ms") <= inner)
@@ -256,127 +257,6 @@ def mask_iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, both / union)
 
 
-# --- crop paths
-
-
-def cover_transform(source_width: Column, source_height: Column, width: int, height: int, zoom: Column | float = 1.0) -> dict[str, Column]:
-    """The scaled size that covers the output at the source's aspect, even numbers, and the axes that can pan."""
-    even = lambda v: F.greatest(F.lit(2), F.ceil(v / 2) * 2).cast("long")
-    zoom = zoom if isinstance(zoom, Column) else F.lit(zoom)
-    aspect = source_width / source_height
-    wide = aspect >= width / height
-    tall_h, flat_w = even(height * zoom), even(width * zoom)
-    w = F.when(wide, even(tall_h * aspect)).otherwise(flat_w)
-    h = F.when(wide, tall_h).otherwise(even(flat_w / aspect))
-    return {"scaled_width": w, "scaled_height": h, "pan_x": w > width, "pan_y": h > height}
-
-
-def axis_constraints(low: Column, high: Column, view: Column, priority: str = "balanced") -> dict[str, Column]:
-    """Legal crop origins of an axis (low and high end of the padded box, width of the view); one aligned origin if the box doesn't fit."""
-    most = F.greatest(F.lit(0.0), 1000.0 - view)
-    lower, upper = F.greatest(F.lit(0.0), high - view), F.least(most, low)
-    fits = lower <= upper + 1e-6
-    clamp = lambda v: F.greatest(F.lit(0.0), F.least(most, v))
-    aligned_at = {"preserve_start": clamp(low), "preserve_end": clamp(high - view), "balanced": clamp((low + high) / 2 - view / 2)}[priority]
-    return {"lower": F.when(fits, lower).otherwise(aligned_at), "upper": F.when(fits, upper).otherwise(aligned_at), "feasible": fits}
-
-
-def crop_visibility(b: list[Column], left: Column, top: Column, width: Column, height: Column) -> dict[str, Column]:
-    """Whether the crop holds the box, and the visible fractions of its width, height and area."""
-    w = F.greatest(F.lit(0.0), F.least(b[2], left + width) - F.greatest(b[0], left)) / (b[2] - b[0])
-    h = F.greatest(F.lit(0.0), F.least(b[3], top + height) - F.greatest(b[1], top)) / (b[3] - b[1])
-    held = (b[0] >= left - 1e-6) & (b[2] <= left + width + 1e-6) & (b[1] >= top - 1e-6) & (b[3] <= top + height + 1e-6)
-    return {"contained": held, "visible_width": w, "visible_height": h, "visible_area": w * h}
-
-
-def boundary_contact(b: list[Column], margin: int = 5) -> Column:
-    return (b[0] <= margin) | (b[1] <= margin) | (b[2] >= 1000 - margin) | (b[3] >= 1000 - margin)
-
-
-def target_fits(box_width: Column, view: Column, primary: Column) -> Column:
-    """Whether a target of the width fits the view: a primary one with a margin of a tenth."""
-    return F.when(primary, box_width * 1.1 <= view).otherwise(box_width <= view)
-
-
-def safe_zoom(boxes: DataFrame, scaled_width: int, scaled_height: int, requested: float) -> DataFrame:
-    """(track_id, zoom): the requested zoom limited by the largest box with a margin of 1.45, and by 2; under 1.035 it is none (1)."""
-    g = boxes.groupBy("track_id").agg(F.max(F.col("x_max") - F.col("x_min")).alias("w"), F.max(F.col("y_max") - F.col("y_min")).alias("h"))
-    most = F.least(F.lit(2.0), 1920 / (F.col("w") / 1000 * scaled_width * 1.45), 1080 / (F.col("h") / 1000 * scaled_height * 1.45))
-    applied = F.greatest(F.lit(1.0), F.least(F.lit(requested), most))
-    return g.select("track_id", F.round(F.when(applied < 1.035, 1.0).otherwise(applied), 6).alias("zoom"))
-
-
-def ema_smooth(series: DataFrame, value: str, alpha: float = 0.34) -> DataFrame:
-    """series (track_id, sample_index, value) with smoothed: exponential smoothing forward, then backward.
-
-    A track's samples are one ordered recurrence, so a track must fit in a task.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("sample_index")
-        forward = group[value].ewm(alpha=alpha, adjust=False).mean()
-        backward = forward[::-1].ewm(alpha=alpha, adjust=False).mean()[::-1]
-        return group.assign(smoothed=backward)
-
-    columns = series.select("track_id", "sample_index", F.col(value).cast("double"))
-    return columns.groupBy("track_id").applyInPandas(run, f"track_id long, sample_index long, {value} double, smoothed double")
-
-
-def projected_smooth(series: DataFrame, desired: str, lower: str, upper: str, rounds: int = 12) -> DataFrame:
-    """series with smoothed: each round moves a value to 0.58 of its target and 0.42 of its neighbours' mean, inside its limits.
-
-    A round reads only the one before it, so all rounds share one window: one shuffle and one sort.
-    """
-    clamp = lambda v: F.greatest(F.col(lower), F.least(F.col(upper), v))
-    out = series.withColumn("smoothed", clamp(F.col(desired)))
-    for _ in range(rounds):
-        a, b = F.lag("smoothed").over(_order()), F.lead("smoothed").over(_order())
-        mean = F.when(a.isNull() & b.isNull(), F.col(desired)).when(a.isNull(), b).when(b.isNull(), a).otherwise((a + b) / 2)
-        out = out.withColumn("_mean", mean).withColumn("smoothed", clamp(0.58 * F.col(desired) + 0.42 * F.col("_mean"))).drop("_mean")
-    return out
-
-
-def crop_kinematics(path: DataFrame, x: str, y: str, seconds: str) -> DataFrame:
-    """(track_id, max_speed, max_acceleration, max_jerk) of a path, with steps of 1 ms at least."""
-    lag = lambda c: F.lag(c).over(_order())
-    p = path.withColumn("_dt", F.greatest(F.lit(0.001), F.col(seconds) - lag(seconds))).withColumn("_v", F.hypot((F.col(x) - lag(x)) / F.col("_dt"), (F.col(y) - lag(y)) / F.col("_dt")))
-    p = p.withColumn("_a", F.abs(F.col("_v") - lag("_v")) / F.col("_dt")).withColumn("_j", F.abs(F.col("_a") - lag("_a")) / F.col("_dt"))
-    most = lambda c, n: F.round(F.coalesce(F.max(c), F.lit(0.0)), 6).alias(n)
-    return p.groupBy("track_id").agg(most("_v", "max_speed"), most("_a", "max_acceleration"), most("_j", "max_jerk"))
-
-
-def crop_geometry(stated: DataFrame, view: float, rounds: int = 12) -> DataFrame:
-    """(track_id, ...): the crop path of each track's tracked samples along x, smoothed in its limits, with what it keeps visible and how fast it moves."""
-    s = usable_samples(stated)
-    limits = axis_constraints(F.col("x_min").cast("double"), F.col("x_max").cast("double"), F.lit(view))
-    s = s.withColumns(limits).withColumn("desired", center("x") - view / 2)
-    path = projected_smooth(s, "desired", "lower", "upper", rounds)
-    seen = crop_visibility(box(), F.col("smoothed"), F.lit(0.0), F.lit(view), F.lit(1000.0))
-    path = path.withColumns(seen).withColumn("touches", boundary_contact(box())).withColumn("zero", F.lit(0.0))
-    held = path.groupBy("track_id").agg(F.count("*").alias("samples"), F.count_if(~F.col("feasible")).alias("infeasible"), F.count_if(~F.col("contained")).alias("not_contained"), F.round(F.min("visible_area"), 6).alias("min_visible_area"), F.round(F.avg(F.col("touches").cast("int")), 6).alias("contact_ratio"))
-    return held.join(crop_kinematics(path, "smoothed", "zero", "seconds"), "track_id")
-
-
-def vertical_routing(geometry: DataFrame, max_speed: float) -> DataFrame:
-    """(track_id, route, risks): tracked_crop, or the fallback that the first failing gate asks for."""
-    risks = F.array_compact(F.array(F.when(F.col("samples") < 2, F.lit("fewer_than_two_samples")), F.when(F.col("infeasible") > 0, F.lit("target_wider_than_crop")), F.when(F.col("min_visible_area") < 0.72, F.lit("visibility_below_floor")), F.when(F.col("max_speed") > max_speed, F.lit("crop_too_fast")), F.when(F.col("contact_ratio") > 0.5, F.lit("source_boundary_contact"))))
-    route = F.when(F.col("samples") < 2, "seed_anchor").when((F.col("min_visible_area") < 0.72) | (F.col("max_speed") > max_speed), "fit_with_background").otherwise("tracked_crop")
-    return geometry.select("track_id", route.alias("route"), risks.alias("risks"))
-
-
-def horizontal_routing(zooms: DataFrame, confidence: DataFrame) -> DataFrame:
-    """(track_id, route, failed_gate): a tracked zoom, or the original and the first gate that failed."""
-    gate = F.when(~F.col("passed"), "tracking_confidence").when(F.col("zoom") < 1.035, "no_safe_zoom_margin")
-    return zooms.join(confidence, "track_id").select("track_id", F.when(gate.isNull(), "tracked_zoom").otherwise("original").alias("route"), gate.alias("failed_gate"))
-
-
-def soft_extent_visibility(crops: DataFrame, preferred: DataFrame, view: float) -> DataFrame:
-    """Crop keyframes (track_id, t_ms, left) with the visible share of the preferred box at just that time; without one it is 0."""
-    p = preferred.select("track_id", "t_ms", "x_min", "x_max")
-    share = F.greatest(F.lit(0.0), F.least(F.col("x_max"), F.col("left") + view) - F.greatest(F.col("x_min"), F.col("left"))) / (F.col("x_max") - F.col("x_min"))
-    return crops.join(p, ["track_id", "t_ms"], "left").select("track_id", "t_ms", F.round(F.coalesce(share, F.lit(0.0)), 6).alias("visible"))
-
-
 def resolve_by_fingerprint(renders: DataFrame, tracks: DataFrame) -> DataFrame:
     """(render_id, track_id, rule): the one track of a render's hash; none or several is a violation."""
     t = tracks.groupBy("track_hash").agg(F.count("*").alias("n"), F.min("track_id").alias("track_id"))

@@ -158,36 +158,6 @@ def _j17(samples):
     return T.resolve_by_fingerprint(renders, tracks)
 
 
-@query("w6_ema_smooth", "d_sample")
-def _w6(samples):
-    return T.ema_smooth(samples.withColumn("x", T.center("x")), "x").select("track_id", "sample_index", F.round("smoothed", 6).alias("smoothed"))
-
-
-def _rounds(n: int) -> str:
-    out = ", s0 AS (SELECT track_id, sample_index, (x_min + x_max) / 2 - 250 AS d, 100.0::DOUBLE AS lo, 600.0::DOUBLE AS hi, greatest(100.0::DOUBLE, least(600.0::DOUBLE, (x_min + x_max) / 2 - 250)) AS v FROM d_sample)"
-    for k in range(n):
-        out += f"""
-, m{k} AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM s{k} WINDOW w AS ({_W}))
-, s{k + 1} AS (SELECT track_id, sample_index, d, lo, hi, greatest(lo, least(hi, 0.58::DOUBLE * d + 0.42::DOUBLE * CASE WHEN a IS NULL AND b IS NULL THEN d WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END)) AS v FROM m{k})"""
-    return out
-
-
-@query("w7_projected_smooth", "d_sample", sql=_rounds(12) + " SELECT track_id, sample_index, round(v, 6) AS smoothed FROM s12")
-def _w7(samples):
-    s = samples.select("track_id", "sample_index", (T.center("x") - 250).alias("d"), F.lit(100.0).alias("lo"), F.lit(600.0).alias("hi"))
-    return T.projected_smooth(s, "d", "lo", "hi").select("track_id", "sample_index", F.round("smoothed", 6).alias("smoothed"))
-
-
-@query("w8_crop_kinematics", "d_sample", sql=f"""
-, p AS (SELECT *, (x_min + x_max) / 2 AS x, (y_min + y_max) / 2 AS y, t_ms / 1000 AS sec FROM d_sample)
-, v AS (SELECT track_id, sample_index, greatest(0.001, sec - lag(sec) OVER w) AS dt, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM p WINDOW w AS ({_W})), v2 AS (SELECT *, CASE WHEN dx IS NOT NULL THEN sqrt((dx / dt) ** 2 + (dy / dt) ** 2) END AS v FROM v)
-, a AS (SELECT *, abs(v - lag(v) OVER ({_W})) / dt AS a FROM v2), j AS (SELECT *, abs(a - lag(a) OVER ({_W})) / dt AS j FROM a)
-SELECT track_id, round(coalesce(max(v), 0), 6) AS max_speed, round(coalesce(max(a), 0), 6) AS max_acceleration, round(coalesce(max(j), 0), 6) AS max_jerk FROM j GROUP BY track_id""")
-def _w8(samples):
-    p = samples.select("track_id", "sample_index", T.center("x").alias("x"), T.center("y").alias("y"), (F.col("t_ms") / 1000).alias("sec"))
-    return T.crop_kinematics(p, "x", "y", "sec")
-
-
 @query("w11_monotone_checks", "d_sample", sql=f"""
 , s AS (SELECT track_id, sample_index + CASE WHEN sample_index > 30 THEN 1 ELSE 0 END AS sample_index, t_ms - CASE WHEN sample_index % 40 = 39 THEN 900000000 ELSE 0 END AS t_ms FROM d_sample), o AS (SELECT *, lag(t_ms) OVER w AS before, row_number() OVER w - 1 AS place FROM s WINDOW w AS ({_W}))
 SELECT track_id, sample_index, 'time_not_increasing' AS rule FROM o WHERE t_ms <= before UNION ALL SELECT track_id, sample_index, 'index_gap' FROM o WHERE sample_index <> place""")
@@ -263,14 +233,6 @@ def _j9(samples):
     return T.common_union(r, 2)
 
 
-@query("j10_soft_extent_join", "d_sample", sql="""
-, c AS (SELECT track_id, t_ms, (x_min + x_max) / 2 - 150 AS lft FROM d_sample), p AS (SELECT track_id, t_ms, x_min, x_max FROM d_sample WHERE sample_index % 3 <> 0)
-SELECT c.track_id, c.t_ms, round(coalesce(greatest(0.0::DOUBLE, least(x_max, lft + 300) - greatest(x_min, lft)) / (x_max - x_min), 0), 6) AS visible FROM c LEFT JOIN p ON c.track_id = p.track_id AND c.t_ms = p.t_ms""")
-def _j10(samples):
-    crops = samples.select("track_id", "t_ms", (T.center("x") - 150).alias("left"))
-    return T.soft_extent_visibility(crops, samples.where("sample_index % 3 <> 0"), 300.0)
-
-
 _AGREE = _STATE + _OTHER + """
 , p AS (SELECT a.track_id, a.state = b.state AS same, a.area_ratio > 0 AND b.area_ratio > 0 AS ok, greatest(0, least(a.x_max, b.x_max) - greatest(a.x_min, b.x_min)) * greatest(0, least(a.y_max, b.y_max) - greatest(a.y_min, b.y_min)) AS i,
     (a.x_max - a.x_min) * (a.y_max - a.y_min) + (b.x_max - b.x_min) * (b.y_max - b.y_min) AS s, sqrt(((a.x_min + a.x_max) / 2 - (b.x_min + b.x_max) / 2) ** 2 + ((a.y_min + a.y_max) / 2 - (b.y_min + b.y_max) / 2) ** 2) AS d
@@ -304,59 +266,6 @@ def _c7(samples):
     return near.groupBy("track_id").agg(F.count("*").alias("samples"), F.round(F.avg(iou(box(), box("r_"))), 6).alias("mean_iou"))
 
 
-@query("f12_cover_transform", "d_sample", sql="""
-, s AS (SELECT DISTINCT track_id, 640 + track_id % 50 * 32 AS sw, 480 + track_id % 7 * 100 AS sh FROM d_sample), a AS (SELECT *, sw / sh AS aspect FROM s)
-, b AS (SELECT *, CASE WHEN aspect >= 1080 / 1920 THEN greatest(2, ceil(1920 * 1.2::DOUBLE / 2) * 2) END AS th, CASE WHEN aspect < 1080 / 1920 THEN greatest(2, ceil(1080 * 1.2::DOUBLE / 2) * 2) END AS fw FROM a)
-, c AS (SELECT track_id, coalesce(fw, greatest(2, ceil(th * aspect / 2) * 2))::BIGINT AS scaled_width, coalesce(th, greatest(2, ceil(fw / aspect / 2) * 2))::BIGINT AS scaled_height FROM b)
-SELECT *, scaled_width > 1080 AS pan_x, scaled_height > 1920 AS pan_y FROM c""")
-def _f12(samples):
-    s = samples.select("track_id").distinct().select("track_id", (640 + F.col("track_id") % 50 * 32).alias("sw"), (480 + F.col("track_id") % 7 * 100).alias("sh"))
-    return s.select("track_id", *[c.alias(n) for n, c in T.cover_transform(F.col("sw"), F.col("sh"), 1080, 1920, 1.2).items()])
-
-
-@query("f13_axis_constraints", "d_sample", sql="""
-, a AS (SELECT track_id, sample_index, greatest(0.0::DOUBLE, x_max - 250.0::DOUBLE) AS lo, least(750.0::DOUBLE, x_min::DOUBLE) AS up, greatest(0.0::DOUBLE, least(750.0::DOUBLE, (x_min + x_max) / 2 - 125)) AS mid FROM d_sample)
-SELECT track_id, sample_index, CASE WHEN lo <= up + 1e-6 THEN lo ELSE mid END AS lower, CASE WHEN lo <= up + 1e-6 THEN up ELSE mid END AS upper, lo <= up + 1e-6 AS feasible FROM a""")
-def _f13(samples):
-    return samples.select("track_id", "sample_index", *[c.alias(n) for n, c in T.axis_constraints(F.col("x_min").cast("double"), F.col("x_max").cast("double"), F.lit(250.0)).items()])
-
-
-_SEEN_SHARES = "greatest(0.0::DOUBLE, least(x_max, 500.0::DOUBLE) - greatest(x_min, 200.0::DOUBLE)) / (x_max - x_min) AS w, greatest(0.0::DOUBLE, least(y_max, 600.0::DOUBLE) - greatest(y_min, 100.0::DOUBLE)) / (y_max - y_min) AS h"
-
-
-@query("f14_crop_visibility", "d_sample", sql=f"""
-SELECT track_id, sample_index, x_min >= 200 AND x_max <= 500 AND y_min >= 100 AND y_max <= 600 AS contained, round(w, 6) AS visible_width, round(h, 6) AS visible_height, round(w * h, 6) AS visible_area FROM (SELECT *, {_SEEN_SHARES} FROM d_sample)""")
-def _f14(samples):
-    v = T.crop_visibility(box(), F.lit(200.0), F.lit(100.0), F.lit(300.0), F.lit(500.0))
-    return samples.select("track_id", "sample_index", v["contained"].alias("contained"), *[F.round(v[k], 6).alias(k) for k in ("visible_width", "visible_height", "visible_area")])
-
-
-@query("f15_boundary_contact", "d_sample", sql=f"SELECT track_id, count(*) FILTER (WHERE {_TOUCH}) AS contacts, round(count(*) FILTER (WHERE {_TOUCH}) / count(*), 6) AS ratio FROM d_sample GROUP BY track_id")
-def _f15(samples):
-    n = F.count_if(T.boundary_contact(box()))
-    return samples.groupBy("track_id").agg(n.alias("contacts"), F.round(n / F.count("*"), 6).alias("ratio"))
-
-
-@query("f16_target_fits", "d_sample", sql="SELECT track_id, sample_index, CASE WHEN sample_index % 2 = 0 THEN (x_max - x_min) * 1.1::DOUBLE <= 220.0 ELSE (x_max - x_min) <= 220.0 END AS fits FROM d_sample")
-def _f16(samples):
-    return samples.select("track_id", "sample_index", T.target_fits(F.col("x_max") - F.col("x_min"), F.lit(220.0), F.col("sample_index") % 2 == 0).alias("fits"))
-
-
-_ZOOM = """
-, g AS (SELECT track_id, max((x_max - x_min) * (1 + track_id % 4)) AS w, max(y_max - y_min) AS h FROM d_sample GROUP BY track_id), z AS (SELECT track_id, greatest(1.0::DOUBLE, least(1.35::DOUBLE, 2.0::DOUBLE, 1920 / (w / 1000 * 1920 * 1.45::DOUBLE), 1080 / (h / 1000 * 1080 * 1.45::DOUBLE))) AS a FROM g)
-, zooms AS (SELECT track_id, round(CASE WHEN a < 1.035 THEN 1.0::DOUBLE ELSE a END, 6) AS zoom FROM z)"""
-
-
-def _wide(samples):
-    """Boxes of several sizes, so that some tracks leave room for a zoom and some do not."""
-    return samples.withColumn("x_max", F.col("x_min") + (F.col("x_max") - F.col("x_min")) * (1 + F.col("track_id") % 4))
-
-
-@query("f17_safe_zoom", "d_sample", sql=_ZOOM + " SELECT * FROM zooms")
-def _f17(samples):
-    return T.safe_zoom(_wide(samples), 1920, 1080, 1.35)
-
-
 @query("f27_mask_iou", "d_sample", sql="""
 , w AS (SELECT track_id, sample_index, [area_word, x_min * 7919, y_min * 104729] AS a, [x_max * 7919, x_min * 7919, y_max * 104729] AS b FROM (SELECT *, components * 1299709 AS area_word FROM d_sample))
 , c AS (SELECT track_id, sample_index, bit_count(a[1] & b[1]) + bit_count(a[2] & b[2]) + bit_count(a[3] & b[3]) AS i, bit_count(a[1] | b[1]) + bit_count(a[2] | b[2]) + bit_count(a[3] | b[3]) AS u FROM w)
@@ -367,28 +276,6 @@ def _f27(samples):
     return samples.select("track_id", "sample_index", F.round(T.mask_iou(a, b), 6).alias("iou"))
 
 
-def _geometry(samples):
-    return T.crop_geometry(T.track_states(samples), 350.0)
-
-
-@query("f30_crop_geometry", "d_sample")
-def _f30(samples):
-    return _geometry(samples)
-
-
-@query("f28_vertical_routing", "d_sample")
-def _f28(samples):
-    return T.vertical_routing(_geometry(samples), 0.05).withColumn("risks", F.array_join("risks", ","))
-
-
-@query("f29_horizontal_routing", "d_sample", sql=_STATE + _ZOOM + """
-, c AS (SELECT track_id, count(*) FILTER (WHERE state = 'low_confidence') = 0 AS passed FROM stated WHERE sample_index < 4 GROUP BY track_id), r AS (SELECT track_id, CASE WHEN NOT passed THEN 'tracking_confidence' WHEN zoom < 1.035 THEN 'no_safe_zoom_margin' END AS failed_gate FROM zooms JOIN c USING (track_id))
-SELECT track_id, CASE WHEN failed_gate IS NULL THEN 'tracked_zoom' ELSE 'original' END AS route, failed_gate FROM r""")
-def _f29(samples):
-    confidence = T.track_confidence(T.track_states(samples).where("sample_index < 4"))
-    return T.horizontal_routing(T.safe_zoom(_wide(samples), 1920, 1080, 1.35), confidence)
-
-
 _BOXED = "area_ratio > 0 OR sample_index % 5 = 0"
 _FILED = "(area_ratio > 0 AND sample_index % 11 <> 0) OR (area_ratio = 0 AND sample_index % 7 = 0)"
 

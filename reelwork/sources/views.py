@@ -13,6 +13,17 @@ SHA = {"spark": "sha2({0}, 256)", "duckdb": "sha256({0})"}
 
 _LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem) x"
 
+
+def _region(r: int) -> str:
+    """The boxes of one region of each series: two that must be seen, of which every third series has one, and one that may be cut."""
+    shift = (0, 20, 150)[r]
+    return f"""SELECT track_id AS series, {r} AS region, sample_index, sample_index * 200 + sample_index % 3 AS t_ms,
+        CASE WHEN track_id % 11 = 3 AND components = {r + 2} THEN 'low_confidence' WHEN track_id % 6 = 2 AND components < 3 THEN 'lost' WHEN components = 6 AND sample_index % 2 = {r % 2} AND track_id % 4 = 1 THEN 'lost' ELSE 'tracked' END AS state,
+        track_id * 37 % 600 + {shift} + x_min % (4 + track_id % 5 * 15) AS x_min, track_id * 53 % 200 + {15 * r} + y_min % (4 + track_id % 4 * 10) AS y_min,
+        least(1000, track_id * 37 % 600 + {shift + 60} + track_id % 8 * 45 + x_min % (4 + track_id % 5 * 15)) AS x_max, least(1000, track_id * 53 % 200 + {15 * r + 200} + track_id % 7 * 120 + y_min % (4 + track_id % 4 * 10)) AS y_max
+        FROM d_sample{("", " WHERE track_id % 3 <> 0", " WHERE track_id % 4 = 1")[r]}"""
+
+
 VIEWS: dict[str, str] = {
     "a_usage": """SELECT concat('run-', l_suppkey, '/', CASE WHEN l_linenumber % 3 = 0 THEN 'attempts/' WHEN l_linenumber % 5 = 0 THEN 'attempt-1/' ELSE '' END, l_orderkey, '-', l_linenumber, '-', l_partkey, '.raw_interaction.json') AS path,
         concat(l_partkey % 97, '|', CAST(l_quantity AS INT)) AS payload, CASE WHEN l_returnflag = 'R' THEN 'm-a' ELSE 'm-b' END AS model,
@@ -29,6 +40,7 @@ VIEWS: dict[str, str] = {
     "d_sample": """SELECT asset_id AS track_id, row_number() OVER (PARTITION BY asset_id ORDER BY t_ms, event_id) - 1 AS sample_index, t_ms,
         CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 0.0 ELSE score / 1000 END AS area_ratio, event_id % 7 AS components, CAST(event_id % 100 AS DOUBLE) / 100 AS probability,
         event_id * 37 % 600 AS x_min, event_id * 53 % 600 AS y_min, event_id * 37 % 600 + 100 + event_id % 200 AS x_max, event_id * 53 % 600 + 100 + event_id % 150 AS y_max, 20 AS seed_index FROM b_points""",
+    "d_crop": " UNION ALL ".join(map(_region, range(3))),
     "e_candidate": f"""SELECT l_orderkey AS chapter, concat('c', rn) AS candidate_id, rn AS rank, l_discount * 10 AS confidence, l_partkey % 11 <> 0 AS lineage_ok, l_suppkey % 13 <> 0 AS single_shot,
         CASE WHEN l_partkey % 23 = 0 THEN 'not_visible' WHEN l_returnflag = 'A' THEN 'matched' WHEN l_returnflag = 'N' THEN 'not_revalidated' ELSE 'ambiguous' END AS semantic_status, l_partkey % 5 <> 0 AS confidence_ok, l_partkey % 6 <> 0 AS coverage_ok,
         CASE rn % 3 WHEN 0 THEN 'hard_core' WHEN 1 THEN 'soft_extent' ELSE 'overlay_keepout' END AS role, l_partkey % 10 = 0 AS atomic, 1 - l_tax AS min_visible,
@@ -47,7 +59,7 @@ VIEWS: dict[str, str] = {
     "k_file": "SELECT concat(source, '/', doc_id, '.txt') AS path, text AS content, n_chars AS duration_ms FROM documents",
     "l_json": "SELECT event_id, props FROM events",
 }
-_NEEDS = {"b_boundary": ["b_points"], "b_event": ["b_points"], "d_sample": ["b_points"]}
+_NEEDS = {"b_boundary": ["b_points"], "b_event": ["b_points"], "d_sample": ["b_points"], "d_crop": ["b_points", "d_sample"]}
 _TABLES = ("lineitem", "orders", "part", "events", "documents", "conversations")
 
 

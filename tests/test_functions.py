@@ -14,6 +14,7 @@ from reelwork.functions.text import contract_id, label_similarity, normalized, s
 from reelwork.functions.times import mmss_to_ms, ms_to_mmss, pts_to_ms
 from reelwork.operators import candidates as K
 from reelwork.operators import compare as C
+from reelwork.operators import crops as P
 from reelwork.operators import locks as L
 from reelwork.operators import segments as Q
 from reelwork.operators import shots as S
@@ -165,7 +166,7 @@ def test_track_states_and_smoothing(spark):
     assert {(r.track_id, r.sample_index): r.state for r in T.track_states(samples).collect()} == want
 
     values = {(r[0], r[1]): r[6] + 50.0 for r in rows}
-    got = {(r.track_id, r.sample_index): r.smoothed for r in T.ema_smooth(samples.withColumn("x", T.center("x")), "x").collect()}
+    got = {(r.track_id, r.sample_index): r.smoothed for r in P.ema_smooth(samples.withColumn("x", T.center("x")), {"x": "smoothed"}).collect()}
     for t in range(3):
         forward = [values[t, 0]]
         for i in range(1, 20):
