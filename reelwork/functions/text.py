@@ -32,6 +32,11 @@ def canonical_sha256(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)
 
 
+def json_sha256(value: Column, nulls: bool = True) -> Column:
+    """Hash of a struct as compact JSON, in the order of its fields; null fields are written as null, or left out."""
+    return F.sha2(F.to_json(value, {"ignoreNullFields": str(not nulls).lower()}), 256)
+
+
 @F.pandas_udf(DoubleType())
 def label_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of trimmed, case-folded labels; the order of the arguments matters."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelwork.functions.text import canonical_sha256
+from reelwork.functions.text import canonical_sha256, json_sha256
 from reelwork.operators.rounds import cut_lineage
 
 
@@ -105,11 +105,133 @@ def lock_violations(targets: DataFrame) -> DataFrame:
     return base.unionByName(parents)
 
 
-def migrate_lock(targets: DataFrame) -> DataFrame:
-    """Version 1 locks as version 2: (query_id, version, targets, lock_sha256), with the targets nested in order."""
-    nested = F.array_sort(F.collect_list(F.struct("target_id", F.col("target_description").alias("text"))))
-    g = targets.groupBy("query_id").agg(nested.alias("targets")).withColumn("version", F.lit(2))
-    return g.withColumn("lock_sha256", F.sha2(F.array_join(F.transform("targets", lambda x: F.concat_ws(":", x["target_id"].cast("string"), x["text"])), "|"), 256))
+def _say(when: Column, rule: str) -> Column:
+    return F.when(when, F.lit(rule))
+
+
+def _blank(c: str) -> Column:
+    return F.exists(F.col(c), lambda x: F.btrim(x) == "")
+
+
+def _repeated(c: str | Column) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.size(F.array_distinct(c)) < F.size(c)
+
+
+def identity_violations(targets: DataFrame) -> DataFrame:
+    """(query_id, target_id, rule) for the identity of one target.
+
+    targets: target_id, parent_target_id, scope, identity_cues, context_cues, stable_exclusions, and the anchors
+    positive_anchors and negative_anchors of (frame_id, crop_sha256). Lists are never null.
+    """
+    low = lambda c: F.transform(F.col(c), lambda x: F.lower(x))
+    whole = F.col("scope") == "whole_instance"
+    crops = lambda c: F.transform(F.col(c), lambda x: x["crop_sha256"])
+    lists = ("identity_cues", "context_cues", "stable_exclusions")
+    rules = F.array_compact(F.array(
+        *[_say(_blank(c), f"blank_{c}") for c in lists], *[_say(_repeated(c), f"repeated_{c}") for c in (*lists, "positive_anchors", "negative_anchors")],
+        _say(whole & F.col("parent_target_id").isNotNull(), "parent_of_whole_instance"), _say(~whole & F.col("parent_target_id").isNull(), "parent_missing"), _say(F.col("parent_target_id") == F.col("target_id"), "own_parent"),
+        _say((F.size("identity_cues") == 0) & (F.size("positive_anchors") == 0), "no_identity"), _say(F.arrays_overlap(low("identity_cues"), low("stable_exclusions")), "cues_exclusions"), _say(F.arrays_overlap(crops("positive_anchors"), crops("negative_anchors")), "crop_both_ways"),
+    ))
+    return targets.select("query_id", "target_id", F.explode(rules).alias("rule"))
+
+
+def contract_violations(locks: DataFrame) -> DataFrame:
+    """(query_id, rule) for the predicate, framing and approval of locks.
+
+    locks: target_ids of the identity; predicate (null: none) of participant_target_ids, required_at, phases, required_evidence,
+    disqualifying_conditions; framing of required_, preferred_, sacrificable_ and overlay_keepout_target_ids, editing_uses and
+    aspect_constraints (required_target_ids, target_visibility_constraints of target_id, minimum_visible_fraction, atomic);
+    approval of approval_source, policy_reference.
+    """
+    known, p, f = F.col("target_ids"), F.col("predicate"), F.col("framing")
+    unknown = lambda c: F.size(F.array_except(c, known)) > 0
+    blank = lambda c: F.exists(c, lambda x: F.btrim(x) == "")
+    roles = [f[f"{r}_target_ids"] for r in ("required", "preferred", "sacrificable")]
+    aspect = lambda test: F.exists(f["aspect_constraints"], test)
+    floors = lambda test: aspect(lambda a: F.exists(a["target_visibility_constraints"], test))
+    ids = lambda a: F.transform(a["target_visibility_constraints"], lambda v: v["target_id"])
+    policy = F.col("approval.policy_reference")
+    auto = F.col("approval.approval_source") == "auto_policy"
+    lists = [(p[c], c) for c in ("participant_target_ids", "required_evidence", "disqualifying_conditions")] + [(f[c], c) for c in ("required_target_ids", "preferred_target_ids", "sacrificable_target_ids", "overlay_keepout_target_ids", "editing_uses")]
+    rules = F.array_compact(F.array(
+        *[_say(blank(c), f"blank_{n}") for c, n in lists], *[_say(_repeated(c), f"repeated_{n}") for c, n in lists],
+        _say(F.size(p["participant_target_ids"]) == 0, "no_participant"), _say(unknown(p["participant_target_ids"]), "unknown_participant"), _say((p["required_at"] == "transition") & p["phases"].isNull(), "phases_missing"),
+        *[_say(unknown(f[f"{r}_target_ids"]), f"unknown_{r}") for r in ("required", "preferred", "sacrificable", "overlay_keepout")],
+        _say(F.arrays_overlap(roles[0], roles[1]) | F.arrays_overlap(roles[0], roles[2]) | F.arrays_overlap(roles[1], roles[2]), "roles_overlap"),
+        _say(aspect(lambda a: unknown(a["required_target_ids"])), "aspect_unknown_target"), _say(aspect(lambda a: _repeated(a["required_target_ids"])), "aspect_repeated_target"),
+        _say(aspect(lambda a: unknown(ids(a))), "visibility_unknown_target"), _say(aspect(lambda a: _repeated(ids(a))), "visibility_repeated_target"),
+        _say(floors(lambda v: (v["minimum_visible_fraction"] <= 0) | (v["minimum_visible_fraction"] > 1)), "visibility_range"), _say(floors(lambda v: v["atomic"] & (v["minimum_visible_fraction"] != 1)), "atomic_not_whole"),
+        _say(auto & (F.btrim(F.coalesce(policy, F.lit(""))) == ""), "policy_missing"), _say(~auto & policy.isNotNull(), "policy_not_expected"),
+    ))
+    return locks.select("query_id", F.explode(rules).alias("rule"))
+
+
+# --- version 1 locks, proposals and approvals
+
+
+def migrate_locks(locks: DataFrame) -> DataFrame:
+    """Version 1 locks as proposals of version 2 in three layers (identity, predicate, framing), without any loss. One that cannot be moved has a rule and no layers.
+
+    locks: query_id, revision, editorial_goal, claim_source, provenance, targets (target_id, target_description, positive_attributes,
+    negative_attributes, reference_frame_ids, reference_crop_hashes), observable_predicate, predicate_phases (precondition, apex,
+    postcondition; null: none), required_evidence, negative_constraints, editing_uses, aspect_constraints (aspect_ratio,
+    required_target_ids, constraint). Fields of a struct are in the order of their names, as in canonical JSON.
+    """
+    empty = F.array().cast("array<string>")
+    anchor = lambda frame, crop: F.struct(crop.alias("crop_sha256"), frame.alias("frame_id"))
+    none = F.array().cast("array<struct<crop_sha256:string,frame_id:string>>")
+    target = lambda t: F.struct(
+        empty.alias("context_cues"), F.when(F.size(t["positive_attributes"]) > 0, t["positive_attributes"]).otherwise(F.array(t["target_description"])).alias("identity_cues"), none.alias("negative_anchors"),
+        F.zip_with(t["reference_frame_ids"], t["reference_crop_hashes"], anchor).alias("positive_anchors"), F.lit("whole_instance").alias("scope"), t["negative_attributes"].alias("stable_exclusions"), t["target_description"].alias("target_description"), t["target_id"].alias("target_id"),
+    )
+    ids = F.transform("targets", lambda t: t["target_id"])
+    phases, stated = F.col("predicate_phases"), F.col("observable_predicate")
+    said = F.when(stated != "", stated)
+    order = F.struct(phases["apex"].alias("apex"), phases["postcondition"].alias("postcondition"), phases["precondition"].alias("precondition"))
+    predicate = F.struct(
+        F.col("negative_constraints").alias("disqualifying_conditions"), ids.alias("participant_target_ids"), F.when(phases.isNotNull(), order).alias("phases"), F.concat("query_id", F.lit(":predicate")).alias("predicate_id"), F.when(phases.isNotNull(), "transition").otherwise("seed").alias("required_at"),
+        F.col("required_evidence").alias("required_evidence"), F.coalesce(said, F.concat(F.lit("Observable transition: "), phases["precondition"], F.lit("; "), phases["apex"], F.lit("; "), phases["postcondition"])).alias("statement"),
+    )
+    required = F.array_distinct(F.flatten(F.transform("aspect_constraints", lambda a: a["required_target_ids"])))
+    floors = F.array().cast("array<struct<atomic:boolean,minimum_visible_fraction:double,target_id:string>>")
+    aspects = F.transform("aspect_constraints", lambda a: F.struct(a["aspect_ratio"].alias("aspect_ratio"), a["constraint"].alias("constraint"), F.lit("forbid").alias("required_target_clipping_policy"), a["required_target_ids"].alias("required_target_ids"), floors.alias("target_visibility_constraints")))
+    intent = F.array_join(F.transform("aspect_constraints", lambda a: a["constraint"]), "; ")
+    framing = F.struct(
+        aspects.alias("aspect_constraints"), F.col("editing_uses").alias("editing_uses"), F.when(intent == "", "Preserve the selected evidence targets for the intended edit.").otherwise(intent).alias("framing_intent"),
+        empty.alias("overlay_keepout_target_ids"), F.filter(ids, lambda t: ~F.array_contains(required, t)).alias("preferred_target_ids"), required.alias("required_target_ids"), empty.alias("sacrificable_target_ids"),
+    )
+    uneven = F.exists("targets", lambda t: F.size(t["reference_frame_ids"]) != F.size(t["reference_crop_hashes"]))
+    bare = ((F.size("required_evidence") > 0) | (F.size("negative_constraints") > 0)) & said.isNull() & phases.isNull()
+    rule = F.when(F.size("targets") == 0, "no_targets").when(uneven, "anchor_lengths").when(bare, "evidence_without_predicate")
+    return locks.select(
+        "query_id", F.concat("query_id", F.lit(":migrated-v2")).alias("proposal_id"), "revision", "editorial_goal", F.when(rule.isNull(), F.struct(F.transform("targets", target).alias("targets"))).alias("identity"),
+        F.when(rule.isNull() & (said.isNotNull() | phases.isNotNull()), predicate).alias("predicate"), F.when(rule.isNull(), framing).alias("framing"), "claim_source", "provenance", rule.alias("rule"),
+    )
+
+
+def component_hashes(proposals: DataFrame) -> DataFrame:
+    """proposals with the hashes of their three layers and composite_sha256 over these and the goal; no predicate is hashed as null. Without an identity there are no hashes."""
+    layer = lambda c: json_sha256(F.col(c), nulls=False)
+    there = F.col("identity").isNotNull()
+    h = proposals.withColumns({"identity_sha256": layer("identity"), "predicate_sha256": F.when(there, F.coalesce(layer("predicate"), F.sha2(F.lit("null"), 256))), "framing_sha256": layer("framing")})
+    whole = F.struct(F.lit("evidence-query-v2").alias("contract_version"), *[F.col(c) for c in ("editorial_goal", "framing_sha256", "identity_sha256", "predicate_sha256")])
+    return h.withColumn("composite_sha256", F.when(there, json_sha256(whole, nulls=False)))
+
+
+def approve(proposals: DataFrame, approvals: DataFrame) -> DataFrame:
+    """Locks of the proposals that can be moved and are approved, with definition_sha256 over the whole lock; others have a rule instead.
+
+    approvals: query_id, and a struct approval of approval_source, approved_at, approved_by, policy_reference, source_reference.
+    """
+    source, policy = F.col("approval.approval_source"), F.col("approval.policy_reference")
+    rule = (
+        F.when(F.col("rule").isNotNull(), F.col("rule")).when(F.col("approval").isNull(), "not_approved").when((source == "auto_policy") & (F.btrim(F.coalesce(policy, F.lit(""))) == ""), "policy_missing")
+        .when((source != "auto_policy") & policy.isNotNull(), "policy_not_expected").when(~source.isin("user_brief", "human_review", "auto_policy"), "unknown_authority")
+    )
+    body = F.struct("approval", "claim_source", F.lit("evidence-query-lock-v2").alias("contract_version"), "editorial_goal", "framing", "identity", "predicate", "provenance", "query_id", "revision")
+    joined = component_hashes(proposals).join(approvals, "query_id", "left").withColumn("rule", rule)
+    return joined.withColumn("definition_sha256", F.when(F.col("rule").isNull(), json_sha256(body, nulls=False)))
 
 
 def geometry_worklist(events: DataFrame, interval: DataFrame) -> DataFrame:

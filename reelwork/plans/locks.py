@@ -8,7 +8,7 @@ from reelwork.operators import locks as L
 from reelwork.plans.base import query
 
 _J = "j_target"
-_HASHES = """
+HASHES = """
 , h AS (SELECT *, sha256(concat('{', CASE WHEN parent_target_id IS NOT NULL THEN concat('"parent_target_id":', parent_target_id, ',') ELSE '' END, '"target_description":', to_json(target_description), ',"target_id":', target_id, '}')) AS identity_sha256 FROM j_target)
 , hashes AS (SELECT h.*, lock_sha256 FROM h JOIN (SELECT query_id, sha256(string_agg(identity_sha256, '|' ORDER BY target_id)) AS lock_sha256 FROM h GROUP BY query_id) USING (query_id))"""
 
@@ -32,12 +32,12 @@ def _p20(t):
     return L.select_target(t, F.when(F.col("query_id") % 3 == 0, F.lit(1)).when(F.col("query_id") % 3 == 1, F.lit(10000)))
 
 
-@query("f23_canonical_sha256", _J, sql=_HASHES + " SELECT query_id, target_id, identity_sha256 FROM hashes")
+@query("f23_canonical_sha256", _J, sql=HASHES + " SELECT query_id, target_id, identity_sha256 FROM hashes")
 def _f23(t):
     return L.target_hashes(t).select("query_id", "target_id", "identity_sha256")
 
 
-@query("f35_fingerprints", _J, sql=_HASHES + " SELECT DISTINCT query_id, lock_sha256 FROM hashes")
+@query("f35_fingerprints", _J, sql=HASHES + " SELECT DISTINCT query_id, lock_sha256 FROM hashes")
 def _f35(t):
     return L.target_hashes(t).select("query_id", "lock_sha256").distinct()
 
@@ -46,7 +46,7 @@ def _hashed(t):
     return L.target_hashes(t).join(t, ["query_id", "target_id"])
 
 
-@query("v21_plan_binding", _J, sql=_HASHES + """
+@query("v21_plan_binding", _J, sql=HASHES + """
 , s AS (SELECT query_id, target_id, identity_sha256, lock_sha256, CASE WHEN query_id % 6 = 0 THEN 'stale' ELSE identity_sha256 END AS i2, CASE WHEN target_id % 4 = 0 THEN NULL ELSE lock_sha256 END AS l2 FROM hashes)
 SELECT query_id, target_id, 'identity_sha256' AS field, identity_sha256 AS expected, i2 AS actual FROM s WHERE i2 IS DISTINCT FROM identity_sha256 UNION ALL SELECT query_id, target_id, 'lock_sha256', lock_sha256, l2 FROM s WHERE l2 IS DISTINCT FROM lock_sha256""")
 def _v21(t):
@@ -55,7 +55,7 @@ def _v21(t):
     return L.lineage_mismatches(saved, current, ["query_id", "target_id"], ["identity_sha256", "lock_sha256"])
 
 
-@query("j23_bind_lineage", _J, sql=_HASHES + """
+@query("j23_bind_lineage", _J, sql=HASHES + """
 , r AS (SELECT query_id, target_id + CASE WHEN query_id % 9 = 0 THEN 10000 ELSE 0 END AS target_id, CASE WHEN target_id % 5 = 0 THEN 'other' ELSE target_description END AS d FROM j_target)
 SELECT r.query_id, r.target_id, CASE WHEN h.target_description = d THEN lock_sha256 END AS lock_sha256, CASE WHEN h.target_description IS NULL THEN 'unknown_target' WHEN h.target_description <> d THEN 'text_differs' END AS rule FROM r LEFT JOIN hashes h ON r.query_id = h.query_id AND r.target_id = h.target_id""")
 def _j23(t):
@@ -63,7 +63,7 @@ def _j23(t):
     return L.bind_lineage(r, _hashed(t))
 
 
-_CACHE = _HASHES + ", cache AS (SELECT query_id, identity_sha256 FROM hashes WHERE target_id % 2 = 0 AND query_id % 4 <> 0), hit AS (SELECT query_id, target_id FROM hashes SEMI JOIN cache USING (query_id, identity_sha256))"
+_CACHE = HASHES + ", cache AS (SELECT query_id, identity_sha256 FROM hashes WHERE target_id % 2 = 0 AND query_id % 4 <> 0), hit AS (SELECT query_id, target_id FROM hashes SEMI JOIN cache USING (query_id, identity_sha256))"
 
 
 def _cache(t):
@@ -76,13 +76,6 @@ def _j22(t):
     return hit.select("query_id", "target_id", F.lit("hit").alias("kind")).unionByName(work.select("query_id", "target_id", F.lit("work").alias("kind")))
 
 
-@query("c15_temporal_fingerprint", _J, sql=_HASHES + ", f AS (SELECT query_id, target_id, sha256(concat('{\"identity_sha256\":\"', identity_sha256, '\",\"target_id\":', target_id, '}')) AS request_sha256 FROM hashes) SELECT query_id, target_id, request_sha256 FROM f")
-def _c15(t):
-    from reelwork.functions.text import canonical_sha256
-
-    return L.target_hashes(t).select("query_id", "target_id", canonical_sha256("identity_sha256", "target_id").alias("request_sha256"))
-
-
 _EVENTS = "SELECT query_id AS event_id, CASE WHEN query_id % 3 = 0 THEN 'lock' END AS lock_target, CASE WHEN query_id % 4 = 0 THEN 'explicit' END AS explicit_target, count(*) AS n, min(target_id) AS first FROM j_target GROUP BY query_id"
 
 
@@ -130,6 +123,96 @@ def _v11(t):
     return L.lock_violations(t.where("NOT (query_id % 11 = 0 AND target_id = 0)").unionByName(t.where("query_id % 7 = 0 AND NOT (query_id % 11 = 0 AND target_id = 0)")))
 
 
-@query("c13_query_lock_pipeline", _J, sql="SELECT query_id, 2::BIGINT AS version, count(*) AS targets, sha256(string_agg(concat(target_id, ':', target_description), '|' ORDER BY target_id)) AS lock_sha256 FROM j_target GROUP BY query_id")
+_LOCKS = """
+, texts AS (SELECT query_id, target_id, coalesce(target_description, '') AS words FROM j_target)
+, v1 AS (SELECT concat('q', query_id) AS query_id, query_id AS n, list({target_id: concat('t', target_id), target_description: words, positive_attributes: CASE WHEN target_id % 3 = 0 THEN []::VARCHAR[] ELSE [concat('cue', target_id)] END, crops: CASE WHEN target_id % 2 = 0 THEN [sha256(words)] ELSE []::VARCHAR[] END} ORDER BY target_id) AS targets FROM texts GROUP BY query_id)
+, v2 AS (SELECT *, n % 13 = 5 AS uneven, CASE WHEN n % 4 <> 0 THEN 'it moves' END AS stated, n % 4 < 2 AND n % 3 = 0 AS phased, CASE WHEN n % 5 = 0 THEN []::VARCHAR[] ELSE ['seen'] END AS evidence, n % 2 = 0 AS framed FROM v1)
+, ids AS (SELECT *, list_transform(targets, lambda t: t.target_id) AS target_ids FROM v2)
+, layers AS (SELECT *, {targets: list_transform(targets, lambda t: {context_cues: []::VARCHAR[], identity_cues: CASE WHEN len(t.positive_attributes) > 0 THEN t.positive_attributes ELSE [t.target_description] END, negative_anchors: []::VARCHAR[], positive_anchors: list_transform(t.crops, lambda c: {crop_sha256: c, frame_id: concat('f-', t.target_id)}),
+    scope: 'whole_instance', stable_exclusions: ['blur'], target_description: t.target_description, target_id: t.target_id})} AS identity,
+    CASE WHEN phased THEN to_json({disqualifying_conditions: []::VARCHAR[], participant_target_ids: target_ids, phases: {apex: 'on', postcondition: 'after', precondition: 'before'}, predicate_id: concat(query_id, ':predicate'), required_at: 'transition', required_evidence: evidence, statement: coalesce(stated, 'Observable transition: before; on; after')})
+    WHEN stated IS NOT NULL THEN to_json({disqualifying_conditions: []::VARCHAR[], participant_target_ids: target_ids, predicate_id: concat(query_id, ':predicate'), required_at: 'seed', required_evidence: evidence, statement: stated}) ELSE 'null' END AS predicate,
+    CASE WHEN framed THEN to_json({aspect_constraints: [{aspect_ratio: '9:16', 'constraint': 'keep', required_target_clipping_policy: 'forbid', required_target_ids: ['t0'], target_visibility_constraints: []::VARCHAR[]}], editing_uses: ['hook'], framing_intent: 'keep', overlay_keepout_target_ids: []::VARCHAR[], preferred_target_ids: list_filter(target_ids, lambda t: t <> 't0'), required_target_ids: ['t0'], sacrificable_target_ids: []::VARCHAR[]})
+    ELSE to_json({aspect_constraints: []::VARCHAR[], editing_uses: ['hook'], framing_intent: 'Preserve the selected evidence targets for the intended edit.', overlay_keepout_target_ids: []::VARCHAR[], preferred_target_ids: target_ids, required_target_ids: []::VARCHAR[], sacrificable_target_ids: []::VARCHAR[]}) END AS framing FROM ids)
+, hashed AS (SELECT *, sha256(to_json(identity)) AS identity_sha256, sha256(predicate) AS predicate_sha256, sha256(framing) AS framing_sha256 FROM layers)
+, approvals AS (SELECT *, CASE WHEN n % 7 <> 0 THEN CASE WHEN n % 3 = 0 THEN 'auto_policy' ELSE 'human_review' END END AS source, CASE WHEN n % 3 = 0 AND n % 11 <> 3 OR n % 17 = 1 THEN 'policy-1' END AS policy FROM hashed)
+, ruled AS (SELECT *, CASE WHEN uneven AND list_contains(target_ids, 't0') THEN 'anchor_lengths' WHEN NOT phased AND stated IS NULL AND len(evidence) > 0 THEN 'evidence_without_predicate' WHEN source IS NULL THEN 'not_approved' WHEN source = 'auto_policy' AND policy IS NULL THEN 'policy_missing' WHEN source <> 'auto_policy' AND policy IS NOT NULL THEN 'policy_not_expected' END AS rule FROM approvals)
+SELECT query_id, rule, CASE WHEN moved THEN identity_sha256 END AS identity_sha256, CASE WHEN moved THEN predicate_sha256 END AS predicate_sha256, CASE WHEN moved THEN framing_sha256 END AS framing_sha256, CASE WHEN moved THEN sha256(to_json({contract_version: 'evidence-query-v2', editorial_goal: 'goal', framing_sha256: framing_sha256, identity_sha256: identity_sha256, predicate_sha256: predicate_sha256})) END AS composite_sha256,
+    CASE WHEN rule IS NULL THEN sha256(concat('{"approval":{"approval_source":"', source, '","approved_at":"2024-01-01","approved_by":"editor"', CASE WHEN policy IS NOT NULL THEN ',"policy_reference":"policy-1"' ELSE '' END, '},"claim_source":"brief","contract_version":"evidence-query-lock-v2","editorial_goal":"goal","framing":', framing,
+    ',"identity":', to_json(identity), CASE WHEN predicate <> 'null' THEN concat(',"predicate":', predicate) ELSE '' END, ',"provenance":{"created_at":"2024-01-01","created_by":"editor"},"query_id":"', query_id, '","revision":1}')) END AS definition_sha256 FROM (SELECT *, rule IS NULL OR rule NOT IN ('anchor_lengths', 'evidence_without_predicate') AS moved FROM ruled)"""
+
+
+def _version_1(t):
+    """A version 1 lock for each query: with and without anchors, a predicate, phases, evidence and framing."""
+    i, none = F.col("target_id"), F.array().cast("array<string>")
+    words, name = F.coalesce("target_description", F.lit("")), F.concat(F.lit("t"), i)
+    crops = F.when(i % 2 == 0, F.array(F.sha2(words, 256))).otherwise(none)
+    target = F.struct(
+        i.alias("at"), name.alias("target_id"), words.alias("target_description"), F.when(i % 3 == 0, none).otherwise(F.array(F.concat(F.lit("cue"), i))).alias("positive_attributes"), F.array(F.lit("blur")).alias("negative_attributes"),
+        F.when((F.col("query_id") % 13 == 5) & (i == 0), none).otherwise(F.transform(crops, lambda _: F.concat(F.lit("f-"), name))).alias("reference_frame_ids"), crops.alias("reference_crop_hashes"),
+    )
+    n = F.col("query_id")
+    g = t.groupBy("query_id").agg(F.array_sort(F.collect_list(target)).alias("targets"))
+    aspect = F.struct(F.lit("9:16").alias("aspect_ratio"), F.array(F.lit("t0")).alias("required_target_ids"), F.lit("keep").alias("constraint"))
+    phases = F.struct(F.lit("before").alias("precondition"), F.lit("on").alias("apex"), F.lit("after").alias("postcondition"))
+    return g.select(
+        F.concat(F.lit("q"), n).alias("query_id"), n.alias("n"), F.lit(1).alias("revision"), F.lit("goal").alias("editorial_goal"), F.lit("brief").alias("claim_source"), F.struct(F.lit("2024-01-01").alias("created_at"), F.lit("editor").alias("created_by")).alias("provenance"), "targets",
+        F.when(n % 4 != 0, "it moves").alias("observable_predicate"), F.when((n % 4 < 2) & (n % 3 == 0), phases).alias("predicate_phases"), F.when(n % 5 == 0, none).otherwise(F.array(F.lit("seen"))).alias("required_evidence"), none.alias("negative_constraints"),
+        F.array(F.lit("hook")).alias("editing_uses"), F.slice(F.array(aspect), 1, F.when(n % 2 == 0, 1).otherwise(0)).alias("aspect_constraints"),
+    )
+
+
+@query("c13_query_lock_pipeline", _J, sql=_LOCKS)
 def _c13(t):
-    return L.migrate_lock(t).select("query_id", "version", F.size("targets").alias("targets"), "lock_sha256")
+    v1, n = _version_1(t), F.col("n")
+    policy = F.when(((n % 3 == 0) & (n % 11 != 3)) | (n % 17 == 1), "policy-1")
+    approval = F.struct(F.when(n % 3 == 0, "auto_policy").otherwise("human_review").alias("approval_source"), F.lit("2024-01-01").alias("approved_at"), F.lit("editor").alias("approved_by"), policy.alias("policy_reference"), F.lit(None).cast("string").alias("source_reference"))
+    approvals = v1.where("n % 7 <> 0").select("query_id", approval.alias("approval"))
+    return L.approve(L.migrate_locks(v1), approvals).select("query_id", "rule", "identity_sha256", "predicate_sha256", "framing_sha256", "composite_sha256", "definition_sha256")
+
+
+@query("v11_target_identity", _J, sql="""
+, t AS (SELECT query_id, target_id AS i, target_id % 3 = 0 AS whole, parent_target_id IS NOT NULL AND target_id % 4 <> 1 AS has_parent, query_id % 9 = 4 AND target_id = 2 AS own, sha256(coalesce(target_description, '')) AS crop FROM j_target)
+, r AS (SELECT query_id, i AS target_id, list_concat(CASE WHEN i % 5 = 1 THEN ['blank_identity_cues'] END, CASE WHEN i % 5 = 2 THEN ['repeated_context_cues'] END, CASE WHEN whole AND (has_parent OR own) THEN ['parent_of_whole_instance'] END, CASE WHEN NOT whole AND NOT has_parent AND NOT own THEN ['parent_missing'] END,
+    CASE WHEN own THEN ['own_parent'] END, CASE WHEN i % 5 = 3 AND i % 2 = 1 THEN ['no_identity'] END, CASE WHEN i % 5 = 4 THEN ['cues_exclusions'] END, CASE WHEN i % 6 = 0 THEN ['crop_both_ways'] END, CASE WHEN i % 8 = 0 THEN ['repeated_positive_anchors'] END) AS rules FROM t)
+SELECT query_id, target_id, unnest(rules) AS rule FROM r""")
+def _v11i(t):
+    i, words = F.col("target_id"), F.coalesce("target_description", F.lit(""))
+    list_ = lambda *x: F.array(*[F.lit(v) for v in x]) if x else F.array().cast("array<string>")
+    anchor = F.struct(F.sha2(words, 256).alias("crop_sha256"), F.lit("f").alias("frame_id"))
+    none = F.array().cast("array<struct<crop_sha256:string,frame_id:string>>")
+    own = (F.col("query_id") % 9 == 4) & (i == 2)
+    given = {
+        "scope": F.when(i % 3 == 0, "whole_instance").otherwise("subpart"), "parent_target_id": F.when(own, i).when(i % 4 != 1, F.col("parent_target_id")),
+        "identity_cues": F.when(i % 5 == 3, list_()).when(i % 5 == 1, list_("red", " ")).otherwise(list_("red")), "context_cues": F.when(i % 5 == 2, list_("door", "door")).otherwise(list_()), "stable_exclusions": F.when(i % 5 == 4, list_("RED")).otherwise(list_("blue")),
+        "positive_anchors": F.when(i % 8 == 0, F.array(anchor, anchor)).when(i % 2 == 0, F.array(anchor)).otherwise(none), "negative_anchors": F.when(i % 6 == 0, F.array(anchor)).otherwise(none),
+    }
+    return L.identity_violations(t.withColumns(given))
+
+
+_CONTRACT_RULES = (
+    ("n % 2 = 0 AND n % 3 = 0", "phases_missing"), ("n % 2 = 0 AND n % 5 = 0", "unknown_participant"), ("n % 2 = 0 AND n % 7 = 0", "no_participant"), ("n % 2 = 0 AND n % 11 = 0", "blank_required_evidence"), ("n % 2 = 0 AND n % 13 = 0", "repeated_disqualifying_conditions"),
+    ("n % 4 = 1", "unknown_overlay_keepout"), ("n % 6 = 1", "roles_overlap"), ("n % 5 = 1", "aspect_unknown_target"), ("n % 5 = 2", "aspect_repeated_target"), ("n % 5 = 3", "visibility_unknown_target"), ("n % 5 = 4", "visibility_repeated_target"),
+    ("n % 8 = 3", "visibility_range"), ("n % 8 = 5", "atomic_not_whole"), ("n % 10 = 6", "policy_missing"), ("n % 10 = 7", "policy_not_expected"),
+)
+
+
+@query("v11_lock_contract", _J, sql=", q AS (SELECT DISTINCT query_id AS n FROM j_target) " + " UNION ALL ".join(f"SELECT n AS query_id, '{rule}' AS rule FROM q WHERE {when.replace('n % 2 = 0 AND n % 5 = 0', 'n % 2 = 0 AND n % 5 = 0 AND n % 7 <> 0')}" for when, rule in _CONTRACT_RULES))
+def _v11c(t):
+    n = F.col("query_id")
+    list_ = lambda *x: F.array(*[F.lit(v) for v in x]) if x else F.array().cast("array<string>")
+    phases = F.when(n % 3 != 0, F.struct(F.lit("on").alias("apex")))
+    predicate = F.struct(
+        F.when(n % 7 == 0, list_()).when(n % 5 == 0, list_("zz")).otherwise(list_("a")).alias("participant_target_ids"), F.lit("transition").alias("required_at"), phases.alias("phases"),
+        F.when(n % 11 == 0, list_(" ")).otherwise(list_("seen")).alias("required_evidence"), F.when(n % 13 == 0, list_("x", "x")).otherwise(list_("x")).alias("disqualifying_conditions"),
+    )
+    floor = lambda name: F.struct(F.lit(name).alias("target_id"), F.when(n % 8 == 3, 1.5).when(n % 8 == 5, 0.5).otherwise(1.0).alias("minimum_visible_fraction"), (n % 8 == 5).alias("atomic"))
+    aspect = F.struct(
+        F.when(n % 5 == 1, list_("zz")).when(n % 5 == 2, list_("a", "a")).otherwise(list_("a")).alias("required_target_ids"), F.when(n % 5 == 3, F.array(floor("zz"))).when(n % 5 == 4, F.array(floor("a"), floor("a"))).otherwise(F.array(floor("a"))).alias("target_visibility_constraints")
+    )
+    framing = F.struct(
+        list_("a").alias("required_target_ids"), F.when(n % 6 == 1, list_("a")).otherwise(list_("b")).alias("preferred_target_ids"), list_("c").alias("sacrificable_target_ids"), F.when(n % 4 == 1, list_("zz")).otherwise(list_()).alias("overlay_keepout_target_ids"), list_("hook").alias("editing_uses"), F.array(aspect).alias("aspect_constraints"),
+    )
+    approval = F.struct(F.when(n % 10 == 6, "auto_policy").otherwise("human_review").alias("approval_source"), F.when(n % 10 == 7, "policy").alias("policy_reference"))
+    q = t.select("query_id").distinct()
+    return L.contract_violations(q.select("query_id", list_("a", "b", "c").alias("target_ids"), F.when(n % 2 == 0, predicate).alias("predicate"), framing.alias("framing"), approval.alias("approval")))

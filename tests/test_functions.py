@@ -247,10 +247,69 @@ def test_overrides(spark):
     assert {tuple(r) for r in K.apply_overrides(chapters, candidates, patch).collect()} == {(1, "a", "c"), (2, "b", "b"), (3, "a", "b"), (4, "b", "a")}
 
 
-def test_locks_keep_their_whole_text(spark):
-    text = "a target described in far more than forty characters of text"
-    got = L.migrate_lock(spark.createDataFrame([(1, 0, text)], "query_id int, target_id int, target_description string")).first()
-    assert got.targets[0].text == text
+def test_migrated_lock_has_the_hashes_of_canonical_json(spark):
+    text = "a target described in far more than forty characters, é and all"
+    row = {
+        "query_id": "q1", "revision": 3, "editorial_goal": "goal", "claim_source": "brief", "provenance": {"created_at": "d", "created_by": "me"}, "targets": [{"target_id": "a", "target_description": text, "positive_attributes": [], "negative_attributes": ["blue"], "reference_frame_ids": ["f"], "reference_crop_hashes": ["0" * 64]}],
+        "observable_predicate": None, "predicate_phases": {"precondition": "p", "apex": "x", "postcondition": "s"}, "required_evidence": ["seen"], "negative_constraints": [], "editing_uses": [], "aspect_constraints": [{"aspect_ratio": "9:16", "required_target_ids": ["a"], "constraint": "keep"}, {"aspect_ratio": "16:9", "required_target_ids": [], "constraint": "wide"}],
+    }
+    lists = {c: "array<string>" for c in ("required_evidence", "negative_constraints", "editing_uses")}
+    schema = ", ".join(f"{c} {k}" for c, k in {
+        "query_id": "string", "revision": "int", "editorial_goal": "string", "claim_source": "string", "provenance": "struct<created_at:string,created_by:string>", "targets": "array<struct<target_id:string,target_description:string,positive_attributes:array<string>,negative_attributes:array<string>,reference_frame_ids:array<string>,reference_crop_hashes:array<string>>>",
+        "observable_predicate": "string", "predicate_phases": "struct<precondition:string,apex:string,postcondition:string>", **lists, "aspect_constraints": "array<struct<aspect_ratio:string,required_target_ids:array<string>,constraint:string>>",
+    }.items())
+    bare = row | {"query_id": "q2", "predicate_phases": None}
+    uneven = row | {"query_id": "q3", "targets": [row["targets"][0] | {"reference_frame_ids": []}]}
+    approval = {"approval_source": "human_review", "approved_at": "d", "approved_by": "me", "policy_reference": None, "source_reference": None}
+    approvals = spark.createDataFrame([{"query_id": q, "approval": approval} for q in ("q1", "q2", "q3")], "query_id string, approval struct<approval_source:string,approved_at:string,approved_by:string,policy_reference:string,source_reference:string>")
+    got = {r.query_id: r for r in L.approve(L.migrate_locks(spark.createDataFrame([row, bare, uneven], schema)), approvals).collect()}
+    assert got["q2"].rule == "evidence_without_predicate" and got["q3"].rule == "anchor_lengths" and got["q3"].definition_sha256 is None
+
+    def sha(value):
+        return hashlib.sha256(json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
+
+    identity = {"targets": [{"target_id": "a", "target_description": text, "scope": "whole_instance", "identity_cues": [text], "context_cues": [], "positive_anchors": [{"frame_id": "f", "crop_sha256": "0" * 64}], "stable_exclusions": ["blue"], "negative_anchors": []}]}
+    predicate = {"predicate_id": "q1:predicate", "statement": "Observable transition: p; x; s", "participant_target_ids": ["a"], "required_at": "transition", "phases": row["predicate_phases"], "required_evidence": ["seen"], "disqualifying_conditions": []}
+    aspects = [{**a, "target_visibility_constraints": [], "required_target_clipping_policy": "forbid"} for a in row["aspect_constraints"]]
+    framing = {"required_target_ids": ["a"], "preferred_target_ids": [], "sacrificable_target_ids": [], "overlay_keepout_target_ids": [], "framing_intent": "keep; wide", "editing_uses": [], "aspect_constraints": aspects}
+    parts = {"identity_sha256": sha(identity), "predicate_sha256": sha(predicate), "framing_sha256": sha(framing)}
+    assert {c: got["q1"][c] for c in parts} == parts
+    assert got["q1"].composite_sha256 == sha({"contract_version": "evidence-query-v2", "editorial_goal": "goal", **parts})
+    whole = {"contract_version": "evidence-query-lock-v2", "query_id": "q1", "revision": 3, "editorial_goal": "goal", "identity": identity, "predicate": predicate, "framing": framing, "claim_source": "brief", "provenance": row["provenance"], "approval": {k: v for k, v in approval.items() if v}}
+    assert got["q1"].definition_sha256 == sha(whole)
+
+
+def crop_rows(boxes, **more):
+    return [{"track_id": 1, "sample_index": i, "seconds": i / 5, "x_min": b[0], "y_min": b[1], "x_max": b[2], "y_max": b[3], "source_width": 1920, "source_height": 1080, **more} for i, b in enumerate(boxes)]
+
+
+def test_crop_path_holds_what_fits_and_clips_only_if_told(spark):
+    fits = P.crop_path(spark.createDataFrame(crop_rows([(100 + 9 * i, 100, 300 + 9 * i, 900) for i in range(40)], safety=1.08)), 1080, 1920)
+    audit = P.crop_audit(fits).first()
+    assert audit.all_feasible and audit.not_contained == 0 and audit.min_visible_area == 1.0 and audit.max_speed_y == 0.0 and 0 < audit.max_speed_x < 720
+    left = [r.left for r in fits.orderBy("sample_index").collect()]
+    assert left == sorted(left)
+    wide = [(100, 100, 700, 900)] * 3
+    for priority, at in (("preserve_start", 100.0), ("preserve_end", 700 - 1080000 / 3414), ("balanced", 400 - 540000 / 3414)):
+        path = P.crop_path(spark.createDataFrame(crop_rows(wide, overflow_policy="controlled_clip", edge_priority=priority)), 1080, 1920)
+        assert all(math.isclose(r.left, at) for r in path.collect())
+        audit = P.crop_audit(path).first()
+        assert audit.controlled_clip and not audit.all_feasible and audit.not_contained == 3 and audit.min_visible_width == round(1080000 / 3414 / 600, 6)
+    kept = P.crop_audit(P.crop_path(spark.createDataFrame(crop_rows(wide)), 1080, 1920)).first()
+    assert not kept.controlled_clip and not kept.all_feasible
+
+
+def test_smoothing_of_a_long_track_is_that_of_all_its_samples(spark):
+    values = [random.Random(7).random() * 1000 for _ in range(1)] + [random.Random(i).random() * 1000 for i in range(700)]
+    series = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "track_id long, sample_index long, x double")
+    got = [r.s for r in P.ema_smooth(series, {"x": "s"}).orderBy("sample_index").collect()]
+    forward = values[:1]
+    for v in values[1:]:
+        forward.append(0.34 * v + 0.66 * forward[-1])
+    back = forward[-1:]
+    for v in forward[-2::-1]:
+        back.append(0.34 * v + 0.66 * back[-1])
+    assert all(math.isclose(a, b, rel_tol=1e-13) for a, b in zip(got, back[::-1], strict=True))
 
 
 def test_recovery_order(spark):
