@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -112,17 +114,81 @@ def review_reasons(segments: DataFrame) -> DataFrame:
     return segments.withColumn("reasons", F.array_distinct(F.concat(facts, risks)))
 
 
-def qa_verdict(observations: DataFrame) -> DataFrame:
-    """(project_id, verdict): reject if any is critical, pass if all are clean and nothing is to be reviewed, else review."""
-    g = observations.groupBy("project_id").agg(F.max("critical").alias("critical"), F.min("clean").alias("clean"), F.max(F.size("reasons") > 0).alias("open"))
-    verdict = F.when(F.col("critical"), "reject").when(F.col("clean") & ~F.col("open"), "pass").otherwise("review")
-    return g.select("project_id", verdict.alias("verdict"))
+def judged(observations: DataFrame) -> DataFrame:
+    """observations with critical and clean, from semantic_match, target_visibility, important_text_status and issues (an array)."""
+    text, issues = F.col("important_text_status"), F.coalesce("issues", F.array().cast("array<string>"))
+    wrong = F.arrays_overlap(issues, F.array(F.lit("identity_mismatch"), F.lit("semantic_mismatch")))
+    critical = (F.col("semantic_match") == "mismatch") | (F.col("target_visibility") == "not_visible") | text.isin("not_visible", "unreadable") | wrong
+    clean = (F.col("semantic_match") == "match") & (F.col("target_visibility") == "clearly_visible") & text.isin("not_applicable", "complete") & (F.size(issues) == 0)
+    return observations.withColumns({"critical": F.coalesce(critical, F.lit(False)), "clean": F.coalesce(clean, F.lit(False))})
+
+
+def qa_verdict(observations: DataFrame, contract: DataFrame) -> DataFrame:
+    """(project_id, verdict): reject if any observation is critical, pass if all are clean and no segment of the contract has reasons, else review."""
+    g = judged(observations).groupBy("project_id").agg(F.max("critical").alias("critical"), F.min("clean").alias("clean"))
+    open_ = contract.groupBy("project_id").agg(F.max(F.size("reasons") > 0).alias("open"))
+    verdict = F.when(F.col("critical"), "reject").when(F.col("clean") & ~F.coalesce("open", F.lit(False)), "pass").otherwise("review")
+    return g.join(open_, "project_id", "left").select("project_id", verdict.alias("verdict"))
+
+
+# fields of a chapter, and of a value in one, that hold text; lists of regions; the kinds of region whose text counts
+TEXT_FIELDS = ["important_text", "important_text_description", "required_text", "required_visible_text", "text_requirements"]
+VALUE_FIELDS = ["text", "description", "target_description", "expected", "value", "label"]
+REGION_FIELDS = ["reframe_regions", "vertical_regions", "target_regions"]
+TEXT_KINDS = ["text", "text_region", "ui_text", "signage"]
+
+
+def _field(x: Column, name: str, kind: str) -> Column:
+    """A field of a struct, null where it is empty or the type has none."""
+    return F.when(x[name] != "", x[name]) if re.search(rf"[<,]{name}:", kind) else F.lit(None).cast("string")
+
+
+def _walk(kind: str):
+    return lambda x: F.array(*[_field(x, name, kind) for name in VALUE_FIELDS])
+
 
+def _region_texts(name: str, kind: str) -> Column:
+    def counts(r: Column) -> Column:
+        sort = F.lower(F.coalesce(*[_field(r, k, kind) for k in ("semantic_kind", "region_kind", "kind")], F.lit("")))
+        return sort.isin(TEXT_KINDS) & (F.lower(F.coalesce(_field(r, "role", kind), F.lit("required"))) == "required")
 
-def segment_contract(segments: DataFrame) -> DataFrame:
-    """The rows a QA job gets: timeline, reasons and whether a text check is due."""
-    s = review_reasons(timeline(segments))
-    return s.select("project_id", "feature_id", "pos", "start_ms", "end_ms", "reasons", (F.col("editorial_role") != "action").alias("text_check"))
+    return F.flatten(F.transform(F.filter(name, counts), _walk(kind)))
+
+
+def important_text(chapters: DataFrame) -> DataFrame:
+    """chapters with important_text: what must be legible, each text once, in the order of the fields.
+
+    TEXT_FIELDS are arrays of text or of structs of VALUE_FIELDS, REGION_FIELDS are arrays of structs of VALUE_FIELDS and any of
+    semantic_kind, region_kind, kind and role (null: required); fields that are missing or null say nothing. Only required regions of text count.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in chapters.schema}
+    none = F.array().cast("array<string>")
+    given = [f for f in (*TEXT_FIELDS, *REGION_FIELDS) if f in kinds]
+    parts = [_region_texts(f, kinds[f]) if f in REGION_FIELDS else F.col(f) if kinds[f] == "array<string>" else F.flatten(F.transform(f, _walk(kinds[f]))) for f in given]
+    said = F.concat(none, *[F.coalesce(p, none) for p in parts])
+    trimmed = F.transform(F.array_compact(said), lambda x: F.btrim(x))
+    return chapters.withColumn("important_text", F.array_distinct(F.filter(trimmed, lambda x: x != "")))
+
+
+def segment_contract(chapters: DataFrame) -> DataFrame:
+    """The rows a QA job gets, with start_ms and end_ms on the timeline, and rule for a chapter that is no segment: no_feature, no_identity, no_duration, duplicate_identity.
+
+    chapters: project_id, pos, feature_id, segment_id, segment_path, segment_render_fingerprint (the first that is given names the
+    segment), expected_semantics, semantic_intent, target_description (the first that is given is expected), duration_ms or
+    source_in_ms and source_out_ms, the fields of review_reasons() and of important_text(); vertical_regions have region_id and kind.
+    """
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    name = F.regexp_extract("segment_path", "([^/]*)/*$", 1)
+    segment = F.coalesce(given("segment_id"), F.when(F.col("segment_path") != "", F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")), F.substring(given("segment_render_fingerprint"), 1, 16))
+    expected = F.coalesce(given("expected_semantics"), given("semantic_intent"), given("target_description"), F.lit("No explicit semantic expectation was recorded; observe conservatively."))
+    time = F.coalesce("duration_ms", F.col("source_out_ms") - F.col("source_in_ms"))
+    region = lambda r: F.struct(F.coalesce(r["region_id"], F.lit("")).alias("region_id"), F.coalesce(F.when(r["kind"] != "", r["kind"]), F.lit("other")).alias("kind"), F.coalesce(r["target_description"], F.lit("")).alias("target_description"))
+    regions = F.transform(F.filter("vertical_regions", lambda r: F.coalesce(F.when(r["role"] != "", r["role"]), F.lit("required")) == "required"), region)
+    c = review_reasons(important_text(chapters)).withColumns({"segment_id": segment, "expected_semantics": expected, "duration_ms": time, "required_regions": F.coalesce(regions, F.array().cast("array<struct<region_id:string,kind:string,target_description:string>>"))})
+    again = F.row_number().over(W.partitionBy("project_id", "feature_id", "segment_id").orderBy("pos")) > 1
+    rule = F.when(F.coalesce(F.col("feature_id").cast("string"), F.lit("")) == "", "no_feature").when(F.col("segment_id").isNull(), "no_identity").when(F.coalesce(F.col("duration_ms"), F.lit(0)) <= 0, "no_duration").when(again, "duplicate_identity")
+    columns = ["project_id", "feature_id", "segment_id", "pos", "start_ms", "end_ms", "duration_ms", "expected_semantics", "target_description", "important_text", "required_regions", "requires_review", "risk_codes", "reasons"]
+    return timeline(c).select(*columns, (F.size("important_text") > 0).alias("text_check"), rule.alias("rule"))
 
 
 def qa_result_mismatches(contract: DataFrame, result: DataFrame) -> DataFrame:
@@ -155,12 +221,6 @@ def crop_audit(segments: DataFrame, selected: Column) -> DataFrame:
     return timeline(segments).select("project_id", "feature_id", "start_ms", "end_ms", selected.alias("selected"), (others - (~selected).cast("long")).alias("alternatives"))
 
 
-def flatten_text(value: Column) -> Column:
-    """Trimmed, non-empty parts of an array of arrays of text, each once."""
-    parts = F.transform(F.flatten(value), lambda x: F.btrim(x))
-    return F.array_distinct(F.filter(parts, lambda x: x != ""))
-
-
 def text_consensus(observations: DataFrame, claims: DataFrame) -> DataFrame:
     """(claim_id, text, votes, total, matches, methods_agree, status) for claims (claim_id, claim_text, selected_text) and their readings (claim_id, pos, relevant_text).
 

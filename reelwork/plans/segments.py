@@ -73,11 +73,28 @@ def _f24(s):
     return s.select("feature_id", G.duration_ms(given, F.lit(100), end).alias("duration_ms"))
 
 
-@query("f25_flatten_text", "g_segment", sql="SELECT feature_id, editorial_role || CASE WHEN keep THEN ',kept' ELSE '' END AS text FROM g_segment")
+# fields of a chapter, in SQL that Spark and DuckDB share
+_CHAPTER = {
+    "segment_id": "CASE WHEN feature_id % 3 = 0 THEN concat('seg-', feature_id) END", "segment_path": "CASE WHEN feature_id % 3 = 1 THEN concat('out/part/clip.', feature_id, '.mp4') END", "segment_render_fingerprint": "CASE WHEN feature_id % 3 = 2 AND feature_id % 7 <> 0 THEN concat('fingerprint-', feature_id, '-and-more-of-it') END",
+    "expected_semantics": "CASE WHEN feature_id % 4 = 0 THEN concat('expect ', feature_id) END", "semantic_intent": "CASE WHEN feature_id % 4 = 1 THEN 'intent' ELSE '' END", "target_description": "CASE WHEN feature_id % 4 = 2 THEN editorial_role END",
+    "given_ms": "CASE WHEN feature_id % 5 <> 0 THEN duration_ms END", "source_in_ms": "CASE WHEN feature_id % 10 = 0 THEN 100 END", "source_out_ms": "CASE WHEN feature_id % 10 = 0 THEN 100 + duration_ms END",
+    "words": "CASE WHEN keep THEN concat(' ', editorial_role, ' ') ELSE '  ' END", "kind": "CASE feature_id % 6 WHEN 0 THEN 'Signage' WHEN 1 THEN 'face' WHEN 2 THEN 'text' ELSE '' END", "role": "CASE WHEN feature_id % 8 < 4 THEN 'required' WHEN feature_id % 8 = 4 THEN 'preferred' END",
+}
+_CHAPTERS = f"""
+, chapters AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _CHAPTER.items())} FROM facts)
+, said AS (SELECT *, coalesce(role, 'required') = 'required' AS needed, list_distinct(list_filter(list_concat([trim(words)], CASE WHEN coalesce(role, 'required') = 'required' AND lower(kind) IN ('signage', 'text') THEN [concat('label ', feature_id % 3), trim(words)] ELSE []::VARCHAR[] END), lambda x: x <> '')) AS texts FROM chapters)
+, important AS (SELECT *, CASE WHEN len(texts) = 2 AND texts[1] <> trim(words) THEN list_reverse(texts) ELSE texts END AS important_text FROM said)"""
+
+
+def _chapters(s):
+    c = _facts(s).withColumns({k: F.expr(v) for k, v in _CHAPTER.items()})
+    region = F.struct(F.concat(F.lit("r"), F.col("feature_id") % 2).alias("region_id"), F.col("kind").alias("kind"), F.col("role").alias("role"), F.concat(F.lit("label "), F.col("feature_id") % 3).alias("target_description"), F.col("words").alias("label"))
+    return c.drop("duration_ms").withColumnRenamed("given_ms", "duration_ms").withColumns({"required_text": F.array("words", F.lit("")), "vertical_regions": F.array(region)})
+
+
+@query("f25_flatten_text", "g_segment", sql=_FACTS + _CHAPTERS + " SELECT feature_id, array_to_string(important_text, ',') AS text FROM important")
 def _f25(s):
-    nested = F.array(F.array(F.concat(F.lit(" "), "editorial_role"), F.lit("  ")), F.array(F.when(F.col("keep"), " kept ").otherwise(""), F.col("editorial_role")))
-    parts = G.flatten_text(nested)
-    return s.select("feature_id", F.array_join(parts, ",").alias("text"))
+    return G.important_text(_chapters(s)).select("feature_id", F.array_join("important_text", ",").alias("text"))
 
 
 @query("f26_review_reasons", "g_segment", sql=_FACTS + f" SELECT feature_id, {_REASONS} AS reasons FROM facts")
@@ -85,11 +102,20 @@ def _f26(s):
     return G.review_reasons(_facts(s)).select("feature_id", F.array_join("reasons", ",").alias("reasons"))
 
 
+_SEEN = {
+    "semantic_match": "CASE WHEN feature_id % 97 = 0 THEN 'mismatch' WHEN feature_id % 13 = 0 THEN 'uncertain' ELSE 'match' END", "target_visibility": "CASE WHEN feature_id % 101 = 0 THEN 'not_visible' WHEN feature_id % 17 = 0 THEN 'partly_visible' ELSE 'clearly_visible' END",
+    "important_text_status": "CASE WHEN feature_id % 103 = 0 THEN 'unreadable' WHEN feature_id % 19 = 0 THEN 'partial' ELSE 'complete' END", "issue": "CASE WHEN feature_id % 107 = 0 THEN 'identity_mismatch' WHEN feature_id % 23 = 0 THEN 'motion_blur' END",
+}
+
+
 @query("a16_qa_verdict", "g_segment", sql=_FACTS + f"""
-, o AS (SELECT *, feature_id % 97 = 0 AS critical, feature_id % 5 <> 0 AS clean, {_REASONS} <> '' AS open FROM facts), g AS (SELECT project_id, bool_or(critical) AS critical, bool_and(clean) AS clean, bool_or(open) AS open FROM o GROUP BY project_id)
+, o AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _SEEN.items())} FROM facts WHERE project_id % 4 <> 1 OR {_REASONS} = '')
+, g AS (SELECT project_id, bool_or(semantic_match = 'mismatch' OR target_visibility = 'not_visible' OR important_text_status IN ('not_visible', 'unreadable') OR coalesce(issue, '') IN ('identity_mismatch', 'semantic_mismatch')) AS critical,
+    bool_and(semantic_match = 'match' AND target_visibility = 'clearly_visible' AND important_text_status IN ('not_applicable', 'complete') AND issue IS NULL) AS clean, bool_or({_REASONS} <> '') AS open FROM o GROUP BY project_id)
 SELECT project_id, CASE WHEN critical THEN 'reject' WHEN clean AND NOT open THEN 'pass' ELSE 'review' END AS verdict FROM g""")
 def _a16(s):
-    return G.qa_verdict(G.review_reasons(_facts(s)).withColumns({"critical": F.col("feature_id") % 97 == 0, "clean": F.col("feature_id") % 5 != 0}))
+    seen = G.review_reasons(_facts(s)).where("project_id % 4 <> 1 OR size(reasons) = 0").withColumns({k: F.expr(v) for k, v in _SEEN.items()})
+    return G.qa_verdict(seen.withColumn("issues", F.array_compact(F.array("issue"))), seen)
 
 
 @query("u1_same_ids", "g_segment", sql="""
@@ -145,19 +171,30 @@ def _v18(s):
     return G.render_violations(r, s)
 
 
-_CONTRACT = _FACTS + _TIME.replace("g_segment", "facts") + f", contract AS (SELECT project_id, feature_id, pos, start_ms, end_ms, {_REASONS} AS reasons, editorial_role <> 'action' AS text_check FROM timeline)"
+_CONTRACT = _FACTS + _CHAPTERS + f"""
+, twice AS (SELECT * REPLACE (coalesce(given_ms, source_out_ms - source_in_ms) AS duration_ms) FROM important UNION ALL SELECT * REPLACE (coalesce(given_ms, source_out_ms - source_in_ms) AS duration_ms, pos + 1000 AS pos) FROM important WHERE feature_id % 43 = 0)
+, named AS (SELECT *, coalesce(segment_id, CASE WHEN segment_path IS NOT NULL THEN concat('clip.', feature_id) END, segment_render_fingerprint[1:16]) AS name, coalesce(expected_semantics, nullif(semantic_intent, ''), target_description, 'No explicit semantic expectation was recorded; observe conservatively.') AS expected FROM twice)
+, timed AS (SELECT *, coalesce(sum(duration_ms) OVER (PARTITION BY project_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms, row_number() OVER (PARTITION BY project_id, feature_id, name ORDER BY pos) AS nth FROM named)
+, contract AS (SELECT project_id, feature_id, name AS segment_id, pos, start_ms, start_ms + duration_ms AS end_ms, duration_ms, expected AS expected_semantics, target_description, array_to_string(important_text, ',') AS important_text, CASE WHEN needed THEN 1 ELSE 0 END::BIGINT AS regions, {_REASONS} AS reasons, len(important_text) > 0 AS text_check,
+    CASE WHEN name IS NULL THEN 'no_identity' WHEN coalesce(duration_ms, 0) <= 0 THEN 'no_duration' WHEN nth > 1 THEN 'duplicate_identity' END AS rule FROM timed)"""
+
+
+def _contract(s):
+    c = _chapters(s)
+    return G.segment_contract(c.unionByName(c.where("feature_id % 43 = 0").withColumn("pos", F.col("pos") + 1000)))
 
 
 @query("c11_segment_contract", "g_segment", sql=_CONTRACT + " SELECT * FROM contract")
 def _c11(s):
-    return G.segment_contract(_facts(s)).withColumn("reasons", F.array_join("reasons", ","))
+    c = _contract(s).withColumns({"important_text": F.array_join("important_text", ","), "reasons": F.array_join("reasons", ","), "regions": F.size("required_regions")})
+    return c.drop("required_regions", "requires_review", "risk_codes")
 
 
 @query("v19_qa_result", "g_segment", sql=_CONTRACT + """
 , r AS (SELECT project_id, pos, feature_id + CASE WHEN feature_id % 31 = 0 THEN 1 ELSE 0 END AS got, text_check OR feature_id % 7 = 0 AS checked FROM contract WHERE feature_id % 41 <> 0)
 SELECT c.project_id, c.pos, CASE WHEN got IS NULL THEN 'missing' WHEN got <> feature_id THEN 'wrong_segment' ELSE 'text_check' END AS rule FROM contract c LEFT JOIN r ON c.project_id = r.project_id AND c.pos = r.pos WHERE got IS NULL OR got <> feature_id OR checked <> text_check""")
 def _v19(s):
-    c = G.segment_contract(_facts(s))
+    c = _contract(s)
     r = c.where("feature_id % 41 <> 0").select("project_id", "pos", (F.col("feature_id") + F.when(F.col("feature_id") % 31 == 0, 1).otherwise(0)).alias("feature_id"), (F.col("text_check") | (F.col("feature_id") % 7 == 0)).alias("text_check"))
     return G.qa_result_mismatches(c, r)
 
