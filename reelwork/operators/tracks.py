@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelwork.functions.geometry import center_distance, iou
+from reelwork.functions.times import pts_to_ms
 from reelwork.operators.compare import box
 
 
@@ -274,6 +275,72 @@ def sample_violations(samples: DataFrame) -> DataFrame:
     return samples.select("track_id", "sample_index", F.explode(rules).alias("rule"))
 
 
+def track_violations(tracks: DataFrame, samples: DataFrame) -> DataFrame:
+    """(track_id, rule) where a track's head doesn't agree with its samples or with itself.
+
+    tracks: total_samples, lost, drift_suspected, low_confidence, tracked (declared counts), seed_index, seed_ms, seed_pts,
+    seed_sha256, seed_width, seed_height, target_id, session_id, manifest_sha256, start_ms, end_ms (null: open), start_pts, tb_num,
+    tb_den, and the prompt: prompt_type, prompt_box (whether there is one), polygon_points. samples: sample_index, t_ms, state,
+    timing_basis, source_pts. Order within a series is series_violations().
+    """
+    states = ("lost", "drift_suspected", "low_confidence", "tracked")
+    at_seed = F.col("sample_index") == F.col("seed_index")
+    s = samples.drop("seed_index").join(tracks.select("track_id", "seed_index", "start_ms", "end_ms", "start_pts", "tb_num", "tb_den"), "track_id")
+    due = pts_to_ms(F.col("source_pts"), F.col("start_pts"), F.col("tb_num"), F.col("tb_den"))
+    timed = (F.col("t_ms") == due) | F.coalesce((due == F.col("end_ms")) & (F.col("t_ms") == F.col("end_ms") - 1), F.lit(False))
+    decoded = F.col("timing_basis") == "decoded_source_pts"
+    outside = (F.col("t_ms") < F.col("start_ms")) | (F.col("t_ms") >= F.col("end_ms"))
+    g = s.groupBy("track_id").agg(
+        F.count("*").alias("n"), *[F.count_if(F.col("state") == x).alias(f"n_{x}") for x in states], F.count_distinct("timing_basis").alias("bases"), F.max(F.when(at_seed, F.col("source_pts"))).alias("pts_there"),
+        F.count_if(decoded & F.col("start_pts").isNotNull() & F.col("tb_num").isNotNull() & ~timed).alias("untimed"), F.count_if(F.col("end_ms").isNotNull() & outside).alias("outside"),
+    )
+    half = lambda *c: F.greatest(*[F.col(x).isNull().cast("int") for x in c]) != F.least(*[F.col(x).isNull().cast("int") for x in c])
+    say = lambda when, rule: F.when(when, F.lit(rule))
+    n = F.coalesce("n", F.lit(0))
+    counted = F.lit(False)
+    for x in states:
+        counted = counted | (F.coalesce(x, F.lit(0)) != F.coalesce(f"n_{x}", F.lit(0)))
+    declared = sum((F.coalesce(x, F.lit(0)) for x in states[1:]), F.coalesce(states[0], F.lit(0)))
+    boxed = F.col("prompt_type") == "box"
+    rules = F.array_compact(F.array(
+        say(F.col("total_samples") != n, "total_samples"), say(declared != F.col("total_samples"), "counts_not_covering"), say(counted, "state_counts"), say(F.col("seed_index") >= F.col("total_samples"), "seed_outside"), say(F.col("bases") > 1, "several_timing_bases"),
+        say(half("seed_pts", "seed_sha256", "seed_width", "seed_height"), "half_seed_lineage"), say(half("target_id", "session_id", "manifest_sha256"), "half_shared_identity"), say(F.col("start_pts").isNull() != F.col("tb_num").isNull(), "half_timing_lineage"),
+        say(F.col("seed_pts").isNotNull() & ~F.col("seed_pts").eqNullSafe(F.col("pts_there")), "seed_pts"), say(F.col("untimed") > 0, "times_not_of_pts"), say(F.col("end_ms") <= F.col("start_ms"), "empty_interval"),
+        say((F.col("seed_ms") < F.col("start_ms")) | (F.col("seed_ms") >= F.col("end_ms")), "seed_time_outside"), say(F.col("outside") > 0, "samples_outside"),
+        say(boxed & ~F.col("prompt_box"), "box_missing"), say(boxed & F.col("polygon_points").isNotNull(), "polygon_not_expected"), say(~boxed & F.col("prompt_box"), "box_not_expected"), say(~boxed & (F.coalesce("polygon_points", F.lit(0)) < 3), "polygon_points"),
+    ))
+    return tracks.join(g, "track_id", "left").select("track_id", F.explode(rules).alias("rule"))
+
+
+def shared_session_violations(sessions: DataFrame, frames: DataFrame, targets: DataFrame) -> DataFrame:
+    """(session_id, rule) of sessions that track several targets over one series of frames.
+
+    sessions: session_id, start_ms, end_ms, target_count, start_pts, tb_num, tb_den. frames: session_id, sample_index, t_ms, source_pts.
+    targets: session_id, target_id, seed_index, seed_ms, seed_pts, counts (an array of declared counts by state).
+    """
+    order = W.partitionBy("session_id").orderBy("sample_index")
+    f = frames.join(sessions.select("session_id", "start_ms", "end_ms", "start_pts", "tb_num", "tb_den"), "session_id")
+    due = pts_to_ms(F.col("source_pts"), F.col("start_pts"), F.col("tb_num"), F.col("tb_den"))
+    timed = (F.col("t_ms") == due) | ((due == F.col("end_ms")) & (F.col("t_ms") == F.col("end_ms") - 1))
+    rising = lambda c: F.col(c) <= F.lag(c).over(order)
+    f = f.withColumns({"_gap": F.col("sample_index") != F.row_number().over(order) - 1, "_late": rising("t_ms"), "_back": rising("source_pts"), "_untimed": ~timed, "_out": (F.col("t_ms") < F.col("start_ms")) | (F.col("t_ms") >= F.col("end_ms"))})
+    g = f.groupBy("session_id").agg(F.count("*").alias("frames"), *[F.bool_or(c).alias(c) for c in ("_gap", "_late", "_back", "_untimed", "_out")])
+    at = frames.select("session_id", F.col("sample_index").alias("seed_index"), F.col("t_ms").alias("_ms"), F.col("source_pts").alias("_pts"))
+    t = targets.join(at, ["session_id", "seed_index"], "left").join(g.select("session_id", "frames"), "session_id", "left")
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    of_targets = t.groupBy("session_id").agg(
+        F.count("*").alias("targets"), F.count_distinct("target_id").alias("ids"), F.bool_or(F.col("_ms").isNull()).alias("seed_outside"), F.bool_or(F.col("_pts") != F.col("seed_pts")).alias("seed_pts"), F.bool_or(F.col("_ms") != F.col("seed_ms")).alias("seed_time"),
+        F.bool_or(F.exists("counts", lambda x: x < 0)).alias("negative"), F.bool_or(total != F.col("frames")).alias("uncovered"),
+    )
+    say = lambda when, rule: F.when(when, F.lit(rule))
+    rules = F.array_compact(F.array(
+        say(F.col("start_ms") >= F.col("end_ms"), "empty_interval"), say(F.col("target_count") != F.coalesce("targets", F.lit(0)), "target_count"), say(F.coalesce("targets", F.lit(0)) < 2, "fewer_than_two_targets"), say(F.col("ids") < F.col("targets"), "duplicate_target"), say(F.col("frames").isNull(), "no_frames"),
+        say(F.col("_gap"), "index_not_contiguous"), say(F.col("_late"), "times_not_rising"), say(F.col("_back"), "pts_not_rising"), say(F.col("_untimed"), "times_not_of_pts"), say(F.col("_out"), "frames_outside"),
+        say(F.col("seed_outside"), "seed_outside"), say(F.col("seed_pts"), "seed_pts"), say(F.col("seed_time"), "seed_time"), say(F.col("negative"), "negative_count"), say(F.col("uncovered"), "counts_not_covering"),
+    ))
+    return sessions.join(g, "session_id", "left").join(of_targets, "session_id", "left").select("session_id", F.explode(rules).alias("rule"))
+
+
 def session_violations(samples: DataFrame, manifest: DataFrame) -> DataFrame:
     """(track_id, rule) where a manifest (track_id, samples, seed_index) doesn't agree with the samples."""
     got = samples.groupBy("track_id").agg(F.count("*").alias("n"), F.min("seed_index").alias("a"), F.max("seed_index").alias("b"))

@@ -298,3 +298,61 @@ SELECT track_id, 'sample_count' AS rule FROM m WHERE samples <> n UNION ALL SELE
 def _v10(samples):
     m = samples.groupBy("track_id").agg(F.count("*").alias("n")).select("track_id", (F.col("n") + F.when(F.col("track_id") % 6 == 0, 1).otherwise(0)).alias("samples"), (20 + F.when(F.col("track_id") % 8 == 0, 1).otherwise(0)).alias("declared_seed"))
     return T.session_violations(samples, m)
+
+
+_HEAD_COUNTS = "count(*) FILTER (WHERE state = 'lost') AS lost, count(*) FILTER (WHERE state = 'drift_suspected') AS drift_suspected, count(*) FILTER (WHERE state = 'low_confidence') AS low_confidence, count(*) FILTER (WHERE state = 'tracked') AS tracked, count(*) AS n, max(t_ms) AS last_ms, min(t_ms) AS first_ms"
+# what a track declares, made of its true counts; in SQL that Spark and DuckDB share
+_HEAD = {
+    "total_samples": "n + CASE WHEN track_id % 31 = 1 THEN 1 ELSE 0 END", "tracked": "tracked + CASE WHEN track_id % 29 = 2 THEN 1 ELSE 0 END", "seed_index": "CASE WHEN track_id % 37 = 3 THEN 100000 ELSE 20 END", "seed_ms": "first_ms + CASE WHEN track_id % 23 = 4 THEN -1 ELSE 5 END",
+    "seed_pts": "CASE WHEN track_id % 4 <> 0 THEN seed_there * 90 + CASE WHEN track_id % 19 = 5 THEN 1 ELSE 0 END END", "seed_sha256": "CASE WHEN track_id % 4 <> 0 OR track_id % 8 = 0 THEN 'hash' END", "seed_width": "CASE WHEN track_id % 4 <> 0 THEN 1920 END", "seed_height": "CASE WHEN track_id % 4 <> 0 THEN 1080 END",
+    "target_id": "CASE WHEN track_id % 17 <> 6 THEN 't' END", "session_id": "'s'", "manifest_sha256": "'m'", "start_ms": "first_ms", "end_ms": "CASE WHEN track_id % 5 = 0 THEN NULL WHEN track_id % 41 = 7 THEN first_ms WHEN track_id % 43 = 8 THEN last_ms ELSE last_ms + 1 END",
+    "start_pts": "CASE WHEN track_id % 47 <> 9 THEN CASE WHEN track_id % 53 = 10 THEN 90 ELSE 0 END END", "tb_num": "1", "tb_den": "90000", "prompt_type": "CASE WHEN track_id % 3 = 0 THEN 'polygon' ELSE 'box' END", "prompt_box": "track_id % 3 <> 0 AND track_id % 14 <> 1 OR track_id % 15 = 0", "polygon_points": "CASE WHEN track_id % 3 = 0 THEN 2 + track_id % 2 WHEN track_id % 16 = 2 THEN 3 END",
+}
+_HEAD_SQL = ", ".join(f"{v} AS {k}" for k, v in _HEAD.items())
+
+
+@query("v9_tracks", "d_sample", sql=_STATE + f"""
+, timed AS (SELECT track_id, sample_index, t_ms, state, CASE WHEN track_id % 59 = 11 AND sample_index = 3 THEN 'other' ELSE 'decoded_source_pts' END AS timing_basis, t_ms * 90 AS source_pts FROM stated)
+, c AS (SELECT track_id, {_HEAD_COUNTS}, max(CASE WHEN sample_index = 20 THEN t_ms END) AS seed_there FROM timed GROUP BY track_id)
+, h AS (SELECT track_id, lost, drift_suspected, low_confidence, {_HEAD_SQL} FROM c)
+, s AS (SELECT t.track_id, count(*) AS n, count(*) FILTER (WHERE state = 'tracked') AS n_tracked, count(DISTINCT timing_basis) AS bases, max(CASE WHEN sample_index = seed_index THEN source_pts END) AS pts_there, count(*) FILTER (WHERE timing_basis = 'decoded_source_pts' AND t_ms <> (source_pts - start_pts) // 90) AS untimed,
+    count(*) FILTER (WHERE t_ms < start_ms OR t_ms >= end_ms) AS outside FROM timed t JOIN h USING (track_id) GROUP BY t.track_id)
+, r AS (SELECT *, prompt_type = 'box' AS boxed FROM h JOIN s USING (track_id))
+SELECT track_id, unnest(list_concat(CASE WHEN total_samples <> n THEN ['total_samples'] END, CASE WHEN lost + drift_suspected + low_confidence + tracked <> total_samples THEN ['counts_not_covering'] END, CASE WHEN tracked <> n_tracked THEN ['state_counts'] END, CASE WHEN seed_index >= total_samples THEN ['seed_outside'] END,
+    CASE WHEN bases > 1 THEN ['several_timing_bases'] END, CASE WHEN seed_pts IS NULL AND seed_sha256 IS NOT NULL THEN ['half_seed_lineage'] WHEN seed_pts IS NULL AND seed_width IS NOT NULL THEN ['half_seed_lineage'] END, CASE WHEN target_id IS NULL THEN ['half_shared_identity'] END, CASE WHEN start_pts IS NULL THEN ['half_timing_lineage'] END,
+    CASE WHEN seed_pts IS NOT NULL AND seed_pts IS DISTINCT FROM pts_there THEN ['seed_pts'] END, CASE WHEN untimed > 0 THEN ['times_not_of_pts'] END, CASE WHEN end_ms <= start_ms THEN ['empty_interval'] END, CASE WHEN seed_ms < start_ms OR seed_ms >= end_ms THEN ['seed_time_outside'] END, CASE WHEN outside > 0 AND end_ms IS NOT NULL THEN ['samples_outside'] END,
+    CASE WHEN boxed AND NOT prompt_box THEN ['box_missing'] END, CASE WHEN boxed AND polygon_points IS NOT NULL THEN ['polygon_not_expected'] END, CASE WHEN NOT boxed AND prompt_box THEN ['box_not_expected'] END, CASE WHEN NOT boxed AND coalesce(polygon_points, 0) < 3 THEN ['polygon_points'] END)) AS rule FROM r""")
+def _v9t(samples):
+    basis = F.when((F.col("track_id") % 59 == 11) & (F.col("sample_index") == 3), "other").otherwise("decoded_source_pts")
+    s = T.track_states(samples).select("track_id", "sample_index", "t_ms", "state", basis.alias("timing_basis"), (F.col("t_ms") * 90).alias("source_pts"))
+    of = lambda x: F.count_if(F.col("state") == x).alias(x)
+    c = s.groupBy("track_id").agg(of("lost"), of("drift_suspected"), of("low_confidence"), of("tracked"), F.count("*").alias("n"), F.max("t_ms").alias("last_ms"), F.min("t_ms").alias("first_ms"), F.max(F.when(F.col("sample_index") == 20, F.col("t_ms"))).alias("seed_there"))
+    heads = c.selectExpr("track_id", "lost", "drift_suspected", "low_confidence", *[f"{v} AS {k}" for k, v in _HEAD.items()])
+    return T.track_violations(heads, s)
+
+
+@query("v10_shared_session", "d_sample", sql="""
+, f AS (SELECT track_id AS session_id, sample_index + CASE WHEN track_id % 13 = 1 AND sample_index > 5 THEN 1 ELSE 0 END AS sample_index, t_ms + CASE WHEN track_id % 17 = 2 AND sample_index = 4 THEN 900000000 ELSE 0 END AS t_ms, (t_ms + CASE WHEN track_id % 19 = 3 AND sample_index = 4 THEN 900000000 ELSE 0 END) * 90 AS source_pts FROM d_sample)
+, s AS (SELECT session_id, min(t_ms) AS start_ms, CASE WHEN session_id % 23 = 4 THEN min(t_ms) WHEN session_id % 29 = 5 THEN max(t_ms) ELSE max(t_ms) + 1 END AS end_ms, 2 + CASE WHEN session_id % 31 = 6 THEN 1 ELSE 0 END AS target_count, count(*) AS n FROM f GROUP BY session_id)
+, t AS (SELECT session_id, unnest([0, 1]) AS k FROM s), targets AS (SELECT session_id, CASE WHEN session_id % 37 = 7 THEN 't' ELSE concat('t', k) END AS target_id, CASE WHEN session_id % 41 = 8 THEN 100000 ELSE 2 + k END AS seed_index, CASE WHEN session_id % 43 = 9 THEN 1 ELSE 0 END AS off_ms, CASE WHEN session_id % 47 = 10 THEN 1 ELSE 0 END AS off_pts,
+    CASE WHEN session_id % 53 = 11 THEN [n + 1, -1] WHEN session_id % 7 = 5 THEN [n, 1] ELSE [n - 1, 1] END AS counts, n FROM t JOIN s USING (session_id))
+, o AS (SELECT f.*, start_ms, end_ms, row_number() OVER w - 1 AS place, lag(f.t_ms) OVER w AS before_ms, lag(source_pts) OVER w AS before_pts FROM f JOIN s USING (session_id) WINDOW w AS (PARTITION BY f.session_id ORDER BY sample_index))
+SELECT session_id, 'empty_interval' AS rule FROM s WHERE start_ms >= end_ms UNION ALL SELECT session_id, 'target_count' FROM s WHERE target_count <> 2 UNION ALL SELECT DISTINCT session_id, 'duplicate_target' FROM (SELECT session_id FROM targets GROUP BY session_id, target_id HAVING count(*) > 1)
+UNION ALL SELECT DISTINCT session_id, 'index_not_contiguous' FROM o WHERE sample_index <> place UNION ALL SELECT DISTINCT session_id, 'times_not_rising' FROM o WHERE t_ms <= before_ms UNION ALL SELECT DISTINCT session_id, 'pts_not_rising' FROM o WHERE source_pts <= before_pts
+UNION ALL SELECT DISTINCT session_id, 'times_not_of_pts' FROM o WHERE t_ms <> source_pts // 90 AND NOT (source_pts // 90 = end_ms AND t_ms = end_ms - 1) UNION ALL SELECT DISTINCT session_id, 'frames_outside' FROM o WHERE t_ms < start_ms OR t_ms >= end_ms
+UNION ALL SELECT DISTINCT session_id, 'seed_outside' FROM targets WHERE (session_id, seed_index) NOT IN (SELECT (session_id, sample_index) FROM f) UNION ALL SELECT DISTINCT session_id, 'seed_pts' FROM targets SEMI JOIN f ON f.session_id = targets.session_id AND f.sample_index = seed_index WHERE off_pts > 0
+UNION ALL SELECT DISTINCT session_id, 'seed_time' FROM targets SEMI JOIN f ON f.session_id = targets.session_id AND f.sample_index = seed_index WHERE off_ms > 0 UNION ALL SELECT DISTINCT session_id, 'negative_count' FROM targets WHERE counts[2] < 0 UNION ALL SELECT DISTINCT session_id, 'counts_not_covering' FROM targets WHERE counts[1] + counts[2] <> n""")
+def _v10s(samples):
+    i, k = F.col("track_id"), F.col("sample_index")
+    late = lambda n, r: F.when((i % n == r) & (k == 4), 900_000_000).otherwise(0)
+    f = samples.select(i.alias("session_id"), (k + F.when((i % 13 == 1) & (k > 5), 1).otherwise(0)).alias("sample_index"), (F.col("t_ms") + late(17, 2)).alias("t_ms"), ((F.col("t_ms") + late(19, 3)) * 90).alias("source_pts"))
+    sid = F.col("session_id")
+    g = f.groupBy("session_id").agg(F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("_last"), F.count("*").alias("n"))
+    sessions = g.select("session_id", "start_ms", F.when(sid % 23 == 4, F.col("start_ms")).when(sid % 29 == 5, F.col("_last")).otherwise(F.col("_last") + 1).alias("end_ms"), (2 + F.when(sid % 31 == 6, 1).otherwise(0)).alias("target_count"), F.lit(0).alias("start_pts"), F.lit(1).alias("tb_num"), F.lit(90_000).alias("tb_den"))
+    t = g.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("seed_index", F.when(sid % 41 == 8, 100_000).otherwise(2 + F.col("k")))
+    at = f.select("session_id", F.col("sample_index").alias("seed_index"), "t_ms", "source_pts")
+    counts = F.when(sid % 53 == 11, F.array(F.col("n") + 1, F.lit(-1).cast("long"))).when(sid % 7 == 5, F.array(F.col("n"), F.lit(1).cast("long"))).otherwise(F.array(F.col("n") - 1, F.lit(1).cast("long")))
+    targets = t.join(at, ["session_id", "seed_index"], "left").select(
+        "session_id", F.when(sid % 37 == 7, "t").otherwise(F.concat(F.lit("t"), "k")).alias("target_id"), "seed_index", (F.coalesce("t_ms", F.lit(0)) + F.when(sid % 43 == 9, 1).otherwise(0)).alias("seed_ms"), (F.coalesce("source_pts", F.lit(0)) + F.when(sid % 47 == 10, 1).otherwise(0)).alias("seed_pts"), counts.alias("counts"),
+    )
+    return T.shared_session_violations(sessions, f, targets)
