@@ -103,11 +103,38 @@ def trim_decision(frames: DataFrame, shot_end: Column, before_ms: int = 750, aft
 
 
 def trim_bounds(trims: DataFrame) -> DataFrame:
-    """(event_id, rule) for coarse in and out outside the allowed interval, or a hold outside of them."""
-    rules = F.array_compact(F.array(F.when(F.col("in_ms") < F.col("allowed_start"), F.lit("in_outside")), F.when(F.col("out_ms") > F.col("allowed_end"), F.lit("out_outside")), F.when((F.col("hold_ms") < F.col("in_ms")) | (F.col("hold_ms") >= F.col("out_ms")), F.lit("hold_outside"))))
+    """(event_id, rule): coarse in and out are in order inside the allowed interval, and the ends of a hold and a reset (null: none) within them."""
+    within = lambda c: (F.col(c) < F.col("in_ms")) | (F.col(c) > F.col("out_ms"))
+    say = lambda when, rule: F.when(when, F.lit(rule))
+    rules = F.array_compact(F.array(
+        say(F.col("in_ms") < F.col("allowed_start"), "in_outside"), say(F.col("out_ms") > F.col("allowed_end"), "out_outside"), say(F.col("in_ms") >= F.col("out_ms"), "in_not_before_out"),
+        say(within("hold_start_ms"), "hold_start_outside"), say(within("hold_end_ms"), "hold_end_outside"), say(within("reset_ms"), "reset_outside"),
+    ))
     return trims.select("event_id", F.explode(rules).alias("rule"))
 
 
+def trim_boundaries(trims: DataFrame, frames: DataFrame) -> DataFrame:
+    """(event_id, in_ms, in_pts, out_ms, out_pts, out_kind, rule): the first frames at or after the requested in and out.
+
+    trims: event_id, in_ms, out_ms, and of the source duration_ms, start_pts, tb_num, tb_den. frames: event_id, ms, frame_pts. With no
+    frame left for an out within 100 ms of the source's end, out is the request and the next whole time stamp at or after it.
+    """
+    f = frames.select("event_id", F.struct("ms", F.col("frame_pts").alias("pts")).alias("_f"))
+    at = lambda c: F.min(F.when(F.col("_f.ms") >= F.col(c), F.col("_f")))
+    g = f.join(trims.select("event_id", "in_ms", "out_ms"), "event_id").groupBy("event_id").agg(at("in_ms").alias("_in"), at("out_ms").alias("_out"))
+    t = trims.join(g, "event_id", "left")
+    unit = 1000 * F.col("tb_num").cast("long")
+    ticks = F.col("out_ms").cast("long") * F.col("tb_den")
+    end_pts = F.coalesce("start_pts", F.lit(0)) + ((ticks - F.pmod(ticks, unit)) / unit).cast("long") + (F.pmod(ticks, unit) > 0).cast("long")
+    found, near = F.col("_out").isNotNull(), F.col("duration_ms") - F.col("out_ms") <= 100
+    rule = F.when(F.col("_in").isNull(), "in_missing").when(~found & ~near, "out_missing").when(found & (F.col("_out.ms") <= F.col("_in.ms")), "not_chronological")
+    kind = F.when(found, "first_decoded_frame_at_or_after_request").otherwise("end_of_stream_time_boundary")
+    fine = lambda c, name: F.when(F.col("rule").isNull(), c).alias(name)
+    return t.withColumn("rule", rule).select(
+        "event_id", fine(F.col("_in.ms"), "in_ms"), fine(F.col("_in.pts"), "in_pts"), fine(F.when(found, F.col("_out.ms")).otherwise(F.col("out_ms")), "out_ms"), fine(F.when(found, F.col("_out.pts")).otherwise(end_pts), "out_pts"), fine(kind, "out_kind"), "rule"
+    )
+
+
 def dense_catalog_violations(frames: DataFrame, window_start: int, window_end: int, most: int = 3600) -> DataFrame:
     """(event_id, pos, rule): ids unique and in order, times rising and inside the window, at most so many frames, hashes of 64 hex digits."""
     every = W.partitionBy("event_id")
@@ -131,9 +158,45 @@ def phase_violations(proposals: DataFrame) -> DataFrame:
     return proposals.select("event_id", F.explode(rules).alias("rule"))
 
 
+# the claim that a positive selection of each stage may make
+COVERAGE_CLAIMS = {"candidate": "single_frame_only", "seed": "single_frame_only", "transition": "transition_samples_only", "interval": "sampled_frames_only"}
+
+
 def predicate_violations(selections: DataFrame) -> DataFrame:
-    """(event_id, rule): pre before apex before post, and evidence observed for every participant."""
-    rules = F.array_compact(F.array(F.when((F.col("pre") >= F.col("apex")) | (F.col("apex") >= F.col("post")), F.lit("transition_order")), F.when(F.exists(F.map_values("evidence"), lambda x: x != "observed"), F.lit("participant_not_observed"))))
+    """(event_id, rule) of temporal selections: the shape of their stage, and evidence for what they select.
+
+    selections: event_id, required_at, match_status, predicate_status, coverage_claim, candidate_id, seed_id, pre_id, apex_id, post_id,
+    interval_ids, evidence (frame_id, statuses as (target_id, status), observed, phase), the lock's participants, and catalog_ids in order.
+    """
+    one = {"candidate": "candidate_id", "seed": "seed_id"}
+    ids = ["candidate_id", "seed_id", "pre_id", "apex_id", "post_id"]
+    empty = F.array().cast("array<string>")
+    at, interval = F.col("required_at"), F.coalesce("interval_ids", empty)
+    chosen = F.array_compact(F.array(*[F.col(c) for c in ids]))
+    transition = F.array_compact(F.array("pre_id", "apex_id", "post_id"))
+    positive = (F.col("match_status") == "matched") & (F.col("predicate_status") == "satisfied")
+    shape = F.when(at == "interval", (F.size(chosen) == 0) & (F.size(interval) >= 2)).when(at == "transition", (F.size(chosen) == 3) & (F.size(F.array_distinct(transition)) == 3) & (F.size(interval) == 0))
+    for stage, c in one.items():
+        shape = shape.when(at == stage, F.col(c).isNotNull() & (F.size(chosen) == 1) & (F.size(interval) == 0))
+    claim = F.element_at(F.create_map(*[F.lit(x) for pair in COVERAGE_CLAIMS.items() for x in pair]), at)
+    selected = F.when(at == "interval", interval).otherwise(chosen)
+    seen = F.transform("evidence", lambda e: e["frame_id"])
+    of_selected = F.filter("evidence", lambda e: F.array_contains(selected, e["frame_id"]))
+    phase = lambda c, name: F.exists("evidence", lambda e: (e["frame_id"] == F.col(c)) & ~e["phase"].eqNullSafe(F.lit(name)))
+    places = F.transform(transition, lambda x: F.array_position("catalog_ids", x))
+    run = F.slice("catalog_ids", F.greatest(F.array_position("catalog_ids", F.get(interval, F.lit(0))), F.lit(1).cast("long")).cast("int"), F.size(interval))
+    named = F.array_distinct(F.concat(chosen, interval, seen))
+    well = positive & shape
+    say = lambda when, rule: F.when(when, F.lit(rule))
+    rules = F.array_compact(F.array(
+        say(F.col("predicate_status") == "not_applicable", "not_applicable"), say(~positive & ((F.size(chosen) > 0) | (F.size(interval) > 0)), "frames_without_claim"), say(~positive & (F.col("coverage_claim") != "no_positive_claim"), "claim_without_frames"),
+        say(positive & ~shape, "stage_shape"), say(positive & (F.col("coverage_claim") != claim), "coverage_claim"), say(positive & (F.size(F.array_distinct(interval)) < F.size(interval)), "repeated_interval_frame"),
+        say(F.size(F.array_distinct(seen)) < F.size(seen), "repeated_evidence"), say(F.exists("evidence", lambda e: F.size(e["statuses"]) == 0), "no_participant_status"), say(well & (F.size(F.array_except(selected, seen)) > 0), "frame_without_evidence"),
+        say(well & F.exists(of_selected, lambda e: F.exists(e["statuses"], lambda x: x["status"] != "observed")), "participant_not_observed"), say(well & F.exists(of_selected, lambda e: ~F.coalesce(e["observed"], F.lit(False))), "predicate_not_observed"),
+        say(well & (at == "transition") & (phase("pre_id", "precondition") | phase("apex_id", "apex") | phase("post_id", "postcondition")), "wrong_phase"), say(well & (at == "transition") & ~((F.get(places, F.lit(0)) < F.get(places, F.lit(1))) & (F.get(places, F.lit(1)) < F.get(places, F.lit(2)))), "transition_order"),
+        say(F.size(F.array_except(named, F.col("catalog_ids"))) > 0, "unknown_frame"), say(F.exists("evidence", lambda e: F.array_sort(F.transform(e["statuses"], lambda x: x["target_id"])) != F.array_sort("participants")), "participants_differ"),
+        say(well & (at == "interval") & (interval != run), "interval_not_contiguous"),
+    ))
     return selections.select("event_id", F.explode(rules).alias("rule"))
 
 

@@ -124,12 +124,33 @@ def _f31(h):
     return H.trim_decision(h, 2000 + F.col("event_id") % 500)
 
 
-@query("f32_video_trim_bounds", _H, sql=_MS + """
-, t AS (SELECT event_id, a AS in_ms, b AS out_ms, 200 + event_id % 100 AS lo, 1400 AS hi, a + event_id % 900 AS hold FROM agg)
-SELECT event_id, 'in_outside' AS rule FROM t WHERE in_ms < lo UNION ALL SELECT event_id, 'out_outside' FROM t WHERE out_ms > hi UNION ALL SELECT event_id, 'hold_outside' FROM t WHERE hold < in_ms OR hold >= out_ms""")
+# coarse trims of an event; in SQL that Spark and DuckDB share
+_COARSE = {
+    "in_ms": "a + CASE WHEN event_id % 17 = 3 THEN b ELSE 0 END", "out_ms": "b + event_id % 3 * 40", "allowed_start": "200 + event_id % 100", "allowed_end": "1400", "hold_start_ms": "CASE WHEN event_id % 2 = 0 THEN a + event_id % 900 END", "hold_end_ms": "CASE WHEN event_id % 2 = 0 THEN b + event_id % 5 - 2 END", "reset_ms": "CASE WHEN event_id % 3 = 0 THEN a - 1 + event_id % 2 END",
+    "duration_ms": "b + event_id % 200", "start_pts": "CASE WHEN event_id % 4 = 0 THEN 1000 END", "tb_num": "1", "tb_den": "30000",
+}
+_COARSE_SQL = _MS + f", t AS (SELECT event_id, {', '.join(f'{v} AS {k}' for k, v in _COARSE.items())} FROM agg)"
+
+
+def _coarse(h):
+    g = H.with_ms(h).groupBy("event_id").agg(F.min("ms").alias("a"), F.max("ms").alias("b"))
+    return g.selectExpr("event_id", *[f"{v} AS {k}" for k, v in _COARSE.items()])
+
+
+@query("f32_video_trim_bounds", _H, sql=_COARSE_SQL + """
+SELECT event_id, 'in_outside' AS rule FROM t WHERE in_ms < allowed_start UNION ALL SELECT event_id, 'out_outside' FROM t WHERE out_ms > allowed_end UNION ALL SELECT event_id, 'in_not_before_out' FROM t WHERE in_ms >= out_ms
+UNION ALL SELECT event_id, 'hold_start_outside' FROM t WHERE hold_start_ms NOT BETWEEN in_ms AND out_ms UNION ALL SELECT event_id, 'hold_end_outside' FROM t WHERE hold_end_ms NOT BETWEEN in_ms AND out_ms UNION ALL SELECT event_id, 'reset_outside' FROM t WHERE reset_ms NOT BETWEEN in_ms AND out_ms""")
 def _f32(h):
-    g = H.with_ms(h).groupBy("event_id").agg(F.min("ms").alias("in_ms"), F.max("ms").alias("out_ms"))
-    return H.trim_bounds(g.select("event_id", "in_ms", "out_ms", (200 + F.col("event_id") % 100).alias("allowed_start"), F.lit(1400).alias("allowed_end"), (F.col("in_ms") + F.col("event_id") % 900).alias("hold_ms")))
+    return H.trim_bounds(_coarse(h))
+
+
+@query("f32_trim_boundaries", _H, sql=_COARSE_SQL + """
+, f AS (SELECT t.event_id, min(CASE WHEN ms >= in_ms THEN ms END) AS i, min(CASE WHEN ms >= in_ms THEN frame_pts END) AS ip, min(CASE WHEN ms >= out_ms THEN ms END) AS o, min(CASE WHEN ms >= out_ms THEN frame_pts END) AS op FROM t JOIN ms USING (event_id) GROUP BY t.event_id)
+, r AS (SELECT *, CASE WHEN i IS NULL THEN 'in_missing' WHEN o IS NULL AND duration_ms - out_ms > 100 THEN 'out_missing' WHEN o <= i THEN 'not_chronological' END AS rule FROM t JOIN f USING (event_id))
+SELECT event_id, CASE WHEN rule IS NULL THEN i END AS in_ms, CASE WHEN rule IS NULL THEN ip END AS in_pts, CASE WHEN rule IS NULL THEN coalesce(o, out_ms) END AS out_ms, CASE WHEN rule IS NULL THEN coalesce(op, coalesce(start_pts, 0) + (out_ms * 30000 + 999) // 1000) END AS out_pts,
+    CASE WHEN rule IS NULL THEN CASE WHEN o IS NOT NULL THEN 'first_decoded_frame_at_or_after_request' ELSE 'end_of_stream_time_boundary' END END AS out_kind, rule FROM r""")
+def _f32b(h):
+    return H.trim_boundaries(_coarse(h), H.with_ms(h))
 
 
 _NAME = "concat('DF', CASE WHEN event_id % 13 = 0 AND pos = 3 THEN 1 WHEN event_id % 17 = 0 AND pos = 1 THEN 9 ELSE pos END)"
@@ -159,9 +180,30 @@ def _v7(h):
     return H.phase_violations(_trims(h).withColumns({"in_pos": F.lit(2), "out_pos": F.col("last"), "phases": phases}))
 
 
-@query("v12_predicate_selection", _H, sql="""
-, e AS (SELECT event_id, max(pos) AS last FROM h_frame GROUP BY event_id)
-SELECT event_id, 'transition_order' AS rule FROM e WHERE 1 >= 1 + event_id % 3 OR 1 + event_id % 3 >= last UNION ALL SELECT event_id, 'participant_not_observed' FROM e WHERE event_id % 9 = 0""")
+# temporal selections over the frames of an event; in SQL that Spark and DuckDB share
+_PICK = {
+    "required_at": "CASE event_id % 4 WHEN 0 THEN 'candidate' WHEN 1 THEN 'seed' WHEN 2 THEN 'transition' ELSE 'interval' END", "match_status": "CASE WHEN event_id % 13 = 0 THEN 'ambiguous' ELSE 'matched' END", "predicate_status": "CASE WHEN event_id % 29 = 1 THEN 'not_applicable' ELSE 'satisfied' END",
+    "coverage_claim": "CASE WHEN event_id % 17 = 2 THEN 'everything' WHEN event_id % 13 = 0 THEN 'no_positive_claim' WHEN event_id % 4 < 2 THEN 'single_frame_only' WHEN event_id % 4 = 2 THEN 'transition_samples_only' ELSE 'sampled_frames_only' END",
+    "candidate_id": "CASE WHEN event_id % 4 = 0 THEN 'f1' END", "seed_id": "CASE WHEN event_id % 4 = 1 THEN 'f2' WHEN event_id % 19 = 3 THEN 'f1' END", "pre_id": "CASE WHEN event_id % 4 = 2 THEN 'f1' END", "apex_id": "CASE WHEN event_id % 4 = 2 THEN concat('f', 2 + event_id % 3) END", "post_id": "CASE WHEN event_id % 4 = 2 THEN 'f3' END",
+    "second": "CASE WHEN event_id % 4 = 3 THEN concat('f', 1 + event_id % 3) END", "status": "CASE WHEN event_id % 11 = 4 THEN 'inferred' ELSE 'observed' END", "other": "CASE WHEN event_id % 23 = 5 THEN 'c' ELSE 'b' END", "observed": "event_id % 31 <> 6", "skipped": "CASE WHEN event_id % 7 = 3 THEN 'f1' ELSE '' END",
+}
+
+
+@query("v12_predicate_selection", _H, sql=f"""
+, e AS (SELECT event_id, list(concat('f', pos) ORDER BY pos) AS catalog_ids FROM h_frame GROUP BY event_id), p AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _PICK.items())} FROM e)
+, q AS (SELECT *, list_filter([candidate_id, seed_id, pre_id, apex_id, post_id], lambda x: x IS NOT NULL) AS chosen, CASE WHEN second IS NOT NULL THEN ['f1', second] ELSE []::VARCHAR[] END AS picked, match_status = 'matched' AND predicate_status = 'satisfied' AS positive, list_filter(['f1', 'f2', 'f3'], lambda x: x <> skipped) AS seen FROM p)
+, s AS (SELECT *, CASE required_at WHEN 'candidate' THEN candidate_id IS NOT NULL AND len(chosen) = 1 WHEN 'seed' THEN seed_id IS NOT NULL AND len(chosen) = 1 WHEN 'transition' THEN len(chosen) = 3 AND seed_id IS NULL AND apex_id NOT IN ('f1', 'f3') ELSE len(chosen) = 0 END AS shape, CASE WHEN required_at = 'interval' THEN picked ELSE chosen END AS selected FROM q)
+, w AS (SELECT *, positive AND shape AS well, list_filter(seen, lambda x: list_contains(selected, x)) AS told FROM s)
+SELECT event_id, unnest(list_concat(CASE WHEN predicate_status = 'not_applicable' THEN ['not_applicable'] END, CASE WHEN NOT positive AND len(chosen) + len(picked) > 0 THEN ['frames_without_claim'] END, CASE WHEN NOT positive AND coverage_claim <> 'no_positive_claim' THEN ['claim_without_frames'] END,
+    CASE WHEN positive AND NOT shape THEN ['stage_shape'] END, CASE WHEN positive AND coverage_claim = 'everything' THEN ['coverage_claim'] END, CASE WHEN positive AND second = 'f1' THEN ['repeated_interval_frame'] END, CASE WHEN well AND len(list_filter(selected, lambda x: NOT list_contains(seen, x))) > 0 THEN ['frame_without_evidence'] END,
+    CASE WHEN well AND len(told) > 0 AND status <> 'observed' THEN ['participant_not_observed'] END, CASE WHEN well AND len(told) > 0 AND NOT observed THEN ['predicate_not_observed'] END, CASE WHEN well AND required_at = 'transition' AND apex_id <> 'f2' AND list_contains(seen, apex_id) THEN ['wrong_phase'] END,
+    CASE WHEN well AND required_at = 'transition' AND NOT (1 < coalesce(list_position(catalog_ids, apex_id), 0) AND coalesce(list_position(catalog_ids, apex_id), 0) < coalesce(list_position(catalog_ids, 'f3'), 0)) THEN ['transition_order'] END,
+    CASE WHEN len(list_filter(list_concat(chosen, picked, seen), lambda x: NOT list_contains(catalog_ids, x))) > 0 THEN ['unknown_frame'] END, CASE WHEN other <> 'b' THEN ['participants_differ'] END, CASE WHEN well AND required_at = 'interval' AND picked <> ['f1', 'f2'] THEN ['interval_not_contiguous']
+    WHEN well AND required_at = 'interval' AND len(catalog_ids) < 2 THEN ['interval_not_contiguous'] END)) AS rule FROM w""")
 def _v12(h):
-    evidence = F.create_map(F.lit("a"), F.lit("observed"), F.lit("b"), F.when(F.col("event_id") % 9 == 0, "inferred").otherwise("observed"))
-    return H.predicate_violations(_events(h).select("event_id", F.lit(1).alias("pre"), (1 + F.col("event_id") % 3).alias("apex"), F.col("last").alias("post"), evidence.alias("evidence")))
+    e = h.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list("pos")), lambda p: F.concat(F.lit("f"), p)).alias("catalog_ids")).withColumns({k: F.expr(v) for k, v in _PICK.items()})
+    statuses = F.array(F.struct(F.lit("a").alias("target_id"), F.lit("observed").alias("status")), F.struct(F.col("other").alias("target_id"), F.col("status").alias("status")))
+    frame = lambda f, phase: F.struct(F.lit(f).alias("frame_id"), statuses.alias("statuses"), F.col("observed").alias("observed"), F.lit(phase).alias("phase"))
+    evidence = F.filter(F.array(frame("f1", "precondition"), frame("f2", "apex"), frame("f3", "postcondition")), lambda x: x["frame_id"] != F.col("skipped"))
+    picked = F.when(F.col("second").isNotNull(), F.array(F.lit("f1"), F.col("second"))).otherwise(F.array().cast("array<string>"))
+    return H.predicate_violations(e.withColumns({"evidence": evidence, "interval_ids": picked, "participants": F.array(F.lit("b"), F.lit("a"))}))
