@@ -204,6 +204,38 @@ def preflight_violations(regions: DataFrame) -> DataFrame:
     return regions.select("chapter", "candidate_id", F.explode(rules).alias("rule"))
 
 
+def preflight_contract(preflights: DataFrame) -> DataFrame:
+    """(chapter, candidate_id, rule) of preflights: ranks 1 to 4, confidence 0 to 1, no negative motion, hashes of 64 hex digits, each region once.
+
+    Columns rank, confidence, max_speed, max_acceleration, max_jerk, geometry_fingerprint, source_fingerprint, track_fingerprints and region_ids.
+    """
+    hexes = lambda c: c.rlike("^[0-9a-f]{64}$")
+    negative = (F.col("max_speed") < 0) | (F.col("max_acceleration") < 0) | (F.col("max_jerk") < 0)
+    rules = _rules(
+        F.when(~F.col("rank").between(1, 4), F.lit("rank_range")), F.when(~F.col("confidence").between(0, 1), F.lit("confidence_range")), F.when(negative, F.lit("negative_motion")),
+        F.when(~F.coalesce(hexes(F.col("geometry_fingerprint")), F.lit(False)), F.lit("geometry_hash")), F.when(~F.coalesce(hexes(F.col("source_fingerprint")), F.lit(False)), F.lit("source_hash")), F.when(F.exists("track_fingerprints", lambda x: ~hexes(x)), F.lit("track_hash")),
+        F.when(F.size(F.array_distinct("region_ids")) < F.size("region_ids"), F.lit("duplicate_region")),
+    )
+    return preflights.select("chapter", "candidate_id", F.explode(rules).alias("rule"))
+
+
+def plan_evidence_violations(candidates: DataFrame, assets: DataFrame, events: DataFrame, frames: DataFrame) -> DataFrame:
+    """(chapter, candidate_id, rule): the first reason why a candidate's evidence doesn't exist or doesn't belong together.
+
+    candidates: chapter, candidate_id, asset_id, event_id, frame_id, refs (entity_id, relation). assets: asset_id, entity_ids. events:
+    asset_id, event_id, start_s, end_s, relations (a map of relation to entity ids). frames: frame_id, frame_asset, frame_ms; a frame
+    lies in an event by whole seconds, start included and end not.
+    """
+    c = candidates.join(assets.select("asset_id", F.col("entity_ids").alias("_known")), "asset_id", "left").join(events.select("asset_id", "event_id", "start_s", "end_s", "relations"), ["asset_id", "event_id"], "left").join(frames, "frame_id", "left")
+    second = F.floor(F.col("frame_ms") / 1000)
+    backed = lambda r: F.coalesce(F.array_contains(F.col("relations")[r["relation"]], r["entity_id"]), F.lit(False))
+    rule = (
+        F.when(F.col("_known").isNull(), "unknown_asset").when(F.col("start_s").isNull(), "unknown_event").when(F.col("frame_ms").isNull(), "unknown_frame").when(~F.col("frame_asset").eqNullSafe(F.col("asset_id")), "frame_of_other_asset")
+        .when((second < F.col("start_s")) | (second >= F.col("end_s")), "frame_outside_event").when(F.exists("refs", lambda r: ~F.array_contains(F.col("_known"), r["entity_id"])), "unknown_entity").when(F.exists("refs", lambda r: ~backed(r)), "relation_not_backed")
+    )
+    return c.select("chapter", "candidate_id", rule.alias("rule")).where("rule IS NOT NULL")
+
+
 def region_violations(regions: DataFrame) -> DataFrame:
     """(chapter, rule): at least one required region, and none of them under full visibility; at most 8."""
     core = F.col("role") == "hard_core"
@@ -371,3 +403,27 @@ def clip_card_violations(events: DataFrame, entities: DataFrame) -> DataFrame:
     j = events.withColumn("_late", before > F.col("start_ms")).join(e, "entity_id", "left")
     rules = F.array_compact(F.array(F.when(F.col("_late"), F.lit("not_ordered")), F.when(F.col("entity_kind").isNull(), F.lit("unknown_entity")), F.when(F.col("entity_kind") != F.col("target_kind"), F.lit("kind_differs"))))
     return j.select("chapter", "place", F.explode(rules).alias("rule"))
+
+
+def card_violations(cards: DataFrame, events: DataFrame, entities: DataFrame) -> DataFrame:
+    """(card_id, event_id, rule) of whole clip cards; event_id is null where the card itself is at fault.
+
+    cards: card_id, duration_ms. events: card_id, place, event_id, start_ms, end_ms, keyframe_ms, entity_ids (all that it refers to),
+    targets (entity_id, target_kind), opportunities (entity ids of each). entities: card_id, entity_id, kind.
+    """
+    known = _entities_of(entities)
+    heads = cards.join(known, "card_id", "left").join(events.groupBy("card_id").agg(F.count("*").alias("_n"), F.count_distinct("event_id").alias("_ids")), "card_id", "left")
+    of_card = _rules(F.when(F.col("_n").isNull(), F.lit("no_events")), F.when(F.col("_ids") < F.col("_n"), F.lit("duplicate_event")), F.when(F.col("_twice"), F.lit("duplicate_entity")))
+    before = F.max("end_ms").over(W.partitionBy("card_id").orderBy("place").rowsBetween(-1, -1))
+    e = events.withColumn("_before", F.coalesce(before, F.lit(0))).join(cards, "card_id").join(known, "card_id", "left").withColumn("_known", F.coalesce("_known", F.array().cast("array<bigint>")))
+    unknown = lambda ids: F.size(F.array_except(ids, F.col("_known"))) > 0
+    targets = F.transform("targets", lambda t: t["entity_id"])
+    rules = _rules(
+        F.when(F.col("end_ms") <= F.col("start_ms"), F.lit("empty_interval")), F.when((F.col("keyframe_ms") < F.col("start_ms")) | (F.col("keyframe_ms") >= F.col("end_ms")), F.lit("keyframe_outside")), F.when(F.col("end_ms") > F.col("duration_ms"), F.lit("past_end")), F.when(F.col("start_ms") < F.col("_before"), F.lit("overlap")),
+        F.when(unknown(F.array_distinct(F.concat("entity_ids", targets))), F.lit("unknown_entity")), F.when(F.exists("targets", lambda t: F.exists("_kinds", lambda k: (k["entity_id"] == t["entity_id"]) & (k["kind"] != t["target_kind"]))), F.lit("kind_differs")), F.when(unknown(F.flatten("opportunities")), F.lit("opportunity_unknown_entity")),
+    )
+    return heads.select("card_id", F.lit(None).cast("long").alias("event_id"), F.explode(of_card).alias("rule")).unionByName(e.select("card_id", "event_id", F.explode(rules).alias("rule")))
+
+
+def _entities_of(entities: DataFrame) -> DataFrame:
+    return entities.groupBy("card_id").agg(F.collect_set("entity_id").alias("_known"), F.collect_set(F.struct("entity_id", "kind")).alias("_kinds"), (F.count_distinct("entity_id") < F.count("*")).alias("_twice"))

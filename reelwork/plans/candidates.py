@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelwork.operators import candidates as K
@@ -214,7 +215,6 @@ def _a20(c):
 , a AS (SELECT DISTINCT chapter FROM e_candidate), p AS (SELECT chapter, row_number() OVER (ORDER BY chapter) AS position FROM a), q AS (SELECT chapter, row_number() OVER (ORDER BY CASE WHEN chapter % 1000 = 1 THEN chapter + 1.5 ELSE chapter END) AS position FROM a)
 SELECT position, p.chapter AS left_id, q.chapter AS right_id FROM p FULL JOIN q USING (position) WHERE p.chapter IS DISTINCT FROM q.chapter""")
 def _u2(c):
-    from pyspark.sql import Window as W
 
     ids = c.select("chapter").distinct()
     place = lambda order: ids.select("chapter", F.row_number().over(W.orderBy(order)).alias("position"))
@@ -325,16 +325,39 @@ def _c8(c):
     return ranked.groupBy("chapter").agg(F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["new_rank"].cast("string"), x["candidate_id"], x["role"])), ",").alias("ranked"))
 
 
-@query("v13_plan_evidence", _E, sql="""
-, catalog AS (SELECT DISTINCT frame_id, source_id FROM e_candidate WHERE frame_id % 10 <> 0)
-SELECT chapter, candidate_id, 'unknown_frame' AS rule FROM e_candidate e WHERE NOT EXISTS (SELECT 1 FROM catalog c WHERE c.frame_id = e.frame_id)
-UNION ALL SELECT chapter, candidate_id, 'frame_of_other_asset' FROM e_candidate e WHERE frame_id % 7 = 0 AND EXISTS (SELECT 1 FROM catalog c WHERE c.frame_id = e.frame_id) AND NOT EXISTS (SELECT 1 FROM catalog c WHERE c.frame_id = e.frame_id AND c.source_id = e.source_id + 1)""")
+# what a candidate refers to; in SQL that Spark and DuckDB share
+_REFERS = {
+    "asset_id": "source_id + CASE WHEN frame_id % 7 = 0 THEN 1 ELSE 0 END", "event_id": "concat('e', CASE WHEN frame_id % 13 = 0 THEN 9 ELSE (source_id + CASE WHEN frame_id % 7 = 0 THEN 1 ELSE 0 END) % 3 END)", "entity_id": "CASE WHEN frame_id % 29 = 1 THEN 77 ELSE (source_id + CASE WHEN frame_id % 7 = 0 THEN 1 ELSE 0 END) % 4 END",
+    "relation": "CASE WHEN rank % 4 = 3 THEN 'primary' ELSE 'event_member' END",
+}
+
+
+@query("v13_plan_evidence", _E, sql=f"""
+, frames AS (SELECT frame_id, min(source_id) AS frame_asset, frame_id % 20 * 1000 + 500 AS frame_ms FROM e_candidate WHERE frame_id % 10 <> 0 GROUP BY frame_id), assets AS (SELECT DISTINCT source_id AS asset_id FROM e_candidate WHERE source_id % 19 <> 0)
+, r AS (SELECT chapter, candidate_id, frame_id, {", ".join(f"{v} AS {k}" for k, v in _REFERS.items())} FROM e_candidate), j AS (SELECT r.*, a.asset_id IS NOT NULL AS held, frame_asset, frame_ms FROM r LEFT JOIN assets a ON a.asset_id = r.asset_id LEFT JOIN frames f ON f.frame_id = r.frame_id)
+, k AS (SELECT chapter, candidate_id, CASE WHEN NOT held THEN 'unknown_asset' WHEN event_id <> concat('e', asset_id % 3) THEN 'unknown_event' WHEN frame_ms IS NULL THEN 'unknown_frame' WHEN frame_asset <> asset_id THEN 'frame_of_other_asset' WHEN frame_ms // 1000 < asset_id % 5 OR frame_ms // 1000 >= asset_id % 5 + 12 THEN 'frame_outside_event'
+    WHEN entity_id NOT BETWEEN 0 AND 4 THEN 'unknown_entity' WHEN relation = 'primary' AND entity_id <> asset_id % 5 THEN 'relation_not_backed' WHEN relation = 'event_member' AND entity_id <> asset_id % 4 THEN 'relation_not_backed' END AS rule FROM j)
+SELECT * FROM k WHERE rule IS NOT NULL""")
 def _v13(c):
-    catalog = c.where("frame_id % 10 <> 0").select("frame_id", "source_id").distinct()
-    refs = c.select("chapter", "candidate_id", "frame_id", (F.col("source_id") + F.when(F.col("frame_id") % 7 == 0, 1).otherwise(0)).alias("source_id"))
-    unknown = refs.join(catalog.select("frame_id").distinct(), "frame_id", "left_anti").select("chapter", "candidate_id", F.lit("unknown_frame").alias("rule"))
-    other = refs.join(catalog.select("frame_id").distinct(), "frame_id", "left_semi").join(catalog, ["frame_id", "source_id"], "left_anti").select("chapter", "candidate_id", F.lit("frame_of_other_asset").alias("rule"))
-    return unknown.unionByName(other)
+    r = c.selectExpr("chapter", "candidate_id", "frame_id", *[f"{v} AS {k}" for k, v in _REFERS.items()]).withColumn("refs", F.array(F.struct(F.col("entity_id").cast("long").alias("entity_id"), "relation")))
+    frames = c.where("frame_id % 10 <> 0").groupBy("frame_id").agg(F.min("source_id").alias("frame_asset")).withColumn("frame_ms", F.col("frame_id") % 20 * 1000 + 500)
+    ids, a = c.select(F.col("source_id").alias("asset_id")).distinct(), F.col("asset_id")
+    longs = lambda *x: F.array(*[(v if not isinstance(v, int) else F.lit(v)).cast("long") for v in x])
+    assets = ids.where("asset_id % 19 <> 0").select("asset_id", longs(0, 1, 2, 3, 4).alias("entity_ids"))
+    events = ids.select("asset_id", F.concat(F.lit("e"), a % 3).alias("event_id"), (a % 5).alias("start_s"), (a % 5 + 12).alias("end_s"), F.create_map(F.lit("event_member"), longs(a % 4), F.lit("primary"), longs(a % 5)).alias("relations"))
+    return K.plan_evidence_violations(r, assets, events, frames)
+
+
+@query("v17_preflight_contract", _E, sql="""
+, p AS (SELECT chapter, candidate_id, rank, confidence + CASE WHEN frame_id % 31 = 2 THEN 1 ELSE 0 END AS confidence, max_speed - CASE WHEN frame_id % 37 = 3 THEN 1000 ELSE 0 END AS max_speed, CASE WHEN frame_id % 41 = 4 THEN geometry_fingerprint ELSE sha256(geometry_fingerprint) END AS g, CASE WHEN frame_id % 43 <> 5 THEN sha256('s') END AS s, CASE WHEN frame_id % 47 = 6 THEN 'ABC' ELSE sha256('t') END AS t, role, role2 FROM e_candidate)
+SELECT chapter, candidate_id, unnest(list_concat(CASE WHEN rank NOT BETWEEN 1 AND 4 THEN ['rank_range'] END, CASE WHEN confidence NOT BETWEEN 0 AND 1 THEN ['confidence_range'] END, CASE WHEN max_speed < 0 THEN ['negative_motion'] END, CASE WHEN len(g) <> 64 THEN ['geometry_hash'] END, CASE WHEN s IS NULL THEN ['source_hash'] END, CASE WHEN t = 'ABC' THEN ['track_hash'] END, CASE WHEN role = role2 THEN ['duplicate_region'] END)) AS rule FROM p""")
+def _v17c(c):
+    when = lambda n, r, a, b: F.when(F.col("frame_id") % n == r, a).otherwise(b)
+    g = F.col("geometry_fingerprint")
+    return K.preflight_contract(c.withColumns({
+        "confidence": F.col("confidence") + when(31, 2, 1, 0), "max_speed": F.col("max_speed") - when(37, 3, 1000, 0), "geometry_fingerprint": when(41, 4, g, F.sha2(g, 256)), "source_fingerprint": when(43, 5, F.lit(None).cast("string"), F.sha2(F.lit("s"), 256)),
+        "track_fingerprints": F.array(when(47, 6, F.lit("ABC"), F.sha2(F.lit("t"), 256))), "region_ids": F.array("role", "role2"),
+    }))
 
 
 @query("v16_region_rules", _E, sql="""
@@ -381,3 +404,20 @@ def _v4(c):
     kind = F.concat(F.lit("kind-"), (F.col("source_id") % 3).cast("string"))
     events = c.select("chapter", F.col("rank").alias("place"), F.col("frame_id").alias("start_ms"), F.col("source_id").alias("entity_id"), F.when(F.col("frame_id") % 8 == 0, "other").otherwise(kind).alias("target_kind"))
     return K.clip_card_violations(events, c.where("source_id % 17 <> 0").select(F.col("source_id").alias("entity_id"), kind.alias("entity_kind")))
+
+
+@query("v4_whole_cards", "b_event", sql="""
+, e AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY start_ms, event_id) AS place, event_id % 6 AS entity, 3 - event_id % 9 // 2 AS wanted FROM b_event)
+, c AS (SELECT asset_id AS card_id, max(duration_ms) - CASE WHEN asset_id % 4 = 0 THEN 864000000 ELSE 0 END AS duration_ms FROM b_event GROUP BY asset_id)
+, o AS (SELECT e.*, c.duration_ms AS lasts, lag(end_ms) OVER (PARTITION BY asset_id ORDER BY place) AS before FROM e JOIN c ON c.card_id = e.asset_id)
+SELECT card_id + 100000 AS card_id, NULL::BIGINT AS event_id, 'no_events' AS rule FROM c WHERE card_id % 7 = 0 UNION ALL SELECT card_id, NULL, 'duplicate_entity' FROM c WHERE card_id % 5 = 0 UNION ALL SELECT asset_id, event_id, 'empty_interval' FROM o WHERE end_ms <= start_ms
+UNION ALL SELECT asset_id, event_id, 'keyframe_outside' FROM o WHERE keyframe_ms < start_ms OR keyframe_ms >= end_ms UNION ALL SELECT asset_id, event_id, 'past_end' FROM o WHERE end_ms > lasts UNION ALL SELECT asset_id, event_id, 'overlap' FROM o WHERE start_ms < before
+UNION ALL SELECT asset_id, event_id, 'unknown_entity' FROM o WHERE entity > 3 OR wanted < 0 UNION ALL SELECT asset_id, event_id, 'kind_differs' FROM o WHERE wanted BETWEEN 0 AND 3 AND wanted % 2 <> event_id % 2 UNION ALL SELECT asset_id, event_id, 'opportunity_unknown_entity' FROM o WHERE entity + 1 > 3""")
+def _v4w(e):
+    place = F.row_number().over(W.partitionBy("asset_id").orderBy("start_ms", "event_id"))
+    n, card = F.col("event_id"), F.col("asset_id").alias("card_id")
+    cards = e.groupBy(card).agg(F.max("duration_ms").alias("duration_ms")).withColumn("duration_ms", F.col("duration_ms") - F.when(F.col("card_id") % 4 == 0, 864_000_000).otherwise(0))
+    entities = cards.select("card_id", F.explode(F.when(F.col("card_id") % 5 == 0, F.array(*map(F.lit, (0, 1, 2, 3, 0)))).otherwise(F.array(*map(F.lit, (0, 1, 2, 3))))).alias("i")).select("card_id", F.col("i").cast("long").alias("entity_id"), F.concat(F.lit("k"), F.col("i") % 2).alias("kind"))
+    target = F.struct((3 - F.floor(n % 9 / 2)).cast("long").alias("entity_id"), F.concat(F.lit("k"), n % 2).alias("target_kind"))
+    events = e.select(card, place.alias("place"), "event_id", "start_ms", "end_ms", "keyframe_ms", F.array((n % 6).cast("long")).alias("entity_ids"), F.array(target).alias("targets"), F.array(F.array((n % 6 + 1).cast("long"))).alias("opportunities"))
+    return K.card_violations(cards.unionByName(cards.where("card_id % 7 = 0").withColumn("card_id", F.col("card_id") + 100_000)), events, entities)
