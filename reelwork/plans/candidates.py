@@ -215,7 +215,6 @@ def _a20(c):
 , a AS (SELECT DISTINCT chapter FROM e_candidate), p AS (SELECT chapter, row_number() OVER (ORDER BY chapter) AS position FROM a), q AS (SELECT chapter, row_number() OVER (ORDER BY CASE WHEN chapter % 1000 = 1 THEN chapter + 1.5 ELSE chapter END) AS position FROM a)
 SELECT position, p.chapter AS left_id, q.chapter AS right_id FROM p FULL JOIN q USING (position) WHERE p.chapter IS DISTINCT FROM q.chapter""")
 def _u2(c):
-
     ids = c.select("chapter").distinct()
     place = lambda order: ids.select("chapter", F.row_number().over(W.orderBy(order)).alias("position"))
     return K.ordered_mismatches(place(F.col("chapter")), place(F.when(F.col("chapter") % 1000 == 1, F.col("chapter") + 1.5).otherwise(F.col("chapter"))), "chapter")
