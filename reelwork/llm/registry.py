@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reelwork.llm.chat import op4_chat_reply_trees
 from reelwork.llm.decontaminate import op7_template_decontamination
+from reelwork.llm.filters import op12_filter_interaction_audit
 from reelwork.llm.language import op6_language_id
 from reelwork.llm.lines import op8_fuzzy_line_dedup
 from reelwork.llm.mixing import op1_mix_sources
@@ -19,7 +20,7 @@ from reelwork.llm.tokens import op3_prefix_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_suffix_array_dedup, op3_prefix_token_counts, op4_chat_reply_trees, op5_virtual_slot_shards, op6_language_id, op7_template_decontamination, op8_fuzzy_line_dedup, op9_quality_rules, op10_minhash_near_dedup)
+    for f in (op1_mix_sources, op2_suffix_array_dedup, op3_prefix_token_counts, op4_chat_reply_trees, op5_virtual_slot_shards, op6_language_id, op7_template_decontamination, op8_fuzzy_line_dedup, op9_quality_rules, op10_minhash_near_dedup, op12_filter_interaction_audit)
 }
 
 _CONTROLS = ("<|turn|>", "<|body|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -44,4 +45,26 @@ SELECT conv_id, count(*) AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
     sum(length('<|turn|>' || {_escaped('role')} || '<|body|>' || {_escaped('text')} || '<|end|>'))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op12_filter_interaction_audit": """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
+f AS (
+    SELECT doc_id, part, (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+        + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+        + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS cell
+    FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, cell, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, cell),
+p(k, x) AS (VALUES (1, 'A'), (2, 'B'), (4, 'C'), (8, 'D'), (16, 'E')),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS ks FROM p a, p b, p c, p d, p e WHERE a.k + b.k + c.k + d.k + e.k = 31 AND (a.k | b.k | c.k | d.k | e.k) = 31),
+s AS (SELECT filter_order, step::INT AS step, ks[step] AS k, coalesce(list_sum(ks[1:step - 1]), 0)::INT AS before FROM o, range(1, 6) AS r(step)),
+r AS (
+    SELECT part, filter_order, step, k, sum(CASE WHEN cell & (before | k) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN cell & before = 0 AND cell & k > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN cell & before > 0 AND cell & k > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN cell = k THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN cell & before = 0 AND cell & k > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN cell & before = 0 AND cell & k > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM c, s GROUP BY part, filter_order, step, k)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, k)::BIGINT AS shapley FROM r""",
 }
