@@ -17,10 +17,11 @@ from reelwork.llm.quality import op9_quality_rules
 from reelwork.llm.sharding import op5_virtual_slot_shards
 from reelwork.llm.substrings import op2_suffix_array_dedup
 from reelwork.llm.tokens import op3_prefix_token_counts
+from reelwork.llm.warc import op13_warc_boundary_chain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_suffix_array_dedup, op3_prefix_token_counts, op4_chat_reply_trees, op5_virtual_slot_shards, op6_language_id, op7_template_decontamination, op8_fuzzy_line_dedup, op9_quality_rules, op10_minhash_near_dedup, op12_filter_interaction_audit)
+    for f in (op1_mix_sources, op2_suffix_array_dedup, op3_prefix_token_counts, op4_chat_reply_trees, op5_virtual_slot_shards, op6_language_id, op7_template_decontamination, op8_fuzzy_line_dedup, op9_quality_rules, op10_minhash_near_dedup, op12_filter_interaction_audit, op13_warc_boundary_chain)
 }
 
 _CONTROLS = ("<|turn|>", "<|body|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -67,4 +68,11 @@ r AS (
         sum(CASE WHEN cell & before = 0 AND cell & k > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
     FROM c, s GROUP BY part, filter_order, step, k)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, k)::BIGINT AS shapley FROM r""",
+    "op13_warc_boundary_chain": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+m AS (SELECT *, CASE WHEN octet_length(body) >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS latest FROM p)
+SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
+    CASE WHEN latest IS DISTINCT FROM page_id AND latest IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN latest IS DISTINCT FROM page_id THEN latest END AS refers_to
+FROM m""",
 }

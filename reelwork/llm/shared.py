@@ -63,6 +63,23 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, parts: int = 500) -> D
     return marked.where("_hot").drop("_hot").join(F.broadcast(hot), key).unionByName(marked.where("_hot is null").drop("_hot").join(rest, key))
 
 
+def left_hot(rows: DataFrame, table: DataFrame, key: str, spread: Column, parts: int = 500) -> DataFrame:
+    """rows left-joined with table, which has each key once and n, the number of its rows; table's n is dropped.
+
+    Keys with more than a parts-th of those rows, fewer than parts of them, are broadcast, and so
+    are the others if they are few; beyond that they are joined by key, where rows that are
+    served already, or have no key, stand under spread, a value that no key has.
+    """
+    table = keep(table)
+    most = table.agg(F.sum("n")).first()[0] or 0
+    names = [c for c in table.columns if c not in (key, "n")]
+    hot = table.where(F.col("n") > most / parts).select(key, F.struct(*names).alias("_hot"))
+    rest = table.where(F.col("n") <= most / parts).select(F.col(key).alias("_key"), F.struct(*names).alias("_rest"))
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spread))
+    joined = marked.join(bounded(rest), "_key", "left")
+    return joined.withColumns({c: F.coalesce(f"_hot.{c}", f"_rest.{c}") for c in names}).drop("_key", "_hot", "_rest")
+
+
 def word_count(text: Column) -> Column:
     """Words between ASCII white space; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
