@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reelwork.llm.chat import op4_chat_reply_trees
 from reelwork.llm.decontaminate import op7_template_decontamination
+from reelwork.llm.divergence import op11_source_divergence_audit
 from reelwork.llm.filters import op12_filter_interaction_audit
 from reelwork.llm.language import op6_language_id
 from reelwork.llm.lines import op8_fuzzy_line_dedup
@@ -21,7 +22,7 @@ from reelwork.llm.warc import op13_warc_boundary_chain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_suffix_array_dedup, op3_prefix_token_counts, op4_chat_reply_trees, op5_virtual_slot_shards, op6_language_id, op7_template_decontamination, op8_fuzzy_line_dedup, op9_quality_rules, op10_minhash_near_dedup, op12_filter_interaction_audit, op13_warc_boundary_chain)
+    for f in (op1_mix_sources, op2_suffix_array_dedup, op3_prefix_token_counts, op4_chat_reply_trees, op5_virtual_slot_shards, op6_language_id, op7_template_decontamination, op8_fuzzy_line_dedup, op9_quality_rules, op10_minhash_near_dedup, op11_source_divergence_audit, op12_filter_interaction_audit, op13_warc_boundary_chain)
 }
 
 _CONTROLS = ("<|turn|>", "<|body|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -75,4 +76,23 @@ SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS paylo
     CASE WHEN latest IS DISTINCT FROM page_id AND latest IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN latest IS DISTINCT FROM page_id THEN latest END AS refers_to
 FROM m""",
+    "op11_source_divergence_audit": r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_count FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(lang_count) AS lang_n FROM k GROUP BY lang),
+o AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+m AS (SELECT lang, source, sum(n) AS total FROM o GROUP BY ALL),
+x AS (
+    SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(o.n, 0) + 5) // (coalesce(m.total, 0) + 5 * l.v))::BIGINT AS p,
+        (1 + 1000000000::HUGEINT * (k.lang_count + 5) // (l.lang_n + 5 * l.v))::BIGINT AS q
+    FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN m ON m.lang = g.lang AND m.source = g.source LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, p - q FROM x WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 50""",
 }
