@@ -72,7 +72,7 @@ def counted_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
 
     n_chunks has the number of distinct chunks of each document; chunk and times, packed, have an
     entry for each of them, chunk being a place in chunks. A block ends after so many bytes, so
-    it holds that many and one document at most. Null columns are empty strings.
+    it holds that many and one piece of 2 MB, or a longer document, at most. Null columns are empty strings.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
