@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelwork.operators.compare import box
+from reelwork.operators.rounds import cut_lineage
 from reelwork.operators.tracks import center, coverage_gate
 
 
@@ -87,18 +88,47 @@ def _most_zoom(w: str, h: str, scaled_width: Column, scaled_height: Column) -> C
     return F.least(F.lit(2.0), 1920 / (F.col(w) / 1000 * scaled_width * 1.45), 1080 / (F.col(h) / 1000 * scaled_height * 1.45))
 
 
+#: Samples of a block in smoothing; few enough that the powers of a weight stay within a double's range.
+SMOOTH_BLOCK = 64
+
+
+def _ema_pass(series: DataFrame, names: dict[str, str], alpha: float, backward: bool) -> DataFrame:
+    """series with y = alpha * x + (1 - alpha) * y of the sample before, or with backward the one after, for each of names (x to y).
+
+    From a block's state s at its border, its i-th value is q**i * (s + the sum of alpha * x_j / q**j), q being 1 - alpha. A
+    block so maps the state before it to that behind it, and the states at the borders follow from one row a block.
+    """
+    q = 1 - alpha
+    reach = math.ceil(60 * math.log(2) / -math.log(q))  # beyond so many values a weight is under 2**-60
+    order = F.col("sample_index").desc() if backward else F.col("sample_index")
+    block = F.col("_block").desc() if backward else F.col("_block")
+    running = W.partitionBy("track_id", "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = series.withColumn("_block", F.floor(F.col("sample_index") / SMOOTH_BLOCK))
+    rows = rows.withColumns({f"_n_{y}": F.count(x).over(running) for x, y in names.items()})
+    rows = rows.withColumns({f"_t_{y}": alpha * F.col(x).cast("double") / F.pow(F.lit(q), f"_n_{y}") for x, y in names.items()})
+    rows = rows.withColumns({f"_s_{y}": F.coalesce(F.sum(f"_t_{y}").over(running), F.lit(0.0)) for y in names.values()})
+    maps = []
+    for x, y in names.items():
+        n, first = F.max(f"_n_{y}"), F.min_by(F.col(x).cast("double"), F.when(F.col(x).isNotNull(), F.col(f"_n_{y}")))
+        maps.append(F.struct(F.pow(F.lit(q), n).alias("slope"), (F.pow(F.lit(q), n) * F.coalesce(F.sum(f"_t_{y}"), F.lit(0.0))).alias("offset"), first.alias("first")).alias(y))
+    blocks = rows.groupBy("track_id", "_block").agg(*maps)
+    behind = W.partitionBy("track_id").orderBy(block).rowsBetween(-reach, -1)
+    # the first value of a series is its own state
+    state = lambda y: F.aggregate(F.filter(F.collect_list(y).over(behind), lambda b: b["first"].isNotNull()), F.lit(None).cast("double"), lambda s, b: b["offset"] + b["slope"] * F.coalesce(s, b["first"]))
+    states = blocks.select("track_id", "_block", *[F.coalesce(state(y), f"{y}.first").alias(f"_in_{y}") for y in names.values()], *[state(y).isNotNull().alias(f"_has_{y}") for y in names.values()])
+    held = rows.join(states, ["track_id", "_block"])
+    made = {y: F.when(F.col(f"_has_{y}") | (F.col(f"_n_{y}") > 0), F.pow(F.lit(q), f"_n_{y}") * (F.col(f"_s_{y}") + F.col(f"_in_{y}"))) for y in names.values()}
+    return held.withColumns(made).drop("_block", *[f"_{k}_{y}" for y in names.values() for k in ("n", "t", "s", "in", "has")])
+
+
 def ema_smooth(series: DataFrame, names: dict[str, str], alpha: float = 0.34) -> DataFrame:
     """series with smoothed columns (names: value to smoothed): exponential smoothing forward, then backward.
 
-    A mean reads only as many rows as can change a double, beyond which the weight is under 2^-60, so no
-    track has to fit in memory. A null takes the mean of the rows before it.
+    A track is worked on in blocks of samples that any task may hold, so it need not fit in one. A null takes the
+    mean of the rows before it. Equal to the sequential recurrence within rounding.
     """
-    reach = math.ceil(60 * math.log(2) / -math.log(1 - alpha))
-    mean = lambda values: F.aggregate(values, F.lit(None).cast("double"), lambda acc, v: F.coalesce(alpha * v + (1 - alpha) * acc, v))
-    before, after = _order().rowsBetween(-reach, 0), _order().rowsBetween(0, reach)
-    forward = series.withColumns({f"_{out}": mean(F.collect_list(F.col(c).cast("double")).over(before)) for c, out in names.items()})
-    both = forward.withColumns({out: mean(F.reverse(F.collect_list(f"_{out}").over(after))) for out in names.values()})
-    return both.drop(*[f"_{out}" for out in names.values()])
+    forward = _ema_pass(series, {x: f"_f_{y}" for x, y in names.items()}, alpha, False)
+    return _ema_pass(forward, {f"_f_{y}": y for y in names.values()}, alpha, True).drop(*[f"_f_{y}" for y in names.values()])
 
 
 def projected_smooth(series: DataFrame, *axes: tuple[str, str, str, str], rounds: int = 12) -> DataFrame:
@@ -294,7 +324,7 @@ def vertical_routing(samples: DataFrame, contracts: DataFrame, seeds: DataFrame,
     overflow_policy, edge_priority, fallback_strategy, sample_aspect, source_width, source_height, mismatch
     (source_lineage). A series without samples has no coverage.
     """
-    path = vertical_paths(samples, contracts, preferred, interval_ms)
+    path = cut_lineage(vertical_paths(samples, contracts, preferred, interval_ms))  # read for the audit and the extents
     audit = crop_audit(path).withColumnRenamed("track_id", "series").drop("samples")
     all_of = contracts.join(region_coverage(samples, interval_ms), "series", "left").join(audit, "series", "left").join(seed_anchors(seeds, contracts), "series", "left")
     if preferred is None:

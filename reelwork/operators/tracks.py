@@ -184,19 +184,32 @@ def agreement_report(pairs: DataFrame, by: str = "track_id") -> DataFrame:
     return pairs.groupBy(by).agg(F.count("*").alias("samples"), F.count("iou").alias("comparable"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.round(F.min("iou"), 6).alias("min_iou"), F.round(F.max("iou"), 6).alias("max_iou"), F.round(F.avg("distance"), 6).alias("mean_distance"), F.round(F.avg(same), 6).alias("state_agreement"))
 
 
-def nearest(samples: DataFrame, references: DataFrame, key: str) -> DataFrame:
-    """Each sample (key, t_ms) with the nearest reference (key, reference_ms, reference_id), the earlier one on a tie.
+def nearest(samples: DataFrame, references: DataFrame, key: str, block_ms: int = 600_000) -> DataFrame:
+    """Each sample (key, t_ms) with the nearest reference (key, reference_ms, reference_id), the earlier one on a tie, then that of the least id.
 
-    Both sides are one sorted series: the last reference before a sample and the first after it, so no pairs are made.
+    Both sides are one series, cut into blocks of block_ms, so a long series is dealt over many tasks. Within a block the
+    last reference before a sample and the first one after it come from running windows, one in each direction;
+    beyond its borders they are the nearest blocks' outermost references, carried over one row a block. No pairs are made.
     """
-    s = samples.withColumn("_ref", F.lit(None).cast("struct<at:bigint,id:bigint>"))
-    r = references.select(F.col(key), F.col("reference_ms").alias("t_ms"), F.struct(F.col("reference_ms").alias("at"), F.col("reference_id").cast("long").alias("id")).alias("_ref"))
-    union = s.unionByName(r, allowMissingColumns=True)
-    order = W.partitionBy(key).orderBy("t_ms", F.col("_ref").isNull(), F.col("_ref.id"))
-    union = union.withColumns({"_prev": F.last("_ref", True).over(order.rowsBetween(W.unboundedPreceding, 0)), "_next": F.first("_ref", True).over(order.rowsBetween(0, W.unboundedFollowing))})
+    place = "struct<at:bigint,id:bigint>"
+    s = samples.withColumn("_ref", F.lit(None).cast(place))
+    r = references.select(F.col(key), F.col("reference_ms").alias("t_ms"), F.struct(F.col("reference_ms").cast("long").alias("at"), F.col("reference_id").cast("long").alias("id")).alias("_ref"))
+    union = s.unionByName(r, allowMissingColumns=True).withColumn("_block", F.floor(F.col("t_ms") / block_ms))
+    # at one time references come first, that of the least id last
+    there, least = F.col("_ref").isNull(), F.col("_ref.id").desc()
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy(key, "_block")
+    union = union.withColumns({"_prev": F.last("_ref", True).over(upto(within.orderBy("t_ms", there, least))), "_next": F.last("_ref", True).over(upto(within.orderBy(F.col("t_ms").desc(), there, least)))})
+    by_time = lambda c: F.struct(c.alias("t"), -F.col("_ref.id"))
+    ends = union.groupBy(key, "_block").agg(F.max_by("_ref", F.when(F.col("_ref").isNotNull(), by_time(F.col("_ref.at")))).alias("_latest"), F.max_by("_ref", F.when(F.col("_ref").isNotNull(), by_time(-F.col("_ref.at")))).alias("_first"))
+    before = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(key).orderBy(F.col("_block").desc()).rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(key, "_block", F.last("_latest", True).over(before).alias("_before"), F.last("_first", True).over(after).alias("_after"))
+    found = union.where("_ref IS NULL").join(ends, [key, "_block"]).withColumns({"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")})
     gap = lambda c: F.abs(F.col("t_ms") - F.col(f"{c}.at"))
-    chosen = F.when(F.col("_next").isNull() | (gap("_prev") <= gap("_next")), F.col("_prev")).otherwise(F.col("_next"))
-    return union.where("_ref IS NULL").withColumn("_chosen", F.coalesce(chosen, "_next")).withColumns({"reference_ms": F.col("_chosen.at"), "gap_ms": gap("_chosen")}).drop("_ref", "_prev", "_next", "_chosen")
+    chosen = F.coalesce(F.when(F.col("_next").isNull() | (gap("_prev") <= gap("_next")), F.col("_prev")), F.col("_next"), F.col("_prev"))
+    out = found.withColumn("_chosen", chosen).withColumns({"reference_ms": F.col("_chosen.at"), "reference_id": F.col("_chosen.id"), "gap_ms": gap("_chosen")})
+    return out.drop("_ref", "_prev", "_next", "_chosen", "_block", "_before", "_after")
 
 
 def common_union(regions: DataFrame, required: int) -> DataFrame:
