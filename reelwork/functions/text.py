@@ -27,14 +27,52 @@ def contract_id(value: Column, prefix: str) -> Column:
     return F.when(trimmed.rlike(r"^[a-zA-Z0-9][a-zA-Z0-9_.:-]*\z"), trimmed).otherwise(F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(trimmed.cast("binary"), 256), 1, 16)))
 
 
+def _named(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def shortest_double(x: Column) -> Column:
+    """A double as the shortest digits that give it back, written as Python does: an exponent of two digits at least from 1e16 on and under 1e-4."""
+
+    def written(text: Column) -> Column:
+        digits, exponent = F.regexp_replace(F.substring_index(text, "e", 1), "[-.]", ""), F.substring_index(text, "e", -1).cast("int")
+        return _named(F.struct(digits.alias("d"), F.length(digits).alias("n"), exponent.alias("e"), F.when(text.startswith("-"), "-").otherwise("").alias("sign")), placed)
+
+    def placed(v: Column) -> Column:
+        d, n, e = v["d"], v["n"], v["e"]
+        point = lambda at: F.concat(F.substr(d, F.lit(1), at), F.lit("."), F.substr(d, at + 1))
+        plain = F.when(e >= n - 1, F.concat(d, F.repeat(F.lit("0"), e - n + 1), F.lit(".0"))).when(e >= 0, point(e + 1)).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d))
+        power = F.concat(F.when(n > 1, point(F.lit(1))).otherwise(d), F.when(e < 0, "e-").otherwise("e+"), F.format_string("%02d", F.abs(e)))
+        return F.concat(v["sign"], F.when((e >= -4) & (e < 16), plain).otherwise(power))
+
+    tries = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda k: F.call_function("format_string", F.concat(F.lit("%."), k.cast("string"), F.lit("e")), x))
+    shortest = F.get(F.filter(tries, lambda t: t.cast("double") == x), F.lit(0))
+    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity").when(x == 0, x.cast("string")).when(x.isNotNull(), _named(shortest, written))
+
+
+def python_json(json: Column) -> Column:
+    """The text of to_json as Python's json writes it: doubles in shortest form, control characters with lower-case digits."""
+    tokens = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"|-?[0-9]+\.[0-9]+(?:E-?[0-9]+)?|-?[0-9]+|[^"0-9-]+|-'), F.lit(0))
+    # a backslash takes the character behind it along, so that one that stands for itself is no escape
+    escapes = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"\\u[0-9A-F]{4}|\\.|[^\\]+"), F.lit(0)), lambda x: F.when(x.rlike(r"^\\u"), F.lower(x)).otherwise(x)), "")
+    whole = lambda t: F.when(t.rlike(r"^-?[0-9]+\.[0-9]"), shortest_double(t.cast("double"))).when(t.startswith('"') & t.contains("\\u"), escapes(t)).otherwise(t)
+    return F.array_join(F.transform(tokens, whole), "")
+
+
+def canonical_json(*columns: str) -> Column:
+    """Compact JSON of columns with sorted keys; null fields are left out."""
+    return python_json(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])))
+
+
 def canonical_sha256(*columns: str) -> Column:
-    """Hash of compact JSON with sorted keys; null fields are left out."""
-    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)
+    """Hash of canonical_json()."""
+    return F.sha2(canonical_json(*columns), 256)
 
 
 def json_sha256(value: Column, nulls: bool = True) -> Column:
     """Hash of a struct as compact JSON, in the order of its fields; null fields are written as null, or left out."""
-    return F.sha2(F.to_json(value, {"ignoreNullFields": str(not nulls).lower()}), 256)
+    return F.sha2(python_json(F.to_json(value, {"ignoreNullFields": str(not nulls).lower()})), 256)
 
 
 @F.pandas_udf(DoubleType())

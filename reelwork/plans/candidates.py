@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelwork.operators import candidates as K
+from reelwork.operators.projection import project_choices
 from reelwork.plans.base import query
 
 _E = "e_candidate"
@@ -314,14 +315,47 @@ def _c16(c):
     return K.trim_worklist(c)
 
 
+# choices of candidates, and the events that they rest on; in SQL that Spark and DuckDB share
+_CHOICES = {
+    "event_id": "concat('e', source_id % 3)", "observed_visual_evidence": "concat('seen ', frame_id)", "selection_reason": "concat('why ', rank)", "horizontal_strategy": "CASE WHEN frame_id % 2 = 0 THEN 'tracked_reframe' ELSE 'original' END", "zoom_intent": "CASE WHEN frame_id % 2 = 0 THEN 'subtle' ELSE 'none' END",
+    "focus_id": "CASE WHEN frame_id % 2 = 0 THEN concat('n', frame_id % 4) END", "vertical_strategy": "CASE WHEN role = 'hard_core' OR frame_id % 3 = 0 THEN 'tracked_crop' ELSE 'fit_with_background' END", "crop_mode": "'strict'", "framing_intent": "concat('keep ', role)",
+    "first_required": "CASE WHEN frame_id % 29 = 1 THEN 'n9' ELSE concat('n', frame_id % 4) END", "second_required": "CASE WHEN frame_id % 5 = 0 THEN concat('n', (frame_id + 1) % 4) END", "first_preferred": "concat('n', (frame_id + 1) % 4)", "first_sacrificable": "CASE WHEN frame_id % 7 = 0 THEN 'n3' END", "risk": "CASE WHEN frame_id % 4 = 0 THEN 'edge' ELSE 'none' END",
+}
+_ENTITY = {"kind": "CASE i % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'text_region' WHEN 2 THEN 'logo' ELSE 'screen' END", "label": "concat('label ', i, ' of ', source_id)", "features": "CASE WHEN i % 2 = 0 THEN ' wide ' ELSE '' END"}
+_TEXT_OF = "CASE WHEN {0} = concat('n', source_id % 4) THEN 'target ' || source_id ELSE concat('label ', right({0}, 1), ' of ', source_id, CASE WHEN right({0}, 1) IN ('0', '2') THEN '; wide' ELSE '' END) END"
+
+
 @query("c8_project_plan", _E, sql=f"""
-, s AS ({_SELECTED}), r AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY candidate_id <> selected, rank, candidate_id) AS new_rank FROM e_candidate JOIN s USING (chapter))
-SELECT chapter, string_agg(concat(new_rank, ':', candidate_id, ':', CASE role WHEN 'overlay_keepout' THEN 'overlay_keepout' WHEN 'hard_core' THEN 'hard_core' ELSE CASE WHEN atomic THEN 'hard_core' ELSE 'soft_extent' END END), ',' ORDER BY new_rank) AS ranked FROM r WHERE new_rank <= 8 GROUP BY chapter""")
+, c AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _CHOICES.items())} FROM e_candidate), i AS (SELECT *, list_filter([first_required, second_required], lambda x: x IS NOT NULL) AS required FROM c)
+, t AS (SELECT *, list_filter([first_preferred], lambda x: NOT list_contains(required, x)) AS preferred, CASE WHEN focus_id IS NOT NULL THEN {_TEXT_OF.format("focus_id")} END AS h_target, array_to_string(list_transform(required, lambda x: {_TEXT_OF.format("x")}), ' | ') AS v_target FROM i)
+, r AS (SELECT *, CASE WHEN vertical_strategy <> 'tracked_crop' THEN [] ELSE list_concat(list_transform(required, lambda x: 'required ' || x || ' ' || CASE right(x, 1) WHEN '0' THEN 'subject' WHEN '1' THEN 'text_region atomic' WHEN '2' THEN 'graphic atomic' ELSE 'ui_region atomic' END), list_transform(preferred, lambda x: 'preferred ' || x || ' ' || CASE right(x, 1) WHEN '0' THEN 'subject' WHEN '1' THEN 'text_region' WHEN '2' THEN 'graphic' ELSE 'ui_region' END),
+    list_transform(list_filter(['n3'], lambda x: NOT list_contains(required, x) AND NOT list_contains(preferred, x) AND first_sacrificable IS NULL), lambda x: 'avoid_overlay ' || x || ' ui_region')) END AS regions FROM t)
+, ch AS (SELECT DISTINCT chapter, chapter % 11 = 0 AS lost, 'c' || (1 + chapter % 3) AS h, 'c' || (1 + chapter % 2) AS v FROM e_candidate)
+, bad AS (SELECT DISTINCT ch.chapter, 'entity_missing' AS rule FROM ch JOIN r USING (chapter) WHERE NOT lost AND first_required = 'n9' UNION SELECT chapter, 'selection_unknown' FROM ch WHERE NOT lost AND (NOT EXISTS (SELECT 1 FROM r WHERE r.chapter = ch.chapter AND candidate_id = h) OR NOT EXISTS (SELECT 1 FROM r WHERE r.chapter = ch.chapter AND candidate_id = v)))
+, good AS (SELECT * FROM ch WHERE NOT lost AND chapter NOT IN (SELECT chapter FROM bad))
+, o AS (SELECT g.chapter, string_agg(concat(candidate_id, ' ', zoom_intent, ' ', coalesce(h_target, '-')), ', ' ORDER BY candidate_id <> h, rank) AS horizontal, string_agg(concat(candidate_id, ' ', v_target, ' ', array_to_string(regions, '; ')), ', ' ORDER BY candidate_id <> v, rank) AS vertical FROM good g JOIN r USING (chapter) GROUP BY g.chapter)
+SELECT o.chapter, CASE WHEN g.h = g.v THEN a.observed_visual_evidence ELSE concat('16:9: ', a.observed_visual_evidence, ' 9:16: ', b.observed_visual_evidence) END AS observed, CASE WHEN a.risk = b.risk THEN a.risk ELSE concat(a.risk, ',', b.risk) END AS risks, a.frame_id::VARCHAR AS horizontal_frame_id, b.frame_id::VARCHAR AS vertical_frame_id, round(least(a.confidence, b.confidence), 6) AS confidence, horizontal, vertical, NULL AS rule
+FROM o JOIN good g USING (chapter) JOIN r a ON a.chapter = o.chapter AND a.candidate_id = h JOIN r b ON b.chapter = o.chapter AND b.candidate_id = v
+UNION ALL SELECT chapter, 'No supported Clip Card evidence was selected.', 'No supported source evidence.', NULL, NULL, 0.0, '', '', NULL FROM ch WHERE lost UNION ALL SELECT chapter, NULL, NULL, NULL, NULL, NULL, NULL, NULL, rule FROM bad""")
 def _c8(c):
-    ranked = K.selected_first(c.join(_selected(c), "chapter"), F.col("candidate_id") == F.col("selected")).where("new_rank <= 8")
-    role = K.execution_role(F.when(F.col("role") == "overlay_keepout", "avoid_overlay").otherwise(F.col("role")), F.col("role") == "hard_core", F.col("atomic"))
-    rows = F.array_sort(F.collect_list(F.struct("new_rank", "candidate_id", role.alias("role"))))
-    return ranked.groupBy("chapter").agg(F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["new_rank"].cast("string"), x["candidate_id"], x["role"])), ",").alias("ranked"))
+    some = lambda *names: F.array_compact(F.array(*names))
+    rows = c.withColumns({k: F.expr(v) for k, v in _CHOICES.items()}).withColumnsRenamed({"rank": "position", "source_id": "asset_id"}).withColumns({"frame_id": F.col("frame_id").cast("string"), "quality_risks": F.array("risk")})
+    rows = rows.withColumns({"required": some("first_required", "second_required"), "preferred": some("first_preferred"), "sacrificable": some("first_sacrificable")})
+    cards = c.select("source_id").distinct().withColumn("ids", F.sequence(F.lit(0), F.lit(3)))
+    entity = c.select("source_id").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("source_id", F.struct(F.concat(F.lit("n"), F.col("i").cast("string")).alias("entity_id"), *[F.expr(v).alias(k) for k, v in _ENTITY.items()]).alias("e"))
+    target = F.array(F.struct(F.concat(F.lit("n"), (F.col("source_id") % 4).cast("string")).alias("entity_id"), F.concat(F.lit("target "), F.col("source_id").cast("string")).alias("target_description")))
+    ids, none = F.transform("ids", lambda i: F.concat(F.lit("n"), i.cast("string"))), F.array().cast("array<string>")
+    events = cards.join(entity.groupBy("source_id").agg(F.array_sort(F.collect_list("e")).alias("entities")), "source_id").select(
+        F.col("source_id").alias("asset_id"), F.explode(F.transform("ids", lambda i: F.concat(F.lit("e"), i.cast("string")))).alias("event_id"), ids.alias("entity_ids"), *[none.alias(f"{k}_ids") for k in ("primary", "required", "optional")], F.array(F.lit("n3")).alias("avoid_overlay_ids"), "entities", target.alias("targets"),
+    )
+    chapters = c.select("chapter").distinct().select("chapter", F.when(F.col("chapter") % 11 == 0, "not_found").otherwise("supported").alias("evidence_status"), *[F.concat(F.lit("c"), (F.col("chapter") % n + 1).cast("string")).alias(f"{a}_candidate_id") for a, n in (("horizontal", 3), ("vertical", 2))])
+    keep = ["chapter", "position", "candidate_id", "asset_id", "event_id", "frame_id", "observed_visual_evidence", "selection_reason", "quality_risks", "horizontal_strategy", "zoom_intent", "focus_id", "vertical_strategy", "crop_mode", "framing_intent", "required", "preferred", "sacrificable", "confidence"]
+    made, wrong = project_choices(chapters, rows.select(*keep), events)
+    region = lambda r: F.concat_ws(" ", r["role"], r["entity_id"], r["kind"], F.when(r["atomic"], "atomic"))
+    horizontal = F.transform("horizontal_candidates", lambda x: F.concat_ws(" ", x["candidate_id"], x["zoom_intent"], F.coalesce(x["target_description"], F.lit("-"))))
+    vertical = F.transform("vertical_candidates", lambda x: F.concat_ws(" ", x["candidate_id"], x["target_description"], F.array_join(F.transform(x["regions"], region), "; ")))
+    told = made.select("chapter", F.col("observed_visual_evidence").alias("observed"), F.array_join("quality_risks", ",").alias("risks"), "horizontal_frame_id", "vertical_frame_id", F.round("confidence", 6).alias("confidence"), F.array_join(horizontal, ", ").alias("horizontal"), F.array_join(vertical, ", ").alias("vertical"))
+    return told.withColumn("rule", F.lit(None).cast("string")).unionByName(wrong, allowMissingColumns=True)
 
 
 # what a candidate refers to; in SQL that Spark and DuckDB share

@@ -4,17 +4,77 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelwork.functions.text import contract_id
+from reelwork.functions.text import canonical_sha256, contract_id
+from reelwork.operators.rounds import cut_lineage, drop_folder, new_folder
 from reelwork.plans.base import query
 from reelwork.sources import registry as S
+from reelwork.streaming.artifacts import take_new_artifacts
 
 _ID = ", ids AS (SELECT *, 'sha256:' || sha256(content) AS asset_id FROM k_file)"
 _DEDUP = _ID + ", dedup AS (SELECT path, asset_id, duration_ms, min(path) OVER (PARTITION BY asset_id) AS canonical_path FROM ids)"
 
 
-@query("s1_read_artifacts", "l_json", sql="SELECT event_id, props->>'$.page' AS page, (props->>'$.k') AS k FROM l_json")
+# documents of 100 events each, one a file; of seven, one is cut off and one has a run that is no number
+_RUNS = ", runs AS (SELECT *, event_id // 100 AS run FROM l_json)"
+_SCHEMA = "run long, events array<struct<event_id: long, props: struct<page: string, k: string>>>"
+
+
+def _written(j):
+    """The folder to which j's events have been written as documents of several lines."""
+    run = F.floor(F.col("event_id") / 100)
+    event = F.struct("event_id", F.from_json("props", "page string, k string").alias("props"))
+    docs = j.groupBy(run.alias("run")).agg(F.array_sort(F.collect_list(event)).alias("events"))
+    number = F.when(F.col("run") % 7 == 5, F.concat(F.lit("run "), F.col("run").cast("string"))).otherwise(F.col("run").cast("string"))
+    text = F.to_json(F.struct(number.alias("run"), "events"), {"pretty": "true"})
+    text = F.when(F.col("run") % 7 == 5, text).otherwise(F.regexp_replace(text, '"run" : "([0-9]+)"', '"run" : $1'))
+    folder = new_folder(j.sparkSession, "artifacts")
+    docs.select("run", F.when(F.col("run") % 7 == 3, F.substr(text, F.lit(1), F.length(text) - 20)).otherwise(text).alias("value")).write.partitionBy("run").text(folder)
+    return folder
+
+
+@query("s1_read_artifacts", "l_json", sql=_RUNS + " SELECT event_id, props->>'$.page' AS page, props->>'$.k' AS k FROM runs WHERE run % 7 NOT IN (3, 5)")
 def _s1(j):
-    return j.select("event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.k").alias("k"))
+    folder = _written(j)
+    read, _ = S.check_artifacts(j.sparkSession, folder, "part-*", _SCHEMA)
+    out = cut_lineage(read.select(F.explode("events").alias("e")).select("e.event_id", "e.props.page", "e.props.k"))
+    drop_folder(j.sparkSession, folder)
+    return out
+
+
+@query("s1_broken_artifacts", "l_json", sql=_RUNS + " SELECT DISTINCT run, CASE run % 7 WHEN 3 THEN 'no_json' ELSE 'schema' END AS rule FROM runs WHERE run % 7 IN (3, 5)")
+def _s1b(j):
+    folder = _written(j)
+    _, broken = S.check_artifacts(j.sparkSession, folder, "part-*", _SCHEMA)
+    out = cut_lineage(broken.select(F.regexp_extract("path", "run=([0-9]+)", 1).cast("long").alias("run"), "rule"))
+    drop_folder(j.sparkSession, folder)
+    return out
+
+
+@query("s7_artifact_stream", "k_file", sql="""
+, d AS (SELECT CAST(regexp_extract(path, '([0-9]+)[.]txt', 1) AS BIGINT) AS doc, content FROM k_file)
+SELECT doc // 50 AS bucket, sha256(string_agg(sha256(content), chr(10) ORDER BY doc) || chr(10)) AS sha256, (doc // 50) % 3 AS run FROM d GROUP BY 1""")
+def _s7s(k):
+    """A folder grows three times by files of 50 documents' hashes; each run takes the new ones."""
+    spark = k.sparkSession
+    doc = F.regexp_extract("path", "([0-9]+)[.]txt", 1).cast("long")
+    files = k.select(doc.alias("doc"), F.sha2("content", 256).alias("hash")).groupBy(F.floor(F.col("doc") / 50).alias("bucket")).agg(F.array_sort(F.collect_list(F.struct("doc", "hash"))).alias("docs"))
+    files = cut_lineage(files.select("bucket", F.array_join(F.transform("docs", lambda d: d["hash"]), "\n").alias("value")))
+    folder, out = new_folder(spark, "stream"), None
+    for run in range(3):
+        files.where(F.col("bucket") % 3 == run).write.mode("append").partitionBy("bucket").text(f"{folder}/files")
+        taken = take_new_artifacts(spark, f"{folder}/files", "part-*", f"{folder}/state").withColumn("run", F.lit(run))
+        out = taken if out is None else out.unionByName(taken)
+    out = cut_lineage(out.select(F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("long").alias("bucket"), "sha256", "run"))
+    drop_folder(spark, folder)
+    return out
+
+
+@query("f23_double_sha256", "a_usage", sql="""
+, p AS (SELECT path, input_tokens * 12345.5 AS large, output_tokens / 8e7::DOUBLE AS little FROM a_usage)
+SELECT path, sha256('{"large":' || large::DOUBLE || ',"little":' || little || ',"path":"' || path || '"}') AS sha256 FROM p""")
+def _f23d(log):
+    numbers = log.select("path", (F.col("input_tokens") * 12345.5).alias("large"), (F.col("output_tokens") / 8e7).alias("little"))
+    return numbers.select("path", canonical_sha256("path", "large", "little").alias("sha256"))
 
 
 @query("s2_media_registry", "k_file", sql="SELECT path, split_part(path, '/', -1) AS name FROM k_file")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 SUFFIXES = ("mp4", "mov", "m4v")
 
@@ -16,6 +16,25 @@ def read_artifacts(spark: SparkSession, root: str, glob: str, schema: StructType
     return reader.json(root).select("*", F.col("_metadata.file_path").alias("path"))
 
 
+BROKEN = "_broken"
+
+
+def check_artifacts(spark: SparkSession, root: str, glob: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(documents, violations): what read_artifacts gives for the documents that fit the schema, and (path, rule, content) of the others.
+
+    A document is one file with one object. It breaks the schema if it is no such thing or if a field has another type; unknown
+    fields are left out and missing ones are null, as in read_artifacts. An empty file is no document and not seen.
+    """
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    with_broken = StructType([*fields.fields, StructField(BROKEN, StringType())])
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
+    text = F.btrim(F.col("value"), F.lit(" \t\r\n"))
+    read = files.select(F.from_json("value", with_broken, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("d"), text.alias("text"), F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"))
+    fits = F.col("d").isNotNull() & F.col(f"d.{BROKEN}").isNull() & text.startswith("{")
+    rule = F.when(F.try_parse_json("text").isNull(), "no_json").otherwise("schema")
+    return read.where(fits).select(*[F.col(f"d.`{f.name}`") for f in fields], "path"), read.where(~fits).select("path", rule.alias("rule"), "content")
+
+
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(path, content, modified) of the files below root."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
