@@ -80,8 +80,10 @@ def test_divergence_of_nothing(docs):
 def test_each_chunk_is_cut_once(docs):
     blocks = divergence.counted_blocks(docs, 300).cache()
     assert blocks.select("block").distinct().count() == blocks.count() == 3
-    cut = divergence.chunk_terms(blocks)
-    assert cut.groupBy("block", "place").count().where("count > 1").isEmpty()
+    cut = divergence.cut_chunks(blocks).collect()
+    want = {w for _, t, *_ in corpus() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")}
+    assert sorted(r["chunk_text"] for r in cut) == sorted(want)
+    assert {r["chunk_text"]: r["docs"] for r in cut} == {w: sum(w in re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, *_ in corpus()) for w in want}
     blocks.unpersist()
 
 
