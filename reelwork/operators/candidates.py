@@ -122,10 +122,15 @@ def attempts(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
 
 def auto_route(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Each attempt with its codes, what follows, and the chapter's outcome."""
+    """Each attempt with its codes, what follows, and the chapter's outcome.
+
+    A column seeds_tried, where there is one, counts the other seeds that a candidate has been tracked from; the policy allows
+    max_alternate_seeds_per_candidate of them.
+    """
     last = F.max("rank").over(W.partitionBy("chapter"))
     a = attempts(candidates, policy).withColumn("remaining", F.col("rank") < last)
-    return a.withColumn("action", F.when(F.col("passed"), "accept").otherwise(recovery(F.col("codes"), F.col("remaining"))))
+    seeds = F.col("seeds_tried") < policy.max_alternate_seeds_per_candidate if "seeds_tried" in candidates.columns else None
+    return a.withColumn("action", F.when(F.col("passed"), "accept").otherwise(recovery(F.col("codes"), F.col("remaining"), seeds)))
 
 
 def code_histogram(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -191,11 +196,22 @@ def resolve_intent(candidates: DataFrame, brief: DataFrame) -> DataFrame:
     return candidates.join(b, "chapter", "left").select("chapter", "candidate_id", regions.alias("regions"), target.alias("target"))
 
 
-def review_reasons(candidates: DataFrame) -> DataFrame:
-    """(chapter, reasons) that call for a semantic review."""
-    g = candidates.groupBy("chapter").agg(F.count_if(F.col("role") == "hard_core").alias("cores"), F.max("atomic").alias("atomic"), F.max(F.col("role") == "overlay_keepout").alias("keepout"), F.max(F.col("strategy") == "fit_with_background").alias("fit"), F.max((F.col("role") == "soft_extent") & (F.col("min_visible") < 0.95)).alias("soft"))
-    reasons = _rules(F.when(F.col("cores") > 1, F.lit("multiple_hard_core_regions")), F.when(F.col("atomic"), F.lit("atomic_text_or_ui_region")), F.when(F.col("keepout"), F.lit("overlay_keepout_requires_layout_gate")), F.when(F.col("fit"), F.lit("fallback_applied")), F.when(F.col("soft"), F.lit("soft_extent_visibility_below_floor")))
-    return g.select("chapter", reasons.alias("reasons"))
+def review_reasons(regions: DataFrame, geometries: DataFrame) -> DataFrame:
+    """(chapter, reasons) that call for a semantic review, in order.
+
+    regions: chapter, role (on the renderer's side), kind, atomic. geometries, one a chapter: fallback_reason (null or empty: none)
+    and soft_extents_passed, whether each soft extent shows as much as its own floor asks (null: nothing to show). A kind or atom
+    counts in what the crop must hold, so not in a keepout.
+    """
+    crop = F.col("role") != "overlay_keepout"
+    g = regions.groupBy("chapter").agg(F.count_if(F.col("role") == "hard_core").alias("cores"), F.bool_or(crop & (F.col("kind").isin("text_region", "ui_region") | F.col("atomic"))).alias("atomic"), F.bool_or(~crop).alias("keepout"))
+    all_of = geometries.join(g, "chapter", "left")
+    say = lambda when, reason: F.when(when, F.lit(reason))
+    reasons = _rules(
+        say(F.col("cores") > 1, "multiple_hard_core_regions"), say(F.col("atomic"), "atomic_text_or_ui_region"), say(F.col("keepout"), "overlay_keepout_requires_layout_gate"), say(F.coalesce("fallback_reason", F.lit("")) != "", "fallback_applied"),
+        say(~F.coalesce("soft_extents_passed", F.lit(True)), "soft_extent_visibility_below_floor"),
+    )
+    return all_of.select("chapter", reasons.alias("reasons"))
 
 
 def preflight_violations(regions: DataFrame) -> DataFrame:
@@ -332,10 +348,19 @@ def union_ids(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("chapter").agg(F.array_sort(F.array_union(F.collect_set("frame_id"), F.collect_set("source_id"))).alias("ids"))
 
 
-def classified(candidates: DataFrame) -> DataFrame:
-    """(chapter, unclassified, extra): frames of important candidates that none selects, and the other way round."""
-    g = candidates.groupBy("chapter").agg(F.collect_set(F.when(F.col("confidence") >= 0.5, F.col("frame_id"))).alias("important"), F.collect_set(F.when(F.col("rank") <= 2, F.col("frame_id"))).alias("chosen"))
-    return g.select("chapter", F.array_sort(F.array_except("important", "chosen")).alias("unclassified"), F.array_sort(F.array_except("chosen", "important")).alias("extra"))
+def classified(candidates: DataFrame, events: DataFrame) -> DataFrame:
+    """(chapter, candidate_id, unknown, unclassified): entities that a candidate names and its event does not have, and important ones of the event that it puts in no class.
+
+    candidates: chapter, candidate_id, asset_id, event_id, required, preferred, sacrificable (arrays of entity ids), focus_id. events:
+    asset_id, event_id, the arrays entity_ids, primary_ids, required_ids, optional_ids, avoid_overlay_ids, and target_ids. An event
+    that is missing knows and asks for nothing.
+    """
+    c = candidates.join(events, ["asset_id", "event_id"], "left")
+    none = F.array().cast("array<string>")
+    known, important = (F.array_distinct(F.concat(*[F.coalesce(x, none) for x in names])) for names in (("entity_ids", "primary_ids", "required_ids", "optional_ids", "avoid_overlay_ids", "target_ids"), ("primary_ids", "required_ids")))
+    classes = F.concat("required", "preferred", "sacrificable")
+    named = F.concat(classes, F.array_compact(F.array("focus_id")))
+    return c.select("chapter", "candidate_id", F.array_sort(F.array_except(named, known)).alias("unknown"), F.array_sort(F.array_except(important, classes)).alias("unclassified"))
 
 
 def compact_candidates(candidates: DataFrame, with_relations: bool = True) -> DataFrame:

@@ -145,17 +145,75 @@ def dense_catalog_violations(frames: DataFrame, window_start: int, window_end: i
     return with_ms(frames).select("event_id", "pos", rules.alias("rules")).select("event_id", "pos", F.explode("rules").alias("rule"))
 
 
+def _say(when: Column, rule: str) -> Column:
+    return F.when(when, F.lit(rule))
+
+
+def _broken(rows: DataFrame, *rules: Column) -> DataFrame:
+    """(event_id, rule) for each rule that a row breaks."""
+    return rows.select("event_id", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+
+
+def _any(*tests: Column) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
 def selection_violations(selections: DataFrame) -> DataFrame:
-    """(event_id, rule): a visible selection has its ids in order first <= recommended <= last; an invisible one has none."""
-    none = F.col("first").isNull() & F.col("recommended").isNull() & F.col("last").isNull()
-    rules = F.array_compact(F.array(F.when(F.col("visible") & none, F.lit("ids_missing")), F.when(~F.col("visible") & ~none, F.lit("ids_not_expected")), F.when((F.col("first") > F.col("recommended")) | (F.col("recommended") > F.col("last")), F.lit("order"))))
-    return selections.select("event_id", F.explode(rules).alias("rule"))
+    """(event_id, rule) of selections of dense frames (first, recommended, last, target_id, target_description, status).
+
+    A visible one has all three ids in order and is matched or ambiguous, by default matched; an invisible one has neither ids
+    nor a target and says why. A target's id and description come together.
+    """
+    ids, target = [F.col(c) for c in ("first", "recommended", "last")], [F.col(c) for c in ("target_id", "target_description")]
+    visible = F.col("visible")
+    status = F.coalesce("status", F.when(visible, "matched").otherwise("not_visible"))
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    return _broken(
+        selections, _say(visible & _any(*[c.isNull() for c in ids]), "ids_missing"), _say(visible & ~status.isin("matched", "ambiguous"), "status_of_visible"), _say(visible & ~_any(*[c.isNull() for c in ids]) & ((ids[0] > ids[1]) | (ids[1] > ids[2])), "order"),
+        _say(~visible & _any(*[c.isNotNull() for c in ids + target]), "fields_not_expected"), _say(~visible & ~status.isin("not_visible", "target_mismatch", "insufficient_evidence"), "status_of_invisible"), _say(given(target[0]) != given(target[1]), "half_target"),
+    )
 
 
 def phase_violations(proposals: DataFrame) -> DataFrame:
-    """(event_id, rule): phases occur once and in the order of time; in before out; both ends of a hold or none."""
-    rules = F.array_compact(F.array(F.when(F.col("in_pos") >= F.col("out_pos"), F.lit("in_not_before_out")), F.when(F.col("hold_start").isNull() != F.col("hold_end").isNull(), F.lit("half_hold")), F.when(F.size(F.array_distinct("phases")) < F.size("phases"), F.lit("repeated_phase")), F.when(F.col("status").eqNullSafe("approved") & ~F.col("reviewed"), F.lit("approved_unreviewed"))))
-    return proposals.select("event_id", F.explode(rules).alias("rule"))
+    """(event_id, rule) of trims proposed by frames (usable, requires_review, selections as an array of phase and frame_id).
+
+    A proposal waits for a review. Phases occur once; a usable one has two different frames as in and out, another has no
+    frames; a hold has both ends or none.
+    """
+    phases = F.transform("selections", lambda x: x["phase"])
+    frame = lambda name: F.get(F.filter("selections", lambda x: x["phase"] == name), F.lit(0))["frame_id"]
+    has = lambda name: F.array_contains(phases, name)
+    usable, first, last = F.col("usable"), frame("recommended_in"), frame("recommended_out")
+    return _broken(
+        proposals, _say(~F.col("requires_review"), "review_not_required"), _say(F.size(F.array_distinct(phases)) < F.size(phases), "repeated_phase"), _say(usable & (first.isNull() | last.isNull()), "in_out_missing"),
+        _say(usable & (first == last), "single_frame"), _say(~usable & (F.size("selections") > 0), "frames_of_unusable"), _say(has("hold_start") != has("hold_end"), "half_hold"),
+    )
+
+
+def video_trim_violations(proposals: DataFrame) -> DataFrame:
+    """(event_id, rule) of trims proposed by times (usable, requires_review, in_ms, out_ms, hold_start_ms, hold_end_ms, reset_ms); half a hold is for normalize_hold()."""
+    usable, at = F.col("usable"), [F.col(c) for c in ("in_ms", "out_ms", "hold_start_ms", "hold_end_ms", "reset_ms")]
+    return _broken(
+        proposals, _say(~F.col("requires_review"), "review_not_required"), _say(usable & (at[0].isNull() | at[1].isNull()), "in_out_missing"), _say(usable & (at[1] <= at[0]), "not_chronological"), _say(~usable & _any(*[c.isNotNull() for c in at]), "times_of_unusable"),
+        _say(at[2].isNull() != at[3].isNull(), "half_hold"), _say(at[3] < at[2], "hold_not_chronological"),
+    )
+
+
+def trim_decision_violations(decisions: DataFrame) -> DataFrame:
+    """(event_id, rule) of derived trims: usable, first_frame, in_ms, out_ms, in_pts, out_pts, handle_in_ms, handle_out_ms, status, requires_review and the review's verdict (null: none)."""
+    derived = [F.col(c) for c in ("first_frame", "in_ms", "out_ms", "in_pts", "out_pts")]
+    usable, some, whole = F.col("usable"), _any(*[c.isNotNull() for c in derived]), ~_any(*[c.isNull() for c in derived])
+    handles = F.col("handle_in_ms").isNotNull() & F.col("handle_out_ms").isNotNull()
+    bounds = usable & whole
+    proposed, verdict = F.col("status") == "proposed", F.col("verdict")
+    return _broken(
+        decisions, _say(usable & ~whole, "bounds_missing"), _say(bounds & (F.col("out_ms") <= F.col("in_ms")), "empty_interval"), _say(bounds & ~handles, "handles_missing"),
+        _say(bounds & handles & ((F.col("handle_in_ms") > F.col("in_ms")) | (F.col("out_ms") > F.col("handle_out_ms"))), "outside_handles"), _say(~usable & some, "bounds_of_unusable"),
+        _say(proposed & (~F.col("requires_review") | verdict.isNotNull()), "proposed_but_reviewed"), _say(~proposed & (F.col("requires_review") | verdict.isNull()), "reviewed_without_record"), _say(~proposed & (verdict != F.col("status")), "verdict_differs"),
+    )
 
 
 # the claim that a positive selection of each stage may make

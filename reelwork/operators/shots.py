@@ -188,20 +188,33 @@ def content_map_violations(events: DataFrame) -> DataFrame:
     return events.select("asset_id", "event_id", rules.alias("rules")).select("asset_id", "event_id", F.explode("rules").alias("rule"))
 
 
-def temporal_map_violations(events: DataFrame) -> DataFrame:
-    """(asset_id, event_id, rule): events of an asset must be in order and must not overlap."""
-    order = W.partitionBy("asset_id").orderBy("start_ms", "event_id")
-    before = F.lag("end_ms").over(order)
-    rules = F.array_compact(F.array(F.when(before > F.col("start_ms"), F.lit("overlap")), F.when(F.col("end_ms") > F.col("duration_ms"), F.lit("beyond_duration"))))
-    return events.select("asset_id", "event_id", rules.alias("rules")).select("asset_id", "event_id", F.explode("rules").alias("rule"))
+def _event_rules(events: DataFrame, *rules: Column) -> DataFrame:
+    return events.select("asset_id", "event_id", F.array_compact(F.array(*rules)).alias("rules")).select("asset_id", "event_id", F.explode("rules").alias("rule"))
+
+
+def _repeated() -> Column:
+    return F.when(F.count("*").over(W.partitionBy("asset_id", "event_id")) > 1, F.lit("duplicate_id"))
+
 
+def temporal_map_violations(events: DataFrame, position: str = "position") -> DataFrame:
+    """(asset_id, event_id, rule): ids occur once, intervals are not empty and have their keyframe inside, none goes beyond the asset, and in the order of position each begins after the one before it."""
+    before = F.lag("end_ms").over(W.partitionBy("asset_id").orderBy(position))
+    return _event_rules(
+        events, _repeated(), F.when(F.col("end_ms") <= F.col("start_ms"), F.lit("empty_interval")), F.when((F.col("keyframe_ms") < F.col("start_ms")) | (F.col("keyframe_ms") >= F.col("end_ms")), F.lit("keyframe_outside")),
+        F.when(F.col("end_ms") > F.col("duration_ms"), F.lit("beyond_duration")), F.when(before > F.col("start_ms"), F.lit("overlap")),
+    )
 
-def moment_violations(moments: DataFrame) -> DataFrame:
-    """(asset_id, event_id, rule) for MM:SS moments: each before the end, strictly increasing in order of id."""
-    order = W.partitionBy("asset_id").orderBy("event_id")
+
+def moment_violations(moments: DataFrame, position: str = "position", ordered: bool = True) -> DataFrame:
+    """(asset_id, event_id, rule) for moments of whole seconds: ids occur once, each is before the end, and in the order of position they rise; target candidates (ordered is false) need not."""
     seconds = F.floor(F.col("start_ms") / 1000)
-    rules = F.array_compact(F.array(F.when(seconds <= F.lag(seconds).over(order), F.lit("not_increasing")), F.when(seconds * 1000 >= F.col("duration_ms"), F.lit("beyond_duration"))))
-    return moments.select("asset_id", "event_id", rules.alias("rules")).select("asset_id", "event_id", F.explode("rules").alias("rule"))
+    rising = F.when(F.lit(ordered) & (seconds <= F.lag(seconds).over(W.partitionBy("asset_id").orderBy(position))), F.lit("not_increasing"))
+    return _event_rules(moments, _repeated(), rising, F.when(seconds * 1000 >= F.col("duration_ms"), F.lit("beyond_duration")))
+
+
+def empty_maps(assets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(asset_id, rule): assets without any target candidate."""
+    return assets.select("asset_id").distinct().join(candidates, "asset_id", "left_anti").select("asset_id", F.lit("no_candidate").alias("rule"))
 
 
 def echo_mismatches(answers: DataFrame, requests: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

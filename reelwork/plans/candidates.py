@@ -170,10 +170,13 @@ def _p18(c):
 
 
 @query("p21_semantic_review_reasons", _E, sql="""
-, g AS (SELECT chapter, count(*) FILTER (WHERE role = 'hard_core') AS cores, bool_or(atomic) AS atomic, bool_or(role = 'overlay_keepout') AS keepout, bool_or(strategy = 'fit_with_background') AS fit, bool_or(role = 'soft_extent' AND min_visible < 0.95::DOUBLE) AS soft FROM e_candidate GROUP BY chapter)
-SELECT chapter, concat_ws(',', CASE WHEN cores > 1 THEN 'multiple_hard_core_regions' END, CASE WHEN atomic THEN 'atomic_text_or_ui_region' END, CASE WHEN keepout THEN 'overlay_keepout_requires_layout_gate' END, CASE WHEN fit THEN 'fallback_applied' END, CASE WHEN soft THEN 'soft_extent_visibility_below_floor' END) AS reasons FROM g""")
+, r AS (SELECT *, CASE frame_id % 5 WHEN 0 THEN 'text_region' WHEN 1 THEN 'ui_region' ELSE 'subject' END AS kind, CASE WHEN frame_id % 4 = 0 THEN 0.95 ELSE 0.92 END AS floor FROM e_candidate)
+, g AS (SELECT chapter, count(*) FILTER (WHERE role = 'hard_core') AS cores, bool_or(role <> 'overlay_keepout' AND (kind <> 'subject' OR atomic)) AS atomic, bool_or(role = 'overlay_keepout') AS keepout, max(CASE WHEN strategy = 'fit_with_background' THEN 'too wide' END) AS fallback, bool_and(min_visible >= floor) FILTER (WHERE role = 'soft_extent') AS soft FROM r GROUP BY chapter)
+SELECT chapter, concat_ws(',', CASE WHEN cores > 1 THEN 'multiple_hard_core_regions' END, CASE WHEN atomic THEN 'atomic_text_or_ui_region' END, CASE WHEN keepout THEN 'overlay_keepout_requires_layout_gate' END, CASE WHEN fallback IS NOT NULL THEN 'fallback_applied' END, CASE WHEN NOT soft THEN 'soft_extent_visibility_below_floor' END) AS reasons FROM g""")
 def _p21(c):
-    return _joined(K.review_reasons(c), "reasons")
+    r = c.withColumns({"kind": F.when(F.col("frame_id") % 5 == 0, "text_region").when(F.col("frame_id") % 5 == 1, "ui_region").otherwise("subject"), "floor": F.when(F.col("frame_id") % 4 == 0, 0.95).otherwise(0.92)})
+    geometries = r.groupBy("chapter").agg(F.max(F.when(F.col("strategy") == "fit_with_background", "too wide")).alias("fallback_reason"), F.bool_and(F.when(F.col("role") == "soft_extent", F.col("min_visible") >= F.col("floor"))).alias("soft_extents_passed"))
+    return _joined(K.review_reasons(r, geometries), "reasons")
 
 
 @query("p1_compact_cards", _E, sql="""
@@ -202,9 +205,13 @@ def _a17h(c):
     return K.code_histogram(_full(c), _POLICY)
 
 
-@query("c10_auto_route", _E, sql=_WON + f" SELECT chapter, candidate_id, {_TEXT}, action, outcome FROM routed")
+_SEEDED = "CASE WHEN frame_id % 3 <> 0 AND NOT passed AND NOT list_contains(codes, 'shot_boundary_crossing') AND codes <> ['overlay_keepout_violated'] AND NOT list_has_any(codes, ['crop_speed_above_maximum', 'crop_acceleration_above_maximum', 'crop_jerk_above_maximum']) AND list_has_any(codes, [" + ", ".join(f"'{c}'" for c in K.TARGETING) + "]) THEN 'try_alternate_seed' ELSE action END"
+
+
+@query("c10_auto_route", _E, sql=_WON + f" SELECT chapter, candidate_id, {_TEXT}, {_SEEDED} AS action, outcome FROM routed")
 def _c10(c):
-    return _joined(K.auto_route(_full(c), _POLICY).select("chapter", "candidate_id", "codes", "action", "outcome"), "codes")
+    tried = _full(c).withColumn("seeds_tried", F.when(F.col("frame_id") % 3 == 0, 1).otherwise(0))
+    return _joined(K.auto_route(tried, _POLICY).select("chapter", "candidate_id", "codes", "action", "outcome"), "codes")
 
 
 @query("a20_quality_risks", _E, sql=_CODES + ", x AS (SELECT chapter, unnest(codes) AS code FROM judged) SELECT j.chapter, coalesce((SELECT string_agg(DISTINCT code, ',' ORDER BY code) FROM x WHERE x.chapter = j.chapter), '') AS risks FROM (SELECT DISTINCT chapter FROM judged) j")
@@ -226,12 +233,22 @@ def _u3(c):
     return _joined(K.union_ids(c), "ids")
 
 
-@query("u4_classified", _E, sql="""
-, i AS (SELECT DISTINCT chapter, frame_id FROM e_candidate WHERE confidence >= 0.5), s AS (SELECT DISTINCT chapter, frame_id FROM e_candidate WHERE rank <= 2)
-SELECT chapter, coalesce((SELECT string_agg(frame_id, ',' ORDER BY frame_id) FROM (SELECT frame_id FROM i WHERE i.chapter = c.chapter EXCEPT SELECT frame_id FROM s WHERE s.chapter = c.chapter)), '') AS unclassified,
-    coalesce((SELECT string_agg(frame_id, ',' ORDER BY frame_id) FROM (SELECT frame_id FROM s WHERE s.chapter = c.chapter EXCEPT SELECT frame_id FROM i WHERE i.chapter = c.chapter)), '') AS extra FROM (SELECT DISTINCT chapter FROM e_candidate) c""")
+# which entities a candidate classes, and what its event has; in SQL that Spark and DuckDB share
+_CLASSES = {"required": "concat('n', frame_id % 6)", "preferred": "concat('n', frame_id % 5)", "sacrificable": "concat('n', (frame_id + 1) % 4)", "focus_id": "CASE WHEN frame_id % 3 = 0 THEN concat('n', frame_id % 7) END"}
+
+
+@query("u4_classified", _E, sql=f"""
+, c AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _CLASSES.items())} FROM e_candidate), s AS (SELECT *, list_filter([required, preferred, sacrificable, focus_id], lambda x: x IS NOT NULL) AS named, CASE WHEN source_id % 10 = 9 THEN [] ELSE ['n0', 'n1', 'n2', 'n' || source_id % 4, 'n' || (3 + source_id % 2)] END AS known, CASE WHEN source_id % 10 = 9 THEN [] ELSE ['n1', 'n' || source_id % 4] END AS important FROM c)
+SELECT chapter, candidate_id, array_to_string(list_sort(list_distinct(list_filter(named, lambda x: NOT list_contains(known, x)))), ',') AS unknown, array_to_string(list_sort(list_distinct(list_filter(important, lambda x: x NOT IN (required, preferred, sacrificable)))), ',') AS unclassified FROM s""")
 def _u4(c):
-    return _joined(K.classified(c), "unclassified", "extra")
+    n = lambda k: F.concat(F.lit("n"), k.cast("string"))
+    s = F.col("source_id")
+    rows = c.withColumns({k: F.expr(v) for k, v in _CLASSES.items()}).select("chapter", "candidate_id", s.alias("asset_id"), F.lit("e").alias("event_id"), *[F.array(k).alias(k) for k in ("required", "preferred", "sacrificable")], "focus_id")
+    events = c.select("source_id").distinct().where("source_id % 10 <> 9").select(
+        s.alias("asset_id"), F.lit("e").alias("event_id"), F.array(F.lit("n0"), F.lit("n1")).alias("entity_ids"), F.array(F.lit("n1")).alias("primary_ids"), F.array(n(s % 4)).alias("required_ids"), F.array(F.lit("n2")).alias("optional_ids"),
+        F.array().cast("array<string>").alias("avoid_overlay_ids"), F.array(n(s % 2 + 3)).alias("target_ids"),
+    )
+    return _joined(K.classified(rows, events), "unknown", "unclassified")
 
 
 @query("j19_selected_assets", _E, sql="SELECT source_id, chapter AS first_chapter, rank AS first_rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY chapter, rank) AS rn FROM e_candidate) WHERE rn = 1")

@@ -163,21 +163,79 @@ def _v5(h):
     return H.dense_catalog_violations(h.withColumn("frame_id", F.expr(_NAME)), 300, 1500, 6)
 
 
-@query("v6_dense_selection", _H, sql="""
-, e AS (SELECT event_id, max(pos) AS last FROM h_frame GROUP BY event_id), s AS (SELECT event_id, event_id % 4 <> 0 AS visible, CASE WHEN event_id % 5 <> 0 THEN 1 END AS f, CASE WHEN event_id % 5 <> 0 THEN 1 + event_id % 3 END AS r, CASE WHEN event_id % 5 <> 0 THEN last END AS l FROM e)
-SELECT event_id, 'ids_missing' AS rule FROM s WHERE visible AND f IS NULL UNION ALL SELECT event_id, 'ids_not_expected' FROM s WHERE NOT visible AND f IS NOT NULL UNION ALL SELECT event_id, 'order' FROM s WHERE f > r OR r > l""")
+def _columns(rows, built):
+    return rows.withColumns({k: F.expr(v) for k, v in built.items()})
+
+
+def _built(built):
+    return ", ".join(f"{v} AS {k}" for k, v in built.items())
+
+
+def _told(*rules):
+    """The names of the rules whose conditions hold, as DuckDB's list."""
+    return "list_filter([" + ", ".join(f"CASE WHEN {when} THEN '{rule}' END" for rule, when in rules) + "], lambda x: x IS NOT NULL)"
+
+
+# selections, proposals and decisions over the frames of an event; in SQL that Spark and DuckDB share
+_SELECTION = {
+    "visible": "event_id % 4 <> 0", "first": "CASE WHEN event_id % 5 <> 0 THEN 1 END", "recommended": "CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN 1 + event_id % 3 END", "last": "CASE WHEN event_id % 5 <> 0 THEN n END",
+    "target_id": "CASE WHEN event_id % 3 = 0 THEN 't' WHEN event_id % 11 = 0 THEN '' END", "target_description": "CASE WHEN event_id % 6 = 0 OR event_id % 9 = 1 THEN 'text' END", "status": "CASE event_id % 13 WHEN 0 THEN 'not_visible' WHEN 1 THEN 'matched' WHEN 2 THEN 'ambiguous' WHEN 3 THEN 'target_mismatch' END",
+}
+_RULES_V6 = (
+    ("ids_missing", "visible AND (first IS NULL OR recommended IS NULL OR last IS NULL)"), ("status_of_visible", "visible AND status IN ('not_visible', 'target_mismatch')"), ("order", "visible AND (first > recommended OR recommended > last)"), ("fields_not_expected", "NOT visible AND coalesce(first, recommended, last)::VARCHAR IS NOT NULL OR NOT visible AND coalesce(target_id, target_description) IS NOT NULL"),
+    ("status_of_invisible", "NOT visible AND status IN ('matched', 'ambiguous')"), ("half_target", "(coalesce(target_id, '') = '') <> (coalesce(target_description, '') = '')"),
+)
+_COUNTED = ", e AS (SELECT event_id, count(*) AS n FROM h_frame GROUP BY event_id)"
+
+
+@query("v6_dense_selection", _H, sql=f"{_COUNTED}, s AS (SELECT *, {_built(_SELECTION)} FROM e) SELECT event_id, unnest({_told(*_RULES_V6)}) AS rule FROM s")
 def _v6(h):
-    there = F.col("event_id") % 5 != 0
-    s = _events(h).select("event_id", (F.col("event_id") % 4 != 0).alias("visible"), F.when(there, 1).alias("first"), F.when(there, 1 + F.col("event_id") % 3).alias("recommended"), F.when(there, F.col("last")).alias("last"))
-    return H.selection_violations(s)
+    return H.selection_violations(_columns(_events(h), _SELECTION))
+
+
+_PHASES = {"usable": "event_id % 7 <> 0", "requires_review": "event_id % 19 <> 3", "a": "CASE WHEN event_id % 5 <> 1 THEN concat('DF', 1 + event_id % 2) END", "b": "CASE WHEN event_id % 6 <> 2 THEN concat('DF', n) END", "c": "CASE WHEN event_id % 3 = 0 THEN 'DF1' END", "d": "CASE WHEN event_id % 4 < 2 THEN 'DF2' END", "again": "event_id % 23 = 4"}
+_RULES_V7 = (
+    ("review_not_required", "NOT requires_review"), ("repeated_phase", "again AND a IS NOT NULL"), ("in_out_missing", "usable AND (a IS NULL OR b IS NULL)"), ("single_frame", "usable AND a = b"), ("frames_of_unusable", "NOT usable AND coalesce(a, b, c, d) IS NOT NULL"), ("half_hold", "(c IS NULL) <> (d IS NULL)"),
+)
 
 
-@query("v7_trim_proposals", _H, sql="""
-, e AS (SELECT event_id, max(pos) AS last FROM h_frame GROUP BY event_id)
-SELECT event_id, 'in_not_before_out' AS rule FROM e WHERE 2 >= last UNION ALL SELECT event_id, 'half_hold' FROM e WHERE event_id % 4 IN (1, 2, 3) UNION ALL SELECT event_id, 'repeated_phase' FROM e WHERE event_id % 6 = 0 UNION ALL SELECT event_id, 'approved_unreviewed' FROM e WHERE event_id % 3 = 0 AND event_id % 2 <> 0""")
+@query("v7_trim_proposals", _H, sql=f"{_COUNTED}, s AS (SELECT *, {_built(_PHASES)} FROM e) SELECT event_id, unnest({_told(*_RULES_V7)}) AS rule FROM s")
 def _v7(h):
-    phases = F.array(F.lit("approach"), F.when(F.col("event_id") % 6 == 0, "approach").otherwise("contact"), F.lit("release"))
-    return H.phase_violations(_trims(h).withColumns({"in_pos": F.lit(2), "out_pos": F.col("last"), "phases": phases}))
+    phase = lambda name, c, when=None: F.when(F.col(c).isNotNull() & (F.lit(True) if when is None else when), F.struct(F.lit(name).alias("phase"), F.col(c).alias("frame_id")))
+    chosen = F.array_compact(F.array(phase("recommended_in", "a"), phase("hold_start", "c"), phase("hold_end", "d"), phase("recommended_out", "b"), phase("recommended_in", "a", F.col("again"))))
+    return H.phase_violations(_columns(_events(h), _PHASES).withColumn("selections", chosen))
+
+
+_TIMES = {
+    "usable": "event_id % 7 <> 0", "requires_review": "event_id % 19 <> 3", "in_ms": "CASE WHEN event_id % 5 <> 1 THEN event_id % 9 * 1000 END", "out_ms": "CASE WHEN event_id % 6 <> 2 THEN n * 1000 END", "hold_start_ms": "CASE WHEN event_id % 3 = 0 THEN 2000 END", "hold_end_ms": "CASE WHEN event_id % 4 < 3 THEN event_id % 5 * 1000 END",
+    "reset_ms": "CASE WHEN event_id % 14 = 0 THEN 1000 END",
+}
+_RULES_TIMES = (
+    ("review_not_required", "NOT requires_review"), ("in_out_missing", "usable AND (in_ms IS NULL OR out_ms IS NULL)"), ("not_chronological", "usable AND out_ms <= in_ms"), ("times_of_unusable", "NOT usable AND coalesce(in_ms, out_ms, hold_start_ms, hold_end_ms, reset_ms) IS NOT NULL"), ("half_hold", "(hold_start_ms IS NULL) <> (hold_end_ms IS NULL)"),
+    ("hold_not_chronological", "hold_end_ms < hold_start_ms"),
+)
+
+
+@query("v7_video_trims", _H, sql=f"{_COUNTED}, s AS (SELECT *, {_built(_TIMES)} FROM e) SELECT event_id, unnest({_told(*_RULES_TIMES)}) AS rule FROM s")
+def _v7v(h):
+    return H.video_trim_violations(_columns(_events(h), _TIMES))
+
+
+_DECISIONS = {
+    "usable": "event_id % 7 <> 0", "first_frame": "CASE WHEN event_id % 7 <> 0 OR event_id % 2 = 0 THEN 'DF1' END", "in_ms": "CASE WHEN event_id % 11 <> 5 AND event_id % 7 <> 0 THEN event_id % 6 * 1000 END", "out_ms": "CASE WHEN event_id % 7 <> 0 THEN n * 1000 END", "in_pts": "CASE WHEN event_id % 7 <> 0 THEN 1 END",
+    "out_pts": "CASE WHEN event_id % 7 <> 0 THEN 2 END", "handle_in_ms": "CASE WHEN event_id % 13 <> 6 THEN event_id % 6 * 1000 - 500 + event_id % 3 * 400 END", "handle_out_ms": "n * 1000 + 700 - event_id % 4 * 300", "status": "CASE event_id % 3 WHEN 0 THEN 'proposed' WHEN 1 THEN 'approved' ELSE 'rejected' END",
+    "requires_review": "event_id % 3 = 0 OR event_id % 17 = 2", "verdict": "CASE WHEN event_id % 3 = 1 THEN 'approved' WHEN event_id % 3 = 2 AND event_id % 5 <> 0 THEN 'rejected' WHEN event_id % 3 = 2 THEN CASE WHEN event_id % 2 = 0 THEN 'approved' END WHEN event_id % 29 = 0 THEN 'approved' END",
+}
+_WHOLE = "(first_frame IS NOT NULL AND in_ms IS NOT NULL AND out_ms IS NOT NULL AND in_pts IS NOT NULL AND out_pts IS NOT NULL)"
+_RULES_DECISION = (
+    ("bounds_missing", f"usable AND NOT {_WHOLE}"), ("empty_interval", f"usable AND {_WHOLE} AND out_ms <= in_ms"), ("handles_missing", f"usable AND {_WHOLE} AND (handle_in_ms IS NULL OR handle_out_ms IS NULL)"), ("outside_handles", f"usable AND {_WHOLE} AND handle_in_ms IS NOT NULL AND handle_out_ms IS NOT NULL AND (handle_in_ms > in_ms OR out_ms > handle_out_ms)"),
+    ("bounds_of_unusable", "NOT usable AND coalesce(first_frame, in_ms::VARCHAR, out_ms::VARCHAR, in_pts::VARCHAR, out_pts::VARCHAR) IS NOT NULL"), ("proposed_but_reviewed", "status = 'proposed' AND (NOT requires_review OR verdict IS NOT NULL)"), ("reviewed_without_record", "status <> 'proposed' AND (requires_review OR verdict IS NULL)"), ("verdict_differs", "status <> 'proposed' AND verdict <> status"),
+)
+
+
+@query("v7_trim_decisions", _H, sql=f"{_COUNTED}, s AS (SELECT *, {_built(_DECISIONS)} FROM e) SELECT event_id, unnest({_told(*_RULES_DECISION)}) AS rule FROM s")
+def _v7d(h):
+    return H.trim_decision_violations(_columns(_events(h), _DECISIONS))
 
 
 # temporal selections over the frames of an event; in SQL that Spark and DuckDB share

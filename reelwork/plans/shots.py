@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelwork.functions.times import mmss_to_ms, ms_to_mmss, pts_to_ms
@@ -178,18 +179,40 @@ def _v1e(events):
     return S.entity_violations(references, entities)
 
 
-@query("v2_temporal_map", "b_event", sql="""
-SELECT asset_id, event_id, 'overlap' AS rule FROM (SELECT *, lag(end_ms) OVER (PARTITION BY asset_id ORDER BY start_ms, event_id) AS before FROM b_event) WHERE before > start_ms
-UNION ALL SELECT asset_id, event_id, 'beyond_duration' FROM b_event WHERE end_ms > duration_ms""")
+# events as a model lists them: some twice, some turned round, some with a keyframe elsewhere
+_LISTED = """, listed AS (SELECT asset_id, event_id - CASE WHEN event_id % 31 = 7 THEN 30 ELSE 0 END AS event_id, start_ms, CASE WHEN event_id % 37 = 5 THEN start_ms ELSE end_ms END AS end_ms, start_ms + CASE WHEN event_id % 29 = 3 THEN -1 WHEN event_id % 23 = 4 THEN 10000000 ELSE 0 END AS keyframe_ms,
+    duration_ms, row_number() OVER (PARTITION BY asset_id ORDER BY start_ms + CASE WHEN event_id % 19 = 2 THEN 86400000 ELSE 0 END, event_id) AS position FROM b_event)"""
+
+
+def _listed(events):
+    key = lambda n, k: F.col("event_id") % n == k
+    order = W.partitionBy("asset_id").orderBy(F.col("start_ms") + F.when(key(19, 2), 86_400_000).otherwise(0), "event_id")
+    return events.select(
+        "asset_id", (F.col("event_id") - F.when(key(31, 7), 30).otherwise(0)).alias("event_id"), "start_ms", F.when(key(37, 5), F.col("start_ms")).otherwise(F.col("end_ms")).alias("end_ms"),
+        (F.col("start_ms") + F.when(key(29, 3), -1).when(key(23, 4), 10_000_000).otherwise(0)).alias("keyframe_ms"), "duration_ms", F.row_number().over(order).alias("position"),
+    )
+
+
+@query("v2_temporal_map", "b_event", sql=_LISTED + """
+, m AS (SELECT *, count(*) OVER (PARTITION BY asset_id, event_id) AS n, lag(end_ms) OVER (PARTITION BY asset_id ORDER BY position) AS before FROM listed)
+SELECT asset_id, event_id, unnest(list_filter([CASE WHEN n > 1 THEN 'duplicate_id' END, CASE WHEN end_ms <= start_ms THEN 'empty_interval' END, CASE WHEN keyframe_ms < start_ms OR keyframe_ms >= end_ms THEN 'keyframe_outside' END, CASE WHEN end_ms > duration_ms THEN 'beyond_duration' END, CASE WHEN start_ms < before THEN 'overlap' END], lambda x: x IS NOT NULL)) AS rule FROM m""")
 def _v2(events):
-    return S.temporal_map_violations(events)
+    return S.temporal_map_violations(_listed(events))
 
 
-@query("v3_moments", "b_event", sql="""
-SELECT asset_id, event_id, 'not_increasing' AS rule FROM (SELECT *, lag(start_ms // 1000) OVER (PARTITION BY asset_id ORDER BY event_id) AS before FROM b_event) WHERE start_ms // 1000 <= before
-UNION ALL SELECT asset_id, event_id, 'beyond_duration' FROM b_event WHERE start_ms // 1000 * 1000 >= duration_ms""")
+@query("v3_moments", "b_event", sql=_LISTED + """
+, m AS (SELECT *, count(*) OVER (PARTITION BY asset_id, event_id) AS n, lag(start_ms // 1000) OVER (PARTITION BY asset_id ORDER BY position) AS before FROM listed)
+SELECT asset_id, event_id, unnest(list_filter([CASE WHEN n > 1 THEN 'duplicate_id' END, CASE WHEN start_ms // 1000 <= before THEN 'not_increasing' END, CASE WHEN start_ms // 1000 * 1000 >= duration_ms THEN 'beyond_duration' END], lambda x: x IS NOT NULL)) AS rule FROM m""")
 def _v3(events):
-    return S.moment_violations(events)
+    return S.moment_violations(_listed(events))
+
+
+@query("v3_target_candidates", "b_event", "b_points", sql=_LISTED + """
+, m AS (SELECT *, count(*) OVER (PARTITION BY asset_id, event_id) AS n FROM listed)
+SELECT asset_id, event_id, 'duplicate_id' AS rule FROM m WHERE n > 1 UNION ALL SELECT asset_id, event_id, 'beyond_duration' FROM m WHERE start_ms // 1000 * 1000 >= duration_ms
+UNION ALL SELECT DISTINCT asset_id, NULL::BIGINT, 'no_candidate' FROM b_points WHERE asset_id NOT IN (SELECT asset_id FROM b_event WHERE event_id % 3 = 0)""")
+def _v3t(events, points):
+    return S.moment_violations(_listed(events), ordered=False).unionByName(S.empty_maps(points, events.where("event_id % 3 = 0")), allowMissingColumns=True)
 
 
 @query("v23_echo_checks", "b_points", sql="""
