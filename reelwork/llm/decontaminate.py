@@ -8,9 +8,10 @@ a placeholder must stand for one value in the document. That finds passages that
 and questions asked again with other numbers or names.
 
 Names are read in two ways, and an item is held if it is by either of them. By case, a name is
-a capital word, wherever it stands, that is no function word and not part of a sentence all in
-capitals. By words, it is any word that the benchmark does not use as a plain word, whatever
-its case. No word list or case can tell a name in an item without any capitals.
+a capital word of any script, wherever it stands, that is no function word and not part of a sentence
+all in capitals. By words, it is any word that the benchmark does not use as a plain word, whatever
+its case. Neither can tell a name in an item without any capitals, or in a script without case.
+Number, unit and function words are lists for some European languages; digits are those of any script.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reelwork.llm.kernel import IS_SPACE, LOWER, U64, inside, lists, mix, pieces, prefix_hash, rolled, span_hash
+from reelwork.llm.casing import APART, DIGIT, SMALL, UPPER, cased
+from reelwork.llm.kernel import IS_SPACE, U64, inside, lists, mix, pieces, prefix_hash, rolled, span_hash
 from reelwork.llm.shared import bit_filter, documents, in_filter, keep
 from reelwork.session import arrow_map
 
@@ -42,18 +44,50 @@ SHORT = 10
 #: A sentence without small letters is upper case from this many words, and tells no names.
 LOUD = 3
 
-NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion").split()
-UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees meter meters metre metres kilometer kilometers centimeter centimeters").split()
+# word lists by language; fixed values
+NUMBERS = {
+    "en": "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion",
+    "de": "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million millionen milliarde milliarden",
+    "fr": "zéro deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize vingt vingts trente quarante cinquante soixante cent cents mille million millions milliard milliards",
+    "es": "cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento doscientos trescientos quinientos mil millón millones",
+    "it": "due tre quattro cinque sei sette otto nove dieci undici dodici tredici quattordici quindici sedici diciassette diciotto diciannove venti trenta quaranta cinquanta sessanta settanta ottanta novanta cento mille mila milione milioni",
+    "pt": "dois duas três quatro cinco oito nove dez onze doze treze quatorze quinze dezesseis dezessete dezoito dezenove vinte trinta quarenta cinquenta sessenta oitenta cem cento duzentos mil milhão milhões",
+    "ru": "ноль один два две три четыре пять шесть семь восемь девять десять одиннадцать двенадцать тринадцать четырнадцать пятнадцать шестнадцать семнадцать восемнадцать девятнадцать двадцать тридцать сорок пятьдесят шестьдесят семьдесят восемьдесят девяносто сто двести триста тысяча тысячи тысяч миллион миллиона миллионов",
+    "pl": "zero jeden dwa dwie trzy cztery pięć sześć siedem osiem dziewięć dziesięć jedenaście dwanaście trzynaście piętnaście dwadzieścia trzydzieści czterdzieści pięćdziesiąt sześćdziesiąt sto dwieście tysiąc tysiące tysięcy milion",
+}
+_TENS_DE = ("zwanzig", "dreißig", "vierzig", "fünfzig", "sechzig", "siebzig", "achtzig", "neunzig")
+NUMBER_WORDS = sorted({w for text in NUMBERS.values() for w in text.split()} | {f"{one}und{ten}" for one in ("ein", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun") for ten in _TENS_DE} | {f"veinti{x}" for x in ("uno", "dós", "trés", "cuatro", "cinco", "séis", "siete", "ocho", "nueve")})
+UNIT_WORDS = {
+    "en": "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees meter meters metre metres kilometer kilometers centimeter centimeters",
+    "de": "meile meilen metern kilometern zentimeter zentimetern millimeter zoll fuß gramm kilo kilogramm pfund tonne tonnen litern sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad",
+    "fr": "mètre mètres kilomètre kilomètres centimètre centimètres millimètre millimètres mille milles pied pieds pouce pouces gramme grammes kilogramme kilogrammes kilos livre livres tonne tonnes seconde secondes heure heures jour jours semaine semaines mois année années degré degrés",
+    "es": "metro metros kilómetro kilómetros centímetro centímetros milímetro milímetros milla millas pie pies pulgada pulgadas gramo gramos kilogramo kilogramos libra libras tonelada toneladas litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años dólar dólares centavo centavos grado grados",
+    "it": "metri chilometro chilometri centimetro centimetri miglio miglia piede piedi grammo grammi chilo chili libbra libbre tonnellata tonnellate litri secondo secondi minuti ora ore giorno giorni settimana settimane mese mesi anno anni grado gradi",
+    "pt": "quilômetro quilômetros centímetros milha milhas grama gramas quilo quilos quilograma quilogramas toneladas segundos minutos dia dias semana semanas mês meses ano anos real reais grau graus",
+    "ru": "метр метра метров километр километра километров сантиметр сантиметра сантиметров миля мили миль грамм грамма граммов килограмм килограмма килограммов тонна тонны тонн литр литра литров секунда секунды секунд минута минуты минут час часа часов день дня дней неделя недели недель месяц месяца месяцев год года лет рубль рубля рублей доллар доллара долларов процент процента процентов градус градуса градусов",
+    "pl": "metry metrów kilometr kilometry kilometrów mila mile mil gram gramy gramów kilogram kilogramy kilogramów litr litry litrów sekunda sekundy sekund minuta minuty minut godzina godziny godzin dzień dni tydzień tygodnie tygodni miesiąc miesiące miesięcy rok lata lat złoty złote złotych procent stopni",
+}
+UNITS = sorted({w for text in UNIT_WORDS.values() for w in text.split()} - set(NUMBER_WORDS))
 #: Words that are no names, also where they open a sentence.
-FUNCTION_WORDS = ("a an the this that these those some any each every all both no none not i you he she it we they me him her us them my your his its our their one's who whom whose which what when where why how "
+NO_NAMES = {
+    "en": "a an the this that these those some any each every all both no none not i you he she it we they me him her us them my your his its our their one's who whom whose which what when where why how "
     "if then else than so as because since while until unless although though after before during and or but nor yet for of in on at by to from with without into onto over under between among about against through across along around "
     "is are was were be been being am do does did done has have had having can could will would shall should may might must there here now also only just more most less least many much few another other such same "
-    "let find given suppose assume calculate compute determine solve show prove consider explain write choose select what's it's once twice next first last finally later today yesterday tomorrow").split()
+    "let find given suppose assume calculate compute determine solve show prove consider explain write choose select what's it's once twice next first last finally later today yesterday tomorrow",
+    "de": "der die das den dem des ein eine einen einem einer eines dieser diese dieses jeder jede jedes alle kein keine ich du er sie es wir ihr mich mir ihm ihn uns ihnen mein dein sein unser wer was wann wo warum wie welche welcher welches wenn dann als weil während nach vor und oder aber denn von im in an am auf bei zu zum zur aus mit ohne über unter zwischen für um ist sind war waren wird werden wurde hat haben hatte kann können muss soll es gibt wieviel wie viele viel",
+    "fr": "le la les un une des du de ce cet cette ces chaque tout tous toute aucun je tu il elle nous vous ils elles me lui leur mon ton son notre votre qui que quoi quand où pourquoi comment quel quelle quels si alors parce pendant après avant et ou mais donc car dans sur sous par pour avec sans entre chez vers est sont était sera a ont avait peut doit combien il y",
+    "es": "el la los las un una unos unas este esta estos estas ese esa cada todo todos ningún yo tú él ella nosotros ellos ellas me le les mi tu su nuestro quien quién que qué cuando cuándo donde dónde por cómo cuál cuáles si entonces porque durante después antes y o pero de del en con sin sobre entre para hasta desde es son era fue será ha han había puede debe cuánto cuántos cuántas hay",
+    "it": "il lo la i gli le un uno una questo questa questi ogni tutti io tu lui lei noi voi loro chi che cosa quando dove perché come quale se allora dopo prima e o ma di del della in con senza su tra per è sono era ha hanno può deve quanto quanti quante",
+    "ru": "и в во на с со к ко от до из у о об за по при для без через между под над не ни что кто как где когда почему если то так а но или же это этот эта эти тот та те он она оно они мы вы я его её их наш ваш мой свой сколько какой какая какие был была было были есть будет может",
+    "pl": "i w we na z ze do od o u za po przy dla bez przez między pod nad nie co kto jak gdzie kiedy dlaczego jeśli to ten ta te on ona ono oni my wy ja jego jej ich ile jaki jaka jakie jest są był była było były będzie może",
+}
+FUNCTION_WORDS = sorted({w for text in NO_NAMES.values() for w in text.split()})
+#: Plain words of the benchmark that go to every task as they are, 8 bytes each; beyond that a bitmap goes, and the words that it takes for plain by mistake.
+MOST_PLAIN = 1 << 23
+PLAIN_BITS = 29
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:\n"]] = True
 PLACEHOLDERS = mix(np.arange(1, 4, dtype=U64) * U64(0xABCDEF0123456789))  # number, unit, name
@@ -63,7 +97,7 @@ _KINDS = ("id long", "way int", "hash long", "at int", "slots array<long>", "n_w
 
 def _hashes(words: list[str]) -> np.ndarray:
     data = np.frombuffer("".join(words).encode(), np.uint8)
-    ends = np.cumsum([len(w) for w in words])
+    ends = np.cumsum([len(w.encode()) for w in words])
     return np.sort(span_hash(prefix_hash(data), np.concatenate([[0], ends[:-1]]), ends))
 
 
@@ -92,7 +126,8 @@ class Tokens:
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
-    letter = np.append(_LETTER[data], False)
+    lower, look = cased(data)
+    letter = np.append(_LETTER[data] & (look & APART == 0), False)
     begins, ends = letter.copy(), letter.copy()
     begins[1:] &= ~letter[:-1]
     ends[:-1] &= ~letter[1:]
@@ -105,15 +140,10 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     if not n:
         no = np.zeros(0, bool)
         return Tokens(starts, stops, doc, np.zeros(1, U64), np.zeros(0, U64), no, no, no, no, no, no)
-    upper = (data >= 65) & (data <= 90)
-    latin = 1 + np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97))
-    lower = LOWER[data]
-    lower[latin] += 32
-    upper[latin - 1] = True
     c = prefix_hash(lower)
     value = span_hash(c, starts, stops)
     count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
-    digits, breaks, small, marks = count(_DIGIT[data]), count(_STOP[data]), count((data >= 97) & (data <= 122)), count(~_LETTER[data] & ~IS_SPACE[data])
+    digits, breaks, small, marks = count(look & DIGIT > 0), count(_STOP[data]), count(look & SMALL > 0), count(~letter[:-1] & ~IS_SPACE[data])
     new_doc = np.ones(n, bool)
     new_doc[1:] = doc[1:] != doc[:-1]
     opens, apart = new_doc.copy(), new_doc.copy()
@@ -122,7 +152,7 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     sentence = np.cumsum(opens) - 1
     loud = ((np.bincount(sentence, small[stops] > small[starts]) == 0) & (np.bincount(sentence) >= LOUD))[sentence]
     number = (digits[stops] > digits[starts]) | _among(_NUMBER_HASHES, value)
-    return Tokens(starts, stops, doc, c, value, number, _among(_UNIT_HASHES, value), _among(_FUNCTION_HASHES, value), upper[starts], loud, apart)
+    return Tokens(starts, stops, doc, c, value, number, _among(_UNIT_HASHES, value), _among(_FUNCTION_HASHES, value), look[starts] & UPPER > 0, loud, apart)
 
 
 def templates(t: Tokens, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,13 +169,28 @@ def templates(t: Tokens, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return t.doc[at], np.where(kind == 0, value, PLACEHOLDERS[np.maximum(kind, 1) - 1]), kind, value
 
 
-def windows(t: Tokens, way: int, plain: np.ndarray, n_docs: int, bits: np.ndarray | None) -> tuple[np.ndarray, ...]:
+@dataclass
+class Plain:
+    """The benchmark's plain words: their sorted hashes, or a bitmap of them and the sorted hashes of other words that it holds too."""
+
+    words: np.ndarray
+    bits: np.ndarray | None = None
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        each, at = np.unique(values, return_inverse=True)
+        if not len(each) or not len(self.words) and self.bits is None:
+            return np.zeros(len(values), bool)
+        listed = _among(self.words, each) if len(self.words) else np.zeros(len(each), bool)
+        return (listed if self.bits is None else in_filter(self.bits, each) & ~listed)[at]
+
+
+def windows(t: Tokens, way: int, plain: Plain, n_docs: int, bits: np.ndarray | None) -> tuple[np.ndarray, ...]:
     """Windows: document, hash, position, slot values one after another, slots of each, windows of its document.
 
-    way 0 tells names by case, way 1 by plain, the filter of the benchmark's words. Without bits,
+    way 0 tells names by case, way 1 by plain, the benchmark's words. Without bits,
     as for the benchmark, only the windows with enough words, if the document has any.
     """
-    doc, token, kind, value = templates(t, t.capital & ~t.loud if way == 0 else ~in_filter(plain, t.value))
+    doc, token, kind, value = templates(t, t.capital & ~t.loud if way == 0 else ~plain.holds(t.value))
     at = inside(doc, WINDOW)
     words = np.concatenate([[0], np.cumsum(kind == 0)])
     literal = words[at + WINDOW] - words[at] >= LITERALS
@@ -186,7 +231,39 @@ def plain_words(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.select("text"), run, schema)
 
 
-def template_windows(rows: DataFrame, plain: np.ndarray, bits: np.ndarray | None = None, lengths: list[int] | None = None) -> DataFrame:
+def _sorted_hashes(table: DataFrame) -> np.ndarray:
+    return np.sort(table.toPandas()["hash"].to_numpy(np.int64).view(U64)) if table is not None else np.zeros(0, U64)
+
+
+def words_in(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(hash) of the words of rows (text) that a bitmap holds."""
+    schema = StructType.fromDDL("hash long")
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            for _part, data, offsets in pieces(batch, "text"):
+                each = np.unique(tokens_of(data, offsets).value)
+                yield pa.RecordBatch.from_arrays([pa.array(each[in_filter(shared.value, each)].view(np.int64))], names=schema.names)
+
+    return arrow_map(rows.select("text"), run, schema).distinct()
+
+
+def plain_set(items: DataFrame, docs: DataFrame) -> Plain:
+    """The plain words of items, exact for every word of items and docs.
+
+    Up to MOST_PLAIN words go to the tasks as they are. More go as a bitmap of fixed size; the words of both tables
+    that it holds are then joined with the plain words, and those that are none go along with it.
+    """
+    words = keep(plain_words(items).distinct())
+    if words.count() <= MOST_PLAIN:
+        return Plain(_sorted_hashes(words))
+    bits = bit_filter(words, "hash", PLAIN_BITS)
+    wrong = words_in(docs.select("text").unionByName(items.select("text")), bits).join(words, "hash", "left_anti")
+    return Plain(_sorted_hashes(wrong), bits)
+
+
+def template_windows(rows: DataFrame, plain: Plain, bits: np.ndarray | None = None, lengths: list[int] | None = None) -> DataFrame:
     """id, way, hash, at, slots, n_windows for rows (id, text): all windows, or those whose hash is in the filter.
 
     Items without a window in either way have one row of all their tokens; of documents, those
@@ -195,7 +272,7 @@ def template_windows(rows: DataFrame, plain: np.ndarray, bits: np.ndarray | None
     schema = StructType.fromDDL(", ".join(_KINDS))
     shared = rows.sparkSession.sparkContext.broadcast((plain, bits))
 
-    def found(tokens: Tokens, n_docs: int, plain: np.ndarray, bits: np.ndarray | None):
+    def found(tokens: Tokens, n_docs: int, plain: Plain, bits: np.ndarray | None):
         windowed = np.zeros(n_docs, bool)
         for way in range(len(_SALTS)):
             made = windows(tokens, way, plain, n_docs, bits)
@@ -253,7 +330,7 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -
     token match nothing.
     Rows with a null id are left out. Repeated rows give one row for each pair of ids.
     """
-    plain = bit_filter(plain_words(items), "hash")
+    plain = plain_set(items, docs)
     bench = keep(template_windows(items.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text"), plain).distinct())
     lengths = [r.way - SHORT for r in bench.where(F.col("way") >= SHORT).select("way").distinct().collect()]
     found = template_windows(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), plain, bit_filter(bench, "hash"), lengths)

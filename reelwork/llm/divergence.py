@@ -184,6 +184,7 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, block_bytes: int = BL
     blocks = lambda: spark.read.parquet(f"{folder}/blocks")
     cut_chunks(blocks()).write.parquet(f"{folder}/cut")
     likely_terms(spark.read.parquet(f"{folder}/cut"), min_docs).write.parquet(f"{folder}/likely")
+    drop_folder(spark, f"{folder}/cut")
     met = blocks().select("block", F.explode(F.array_distinct(F.arrays_zip("langs", "sources"))).alias("g")).select("block", F.col("g.langs").alias("lang"), F.col("g.sources").alias("source"))
     groups = keep(met.select("lang", "source").distinct().withColumn("code", F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1))
     coded = met.join(bounded(groups), ["lang", "source"]).groupBy("block").agg(F.collect_list(F.struct("lang", "source", "code")).alias("codes"))
