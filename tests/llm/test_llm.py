@@ -505,3 +505,15 @@ def test_shared_bands(spark, monkeypatch):
         b, i = seen.take(np.array([x[0] for x in every[k : k + 7]]), np.array([x[1] for x in every[k : k + 7]]))
         out |= set(zip(b.tolist(), i.tolist()))
     assert out == {x for x in pairs if many[x[0]] > 1}
+
+
+def test_a_large_slot_is_numbered_in_parts(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 50 != 0, F.col("id")).alias("doc_id"), F.when(F.col("id") < 1100, "the same text").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    slotted = sharding.with_slots(sharding.sized_records(rows), 3, 8)
+    loads = sharding.slot_loads(slotted)
+    made = sharding.first_map(loads, 3)
+    places = [(r.shard, r.slot) for r in sharding.assigned(slotted, made, loads, per_part=40).collect()]
+    assert len(places) == 3000
+    for shard in range(3):
+        mine = sorted(p for s, p in places if s == shard)
+        assert mine == list(range(len(mine)))
