@@ -215,12 +215,6 @@ def render_violations(renders: DataFrame, segments: DataFrame) -> DataFrame:
     return renders.join(total, "project_id", "left").select("project_id", F.explode(rules).alias("rule"))
 
 
-def crop_audit(segments: DataFrame, selected: Column) -> DataFrame:
-    """Per segment: its place on the timeline, whether it is selected, and how many alternatives its project has."""
-    others = F.count_if(~selected).over(W.partitionBy("project_id"))
-    return timeline(segments).select("project_id", "feature_id", "start_ms", "end_ms", selected.alias("selected"), (others - (~selected).cast("long")).alias("alternatives"))
-
-
 def text_consensus(observations: DataFrame, claims: DataFrame) -> DataFrame:
     """(claim_id, text, votes, total, matches, methods_agree, status) for claims (claim_id, claim_text, selected_text) and their readings (claim_id, pos, relevant_text).
 

@@ -199,11 +199,6 @@ def _v19(s):
     return G.qa_result_mismatches(c, r)
 
 
-@query("c12_crop_audit", "g_segment", sql=_TIME + " SELECT project_id, feature_id, start_ms, end_ms, keep AS selected, count(*) FILTER (WHERE NOT keep) OVER (PARTITION BY project_id) - CASE WHEN keep THEN 0 ELSE 1 END AS alternatives FROM timeline")
-def _c12(s):
-    return G.crop_audit(s, F.col("keep"))
-
-
 _READ = "CASE WHEN (claim_id + pos) % 5 = 0 THEN ' - ' ELSE relevant_text END"
 _CLAIM = "CASE claim_id % 3 WHEN 0 THEN 'n-o' WHEN 1 THEN 'a f' ELSE 'R.F' END"
 _CHOSEN = "CASE claim_id % 7 WHEN 0 THEN 'N O' WHEN 1 THEN 'a-f' END"
