@@ -213,3 +213,104 @@ def project_open_edit(shots: DataFrame, candidates: DataFrame, with_candidates:
         F.lit("preserve_all").alias("execution_vertical_overflow_policy"), v["overflow_proposal"].alias("model_vertical_overflow_proposal"),
     )
     return p.select("chapter", brief.alias("brief"), selected.alias("selected"), audit.alias("audit")), violations
+
+
+def _if(when: Column, rule: str) -> Column:
+    return F.when(when, F.lit(rule))
+
+
+def _held(*rules: Column) -> Column:
+    return F.array_compact(F.array(*rules))
+
+
+def _empty(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")) == ""
+
+
+def _unique(values: Column) -> Column:
+    return F.size(F.array_distinct(values)) == F.size(values)
+
+
+def region_rules(r: Column) -> Column:
+    """What is wrong with a region (REGION): required and atomic ones are whole, keepouts have no visible share, and relations are said once each."""
+    whole = F.coalesce(r["minimum_visible_fraction"], F.lit(1.0)) == 1.0
+    said = r["observable_relations"]
+    return _held(
+        _if((r["role"] == "required") & ~whole, "required_not_whole"), _if(r["atomic"] & ~whole, "atomic_not_whole"), _if((r["role"] == "avoid_overlay") & r["minimum_visible_fraction"].isNotNull(), "keepout_with_share"),
+        _if(F.exists(said, lambda x: F.trim(x) == ""), "empty_relation"), _if(~_unique(said), "repeated_relation"),
+    )
+
+
+def hard_core(r: Column) -> Column:
+    return (r["role"] != "avoid_overlay") & ((r["role"] == "required") | r["atomic"])
+
+
+def _zoom_rules(strategy: Column, zoom: Column, target: Column) -> list[Column]:
+    tracked = strategy == "tracked_reframe"
+    return [_if(tracked & ((zoom == "none") | _empty(target)), "reframe_needs_zoom_and_target"), _if(~tracked & (zoom != "none"), "zoom_without_reframe")]
+
+
+def _option_rules(c: Column) -> list[Column]:
+    return [_if(~c["frame_id"].rlike("^RF[0-9]{6}$"), "frame_id"), _if(~c["candidate_id"].rlike("^[A-Za-z0-9_-]{1,64}$"), "candidate_id"), _if(~c["rank"].between(1, 4), "rank_range"), _if(~c["confidence"].between(0, 1), "confidence_range")]
+
+
+def horizontal_rules(c: Column) -> Column:
+    return _held(*_option_rules(c), *_zoom_rules(c["strategy"], c["zoom_intent"], c["target_description"]))
+
+
+def vertical_rules(c: Column) -> Column:
+    """What is wrong with a vertical candidate: a tracked crop has a target or a hard core, regions need a tracked crop, and each region and entity is there once."""
+    regions, tracked = c["regions"], c["strategy"] == "tracked_crop"
+    entities = F.filter(F.transform(regions, lambda r: r["entity_id"]), lambda e: ~_empty(e))
+    own = _held(
+        *_option_rules(c), _if(tracked & _empty(c["target_description"]) & ~F.exists(regions, hard_core), "crop_needs_target"), _if(~tracked & (F.size(regions) > 0), "regions_without_crop"), _if(~_unique(F.transform(regions, lambda r: r["region_id"])), "repeated_region"),
+        _if(~_unique(entities), "repeated_entity"), _if(F.size(regions) > MOST_REGIONS, "too_many_regions"),
+    )
+    return F.concat(own, F.flatten(F.transform(regions, region_rules)))
+
+
+def chapter_rules() -> Column:
+    """What is wrong with a chapter for the renderer as a whole."""
+    lost = F.col("evidence_status") == "not_found"
+    frames = [F.col(f"{a}_frame_id") for a in ("horizontal", "vertical")]
+    first = F.get(F.filter("vertical_candidates", lambda c: c["rank"] == 1), F.lit(0))
+    pointless = (F.col("vertical_strategy") == "tracked_crop") & _empty(F.col("vertical_target_description")) & (F.coalesce(F.size(first["regions"]), F.lit(0)) <= 0)
+    heads = {"horizontal": {"frame_id": "horizontal_frame_id", "strategy": "horizontal_strategy", "zoom_intent": "horizontal_zoom_intent", "target_description": "horizontal_target_description"}, "vertical": {"frame_id": "vertical_frame_id", "strategy": "vertical_strategy", "target_description": "vertical_target_description"}}
+    lists = []
+    for a, fields in heads.items():
+        c = F.col(f"{a}_candidates")
+        ranks, n = F.transform(c, lambda x: x["rank"]), F.size(c)
+        best = F.get(F.array_sort(c, lambda x, y: x["rank"] - y["rank"]), F.lit(0))
+        differs = F.lit(False)
+        for own, head in fields.items():
+            differs = differs | ~best[own].eqNullSafe(F.col(head))
+        lists += [
+            _if((n == 1) | (n > 4), f"{a}_two_to_four_options"), _if(~_unique(F.transform(c, lambda x: x["candidate_id"])), f"{a}_repeated_candidate"), _if((n > 0) & (F.array_sort(ranks) != F.sequence(F.lit(1), F.greatest(n, F.lit(1)))), f"{a}_ranks"),
+            _if(~_unique(F.transform(c, lambda x: F.struct(x["asset_id"], x["event_id"], x["frame_id"]))), f"{a}_same_evidence"), _if((n > 0) & differs, f"{a}_head_differs"), _if(lost & (n > 0), f"{a}_options_without_evidence"),
+        ]
+    zoom = _zoom_rules(F.col("horizontal_strategy"), F.col("horizontal_zoom_intent"), F.col("horizontal_target_description"))
+    return _held(_if(lost & (frames[0].isNotNull() | frames[1].isNotNull()), "frames_without_evidence"), _if(~lost & (frames[0].isNull() | frames[1].isNull()), "frames_missing"), *zoom, _if(pointless, "crop_needs_target"), *lists)
+
+
+def _of_aspect(aspect: str, rules) -> Column:
+    return F.flatten(F.transform(f"{aspect}_candidates", lambda c: F.transform(rules(c), lambda r: F.struct(F.lit(aspect).alias("aspect"), c["candidate_id"].alias("candidate_id"), r.alias("rule")))))
+
+
+def plan_violations(chapters: DataFrame) -> DataFrame:
+    """(chapter, aspect, candidate_id, rule) of chapters for the renderer (as project_choices() gives them); aspect is null for a chapter's own rules."""
+    none = F.lit(None).cast("string")
+    own = F.transform(chapter_rules(), lambda r: F.struct(none.alias("aspect"), none.alias("candidate_id"), r.alias("rule")))
+    every = F.concat(own, _of_aspect("horizontal", horizontal_rules), _of_aspect("vertical", vertical_rules))
+    return chapters.select("chapter", F.explode(every).alias("x")).select("chapter", "x.*")
+
+
+def brief_violations(briefs: DataFrame, least_seconds: float = 60.0, most_seconds: float = 90.0, most_chapters: int = 16) -> DataFrame:
+    """(project_id, rule) of briefs (project_id, target_duration_seconds, chapters as an array of feature_id, vertical_regions, vertical_edge_priority, vertical_overflow_policy)."""
+    chapters = F.col("chapters")
+    ids = lambda c: F.transform(c["vertical_regions"], lambda r: r["region_id"])
+    rules = _held(
+        _if(~F.col("target_duration_seconds").between(least_seconds, most_seconds), "duration"), _if(~F.size(chapters).between(1, most_chapters), "chapters"), _if(~_unique(F.transform(chapters, lambda c: c["feature_id"])), "repeated_chapter"),
+        _if(F.exists(chapters, lambda c: ~_unique(ids(c))), "repeated_region"), _if(F.exists(chapters, lambda c: (F.size(c["vertical_regions"]) > 0) & ~F.exists(c["vertical_regions"], lambda r: r["role"] == "required")), "no_required_region"),
+        _if(F.exists(chapters, lambda c: (F.coalesce(c["vertical_edge_priority"], F.lit("balanced")) != "balanced") & (F.coalesce(c["vertical_overflow_policy"], F.lit("")) != "controlled_clip")), "edge_needs_clip"),
+    )
+    return briefs.select("project_id", F.explode(rules).alias("rule"))

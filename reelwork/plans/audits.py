@@ -1,10 +1,12 @@
-"""Audits of rendered segments (view g)."""
+"""Audits of rendered segments (view g), policies and plans (view e)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from reelwork.operators import audits as A
+from reelwork.operators import policies as L
+from reelwork.operators.projection import plan_violations
 from reelwork.plans.base import query
 from reelwork.sources.views import SHA
 
@@ -66,3 +68,83 @@ def _c12(s):
         checks["required_region_containment_passed"].alias("contained"), checks["fallback_free"].alias("fallback_free"), F.col("requires_review").alias("review"), none("string").alias("rule"),
     )
     return told.unionByName(wrong, allowMissingColumns=True)
+
+
+# policies over chapters: what their bindings say, some of it changed; in SQL that Spark and DuckDB share
+_X = "CASE WHEN chapter % {0} = 1 THEN 'x' ELSE '' END"
+_SAVED = {"saved_catalog": ("catalog", 7), "saved_brief": ("brief", 11), "saved_plan": ("plan", 0), "policy_sidecar": ("side", 13), "sidecar_catalog": ("catalog", 0), "sidecar_source_brief": ("old_brief", 0), "sidecar_source_plan": ("old_plan", 17), "sidecar_source_binding": ("old_binding", 41), "source_catalog": ("catalog", 0), "source_brief": ("old_brief", 43), "source_plan": ("old_plan", 0), "source_request": ("request", 19)}
+_HASHES = {kind: f"concat('h{name}', {_X.format(salt) if salt else chr(39) * 2})" for kind, (name, salt) in _SAVED.items()}
+_OWN = {"project": "concat('p', CASE WHEN chapter % 29 = 1 THEN 'x' ELSE '' END)", "model": "CASE WHEN chapter % 23 = 1 THEN 'x' ELSE 'm' END", "complete": "CASE WHEN chapter % 47 <> 1 THEN 'm' END", "selection": "CASE WHEN chapter % 53 = 1 THEN 'g' ELSE 'f' END"}
+_NAMES = sorted({name for name, _ in _SAVED.values()})
+_THERE = "NOT (name = 'request' AND chapter % 31 = 3) AND NOT (name = 'old_plan' AND chapter % 37 = 4)"
+
+
+@query("v20_policy_lineage", "e_candidate", sql=f"""
+, b AS (SELECT DISTINCT chapter, {", ".join(f"{v} AS {k}" for k, v in (_HASHES | _OWN).items())} FROM e_candidate)
+, f AS (SELECT chapter, name, 'h' || name AS current FROM b, (SELECT unnest({_NAMES}) AS name) n WHERE {_THERE})
+, k AS ({" UNION ALL ".join(f"SELECT chapter, '{kind}' AS kind, '{name}' AS name, {kind} AS saved FROM b" for kind, (name, _) in _SAVED.items())})
+, m AS (SELECT k.chapter, kind, saved, current, CASE WHEN current IS NULL THEN 'no_file' ELSE 'differs' END AS rule FROM k LEFT JOIN f ON k.chapter = f.chapter AND k.name = f.name WHERE saved IS DISTINCT FROM current
+    UNION ALL SELECT chapter, 'project', project, 'p', 'differs' FROM b WHERE project <> 'p' UNION ALL SELECT chapter, 'selection', 'f', selection, 'differs' FROM b WHERE selection <> 'f' UNION ALL SELECT chapter, 'saved_selection', 'f', selection, 'differs' FROM b WHERE selection <> 'f'
+    UNION ALL SELECT chapter, 'saved_sidecar', 'hside', policy_sidecar, 'differs' FROM b WHERE policy_sidecar <> 'hside' UNION ALL SELECT chapter, 'saved_source_binding', 'hold_binding', sidecar_source_binding, 'differs' FROM b WHERE sidecar_source_binding <> 'hold_binding'
+    UNION ALL SELECT chapter, 'saved_request_sha256', 'hrequest', source_request, 'differs' FROM b WHERE source_request <> 'hrequest' UNION ALL SELECT chapter, 'saved_model_id', model, complete, 'differs' FROM b WHERE model IS DISTINCT FROM complete
+    UNION ALL SELECT chapter, 'source_model_id', NULL, NULL, 'not_complete' FROM b WHERE complete IS NULL)
+SELECT chapter, kind, saved, current, rule FROM m""")
+def _v20l(c):
+    b = c.select("chapter").distinct().withColumns({k: F.expr(v) for k, v in (_HASHES | _OWN).items()})
+    path = lambda name: F.concat(F.lit("/"), F.col("chapter").cast("string"), F.lit(f"/{name}"))
+    text, none = F.lit, F.lit(None).cast("string")
+    model = {c: text("m") for c in L.MODEL_FIELDS}
+    struct = lambda fields: F.struct(*[v.alias(k) for k, v in fields.items()])
+    version = {"binding_version": text(L.PLAN_BINDING_VERSION)}
+    saved = version | model | {"origin": text(L.POLICY_ORIGIN), "catalog_sha256": F.col("saved_catalog"), "brief_sha256": F.col("saved_brief"), "plan_sha256": F.col("saved_plan"), "model_id": F.col("model"), "request_sha256": text("hrequest"), "reframe_policy_sidecar_sha256": text("hside"), "source_plan_binding_sha256": text("hold_binding"), "selection_fingerprint": text("f")}
+    source = version | model | {
+        "origin": text("fresh"), "catalog_path": path("catalog"), "catalog_sha256": F.col("source_catalog"), "brief_path": path("old_brief"), "brief_sha256": F.col("source_brief"), "plan_path": path("old_plan"), "plan_sha256": F.col("source_plan"), "request_path": path("request"), "request_sha256": F.col("source_request"), "model_id": F.col("complete"),
+        **dict.fromkeys(("pointer_path", "projection_pointer_sha256", "pointer_record_sha256", "record_path", "record_root", "projection_record_sha256"), none), "record": struct(dict.fromkeys(("catalog_sha256", "brief_sha256", "feature_plan_sha256"), none)),
+    }
+    side = {
+        "project_id": F.col("project"), "catalog_id": text("c"), "catalog_path": path("catalog"), "catalog_sha256": F.col("sidecar_catalog"), "source_brief_path": path("old_brief"), "source_brief_sha256": F.col("sidecar_source_brief"), "source_plan_path": path("old_plan"), "source_plan_sha256": F.col("sidecar_source_plan"),
+        "source_binding_path": path("old_binding"), "source_binding_sha256": F.col("sidecar_source_binding"), "selection_fingerprint": text("f"),
+    }
+    policy = {"sidecar_path": path("side"), "sidecar_sha256": F.col("policy_sidecar"), "sidecar_root": F.concat(text("/"), F.col("chapter").cast("string"))}
+    bundles = b.select(F.col("chapter").alias("bundle_id"), text("p").alias("project_id"), text("c").alias("catalog_id"), path("catalog").alias("catalog_path"), path("brief").alias("brief_path"), path("plan").alias("plan_path"), F.col("selection").alias("selection_fingerprint"), *[struct(x).alias(n) for n, x in (("saved", saved), ("source", source), ("sidecar", side), ("policy", policy))])
+    files = b.select("chapter", F.explode(F.array(*map(F.lit, _NAMES))).alias("name")).where(_THERE).select(F.concat(text("/"), F.col("chapter").cast("string"), text("/"), F.col("name")).alias("path"), F.concat(text("h"), F.col("name")).alias("sha256"))
+    return L.binding_mismatches(bundles, files).withColumnRenamed("bundle_id", "chapter")
+
+
+_V16 = {
+    "h_strategy": "CASE WHEN frame_id % 2 = 0 THEN 'tracked_reframe' ELSE 'original' END", "zoom_intent": "CASE WHEN frame_id % 2 = 0 AND frame_id % 13 <> 2 OR frame_id % 17 = 3 THEN 'subtle' ELSE 'none' END", "h_target": "CASE WHEN frame_id % 14 <> 4 THEN concat('t', frame_id) END", "v_strategy": "CASE WHEN frame_id % 3 = 0 THEN 'tracked_crop' ELSE 'fit_with_background' END",
+    "v_target": "CASE WHEN frame_id % 5 = 0 THEN concat('t', frame_id) END", "n_regions": "CASE WHEN frame_id % 3 = 0 OR frame_id % 19 = 4 THEN frame_id % 4 ELSE 0 END", "first_role": "CASE WHEN frame_id % 7 = 1 THEN 'preferred' WHEN frame_id % 7 = 2 THEN 'avoid_overlay' ELSE 'required' END", "share": "CASE WHEN frame_id % 11 = 5 THEN 0.5 WHEN frame_id % 11 = 6 THEN 1.0 END",
+    "frame": "concat(CASE WHEN frame_id % 31 = 7 THEN 'XF' ELSE 'RF' END, lpad(CAST(frame_id AS VARCHAR(9)), 6, '0'))",
+}
+
+
+@query("v16_plan_contract", "e_candidate", sql=f"""
+, c AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _V16.items())}, count(*) OVER (PARTITION BY chapter) AS n, count(*) OVER (PARTITION BY chapter, source_id, frame_id) AS same FROM e_candidate)
+, o AS (SELECT chapter, candidate_id, unnest(list_filter([CASE WHEN frame LIKE 'XF%' THEN 'frame_id' END, CASE WHEN rank > 4 THEN 'rank_range' END], lambda x: x IS NOT NULL)) AS rule FROM c)
+SELECT chapter, 'horizontal' AS aspect, candidate_id, rule FROM o UNION ALL SELECT chapter, 'vertical', candidate_id, rule FROM o
+UNION ALL SELECT chapter, 'horizontal', candidate_id, 'reframe_needs_zoom_and_target' FROM c WHERE h_strategy = 'tracked_reframe' AND (zoom_intent = 'none' OR h_target IS NULL) UNION ALL SELECT chapter, 'horizontal', candidate_id, 'zoom_without_reframe' FROM c WHERE h_strategy = 'original' AND zoom_intent <> 'none'
+UNION ALL SELECT chapter, 'vertical', candidate_id, 'crop_needs_target' FROM c WHERE v_strategy = 'tracked_crop' AND v_target IS NULL AND (n_regions = 0 OR first_role <> 'required' AND n_regions < 2) UNION ALL SELECT chapter, 'vertical', candidate_id, 'regions_without_crop' FROM c WHERE v_strategy <> 'tracked_crop' AND n_regions > 0
+UNION ALL SELECT chapter, 'vertical', candidate_id, 'repeated_entity' FROM c WHERE n_regions = 3 UNION ALL SELECT chapter, 'vertical', candidate_id, 'required_not_whole' FROM c WHERE n_regions > 0 AND first_role = 'required' AND share = 0.5 UNION ALL SELECT chapter, 'vertical', candidate_id, 'keepout_with_share' FROM c WHERE n_regions > 0 AND first_role = 'avoid_overlay' AND share IS NOT NULL
+UNION ALL SELECT DISTINCT chapter, NULL, NULL, a || '_two_to_four_options' FROM c, (SELECT unnest(['horizontal', 'vertical']) AS a) WHERE n = 1 OR n > 4 UNION ALL SELECT DISTINCT chapter, NULL, NULL, a || '_same_evidence' FROM c, (SELECT unnest(['horizontal', 'vertical']) AS a) WHERE same > 1
+UNION ALL SELECT chapter, NULL, NULL, 'reframe_needs_zoom_and_target' FROM c WHERE rank = 1 AND h_strategy = 'tracked_reframe' AND (zoom_intent = 'none' OR h_target IS NULL) UNION ALL SELECT chapter, NULL, NULL, 'zoom_without_reframe' FROM c WHERE rank = 1 AND h_strategy = 'original' AND zoom_intent <> 'none'
+UNION ALL SELECT chapter, NULL, NULL, 'crop_needs_target' FROM c WHERE rank = 1 AND v_strategy = 'tracked_crop' AND v_target IS NULL AND n_regions = 0 UNION ALL SELECT chapter, NULL, NULL, 'vertical_head_differs' FROM c WHERE rank = 1 AND chapter % 10 = 3 AND v_strategy <> 'tracked_crop'""")
+def _v16p(c):
+    text = F.lit
+    r = c.withColumns({k: F.expr(v.replace("VARCHAR(9)", "STRING")) for k, v in _V16.items()})
+    def region(i, name, role, share, entity):
+        return F.when(F.col("n_regions") > i, F.struct(text(name).alias("region_id"), entity.alias("entity_id"), text("d").alias("target_description"), text("subject").alias("kind"), role.alias("role"), text(False).alias("atomic"), share.cast("double").alias("minimum_visible_fraction"), F.array(text("seen")).alias("observable_relations")))
+    none = F.lit(None)
+    regions = F.array_compact(F.array(region(0, "r0", F.col("first_role"), F.col("share"), text("e0")), region(1, "r1", text("required"), none, text("e1")), region(2, "r2", text("preferred"), none, text("e1"))))
+    shared = [F.col("candidate_id"), F.col("rank").cast("int").alias("rank"), F.col("source_id").alias("asset_id"), text("e").alias("event_id"), F.col("frame").alias("frame_id")]
+    end = [text(0.5).alias("confidence")]
+    h = F.struct(*shared, F.col("h_strategy").alias("strategy"), "zoom_intent", F.col("h_target").alias("target_description"), *end)
+    v = F.struct(*shared, F.col("v_strategy").alias("strategy"), F.col("v_target").alias("target_description"), regions.alias("regions"), *end)
+    by_rank = lambda x: F.array_sort(F.collect_list(x), lambda a, b: a["rank"] - b["rank"])
+    g = r.groupBy("chapter").agg(by_rank(h).alias("horizontal_candidates"), by_rank(v).alias("vertical_candidates"))
+    first, second = F.get("horizontal_candidates", F.lit(0)), F.get("vertical_candidates", F.lit(0))
+    strategy = F.when((F.col("chapter") % 10 == 3) & (second["strategy"] != "tracked_crop"), "other").otherwise(second["strategy"])
+    chapters = g.select(
+        "chapter", text("supported").alias("evidence_status"), first["frame_id"].alias("horizontal_frame_id"), second["frame_id"].alias("vertical_frame_id"), first["strategy"].alias("horizontal_strategy"), first["zoom_intent"].alias("horizontal_zoom_intent"), first["target_description"].alias("horizontal_target_description"),
+        strategy.alias("vertical_strategy"), second["target_description"].alias("vertical_target_description"), "horizontal_candidates", "vertical_candidates",
+    )
+    return plan_violations(chapters)
