@@ -232,9 +232,3 @@ def approve(proposals: DataFrame, approvals: DataFrame) -> DataFrame:
     body = F.struct("approval", "claim_source", F.lit("evidence-query-lock-v2").alias("contract_version"), "editorial_goal", "framing", "identity", "predicate", "provenance", "query_id", "revision")
     joined = component_hashes(proposals).join(approvals, "query_id", "left").withColumn("rule", rule)
     return joined.withColumn("definition_sha256", F.when(F.col("rule").isNull(), json_sha256(body, nulls=False)))
-
-
-def geometry_worklist(events: DataFrame, interval: DataFrame) -> DataFrame:
-    """(event_id, target, seed_ms, from_ms, to_ms): events with a resolved target and a seed inside their allowed interval."""
-    t = resolve_event_target(events).where("rule IS NULL")
-    return t.join(interval, "event_id").where("from_ms <= seed_ms AND seed_ms < to_ms").select("event_id", "target", "seed_ms", "from_ms", "to_ms")

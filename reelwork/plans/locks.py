@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelwork.operators import locks as L
+from reelwork.operators import worklists as G
 from reelwork.plans.base import query
 
 _J = "j_target"
@@ -92,10 +93,44 @@ def _j25(t):
     return L.resolve_event_target(_events(t))
 
 
-@query("c18_event_geometry_worklist", _J, sql=_RESOLVED + " SELECT event_id, target, 500 + event_id % 700 AS seed_ms, 200::BIGINT AS from_ms, 1000::BIGINT AS to_ms FROM resolved WHERE rule IS NULL AND 500 + event_id % 700 < 1000")
+# requests of all kinds over three events an asset; in SQL that Spark and DuckDB share
+_ASKED = {
+    "asset_id": "query_id % 5", "event_id": "CASE WHEN query_id % 11 = 4 THEN 'gone' ELSE concat('e', query_id % 3) END", "mode": "query_id % 4", "wanted": "CASE query_id % 7 WHEN 1 THEN 't0' WHEN 2 THEN 'zz' END", "n_locked": "CASE WHEN query_id % 7 < 3 THEN 2 ELSE 1 END", "budget": "query_id % 10",
+    "decided": "query_id % 13 <> 5", "satisfied": "query_id % 17 <> 6", "sha": "CASE WHEN query_id % 19 = 7 THEN 'old' ELSE 'ph' END", "decision_ms": "1000 + query_id % 9 * 600", "missing": "query_id % 23 = 3",
+}
+
+
+@query("c18_event_geometry_worklist", _J, sql=f"""
+, r AS (SELECT query_id, {", ".join(f"{v} AS {k}" for k, v in _ASKED.items())} FROM (SELECT DISTINCT query_id FROM j_target))
+, t AS (SELECT *, CASE event_id WHEN 'e1' THEN 2 ELSE 1 END AS proposals, CASE WHEN mode = 0 THEN 'p0' WHEN mode = 1 THEN CASE WHEN event_id IN ('e0', 'e2') THEN 'p0' END WHEN wanted = 't0' OR wanted IS NULL AND n_locked = 1 THEN 't0' END AS target FROM r)
+, s AS (SELECT *, CASE WHEN mode = 3 AND decided THEN decision_ms WHEN mode < 2 AND event_id = 'e0' AND target = 'p0' AND asset_id < 3 THEN 1500 WHEN event_id = 'e2' THEN 3000 ELSE 2000 END::BIGINT AS seed, mode = 3 AND decided AS has, mode < 2 AND event_id = 'e0' AND target = 'p0' AND asset_id < 3 AS dense FROM t)
+, g AS (SELECT *, target = 'p0' AND asset_id IN (0, 3) AND (seed = 1500 OR seed = 2000) AND event_id <> 'gone' OR target = 't0' AND seed = 2000 AND asset_id = 1 AND event_id = 'e1' AS there FROM s)
+, w AS (SELECT *, CASE WHEN budget > 8 THEN 'budget_range' WHEN event_id = 'gone' THEN 'unknown_event' WHEN mode > 1 AND wanted IS NOT NULL AND target IS NULL THEN 'unknown_target' WHEN mode > 1 AND target IS NULL THEN 'target_not_unique' WHEN mode = 1 AND target IS NULL THEN 'proposal_not_unique' WHEN mode = 3 AND NOT decided THEN 'decision_missing'
+    WHEN mode > 1 AND missing THEN 'reference_missing' WHEN mode = 3 AND sha <> 'ph' THEN 'decision_differs' WHEN mode = 3 AND NOT satisfied THEN 'predicate_not_satisfied' WHEN seed >= 5000 THEN 'seed_outside' WHEN there AND dense AND asset_id = 0 THEN 'seed_pts_differ' WHEN there AND asset_id = 3 THEN 'not_single_match' END AS rule FROM g)
+SELECT query_id, target, CASE WHEN rule IS NULL THEN seed END AS seed_ms, CASE WHEN rule IS NOT NULL THEN NULL WHEN has THEN 'query_predicate_seed:DF' || seed WHEN dense THEN 'dense_frame_id:DF1:target_matched' WHEN event_id = 'e2' THEN 'local_event_midpoint_no_model_keyframe' ELSE 'clip_card_recommended_mmss' END AS seed_source,
+    CASE WHEN rule IS NULL THEN coalesce(there, false) END AS reused, CASE WHEN mode > 1 AND target IS NOT NULL THEN 'h' || query_id ELSE '' END AS refs, rule FROM w""")
 def _c18(t):
-    interval = t.select(F.col("query_id").alias("event_id")).distinct().select("event_id", (500 + F.col("event_id") % 700).alias("seed_ms"), F.lit(200).alias("from_ms"), F.lit(1000).alias("to_ms"))
-    return L.geometry_worklist(_events(t), interval)
+    r = t.select("query_id").distinct().withColumns({k: F.expr(v) for k, v in _ASKED.items()})
+    text, lock = F.lit, F.col("mode") > 1
+    requests = r.select(
+        F.col("query_id").alias("request_id"), "asset_id", "event_id", F.when(lock, F.col("query_id")).alias("query_id"), F.when(lock, F.col("wanted")).alias("query_target_id"), F.when(F.col("mode") == 0, "p0").alias("target_id"), F.when(F.col("mode") == 0, "prop").alias("target_description"),
+        (F.col("mode") == 1).alias("accept_proposal"), F.col("budget").alias("checkpoint_budget"), ((F.col("mode") == 3) & F.col("decided")).alias("has_decision"),
+    )
+    target = lambda i, d: F.struct(text(i).alias("entity_id"), text(d).alias("target_description"))
+    assets = r.select("asset_id").distinct().withColumn("event_id", F.explode(F.array(text("e0"), text("e1"), text("e2"))))
+    events = assets.select("asset_id", "event_id", F.lit(1000).cast("long").alias("start_ms"), F.lit(5000).cast("long").alias("end_ms"), F.when(F.col("event_id") != "e2", F.lit(2000).cast("long")).alias("keyframe_ms"), F.when(F.col("event_id") == "e1", F.array(target("p0", "prop"), target("p1", "more"))).otherwise(F.array(target("p0", "prop"))).alias("targets"))
+    locked = lambda i: F.struct(text(i).alias("target_id"), text(f"text {i}").alias("description"))
+    predicate = F.when(F.col("mode") == 3, F.struct(text("seed").alias("required_at"), F.array(text("t0")).alias("participants"), text("ph").alias("sha256")))
+    locks = r.where(lock).select("query_id", F.lit(2).alias("version"), text("id").alias("identity_sha256"), predicate.alias("predicate"), F.when(F.col("n_locked") == 2, F.array(locked("t0"), locked("t1"))).otherwise(F.array(locked("t0"))).alias("targets"))
+    references = r.where(lock).select("query_id", text("t0").alias("target_id"), F.lit(1).alias("place"), F.concat(text("h"), F.col("query_id").cast("string")).alias("sha256"), "missing")
+    seed = F.struct(F.concat(text("DF"), F.col("decision_ms").cast("string")).alias("frame_id"), F.col("decision_ms").cast("long").alias("requested_ms"), F.lit(1).cast("long").alias("pts"))
+    frames = F.lit(None).cast("array<struct<requested_ms: bigint, frame_ms: bigint>>")
+    decisions = r.where("mode = 3 AND decided").select("query_id", "asset_id", "event_id", text("t0").alias("target_id"), text("id").alias("identity_sha256"), F.col("sha").alias("predicate_sha256"), text("seed").alias("required_at"), "satisfied", seed.alias("seed"), frames.alias("frames"))
+    dense = assets.where("event_id = 'e0' AND asset_id < 3").select("asset_id", "event_id", text("p0").alias("target_id"), text("prop").alias("target_description"), text("DF1").alias("frame_id"), F.lit(1500).cast("long").alias("requested_ms"), F.lit(7).cast("long").alias("pts"))
+    found = assets.where("asset_id IN (0, 3)").withColumn("requested_ms", F.explode(F.array(F.lit(1500), F.lit(2000)))).select("asset_id", "event_id", text("p0").alias("target_id"), "requested_ms", F.lit(8).alias("pts"), (F.col("asset_id") == 0).alias("single"))
+    found = found.unionByName(assets.where("asset_id = 1 AND event_id = 'e1'").select("asset_id", "event_id", text("t0").alias("target_id"), F.lit(2000).alias("requested_ms"), F.lit(8).alias("pts"), F.lit(True).alias("single")))
+    w = G.geometry_worklist(requests, events, locks, references, decisions, dense, found)
+    return w.select(F.col("request_id").alias("query_id"), F.col("target_id").alias("target"), "seed_ms", "seed_source", "reused", F.array_join("references", ",").alias("refs"), "rule")
 
 
 @query("j21_identity_references", _J, sql="""
