@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelwork.functions.text import canonical_sha256, json_sha256
+from reelwork.functions.text import canonical_sha256, json_sha256, python_json
 from reelwork.operators.rounds import cut_lineage
 
 
@@ -232,3 +232,86 @@ def approve(proposals: DataFrame, approvals: DataFrame) -> DataFrame:
     body = F.struct("approval", "claim_source", F.lit("evidence-query-lock-v2").alias("contract_version"), "editorial_goal", "framing", "identity", "predicate", "provenance", "query_id", "revision")
     joined = component_hashes(proposals).join(approvals, "query_id", "left").withColumn("rule", rule)
     return joined.withColumn("definition_sha256", F.when(F.col("rule").isNull(), json_sha256(body, nulls=False)))
+
+
+# --- proposals from reviewed candidates
+
+
+def propose_candidates(candidates: DataFrame) -> DataFrame:
+    """Vertical candidates as proposals in the three layers of component_hashes(); one that cannot be proposed has a rule and no layers.
+
+    candidates: query_id, candidate_id, revision, editorial_goal, claim_source, provenance (created_at, created_by, source_reference), crop_mode,
+    target_description, regions (region_id, entity_id, target_description, role, atomic, minimum_visible_fraction, observable_relations,
+    exclusions), predicate (null: none; it is never made up from what was observed) and candidate_json, the candidate's canonical JSON.
+    A region stands for its entity, or for itself; without a hard core the candidate's own target is required. The proposal's
+    name is a hash over the candidate and all layers.
+    """
+    empty = F.array().cast("array<string>")
+    none = F.array().cast("array<struct<crop_sha256:string,frame_id:string>>")
+    text = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    target_id = lambda r: F.when(F.coalesce(r["entity_id"], F.lit("")) != "", r["entity_id"]).otherwise(F.concat(F.lit("reframe_"), r["region_id"]))
+    role = lambda r: F.when(r["role"] == "avoid_overlay", "overlay_keepout").when((r["role"] == "required") | r["atomic"], "hard_core").otherwise("soft_extent")
+
+    def target(name: Column, description: Column, context: Column, exclusions: Column) -> Column:
+        return F.struct(
+            context.alias("context_cues"), F.array(description).alias("identity_cues"), none.alias("negative_anchors"), none.alias("positive_anchors"), F.lit("whole_instance").alias("scope"), exclusions.alias("stable_exclusions"), description.alias("target_description"), name.alias("target_id"),
+        )
+
+    def floor(name: Column, share: Column, atomic: Column) -> Column:
+        return F.struct(atomic.alias("atomic"), share.cast("double").alias("minimum_visible_fraction"), name.alias("target_id"))
+
+    of_role = lambda kind: F.transform(F.filter("regions", lambda r: role(r) == kind), target_id)
+    own = (F.size(of_role("hard_core")) == 0) & F.col("target_description").isNotNull()
+    subject = F.lit("reframe_subject")
+    share = lambda r: F.when(role(r) == "hard_core", 1.0).otherwise(F.coalesce(r["minimum_visible_fraction"], F.lit(0.72)))
+    more = lambda item, kind: F.when(own, F.array(item)).otherwise(F.array().cast(kind))
+    targets = F.transform("regions", lambda r: target(target_id(r), text(r["target_description"]), r["observable_relations"], r["exclusions"]))
+    floors = F.transform(F.filter("regions", lambda r: role(r) != "overlay_keepout"), lambda r: floor(target_id(r), share(r), r["atomic"]))
+    c = candidates.withColumns({
+        "targets": F.concat(targets, F.when(own, F.array(target(subject, text(F.col("target_description")), empty, empty))).otherwise(F.slice(targets, 1, 0))), "required": F.concat(of_role("hard_core"), more(subject, "array<string>")), "preferred": of_role("soft_extent"), "keepouts": of_role("overlay_keepout"),
+        "floors": F.concat(floors, F.when(own, F.array(floor(subject, F.lit(1.0), F.lit(False)))).otherwise(F.slice(floors, 1, 0))), "own": own,
+    })
+    ids = F.transform("targets", lambda t: t["target_id"])
+    strict = F.col("crop_mode") == "strict"
+    # fixed values: these sentences go into the framing's hash
+    duties = F.array_compact(F.array(
+        F.when(F.size("required") > 0, F.when(F.col("crop_mode") == "primary_center", "Keep required targets recognizable under the saved controlled clipping policy.").otherwise("Keep required targets fully visible and recognizable.")),
+        F.when(F.size("preferred") > 0, F.lit("Retain preferred targets when the frame permits.")), F.when(F.size("keepouts") > 0, F.lit("Keep overlay-protected targets unobscured.")),
+    ))
+    aspect = F.struct(F.lit("9:16").alias("aspect_ratio"), F.lit("Required targets must remain directly visible in the portrait frame.").alias("constraint"), F.when(strict, "forbid").otherwise("allow_controlled").alias("required_target_clipping_policy"), F.col("required").alias("required_target_ids"), F.col("floors").alias("target_visibility_constraints"))
+    framing = F.struct(
+        F.array(aspect).alias("aspect_constraints"), F.array(F.lit("portrait_reframe")).alias("editing_uses"), F.when(F.size(duties) > 0, F.array_join(duties, " ")).otherwise("Keep the selected target recognizable.").alias("framing_intent"),
+        F.col("keepouts").alias("overlay_keepout_target_ids"), F.col("preferred").alias("preferred_target_ids"), F.col("required").alias("required_target_ids"), empty.alias("sacrificable_target_ids"),
+    )
+    blank = F.exists("targets", lambda t: F.coalesce(t["target_description"], F.lit("")) == "")
+    participants = F.col("predicate.participant_target_ids")
+    rule = (
+        F.when(F.size("targets") == 0, "no_identity").when(blank, "blank_description").when(F.size(F.array_distinct(ids)) < F.size(ids), "repeated_target").when(F.col("predicate").isNotNull() & (F.size(F.array_except(participants, ids)) > 0), "unknown_participant")
+    )
+    reference = F.coalesce(F.col("provenance.source_reference"), F.concat(F.lit("feature-vertical-candidate:"), "candidate_id"))
+    provenance = F.struct(F.col("provenance.created_at").alias("created_at"), F.col("provenance.created_by").alias("created_by"), reference.alias("source_reference"))
+    p = c.withColumn("rule", rule).withColumns({"identity": F.when(F.col("rule").isNull(), F.struct("targets")), "framing": F.when(F.col("rule").isNull(), framing), "predicate": F.when(F.col("rule").isNull(), F.col("predicate")), "provenance": provenance})
+    h = component_hashes(p)
+    predicate = F.when(F.col("predicate").isNotNull(), F.col("predicate_sha256"))
+    said = F.struct("claim_source", F.lit("feature-vertical-candidate-query-adapter-v1").alias("contract_version"), "editorial_goal", "framing_sha256", "identity_sha256", predicate.alias("predicate_sha256"), "provenance", "revision")
+    body = F.concat(F.lit('{"candidate":'), "candidate_json", F.lit(","), F.substr(python_json(F.to_json(said, {"ignoreNullFields": "false"})), F.lit(2)))
+    name = F.when(F.col("rule").isNull(), F.concat(F.lit("feature-query-proposal:"), F.substring(F.sha2(body, 256), 1, 24)))
+    return h.select("query_id", "candidate_id", name.alias("proposal_id"), "revision", "editorial_goal", "identity", "predicate", "framing", "claim_source", "provenance", "rule")
+
+
+def newest_approved(candidates: DataFrame, proposals: DataFrame, approvals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((query_id, revision, proposal_sha256), violations (query_id, revision, rule)): the newest revision of each query whose chain holds, link by link.
+
+    candidates: query_id, revision, candidate_sha256. proposals: query_id, revision, candidate_sha256 (what it was made from),
+    proposal_sha256. approvals: query_id, proposal_sha256 (what was approved), approved_at, decision. The last decision on a
+    proposal counts. A proposal needs the candidate of its revision, unchanged, and an approval of just itself.
+    """
+    c = candidates.select("query_id", "revision", F.col("candidate_sha256").alias("_now"))
+    last = approvals.groupBy("query_id", "proposal_sha256").agg(F.max_by("decision", F.struct("approved_at", "decision")).alias("decision"))
+    asked = approvals.select("query_id", F.col("proposal_sha256").alias("_approved")).join(proposals.select("query_id", F.col("proposal_sha256").alias("_approved"), F.lit(True).alias("_held")), ["query_id", "_approved"], "left")
+    p = proposals.join(c, ["query_id", "revision"], "left").join(last, ["query_id", "proposal_sha256"], "left")
+    rule = F.when(F.col("_now").isNull(), "candidate_missing").when(F.col("_now") != F.col("candidate_sha256"), "candidate_changed").when(F.col("decision").isNull(), "not_approved").when(F.col("decision") != "approved", "rejected")
+    p = p.withColumn("rule", rule)
+    best = p.where("rule IS NULL").groupBy("query_id").agg(F.max(F.struct("revision", "proposal_sha256")).alias("x")).select("query_id", "x.revision", "x.proposal_sha256")
+    loose = asked.where("_held IS NULL").select("query_id", F.lit(None).cast("int").alias("revision"), F.lit("approval_of_unknown_proposal").alias("rule")).distinct()
+    return best, p.where("rule IS NOT NULL").select("query_id", F.col("revision").cast("int").alias("revision"), "rule").unionByName(loose)

@@ -206,6 +206,36 @@ def _c13(t):
     return L.approve(L.migrate_locks(v1), approvals).select("query_id", "rule", "identity_sha256", "predicate_sha256", "framing_sha256", "composite_sha256", "definition_sha256")
 
 
+# vertical candidates of a chapter with up to two regions; in SQL that Spark and DuckDB share
+_REVIEWED = {
+    "n_regions": "frame_id % 3", "first": "CASE frame_id % 5 WHEN 0 THEN 'avoid_overlay' WHEN 1 THEN 'preferred' ELSE 'required' END", "entity": "CASE WHEN frame_id % 7 = 2 THEN '' ELSE concat('e', frame_id % 2) END", "words": "CASE WHEN frame_id % 11 = 3 THEN '  ' ELSE concat(' text ', frame_id, ' ') END",
+    "target": "CASE WHEN frame_id % 4 <> 1 THEN concat('subject ', frame_id) END", "mode": "CASE WHEN frame_id % 2 = 0 THEN 'strict' ELSE 'primary_center' END",
+}
+_TARGET = """'{"context_cues":[' || %s || '],"identity_cues":["' || %s || '"],"negative_anchors":[],"positive_anchors":[],"scope":"whole_instance","stable_exclusions":[],"target_description":"' || %s || '","target_id":"' || %s || '"}'"""
+
+
+@query("c13_candidate_proposals", "e_candidate", sql=f"""
+, r AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _REVIEWED.items())} FROM e_candidate), s AS (SELECT *, CASE WHEN entity <> '' THEN entity ELSE 'reframe_r0' END AS id0, n_regions = 0 OR n_regions = 1 AND first <> 'required' AS bare FROM r)
+, t AS (SELECT *, bare AND target IS NOT NULL AS own, list_concat(list_concat(CASE WHEN n_regions > 0 THEN [{_TARGET % ("'" + '"seen"' + "'", "trim(words)", "trim(words)", "id0")}] ELSE [] END, CASE WHEN n_regions > 1 THEN [{_TARGET % ("''", "'fixed'", "'fixed'", "'e1'")}] ELSE [] END), CASE WHEN bare AND target IS NOT NULL THEN [{_TARGET % ("''", "target", "target", "'reframe_subject'")}] ELSE [] END) AS parts FROM s)
+, u AS (SELECT *, CASE WHEN len(parts) = 0 THEN 'no_identity' WHEN n_regions > 0 AND trim(words) = '' THEN 'blank_description' WHEN n_regions > 1 AND id0 = 'e1' THEN 'repeated_target' END AS rule FROM t)
+SELECT chapter, candidate_id, CASE WHEN rule IS NULL THEN sha256('{{"targets":[' || array_to_string(parts, ',') || ']}}') END AS identity_sha256, CASE WHEN rule IS NULL THEN concat_ws(',', CASE WHEN n_regions > 0 AND first = 'required' THEN id0 END, CASE WHEN n_regions > 1 THEN 'e1' END, CASE WHEN own THEN 'reframe_subject' END) END AS required,
+    CASE WHEN rule IS NULL THEN concat_ws(' ', CASE WHEN n_regions > 0 AND first = 'required' OR n_regions > 1 OR own THEN CASE mode WHEN 'strict' THEN 'Keep required targets fully visible and recognizable.' ELSE 'Keep required targets recognizable under the saved controlled clipping policy.' END END, CASE WHEN n_regions > 0 AND first = 'preferred' THEN 'Retain preferred targets when the frame permits.' END,
+    CASE WHEN n_regions > 0 AND first = 'avoid_overlay' THEN 'Keep overlay-protected targets unobscured.' END) END AS intent, rule FROM u""")
+def _c13c(c):
+    text = F.lit
+    r = c.withColumns({k: F.expr(v) for k, v in _REVIEWED.items()})
+    seen, none = F.array(text("seen")), F.array().cast("array<string>")
+    region = lambda i, entity, words, role, relations: F.when(F.col("n_regions") > i, F.struct(text(f"r{i}").alias("region_id"), entity.alias("entity_id"), words.alias("target_description"), role.alias("role"), text(False).alias("atomic"), F.lit(None).cast("double").alias("minimum_visible_fraction"), relations.alias("observable_relations"), none.alias("exclusions")))
+    regions = F.array_compact(F.array(region(0, F.col("entity"), F.col("words"), F.col("first"), seen), region(1, text("e1"), text("fixed"), text("required"), none)))
+    predicate = F.lit(None).cast("struct<disqualifying_conditions: array<string>, participant_target_ids: array<string>, predicate_id: string>")
+    rows = r.select(
+        F.col("chapter").alias("query_id"), "candidate_id", F.lit(1).alias("revision"), text("goal").alias("editorial_goal"), text("model_proposal").alias("claim_source"), F.struct(text("2024-01-01").alias("created_at"), text("editor").alias("created_by"), F.lit(None).cast("string").alias("source_reference")).alias("provenance"),
+        F.col("mode").alias("crop_mode"), F.col("target").alias("target_description"), regions.alias("regions"), predicate.alias("predicate"), F.to_json(F.struct("candidate_id")).alias("candidate_json"),
+    )
+    p = L.component_hashes(L.propose_candidates(rows))
+    return p.select(F.col("query_id").alias("chapter"), "candidate_id", "identity_sha256", F.array_join("framing.required_target_ids", ",").alias("required"), F.col("framing.framing_intent").alias("intent"), "rule")
+
+
 @query("v11_target_identity", _J, sql="""
 , t AS (SELECT query_id, target_id AS i, target_id % 3 = 0 AS whole, parent_target_id IS NOT NULL AND target_id % 4 <> 1 AS has_parent, query_id % 9 = 4 AND target_id = 2 AS own, sha256(coalesce(target_description, '')) AS crop FROM j_target)
 , r AS (SELECT query_id, i AS target_id, list_concat(CASE WHEN i % 5 = 1 THEN ['blank_identity_cues'] END, CASE WHEN i % 5 = 2 THEN ['repeated_context_cues'] END, CASE WHEN whole AND (has_parent OR own) THEN ['parent_of_whole_instance'] END, CASE WHEN NOT whole AND NOT has_parent AND NOT own THEN ['parent_missing'] END,
