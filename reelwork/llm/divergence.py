@@ -190,10 +190,13 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, block_bytes: int = BL
     coded = met.join(bounded(groups), ["lang", "source"]).groupBy("block").agg(F.collect_list(F.struct("lang", "source", "code")).alias("codes"))
     # a term has a row for each block that says it, so no key has more rows than there are blocks
     places = terms_of_places(blocks(), spark.read.parquet(f"{folder}/likely"))
-    held = block_terms(blocks().drop("chunks", "chunk_docs").join(coded, "block"), places).withColumn("docs", F.sum("docs").over(W.partitionBy("lang", "term"))).where(F.col("docs") >= min_docs)
-    said = held.select("lang", "term", F.explode(F.arrays_zip("codes", "counts")).alias("s"))
-    each = said.groupBy("lang", "term", F.col("s.codes").alias("code")).agg(F.sum("s.counts").alias("n"))
-    kept = keep(each.groupBy("lang", "term").agg(F.collect_list(F.struct("code", "n")).alias("s")).select("lang", "term", F.col("s.code").alias("codes"), F.col("s.n").alias("counts")))
+    held = block_terms(blocks().drop("chunks", "chunk_docs").join(coded, "block"), places).repartition("lang", "term")
+    # the documents of a term are summed as those of one more source, of code -1
+    docs_too = F.arrays_zip(F.array_append("codes", F.lit(-1)).alias("codes"), F.array_append("counts", F.col("docs").cast("int")).alias("counts"))
+    each = held.select("lang", "term", F.explode(docs_too).alias("s")).groupBy("lang", "term", F.col("s.codes").alias("code")).agg(F.sum("s.counts").alias("n"))
+    said = F.collect_list(F.when(F.col("code") >= 0, F.struct("code", "n")))
+    kept = each.groupBy("lang", "term").agg(said.alias("s"), F.max(F.when(F.col("code") < 0, F.col("n"))).alias("docs")).where(F.col("docs") >= min_docs)
+    kept = keep(kept.select("lang", "term", F.col("s.code").alias("codes"), F.col("s.n").alias("counts")))
     drop_folder(spark, folder)
     return kept, groups
 
