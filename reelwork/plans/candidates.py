@@ -338,7 +338,7 @@ _CHOICES = {
     "focus_id": "CASE WHEN frame_id % 2 = 0 THEN concat('n', frame_id % 4) END", "vertical_strategy": "CASE WHEN role = 'hard_core' OR frame_id % 3 = 0 THEN 'tracked_crop' ELSE 'fit_with_background' END", "crop_mode": "'strict'", "framing_intent": "concat('keep ', role)",
     "first_required": "CASE WHEN frame_id % 29 = 1 THEN 'n9' ELSE concat('n', frame_id % 4) END", "second_required": "CASE WHEN frame_id % 5 = 0 THEN concat('n', (frame_id + 1) % 4) END", "first_preferred": "concat('n', (frame_id + 1) % 4)", "first_sacrificable": "CASE WHEN frame_id % 7 = 0 THEN 'n3' END", "risk": "CASE WHEN frame_id % 4 = 0 THEN 'edge' ELSE 'none' END",
 }
-_ENTITY = {"kind": "CASE i % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'text_region' WHEN 2 THEN 'logo' ELSE 'screen' END", "label": "concat('label ', i, ' of ', source_id)", "features": "CASE WHEN i % 2 = 0 THEN ' wide ' ELSE '' END"}
+_ENTITY_OF = {"kind": "CASE i % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'text_region' WHEN 2 THEN 'logo' ELSE 'screen' END", "label": "concat('label ', i, ' of ', source_id)", "features": "CASE WHEN i % 2 = 0 THEN ' wide ' ELSE '' END"}
 _TEXT_OF = "CASE WHEN {0} = concat('n', source_id % 4) THEN 'target ' || source_id ELSE concat('label ', right({0}, 1), ' of ', source_id, CASE WHEN right({0}, 1) IN ('0', '2') THEN '; wide' ELSE '' END) END"
 
 
@@ -359,7 +359,7 @@ def _c8(c):
     rows = c.withColumns({k: F.expr(v) for k, v in _CHOICES.items()}).withColumnsRenamed({"rank": "position", "source_id": "asset_id"}).withColumns({"frame_id": F.col("frame_id").cast("string"), "quality_risks": F.array("risk")})
     rows = rows.withColumns({"required": some("first_required", "second_required"), "preferred": some("first_preferred"), "sacrificable": some("first_sacrificable")})
     cards = c.select("source_id").distinct().withColumn("ids", F.sequence(F.lit(0), F.lit(3)))
-    entity = c.select("source_id").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("source_id", F.struct(F.concat(F.lit("n"), F.col("i").cast("string")).alias("entity_id"), *[F.expr(v).alias(k) for k, v in _ENTITY.items()]).alias("e"))
+    entity = c.select("source_id").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("source_id", F.struct(F.concat(F.lit("n"), F.col("i").cast("string")).alias("entity_id"), *[F.expr(v).alias(k) for k, v in _ENTITY_OF.items()]).alias("e"))
     target = F.array(F.struct(F.concat(F.lit("n"), (F.col("source_id") % 4).cast("string")).alias("entity_id"), F.concat(F.lit("target "), F.col("source_id").cast("string")).alias("target_description")))
     ids, none = F.transform("ids", lambda i: F.concat(F.lit("n"), i.cast("string"))), F.array().cast("array<string>")
     events = cards.join(entity.groupBy("source_id").agg(F.array_sort(F.collect_list("e")).alias("entities")), "source_id").select(
