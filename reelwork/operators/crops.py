@@ -107,6 +107,7 @@ def _ema_pass(series: DataFrame, names: dict[str, str], alpha: float, backward:
     rows = rows.withColumns({f"_n_{y}": F.count(x).over(running) for x, y in names.items()})
     rows = rows.withColumns({f"_t_{y}": alpha * F.col(x).cast("double") / F.pow(F.lit(q), f"_n_{y}") for x, y in names.items()})
     rows = rows.withColumns({f"_s_{y}": F.coalesce(F.sum(f"_t_{y}").over(running), F.lit(0.0)) for y in names.values()})
+    rows = cut_lineage(rows)  # read for the blocks and for the values
     maps = []
     for x, y in names.items():
         n, first = F.max(f"_n_{y}"), F.min_by(F.col(x).cast("double"), F.when(F.col(x).isNotNull(), F.col(f"_n_{y}")))
