@@ -46,14 +46,31 @@ def shortest_double(x: Column) -> Column:
         power = F.concat(F.when(n > 1, point(F.lit(1))).otherwise(d), F.when(e < 0, "e-").otherwise("e+"), F.format_string("%02d", F.abs(e)))
         return F.concat(v["sign"], F.when((e >= -4) & (e < 16), plain).otherwise(power))
 
-    tries = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda k: F.call_function("format_string", F.concat(F.lit("%."), k.cast("string"), F.lit("e")), x))
+    # a number that the JVM writes with at most 15 digits has no shorter form: these are tried alone
+    said = F.length(F.btrim(F.regexp_replace(F.regexp_replace(x.cast("string"), "E.*", ""), "[-.]", ""), F.lit("0")))
+    known = said.between(1, 15) & (F.abs(x) > 1e-290)
+    places = F.when(known, F.array(said - 1)).otherwise(F.sequence(F.lit(0), F.lit(16)))
+    tries = F.transform(places, lambda k: F.call_function("format_string", F.concat(F.lit("%."), k.cast("string"), F.lit("e")), x))
     shortest = F.get(F.filter(tries, lambda t: t.cast("double") == x), F.lit(0))
     return F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity").when(x == 0, x.cast("string")).when(x.isNotNull(), _named(shortest, written))
 
 
+# a double of to_json that Python writes in the same way: at most 15 digits, no exponent, no zeros to leave out; and the comma or bracket behind it
+_SAME_DOUBLE = r"(?!0\.0000)(?=[0-9.]{3,16}[,}\]])[0-9]+\.(?:0|[0-9]*[1-9])[,}\]]"
+_DIFFERS = rf"\\u|[:,\[]-?(?=[0-9]+\.[0-9])(?!{_SAME_DOUBLE})"
+
+
 def python_json(json: Column) -> Column:
-    """The text of to_json as Python's json writes it: doubles in shortest form, control characters with lower-case digits."""
-    tokens = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"|-?[0-9]+\.[0-9]+(?:E-?[0-9]+)?|-?[0-9]+|[^"0-9-]+|-'), F.lit(0))
+    """The text of to_json as Python's json writes it: doubles in shortest form, control characters with lower-case digits.
+
+    Only text that may hold something to write anew is cut into its tokens.
+    """
+    return _named(json, lambda text: F.when(text.rlike(_DIFFERS), _rewritten(text)).otherwise(text))
+
+
+def _rewritten(json: Column) -> Column:
+    # possessive, so that the stack doesn't grow with the length of a string
+    tokens = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*+"|-?[0-9]+\.[0-9]+(?:E-?[0-9]+)?|-?[0-9]+|[^"0-9-]+|-'), F.lit(0))
     # a backslash takes the character behind it along, so that one that stands for itself is no escape
     escapes = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"\\u[0-9A-F]{4}|\\.|[^\\]+"), F.lit(0)), lambda x: F.when(x.rlike(r"^\\u"), F.lower(x)).otherwise(x)), "")
     whole = lambda t: F.when(t.rlike(r"^-?[0-9]+\.[0-9]"), shortest_double(t.cast("double"))).when(t.startswith('"') & t.contains("\\u"), escapes(t)).otherwise(t)

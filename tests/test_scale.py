@@ -85,6 +85,21 @@ def test_json_as_python_writes_it(spark):
     assert [q[0] for q in df.select(canonical_json("b", "a", "c", "i", "n", "t")).collect()] == want
 
 
+def test_json_of_long_texts_needs_no_deep_stack(spark):
+    rows = [('long "text" \\ ' * 20_000, 0.5), ("x" * 300_000 + "\x1f", 1e-9), (",1.25e3" * 1000, None)]
+    want = [json.dumps({"a": a} if b is None else {"a": a, "b": b}, ensure_ascii=False, separators=(",", ":")) for a, b in rows]
+    assert [q[0] for q in spark.createDataFrame(rows, "a string, b double").select(canonical_json("a", "b")).collect()] == want
+
+
+def test_doubles_in_json_as_python_writes_them(spark):
+    r = random.Random(2)
+    values = [0.0, -0.0, 1.0, -2.5, 100.0, 0.0001, 0.00012, 1e-5, 0.000099, 123456789012345.0, 1234567.25, 1e7, 0.1 + 0.2, -1 / 3]
+    values += [round(r.uniform(-10, 10) * 10 ** r.randint(-8, 9), r.randint(0, 12)) for _ in range(3000)]
+    rows = [(x, [x, -x]) for x in values]
+    want = [json.dumps({"a": a, "b": b}, separators=(",", ":")) for a, b in rows]
+    assert [q[0] for q in spark.createDataFrame(rows, "a double, b array<double>").select(canonical_json("a", "b")).collect()] == want
+
+
 def test_broken_documents_are_set_aside(spark, tmp_path):
     texts = {"a/good.json": '{\n "run": 1,\n "extra": {},\n "events": [{"id": 2}]\n}', "a/b/missing.json": "{}", "cut.json": '{"run": 1, "ev', "kind.json": '{"run": "one"}', "empty.json": "", "list.json": "[1]", "other.txt": "{"}
     for name, text in texts.items():
