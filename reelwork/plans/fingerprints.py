@@ -68,7 +68,8 @@ _REQUESTS = HASHES + _CATALOG + """
 def _requests(t, h):
     targets = t.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("target_id")), lambda x: F.concat(F.lit("t"), x)).alias("target_ids"))
     fixed = {f"{n}_sha256": F.sha2(F.lit(v), 256) for n, v in (("generation_config", "generation"), ("prompt", "prompt"), ("response_schema", "schema"), ("system_instruction", "system"), ("task_instruction", "task"))}
-    r = target_hashes(t).join(targets, "query_id").join(_catalog(h).select(F.col("event_id").alias("query_id"), "catalog_sha256"), "query_id", "left")
+    asked = t.select(F.col("query_id").alias("event_id")).distinct()  # a catalog that no request names needs no hash
+    r = target_hashes(t).join(targets, "query_id").join(_catalog(h.join(asked, "event_id", "left_semi")).select(F.col("event_id").alias("query_id"), "catalog_sha256"), "query_id", "left")
     r = r.withColumns({
         "event_id": F.col("query_id"), "source_asset_id": F.concat(F.lit("asset-"), F.col("query_id") % 7), "grounding_target_id": F.when(F.col("target_id") % 9 == 8, "other").otherwise(F.concat(F.lit("t"), F.col("target_id"))), "required_at": F.when(F.col("target_id") % 2 == 0, "seed").otherwise("interval"),
         "predicate_sha256": F.sha2(F.concat(F.lit("p"), F.col("query_id")), 256), "model_id": F.concat(F.lit("m-"), F.col("target_id") % 3), "participant_ids": F.when(F.col("query_id") % 5 != 0, F.slice("target_ids", 1, 4)), **fixed,

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from reelwork.functions.text import canonical_json, shortest_double
 from reelwork.operators import crops, tracks
+from reelwork.plans.registry import QUERIES
 from reelwork.sources import registry
 from reelwork.streaming import artifacts
 
+TABLES = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("block", [1, 7, 40, 10_000])
 def test_nearest_at_the_borders_of_blocks(spark, block):
@@ -100,6 +103,11 @@ def test_doubles_in_json_as_python_writes_them(spark):
     assert [q[0] for q in spark.createDataFrame(rows, "a double, b array<double>").select(canonical_json("a", "b")).collect()] == want
 
 
+@pytest.mark.parametrize("name", ["c15_temporal_fingerprint", "c15_temporal_reuse"])
+def test_temporal_requests_hash_only_the_catalogs_they_name(spark, name):
+    assert "Join LeftSemi" in QUERIES[name](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_broken_documents_are_set_aside(spark, tmp_path):
     texts = {"a/good.json": '{\n "run": 1,\n "extra": {},\n "events": [{"id": 2}]\n}', "a/b/missing.json": "{}", "cut.json": '{"run": 1, "ev', "kind.json": '{"run": "one"}', "empty.json": "", "list.json": "[1]", "other.txt": "{"}
     for name, text in texts.items():
