@@ -130,17 +130,24 @@ UNION ALL SELECT chapter, NULL, NULL, 'reframe_needs_zoom_and_target' FROM c WHE
 UNION ALL SELECT chapter, NULL, NULL, 'crop_needs_target' FROM c WHERE rank = 1 AND v_strategy = 'tracked_crop' AND v_target IS NULL AND n_regions = 0 UNION ALL SELECT chapter, NULL, NULL, 'vertical_head_differs' FROM c WHERE rank = 1 AND chapter % 10 = 3 AND v_strategy <> 'tracked_crop'""")
 def _v16p(c):
     text = F.lit
-    r = c.withColumns({k: F.expr(v.replace("VARCHAR(9)", "STRING")) for k, v in _V16.items()})
-    def region(i, name, role, share, entity):
-        return F.when(F.col("n_regions") > i, F.struct(text(name).alias("region_id"), entity.alias("entity_id"), text("d").alias("target_description"), text("subject").alias("kind"), role.alias("role"), text(False).alias("atomic"), share.cast("double").alias("minimum_visible_fraction"), F.array(text("seen")).alias("observable_relations")))
     none = F.lit(None)
-    regions = F.array_compact(F.array(region(0, "r0", F.col("first_role"), F.col("share"), text("e0")), region(1, "r1", text("required"), none, text("e1")), region(2, "r2", text("preferred"), none, text("e1"))))
-    shared = [F.col("candidate_id"), F.col("rank").cast("int").alias("rank"), F.col("source_id").alias("asset_id"), text("e").alias("event_id"), F.col("frame").alias("frame_id")]
-    end = [text(0.5).alias("confidence")]
-    h = F.struct(*shared, F.col("h_strategy").alias("strategy"), "zoom_intent", F.col("h_target").alias("target_description"), *end)
-    v = F.struct(*shared, F.col("v_strategy").alias("strategy"), F.col("v_target").alias("target_description"), regions.alias("regions"), *end)
-    by_rank = lambda x: F.array_sort(F.collect_list(x), lambda a, b: a["rank"] - b["rank"])
-    g = r.groupBy("chapter").agg(by_rank(h).alias("horizontal_candidates"), by_rank(v).alias("vertical_candidates"))
+
+    def region(x, i, name, role, share, entity):
+        return F.when(x["n_regions"] > i, F.struct(text(name).alias("region_id"), entity.alias("entity_id"), text("d").alias("target_description"), text("subject").alias("kind"), role.alias("role"), text(False).alias("atomic"), share.cast("double").alias("minimum_visible_fraction"), F.array(text("seen")).alias("observable_relations")))
+
+    def horizontal(x):
+        return F.struct(*[x[k] for k in shared], text("e").alias("event_id"), x["frame"].alias("frame_id"), x["h_strategy"].alias("strategy"), x["zoom_intent"].alias("zoom_intent"), x["h_target"].alias("target_description"), text(0.5).alias("confidence"))
+
+    def vertical(x):
+        regions = F.array_compact(F.array(region(x, 0, "r0", x["first_role"], x["share"], text("e0")), region(x, 1, "r1", text("required"), none, text("e1")), region(x, 2, "r2", text("preferred"), none, text("e1"))))
+        return F.struct(*[x[k] for k in shared], text("e").alias("event_id"), x["frame"].alias("frame_id"), x["v_strategy"].alias("strategy"), x["v_target"].alias("target_description"), regions.alias("regions"), text(0.5).alias("confidence"))
+
+    # only numbers and ids are gathered; what they stand for is made in the chapter's row
+    shared = ["candidate_id", "rank", "asset_id"]
+    made = ", ".join(f"{v} AS {k}" for k, v in _V16.items()).replace("VARCHAR(9)", "STRING").replace("frame_id", "x.frame_id")
+    g = c.groupBy("chapter").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_id", "source_id", "frame_id"))).alias("cards"))
+    g = g.withColumn("cards", F.expr(f"transform(cards, x -> struct(x.candidate_id AS candidate_id, CAST(x.rank AS INT) AS rank, x.source_id AS asset_id, {made}))"))
+    g = g.select("chapter", F.transform("cards", horizontal).alias("horizontal_candidates"), F.transform("cards", vertical).alias("vertical_candidates"))
     first, second = F.get("horizontal_candidates", F.lit(0)), F.get("vertical_candidates", F.lit(0))
     strategy = F.when((F.col("chapter") % 10 == 3) & (second["strategy"] != "tracked_crop"), "other").otherwise(second["strategy"])
     chapters = g.select(
