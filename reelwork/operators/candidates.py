@@ -329,7 +329,11 @@ def policy_violations(patches: DataFrame, chapters: DataFrame) -> DataFrame:
 
 def replan_differences(stored: DataFrame, computed: DataFrame) -> DataFrame:
     """Rows that only one of the plans has, with side."""
-    return stored.exceptAll(computed).withColumn("side", F.lit("stored")).unionByName(computed.exceptAll(stored).withColumn("side", F.lit("computed")))
+    keys = stored.columns
+    both = stored.withColumn("_n", F.lit(1)).unionByName(computed.withColumn("_n", F.lit(-1))).repartition(*keys)
+    g = both.groupBy(*keys).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, "stored").otherwise("computed")
+    return g.select(*keys, F.explode(F.array_repeat(side, F.abs("_n").cast("int"))).alias("side"))
 
 
 def quality_risks(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
