@@ -242,12 +242,17 @@ def plan_evidence_violations(candidates: DataFrame, assets: DataFrame, events: D
     asset_id, event_id, start_s, end_s, relations (a map of relation to entity ids). frames: frame_id, frame_asset, frame_ms; a frame
     lies in an event by whole seconds, start included and end not.
     """
-    c = candidates.join(assets.select("asset_id", F.col("entity_ids").alias("_known")), "asset_id", "left").join(events.select("asset_id", "event_id", "start_s", "end_s", "relations"), ["asset_id", "event_id"], "left").join(frames, "frame_id", "left")
-    second = F.floor(F.col("frame_ms") / 1000)
+    # what an event and an asset say of the refs is settled at once, so that only flags go on to the next join
     backed = lambda r: F.coalesce(F.array_contains(F.col("relations")[r["relation"]], r["entity_id"]), F.lit(False))
+    c = candidates.select("chapter", "candidate_id", "asset_id", "event_id", "frame_id", "refs").join(events.select("asset_id", "event_id", "start_s", "end_s", "relations"), ["asset_id", "event_id"], "left")
+    c = c.select("chapter", "candidate_id", "asset_id", "frame_id", "refs", "start_s", "end_s", F.exists("refs", lambda r: ~backed(r)).alias("_unbacked")).join(assets.select("asset_id", F.col("entity_ids").alias("_known")), "asset_id", "left")
+    unknown = F.exists("refs", lambda r: ~F.array_contains(F.col("_known"), r["entity_id"]))
+    first = F.when(F.col("_known").isNull(), "unknown_asset").when(F.col("start_s").isNull(), "unknown_event")
+    c = c.select("chapter", "candidate_id", "asset_id", "frame_id", "start_s", "end_s", first.alias("_first"), F.when(unknown, "unknown_entity").when(F.col("_unbacked"), "relation_not_backed").alias("_last")).join(frames.select("frame_id", "frame_asset", "frame_ms"), "frame_id", "left")
+    second = F.floor(F.col("frame_ms") / 1000)
     rule = (
-        F.when(F.col("_known").isNull(), "unknown_asset").when(F.col("start_s").isNull(), "unknown_event").when(F.col("frame_ms").isNull(), "unknown_frame").when(~F.col("frame_asset").eqNullSafe(F.col("asset_id")), "frame_of_other_asset")
-        .when((second < F.col("start_s")) | (second >= F.col("end_s")), "frame_outside_event").when(F.exists("refs", lambda r: ~F.array_contains(F.col("_known"), r["entity_id"])), "unknown_entity").when(F.exists("refs", lambda r: ~backed(r)), "relation_not_backed")
+        F.when(F.col("_first").isNotNull(), F.col("_first")).when(F.col("frame_ms").isNull(), "unknown_frame").when(~F.col("frame_asset").eqNullSafe(F.col("asset_id")), "frame_of_other_asset")
+        .when((second < F.col("start_s")) | (second >= F.col("end_s")), "frame_outside_event").otherwise(F.col("_last"))
     )
     return c.select("chapter", "candidate_id", rule.alias("rule")).where("rule IS NOT NULL")
 
