@@ -157,7 +157,8 @@ def selected_first(candidates: DataFrame, selected: Column) -> DataFrame:
 
 def topk_violations(candidates: DataFrame, selected: DataFrame, least: int = 2, most: int = 4) -> DataFrame:
     """(chapter, rule): how many candidates, unique ids and evidence, ranks from 1 without gaps, selected one present and first."""
-    g = candidates.groupBy("chapter").agg(F.count("*").alias("n"), F.count_distinct("candidate_id").alias("ids"), F.count_distinct("frame_id").alias("frames"), F.min("rank").alias("a"), F.max("rank").alias("b"), F.count_distinct("rank").alias("ranks"), F.min_by("candidate_id", "rank").alias("first"), F.collect_set("candidate_id").alias("all"))
+    different = lambda c: F.size(F.collect_set(c))
+    g = candidates.groupBy("chapter").agg(F.count("*").alias("n"), different("frame_id").alias("frames"), F.min("rank").alias("a"), F.max("rank").alias("b"), different("rank").alias("ranks"), F.min_by("candidate_id", "rank").alias("first"), F.collect_set("candidate_id").alias("all")).withColumn("ids", F.size("all"))
     g = g.join(selected, "chapter", "left")
     rules = _rules(
         F.when((F.col("n") < least) | (F.col("n") > most), F.lit("count")), F.when(F.col("ids") < F.col("n"), F.lit("duplicate_id")), F.when(F.col("frames") < F.col("n"), F.lit("same_evidence")),
