@@ -28,7 +28,10 @@ def _written(j):
     text = F.to_json(F.struct(number.alias("run"), "events"), {"pretty": "true"})
     text = F.when(F.col("run") % 7 == 5, text).otherwise(F.regexp_replace(text, '"run" : "([0-9]+)"', '"run" : $1'))
     folder = new_folder(j.sparkSession, "artifacts")
-    docs.select("run", F.when(F.col("run") % 7 == 3, F.substr(text, F.lit(1), F.length(text) - 20)).otherwise(text).alias("value")).write.partitionBy("run").text(folder)
+    docs = docs.select("run", F.when(F.col("run") % 7 == 3, F.substr(text, F.lit(1), F.length(text) - 20)).otherwise(text).alias("value"))
+    # a file a document, without a folder for each: those would be listed one by one; files take the time, so all cores write
+    dealt = docs.repartition(4 * j.sparkSession.sparkContext.defaultParallelism, "run").select("value")
+    dealt.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
     return folder
 
 
@@ -45,7 +48,7 @@ def _s1(j):
 def _s1b(j):
     folder = _written(j)
     _, broken = S.check_artifacts(j.sparkSession, folder, "part-*", _SCHEMA)
-    out = cut_lineage(broken.select(F.regexp_extract("path", "run=([0-9]+)", 1).cast("long").alias("run"), "rule"))
+    out = cut_lineage(broken.select(F.regexp_extract("content", '"run" : "?(?:run )?([0-9]+)', 1).cast("long").alias("run"), "rule"))
     drop_folder(j.sparkSession, folder)
     return out
 
