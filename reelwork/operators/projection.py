@@ -43,24 +43,42 @@ def _relations(entity_id: Column) -> Column:
     return F.array_compact(F.array(*said, F.when(F.exists("targets", lambda t: t["entity_id"] == entity_id), F.lit("event_relation=grounding_target"))))
 
 
-def entity_regions() -> Column:
-    """The regions of a candidate's row with its event: required entities, then preferred ones, then those not to be covered, each once by its first role; none unless the crop is tracked."""
+def entity_facts() -> Column:
+    """What an event's row says of each entity that it names: (entity_id, text, kind on the renderer's side, relations)."""
+    none = F.array().cast("array<string>")
+    ids_of = lambda c: F.coalesce(F.transform(c, lambda x: x["entity_id"]), none)
+    ids = F.array_distinct(F.concat(ids_of("entities"), ids_of("targets"), *[F.coalesce(c, none) for c in RELATIONS.values()]))
+    kind = lambda e: region_kind(_first(F.col("entities"), lambda x: x["entity_id"] == e)["kind"])
+    return F.transform(ids, lambda e: F.struct(e.alias("entity_id"), entity_text(e).alias("text"), kind(e).alias("kind"), _relations(e).alias("relations")))
+
+
+def _fact(entity_id: Column) -> Column:
+    return _first(F.col("_facts"), lambda f: f["entity_id"] == entity_id)
+
+
+def _region_ids() -> Column:
+    """(id, role) of the regions of a candidate's row with its event: required entities, then preferred ones, then those not to be covered, each once by its first role; none unless the crop is tracked."""
     required = F.col("required_ids_of_candidate")
     preferred = F.filter("preferred", lambda e: ~F.array_contains(required, e))
     overlay = F.filter("avoid_overlay_ids", lambda e: ~F.array_contains(required, e) & ~F.array_contains(preferred, e) & ~F.array_contains(F.col("sacrificable"), e))
-    named = lambda ids, role: F.transform(ids, lambda e: F.struct(e.alias("id"), F.lit(role).alias("role")))
+    named = lambda ids, role: F.transform(ids, lambda e: F.struct(e.alias("id"), F.lit(role).alias("role"), _fact(e).alias("fact")))
+    every = F.concat(named(required, "required"), named(preferred, "preferred"), named(overlay, "avoid_overlay"))
+    return F.when(F.col("vertical_strategy") == "tracked_crop", every).otherwise(F.slice(named(required, "required"), 1, 0))
+
+
+def entity_regions() -> Column:
+    """The regions of a candidate's row with _ids, as _region_ids() gives them."""
 
     def region(x: Column) -> Column:
-        kind = region_kind(_first(F.col("entities"), lambda e: e["entity_id"] == x["id"])["kind"])
-        must = x["role"] == "required"
-        relations = F.array_distinct(F.concat(_relations(x["id"]), F.array(_note("editorial_framing_intent", F.col("framing_intent")))))
+        fact, must = x["fact"], x["role"] == "required"
+        kind = F.coalesce(fact["kind"], F.lit("subject"))
+        relations = F.array_distinct(F.concat(F.coalesce(fact["relations"], F.array().cast("array<string>")), F.array(_note("editorial_framing_intent", F.col("framing_intent")))))
         return F.struct(
-            F.concat_ws(".", safe_token(F.col("candidate_id")), safe_token(x["role"]), safe_token(x["id"])).alias("region_id"), x["id"].alias("entity_id"), entity_text(x["id"]).alias("target_description"), kind.alias("kind"), x["role"].alias("role"),
+            F.concat_ws(".", safe_token(F.col("candidate_id")), safe_token(x["role"]), safe_token(x["id"])).alias("region_id"), x["id"].alias("entity_id"), fact["text"].alias("target_description"), kind.alias("kind"), x["role"].alias("role"),
             (must & kind.isin("text_region", "ui_region", "graphic")).alias("atomic"), F.when(must, F.lit(1.0)).alias("minimum_visible_fraction"), relations.alias("observable_relations"),
         )
 
-    made = F.transform(F.concat(named(required, "required"), named(preferred, "preferred"), named(overlay, "avoid_overlay")), region)
-    return F.when(F.col("vertical_strategy") == "tracked_crop", made).otherwise(F.array().cast(f"array<{REGION}>"))
+    return F.transform("_ids", region)
 
 
 def union_regions(regions: Column) -> Column:
@@ -117,6 +135,20 @@ def _heads() -> list[Column]:
     ]
 
 
+def _described(candidates: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """described_candidates(), with each candidate's own rule as _rule."""
+    # what an event says of its entities is put together once an event, not once a candidate
+    known = events.select("asset_id", "event_id", "avoid_overlay_ids", entity_facts().alias("_facts"), F.lit(True).alias("_known"))
+    c = candidates.withColumnRenamed("required", "required_ids_of_candidate").join(known, ["asset_id", "event_id"], "left")
+    required = F.col("required_ids_of_candidate")
+    c = c.withColumns({"_ids": _region_ids(), "_texts": F.transform(required, lambda e: _fact(e)["text"]), "horizontal_target": F.when(F.col("focus_id").isNotNull(), _fact(F.col("focus_id"))["text"])})
+    c = c.withColumns({"vertical_target": F.when(F.size(required) > 0, F.array_join("_texts", " | ")), "regions": entity_regions()})
+    unknown = (F.col("focus_id").isNotNull() & F.col("horizontal_target").isNull()) | F.exists("_texts", lambda t: t.isNull()) | F.exists("_ids", lambda x: x["fact"]["text"].isNull())
+    rule = F.when(F.col("_known").isNull(), "event_missing").when(unknown, "entity_missing").when(F.size("_ids") > MOST_REGIONS, "too_many_regions")
+    keep = ["chapter", "position", "candidate_id", *_SHARED, "horizontal_strategy", "zoom_intent", "horizontal_target", "vertical_strategy", "crop_mode", "vertical_target", "regions", "quality_risks", "confidence"]
+    return c.select(*keep, rule.alias("_rule")), c.select("chapter", "candidate_id", rule.alias("rule")).where("rule IS NOT NULL")
+
+
 def described_candidates(candidates: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates with horizontal_target, vertical_target and regions, violations (chapter, candidate_id, rule)).
 
@@ -125,14 +157,8 @@ def described_candidates(candidates: DataFrame, events: DataFrame) -> tuple[Data
     confidence. events: asset_id, event_id, the id lists of RELATIONS, entities (entity_id, kind, label, features) and targets
     (entity_id, target_description).
     """
-    c = candidates.withColumnRenamed("required", "required_ids_of_candidate").join(events.withColumn("_known", F.lit(True)), ["asset_id", "event_id"], "left")
-    required = F.col("required_ids_of_candidate")
-    texts = F.transform(required, entity_text)
-    c = c.withColumns({"horizontal_target": F.when(F.col("focus_id").isNotNull(), entity_text(F.col("focus_id"))), "vertical_target": F.when(F.size(required) > 0, F.array_join(texts, " | ")), "regions": entity_regions()})
-    unknown = (F.col("focus_id").isNotNull() & F.col("horizontal_target").isNull()) | F.exists(texts, lambda t: t.isNull()) | F.exists("regions", lambda r: r["target_description"].isNull())
-    rule = F.when(F.col("_known").isNull(), "event_missing").when(unknown, "entity_missing").when(F.size("regions") > MOST_REGIONS, "too_many_regions")
-    keep = ["chapter", "position", "candidate_id", *_SHARED, "horizontal_strategy", "zoom_intent", "horizontal_target", "vertical_strategy", "crop_mode", "vertical_target", "regions", "quality_risks", "confidence"]
-    return c.select(*keep), c.select("chapter", "candidate_id", rule.alias("rule")).where("rule IS NOT NULL")
+    described, wrong = _described(candidates, events)
+    return described.drop("_rule"), wrong
 
 
 def selection_violations(chapters: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -149,10 +175,14 @@ def project_choices(chapters: DataFrame, candidates: DataFrame, events: DataFram
     chapters: chapter, evidence_status, horizontal_candidate_id, vertical_candidate_id. A chapter without evidence has fixed
     words and no candidates; one with a violation is left out. Candidates are as in described_candidates().
     """
-    described, wrong = described_candidates(candidates, events)
+    described, wrong = _described(candidates, events)
     found = chapters.where("evidence_status <> 'not_found'")
     violations = wrong.select("chapter", "rule").unionByName(selection_violations(chapters, candidates).select("chapter", "rule")).join(found.select("chapter"), "chapter", "left_semi").distinct()
-    p = _with_options(_chapters(found.join(violations.select("chapter"), "chapter", "left_anti"), described))
+    # a chapter's row holds what is wrong with it, so that no candidate is described a second time to find out
+    holds = lambda test: F.coalesce(F.exists("cards", test), F.lit(False))
+    selects = lambda name: holds(lambda c: c["candidate_id"] == F.col(name))
+    right = ~holds(lambda c: c["_rule"].isNotNull()) & selects("horizontal_candidate_id") & selects("vertical_candidate_id")
+    p = _with_options(_chapters(found, described).where(right))
     h, v = F.col("h"), F.col("v")
     both = lambda f: F.when(h["candidate_id"] == v["candidate_id"], h[f]).otherwise(F.concat(F.lit("16:9: "), h[f], F.lit(" 9:16: "), v[f]))
     made = p.select(

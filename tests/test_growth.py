@@ -1,7 +1,12 @@
 """Steps whose memory, shuffles and files must not grow faster than the tables."""
 
+from pathlib import Path
+
 from reelwork.operators import candidates, segments
+from reelwork.operators.rounds import drop_folder
+from reelwork.plans import files
 from reelwork.plans.registry import QUERIES
+from reelwork.sources.views import view
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -40,3 +45,19 @@ def test_topk_contract_copies_no_rows(spark):
     rows = [(1, "a", 7, 1), (1, "a", 7, 2), (1, "b", None, 4), (2, "a", 1, 1), (2, "b", 2, 2)]
     got = candidates.topk_violations(spark.createDataFrame(rows, "chapter long, candidate_id string, frame_id long, rank int"), spark.createDataFrame([(1, "z"), (2, "b")], "chapter long, selected string"))
     assert {tuple(r) for r in got.collect()} == {(1, "duplicate_id"), (1, "same_evidence"), (1, "ranks"), (1, "selected_missing"), (1, "selected_not_first"), (2, "selected_not_first")}
+
+
+def test_artifacts_are_files_of_one_folder(spark):
+    events = view(spark, TABLES, "l_json")
+    folder = files._written(events)
+    there = list(Path(folder.removeprefix("file:")).iterdir())
+    assert not any(x.is_dir() for x in there)
+    assert sum(x.name.startswith("part-") and x.stat().st_size > 0 for x in there) == events.selectExpr("event_id div 100 AS run").distinct().count()
+    drop_folder(spark, folder)
+
+
+def test_projected_plan_reads_entities_once_an_event(spark):
+    plan = plan_of(QUERIES["c8_project_plan"](spark, TABLES))
+    joins = [line for line in plan.split("\n") if "Join LeftOuter" in line and "event_id" in line]
+    assert joins and len(joins) <= 2
+    assert "_facts" in plan
