@@ -38,10 +38,12 @@ def usage_dedup(log: DataFrame) -> DataFrame:
 
 
 def usage_duplicates(log: DataFrame) -> DataFrame:
-    marked = _marked(log)
-    attempted = marked.where("is_attempt").select("payload_hash").distinct().withColumn("has_attempt", F.lit(True))
-    heads = _heads(marked).select("payload_hash", F.col("path").alias("first_path")).join(attempted, "payload_hash", "left")
-    return marked.where("NOT is_attempt").join(heads, "payload_hash").where(F.col("has_attempt").isNotNull() | (F.col("path") != F.col("first_path"))).select("path", "payload_hash")
+    """(path, payload_hash) of the rows that usage_dedup() leaves out."""
+    rows = log.select("path", "payload", is_attempt(F.col("path")).alias("is_attempt"))
+    # one pass finds the first path and the attempts of each payload; payloads are compared themselves, and only what is left out is hashed
+    heads = rows.groupBy("payload").agg(F.min(F.when(~F.col("is_attempt"), F.col("path"))).alias("first_path"), F.bool_or("is_attempt").alias("has_attempt"))
+    out = rows.where("NOT is_attempt").join(heads, "payload").where(F.col("has_attempt") | (F.col("path") != F.col("first_path")))
+    return out.select("path", F.sha2("payload", 256).alias("payload_hash"))
 
 
 def usage_cost(log: DataFrame, prices: DataFrame) -> DataFrame:

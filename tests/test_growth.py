@@ -61,3 +61,13 @@ def test_projected_plan_reads_entities_once_an_event(spark):
     joins = [line for line in plan.split("\n") if "Join LeftOuter" in line and "event_id" in line]
     assert joins and len(joins) <= 2
     assert "_facts" in plan
+
+
+def test_usage_duplicates_needs_no_window(spark):
+    from reelwork.operators.usage import usage_dedup, usage_duplicates
+
+    rows = [("b.json", "p"), ("a.json", "p"), ("attempts/c.json", "q"), ("d.json", "q"), ("e.json", "r"), ("f.json", None)]
+    log = spark.createDataFrame(rows, "path string, payload string")
+    assert "Window" not in plan_of(usage_duplicates(log))
+    assert {r["path"] for r in usage_duplicates(log).collect()} == {"b.json", "d.json"}
+    assert {r["path"] for r in usage_dedup(log).collect()} == {"a.json", "attempts/c.json", "e.json", "f.json"}
