@@ -164,3 +164,12 @@ def test_a_batch_that_was_cut_off_is_done_again(spark, tmp_path, monkeypatch):
     again = artifacts.take_new_artifacts(spark, str(root), "*.json", state, 2)
     assert again.count() == 2
     assert sorted(q.path.rsplit("/", 1)[1] for q in artifacts.taken_artifacts(spark, state).collect()) == [f"{k}.json" for k in range(4)]
+
+
+@pytest.mark.parametrize("text, cut", [('{"a":"x 1.25E7","b":0.5}', False), ('{"a":[1,2.25],"b":-0.0001}', False), ('{"a":1.0E7}', True), ('{"a":0.00001}', True), ('{"a":"\\\\u001A"}', True), ('{"a":0.30000000000000004}', True)])
+def test_only_json_that_python_writes_otherwise_is_cut(text, cut):
+    import re
+
+    from reelwork.functions.text import _DIFFERS
+
+    assert bool(re.search(_DIFFERS, text)) == cut
