@@ -6,11 +6,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from reelwork.functions.geometry import center_distance, iou
 from reelwork.functions.text import label_similarity
 from reelwork.session import arrow_map, find_package
 
+# Spark may not know that it is determined: it would move a filter on the score, and with it the scoring, below distinct()
+_scored = F.pandas_udf(label_similarity.func, DoubleType()).asNondeterministic()
 HARD_REJECTIONS = ("not_visible", "target_mismatch", "insufficient_evidence")
 
 
@@ -67,7 +70,7 @@ def pairs_within(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFr
 def with_label_similarity(pairs: DataFrame, left: str, right: str, name: str = "similarity") -> DataFrame:
     """pairs with the similarity of two labels, scored once for each distinct pair of labels."""
     find_package(pairs.sparkSession)
-    labels = pairs.select(left, right).distinct().withColumn(name, label_similarity(left, right))
+    labels = pairs.select(left, right).distinct().withColumn(name, _scored(left, right))
     return pairs.join(labels, [left, right])
 
 

@@ -2,6 +2,8 @@
 
 from pathlib import Path
 
+import pytest
+
 from reelwork.operators import candidates, segments
 from reelwork.operators.rounds import drop_folder
 from reelwork.plans import files
@@ -71,3 +73,9 @@ def test_usage_duplicates_needs_no_window(spark):
     assert "Window" not in plan_of(usage_duplicates(log))
     assert {r["path"] for r in usage_duplicates(log).collect()} == {"b.json", "d.json"}
     assert {r["path"] for r in usage_dedup(log).collect()} == {"a.json", "attempts/c.json", "e.json", "f.json"}
+
+
+@pytest.mark.parametrize("name", ["t2_greedy_match_groundings", "c1_compare_runs"])
+def test_labels_are_scored_after_distinct(spark, name):
+    plan = plan_of(QUERIES[name](spark, TABLES))
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Aggregate [left_label")
