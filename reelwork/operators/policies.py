@@ -23,31 +23,31 @@ def _value(kind: str, saved: Column, current: Column) -> Column:
 
 
 def file_bindings() -> Column:
-    """The bindings (kind, path, saved, root) of a bundle's row to files: the hash that each file must have, and the folder that it must lie in, if any."""
+    """The bindings (kind, path, saved, root; null: does not apply) of a bundle's row to files: the hash that each file must have, and the folder that it must lie in, if any."""
     saved, source, side, policy = F.col("saved"), F.col("source"), F.col("sidecar"), F.col("policy")
     projected = source["origin"] == PROJECTED
-    return F.array_compact(F.array(
+    return F.array(
         _file("saved_catalog", F.col("catalog_path"), saved["catalog_sha256"]), _file("saved_brief", F.col("brief_path"), saved["brief_sha256"]), _file("saved_plan", F.col("plan_path"), saved["plan_sha256"]),
         _file("policy_sidecar", policy["sidecar_path"], policy["sidecar_sha256"], policy["sidecar_root"]),
         _file("sidecar_catalog", side["catalog_path"], side["catalog_sha256"]), _file("sidecar_source_brief", side["source_brief_path"], side["source_brief_sha256"]), _file("sidecar_source_plan", side["source_plan_path"], side["source_plan_sha256"]), _file("sidecar_source_binding", side["source_binding_path"], side["source_binding_sha256"]),
         _file("source_catalog", source["catalog_path"], source["catalog_sha256"]), _file("source_brief", source["brief_path"], source["brief_sha256"]), _file("source_plan", source["plan_path"], source["plan_sha256"]), _file("source_request", source["request_path"], source["request_sha256"]),
         _file("projection_pointer", source["pointer_path"], source["projection_pointer_sha256"], when=projected), _file("projection_record", source["record_path"], source["projection_record_sha256"], source["record_root"], projected), _file("projection_pointer_record", source["record_path"], source["pointer_record_sha256"], source["record_root"], projected),
-    ))
+    )
 
 
-def value_bindings() -> Column:
+def value_bindings() -> list[Column]:
     """The bindings (kind, saved, current) of a bundle's row between what was saved and what holds now."""
     saved, source, side, policy = F.col("saved"), F.col("source"), F.col("sidecar"), F.col("policy")
     record = source["record"]
     own = lambda c: F.when(source["origin"] == PROJECTED, c).otherwise(F.lit(None))
-    return F.array(
+    return [
         _value("saved_version", saved["binding_version"], F.lit(PLAN_BINDING_VERSION)), _value("saved_origin", saved["origin"], F.lit(POLICY_ORIGIN)), _value("source_version", source["binding_version"], F.lit(PLAN_BINDING_VERSION)),
         _value("project", side["project_id"], F.col("project_id")), _value("catalog", side["catalog_id"], F.col("catalog_id")), _value("sidecar_catalog_path", side["catalog_path"], F.col("catalog_path")),
         _value("source_catalog_path", source["catalog_path"], F.col("catalog_path")), _value("source_brief_path", source["brief_path"], side["source_brief_path"]), _value("source_plan_path", source["plan_path"], side["source_plan_path"]),
         _value("selection", side["selection_fingerprint"], F.col("selection_fingerprint")), _value("saved_selection", saved["selection_fingerprint"], F.col("selection_fingerprint")), _value("saved_sidecar", saved["reframe_policy_sidecar_sha256"], policy["sidecar_sha256"]), _value("saved_source_binding", saved["source_plan_binding_sha256"], side["source_binding_sha256"]),
         *[_value(f"saved_{c}", saved[c], source[c]) for c in MODEL_FIELDS],
         *[_value(f"record_{c}", own(record[c]), own(source[s])) for c, s in (("catalog_sha256", "catalog_sha256"), ("brief_sha256", "brief_sha256"), ("feature_plan_sha256", "plan_sha256"))],
-    )
+    ]
 
 
 def binding_mismatches(bundles: DataFrame, files: DataFrame) -> DataFrame:
@@ -58,19 +58,22 @@ def binding_mismatches(bundles: DataFrame, files: DataFrame) -> DataFrame:
     none. files: path, sha256 as they are. A binding without a saved value is missing, one to no file is without a file, and one to
     a file outside its folder escapes it; a source without a model's field is not complete.
     """
-    b = bundles.withColumns({"_files": file_bindings(), "_values": value_bindings()})
-    f = b.select("bundle_id", F.explode("_files").alias("x")).select("bundle_id", "x.*").join(files.select("path", F.col("sha256").alias("current")), "path", "left")
+    f = bundles.select("bundle_id", F.explode(file_bindings()).alias("x")).where("x IS NOT NULL").select("bundle_id", "x.*").join(files.select("path", F.col("sha256").alias("current")), "path", "left")
     outside = F.col("root").isNotNull() & (~F.startswith("path", F.concat("root", F.lit("/"))) | F.contains("path", F.lit("/../")))
     f = f.withColumn("rule", F.when(F.col("saved").isNull(), "not_saved").when(outside, "escapes_folder").when(F.col("current").isNull(), "no_file").when(F.col("current") != F.col("saved"), "differs"))
-    v = b.select("bundle_id", F.explode("_values").alias("x")).select("bundle_id", "x.*")
-    v = v.withColumn("rule", F.when(F.col("saved").isNull() & F.col("current").isNotNull(), "not_saved").when(~F.col("saved").eqNullSafe(F.col("current")), "differs"))
-    needed = F.array(*[F.when(F.coalesce(F.col("source")[c], F.lit("")) == "", F.struct(F.lit(f"source_{c}").alias("kind"))) for c in (*MODEL_FIELDS, "request_path")])
-    gone = b.select("bundle_id", F.explode(F.array_compact(needed)).alias("x")).select("bundle_id", "x.kind", F.lit("not_complete").alias("rule"))
-    absent = [F.when(F.col(c).isNull(), F.struct(F.lit(k).alias("kind"))) for c, k in (("policy", "policy_binding"), ("sidecar", "policy_record"), ("source", "source_binding"))]
-    none = b.select("bundle_id", F.explode(F.array_compact(F.array(*absent))).alias("x")).select("bundle_id", "x.kind", F.lit("absent").alias("rule"))
-    columns = ["bundle_id", "kind", "saved", "current", "rule"]
-    there = f.where("rule IS NOT NULL").select(*columns).unionByName(v.where("rule IS NOT NULL").select(*columns))
-    return there.unionByName(gone, allowMissingColumns=True).unionByName(none, allowMissingColumns=True)
+    none = F.lit(None).cast("string")
+    row = lambda kind, saved, current, rule: F.struct(kind.alias("kind"), saved.alias("saved"), current.alias("current"), rule.alias("rule"))
+
+    def differing(x: Column) -> Column:
+        rule = F.when(x["saved"].isNull() & x["current"].isNotNull(), "not_saved").when(~x["saved"].eqNullSafe(x["current"]), "differs")
+        return F.when(rule.isNotNull(), row(x["kind"], x["saved"], x["current"], rule))
+
+    # what a bundle's row settles alone is told in one pass, and only what no longer holds is made into rows
+    gone = [F.when(F.coalesce(F.col("source")[c], F.lit("")) == "", row(F.lit(f"source_{c}"), none, none, F.lit("not_complete"))) for c in (*MODEL_FIELDS, "request_path")]
+    absent = [F.when(F.col(c).isNull(), row(F.lit(k), none, none, F.lit("absent"))) for c, k in (("policy", "policy_binding"), ("sidecar", "policy_record"), ("source", "source_binding"))]
+    told = [*map(differing, value_bindings()), *gone, *absent]
+    own = bundles.select("bundle_id", F.explode(F.array(*told)).alias("x")).where("x IS NOT NULL")
+    return f.where("rule IS NOT NULL").select("bundle_id", "kind", "saved", "current", "rule").unionByName(own.select("bundle_id", "x.*"))
 
 
 OVERRIDES = ("vertical_overflow_policy", "vertical_edge_priority", "vertical_crop_mode", "vertical_regions")

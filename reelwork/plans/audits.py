@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reelwork.operators import audits as A
 from reelwork.operators import policies as L
 from reelwork.operators.projection import plan_violations
+from reelwork.operators.rounds import cut_lineage
 from reelwork.plans.base import query
 from reelwork.sources.views import SHA
 
@@ -90,7 +91,8 @@ _THERE = "NOT (name = 'request' AND chapter % 31 = 3) AND NOT (name = 'old_plan'
     UNION ALL SELECT chapter, 'source_model_id', NULL, NULL, 'not_complete' FROM b WHERE complete IS NULL)
 SELECT chapter, kind, saved, current, rule FROM m""")
 def _v20l(c):
-    b = c.select("chapter").distinct().withColumns({k: F.expr(v) for k, v in (_HASHES | _OWN).items()})
+    chapters = cut_lineage(c.select("chapter").distinct())  # read for the files and twice for the bindings, which are not made in each candidate's row
+    b = chapters.withColumns({k: F.expr(v) for k, v in (_HASHES | _OWN).items()})
     path = lambda name: F.concat(F.lit("/"), F.col("chapter").cast("string"), F.lit(f"/{name}"))
     text, none = F.lit, F.lit(None).cast("string")
     model = {c: text("m") for c in L.MODEL_FIELDS}

@@ -79,3 +79,8 @@ def test_usage_duplicates_needs_no_window(spark):
 def test_labels_are_scored_after_distinct(spark, name):
     plan = plan_of(QUERIES[name](spark, TABLES))
     assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Aggregate [left_label")
+
+
+def test_policy_bindings_are_made_once_a_chapter(spark):
+    plan = plan_of(QUERIES["v20_policy_lineage"](spark, TABLES))
+    assert "l_orderkey" not in plan.split("LogicalRDD")[0] and "Aggregate" not in plan and plan.count("Generate explode") == 3
