@@ -60,17 +60,20 @@ def failure_codes(policy: Policy) -> Column:
     """
     say = lambda when, code: F.when(when, F.lit(code))
     switched = ~F.coalesce("checkpoints_ok", F.lit(not policy.require_semantic_checkpoints))
-    before = F.array(
+    before = (
         say(~F.col("lineage_ok"), "source_lineage_invalid"), say(~F.col("single_shot"), "shot_boundary_crossing"), say(F.col("confidence") < policy.minimum_evidence_confidence, "evidence_confidence_below_minimum"),
         say(F.col("semantic_status") == "ambiguous", "target_ambiguity_above_maximum"), say(F.col("semantic_status").isin("not_visible", "target_mismatch", "insufficient_evidence"), "semantic_match_below_minimum"),
         say(~F.col("confidence_ok"), "track_confidence_below_minimum"), say(~F.col("coverage_ok"), "track_coverage_below_minimum"), say(switched, "identity_switch_detected"),
     )
-    after = F.array(
+    after = (
         say(F.col("max_speed") > policy.max_crop_speed_pixels_per_second, "crop_speed_above_maximum"), say(F.col("max_acceleration") > policy.max_crop_acceleration_pixels_per_second_squared, "crop_acceleration_above_maximum"),
         say(F.col("max_jerk") > policy.max_crop_jerk_pixels_per_second_cubed, "crop_jerk_above_maximum"), say(F.col("geometry_fingerprint") != F.col("expected_fingerprint"), "geometry_fingerprint_mismatch"),
         say((F.col("strategy") == "center_crop") & F.lit(not policy.allow_safe_center_crop), "no_feasible_presentation"),
     )
-    return F.array_distinct(F.array_compact(F.concat(before, F.flatten(F.transform("regions", _region_codes)), after)))
+    # only regions can fail a gate twice, so only their codes go through functions of arrays, which are slow
+    of_regions = F.array_distinct(F.flatten(F.transform("regions", _region_codes)))
+    text = F.when(of_regions.isNotNull(), F.concat_ws(",", *before, of_regions, *after))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ","))
 
 
 def with_codes(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:

@@ -84,3 +84,9 @@ def test_labels_are_scored_after_distinct(spark, name):
 def test_policy_bindings_are_made_once_a_chapter(spark):
     plan = plan_of(QUERIES["v20_policy_lineage"](spark, TABLES))
     assert "l_orderkey" not in plan.split("LogicalRDD")[0] and "Aggregate" not in plan and plan.count("Generate explode") == 3
+
+
+def test_failure_codes_are_no_functions_of_arrays(spark):
+    plan = plan_of(QUERIES["f34_audit_bounded_clip"](spark, TABLES))
+    assert "concat_ws(,, CASE WHEN NOT lineage_ok" in plan and "isnotnull(lambda arg" not in plan
+    assert plan.index("Contains(lambda x") < plan.index("RLIKE(lambda x")  # JSON without a point or an escape doesn't meet the pattern
