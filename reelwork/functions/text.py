@@ -21,6 +21,15 @@ def safe_token(text: Column) -> Column:
     return F.when(token == "", "region").otherwise(token)
 
 
+# all characters of the Unicode property White_Space
+_WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.btrim(text, F.lit(_WHITE))
+
+
 def contract_id(value: Column, prefix: str) -> Column:
     """The trimmed value if it is an id, else the prefix, a hyphen and 16 hex digits of its hash."""
     trimmed = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelwork.functions.text import canonical_sha256, json_sha256, python_json
+from reelwork.functions.text import canonical_sha256, json_sha256, python_json, stripped
 from reelwork.operators.rounds import cut_lineage
 
 
@@ -248,49 +248,46 @@ def propose_candidates(candidates: DataFrame) -> DataFrame:
     """
     empty = F.array().cast("array<string>")
     none = F.array().cast("array<struct<crop_sha256:string,frame_id:string>>")
-    text = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     target_id = lambda r: F.when(F.coalesce(r["entity_id"], F.lit("")) != "", r["entity_id"]).otherwise(F.concat(F.lit("reframe_"), r["region_id"]))
     role = lambda r: F.when(r["role"] == "avoid_overlay", "overlay_keepout").when((r["role"] == "required") | r["atomic"], "hard_core").otherwise("soft_extent")
 
-    def target(name: Column, description: Column, context: Column, exclusions: Column) -> Column:
+    def part(name: Column, kind: Column, description: Column, context: Column, exclusions: Column, share: Column, atomic: Column) -> Column:
+        return F.struct(name.alias("id"), kind.alias("kind"), stripped(description).alias("words"), context.alias("context"), exclusions.alias("exclusions"), share.cast("double").alias("share"), atomic.alias("atomic"))
+
+    def target(p: Column) -> Column:
         return F.struct(
-            context.alias("context_cues"), F.array(description).alias("identity_cues"), none.alias("negative_anchors"), none.alias("positive_anchors"), F.lit("whole_instance").alias("scope"), exclusions.alias("stable_exclusions"), description.alias("target_description"), name.alias("target_id"),
+            p["context"].alias("context_cues"), F.array(p["words"]).alias("identity_cues"), none.alias("negative_anchors"), none.alias("positive_anchors"), F.lit("whole_instance").alias("scope"), p["exclusions"].alias("stable_exclusions"), p["words"].alias("target_description"), p["id"].alias("target_id"),
         )
 
-    def floor(name: Column, share: Column, atomic: Column) -> Column:
-        return F.struct(atomic.alias("atomic"), share.cast("double").alias("minimum_visible_fraction"), name.alias("target_id"))
-
-    of_role = lambda kind: F.transform(F.filter("regions", lambda r: role(r) == kind), target_id)
-    own = (F.size(of_role("hard_core")) == 0) & F.col("target_description").isNotNull()
-    subject = F.lit("reframe_subject")
-    share = lambda r: F.when(role(r) == "hard_core", 1.0).otherwise(F.coalesce(r["minimum_visible_fraction"], F.lit(0.72)))
-    more = lambda item, kind: F.when(own, F.array(item)).otherwise(F.array().cast(kind))
-    targets = F.transform("regions", lambda r: target(target_id(r), text(r["target_description"]), r["observable_relations"], r["exclusions"]))
-    floors = F.transform(F.filter("regions", lambda r: role(r) != "overlay_keepout"), lambda r: floor(target_id(r), share(r), r["atomic"]))
-    c = candidates.withColumns({
-        "targets": F.concat(targets, F.when(own, F.array(target(subject, text(F.col("target_description")), empty, empty))).otherwise(F.slice(targets, 1, 0))), "required": F.concat(of_role("hard_core"), more(subject, "array<string>")), "preferred": of_role("soft_extent"), "keepouts": of_role("overlay_keepout"),
-        "floors": F.concat(floors, F.when(own, F.array(floor(subject, F.lit(1.0), F.lit(False)))).otherwise(F.slice(floors, 1, 0))), "own": own,
-    })
-    ids = F.transform("targets", lambda t: t["target_id"])
+    # id, kind and words of a region are made once; all else reads them, each step from columns, so that nothing is worked out twice
+    given = F.transform("regions", lambda r: part(target_id(r), role(r), r["target_description"], r["observable_relations"], r["exclusions"], r["minimum_visible_fraction"], r["atomic"]))
+    own = ~F.array_contains(F.col("_given.kind"), "hard_core") & F.col("target_description").isNotNull()
+    subject = part(F.lit("reframe_subject"), F.lit("hard_core"), F.col("target_description"), empty, empty, F.lit(None), F.lit(False))
+    of_kind = lambda kind: F.transform(F.filter("_parts", lambda p: p["kind"] == kind), lambda p: p["id"])
+    share = lambda p: F.when(p["kind"] == "hard_core", 1.0).otherwise(F.coalesce(p["share"], F.lit(0.72)))
+    floors = F.transform(F.filter("_parts", lambda p: p["kind"] != "overlay_keepout"), lambda p: F.struct(p["atomic"].alias("atomic"), share(p).alias("minimum_visible_fraction"), p["id"].alias("target_id")))
+    c = candidates.withColumn("_given", given).withColumn("_parts", F.when(own, F.concat("_given", F.array(subject))).otherwise(F.col("_given"))).drop("_given")
+    ids, words = F.col("_parts.id"), F.col("_parts.words")
+    blank = F.exists(words, lambda w: F.coalesce(w, F.lit("")) == "")
+    participants = F.col("predicate.participant_target_ids")
+    rule = (
+        F.when(F.size("_parts") == 0, "no_identity").when(blank, "blank_description").when(F.size(F.array_distinct(ids)) < F.size(ids), "repeated_target").when(F.col("predicate").isNotNull() & (F.size(F.array_except(participants, ids)) > 0), "unknown_participant")
+    )
+    c = c.withColumns({"required": of_kind("hard_core"), "preferred": of_kind("soft_extent"), "keepouts": of_kind("overlay_keepout"), "rule": rule})
     strict = F.col("crop_mode") == "strict"
     # fixed values: these sentences go into the framing's hash
-    duties = F.array_compact(F.array(
-        F.when(F.size("required") > 0, F.when(F.col("crop_mode") == "primary_center", "Keep required targets recognizable under the saved controlled clipping policy.").otherwise("Keep required targets fully visible and recognizable.")),
+    duties = F.concat_ws(
+        " ", F.when(F.size("required") > 0, F.when(F.col("crop_mode") == "primary_center", "Keep required targets recognizable under the saved controlled clipping policy.").otherwise("Keep required targets fully visible and recognizable.")),
         F.when(F.size("preferred") > 0, F.lit("Retain preferred targets when the frame permits.")), F.when(F.size("keepouts") > 0, F.lit("Keep overlay-protected targets unobscured.")),
-    ))
-    aspect = F.struct(F.lit("9:16").alias("aspect_ratio"), F.lit("Required targets must remain directly visible in the portrait frame.").alias("constraint"), F.when(strict, "forbid").otherwise("allow_controlled").alias("required_target_clipping_policy"), F.col("required").alias("required_target_ids"), F.col("floors").alias("target_visibility_constraints"))
+    )
+    aspect = F.struct(F.lit("9:16").alias("aspect_ratio"), F.lit("Required targets must remain directly visible in the portrait frame.").alias("constraint"), F.when(strict, "forbid").otherwise("allow_controlled").alias("required_target_clipping_policy"), F.col("required").alias("required_target_ids"), floors.alias("target_visibility_constraints"))
     framing = F.struct(
-        F.array(aspect).alias("aspect_constraints"), F.array(F.lit("portrait_reframe")).alias("editing_uses"), F.when(F.size(duties) > 0, F.array_join(duties, " ")).otherwise("Keep the selected target recognizable.").alias("framing_intent"),
+        F.array(aspect).alias("aspect_constraints"), F.array(F.lit("portrait_reframe")).alias("editing_uses"), F.when(duties != "", duties).otherwise("Keep the selected target recognizable.").alias("framing_intent"),
         F.col("keepouts").alias("overlay_keepout_target_ids"), F.col("preferred").alias("preferred_target_ids"), F.col("required").alias("required_target_ids"), empty.alias("sacrificable_target_ids"),
     )
-    blank = F.exists("targets", lambda t: F.coalesce(t["target_description"], F.lit("")) == "")
-    participants = F.col("predicate.participant_target_ids")
-    rule = (
-        F.when(F.size("targets") == 0, "no_identity").when(blank, "blank_description").when(F.size(F.array_distinct(ids)) < F.size(ids), "repeated_target").when(F.col("predicate").isNotNull() & (F.size(F.array_except(participants, ids)) > 0), "unknown_participant")
-    )
     reference = F.coalesce(F.col("provenance.source_reference"), F.concat(F.lit("feature-vertical-candidate:"), "candidate_id"))
     provenance = F.struct(F.col("provenance.created_at").alias("created_at"), F.col("provenance.created_by").alias("created_by"), reference.alias("source_reference"))
-    p = c.withColumn("rule", rule).withColumns({"identity": F.when(F.col("rule").isNull(), F.struct("targets")), "framing": F.when(F.col("rule").isNull(), framing), "predicate": F.when(F.col("rule").isNull(), F.col("predicate")), "provenance": provenance})
+    p = c.withColumns({"identity": F.when(F.col("rule").isNull(), F.struct(F.transform("_parts", target).alias("targets"))), "framing": F.when(F.col("rule").isNull(), framing), "predicate": F.when(F.col("rule").isNull(), F.col("predicate")), "provenance": provenance})
     h = component_hashes(p)
     predicate = F.when(F.col("predicate").isNotNull(), F.col("predicate_sha256"))
     said = F.struct("claim_source", F.lit("feature-vertical-candidate-query-adapter-v1").alias("contract_version"), "editorial_goal", "framing_sha256", "identity_sha256", predicate.alias("predicate_sha256"), "provenance", "revision")

@@ -90,3 +90,19 @@ def test_failure_codes_are_no_functions_of_arrays(spark):
     plan = plan_of(QUERIES["f34_audit_bounded_clip"](spark, TABLES))
     assert "concat_ws(,, CASE WHEN NOT lineage_ok" in plan and "isnotnull(lambda arg" not in plan
     assert plan.index("Contains(lambda x") < plan.index("RLIKE(lambda x")  # JSON without a point or an escape doesn't meet the pattern
+
+
+def test_proposals_make_a_region_once(spark):
+    plan = plan_of(QUERIES["c13_candidate_proposals"](spark, TABLES))
+    assert plan.count("avoid_overlay") <= 2 and "(?U)" not in plan  # once in the table's view, once in the pass over the regions
+
+
+def test_stripped_takes_all_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from reelwork.functions.text import stripped
+
+    c = F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE")
+    rows = spark.range(1, 0xD800).unionByName(spark.range(0xE000, 0xFFFE)).select(F.concat(c, F.lit("a"), c, F.lit("b"), c, F.lit("\n")).alias("t"))
+    assert rows.where(stripped(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+    assert rows.where(stripped(F.col("t")) == F.concat(F.lit("a"), F.substring("t", 1, 1), F.lit("b"))).count() == 25
