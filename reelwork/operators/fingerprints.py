@@ -22,8 +22,7 @@ def _fields(columns: list[str]) -> Column:
 
 def _children(order: str, columns: list[str]) -> Column:
     """The child rows of a group in order, as an array of structs with sorted fields."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), _fields(columns).alias("_row"))))
-    return F.transform(rows, lambda x: x["_row"])
+    return F.sort_array(F.collect_list(F.struct(F.col(order).alias("_at"), _fields(columns).alias("_row"))))["_row"]
 
 
 def track_fingerprints(samples: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -53,7 +52,8 @@ def dense_fingerprints(frames: DataFrame) -> DataFrame:
     """(source_asset_id, event_id, catalog_sha256) over the frames of a dense catalog in order of pos; paths and the time of making don't count."""
     heads = ["source_asset_id", "event_id", "sampling_fps", "source_start_ms", "source_end_ms", "contact_sheet_hashes"]
     rows = _children("pos", ["frame_id", "event_id", "requested_time_ms", "frame_time_ms", "frame_pts", "frame_hash", "width", "height", "transport_image_hash"])
-    g = frames.groupBy(*heads).agg(rows.alias("frames"))
+    # groups of many keys are told apart by sorting: the event first, which few of them share
+    g = frames.groupBy("event_id", *[c for c in heads if c != "event_id"]).agg(rows.alias("frames"))
     return g.select("source_asset_id", "event_id", json_sha256(_fields([*heads, "frames"])).alias("catalog_sha256"))
 
 

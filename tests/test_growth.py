@@ -106,3 +106,9 @@ def test_stripped_takes_all_white_space(spark):
     rows = spark.range(1, 0xD800).unionByName(spark.range(0xE000, 0xFFFE)).select(F.concat(c, F.lit("a"), c, F.lit("b"), c, F.lit("\n")).alias("t"))
     assert rows.where(stripped(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
     assert rows.where(stripped(F.col("t")) == F.concat(F.lit("a"), F.substring("t", 1, 1), F.lit("b"))).count() == 25
+
+
+def test_dense_fingerprints_sort_by_event_first(spark):
+    plan = plan_of(QUERIES["f35_dense_fingerprint"](spark, TABLES))
+    assert "sort_array(collect_list(" in plan and "lambda left" not in plan
+    assert "Aggregate [event_id#" in plan
