@@ -112,3 +112,22 @@ def test_dense_fingerprints_sort_by_event_first(spark):
     plan = plan_of(QUERIES["f35_dense_fingerprint"](spark, TABLES))
     assert "sort_array(collect_list(" in plan and "lambda left" not in plan
     assert "Aggregate [event_id#" in plan
+
+
+def test_wrong_segments_need_no_geometry(spark):
+    plan = plan_of(QUERIES["c12_crop_audit"](spark, TABLES))
+    assert plan.count("Window [sum(") == 1, plan.count("Window [sum(")
+
+
+def test_spaced_json_of_a_long_text(spark):
+    from pyspark.sql import functions as F
+
+    from reelwork.operators.audits import spaced_json
+
+    text = '{"a":"' + "x,:" * 20000 + '\\\\","b":["c:d",1,2],"e":"f, g:"}'
+    said = spark.createDataFrame([(text,)], "t string").select(spaced_json(F.col("t"))).first()[0]
+    assert said == '{"a": "' + "x,:" * 20000 + '\\\\", "b": ["c:d", 1, 2], "e": "f, g:"}'
+
+
+def test_vertical_routing_reads_its_view_once(spark):
+    assert "user_id" not in plan_of(QUERIES["f28_vertical_routing"](spark, TABLES))
