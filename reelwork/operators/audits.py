@@ -20,8 +20,8 @@ GEOMETRY = ("max_speed_x", "max_speed_y", "max_speed", "max_acceleration")
 
 def spaced_json(json: Column) -> Column:
     """Compact JSON with a blank behind each comma and colon outside of strings."""
-    tokens = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"|[^"]+'), F.lit(0))
-    return F.array_join(F.transform(tokens, lambda t: F.when(t.startswith('"'), t).otherwise(F.regexp_replace(t, "([,:])", "$1 "))), "")
+    # each match ends at a comma or colon, the next begins there; possessive, so that the stack doesn't grow with the length of a string
+    return F.regexp_replace(json, r'\G((?:"(?:[^"\\]|\\.)*+"|[^",:]++)*+[,:])', "$1 ")
 
 
 def region_tracks_sha256(regions: Column, fingerprints: Column, v2: Column) -> Column:
@@ -54,12 +54,12 @@ def resolve_render_tracks(rendered: DataFrame, tracks: DataFrame) -> DataFrame:
     sessions = t.where(several & F.col("session_id").isNotNull()).groupBy(*KEY, "candidate_id", "session_id").agg(F.array_sort(F.collect_list(member)).alias("m"), *[F.first(c).alias(c) for c in ("ids", "payloads", "track_fingerprint", "v2")])
     part = lambda f: F.transform("m", lambda x: x[f])
     of_sessions = sessions.where((part("target_id") == F.col("ids")) & F.forall("m", lambda x: x["sha_ok"]) & (region_tracks_sha256(F.col("payloads"), part("fingerprint"), F.col("v2")) == F.col("track_fingerprint")))
-    single = t.where(one & (F.col("target_id") == F.get("ids", F.lit(0))) & (region_tracks_sha256(F.col("payloads"), F.array("fingerprint"), F.col("v2")) == F.col("track_fingerprint")))
-    plain = t.where((F.size("ids") == 0) & F.col("session_id").isNull() & (F.col("fingerprint") == F.col("track_fingerprint")))
+    of_region = (F.col("target_id") == F.get("ids", F.lit(0))) & (region_tracks_sha256(F.col("payloads"), F.array("fingerprint"), F.col("v2")) == F.col("track_fingerprint"))
+    alone = t.where(~several & F.when(one, of_region).otherwise(F.col("session_id").isNull() & (F.col("fingerprint") == F.col("track_fingerprint"))))
     kind = lambda first, second: F.when(F.col("v2"), second).otherwise(first)
     matches = of_sessions.select(*KEY, kind("shared_session_composite_geometry_fingerprint", "full_auto_v2_shared_session_fingerprint").alias("match_kind"), "session_id", part("track_id").alias("track_ids"))
-    matches = matches.unionByName(single.select(*KEY, kind("single_required_region_composite_geometry_fingerprint", "full_auto_v2_single_region_fingerprint").alias("match_kind"), "session_id", F.array("track_id").alias("track_ids")))
-    matches = matches.unionByName(plain.select(*KEY, kind("single_track_geometry_fingerprint", "full_auto_v2_single_track_fingerprint").alias("match_kind"), "session_id", F.array("track_id").alias("track_ids")))
+    of_one = F.when(one, kind("single_required_region_composite_geometry_fingerprint", "full_auto_v2_single_region_fingerprint")).otherwise(kind("single_track_geometry_fingerprint", "full_auto_v2_single_track_fingerprint"))
+    matches = matches.unionByName(alone.select(*KEY, of_one.alias("match_kind"), "session_id", F.array("track_id").alias("track_ids")))
     found = matches.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("match_kind", "session_id", "track_ids")).alias("x"))
     n = F.coalesce("n", F.lit(0))
     rule = F.when(F.col("track_fingerprint").isNull(), None).when(~F.col("fine"), "bad_fingerprint").when(n == 0, "no_lineage").when(n > 1, "ambiguous_lineage")
@@ -106,7 +106,7 @@ def audit_segments(shots: DataFrame, candidates: DataFrame, rendered: DataFrame,
     """
     ordered = ordered_shots(shots, sequence)
     r = rendered.withColumn("_rendered", F.lit(True)).withColumnRenamed("crop_mode", "rendered_crop_mode").withColumnRenamed("candidate_id", "_routed")
-    c = candidates.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("position", *ALTERNATIVE, "crop_mode")), lambda a, b: a["position"] - b["position"]).alias("cards"))
+    c = candidates.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("position", *ALTERNATIVE, "crop_mode"))).alias("cards"))
     resolved = cut_lineage(resolve_render_tracks(rendered, tracks))  # read for the lineage and for the geometry
     chosen = lambda x: x["candidate_id"] == F.col("vertical_candidate_id")
     time = F.when(F.col("duration_ms") > 0, F.col("duration_ms")).otherwise(F.col("source_out_ms") - F.col("source_in_ms"))
@@ -114,7 +114,12 @@ def audit_segments(shots: DataFrame, candidates: DataFrame, rendered: DataFrame,
     s = s.withColumns({"selected_candidate": F.get(F.filter("cards", chosen), F.lit(0)), "_time": F.coalesce(time, F.lit(0))})
     end = F.sum("_time").over(W.partitionBy("project_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
     s = s.withColumns({"timeline_end_ms": end, "timeline_start_ms": end - F.col("_time")})
-    s = s.withColumn("rule", F.when(F.col("_rendered").isNull(), "not_rendered").when(F.col("selected_candidate").isNull(), "selection_unknown").otherwise(F.col("_lineage")))
+    rule = lambda known: F.when(F.col("_rendered").isNull(), "not_rendered").when(~known, "selection_unknown").otherwise(F.col("_lineage"))
+    s = s.withColumn("rule", rule(F.col("selected_candidate").isNotNull()))
+    # what is wrong with a segment needs neither its cards, its geometry nor its place in time
+    known = candidates.select(*KEY, F.col("candidate_id").alias("vertical_candidate_id"), F.lit(True).alias("_known")).distinct()
+    w = ordered.select(*KEY, "vertical_candidate_id").join(r.select(*KEY, "_rendered"), KEY, "left").join(resolved.select(*KEY, F.col("rule").alias("_lineage")), KEY, "left").join(known, [*KEY, "vertical_candidate_id"], "left")
+    wrong = w.select(*KEY, rule(F.col("_known").isNotNull()).alias("rule")).where("rule IS NOT NULL")
     checks = F.struct(
         F.col("coverage_passed").alias("tracking_coverage_passed"), (F.col("containment_failures") == 0).alias("required_region_containment_passed"), "full_containment_feasible", F.col("fallback_reason").isNull().alias("fallback_free"), *GEOMETRY,
     )
@@ -124,7 +129,7 @@ def audit_segments(shots: DataFrame, candidates: DataFrame, rendered: DataFrame,
         "applied_strategy", "fallback_reason", "target_description", F.coalesce("rendered_crop_mode", F.col("selected_candidate.crop_mode")).alias("effective_crop_mode"), "match_kind", "track_ids", "source", "authoritative", "geometry",
         checks.alias("automated_checks"), risks.alias("risk_codes"), (F.coalesce("requires_review", F.lit(False)) | (F.size(risks) > 0)).alias("requires_review"), F.lit("pending").alias("human_review"),
     )
-    return audits, s.where("rule IS NOT NULL").select(*KEY, "rule")
+    return audits, wrong
 
 
 def legacy_shots(chapters: DataFrame, brief: DataFrame, rendered: DataFrame) -> tuple[DataFrame, DataFrame]:
