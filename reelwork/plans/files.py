@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelwork.functions.text import canonical_sha256, contract_id
@@ -57,17 +58,26 @@ def _s1b(j):
 , d AS (SELECT CAST(regexp_extract(path, '([0-9]+)[.]txt', 1) AS BIGINT) AS doc, content FROM k_file)
 SELECT doc // 50 AS bucket, sha256(string_agg(sha256(content), chr(10) ORDER BY doc) || chr(10)) AS sha256, (doc // 50) % 3 AS run FROM d GROUP BY 1""")
 def _s7s(k):
-    """A folder grows three times by files of 50 documents' hashes; each run takes the new ones."""
+    """A folder grows three times by files of 50 documents' hashes; each run takes the new ones.
+
+    The files lie in one folder, as a folder for each would be listed by a task of its own in every run. A file's name says which partition wrote it
+    and which of that partition's files it is; by both it is known which bucket it holds.
+    """
     spark = k.sparkSession
+    parts = 4 * spark.sparkContext.defaultParallelism
     doc = F.regexp_extract("path", "([0-9]+)[.]txt", 1).cast("long")
     files = k.select(doc.alias("doc"), F.sha2("content", 256).alias("hash")).groupBy(F.floor(F.col("doc") / 50).alias("bucket")).agg(F.array_sort(F.collect_list(F.struct("doc", "hash"))).alias("docs"))
-    files = cut_lineage(files.select("bucket", F.array_join(F.transform("docs", lambda d: d["hash"]), "\n").alias("value")))
+    files = files.select("bucket", (F.col("bucket") % 3).alias("run"), F.floor(F.col("bucket") / 3 % parts).cast("int").alias("part"), F.array_join(F.transform("docs", lambda d: d["hash"]), "\n").alias("value"))
+    files = cut_lineage(files.withColumn("place", F.row_number().over(W.partitionBy("run", "part").orderBy("bucket")) - 1))
     folder, out = new_folder(spark, "stream"), None
     for run in range(3):
-        files.where(F.col("bucket") % 3 == run).write.mode("append").partitionBy("bucket").text(f"{folder}/files")
-        taken = take_new_artifacts(spark, f"{folder}/files", "part-*", f"{folder}/state").withColumn("run", F.lit(run))
+        dealt = files.where(F.col("run") == run).repartitionById(parts, "part").sortWithinPartitions("place").select("value")
+        dealt.write.mode("append").option("maxRecordsPerFile", 1).text(f"{folder}/files")
+        taken = take_new_artifacts(spark, f"{folder}/files", "part-*", f"{folder}/state").withColumn("run", F.lit(run).cast("long"))
         out = taken if out is None else out.unionByName(taken)
-    out = cut_lineage(out.select(F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("long").alias("bucket"), "sha256", "run"))
+    number = lambda group: F.regexp_extract("path", "part-([0-9]+)-[^/]*-c([0-9]+)[.]txt$", group).cast("int")
+    named = out.select(number(1).alias("part"), number(2).alias("place"), "sha256", "run")
+    out = cut_lineage(named.join(files.drop("value"), ["run", "part", "place"]).select("bucket", "sha256", "run"))
     drop_folder(spark, folder)
     return out
 

@@ -131,3 +131,22 @@ def test_spaced_json_of_a_long_text(spark):
 
 def test_vertical_routing_reads_its_view_once(spark):
     assert "user_id" not in plan_of(QUERIES["f28_vertical_routing"](spark, TABLES))
+
+
+def test_stream_takes_files_of_one_folder(spark, tmp_path, monkeypatch):
+    from hashlib import sha256
+
+    ids = [*range(50, 100), 120, 7003, *range(9050, 9150)]  # none of the first run, gaps, buckets of one document, two of equal texts
+    rows = [(i, f"text {i % 50}", "s", 1) for i in ids]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    take, folders = files.take_new_artifacts, []
+
+    def seen(session, root, *rest):
+        folders.extend(x for x in Path(root.removeprefix("file:")).iterdir() if x.is_dir())
+        return take(session, root, *rest)
+
+    monkeypatch.setattr(files, "take_new_artifacts", seen)
+    got = sorted(tuple(r) for r in QUERIES["s7_artifact_stream"](spark, str(tmp_path)).select("bucket", "sha256", "run").collect())
+    lines = {b: [sha256(t.encode()).hexdigest() for i, t, *_ in rows if i // 50 == b] for b in {i // 50 for i in ids}}
+    assert got == sorted((b, sha256(("\n".join(x) + "\n").encode()).hexdigest(), b % 3) for b, x in lines.items())
+    assert folders == []
