@@ -403,6 +403,12 @@ def region_kind(entity_kind: Column) -> Column:
     return F.when(entity_kind == "text_region", "text_region").when(entity_kind.isin("phone_screen", "screen", "ui_element"), "ui_region").when(entity_kind == "logo", "graphic").when(entity_kind == "other", "other").otherwise("subject")
 
 
+def _each(items: Column, use, few: int = 8) -> Column:
+    """transform(items, use); arrays of at most few items, which is what a contract lets a candidate have, are taken item by item, in code that Spark generates, which it doesn't for a lambda."""
+    taken = F.slice(F.array(*[use(F.get(items, F.lit(i))) for i in range(few)]), F.lit(1), F.size(items))
+    return F.when(F.size(items).between(0, few), taken).otherwise(F.transform(items, use))
+
+
 def preflight_rows(candidates: DataFrame) -> DataFrame:
     """The preflight of each candidate from what the renderer's geometry says: (chapter, candidate_id, presentation, regions, geometry_fingerprint, expected_fingerprint, and the gates of failure_codes()).
 
@@ -417,18 +423,19 @@ def preflight_rows(candidates: DataFrame) -> DataFrame:
     fingerprint = F.sha2(F.to_json(F.struct(*[v.alias(k) for k, v in sorted(names.items())]), {"ignoreNullFields": "false"}), 256)
 
     def assessed(intent: Column) -> Column:
-        role, soft = intent["execution_role"], F.get(F.filter(g["soft_extents"], lambda x: x["region_id"] == intent["region_id"]), F.lit(0))
+        role, at = intent["execution_role"], F.coalesce(F.array_position(g["soft_extents"]["region_id"], intent["region_id"]), F.lit(0))
+        area = F.get(g["soft_extents"]["min_area"], at - 1)  # of the first soft extent of that id; null at -1
         hard = role == "hard_core"
         is_soft = role == "soft_extent"
         return F.struct(
-            intent["region_id"].alias("region_id"), role.alias("role"), (intent["atomic"] & ~is_soft).alias("atomic"), F.when(hard, True).when(is_soft, soft.isNotNull()).otherwise(~F.col("titles_rendered")).alias("assessed"),
-            F.when(hard, F.coalesce(g["min_required_area"], F.lit(1.0))).when(is_soft, F.coalesce(soft["min_area"], F.lit(0.0))).otherwise(1.0).alias("min_visible"),
+            intent["region_id"].alias("region_id"), role.alias("role"), (intent["atomic"] & ~is_soft).alias("atomic"), F.when(hard, True).when(is_soft, at > 0).otherwise(~F.col("titles_rendered")).alias("assessed"),
+            F.when(hard, F.coalesce(g["min_required_area"], F.lit(1.0))).when(is_soft, F.coalesce(area, F.lit(0.0))).otherwise(1.0).alias("min_visible"),
             F.when(hard, 1.0).when(is_soft, intent["floor"]).otherwise(0.0).alias("required_visible"), F.when(~hard & ~is_soft & F.col("titles_rendered"), 1.0).otherwise(0.0).alias("overlap"),
         )
 
     presentation = F.when(g["applied_strategy"].isin("tracked_crop", "center_crop"), g["applied_strategy"]).when(g["applied_strategy"] == "seed_anchor_crop", "static_anchor").otherwise("fit_with_background")
     return candidates.select(
-        "chapter", "candidate_id", "rank", presentation.alias("strategy"), F.transform("intents", assessed).alias("regions"), fingerprint.alias("geometry_fingerprint"), fingerprint.alias("expected_fingerprint"),
+        "chapter", "candidate_id", "rank", presentation.alias("strategy"), _each(F.col("intents"), assessed).alias("regions"), fingerprint.alias("geometry_fingerprint"), fingerprint.alias("expected_fingerprint"),
         F.coalesce(g["lineage_passed"], F.lit(True)).alias("lineage_ok"), F.lit(True).alias("single_shot"), "confidence", F.lit("matched").alias("semantic_status"), F.coalesce(g["confidence_passed"], F.lit(True)).alias("confidence_ok"),
         F.coalesce(g["coverage_passed"], F.lit(True)).alias("coverage_ok"), F.lit(None).cast("boolean").alias("checkpoints_ok"), *[F.coalesce(g[k], F.lit(0.0)).alias(k) for k in ("max_speed", "max_acceleration", "max_jerk")],
     )

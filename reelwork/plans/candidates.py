@@ -286,7 +286,8 @@ def _f33(c):
         "geometry": F.struct(*[v.alias(k) for k, v in geometry.items()]), "intents": F.array(intent("core", "hard_core", 1.0), intent("wide", "soft_extent", 0.72), intent("logo", "overlay_keepout", 0.0)), "source_fingerprint": F.concat(F.lit("s"), F.col("source_id").cast("string")),
         "filter_graph": F.concat(F.lit("crop="), F.col("frame_id").cast("string")), "track_fingerprint": F.when(F.col("frame_id") % 2 == 0, F.concat(F.lit("t"), F.col("frame_id").cast("string"))), "titles_rendered": F.col("source_id") % 4 == 0,
     }
-    text = F.array_join(F.transform("regions", lambda r: F.concat_ws(":", *[r[k].cast("string") for k in ("region_id", "assessed", "min_visible", "required_visible", "overlap")])), "|")
+    said = lambda r: F.concat_ws(":", *[r[k].cast("string") for k in ("region_id", "assessed", "min_visible", "required_visible", "overlap")])
+    text = F.concat_ws("|", *[said(F.get("regions", F.lit(i))) for i in range(3)])  # one a row of the intents above
     return K.preflight_rows(c.withColumns(given)).select("chapter", "candidate_id", F.col("strategy").alias("presentation"), "coverage_ok", text.alias("regions"), "geometry_fingerprint")
 
 

@@ -150,3 +150,36 @@ def test_stream_takes_files_of_one_folder(spark, tmp_path, monkeypatch):
     lines = {b: [sha256(t.encode()).hexdigest() for i, t, *_ in rows if i // 50 == b] for b in {i // 50 for i in ids}}
     assert got == sorted((b, sha256(("\n".join(x) + "\n").encode()).hexdigest(), b % 3) for b, x in lines.items())
     assert folders == []
+
+
+def test_preflight_regions_need_no_lambda(spark):
+    plan = plan_of(QUERIES["f33_preflight_from_geometry"](spark, TABLES))
+    assert "lambda" not in plan
+
+
+def test_preflight_regions_of_any_number(spark):
+    roles, softs = ["hard_core", "soft_extent", "overlay_keepout", "soft_extent", "soft_extent"], [None, [], [("r1", None)], [("r3", 0.5), ("r1", 0.25), ("r3", 0.9)], [(None, 0.1), ("r3", 0.75)]]
+    rows = []
+    for n in [None, *range(11)]:
+        for k, soft in enumerate(softs):
+            intents = None if n is None else [(f"r{i}" if i != 4 else None, roles[i % 5], i % 2 == 0, i / 16) for i in range(n)]
+            geometry = ("blur", None, True, None, None, None, 1.0, None if k == 0 else k / 8, soft)
+            rows.append((n, f"c{k}", 1, 0.5, "s", "crop", None, k % 2 == 0, intents, geometry))
+    g = "struct<applied_strategy: string, confidence_passed: boolean, coverage_passed: boolean, lineage_passed: boolean, max_acceleration: double, max_jerk: double, max_speed: double, min_required_area: double, soft_extents: array<struct<region_id: string, min_area: double>>>"
+    intent = "struct<region_id: string, execution_role: string, atomic: boolean, floor: double>"
+    df = spark.createDataFrame(rows, f"chapter long, candidate_id string, rank int, confidence double, source_fingerprint string, filter_graph string, track_fingerprint string, titles_rendered boolean, intents array<{intent}>, geometry {g}")
+
+    def region(name, role, atomic, floor, least, soft, titles):
+        known = [a for i, a in soft or [] if i is not None and i == name]
+        if role == "hard_core":
+            return (name, role, atomic, True, 1.0 if least is None else least, 1.0, 0.0)
+        if role == "soft_extent":
+            return (name, role, False, bool(known), (known[0] or 0.0) if known else 0.0, floor, 0.0)
+        return (name, role, atomic, not titles, 1.0, 0.0, 1.0 if titles else 0.0)
+
+    got = {(r.chapter, r.candidate_id): r.regions for r in candidates.preflight_rows(df).select("chapter", "candidate_id", "regions").collect()}
+    assert len(got) == len(rows)
+    for chapter, name, *_, titles, intents, geometry in rows:
+        want = None if intents is None else [region(*i, geometry[7], geometry[8], titles) for i in intents]
+        have = got[chapter, name]
+        assert (have if have is None else [tuple(r) for r in have]) == want, (chapter, name)
