@@ -14,11 +14,18 @@ MOST_REGIONS = 8
 # fixed values: what a chapter without evidence says, and how an event may relate to an entity, in order
 NOT_FOUND = {"observed": "No supported Clip Card evidence was selected.", "reason": "The evidence-bound planner returned not_found.", "risk": "No supported source evidence."}
 RELATIONS = {"event_member": "entity_ids", "primary": "primary_ids", "required": "required_ids", "optional": "optional_ids", "avoid_overlay": "avoid_overlay_ids"}
+SAID = (*RELATIONS, "grounding_target")
+KINDS = ("text_region", "ui_region", "graphic", "other", "subject")
 ROLE_OF_CONSTRAINT = {"hard_core": "required", "soft_extent": "preferred", "overlay_keepout": "avoid_overlay"}
 UNION_PREFIX = "Preserve the union of all required framing regions: "
 CLIP_RISK = "model_proposed_controlled_clip_requires_human_policy"
 
+# what names a candidate's entities, what goes to its event, and what that answers
+NAMING = ("focus_id", "required", "preferred")
+ASKED = ("asset_id", "event_id", "asked")
+ANSWER = ("known", "overlay", "facts")
 _SHARED = ("asset_id", "event_id", "frame_id", "observed_visual_evidence", "selection_reason")
+DESCRIBED = ("position", "candidate_id", *_SHARED, "horizontal_strategy", "zoom_intent", "vertical_strategy", "crop_mode", "quality_risks", "confidence")
 
 
 def _first(items: Column, keep) -> Column:
@@ -37,48 +44,93 @@ def entity_text(entity_id: Column) -> Column:
     return F.coalesce(target["target_description"], F.when(features != "", F.concat(entity["label"], F.lit("; "), features)), entity["label"])
 
 
-def _relations(entity_id: Column) -> Column:
-    """How the event relates to an entity, in order."""
-    said = [F.when(F.array_contains(F.col(c), entity_id), F.lit(f"event_relation={name}")) for name, c in RELATIONS.items()]
-    return F.array_compact(F.array(*said, F.when(F.exists("targets", lambda t: t["entity_id"] == entity_id), F.lit("event_relation=grounding_target"))))
-
-
 def entity_facts() -> Column:
-    """What an event's row says of each entity that it names: (entity_id, text, kind on the renderer's side, relations)."""
+    """What an event's row says of each entity that it names: (entity_id, fact). A fact is a number and, behind a blank, the entity's text; the number is the place of its kind in KINDS, times 64, and a bit for each of SAID that holds."""
     none = F.array().cast("array<string>")
     ids_of = lambda c: F.coalesce(F.transform(c, lambda x: x["entity_id"]), none)
     ids = F.array_distinct(F.concat(ids_of("entities"), ids_of("targets"), *[F.coalesce(c, none) for c in RELATIONS.values()]))
-    kind = lambda e: region_kind(_first(F.col("entities"), lambda x: x["entity_id"] == e)["kind"])
-    return F.transform(ids, lambda e: F.struct(e.alias("entity_id"), entity_text(e).alias("text"), kind(e).alias("kind"), _relations(e).alias("relations")))
 
+    def said(e: Column) -> Column:
+        kind = region_kind(_first(F.col("entities"), lambda x: x["entity_id"] == e)["kind"])
+        holds = [*[F.array_contains(F.col(c), e) for c in RELATIONS.values()], F.exists("targets", lambda t: t["entity_id"] == e)]
+        return sum((F.when(x, 2**i).otherwise(0) for i, x in enumerate(holds)), 64 * (F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int") - 1))
+
+    return F.transform(ids, lambda e: F.struct(e.alias("entity_id"), F.concat_ws(" ", said(e).cast("string"), entity_text(e)).alias("fact")))
+
+
+def _fact_number(fact: Column) -> Column:
+    return F.substring_index(fact, " ", 1).cast("int")
+
+
+def _fact_text(fact: Column) -> Column:
+    return F.get(F.split(fact, " ", 2), F.lit(1))
+
+
+def _asked(focus_id: Column, required: Column, preferred: Column) -> Column:
+    """The entities that a candidate names. That doesn't hang on its crop, so that the rows that go to the events hold nothing else."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.array_compact(F.array(focus_id)), F.coalesce(required, none), F.coalesce(preferred, none)))
+
+
+def _ids(asked: Column, overlay: Column) -> Column:
+    """The entities that an answer tells of."""
+    return F.array_distinct(F.concat(asked, F.coalesce(overlay, F.array().cast("array<string>"))))
+
+
+def _answered(candidates: DataFrame, events: DataFrame) -> DataFrame:
+    """candidates with asked and ANSWER: known, overlay, and facts, one for each of _ids(). Of several rows of one event the least counts, so that each row is answered once."""
+    told = events.select("asset_id", "event_id", F.struct("avoid_overlay_ids", entity_facts().alias("of")).alias("_facts")).groupBy("asset_id", "event_id").agg(F.min("_facts").alias("_facts"))
+    facts = F.col("_facts")["of"]
+    rows = candidates.withColumn("asked", _asked(*map(F.col, NAMING))).join(told, ["asset_id", "event_id"], "left").withColumns({"known": F.col("_facts").isNotNull(), "overlay": F.col("_facts")["avoid_overlay_ids"]})
+    return rows.withColumn("facts", F.transform(_ids(F.col("asked"), F.col("overlay")), lambda e: F.get(facts["fact"], _place(facts["entity_id"], e)))).drop("_facts")
+
+
+def _place(items: Column, item: Column) -> Column:
+    """Where an array holds an item, from 0; -1 if it doesn't, which get() takes for null."""
+    return (F.array_position(items, item) - 1).cast("int")
+
+
+def _regions_of(c: Column, a: Column, preferred: Column, fact) -> Column:
+    """(id, role, text, number) of the regions of a candidate with its answer: required entities, then preferred ones, then those not to be covered, each once by its first role; none unless the crop is tracked."""
+    required = c["required"]
+    overlay = F.filter(a["overlay"], lambda e: ~F.array_contains(required, e) & ~F.array_contains(preferred, e) & ~F.array_contains(c["sacrificable"], e))
+    named = lambda ids, role: F.transform(ids, lambda e: F.struct(e.alias("id"), F.lit(role).alias("role"), _fact_text(fact(e)).alias("text"), _fact_number(fact(e)).alias("number")))
+    return F.when(c["vertical_strategy"] == "tracked_crop", F.concat(named(required, "required"), named(preferred, "preferred"), named(overlay, "avoid_overlay"))).otherwise(F.slice(named(required, "required"), 1, 0))
+
+
+def _region(c: Column, token: Column, x: Column) -> Column:
+    """A region (id, role, text, number) of a candidate, whose id as a token is given."""
+    must, known = x["role"] == "required", F.coalesce(x["number"], F.lit(64 * KINDS.index("subject")))
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.shiftright(known, 6))
+    relations = F.concat(F.array_compact(F.array(*[F.when(known.bitwiseAND(2**i) > 0, F.lit(f"event_relation={name}")) for i, name in enumerate(SAID)])), F.array(_note("editorial_framing_intent", c["framing_intent"])))
+    return F.struct(
+        F.concat_ws(".", token, x["role"], safe_token(x["id"])).alias("region_id"), x["id"].alias("entity_id"), x["text"].alias("target_description"), kind.alias("kind"), x["role"].alias("role"),
+        (must & kind.isin("text_region", "ui_region", "graphic")).alias("atomic"), F.when(must, F.lit(1.0)).alias("minimum_visible_fraction"), relations.alias("observable_relations"),
+    )
 
-def _fact(entity_id: Column) -> Column:
-    return _first(F.col("_facts"), lambda f: f["entity_id"] == entity_id)
 
+def _pair(c: Column, a: Column) -> Column:
+    """A candidate and its answer, with the entities that the answer tells of and the preferred ones that aren't required."""
+    return F.struct(c.alias("c"), a.alias("a"), _ids(a["asked"], a["overlay"]).alias("ids"), F.filter(c["preferred"], lambda e: ~F.array_contains(c["required"], e)).alias("preferred"))
 
-def _region_ids() -> Column:
-    """(id, role) of the regions of a candidate's row with its event: required entities, then preferred ones, then those not to be covered, each once by its first role; none unless the crop is tracked."""
-    required = F.col("required_ids_of_candidate")
-    preferred = F.filter("preferred", lambda e: ~F.array_contains(required, e))
-    overlay = F.filter("avoid_overlay_ids", lambda e: ~F.array_contains(required, e) & ~F.array_contains(preferred, e) & ~F.array_contains(F.col("sacrificable"), e))
-    named = lambda ids, role: F.transform(ids, lambda e: F.struct(e.alias("id"), F.lit(role).alias("role"), _fact(e).alias("fact")))
-    every = F.concat(named(required, "required"), named(preferred, "preferred"), named(overlay, "avoid_overlay"))
-    return F.when(F.col("vertical_strategy") == "tracked_crop", every).otherwise(F.slice(named(required, "required"), 1, 0))
 
+def _described(pairs: Column) -> Column:
+    """_pair()s as candidates with horizontal_target, vertical_target, regions and _rule, what is wrong with it."""
 
-def entity_regions() -> Column:
-    """The regions of a candidate's row with _ids, as _region_ids() gives them."""
+    def named(p: Column) -> Column:
+        c, a = p["c"], p["a"]
+        fact = lambda e: F.get(a["facts"], _place(p["ids"], e))
+        texts = F.transform(c["required"], lambda e: _fact_text(fact(e)))
+        return F.struct(c.alias("c"), a["known"].alias("known"), _regions_of(c, a, p["preferred"], fact).alias("named"), texts.alias("texts"), _fact_text(fact(c["focus_id"])).alias("focus"), safe_token(c["candidate_id"]).alias("token"))
 
-    def region(x: Column) -> Column:
-        fact, must = x["fact"], x["role"] == "required"
-        kind = F.coalesce(fact["kind"], F.lit("subject"))
-        relations = F.array_distinct(F.concat(F.coalesce(fact["relations"], F.array().cast("array<string>")), F.array(_note("editorial_framing_intent", F.col("framing_intent")))))
-        return F.struct(
-            F.concat_ws(".", safe_token(F.col("candidate_id")), safe_token(x["role"]), safe_token(x["id"])).alias("region_id"), x["id"].alias("entity_id"), fact["text"].alias("target_description"), kind.alias("kind"), x["role"].alias("role"),
-            (must & kind.isin("text_region", "ui_region", "graphic")).alias("atomic"), F.when(must, F.lit(1.0)).alias("minimum_visible_fraction"), relations.alias("observable_relations"),
-        )
+    def card(p: Column) -> Column:
+        c = p["c"]
+        unknown = (c["focus_id"].isNotNull() & p["focus"].isNull()) | F.exists(p["texts"], lambda t: t.isNull()) | F.exists(p["named"], lambda x: x["text"].isNull())
+        rule = F.when(~p["known"], "event_missing").when(unknown, "entity_missing").when(F.size(p["named"]) > MOST_REGIONS, "too_many_regions")
+        made = {"horizontal_target": p["focus"], "vertical_target": F.when(F.size(c["required"]) > 0, F.array_join(p["texts"], " | ")), "regions": F.transform(p["named"], lambda x: _region(c, p["token"], x)), "_rule": rule}
+        return F.struct(*[c[f].alias(f) for f in DESCRIBED], *[v.alias(f) for f, v in made.items()])
 
-    return F.transform("_ids", region)
+    return F.transform(F.transform(pairs, named), card)
 
 
 def union_regions(regions: Column) -> Column:
@@ -135,20 +187,6 @@ def _heads() -> list[Column]:
     ]
 
 
-def _described(candidates: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """described_candidates(), with each candidate's own rule as _rule."""
-    # what an event says of its entities is put together once an event, not once a candidate
-    known = events.select("asset_id", "event_id", "avoid_overlay_ids", entity_facts().alias("_facts"), F.lit(True).alias("_known"))
-    c = candidates.withColumnRenamed("required", "required_ids_of_candidate").join(known, ["asset_id", "event_id"], "left")
-    required = F.col("required_ids_of_candidate")
-    c = c.withColumns({"_ids": _region_ids(), "_texts": F.transform(required, lambda e: _fact(e)["text"]), "horizontal_target": F.when(F.col("focus_id").isNotNull(), _fact(F.col("focus_id"))["text"])})
-    c = c.withColumns({"vertical_target": F.when(F.size(required) > 0, F.array_join("_texts", " | ")), "regions": entity_regions()})
-    unknown = (F.col("focus_id").isNotNull() & F.col("horizontal_target").isNull()) | F.exists("_texts", lambda t: t.isNull()) | F.exists("_ids", lambda x: x["fact"]["text"].isNull())
-    rule = F.when(F.col("_known").isNull(), "event_missing").when(unknown, "entity_missing").when(F.size("_ids") > MOST_REGIONS, "too_many_regions")
-    keep = ["chapter", "position", "candidate_id", *_SHARED, "horizontal_strategy", "zoom_intent", "horizontal_target", "vertical_strategy", "crop_mode", "vertical_target", "regions", "quality_risks", "confidence"]
-    return c.select(*keep, rule.alias("_rule")), c.select("chapter", "candidate_id", rule.alias("rule")).where("rule IS NOT NULL")
-
-
 def described_candidates(candidates: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates with horizontal_target, vertical_target and regions, violations (chapter, candidate_id, rule)).
 
@@ -157,8 +195,30 @@ def described_candidates(candidates: DataFrame, events: DataFrame) -> tuple[Data
     confidence. events: asset_id, event_id, the id lists of RELATIONS, entities (entity_id, kind, label, features) and targets
     (entity_id, target_description).
     """
-    described, wrong = _described(candidates, events)
-    return described.drop("_rule"), wrong
+    pair = _pair(F.struct(*candidates.columns), F.struct(*ASKED, *ANSWER))
+    described = _answered(candidates, events).select("chapter", F.get(_described(F.array(pair)), F.lit(0)).alias("x")).select("chapter", "x.*")
+    return described.drop("_rule"), described.where("_rule IS NOT NULL").select("chapter", "candidate_id", F.col("_rule").alias("rule"))
+
+
+def _described_chapters(chapters: DataFrame, candidates: DataFrame, events: DataFrame) -> DataFrame:
+    """chapters with cards, their described candidates in order of position.
+
+    Only what a candidate asks goes to its event and only the answer comes back to the chapter; all else of it stays where the chapter is.
+    A chapter's candidates and answers are as many and, in order of what was asked, in the same order.
+    """
+    own = [c for c in candidates.columns if c != "chapter"]
+    cards = candidates.groupBy("chapter").agg(F.collect_list(F.struct(*own)).alias("_cards"))
+    answered = _answered(candidates.select("chapter", "asset_id", "event_id", *NAMING), events).select("chapter", F.struct(*ASKED, *ANSWER).alias("_answer"))
+    # an answer travels as one text: fields of a row, and items of an array, take 8 bytes each that compress badly
+    kind = answered.schema["_answer"].dataType
+    # the session's number of partitions is kept as it is: Spark would put several together by their narrow rows, whose wide cards then don't fit in a task's memory
+    parts = int(chapters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answers = answered.select("chapter", F.to_json("_answer").alias("_answer")).repartition(parts, "chapter").groupBy("chapter").agg(F.collect_list("_answer").alias("_answers"))
+    key = lambda x, asked: F.struct(x["asset_id"].alias("asset_id"), x["event_id"].alias("event_id"), asked.alias("asked"))
+    asking = F.transform("_cards", lambda c: F.struct(key(c, _asked(*[c[f] for f in NAMING])).alias("key"), c.alias("c")))
+    same = lambda x, a: F.when(x["key"].eqNullSafe(key(a, a["asked"])), _pair(x["c"], a)).otherwise(F.raise_error(F.lit("an answer without its candidate")))
+    pairs = F.zip_with(F.array_sort(asking), F.array_sort(F.transform("_answers", lambda a: F.from_json(a, kind))), same)
+    return chapters.join(cards, "chapter", "left").join(answers, "chapter", "left").select(*chapters.columns, F.array_sort(_described(pairs)).alias("cards"))
 
 
 def selection_violations(chapters: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -169,31 +229,35 @@ def selection_violations(chapters: DataFrame, candidates: DataFrame) -> DataFram
     return asked.where("held IS NULL").select("chapter", "aspect", F.when(F.col("candidate_id").isNull(), "selection_missing").otherwise("selection_unknown").alias("rule"))
 
 
-def project_choices(chapters: DataFrame, candidates: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chapters for the renderer, violations (chapter, rule)) of a plan that holds choices only; descriptions and regions come from the events.
-
-    chapters: chapter, evidence_status, horizontal_candidate_id, vertical_candidate_id. A chapter without evidence has fixed
-    words and no candidates; one with a violation is left out. Candidates are as in described_candidates().
-    """
-    described, wrong = _described(candidates, events)
-    found = chapters.where("evidence_status <> 'not_found'")
-    violations = wrong.select("chapter", "rule").unionByName(selection_violations(chapters, candidates).select("chapter", "rule")).join(found.select("chapter"), "chapter", "left_semi").distinct()
-    # a chapter's row holds what is wrong with it, so that no candidate is described a second time to find out
-    holds = lambda test: F.coalesce(F.exists("cards", test), F.lit(False))
-    selects = lambda name: holds(lambda c: c["candidate_id"] == F.col(name))
-    right = ~holds(lambda c: c["_rule"].isNotNull()) & selects("horizontal_candidate_id") & selects("vertical_candidate_id")
-    p = _with_options(_chapters(found, described).where(right))
+def projected_choices(chapters: DataFrame, candidates: DataFrame, events: DataFrame) -> DataFrame:
+    """project_choices() as one frame, so that no candidate is described a second time to find out what is wrong: chapters for the renderer with rule null, and a row (chapter, rule) for each rule that a chapter breaks."""
+    found = _described_chapters(chapters.where("evidence_status <> 'not_found' AND chapter IS NOT NULL"), candidates, events)
+    held = lambda name: F.coalesce(F.exists("cards", lambda c: c["candidate_id"] == F.col(name)), F.lit(False))
+    selected = [F.when(~held(n), F.when(F.col(n).isNull(), "selection_missing").otherwise("selection_unknown")) for n in ("horizontal_candidate_id", "vertical_candidate_id")]
+    broken = F.array_compact(F.concat(F.coalesce(F.transform("cards", lambda c: c["_rule"]), F.array().cast("array<string>")), F.array(*selected)))
+    found = found.withColumn("_rules", F.array_distinct(broken)).withColumn("rule", F.explode_outer("_rules"))
+    p = _with_options(found.withColumn("cards", F.when(F.col("rule").isNull(), F.col("cards"))))
     h, v = F.col("h"), F.col("v")
     both = lambda f: F.when(h["candidate_id"] == v["candidate_id"], h[f]).otherwise(F.concat(F.lit("16:9: "), h[f], F.lit(" 9:16: "), v[f]))
     made = p.select(
-        "chapter", "evidence_status", both("observed_visual_evidence").alias("observed_visual_evidence"), both("selection_reason").alias("selection_reason"), F.array_distinct(F.concat(h["quality_risks"], v["quality_risks"])).alias("quality_risks"), *_heads(), "horizontal_candidates", "vertical_candidates",
+        "chapter", "evidence_status", both("observed_visual_evidence").alias("observed_visual_evidence"), both("selection_reason").alias("selection_reason"), F.array_distinct(F.concat(h["quality_risks"], v["quality_risks"])).alias("quality_risks"), *_heads(), "horizontal_candidates", "vertical_candidates", "rule",
     )
     none = chapters.where("evidence_status = 'not_found'").select(
         "chapter", "evidence_status", F.lit(NOT_FOUND["observed"]).alias("observed_visual_evidence"), F.lit(NOT_FOUND["reason"]).alias("selection_reason"), F.array(F.lit(NOT_FOUND["risk"])).alias("quality_risks"),
         F.lit("original").alias("horizontal_strategy"), F.lit("none").alias("horizontal_zoom_intent"), F.lit("fit_with_background").alias("vertical_strategy"), F.lit(0.0).alias("confidence"),
     )
     empty = {c: F.array().cast(made.schema[c].dataType) for c in ("horizontal_candidates", "vertical_candidates")}
-    return made.unionByName(none.withColumns(empty), allowMissingColumns=True), violations
+    return made.unionByName(none.withColumns(empty), allowMissingColumns=True)
+
+
+def project_choices(chapters: DataFrame, candidates: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chapters for the renderer, violations (chapter, rule)) of a plan that holds choices only; descriptions and regions come from the events.
+
+    chapters: chapter, evidence_status, horizontal_candidate_id, vertical_candidate_id. A chapter without evidence has fixed
+    words and no candidates; one with a violation is left out. Candidates are as in described_candidates().
+    """
+    every = projected_choices(chapters, candidates, events)
+    return every.where("rule IS NULL").drop("rule"), every.where("rule IS NOT NULL").select("chapter", "rule").distinct()
 
 
 def project_resolved(chapters: DataFrame, candidates: DataFrame, with_candidates: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelwork.operators import candidates as K
-from reelwork.operators.projection import project_choices
+from reelwork.operators.projection import projected_choices
 from reelwork.plans.base import query
 
 _E = "e_candidate"
@@ -368,12 +368,11 @@ def _c8(c):
     )
     chapters = c.select("chapter").distinct().select("chapter", F.when(F.col("chapter") % 11 == 0, "not_found").otherwise("supported").alias("evidence_status"), *[F.concat(F.lit("c"), (F.col("chapter") % n + 1).cast("string")).alias(f"{a}_candidate_id") for a, n in (("horizontal", 3), ("vertical", 2))])
     keep = ["chapter", "position", "candidate_id", "asset_id", "event_id", "frame_id", "observed_visual_evidence", "selection_reason", "quality_risks", "horizontal_strategy", "zoom_intent", "focus_id", "vertical_strategy", "crop_mode", "framing_intent", "required", "preferred", "sacrificable", "confidence"]
-    made, wrong = project_choices(chapters, rows.select(*keep), events)
+    made = projected_choices(chapters, rows.select(*keep), events)
     region = lambda r: F.concat_ws(" ", r["role"], r["entity_id"], r["kind"], F.when(r["atomic"], "atomic"))
     horizontal = F.transform("horizontal_candidates", lambda x: F.concat_ws(" ", x["candidate_id"], x["zoom_intent"], F.coalesce(x["target_description"], F.lit("-"))))
     vertical = F.transform("vertical_candidates", lambda x: F.concat_ws(" ", x["candidate_id"], x["target_description"], F.array_join(F.transform(x["regions"], region), "; ")))
-    told = made.select("chapter", F.col("observed_visual_evidence").alias("observed"), F.array_join("quality_risks", ",").alias("risks"), "horizontal_frame_id", "vertical_frame_id", F.round("confidence", 6).alias("confidence"), F.array_join(horizontal, ", ").alias("horizontal"), F.array_join(vertical, ", ").alias("vertical"))
-    return told.withColumn("rule", F.lit(None).cast("string")).unionByName(wrong, allowMissingColumns=True)
+    return made.select("chapter", F.col("observed_visual_evidence").alias("observed"), F.array_join("quality_risks", ",").alias("risks"), "horizontal_frame_id", "vertical_frame_id", F.round("confidence", 6).alias("confidence"), F.array_join(horizontal, ", ").alias("horizontal"), F.array_join(vertical, ", ").alias("vertical"), "rule")
 
 
 # what a candidate refers to; in SQL that Spark and DuckDB share

@@ -65,6 +65,15 @@ def test_projected_plan_reads_entities_once_an_event(spark):
     assert "_facts" in plan
 
 
+def test_projected_plan_moves_only_what_is_asked_and_answered(spark):
+    plan = plan_of(QUERIES["c8_project_plan"](spark, TABLES))
+    assert plan.count("Window [row_number") == 1  # no candidate is described again to find out what is wrong
+    lines = plan.split("\n")
+    at = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line and "event_id" in line)
+    assert "why " in plan and not any("why " in line or "selection_reason" in line for line in lines[at:])  # not among the rows that go to the events
+    assert "RepartitionByExpression [chapter" in lines[at - 3] + lines[at - 2] and "StructsToJson" in lines[at - 2] + lines[at - 1]  # nor among those that come back, as one text
+
+
 def test_usage_duplicates_needs_no_window(spark):
     from reelwork.operators.usage import usage_dedup, usage_duplicates
 

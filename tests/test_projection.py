@@ -74,6 +74,33 @@ def test_chapters_without_evidence_and_broken_ones(plan):
     assert set(plan[0]) == {"one", "same", "none"}
 
 
+def test_answers_come_back_to_their_candidates(spark, events):
+    said = 'a "b"\\c\n\t, [x] 12 é\u2028'
+    second = ("a", "second", ["s"], [], [], [], ["o", "o"], [("s", "other", said, None), ("o", "screen", "", " "), ("mute", "logo", None, "big")], [("t", "")])
+    more = spark.createDataFrame([second, second], EVENT)  # an event that is there twice counts once
+    rows = [
+        candidate("mix", 2, "c2", event_id="second", required=["s"], vertical_strategy="tracked_crop"), candidate("mix", 1, "c1", required=["x3", "x1"], focus_id="x0"), candidate("mix", 3, "c3", event_id="second", required=["t", "s"]), candidate("mix", 4, "c4", event_id="second", required=["s", "t"], focus_id="o"),
+        candidate("mix", 5, "c5", event_id="second", required=["s"], vertical_strategy="tracked_crop", framing_intent="other"), candidate("mix", 6, "c6", required=[]), candidate("mix", 6, "c7", required=[], confidence=0.1),
+        candidate("mute", 1, "x", event_id="second", required=["mute"]), candidate("null", 1, "x", required=[None]), candidate("no event", 1, "x", event_id=None, asset_id=None), candidate("two rules", 1, "x", event_id="none"), candidate("two rules", 2, "y", required=["who"]), candidate(None, 1, "x"),
+    ]
+    chapters = [("mix", "supported", "c2", "c5"), ("empty", "supported", "x", "x"), ("unsaid", None, "x", "x"), (None, "supported", "x", "x"), *[(c, "supported", "x", "x") for c in ("mute", "null", "no event", "two rules")]]
+    given = spark.createDataFrame(chapters, CHAPTER), spark.createDataFrame(rows, CANDIDATE), events.unionByName(more)
+    made, violations = P.project_choices(*given)
+    got = {r.chapter: r for r in made.collect()}
+    assert set(got) == {"mix"}
+    assert sorted(map(tuple, violations.collect())) == [("empty", "selection_unknown"), ("mute", "entity_missing"), ("no event", "event_missing"), ("null", "entity_missing"), ("two rules", "entity_missing"), ("two rules", "event_missing")]
+    vertical = {c.candidate_id: c for c in got["mix"].vertical_candidates}
+    assert [c.candidate_id for c in got["mix"].vertical_candidates] == ["c5", "c1", "c2", "c3", "c4", "c6", "c7"]
+    assert [vertical[c].target_description for c in ("c1", "c2", "c3", "c4", "c6")] == ["x3 | x1", said, f" | {said}", f"{said} | ", None]
+    assert [c.target_description for c in got["mix"].horizontal_candidates] == [None, "x0", None, "", None, None, None]
+    for c, framing in (("c2", "keep it"), ("c5", "other")):
+        assert [(r.region_id, r.target_description, r.kind, r.role) for r in vertical[c].regions] == [(f"{c}.required.s", said, "other", "required"), *[(f"{c}.avoid_overlay.o", "", "ui_region", "avoid_overlay")] * 2]
+        assert [r.observable_relations for r in vertical[c].regions] == [[f"event_relation={x}", f"editorial_framing_intent={framing}"] for x in ("event_member", "avoid_overlay", "avoid_overlay")]
+    described, wrong = P.described_candidates(*given[1:])
+    assert described.count() == len(rows) and sorted((r.chapter, r.candidate_id, r.rule) for r in wrong.collect()) == [("mute", "x", "entity_missing"), ("no event", "x", "event_missing"), ("null", "x", "entity_missing"), ("two rules", "x", "event_missing"), ("two rules", "y", "entity_missing")]
+    assert described.where("candidate_id = 'c5'").first().regions == vertical["c5"].regions
+
+
 RESOLVED = """array<struct<region_id: string, target_description: string, kind: string, constraint_role: string, atomic: boolean, observable_relation: string, refs: array<struct<entity_id: string, event_relation: string>>>>"""
 
 
